@@ -9,7 +9,11 @@ from .storage import cut, shared_dir
 from .textkit import BLANKS
 
 #: Where Spark keeps a stream's state: an embedded database on the executors' disks, copied to the shared folder.
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # no disk is set aside for many small stores
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normal(text: Column) -> Column:
@@ -34,10 +38,10 @@ def run_stream(feed: DataFrame, *, files_a_batch: int = 256, partitions: int | N
     spark = feed.sparkSession
     source, sink, at = (shared_dir(spark, f"dedup-{x}") for x in ("feed", "states", "stream"))
     feed.write.parquet(source)
-    before = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    if partitions:
-        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    wanted = STATE_STORE | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
         query = digest_state(stream).writeStream.outputMode("update").option("checkpointLocation", at).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{sink}/batch={n}")).trigger(availableNow=True).start()
