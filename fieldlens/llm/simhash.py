@@ -107,7 +107,7 @@ def linked(one: np.ndarray, two: np.ndarray, radius: int, own: bool) -> tuple[np
 def near_classes(prints: DataFrame, *, radius: int = 4, tile_rows: int = 16384) -> DataFrame:
     """(fp, root): for each distinct fingerprint that has a neighbour within radius bits, a common member of its class.
 
-    Distinct fingerprints are put into tiles of one bit count and about tile_rows rows. Tiles whose counts differ by more
+    Distinct fingerprints are put into tiles of one bit count and about tile_rows rows (1/64 of a small input). Tiles whose counts differ by more
     than the radius are never brought together; the others are packed into one binary each and compared pair by pair with
     exclusive-or and bit counts. A pair of tiles returns a forest, not its links, so a large class stays small. The work is
     that of all pairs of distinct fingerprints within the radius in bit count: exact, and quadratic in their number.
@@ -115,7 +115,8 @@ def near_classes(prints: DataFrame, *, radius: int = 4, tile_rows: int = 16384)
     spark = prints.sparkSession
     distinct = cut(prints.select("fp").distinct().withColumn("ones", F.bit_count("fp").cast("int")), "simhash-fp")
     counts = {r["ones"]: r["n"] for r in distinct.groupBy("ones").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
-    tiles = {c: -(-n // tile_rows) for c, n in counts.items()}
+    rows = min(tile_rows, max(1024, sum(counts.values()) // 64))  # a small input still makes enough tiles for all tasks
+    tiles = {c: -(-n // rows) for c, n in counts.items()}
     if not tiles:
         return spark.createDataFrame([], "fp long, root long")
     span = F.create_map(*[F.lit(x) for kv in sorted(tiles.items()) for x in kv])
