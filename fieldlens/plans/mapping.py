@@ -1 +1,192 @@
-"""Queries."""
+"""Mapping queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from fieldlens.operators import geo as O
+from fieldlens.plans.registry import query
+
+_SPANS = "SELECT anchor_ind, obs_ind AS start, coalesce(lead(obs_ind) OVER (ORDER BY obs_ind), obs_ind + 1) AS stop FROM fx_anchors"
+_SEG = f"SELECT t.*, s.anchor_ind AS segment, t.obs_ind - s.start AS step FROM fx_tracks t JOIN ({_SPANS}) s ON t.obs_ind >= s.start AND t.obs_ind < s.stop"
+_WARPED = f"SELECT s.*, coalesce(m00, CASE WHEN s.segment = 24 THEN 1.0::double END) AS m00, coalesce(m02, CASE WHEN s.segment = 24 THEN 0.0::double END) AS m02, coalesce(m12, CASE WHEN s.segment = 24 THEN 0.0::double END) AS m12 FROM ({_SEG}) s LEFT JOIN fx_warps w ON w.segment = s.segment AND w.step = s.step"
+
+
+@query("segment_interval", _SPANS)
+def intervals(t):
+    return O.segment_intervals(t.anchors)
+
+
+@query("segment_asof", f"SELECT obs_ind, track_id, segment FROM ({_SEG})")
+def asof(t):
+    return O.segment_of(t.tracks, t.anchors).select("obs_ind", "track_id", "segment")
+
+
+@query("segment_asof_large", f"SELECT obs_ind, track_id, segment FROM ({_SEG})")
+def asof_large(t):
+    return O.segment_of(t.tracks, t.anchors, broadcast_rows=0).select("obs_ind", "track_id", "segment")
+
+
+@query("segment_step", f"SELECT obs_ind, step FROM ({_SEG})")
+def step(t):
+    return O.segment_of(t.tracks, t.anchors).select("obs_ind", "step")
+
+
+@query("warp_lookup", f"SELECT obs_ind, segment, step, m00, m02, m12 FROM ({_WARPED})")
+def warp(t):
+    return O.with_warp(O.segment_of(t.tracks, t.anchors), F.broadcast(t.warps), 24).select("obs_ind", "segment", "step", "m00", "m02", "m12")
+
+
+@query("last_warp", "SELECT segment, max(step) AS step, arg_max(m02, step) AS m02, arg_max(m12, step) AS m12 FROM fx_warps GROUP BY 1")
+def last_warp(t):
+    return O.last_warp(t.warps).select("segment", "step", "m02", "m12")
+
+
+@query("fill_nodata", "SELECT xr, yr, CASE WHEN elev = -10000 THEN (SELECT min(elev) FROM fx_elevation WHERE elev <> -10000) ELSE elev END AS elev FROM fx_elevation")
+def fill(t):
+    return O.fill_nodata(t.elevation)
+
+
+@query("elevation_lookup", "SELECT p.obs_ind, e.elev FROM (SELECT obs_ind, greatest(0, least(col_px::bigint // 20 - 2, (SELECT max(xr) FROM fx_elevation))) AS xr, greatest(0, least(row_px::bigint // 4, (SELECT max(yr) FROM fx_elevation))) AS yr FROM fx_tracks) p LEFT JOIN fx_elevation e USING (xr, yr)")
+def elevation(t):
+    points = t.tracks.select("obs_ind", (F.floor(F.col("col_px") / 20) - 2).alias("xr"), F.floor(F.col("row_px") / 4).alias("yr"))
+    return O.elevation_at(points, t.elevation).select("obs_ind", "elev")
+
+
+_GRID = "SELECT x.k AS xr, y.k AS yr, (x.k + 0.5) * s.w / 31 - 0.5 AS sx, (y.k + 0.5) * s.h / 45 - 0.5 AS sy, s.* FROM range(0, 31) x(k), range(0, 45) y(k), (SELECT (max(xr) + 1)::double AS w, (max(yr) + 1)::double AS h FROM fx_elevation) s"
+
+
+@query("raster_resample", f"SELECT xr, yr, round(sum(wt * e.elev), 5) AS elev FROM (SELECT xr, yr, greatest(0, least(floor(sx) + i.k, w - 1)) AS cx, greatest(0, least(floor(sy) + j.k, h - 1)) AS cy, (CASE WHEN i.k = 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) * (CASE WHEN j.k = 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) AS wt FROM ({_GRID}), range(0, 2) i(k), range(0, 2) j(k)) g JOIN (SELECT xr AS cx, yr AS cy, elev FROM fx_elevation) e USING (cx, cy) GROUP BY 1, 2")
+def resample(t):
+    return O.resample(t.elevation, 31, 45).select(F.col("xr").cast("long").alias("xr"), F.col("yr").cast("long").alias("yr"), F.round("elev", 5).alias("elev"))
+
+
+@query("anchor_obs_index", "SELECT anchor_ind, f.obs_ind FROM fx_anchors a JOIN (SELECT event_id AS obs_ind, concat('frame_', event_id, '.jpg') AS name FROM events) f ON f.name = a.image_name QUALIFY f.obs_ind >= max(f.obs_ind) OVER (ORDER BY anchor_ind ROWS UNBOUNDED PRECEDING)")
+def anchor_index(t):
+    """The frame with an anchor's name, not before that of an earlier anchor; names are unique."""
+    frames = t.events.select(F.col("event_id").alias("frame_ind"), F.concat(F.lit("frame_"), F.col("event_id").cast("string"), F.lit(".jpg")).alias("image_name"))
+    on = frames.join(F.broadcast(t.anchors.select("anchor_ind", "image_name")), "image_name")
+    reached = F.max("frame_ind").over(Window.orderBy("anchor_ind").rowsBetween(Window.unboundedPreceding, 0))
+    return on.withColumn("reached", reached).filter("frame_ind >= reached").select("anchor_ind", F.col("frame_ind").alias("obs_ind"))
+
+
+@query("groundtruth_obs_index", "WITH f AS (SELECT event_id AS obs_ind FROM events WHERE event_id % 5 <> 3), n AS (SELECT max(obs_ind) AS most FROM f), g AS (SELECT image_id AS frame, image_id > (SELECT most FROM n) AS past FROM fx_images WHERE image_id % 3 = 0) SELECT g.frame, coalesce(a.obs_ind, b.obs_ind, CASE WHEN g.frame = (SELECT max(frame) FROM g) THEN (SELECT most FROM n) END) AS obs_ind FROM g LEFT JOIN f a ON a.obs_ind = g.frame LEFT JOIN f b ON b.obs_ind = g.frame - 2 WHERE coalesce(a.obs_ind, b.obs_ind, CASE WHEN g.frame = (SELECT max(frame) FROM g) THEN (SELECT most FROM n) END) IS NOT NULL")
+def groundtruth_index(t):
+    """A used frame's own index, or that of the frame two before it, or for the last one the last frame; else it drops out."""
+    frames = t.events.filter(F.col("event_id") % 5 != 3).select(F.col("event_id").alias("obs_ind"))
+    used = t.images.filter(F.col("image_id") % 3 == 0).select(F.col("image_id").alias("frame"))
+    ends = frames.agg(F.max("obs_ind").alias("most")).join(F.broadcast(used.agg(F.max("frame").alias("last"))))
+    own = used.join(frames.select(F.col("obs_ind").alias("frame"), F.col("obs_ind").alias("a")), "frame", "left")
+    near = own.join(frames.select((F.col("obs_ind") + 2).alias("frame"), F.col("obs_ind").alias("b")), "frame", "left").join(F.broadcast(ends))
+    return near.select("frame", F.coalesce("a", "b", F.when(F.col("frame") == F.col("last"), F.col("most"))).alias("obs_ind")).filter("obs_ind is not null")
+
+
+@query("clean_anchors", "SELECT anchor_ind FROM fx_anchors WHERE image_name IN (SELECT image_name FROM fx_cameras WHERE anchor_ind % 3 <> 0)")
+def clean_anchors(t):
+    return t.anchors.join(t.cameras.filter(F.col("anchor_ind") % 3 != 0), "image_name", "left_semi").select("anchor_ind")
+
+
+_LOG = "SELECT event_id, event_id % 2 = 0 AND (event_id < 25 AND event_id % 3 <> 0) AS used_in_map, event_id % 4 = 0 AND (event_id < 25 AND event_id % 3 <> 0) AS test_frame FROM events"
+
+
+@query("clean_flight_log", _LOG)
+def clean_log(t):
+    names = t.cameras.filter(F.col("anchor_ind") % 3 != 0).select(F.col("image_name").alias("frame_name"), F.lit(True).alias("known"))
+    log = t.events.select("event_id", F.concat(F.lit("frame_"), F.col("event_id").cast("string"), F.lit(".jpg")).alias("frame_name"), (F.col("event_id") % 2 == 0).alias("used_in_map"), (F.col("event_id") % 4 == 0).alias("test_frame"))
+    on = log.join(F.broadcast(names), "frame_name", "left")
+    return on.select("event_id", *((F.col(c) & F.col("known").isNotNull()).alias(c) for c in ("used_in_map", "test_frame")))
+
+
+@query("frames_per_flight", "SELECT flight, n, coalesce(sum(n) OVER (ORDER BY flight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS before FROM (SELECT video_id AS flight, count(*) AS n FROM fx_images GROUP BY 1)")
+def per_flight(t):
+    n = t.images.groupBy(F.col("video_id").alias("flight")).agg(F.count("*").alias("n"))
+    return n.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("flight").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+@query("mean_mu", "SELECT obs_ind % 1000 AS frame, coalesce(round(avg(CASE WHEN value > 300 THEN value END), 6), 0) AS mu FROM fx_tracks GROUP BY 1")
+def mean_mu(t):
+    return t.tracks.groupBy((F.col("obs_ind") % 1000).alias("frame")).agg(F.coalesce(F.round(F.avg(F.when(F.col("value") > 300, F.col("value"))), 6), F.lit(0.0)).alias("mu"))
+
+
+@query("inliers_per_segment", "SELECT segment, min(n_inliers) AS least, round(avg(n_inliers), 6) AS mean, count_if(n_inliers < 100)::bigint AS low, count_if(n_inliers < 100) > 10 AS over_limit FROM fx_warps GROUP BY 1")
+def inliers(t):
+    low = F.count_if(F.col("n_inliers") < 100)
+    return t.warps.groupBy("segment").agg(F.min("n_inliers").alias("least"), F.round(F.avg("n_inliers"), 6).alias("mean"), low.alias("low"), (low > 10).alias("over_limit"))
+
+
+@query("low_inlier_frames", "SELECT video_id, frame FROM fx_inliers WHERE n_inliers < 100")
+def low_inliers(t):
+    return t.inliers.filter("n_inliers < 100").select("video_id", "frame")
+
+
+_SEL = "SELECT video_id, frame, low_no, CASE WHEN rn = 1 THEN 'anchor' WHEN n_inliers < 100 AND low_no % 11 = 0 THEN 'promotes_previous' WHEN n_inliers < 100 THEN 'pseudo' ELSE 'plain' END AS kind FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame) AS rn, (sum(CASE WHEN n_inliers < 100 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY frame ROWS UNBOUNDED PRECEDING))::bigint AS low_no FROM fx_inliers)"
+
+
+@query("anchor_selection", _SEL)
+def selection(t):
+    return O.anchor_selection(t.inliers, 100, 10).select("video_id", "frame", "low_no", "kind")
+
+
+@query("pseudo_anchor_usage", f"SELECT video_id, low_no // 11 AS anchor_no, count_if(kind = 'pseudo')::bigint AS pseudo FROM ({_SEL}) GROUP BY 1, 2")
+def usage(t):
+    got = O.anchor_selection(t.inliers, 100, 10).groupBy("video_id", F.floor(F.col("low_no") / 11).alias("anchor_no"))
+    return got.agg(F.count_if(F.col("kind") == "pseudo").alias("pseudo"))
+
+
+@query("warp_chain", "WITH RECURSIVE c AS (SELECT segment, step, m00, m01, m02, m10, m11, m12 FROM fx_warps WHERE step = (SELECT min(step) FROM fx_warps) UNION ALL SELECT w.segment, w.step, c.m00 * w.m00 + c.m01 * w.m10, c.m00 * w.m01 + c.m01 * w.m11, c.m00 * w.m02 + c.m01 * w.m12 + c.m02, c.m10 * w.m00 + c.m11 * w.m10, c.m10 * w.m01 + c.m11 * w.m11, c.m10 * w.m02 + c.m11 * w.m12 + c.m12 FROM c JOIN fx_warps w ON w.segment = c.segment AND w.step = c.step + 1) SELECT segment, step, m00 AS c00, m01 AS c01, m02 AS c02, m10 AS c10, m11 AS c11, m12 AS c12 FROM c")
+def chain(t):
+    return O.warp_chain(t.warps)
+
+
+@query("position_utm", f"SELECT obs_ind, segment, step, round((col_px + m02 * 90.0) / 100.0, 4) AS ux, round((row_px - m12 * 90.0) / 100.0, 4) AS uy FROM ({_WARPED}) WHERE m00 IS NOT NULL")
+def position(t):
+    on = O.with_warp(O.segment_of(t.tracks, t.anchors), F.broadcast(t.warps), 24).filter("m00 is not null")
+    return on.select("obs_ind", "segment", "step", F.round((F.col("col_px") + F.col("m02") * 90.0) / 100.0, 4).alias("ux"), F.round((F.col("row_px") - F.col("m12") * 90.0) / 100.0, 4).alias("uy"))
+
+
+def _utm(t, guess: float = 90.0):
+    cells = O.fill_nodata(t.elevation)
+    frames = O.with_warp(O.segment_of(t.tracks, t.anchors), F.broadcast(t.warps), 24).filter("m00 is not null")
+    return O.ground_points(O.camera_rays(frames, t.cameras.drop("image_name"), guess), cells, guess=guess)
+
+
+@query("ray_ground_search")
+def ground(t):
+    return _utm(t).select("obs_ind", "track_id", "segment", "gx", "gy", "found", F.round("mu", 6).alias("mu"), "elevation")
+
+
+@query("tracks_to_utm")
+def tracks_to_utm(t):
+    """Every track point on the map, with the step's share of the segment's jump to the next anchor added."""
+    got = _utm(t).filter("found").select("track_id", "obs_ind", "segment", "step", "gx", "gy")
+    length = O.segment_intervals(t.anchors).select(F.col("anchor_ind").alias("segment"), (F.col("stop") - F.col("start")).alias("length"))
+    error = _segment_error(t).select("segment", "ex", "ey")
+    on = got.join(F.broadcast(length), "segment").join(F.broadcast(error), "segment", "left")
+    add = lambda g, e: F.col(g) + F.coalesce(F.col(e), F.lit(0.0)) * F.col("step") / F.col("length")
+    return on.select("track_id", "obs_ind", add("gx", "ex").alias("x"), add("gy", "ey").alias("y"))
+
+
+def _segment_error(t):
+    """Mean jump of the points at a boundary frame: by the next anchor, less by this one's last warp."""
+    starts = t.anchors.select(F.col("anchor_ind").alias("next"), "obs_ind").withColumn("segment", F.col("next") - 1)
+    points = t.tracks.select("track_id", "obs_ind", "row_px", "col_px").join(F.broadcast(starts), "obs_ind")
+    cams, cells = t.cameras.drop("image_name"), O.fill_nodata(t.elevation)
+    names = list(O.IDENTITY)
+    old = points.join(F.broadcast(O.last_warp(t.warps).drop("step")), "segment")
+    new = points.withColumn("segment", F.col("next")).withColumns({n: F.lit(v) for n, v in O.IDENTITY.items()})
+    place = lambda df, x, y: O.ground_points(O.camera_rays(df.select("track_id", "next", "segment", "row_px", "col_px", *names), cams, 90.0), cells).filter("found").select("track_id", "next", F.col("gx").alias(x), F.col("gy").alias(y))
+    on = place(old, "ox", "oy").join(place(new, "nx", "ny"), ["track_id", "next"])
+    return on.groupBy((F.col("next") - 1).alias("segment")).agg(F.avg(F.col("nx") - F.col("ox")).alias("ex"), F.avg(F.col("ny") - F.col("oy")).alias("ey"), F.count("*").alias("n"))
+
+
+@query("segment_error")
+def segment_error(t):
+    return _segment_error(t)
+
+
+@query("step_bias")
+def step_bias(t):
+    length = O.segment_intervals(t.anchors).select(F.col("anchor_ind").alias("segment"), (F.col("stop") - F.col("start")).alias("length"))
+    on = length.join(_segment_error(t), "segment", "left")
+    return on.select("segment", *(F.coalesce(F.col(e) / F.col("length"), F.lit(0.0)).alias(b) for e, b in (("ex", "bx"), ("ey", "by"))))

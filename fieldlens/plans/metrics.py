@@ -1 +1,28 @@
-"""Queries."""
+"""Metric queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fieldlens.operators import metrics as M
+from fieldlens.plans.registry import query
+
+
+@query("rolling_meter", "SELECT meter, step, round(avg(value) OVER w, 6) AS mean, max(value) OVER w AS most, value AS last, quantile_disc(value, 0.5) OVER w AS middle FROM fx_metric_log WINDOW w AS (PARTITION BY meter ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
+def rolling(t):
+    return M.rolling(t.metric_log).withColumn("mean", F.round("mean", 6))
+
+
+@query("metric_meter", "SELECT meter, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM fx_metric_log GROUP BY 1")
+def meter(t):
+    return M.meters(t.metric_log).withColumns({"total": F.round("total", 4), "mean": F.round("mean", 6)})
+
+
+@query("metric_rank_mean", "SELECT meter, round(avg(m), 6) AS mean FROM (SELECT meter, rank, avg(value) AS m FROM fx_metric_log GROUP BY 1, 2) GROUP BY 1")
+def rank_mean(t):
+    return M.rank_means(t.metric_log).withColumn("mean", F.round("mean", 6))
+
+
+@query("block_loss", "SELECT step // 10 AS block, round(avg(value), 6) AS loss FROM fx_metric_log GROUP BY 1 HAVING count(*) = 10")
+def block(t):
+    return M.block_means(t.metric_log).withColumn("loss", F.round("loss", 6))
