@@ -1 +1,89 @@
-"""Queries."""
+"""Labeling-export queries, over export documents written from the annotation tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fieldlens.operators import labels as L
+from fieldlens.plans.registry import query
+from fieldlens.sources.shared import shared_dir
+
+
+def ontology(t):
+    """A tool for each category, in the order of ids; each with one question of two answers."""
+    c = t.categories.orderBy("category_id")
+    answers = F.array(*[F.struct(F.concat(F.lit(f"o{k}-"), F.col("category_id").cast("string")).alias("schema_id"), F.lit(word).alias("label")) for k, word in enumerate(("yes", "no"))])
+    question = F.array(F.struct(F.concat(F.lit("c-"), F.col("category_id").cast("string")).alias("schema_id"), F.lit("adult?").alias("instructions"), answers.alias("options")))
+    tool = F.struct(F.concat(F.lit("t-"), F.col("category_id").cast("string")).alias("schema_id"), F.lit("rectangle").alias("tool"), "name", question.alias("classifications"))
+    return c.join(t.annotations, "category_id", "left_semi").agg(F.transform(F.array_sort(F.collect_list(F.struct("category_id", tool.alias("t")))), lambda s: s["t"]).alias("tools"))
+
+
+def export(t):
+    """Written as JSON lines, and read with the export's schema. Boxes, lines, points, polygons and masks take turns by id."""
+    x, y, w, h = (F.col(c).cast("double") for c in "xywh")
+    at = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    turn = F.col("id") % 5
+    obj = F.struct(
+        F.col("id").cast("string").alias("feature_id"), "name",
+        F.when(turn == 0, F.struct(x.alias("left"), y.alias("top"), w.alias("width"), h.alias("height"))).alias("bounding_box"),
+        F.when(turn == 1, F.array(at(x, y), at(x + w, y + h))).alias("line"), F.when(turn == 2, at(x, y)).alias("point"),
+        F.when(turn == 3, F.array(at(x, y), at(x + w, y), at(x + w, y + h), at(x, y + h))).alias("polygon"),
+        F.when(turn == 4, F.struct(F.concat(F.lit("mask/"), F.col("id").cast("string")).alias("url"))).alias("mask"),
+    )
+    named = t.annotations.join(F.broadcast(t.categories), "category_id")
+    per = named.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", obj.alias("o")))), lambda s: s["o"]).alias("objects"))
+    label = F.array(F.struct(F.struct(F.lit("2024-01-01T00:00:00Z").alias("created_at")).alias("label_details"), F.struct("objects").alias("annotations")))
+    none = F.array().cast(f"array<{L.LABEL}>")
+    rows = t.images.join(per, "image_id", "left").select(
+        F.struct(F.col("image_id").cast("string").alias("id"), F.col("file_name").alias("external_id"), F.struct(F.lit("set").alias("dataset_name")).alias("details")).alias("data_row"),
+        F.struct("height", "width").alias("media_attributes"), F.create_map(F.lit("p1"), F.struct(F.when(F.col("objects").isNotNull(), label).otherwise(none).alias("labels"))).alias("projects"),
+    )
+    path = shared_dir(t.spark, "export")
+    rows.write.json(path)
+    return t.spark.read.schema(L.EXPORT).json(path)
+
+
+_OBJ = "SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY id) - 1 AS position FROM fx_annotations JOIN fx_images USING (image_id)"
+
+
+@query("export_scan", f"SELECT image_id::varchar AS data_row_id, count(*) AS n FROM ({_OBJ}) GROUP BY 1")
+def export_scan(t):
+    return export(t).select(F.col("data_row.id").alias("data_row_id"), F.size(L.objects_of("p1")).cast("long").alias("n")).filter("n > 0")
+
+
+@query("drop_unlabeled_rows", "SELECT DISTINCT image_id::varchar AS data_row_id FROM fx_annotations JOIN fx_images USING (image_id)")
+def drop_unlabeled(t):
+    return L.labeled(export(t), "p1").select(F.col("data_row.id").alias("data_row_id"))
+
+
+@query("ontology_index", "WITH c AS (SELECT category_id AS i, name FROM fx_categories WHERE category_id IN (SELECT category_id FROM fx_annotations)), n AS (SELECT 't-' || i AS schema_id, name, 'tool' AS kind, [i] AS path FROM c UNION ALL SELECT 'c-' || i, 'adult?', 'classification', [i, 0] FROM c UNION ALL SELECT 'o0-' || i, 'yes', 'option', [i, 0, 0] FROM c UNION ALL SELECT 'o1-' || i, 'no', 'option', [i, 0, 1] FROM c) SELECT schema_id, name, kind, row_number() OVER (ORDER BY path) AS encoded FROM n")
+def ontology_index(t):
+    return L.ontology_index(ontology(t)).drop("path")
+
+
+_CAT = "dense_rank() OVER (ORDER BY category_id) * 4 - 3"
+
+
+@query(
+    "objects_to_annotations",
+    f"SELECT image_id::varchar AS data_row_id, position, k AS kind, category AS category_id, CASE WHEN k IN ('box', 'polygon') THEN x::double END AS x, CASE WHEN k IN ('box', 'polygon') THEN y::double END AS y, CASE WHEN k IN ('box', 'polygon') THEN w::double END AS w, CASE WHEN k IN ('box', 'polygon') THEN h::double END AS h, CASE WHEN k IN ('box', 'polygon') THEN (w * h)::double END AS area FROM (SELECT *, {_CAT} AS category, ['box', 'line', 'point', 'polygon', 'mask'][id % 5 + 1] AS k FROM ({_OBJ})) WHERE k <> 'mask'",
+)
+def objects(t):
+    return L.annotations_of(export(t), "p1", L.ontology_index(ontology(t))).drop("n_points")
+
+
+@query("mask_rejects", "SELECT image_id::varchar AS data_row_id, 'mask/' || id AS url FROM fx_annotations JOIN fx_images USING (image_id) WHERE id % 5 = 4")
+def masks(t):
+    return L.masks_of(export(t), "p1")
+
+
+@query("categories_from_ontology", f"SELECT category AS id, name, max(CASE id % 5 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END)::bigint AS n_keypoints FROM (SELECT a.id, c.name, {_CAT} AS category FROM fx_annotations a JOIN fx_categories c USING (category_id) JOIN fx_images USING (image_id)) WHERE id % 5 <> 4 GROUP BY 1, 2")
+def categories(t):
+    index = L.ontology_index(ontology(t))
+    return L.categories_of(L.annotations_of(export(t), "p1", index), index).withColumn("n_keypoints", F.col("n_keypoints").cast("long"))
+
+
+@query("export_to_coco", "SELECT CAST(row_number() OVER (ORDER BY image_id) AS BIGINT) AS image_id, concat('set-', file_name) AS file_name, width, height FROM fx_images WHERE image_id IN (SELECT image_id FROM fx_annotations)")
+def export_to_coco(t):
+    number = F.col("data_row.id").cast("long")
+    return L.images_of(export(t), "p1", number, F.floor(F.col("__o") / 4096)).drop("data_row_id")

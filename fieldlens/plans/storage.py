@@ -1 +1,173 @@
-"""Queries."""
+"""Scan and sink queries: tables are written in each format and read back with an explicit schema."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fieldlens.functions import geometry as G
+from fieldlens.functions import names as N
+from fieldlens.plans.registry import query
+from fieldlens.sources import files as S
+from fieldlens.sources.shared import shared_dir
+
+
+def _documents(t):
+    """COCO documents, one for each video."""
+    path = shared_dir(t.spark, "coco")
+    videos = t.images.select("image_id", "video_id")
+    images = t.images.select("video_id", F.col("image_id").alias("id"), "file_name", "width", "height")
+    annotations = t.annotations.join(videos, "image_id")
+    S.write_coco(images, annotations, t.categories, path, "video_id")
+    return S.read_coco(t.spark, path)
+
+
+@query("coco_scan", "SELECT id, image_id, category_id, x::double AS x, y::double AS y, w::double AS w, h::double AS h, area, iscrowd FROM fx_annotations JOIN fx_images USING (image_id)")
+def coco_scan(t):
+    return _documents(t)[1].select("id", "image_id", "category_id", *"xywh", "area", "iscrowd")
+
+
+@query("coco_write", "SELECT image_id, file_name, width, height FROM fx_images")
+def coco_write(t):
+    return _documents(t)[0].select(F.col("id").alias("image_id"), "file_name", "width", "height")
+
+
+_PM = "SELECT image_name, anchor_ind, p00, p11, p03, round(1 / p00, 9) AS i00, round(p02 / -p00 / p22 + 0.0, 9) AS i02 FROM fx_cameras"
+
+
+@query("pmatrix_scan", _PM)
+def pmatrix(t):
+    path = shared_dir(t.spark, "pmatrix")
+    cells = [f"p{r}{c}" for r in range(3) for c in range(4)]
+    t.cameras.select(F.concat_ws(" ", "image_name", *(F.col(c).cast("string") for c in cells)).alias("value")).write.text(path)
+    got = S.read_pmatrices(t.spark, path)
+    inv = G.inverse3([F.col(f"p{r}{c}") for r in range(3) for c in range(3)])
+    return got.select("image_name", N.frame_number(F.col("image_name")).alias("anchor_ind"), "p00", "p11", "p03", F.round(inv[0], 9).alias("i00"), F.round(inv[2], 9).alias("i02"))
+
+
+@query("sort_matrices", "SELECT anchor_ind, (row_number() OVER (ORDER BY anchor_ind % 5, anchor_ind))::bigint AS place FROM fx_cameras")
+def sort_matrices(t):
+    """By flight part, then by frame number."""
+    from pyspark.sql import Window
+
+    name = F.concat(F.lit("flight_"), (F.col("anchor_ind") % 5).cast("string"), F.lit("_"), F.col("anchor_ind").cast("string"), F.lit(".jpg"))
+    keyed = t.cameras.select("anchor_ind", name.alias("name"))
+    return keyed.select("anchor_ind", F.row_number().over(Window.orderBy(*S.sort_key(F.col("name"), "big_map"))).cast("long").alias("place"))
+
+
+@query("offset_scan", "SELECT min(s_acctbal)::double AS ox, max(s_acctbal)::double AS oy, 0.5::double AS oz FROM supplier")
+def offset(t):
+    path = shared_dir(t.spark, "offset")
+    ends = t.supplier.agg(F.min("s_acctbal").cast("double").cast("string").alias("a"), F.max("s_acctbal").cast("double").cast("string").alias("b"))
+    ends.select(F.concat_ws(" ", "a", "b", F.lit("0.5")).alias("value")).coalesce(1).write.text(path)
+    return S.read_offset(t.spark, path)
+
+
+@query("camera_location_scan", "SELECT image_id, image_id / 1000.0::double AS latitude, image_id / -500.0::double AS longitude FROM fx_images")
+def locations(t):
+    path = shared_dir(t.spark, "locations")
+    rows = t.images.select(F.col("file_name").alias("imageName"), (F.col("image_id") / 1000.0).alias("latitude"), (F.col("image_id") / -500.0).alias("longitude"))
+    rows.write.option("sep", " ").option("header", True).csv(path)
+    got = S.read_locations(t.spark, path)
+    return got.select(N.frame_number(F.col("imageName")).alias("image_id"), "latitude", "longitude")
+
+
+@query("flight_log_scan", "SELECT video_id AS flight, count(*) AS n, min(frame) AS first_frame FROM fx_inliers GROUP BY 1")
+def flight_log(t):
+    path = shared_dir(t.spark, "flights")
+    t.inliers.withColumn("flight", F.col("video_id")).write.partitionBy("flight").parquet(path)
+    got = S.read_flight_logs(t.spark, path, "video_id long, frame long, n_inliers long")
+    return got.groupBy("flight").agg(F.count("*").alias("n"), F.min("frame").alias("first_frame"))
+
+
+@query("anchor_scan", "SELECT concat('frame-', lpad(obs_ind::varchar, 5, '0'), '.jpg') AS filename, obs_ind, obs_ind AS parsed FROM fx_anchors")
+def anchor_scan(t):
+    path = shared_dir(t.spark, "anchors")
+    t.anchors.select(F.concat(F.lit("frame-"), F.lpad(F.col("obs_ind").cast("string"), 5, "0"), F.lit(".jpg")).alias("filename"), "obs_ind").write.option("header", True).csv(path)
+    return S.read_anchors(t.spark, path)
+
+
+@query("warp_scan", "SELECT segment, step, m02, m12 FROM fx_warps")
+def warp_scan(t):
+    path = shared_dir(t.spark, "warps")
+    t.warps.write.partitionBy("segment").parquet(path)
+    return t.spark.read.schema(t.warps.schema).parquet(path).select("segment", "step", "m02", "m12")
+
+
+@query("raster_cell_scan", "SELECT xr, yr, elev FROM fx_elevation")
+def raster(t):
+    path = shared_dir(t.spark, "raster")
+    S.write_raster(t.elevation, path, tile=64)
+    return S.read_raster(t.spark, path, tile=64)
+
+
+@query("image_manifest", "SELECT concat('img-', video_id, '.txt') AS name, length(concat('video ', video_id)) + 1 AS size FROM (SELECT DISTINCT video_id FROM fx_images)")
+def manifest(t):
+    path = shared_dir(t.spark, "manifest")
+    videos = t.images.select("video_id").distinct()
+    videos.select(F.concat(F.lit("video "), F.col("video_id").cast("string")).alias("value"), "video_id").write.partitionBy("video_id").text(path)
+    got = S.image_manifest(t.spark, path, "*.txt")
+    video = F.regexp_extract("path", "video_id=([0-9]+)", 1)
+    return got.select(F.concat(F.lit("img-"), video, F.lit(".txt")).alias("name"), F.col("length").alias("size"))
+
+
+@query("s3_image_list", "SELECT image_id, CASE WHEN video_id < 10 THEN length(concat('video ', video_id)) + 1 END AS size FROM fx_images")
+def s3_list(t):
+    path = shared_dir(t.spark, "objects")
+    videos = t.images.select("video_id").distinct().filter("video_id < 10")
+    videos.select(F.concat(F.lit("video "), F.col("video_id").cast("string")).alias("value"), "video_id").write.partitionBy("video_id").text(path)
+    got = S.image_manifest(t.spark, path, "*.txt").select(F.regexp_extract("path", "video_id=([0-9]+)", 1).cast("long").alias("video_id"), F.col("length").alias("size"))
+    return t.images.select("image_id", "video_id").join(got, "video_id", "left").select("image_id", "size")
+
+
+@query("missing_images", "SELECT image_id FROM fx_images WHERE image_id % 4 <> 1")
+def missing(t):
+    there = t.images.filter(F.col("image_id") % 4 == 1).select("file_name")
+    return t.images.join(there, "file_name", "left_anti").select("image_id")
+
+
+@query("pending_projects", "SELECT DISTINCT concat('survey_', video_id) AS project FROM fx_images WHERE video_id % 3 <> 0")
+def pending(t):
+    projects = t.images.select(F.concat(F.lit("survey_"), F.col("video_id").cast("string")).alias("project"), "video_id").distinct()
+    done = projects.filter(F.col("video_id") % 3 == 0).select(F.concat(F.lit("out/"), "project", F.lit(".json")).alias("path"))
+    return projects.join(done.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("project")), "project", "left_anti").select("project")
+
+
+_NAMES = "SELECT concat('v', image_id // 3, '_', ['f', 'a', 'b'][image_id % 3 + 1], '.jpg') AS name FROM fx_images WHERE image_id % 7 <> 1"
+
+
+@query("overlay_manifest", f"WITH n AS ({_NAMES}), f AS (SELECT name, regexp_replace(name, '_f\\.jpg.*', '') AS stem FROM n WHERE name LIKE '%\\_f.jpg' ESCAPE '\\') SELECT f.name, a.name AS after_name, b.name AS before_name, a.name IS NULL OR b.name IS NULL AS incomplete FROM f LEFT JOIN n a ON a.name = f.stem || '_a.jpg' LEFT JOIN n b ON b.name = f.stem || '_b.jpg'")
+def overlay(t):
+    c = F.col("image_id")
+    part = F.when(c % 3 == 0, "f").when(c % 3 == 1, "a").otherwise("b")
+    names = t.images.filter(c % 7 != 1).select(F.concat(F.lit("v"), F.floor(c / 3).cast("string"), F.lit("_"), part, F.lit(".jpg")).alias("name"))
+    return S.overlays(names).select("name", "after_name", "before_name", "incomplete")
+
+
+@query("upload_rows", "SELECT concat('frames/', video_id, '/', file_name) AS row_data, file_name AS external_id FROM fx_images")
+def upload(t):
+    paths = t.images.select(F.concat(F.lit("frames/"), F.col("video_id").cast("string"), F.lit("/"), F.col("file_name")).alias("row_data"))
+    return paths.withColumn("external_id", F.regexp_extract("row_data", "[^/]+$", 0))
+
+
+@query("prediction_export", "SELECT det_id, name, trunc(score * 1000)::bigint AS score_i, trunc(x * 1.5::double)::bigint AS left_px FROM fx_detections JOIN fx_categories USING (category_id) WHERE score >= 0.6 AND x >= 0")
+def prediction_export(t):
+    path = shared_dir(t.spark, "predictions")
+    rows = t.detections.filter("score >= 0.6 and x >= 0").join(F.broadcast(t.categories), "category_id")
+    rows.select("det_id", "name", (F.col("score") * 1000).cast("long").alias("score_i"), (F.col("x") * F.lit(1.5)).cast("long").alias("left_px")).write.json(path)
+    return t.spark.read.schema("det_id long, name string, score_i long, left_px long").json(path)
+
+
+@query("split_manifest_scan", "SELECT DISTINCT video_id AS video, CASE WHEN video_id < 14 THEN 'train' WHEN video_id < 17 THEN 'val' ELSE 'test' END AS split FROM fx_images")
+def split_manifest(t):
+    path = shared_dir(t.spark, "splits")
+    name = F.when(F.col("video_id") < 14, "train").when(F.col("video_id") < 17, "val").otherwise("test")
+    by = t.images.select("video_id").distinct().groupBy(name.alias("s")).agg(F.collect_list("video_id").alias("v"))
+    by.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("s", "v")))).alias("value")).write.text(path)
+    return S.read_split_manifest(t.spark, path)
+
+
+@query("map_bundle", "SELECT c.anchor_ind, c.p03, s.n AS n_cells FROM fx_cameras c CROSS JOIN (SELECT count(*) AS n FROM fx_elevation) s")
+def bundle(t):
+    return t.cameras.select("anchor_ind", "p03").join(F.broadcast(t.elevation.agg(F.count("*").alias("n_cells"))))
+
+

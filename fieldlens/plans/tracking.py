@@ -1 +1,56 @@
-"""Queries."""
+"""Track queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fieldlens.operators import tracking as T
+from fieldlens.plans.registry import query
+
+_W = "WINDOW w AS (PARTITION BY track_id ORDER BY obs_ind ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+
+
+@query("track_velocity", f"SELECT track_id, obs_ind, round(v_row_px, 6) AS v_row_px, round(v_col_px, 6) AS v_col_px, round(row_px + v_row_px, 6) AS next_row_px FROM (SELECT *, CASE WHEN count(*) OVER w > 1 THEN (row_px - first_value(row_px) OVER w) / (count(*) OVER w - 1) ELSE 0 END AS v_row_px, CASE WHEN count(*) OVER w > 1 THEN (col_px - first_value(col_px) OVER w) / (count(*) OVER w - 1) ELSE 0 END AS v_col_px FROM fx_tracks {_W})")
+def velocity(t):
+    return T.velocity(t.tracks, 5, ("row_px", "col_px")).select("track_id", "obs_ind", *(F.round(c, 6).alias(c) for c in ("v_row_px", "v_col_px", "next_row_px")))
+
+
+@query("track_gaps", "SELECT track_id, obs_ind, gap, (sum(CASE WHEN gap > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY obs_ind ROWS UNBOUNDED PRECEDING))::bigint AS session FROM (SELECT *, obs_ind - lag(obs_ind) OVER (PARTITION BY track_id ORDER BY obs_ind) AS gap FROM fx_tracks)")
+def gaps(t):
+    return T.gaps(t.tracks, 400).select("track_id", "obs_ind", "gap", "session")
+
+
+@query("tracks_from_results", "SELECT track_id, min(obs_ind) AS first_frame, max(obs_ind) AS last_frame, count(*) AS n FROM fx_tracks GROUP BY 1")
+def spans(t):
+    return T.track_spans(t.tracks)
+
+
+def frames(t):
+    """Detections by video, an image being a frame."""
+    return t.detections.join(t.images.select("image_id", "video_id"), "image_id").withColumn("frame", F.floor(F.col("image_id") / 100))
+
+
+@query("track_step")
+def track_step(t):
+    return T.track(frames(t), patience=3, overlap=0.3)
+
+
+@query("apply_predictor", "SELECT image_id, image_id % 5 AS label, (image_id % 101) / 101.0::double AS score FROM fx_images")
+def predictor(t):
+    """With a stand-in for a model."""
+
+    def make():
+        return lambda f: f[["image_id"]].assign(label=f["image_id"] % 5, score=(f["image_id"] % 101) / 101.0)
+
+    return T.apply_predictor(t.images.select("image_id"), make, "image_id long, label long, score double")
+
+
+@query("segment_worker", "SELECT segment, count(*) AS n, round(sum(m02), 6) AS moved FROM fx_warps GROUP BY 1")
+def worker(t):
+    """A function of one segment's rows, for each segment."""
+    import pandas as pd
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], len(rows), round(float(rows["m02"].sum()), 6))], columns=["segment", "n", "moved"])
+
+    return t.warps.groupBy("segment").applyInPandas(run, "segment long, n long, moved double")
