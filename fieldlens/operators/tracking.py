@@ -97,7 +97,7 @@ def track(dets: DataFrame, **options) -> DataFrame:
     there; videos run side by side. Track numbers count from 0 in each video.
     """
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
         tracker, out = Tracker(**options), []
         for frame, own in rows.sort_values(["frame", "det_id"]).groupby("frame", sort=True):
             out += track_frame(tracker, int(frame), own)

@@ -9,13 +9,16 @@ from fieldlens.functions import boxes as B
 from fieldlens.operators import boxes as O
 from fieldlens.plans.registry import query
 
-X, Y, W, H = (F.col(c) for c in "xywh")
-CORNERS = dict(zip(("x1", "y1", "x2", "y2"), B.corners(X, Y, W, H), strict=True))
+CORNERS = ("x1", "y1", "x2", "y2")
 _XYXY = "x AS x1, y AS y1, x + w AS x2, y + h AS y2"
 
 
+def _xywh():
+    return [F.col(c) for c in "xywh"]
+
+
 def _box(t):
-    return t.annotations.withColumns(CORNERS)
+    return t.annotations.withColumns(dict(zip(CORNERS, B.corners(*_xywh()), strict=True)))
 
 
 @query("box_xywh_to_xyxy", f"SELECT id, {_XYXY} FROM fx_annotations")
@@ -30,7 +33,7 @@ def xyxy_to_xywh(t):
 
 @query("box_area", "SELECT id, w * h AS box_area FROM fx_annotations")
 def area(t):
-    return t.annotations.select("id", (W * H).alias("box_area"))
+    return t.annotations.select("id", (F.col("w") * F.col("h")).alias("box_area"))
 
 
 @query("box_center", "SELECT id, (x + (x + w)) / 2.0::double AS cx, (y + (y + h)) / 2.0::double AS cy FROM fx_annotations")
@@ -53,7 +56,7 @@ def degenerate(t):
 
 @query("box_to_polygon", "SELECT id, p[1] AS p0, p[2] AS p1, p[3] AS p2, p[4] AS p3, p[5] AS p4, p[6] AS p5, p[7] AS p6, p[8] AS p7 FROM (SELECT id, [x, y, x + w, y, x + w, y + h, x, y + h] AS p FROM fx_annotations)")
 def to_polygon(t):
-    return t.annotations.withColumn("p", B.polygon(X, Y, W, H)).select("id", *(F.get("p", F.lit(k)).alias(f"p{k}") for k in range(8)))
+    return t.annotations.withColumn("p", B.polygon(*_xywh())).select("id", *(F.get("p", F.lit(k)).alias(f"p{k}") for k in range(8)))
 
 
 _IOU = "CASE WHEN least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) AND least(a.y + a.h, b.y + b.h) > greatest(a.y, b.y) THEN (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) ELSE 0 END"
@@ -122,7 +125,8 @@ _POINTS = "list_transform(range(0, 17), lambda i: {'x': x + i * w / 16.0::double
 
 
 def keypoints():
-    return F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: F.struct((X + i * W / 16.0).alias("x"), (Y + i * H / 16.0).alias("y"), (i % 3).cast("long").alias("v")))
+    x, y, w, h = _xywh()
+    return F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: F.struct((x + i * w / 16.0).alias("x"), (y + i * h / 16.0).alias("y"), (i % 3).cast("long").alias("v")))
 
 
 @query(

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from fieldlens.functions import geometry as G
 from fieldlens.plans.registry import query
 
-P = [F.col(f"p{r}{c}") for r in range(3) for c in range(4)]
+
+def matrix():
+    return [F.col(f"p{r}{c}") for r in range(3) for c in range(4)]
+
+
 _POINTS = "SELECT t.obs_ind AS pid, c.*, t.col_px / 32.0::double AS wx, t.row_px / 48.0::double AS wy, (t.obs_ind % 7)::double AS wz FROM fx_tracks t JOIN fx_cameras c ON c.anchor_ind = t.obs_ind % 25"
 
 
@@ -22,7 +26,7 @@ _UV = "(p00 * wx + p01 * wy + p02 * wz + p03) / nullif(p20 * wx + p21 * wy + p22
 
 @query("world_to_pixel", f"SELECT pid, round(u, 6) AS u, round(v, 6) AS v FROM (SELECT pid, {_UV} FROM ({_POINTS}))")
 def world_to_pixel(t):
-    u, v = G.world_to_pixel(P, [F.col("wx"), F.col("wy"), F.col("wz")])
+    u, v = G.world_to_pixel(matrix(), [F.col("wx"), F.col("wy"), F.col("wz")])
     return points(t).select("pid", F.round(u, 6).alias("u"), F.round(v, 6).alias("v"))
 
 
@@ -30,10 +34,11 @@ def world_to_pixel(t):
 def ray_point(t):
     """A world point to its pixel and, at its depth, back along the ray: where it was."""
     at = points(t)
-    u, v = G.world_to_pixel(P, [F.col("wx"), F.col("wy"), F.col("wz")])
-    mu = P[8] * F.col("wx") + P[9] * F.col("wy") + P[10] * F.col("wz") + P[11]
-    inv = G.inverse3([P[4 * r + c] for r in range(3) for c in range(3)])
-    back = G.ray_point(inv, [P[3], P[7], P[11]], u, v, mu)
+    u, v = G.world_to_pixel(matrix(), [F.col("wx"), F.col("wy"), F.col("wz")])
+    p = matrix()
+    mu = p[8] * F.col("wx") + p[9] * F.col("wy") + p[10] * F.col("wz") + p[11]
+    inv = G.inverse3([p[4 * r + c] for r in range(3) for c in range(3)])
+    back = G.ray_point(inv, [p[3], p[7], p[11]], u, v, mu)
     return at.select("pid", *((F.round(b, 5) + 0.0).alias(n) for b, n in zip(back, ("rx", "ry", "rz"), strict=True)))
 
 

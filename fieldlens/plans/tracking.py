@@ -50,7 +50,7 @@ def worker(t):
     """A function of one segment's rows, for each segment."""
     import pandas as pd
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
         return pd.DataFrame([(key[0], len(rows), round(float(rows["m02"].sum()), 6))], columns=["segment", "n", "moved"])
 
     return t.warps.groupBy("segment").applyInPandas(run, "segment long, n long, moved double")
