@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import cut, shared_dir
@@ -30,29 +30,26 @@ def digest_state(stream: DataFrame) -> DataFrame:
     return stream.groupBy("digest").agg(first.alias("first"), F.count("*").alias("seen")).select("digest", F.col("first.id").alias("keep_id"), F.col("first.locator").alias("keep_at"), "seen")
 
 
-def run_stream(feed: DataFrame, *, files_a_batch: int = 256, partitions: int | None = None) -> DataFrame:
-    """The last state of each digest after the feed (digest, id, locator) has gone through as a stream.
+def run_stream(source: str, schema, spark: SparkSession, *, files_a_batch: int = 256, partitions: int | None = None) -> DataFrame:
+    """The last state of each digest after the rows (digest, id, locator) of the files in source have gone through as a stream.
 
     The stream's checkpoint and its output lie in the shared folder; a batch that is broken off starts again from there.
     """
-    spark = feed.sparkSession
-    source, sink, at = (shared_dir(spark, f"dedup-{x}") for x in ("feed", "states", "stream"))
-    feed.write.parquet(source)
+    sink, at = (shared_dir(spark, f"dedup-{x}") for x in ("states", "stream"))
     wanted = STATE_STORE | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
-        stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
-        query = digest_state(stream).writeStream.outputMode("update").option("checkpointLocation", at).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{sink}/batch={n}")).trigger(availableNow=True).start()
+        states = digest_state(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source))
+        query = states.writeStream.outputMode("update").option("checkpointLocation", at).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{sink}/batch={n}")).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    kinds = digest_state(feed).schema
-    states = spark.read.schema(kinds).option("recursiveFileLookup", "true").parquet(sink) if query.lastProgress or _exists(spark, sink) else spark.createDataFrame([], kinds)
+    found = spark.read.schema(states.schema).option("recursiveFileLookup", "true").parquet(sink) if _exists(spark, sink) else spark.createDataFrame([], states.schema)
     # a digest's count only grows and its least id only falls, so the newest of its rows has the most seen
-    return states.groupBy("digest").agg(F.max_by(F.struct("keep_id", "keep_at", "seen"), "seen").alias("s")).select("digest", "s.*")
+    return found.groupBy("digest").agg(F.max_by(F.struct("keep_id", "keep_at", "seen"), "seen").alias("s")).select("digest", "s.*")
 
 
 def _exists(spark, path: str) -> bool:
@@ -64,23 +61,30 @@ def exact_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """(id, keep..., keep_id, group_size, kept, text_sha256) for each row.
 
     Texts are equal when they are after each run of blanks has become one space; null counts as empty. The row with the
-    least id stays; of rows that repeat it, one does. Null ids come last. Where a digest had been seen, the whole texts of
+    least id stays; of rows that repeat it, one does. Null ids come last. A content locator is a row's number in the feed. Where a digest had been seen, the whole texts of
     its rows are compared; texts that share a digest without being equal are told apart by their whole texts. No rows give
     no rows.
     """
-    columns = list(dict.fromkeys([id_col, *keep]))
-    base = df.select(*columns, normal(F.col(text_col)).alias("__text")).withColumn("text_sha256", F.sha2("__text", 256))
-    feed = base.select(F.unhex("text_sha256").alias("digest"), F.col(id_col).alias("id"), F.col(id_col).cast("string").alias("locator"))
-    state = cut(run_stream(feed), "dedup-state").select(F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", "keep_at", "seen")
+    spark, columns = df.sparkSession, list(dict.fromkeys([id_col, *keep]))
+    text = normal(F.col(text_col))
+    source = shared_dir(spark, "dedup-feed")
+    stored = df.select(F.struct(*columns).alias("row"), F.unhex(F.sha2(text, 256)).alias("digest"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("locator"))
+    stored.write.parquet(source)
+    rows = spark.read.schema(stored.schema).parquet(source)
+    state = cut(run_stream(source, rows.schema, spark), "dedup-state")
     # full bytes: within a digest, the least and the greatest text must be the same one; each task compares its own first
-    check = base.groupBy("text_sha256").agg(F.min("__text").alias("low"), F.max("__text").alias("high"))
-    wrong = cut(check.filter("low <> high").select("text_sha256"), "dedup-wrong")
-    light = df.select(*columns, F.sha2(normal(F.col(text_col)), 256).alias("text_sha256"))
-    out = light.join(state.hint("merge"), "text_sha256").select(*columns, "text_sha256", "keep_id", F.col("seen").alias("group_size"))
-    if not wrong.isEmpty():  # a digest of two texts: their groups by the whole text
-        told = base.join(wrong, "text_sha256").groupBy("text_sha256", "__text").agg(F.min(id_col).alias("keep_id"), F.count("*").alias("group_size"))
-        split = base.join(wrong, "text_sha256").join(told, ["text_sha256", "__text"]).select(*columns, "text_sha256", "keep_id", "group_size")
-        out = out.join(wrong, "text_sha256", "left_anti").unionByName(split)
-    # of rows that repeat the least id one stays; only they can meet here, for ids are otherwise their own
-    one = F.row_number().over(Window.partitionBy("text_sha256", id_col).orderBy(F.lit(1)))
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")) & (one == 1)).select(*columns, "keep_id", "group_size", "kept", "text_sha256")
+    base = df.select(*columns, text.alias("__text")).withColumn("digest", F.unhex(F.sha2("__text", 256)))
+    wrong = cut(base.groupBy("digest").agg(F.min("__text").alias("low"), F.max("__text").alias("high")).filter("low <> high").select("digest"), "dedup-wrong")
+    sha = F.lower(F.hex("digest")).alias("text_sha256")
+    kept = (F.col("locator") == F.col("keep_at")).alias("kept")
+    if wrong.isEmpty():
+        return rows.join(state.hint("merge"), "digest").select("row.*", "keep_id", F.col("seen").alias("group_size"), kept, sha)
+    return _told_apart(base, id_col, columns, sha)
+
+
+def _told_apart(base: DataFrame, id_col: str, columns: list[str], sha: Column) -> DataFrame:
+    """The same by whole texts instead of digests, for a corpus in which two texts share one."""
+    groups = base.groupBy("digest", "__text").agg(F.min(id_col).alias("keep_id"), F.count("*").alias("group_size"))
+    on = base.join(groups, ["digest", "__text"])
+    one = F.row_number().over(Window.partitionBy("digest", "__text", id_col).orderBy(F.lit(1)))
+    return on.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")) & (one == 1)).select(*columns, "keep_id", "group_size", "kept", sha)
