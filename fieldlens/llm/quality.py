@@ -163,14 +163,15 @@ def fit_machine(f: Features, label: np.ndarray, *, buckets: int, rank: int = 4,
     return Machine(float(params[0][0]), *params[1:], centre, spread)
 
 
-def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", most_rows: int = 6000, buckets: int = 1 << 14, rank: int = 4) -> Machine:
-    """A machine fitted on the rows of (id, text, label 0/1), at most most_rows of them: those whose ids hash lowest.
+def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 6000, buckets: int = 1 << 14, rank: int = 4) -> Machine:
+    """A machine fitted on the rows of df (id, text) that labels (id, label 0/1) names: of at most most_rows labels, those
+    whose ids hash lowest.
 
-    The bound is on fitting alone, which is done by the driver on word buckets and statistics, about 10 KB a row. Rows
-    without a label are left out; a null text is empty.
+    The bound is on fitting alone, which is done by the driver on word buckets and statistics, about 10 KB a row. Labels that
+    are null are left out; a null text is empty. The chosen labels are broadcast, so no text is shuffled.
     """
-    rows = df.filter(F.col(label_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("label"), F.col(id_col).alias("id"))
-    chosen = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most_rows)
+    named = labels.filter(F.col("label").isNotNull()).select(F.col(id_col).alias("id"), F.col("label").cast("double").alias("label"))
+    chosen = named.orderBy(F.xxhash64("id"), "id", "label").limit(most_rows)
 
     def run(batches):
         for batch in batches:
@@ -183,7 +184,8 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_
                 )
 
     kind = df.schema[id_col].dataType.simpleString()
-    picked = rows.join(F.broadcast(chosen), "id", "left_semi").select("text", "label", "id")
+    rows = df.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    picked = rows.join(F.broadcast(chosen), "id").select("text", "label", "id")
     found = picked.mapInArrow(run, f"label double, id {kind}, columns array<int>, values array<double>, stats array<double>").toArrow().to_pandas()
     found = found.assign(order=found["label"] * 0 + found["stats"].map(lambda x: x[0])).sort_values(["id", "label", "order"], kind="stable")
     sizes = found["columns"].map(len).to_numpy() if len(found) else np.zeros(0, np.int64)

@@ -52,8 +52,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.Machine:
     """Fitted on labelled rows outside the held-out fold."""
     labels = _table(spark, sf_dir, "labels").filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("label"))
-    known = labels.filter(langid.fold("doc_id", 4) != 2)
-    return quality.fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    return quality.fit(docs, labels.filter(langid.fold("doc_id", 4) != 2))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
