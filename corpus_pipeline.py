@@ -29,10 +29,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each SimHash class. Blank and empty texts are one class."""
+    """The document with the least id of each SimHash class. Blank and empty texts are one class.
+
+    Rows without an id can't be told apart: all of them stay if one is in a class that has no ids at all.
+    """
     classes = simhash.near_duplicates(docs)
-    first = cut(classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "near-first")
-    return docs.join(first.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
+    first = cut(classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct(), "near-first")
+    return docs.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
