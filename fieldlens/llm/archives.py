@@ -139,9 +139,11 @@ def convert(df: DataFrame, *, version: int = 2) -> DataFrame:
             keys, urls, dates, payloads, firsts = (batch.column(k) for k in range(5))
             for a in range(0, len(batch), 64):
                 cutout = lambda c: c.slice(a, 64).to_pylist()  # noqa: B023, E731
-                entries = [Entry(u, "0.0.0.0", d, "text/html", str(k), (p or "").encode()) for k, u, d, p in zip(cutout(keys), cutout(urls), cutout(dates), cutout(payloads), strict=True)]
-                own = cutout(firsts)
-                back = [warc_record(e, None if f is None or str(f) == e.location else str(f)).decode() for e, f in zip(read_arc(arc_file(entries, version)), own, strict=True)]
+                ids = [None if k is None else str(k) for k in cutout(keys)]
+                entries = [Entry(u, "0.0.0.0", d, "text/html", k, (p or "").encode()) for k, u, d, p in zip(ids, cutout(urls), cutout(dates), cutout(payloads), strict=True)]
+                own = [None if f is None else str(f) for f in cutout(firsts)]
+                read = (e._replace(location=k) for e, k in zip(read_arc(arc_file(entries, version)), ids, strict=True))  # version 1 has no location
+                back = [warc_record(e, None if f == e.location else f).decode() for e, f in zip(read, own, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(back, pa.string())], names=["record"])
 
     return df.select("key", "url", "date", "payload", "first").mapInArrow(run, "record string")
@@ -159,7 +161,7 @@ def scan_warc(spark, path: str) -> DataFrame:
             for data in batch.column(0).to_pylist():
                 rows = []
                 for head, content in read_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                    rows.append((head["warc-type"], head["warc-record-id"], head.get("warc-target-uri"), head["warc-date"], head.get("warc-source-location"), head.get("warc-refers-to-source-location"), head["warc-payload-digest"].removeprefix("sha1:"), int(head["warc-payload-length"]), content))
+                    rows.append((head["warc-type"], head["warc-record-id"], head.get("warc-target-uri"), head["warc-date"], None if head.get("warc-source-location", "-") == "-" else head["warc-source-location"], head.get("warc-refers-to-source-location"), head["warc-payload-digest"].removeprefix("sha1:"), int(head["warc-payload-length"]), content))
                     if len(rows) == 200:
                         yield table(rows)
                         rows = []
@@ -180,8 +182,8 @@ def pages_to_warc(df: DataFrame, path: str, *, id_col: str = "page_id", url_col:
 
     Of pages with equal payloads of at least least_bytes, that with the largest id is the response and the others revisit
     it; smaller payloads are all responses. Null html is an empty payload. A null or blank URL is written as '-'. Null ids
-    come before all others; rows that repeat the largest id are responses too. No pages give no records. The id must
-    have no blanks as text. Equal payloads are met by digest: each task sends its largest id of a digest only.
+    come before all others, and are read back as null; rows that repeat the largest id are responses too. No pages give no
+    records. The id must have no blanks as text, and not be '-'. Equal payloads are met by digest: each task sends its largest id of a digest only.
     """
     base = df.select(F.col(id_col).alias("key"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload")).withColumn("digest", F.sha1("payload"))
     first = cut(base.filter(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("key").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"), "warc-first")

@@ -87,6 +87,14 @@ def test_op3_round_trip(spark):
     assert by["1", archives.digest32(b"<p>\r\n\r\nWARC/1.0")].refers_to == "4"
 
 
+@pytest.mark.parametrize("version", [1, 2])
+def test_op3_rows_without_id(spark, version):
+    rows = [(None, "u", "a"), (3, "v", "a"), (None, "w", "b"), (None, None, "b")]
+    got = archives.pages_to_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), storage.shared_dir(spark, "w"), version=version).collect()
+    found = sorted((r.location or "", r.record_type, r.refers_to or "", r.payload_digest == archives.digest32(b"a")) for r in got)
+    assert found == [("", "response", "", False), ("", "response", "", False), ("", "revisit", "3", True), ("3", "response", "", True)]
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
     entries = [archives.Entry("http://a/", "1.2.3.4", "20010203040506", "text/html", "k" if version == 2 else None, b"x\n\n1 2"), archives.Entry("u", "-", "2001", "t", None, b"")]
@@ -227,7 +235,16 @@ def test_edges_do_not_crash(spark, texts):
     assert exact.exact_duplicates(rows, keep=("size", "digest", "id")).count() == n
     html = rows.select(F.col("doc_id").alias("page_id"), F.col("lang").alias("url"), F.col("text").alias("html"), "bucket")
     assert pages.main_text(html).count() == n
-    assert archives.pages_to_warc(html.filter("page_id is not null"), storage.shared_dir(spark, "w")).count() == len([1 for i, _ in texts if i is not None])
+    assert archives.pages_to_warc(html, storage.shared_dir(spark, "w")).count() == n
+
+
+def test_pipeline_near_dedup_without_ids(spark):
+    import corpus_pipeline as P
+
+    far = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(1, far[0]), (2, far[0]), (5, far[1]), (6, None), (7, ""), (None, far[0])]
+    near = lambda x: sorted(r.doc_id or 0 for r in P.near_dedup(spark, docs(spark, x), SF).collect())
+    assert near(rows) == [1, 5, 6] and near([*rows, (None, far[2])]) == [0, 0, 1, 5, 6]
 
 
 def test_pipeline_against_its_operators(spark):
