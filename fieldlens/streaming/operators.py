@@ -6,6 +6,7 @@ Each takes a streaming DataFrame and gives one. Late rows, those older than the
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pandas as pd
@@ -80,13 +81,37 @@ def anchor_monitor(stream: DataFrame, threshold: int, most_pseudo: int) -> DataF
     return stream.select("video_id", "frame", "n_inliers").groupBy("video_id").applyInPandasWithState(step, "video_id long, frame long, low_no long, kind string", "low long, last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def source(spark: SparkSession, rows: DataFrame, name: str, files: int = 1000) -> DataFrame:
-    """rows, written to the shared folder, as a stream."""
+def source(spark: SparkSession, rows: DataFrame, name: str, files: int = 1000, *, order: str | None = None, batches: int | None = None) -> DataFrame:
+    """rows, written to the shared folder, as a stream.
+
+    With order, a column, batches follow one another in that column and equal values share a batch, so no row comes late;
+    there are about batches of them (by default one for each million rows, and three at least).
+    """
     path = shared_dir(spark, f"stream-{name}")
-    rows.write.parquet(path)
+    if order:
+        n = batches or max(3, -(-rows.count() // 1_000_000))
+        files = -(-_write_ordered(spark, rows, path, order, n) // n)
+    else:
+        rows.write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def _write_ordered(spark: SparkSession, rows: DataFrame, path: str, order: str, n: int) -> int:
+    """Write rows in n ranges of order, a file each, and give the files that many times: a stream takes the oldest file first."""
+    rows.repartitionByRange(n, order).write.option("maxRecordsPerFile", 0).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {int(m[1]): f for f in fs.listStatus(folder) if (m := re.match(r"part-(\d+)", f.getPath().getName()))}
+    parts = [found[k] for k in sorted(found)]
+    first = min((f.getModificationTime() for f in parts), default=0) // 1000 * 1000
+    for k, f in enumerate(parts):
+        fs.setTimes(f.getPath(), first + 1000 * k, -1)
+    times = [fs.getFileStatus(f.getPath()).getModificationTime() for f in parts]
+    if any(a >= b for a, b in zip(times, times[1:], strict=False)):
+        raise OSError(f"{path}: the store doesn't keep the times given to files, so their order would be lost")
+    return len(parts)
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """What the stream appends until its source is used up, from the files that it writes in the shared folder."""
     spark = stream.sparkSession

@@ -109,6 +109,25 @@ def test_stream_equals_batch(spark):
     pd.testing.assert_frame_equal(got, want)
 
 
+def test_source_in_order_of_events(spark):
+    """Over several batches of a scattered table, each stateful query gives what one batch gives."""
+    from fieldlens.plans.tracking import frames
+
+    t = Tables(spark, SF)
+    events = t.table("events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("track_id", F.col("user_id"))
+    cases = {
+        "tracker": (frames(t), "frame", lambda s: X.tracker(s, patience=3)),
+        "monitor": (t.inliers, "frame", lambda s: X.anchor_monitor(s, 100, 10)),
+        "rate": (events, "ts", lambda s: X.frame_rate(s, "event_type")),
+        "sliding": (events, "ts", lambda s: X.frame_rate(s, "event_type", slide="5 minutes")),
+        "sessions": (events, "ts", lambda s: X.gap_sessions(s, "2 hours")),
+    }
+    for name, (rows, order, run) in cases.items():
+        want = plain(X.drained(run(X.source(spark, rows.coalesce(1), name)), name).toPandas())
+        stream = X.source(spark, rows.repartition(20), name, order=order, batches=5)
+        pd.testing.assert_frame_equal(plain(X.drained(run(stream), name).toPandas()), want)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
