@@ -150,6 +150,17 @@ def test_op5_main_text(spark):
     assert got[2].text == "" and got[5].text == "" and got[3].text == "own one" and got[4].text == "own two"
 
 
+def test_op5_copies_and_partitions(spark):
+    """Copies under one URL or several get one text without boilerplate, whatever the number of tasks."""
+    bare = lambda x: f"<html><body><div>Shared line</div><div>{x}</div><div>Other shared</div></body></html>"
+    urls = [*["http://h/a"] * 12, "http://h/b", "http://h/b?id=1", "http://h/b?id=2", "http://h/m/b", "http://h/p?id=1", "http://h/p?id=2", "http://h/v", "http://h/v"]
+    texts = [*["first"] * 12, *["copy"] * 4, "one", "two", "old", "new"]
+    rows = [(k, u, bare(x)) for k, (u, x) in enumerate(zip(urls, texts, strict=True))]
+    for parts in (1, 2, 3, 7):
+        got = {r.page_id: r for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), partitions=parts).collect()}
+        assert [got[k].text for k in range(len(rows))] == texts and all(r.n_shared == 2 for r in got.values())
+
+
 def test_op6_blocks_agree(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k l m n"), (2, "Short-One"), (3, None), (4, "..."), (5, "short one"), (5, "short one")], "item_id long, text string")
     rows = docs(spark, [*EDGE, (9, "zz A,b c d e f g h i j k l m! tail"), (10, "my short one")])
