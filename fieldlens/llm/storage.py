@@ -1,4 +1,7 @@
-"""Where intermediate results go: the folder that all executors share."""
+"""Where intermediate results go: the folder that all executors share.
+
+fieldlens.sources.shared holds the same two functions: this subpackage has to be removable, and nothing else imports it.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below spark.checkpoint.dir; only a session that sets none (a test) gets a local one."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder name below spark.checkpoint.dir.
+
+    Where that is unset, a local session (a test) gets a folder of its own machine, and a cluster an error.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
-        found = spark.sparkContext.getCheckpointDir()
-        top = found or tempfile.mkdtemp(prefix="spark-fieldlens-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="spark-fieldlens-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -1,35 +1,46 @@
 """Substring deduplication by recompression.
 
-Every document's words are parsed into blocks by rounds that name runs of one symbol and pairs of neighbouring symbols.
-A name is a 64-bit function of the names it replaces, so each task gives equal runs and pairs the same name without a
-dictionary having to travel. Each block carries its context, the words that its being a block depends on. Where a text
-repeats, all blocks whose context lies in the repeat appear again under the same names. So
+Every document's words are parsed into blocks by rounds that name runs of one symbol and pairs of neighbouring symbols. A
+name is a 64-bit function of the names it replaces, so equal runs and pairs get the same name in every task, and no
+dictionary has to travel. Each block carries its context, the words that its being a block depends on: where a text repeats,
+all blocks whose context lies in the repeat appear again under the same names. Two rounds of counting follow, in Spark:
 
-1. block names are counted over the whole corpus; a window with a block of its own that occurs once occurs once itself;
-2. the windows left are named and counted exactly;
-3. words that a window occurring twice or more covers are removed.
+1. High-level names, and spans (stretches of whole blocks, somewhat longer than a window), are counted over the corpus. A
+   window that holds the context of a name that occurs once occurs once itself; one inside a span that occurs twice repeats.
+2. The windows that this leaves open are counted themselves, together with those inside the first of each span's copies.
 
-Documents travel in buckets. A bucket sends each key once, so a passage in a third of all documents costs a receiver one
-key for each bucket; the answer is a bit for each key sent. The text is shuffled once (both cogroups reuse the exchange).
+Then the words that a repeating window covers are removed. Names alone never call a window repeated: spans and windows are
+told apart by the BLAKE2b of their words, 128 bits, so the words of every repeat are verified.
+
+Documents are dealt out in buckets by row number, and the text is shuffled once. A bucket sends each key of its own once, as
+one row, so that a passage in a third of all documents costs a row for each bucket, and rows meet by key: there is no
+message for each pair of bucket and receiver. What comes back to a bucket are its own keys that repeat.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import buffers, mix, span_hashes, word_names, words_of
+from .textkit import buffers, joined_words, mix, span_hashes, word_keys, words_of
 
 #: Runs up to this length become one symbol; in longer ones each symbol stays, for the far end must not matter.
 RUN = 4
-ROUNDS = (True, False, False, False, False, False)
+#: Of each round, whether runs are named before pairs. A run takes both neighbours into a block's context, so only some do.
+#: After six rounds a block has about six words and its context about twenty, so that a window of 35 holds some.
+ROUNDS = (True, False, False, True, False, False)
+#: A span begins at one in so many blocks, chosen by name.
+THIN = 3
+BLOCK, SPAN, WINDOW, FIRST = 0, 1, 2, 3
 
-_SENT = "stage int, part long, bucket long, n long, keys binary, twice binary"
-_BACK = "stage int, bucket long, part long, bits binary"
+_ASKED = "kind int, k1 long, k2 long, bucket long, tag long, n long"
+_NAMES = ["kind", "k1", "k2", "bucket", "tag", "n"]
+_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
 
 def _edge(values: np.ndarray, at: np.ndarray, doc: np.ndarray, own: np.ndarray, beyond: np.ndarray) -> np.ndarray:
@@ -39,15 +50,15 @@ def _edge(values: np.ndarray, at: np.ndarray, doc: np.ndarray, own: np.ndarray,
     return np.where(inside & (doc[at] == doc[own]), values[at], beyond)
 
 
-def parse(words: np.ndarray, offsets: np.ndarray, rounds: tuple[bool, ...] = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Blocks of all documents at once: their names, and the first and one past the last word of their contexts.
+def parse(words: np.ndarray, offsets: np.ndarray, rounds: tuple[bool, ...] = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of all documents at once: names, first words, and the first and one past the last word of their contexts.
 
     A context that needs the document's edge reaches one word beyond it, so it lies in no window.
     """
     n = len(words)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     first, last = offsets[:-1], offsets[1:]
-    name, left, right = words, np.arange(n), np.arange(1, n + 1)
+    name, begin, left, right = words, np.arange(n), np.arange(n), np.arange(1, n + 1)
     for k, runs in enumerate(rounds):
         if not len(name):
             break
@@ -56,16 +67,15 @@ def parse(words: np.ndarray, offsets: np.ndarray, rounds: tuple[bool, ...] = ROU
             head = np.flatnonzero(np.r_[True, ~equal])
             length = np.diff(np.r_[head, len(name)])
             long = np.repeat(length > RUN, length)
-            take = np.zeros(len(name), bool)
+            take = long.copy()
             take[head] = True
-            take |= long
             at = np.flatnonzero(take)
             size = np.where(long[at], 1, np.repeat(length, length)[at])
             reach = np.where(long[at], RUN, 1)
             new_left = _edge(left, at - reach, doc, at, first[doc[at]] - 1)
             new_right = _edge(right, at + size - 1 + reach, doc, at, last[doc[at]] + 1)
             name = np.where(size > 1, mix(name[at] + size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(2 * k + 1)), name[at])
-            doc, left, right = doc[at], new_left, new_right
+            doc, begin, left, right = doc[at], begin[at], new_left, new_right
         side = (mix(name + np.uint64(0x632BE59BD9B4E019 + k)) & np.uint64(1)).astype(bool)
         joins = ~side[:-1] & side[1:] & (doc[1:] == doc[:-1])
         starts, ends = np.r_[joins, False], np.r_[False, joins]
@@ -75,147 +85,149 @@ def parse(words: np.ndarray, offsets: np.ndarray, rounds: tuple[bool, ...] = ROU
         new_right = np.where(~back, _edge(right, at + 1, doc, at, last[doc[at]] + 1), right[at])
         mate = name[np.minimum(at + 1, len(name) - 1)]
         name = np.where(pair, mix(name[at] * np.uint64(0x9FB21C651E98DF25) + mix(mate + np.uint64(k))), name[at])
-        doc, left, right = doc[at], new_left, new_right
-    return name, left, right
+        doc, begin, left, right = doc[at], begin[at], new_left, new_right
+    return name, begin, left, right
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All of start, start + 1, ... for each start and size."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) if len(sizes) else np.zeros(0, np.int64)
 
 
 def candidates(known: np.ndarray, left: np.ndarray, right: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
     """First words of the windows in which every block with its context inside is known to repeat."""
-    sizes = np.diff(offsets) - width + 1
-    full = sizes > 0
-    if not full.any():
-        return np.zeros(0, np.int64)
-    at = np.concatenate([np.arange(a, a + m) for a, m in zip(offsets[:-1][full], sizes[full], strict=True)])
+    sizes = np.maximum(np.diff(offsets) - width + 1, 0)
+    at = _ranges(offsets[:-1], sizes)
     left, right = np.minimum.accumulate(left[::-1])[::-1], np.maximum.accumulate(right)
     alone = np.r_[0, np.cumsum(~known)]
     a, b = np.searchsorted(left, at, "left"), np.searchsorted(right, at + width, "right")
     return at[(b <= a) | (alone[np.maximum(a, b)] == alone[a])]
 
 
+def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of each of n places: whether some [start, end) holds it."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, ends, -1)
+    return np.cumsum(change)[:-1] > 0
+
+
 class Bucket:
-    """One bucket's documents: words, blocks and what was asked and answered about them."""
+    """One bucket's documents: words, blocks, spans, and what was answered about them."""
 
-    def __init__(self, table: pa.Table, width: int, parts: int, rounds: tuple[bool, ...] = ROUNDS) -> None:
-        self.width, self.parts, self.rounds = width, parts, rounds
+    def __init__(self, table: pa.Table, width: int, rounds: tuple[bool, ...] = ROUNDS) -> None:
+        self.width = width
         data, offsets = buffers(table["text"])
         starts, ends, self.offsets = words_of(data, offsets)
-        self.words = word_names(data, starts, ends)
-        self.blocks = parse(self.words, self.offsets, rounds)
-        self.asked: dict = {}
-
-    def window_names(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ends = at + self.width
-        return span_hashes(self.words, at, ends, 1), mix(span_hashes(mix(self.words), at, ends, 2))
-
-    def keys(self, stage: int, bits: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What is counted in the stage: positions, keys and the receiver of each."""
-        if stage not in self.asked:
-            self.asked[stage] = self._keys(stage, bits)
-        return self.asked[stage]
-
-    def _keys(self, stage: int, bits: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if stage == 1:
-            name = self.blocks[0]
-            return np.arange(len(name)), name, mix(name ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(self.parts)
-        at = candidates(self.answers(1, bits), self.blocks[1], self.blocks[2], self.offsets, self.width)
-        key, other = self.window_names(at)
-        return at, key, other % np.uint64(self.parts)
-
-    def grouped(self, stage: int, bits: dict):
-        """The stage's keys in order of receiver and key: the order, and where each distinct key and each receiver begins."""
-        _, key, part = self.keys(stage, bits)
-        order = np.lexsort((key, part))
-        key, part = key[order], part[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
-        head = np.flatnonzero(new)
-        key, part = key[head], part[head]
-        cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(key)]
-        return order, new, head, key, part, cuts
-
-    def sent(self, stage: int, bits: dict):
-        """(part, sorted distinct keys, whether this bucket holds the key twice)."""
-        if not len(self.keys(stage, bits)[0]):
-            return
-        order, _, head, key, part, cuts = self.grouped(stage, bits)
-        twice = np.diff(np.r_[head, len(order)]) > 1
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield int(part[a]), key[a:b], twice[a:b]
-
-    def answers(self, stage: int, bits: dict) -> np.ndarray:
-        """Of each position that the stage asked about: whether its key occurs twice or more in the corpus."""
-        known = np.zeros(len(self.keys(stage, bits)[0]), bool)
-        if not len(known):
-            return known
-        order, new, head, _, part, cuts = self.grouped(stage, bits)
-        got = np.zeros(len(head), bool)
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            got[a:b] = np.unpackbits(np.frombuffer(bits[stage, int(part[a])], np.uint8), count=b - a)
-        known[order] = got[np.cumsum(new) - 1]
-        return known
-
-    def repeated(self, bits: dict) -> np.ndarray:
+        self.text, self.begins, self.ends = joined_words(data, starts, ends)
+        self.words, self.others = word_keys(data, starts, ends, 1), word_keys(data, starts, ends, 2)
+        self.name, begin, self.left, self.right = parse(self.words, self.offsets, rounds)
+        # a span is a chosen block and those after it, up to the first end twice a window's width away or the document's end
+        last = np.repeat(self.offsets[1:], np.diff(np.searchsorted(begin, self.offsets)))
+        far = np.searchsorted(begin, begin + 2 * width)
+        end = np.minimum(np.where(far < len(begin), begin[np.minimum(far, len(begin) - 1)], len(self.words)), last) if len(begin) else begin
+        wide = (end - begin >= width) & (mix(self.name) % np.uint64(THIN) == 0)
+        self.spans = begin[wide], end[wide]
+
+    def tags(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two numbers that tell the bucket's own stretches of words apart."""
+        return span_hashes(self.words, starts, ends, 1), span_hashes(self.others, starts, ends, 2)
+
+    def rows(self, kind: int, bucket: int, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """A row for each distinct stretch: its digest as key, and how often the bucket holds it."""
+        one, two = self.tags(starts, ends)
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        head = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(order) else order
+        n, text = np.diff(np.r_[head, len(order)]), self.text
+        some = order[head]
+        spans = zip(self.begins[starts[some]].tolist(), self.ends[ends[some] - 1].tolist(), strict=True)
+        keys = np.frombuffer(b"".join(blake2b(text[a:b], digest_size=16).digest() for a, b in spans), np.int64).reshape(-1, 2)
+        return [np.full(len(n), kind), keys[:, 0], keys[:, 1], np.full(len(n), bucket), self.own_tag(one[head], two[head]), n]
+
+    @staticmethod
+    def own_tag(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return (one ^ mix(two)).view(np.int64)
+
+    def block_rows(self, bucket: int) -> list[np.ndarray]:
+        name, n = np.unique(self.name, return_counts=True)
+        key = name.view(np.int64)
+        return [np.full(len(n), BLOCK), key, np.zeros(len(n), np.int64), np.full(len(n), bucket), key, n]
+
+    def spread(self, answers: dict[int, np.ndarray], kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a window that begins at each word lies in a span of these answers, whether the word itself does)."""
+        a, b = self.spans
+        some = np.isin(self.own_tag(*self.tags(a, b)), answers[kind])
+        return covered(len(self.words), a[some], b[some] - self.width + 1), covered(len(self.words), a[some], b[some])
+
+    def open_windows(self, answers: dict[int, np.ndarray]) -> np.ndarray:
+        """First words of the windows that names leave open and that lie in no span that repeats."""
+        known = np.isin(self.name.view(np.int64), answers[BLOCK])
+        at = candidates(known, self.left, self.right, self.offsets, self.width)
+        return at[~self.spread(answers, SPAN)[0][at]]
+
+    def asked_windows(self, answers: dict[int, np.ndarray]) -> np.ndarray:
+        """The open windows, and those inside the spans that this bucket counts for all buckets that hold a copy."""
+        return np.union1d(self.open_windows(answers), np.flatnonzero(self.spread(answers, FIRST)[0]))
+
+    def repeated(self, answers: dict[int, np.ndarray]) -> np.ndarray:
         """Of each word: whether a window that occurs twice or more covers it."""
-        at, _, _ = self.keys(2, bits)
-        at = at[self.answers(2, bits)]
-        change = np.zeros(len(self.words) + 1, np.int64)
-        np.add.at(change, at, 1)
-        np.add.at(change, at + self.width, -1)
-        return np.cumsum(change)[:-1] > 0
-
-
-def _read_bits(table: pa.Table) -> dict:
-    return {(s, p): b for s, p, b in zip(*(table[c].to_pylist() for c in ("stage", "part", "bits")), strict=True)}
-
-
-def _outgoing(bucket: int, stage: int, found) -> pa.Table:
-    rows = [(stage, part, bucket, len(key), key.tobytes(), np.packbits(twice).tobytes()) for part, key, twice in found]
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["stage", "part", "bucket", "n", "keys", "twice"])
-
-
-def _count(table):
-    """Answers, for one receiver, which of the keys that it was sent occur twice or more."""
-    keys = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
-    sizes = [len(x) for x in keys]
-    twice = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(table["twice"].to_pylist(), sizes, strict=True)]
-    every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    ranked = every[order]
-    same = ranked[1:] == ranked[:-1]
-    again = np.r_[False, same] | np.r_[same, False]
-    known = np.empty(len(every), bool)
-    known[order] = again
-    known |= np.concatenate(twice)
-    ends = np.cumsum(sizes)
-    bits = [np.packbits(known[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)]
-    return pa.table([table["stage"], table["bucket"], table["part"], pa.array(bits, pa.binary())], names=["stage", "bucket", "part", "bits"])
-
-
-def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 35, bucket_bytes: int = 4 << 20, part_bytes: int = 12 << 20) -> DataFrame:
+        at = self.open_windows(answers)
+        again = at[np.isin(self.own_tag(*self.tags(at, at + self.width)), answers[WINDOW])]
+        return self.spread(answers, SPAN)[1] | covered(len(self.words), again, again + self.width)
+
+
+def _table(parts: list[list[np.ndarray]]) -> pa.Table:
+    columns = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(len(_NAMES))]
+    return pa.table([pa.array(c.astype(np.int64), pa.int64()).cast(t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
+
+
+def _answers(table: pa.Table) -> dict[int, np.ndarray]:
+    kind, tag = (table[c].to_numpy() for c in ("kind", "tag"))
+    found = {k: tag[kind % 4 == k] for k in (BLOCK, SPAN, WINDOW)}
+    return found | {FIRST: tag[kind == SPAN + 4]}
+
+
+def _again(asked: DataFrame) -> DataFrame:
+    """(bucket, kind, tag) of the keys that occur twice or more; of a key's buckets the first has 4 more as kind.
+
+    A key has a row for each bucket at most.
+    """
+    key = Window.partitionBy("k1", "k2")
+    counted = asked.withColumns({"total": F.sum("n").over(key), "least": F.min("bucket").over(key)}).filter("total > 1")
+    return counted.select("bucket", F.when(F.col("bucket") == F.col("least"), F.col("kind") + 4).otherwise(F.col("kind")).alias("kind"), "tag")
+
+
+def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 35, bucket_bytes: int = 4 << 20) -> DataFrame:
     """(id, n_words, n_removed, kept_text): every text without the words that a repeated window of width words covers.
 
-    Null texts and texts of fewer than width words lose nothing (a null text has no words, and its kept_text is empty).
-    Rows with the same text, or the same id, count as separate documents. Other columns are ignored, whatever their names.
-    bucket_bytes: text in one task's bucket; raise it as the square root of the corpus. part_bytes: text for each receiver.
+    Null, empty and blank texts and those of fewer than width words lose nothing (without words, kept_text is empty). Rows
+    with the same text or id, and rows without an id, count as separate documents; all occurrences of a window are removed,
+    so there are no ties. No rows give no rows. Other columns are ignored, whatever their names.
+    bucket_bytes: text in one task's bucket. A longer text is a bucket of its own and has to fit in a task, which takes
+    about 40 times its bytes.
     """
     base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets, parts = max(96, total // bucket_bytes), max(48, total // part_bytes)
-    dealt = base.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(buckets)).alias("bucket"))
+    buckets = max(96, total // bucket_bytes)
+    dealt = base.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)))
 
-    def ask_blocks(key, table):
-        return _outgoing(key[0].as_py(), 1, Bucket(table, width, parts).sent(1, {}))
+    def ask_names(key, table):
+        bucket, number = Bucket(table, width), key[0].as_py()
+        return _table([bucket.block_rows(number), bucket.rows(SPAN, number, *bucket.spans)])
 
     def ask_windows(key, table, back):
         if not len(table):
-            return _outgoing(0, 2, [])
-        return _outgoing(key[0].as_py(), 2, Bucket(table, width, parts).sent(2, _read_bits(back)))
+            return _table([])
+        bucket = Bucket(table, width)
+        at = bucket.asked_windows(_answers(back))
+        return _table([bucket.rows(WINDOW, key[0].as_py(), at, at + width)])
 
     def finish(key, table, back):
         texts, lost, kept = table["text"].to_pylist(), [], []
         if len(table):
-            bucket = Bucket(table, width, parts)
-            gone, off = bucket.repeated(_read_bits(back)), bucket.offsets
+            bucket = Bucket(table, width)
+            gone, off = bucket.repeated(_answers(back)), bucket.offsets
         for i, text in enumerate(texts):
             words = (text or "").encode().split()
             drop = gone[off[i] : off[i + 1]]
@@ -224,8 +236,8 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         return pa.table([table["doc_id"], pa.array([a for a, _ in lost], pa.int64()), pa.array([b for _, b in lost], pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     by = dealt.groupBy("bucket")
-    blocks = by.applyInArrow(ask_blocks, _SENT).groupBy("part").applyInArrow(_count, _BACK)
-    windows = by.cogroup(blocks.groupBy("bucket")).applyInArrow(ask_windows, _SENT).groupBy("part").applyInArrow(_count, _BACK)
+    names = _again(by.applyInArrow(ask_names, _ASKED))
+    windows = _again(by.cogroup(names.groupBy("bucket")).applyInArrow(ask_windows, _ASKED))
     id_type = df.schema[id_col].dataType.simpleString()
-    out = by.cogroup(blocks.unionByName(windows).groupBy("bucket")).applyInArrow(finish, f"doc_id {id_type}, n_words long, n_removed long, kept_text string")
+    out = by.cogroup(names.unionByName(windows).groupBy("bucket")).applyInArrow(finish, f"doc_id {id_type}, n_words long, n_removed long, kept_text string")
     return out.withColumnRenamed("doc_id", id_col)

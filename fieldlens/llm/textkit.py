@@ -6,6 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: The six bytes of the word class ``[\x20\x09-\x0D]``; all are ASCII, so UTF-8 bytes split like code points.
 SPACE = np.zeros(256, bool)
@@ -90,12 +91,51 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit name of each word, the same in every task."""
+    """A 64-bit bucket name of each word, the same in every task; for features, not for equality."""
     return span_hashes(_BYTE[data], starts, ends, seed)
 
 
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit key of each word. Words of up to 7 bytes are packed with their length and scrambled one to one, so no two of
+    them share a key; longer ones have their keyed XXH3."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    kept = np.minimum(8 * size, 56).astype(np.uint64)
+    packed = (eight[starts] & ((np.uint64(1) << kept) - np.uint64(1))) | (size.astype(np.uint64) << np.uint64(56))
+    out = mix(packed ^ mix(np.full(1, seed + 1, np.uint64)))
+    far = np.flatnonzero(size > 7)
+    if len(far):
+        raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+        out[far] = np.array([digest(raw[a:b], seed) for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True)], np.uint64)
+    return out
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All words with one space after each, and where each begins and ends in that."""
+    sizes = ends - starts
+    at = np.r_[0, np.cumsum(sizes + 1)]
+    begins = at[:-1]
+    out = np.full(int(at[-1]), 0x20, np.uint8)
+    shift = np.repeat(begins - starts, sizes)
+    where = np.arange(int(sizes.sum())) + np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) if len(sizes) else np.zeros(0, np.int64)
+    out[where + shift] = data[where]
+    return out.tobytes(), begins, begins + sizes
+
+
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of values between the offsets; empty rows give 0."""
     total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def carried(columns: list[str] | tuple[str, ...], results: tuple[str, ...]) -> list[tuple[str, str]]:
+    """(column, its name in the result) of the columns that go with a row; one named like a result column gets ``_in``."""
+    out: list[tuple[str, str]] = []
+    for c in dict.fromkeys(columns):
+        name = c
+        while name in results or name in [n for _, n in out]:
+            name += "_in"
+        out.append((c, name))
+    return out

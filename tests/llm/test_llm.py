@@ -45,17 +45,40 @@ def shingle_fp(text, size=4):
     return sum((1 << b) for b in range(64) if 2 * sum((x >> b) & 1 for x in h) > len(h))
 
 
-def test_op2_brute_force(spark, table):
-    words = {i: (t or "").encode().split() for i, t in table}
-    n = Counter(tuple(w[i : i + 35]) for w in words.values() for i in range(len(w) - 34))
-    want = {}
-    for i, w in words.items():
+def without_repeats(rows, width=35):
+    """(words, removed, digest of what is kept) of each text, by counting all windows."""
+    words = [(t or "").encode().split() for t in rows]
+    n = Counter(tuple(w[i : i + width]) for w in words for i in range(len(w) - width + 1))
+    out = []
+    for w in words:
         gone = [False] * len(w)
-        for k in range(len(w) - 34):
-            if n[tuple(w[k : k + 35])] > 1:
-                gone[k : k + 35] = [True] * 35
-        want[i] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest())
-    assert {r[0]: tuple(r)[1:] for r in queries.op2_substring_dedup(spark, SF).collect()} == want
+        for k in range(len(w) - width + 1):
+            if n[tuple(w[k : k + width])] > 1:
+                gone[k : k + width] = [True] * width
+        out.append((len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_op2_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect()]
+    want = dict(zip([i for i, _ in rows], without_repeats([t for _, t in rows]), strict=True))
+    assert {r[0]: tuple(r)[1:] for r in queries.op2_substring_dedup(spark, f"/root/testdata/{sf}").collect()} == want
+
+
+def test_op2_edges(spark):
+    """Thue-Morse words, which defeat polynomial hashes; rows without ids; periods; blank and null texts; unusual blanks and bytes."""
+    tm = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    own = [" ".join(f"{c}{k}" for k in range(17)) for c in "vw"]
+    long = " ".join(f"z{k}" for k in range(50))
+    texts = [
+        f"{own[0]} {tm} {own[1]}", f"{own[0]} {tm.translate(str.maketrans('ab', 'ba'))} {own[1]}", *[long] * 3, f"x {long}\ty", "a b " * 60, "a " * 34, "a " * 36, None, "", " \n\x0b",
+        *[" ".join(f"\x1c\u00a0{k}\x00" for k in range(40))] * 2,
+    ]
+    ids = [1, 2, None, None, None, 6, 7, 7, 9, 10, 11, 12, 13, 14]
+    got = substrings.remove_repeats(docs(spark, zip(ids, texts, strict=True))).collect()
+    found = Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got)
+    assert found == Counter((i, *w) for i, w in zip(ids, without_repeats(texts), strict=True)) and sum(r.n_removed for r in got if r.doc_id in (1, 2)) == 0
 
 
 @pytest.mark.parametrize("seed", range(12))
@@ -66,7 +89,7 @@ def test_op2_periodic_words(seed):
     width = 9
     flat = np.array([hash(w) & (2**63 - 1) for r in rows for w in r], np.uint64)
     off = np.r_[0, np.cumsum([len(r) for r in rows])]
-    name, left, right = substrings.parse(flat, off, (True, False, True))
+    name, _, left, right = substrings.parse(flat, off, (True, False, True))
     n = Counter(name.tolist())
     cand = set(substrings.candidates(np.array([n[x] > 1 for x in name.tolist()]), left, right, off, width).tolist())
     every = [(int(off[i]) + k, tuple(r[k : k + width])) for i, r in enumerate(rows) for k in range(len(r) - width + 1)]
