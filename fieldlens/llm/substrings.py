@@ -38,9 +38,9 @@ ROUNDS = (True, False, False, True, False, False)
 THIN = 3
 BLOCK, SPAN, WINDOW, FIRST = 0, 1, 2, 3
 
-_ASKED = "kind int, k1 long, k2 long, bucket long, tag long, n long"
+_ASKED = "kind int, k1 long, k2 long, bucket int, tag int, n int"
 _NAMES = ["kind", "k1", "k2", "bucket", "tag", "n"]
-_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
 
 
 def _edge(values: np.ndarray, at: np.ndarray, doc: np.ndarray, own: np.ndarray, beyond: np.ndarray) -> np.ndarray:
@@ -117,7 +117,8 @@ class Bucket:
 
     def __init__(self, table: pa.Table, width: int, rounds: tuple[bool, ...] = ROUNDS) -> None:
         self.width = width
-        data, offsets = buffers(table["text"])
+        self.table = table.sort_by("at")  # tags are places, so each round has to see the rows in one order
+        data, offsets = buffers(self.table["text"])
         starts, ends, self.offsets = words_of(data, offsets)
         self.text, self.begins, self.ends = joined_words(data, starts, ends)
         self.words, self.others = word_keys(data, starts, ends, 1), word_keys(data, starts, ends, 2)
@@ -129,52 +130,64 @@ class Bucket:
         wide = (end - begin >= width) & (mix(self.name) % np.uint64(THIN) == 0)
         self.spans = begin[wide], end[wide]
 
-    def tags(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two numbers that tell the bucket's own stretches of words apart."""
-        return span_hashes(self.words, starts, ends, 1), span_hashes(self.others, starts, ends, 2)
-
-    def rows(self, kind: int, bucket: int, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-        """A row for each distinct stretch: its digest as key, and how often the bucket holds it."""
-        one, two = self.tags(starts, ends)
+    def alike(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each of the bucket's own stretches the first one with its words, by number; then those first ones, and how many
+        stretches each stands for. Two independent 64-bit hashes tell stretches of one bucket apart."""
+        one, two = span_hashes(self.words, starts, ends, 1), span_hashes(self.others, starts, ends, 2)
         order = np.lexsort((two, one))
         one, two = one[order], two[order]
-        head = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(order) else order
-        n, text = np.diff(np.r_[head, len(order)]), self.text
-        some = order[head]
+        new = np.ones(len(order), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        head = np.flatnonzero(new)
+        first = np.empty(len(order), np.int64)
+        first[order] = order[head][np.cumsum(new) - 1]
+        return first, order[head], np.diff(np.r_[head, len(order)])
+
+    def rows(self, kind: int, bucket: int, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """A row for each distinct stretch: the digest of its words as key, its first start as tag, and how often it is here."""
+        _, some, n = self.alike(starts, ends)
+        text = self.text
         spans = zip(self.begins[starts[some]].tolist(), self.ends[ends[some] - 1].tolist(), strict=True)
         keys = np.frombuffer(b"".join(blake2b(text[a:b], digest_size=16).digest() for a, b in spans), np.int64).reshape(-1, 2)
-        return [np.full(len(n), kind), keys[:, 0], keys[:, 1], np.full(len(n), bucket), self.own_tag(one[head], two[head]), n]
-
-    @staticmethod
-    def own_tag(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return (one ^ mix(two)).view(np.int64)
+        return [np.full(len(n), kind), keys[:, 0], keys[:, 1], np.full(len(n), bucket), starts[some], n]
 
     def block_rows(self, bucket: int) -> list[np.ndarray]:
-        name, n = np.unique(self.name, return_counts=True)
-        key = name.view(np.int64)
-        return [np.full(len(n), BLOCK), key, np.zeros(len(n), np.int64), np.full(len(n), bucket), key, n]
+        name, first, n = np.unique(self.name, return_index=True, return_counts=True)
+        return [np.full(len(n), BLOCK), name.view(np.int64), np.zeros(len(n), np.int64), np.full(len(n), bucket), first, n]
+
+    def known_blocks(self, answers: dict[int, np.ndarray]) -> np.ndarray:
+        _, first, back = np.unique(self.name, return_index=True, return_inverse=True)
+        return _marked(len(self.name), answers[BLOCK])[first[back]]
 
     def spread(self, answers: dict[int, np.ndarray], kind: int) -> tuple[np.ndarray, np.ndarray]:
         """(whether a window that begins at each word lies in a span of these answers, whether the word itself does)."""
         a, b = self.spans
-        some = np.isin(self.own_tag(*self.tags(a, b)), answers[kind])
+        some = _marked(len(self.words), answers[kind])[a[self.alike(a, b)[0]]]
         return covered(len(self.words), a[some], b[some] - self.width + 1), covered(len(self.words), a[some], b[some])
 
-    def open_windows(self, answers: dict[int, np.ndarray]) -> np.ndarray:
-        """First words of the windows that names leave open and that lie in no span that repeats."""
-        known = np.isin(self.name.view(np.int64), answers[BLOCK])
-        at = candidates(known, self.left, self.right, self.offsets, self.width)
-        return at[~self.spread(answers, SPAN)[0][at]]
+    def asked_windows(self, answers: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first words of the windows to count, which of them are open, whether each word is in a span that repeats).
 
-    def asked_windows(self, answers: dict[int, np.ndarray]) -> np.ndarray:
-        """The open windows, and those inside the spans that this bucket counts for all buckets that hold a copy."""
-        return np.union1d(self.open_windows(answers), np.flatnonzero(self.spread(answers, FIRST)[0]))
+        Open are those that names leave open and that lie in no span that repeats; the others are inside the spans that this
+        bucket counts for all buckets that hold a copy.
+        """
+        inside, gone = self.spread(answers, SPAN)
+        open_ = _marked(len(self.words), candidates(self.known_blocks(answers), self.left, self.right, self.offsets, self.width)) & ~inside
+        at = np.flatnonzero(open_ | self.spread(answers, FIRST)[0])
+        return at, open_[at], gone
 
     def repeated(self, answers: dict[int, np.ndarray]) -> np.ndarray:
         """Of each word: whether a window that occurs twice or more covers it."""
-        at = self.open_windows(answers)
-        again = at[np.isin(self.own_tag(*self.tags(at, at + self.width)), answers[WINDOW])]
-        return self.spread(answers, SPAN)[1] | covered(len(self.words), again, again + self.width)
+        at, open_, gone = self.asked_windows(answers)
+        first = at[self.alike(at, at + self.width)[0]]
+        again = at[open_ & _marked(len(self.words), answers[WINDOW])[first]]
+        return gone | covered(len(self.words), again, again + self.width)
+
+
+def _marked(n: int, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[at] = True
+    return out
 
 
 def _table(parts: list[list[np.ndarray]]) -> pa.Table:
@@ -210,7 +223,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(96, total // bucket_bytes)
-    dealt = base.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)))
+    dealt = base.withColumn("at", F.monotonically_increasing_id()).withColumn("bucket", F.pmod(F.xxhash64("at"), F.lit(buckets)).cast("int"))
 
     def ask_names(key, table):
         bucket, number = Bucket(table, width), key[0].as_py()
@@ -220,20 +233,18 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         if not len(table):
             return _table([])
         bucket = Bucket(table, width)
-        at = bucket.asked_windows(_answers(back))
+        at, _, _ = bucket.asked_windows(_answers(back))
         return _table([bucket.rows(WINDOW, key[0].as_py(), at, at + width)])
 
     def finish(key, table, back):
-        texts, lost, kept = table["text"].to_pylist(), [], []
-        if len(table):
-            bucket = Bucket(table, width)
-            gone, off = bucket.repeated(_answers(back)), bucket.offsets
-        for i, text in enumerate(texts):
+        bucket = Bucket(table, width)
+        gone, off, lost, kept = bucket.repeated(_answers(back)), bucket.offsets, [], []
+        for i, text in enumerate(bucket.table["text"].to_pylist()):
             words = (text or "").encode().split()
             drop = gone[off[i] : off[i + 1]]
             lost.append((len(words), int(drop.sum())))
             kept.append(b" ".join(compress(words, (~drop).tolist()) if lost[-1][1] else words).decode())
-        return pa.table([table["doc_id"], pa.array([a for a, _ in lost], pa.int64()), pa.array([b for _, b in lost], pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+        return pa.table([bucket.table["doc_id"], pa.array([a for a, _ in lost], pa.int64()), pa.array([b for _, b in lost], pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     by = dealt.groupBy("bucket")
     names = _again(by.applyInArrow(ask_names, _ASKED))
