@@ -21,7 +21,7 @@ _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for
 
 
 class Entry(NamedTuple):
-    """One document record of an ARC file."""
+    """One record of an ARC file: a document, or the version block, with its version."""
 
     url: str
     ip: str
@@ -29,6 +29,7 @@ class Entry(NamedTuple):
     kind: str
     location: str | None
     payload: bytes
+    version: int | None = None
 
 
 def _field(value: str | None) -> str:
@@ -50,13 +51,13 @@ def arc_file(entries: list[Entry], version: int) -> bytes:
 
 
 def read_arc(data: bytes) -> Iterator[Entry]:
-    """The document records of an ARC file; its version block says how header lines are to be read.
+    """The records of an ARC file, the version block among them, which says how the header lines after it are to be read.
 
     A payload is as long as its header line declares, whatever it holds. Blank lines between records are passed over. A
     header line with another number of fields than the version's, a length that isn't a number, and a payload cut short
     raise ValueError, with the offset.
     """
-    at, version = 0, 1
+    at, version, begun = 0, 1, False
     while at < len(data):
         end = data.find(b"\n", at)
         end = len(data) if end < 0 else end
@@ -65,7 +66,8 @@ def read_arc(data: bytes) -> Iterator[Entry]:
             at = end + 1
             continue
         got = line.split(" ")
-        fields = ARC_FIELDS[1 if line.startswith("filedesc:") and len(got) == 5 else 2 if line.startswith("filedesc:") else version]
+        block = not begun and line.startswith("filedesc:")
+        fields = ARC_FIELDS[(1 if len(got) == len(ARC_FIELDS[1]) else 2) if block else version]
         if len(got) != len(fields) or not got[-1].isdigit():
             raise ValueError(f"ARC header line of {len(got)} fields at {at}")
         head, size = dict(zip(fields, got, strict=True)), int(got[-1])
@@ -73,12 +75,13 @@ def read_arc(data: bytes) -> Iterator[Entry]:
         if len(payload) < size:
             raise ValueError(f"ARC record at {at} is cut short")
         at = end + 1 + size
-        if line.startswith("filedesc:"):
+        if block:
             version = int(payload.split(b" ", 1)[0])
             if version not in ARC_FIELDS:
                 raise ValueError(f"ARC version {version}")
-            continue
-        yield Entry(head["url"], head["ip"], head["date"], head["type"], None if head.get("location", "-") == "-" else head["location"], payload)
+        begun = True
+        location = None if head.get("location", "-") == "-" else head["location"]
+        yield Entry(head["url"], head["ip"], head["date"], head["type"], location, payload, version if block else None)
 
 
 def digest32(payload: bytes) -> str:
@@ -88,7 +91,11 @@ def digest32(payload: bytes) -> str:
 
 def record_id(entry: Entry) -> str:
     """The same entry has the same identifier in every conversion."""
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{entry.url}|{entry.date}|{entry.location}|{digest32(entry.payload)}')}>"
+    return _named(entry.url, entry.date, entry.location, digest32(entry.payload))
+
+
+def _named(url: str, date: str, location: str | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{url}|{date}|{location}|{digest}')}>"
 
 
 def warc_date(date: str) -> str:
@@ -97,13 +104,37 @@ def warc_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def warc_record(entry: Entry, refers_to: str | None) -> bytes:
-    """The equivalent WARC record, without the two line ends after it. A revisit keeps its payload's length and digest only."""
-    body = entry.payload if refers_to is None else b""
-    head = ["WARC/1.0", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(entry)}", f"WARC-Date: {warc_date(entry.date)}", f"WARC-Target-URI: {entry.url}", f"WARC-IP-Address: {entry.ip}"]
-    head += [f"WARC-Payload-Digest: sha1:{digest32(entry.payload)}", f"WARC-Payload-Length: {len(entry.payload)}", f"WARC-Source-Location: {entry.location or '-'}"]
-    if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To-Source-Location: {refers_to}"]
+def warc_type(entry: Entry) -> str:
+    """What an ARC record is in WARC: the version block is warcinfo, a DNS answer a resource, anything else a response."""
+    return "warcinfo" if entry.version is not None else "resource" if entry.kind == "text/dns" else "response"
+
+
+class Target(NamedTuple):
+    """The response that a revisit refers to."""
+
+    location: str | None
+    url: str
+
+
+def warc_record(entry: Entry, target: Target | None) -> bytes:
+    """The equivalent WARC record, without the two line ends after it.
+
+    With a target the record is a revisit of it, which keeps its payload's length and digest only. A version block keeps its
+    text as the warcinfo's content and its file's name as WARC-Filename.
+    """
+    kind, body, digest = warc_type(entry), entry.payload if target is None else b"", digest32(entry.payload)
+    head = ["WARC/1.0", f"WARC-Type: {kind if target is None else 'revisit'}", f"WARC-Record-ID: {record_id(entry)}", f"WARC-Date: {warc_date(entry.date)}"]
+    if kind == "warcinfo":
+        head.append(f"WARC-Filename: {entry.url.removeprefix('filedesc:').lstrip('/')}")
+    else:
+        head += [f"WARC-Target-URI: {entry.url}", f"WARC-IP-Address: {entry.ip}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(entry.payload)}"]
+        head.append(f"WARC-Source-Location: {entry.location or '-'}")
+    if target is not None:
+        named = _named(target.url, entry.date, target.location, digest)
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {named}"]
+        head += [f"WARC-Refers-To-Target-URI: {target.url}", f"WARC-Refers-To-Date: {warc_date(entry.date)}", f"WARC-Refers-To-Source-Location: {target.location or '-'}"]
+    else:
+        head.append(f"WARC-Block-Digest: sha1:{digest}")
     return "\r\n".join([*head, f"Content-Type: {entry.kind}", f"Content-Length: {len(body)}", "", ""]).encode() + body
 
 
@@ -128,25 +159,26 @@ def read_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
 
 
 def convert(df: DataFrame, *, version: int = 2) -> DataFrame:
-    """(record string): a WARC record for each row of (key, url, date, payload string, first).
+    """(record string): WARC records of the rows (key, url, date, payload string, target struct<key, url>).
 
-    Each task writes its rows as one ARC file in memory and converts that file, record by record. first is the key of the
-    record with the same payload that is the response; a row with another key is a revisit of it.
+    Each task writes its rows as ARC files in memory, of 64 rows each, and converts them record by record: a warcinfo of each
+    file, and a record for each row. A row without a target, or that is its own, is a response.
     """
 
     def run(batches):
         for batch in batches:
-            keys, urls, dates, payloads, firsts = (batch.column(k) for k in range(5))
             for a in range(0, len(batch), 64):
-                cutout = lambda c: c.slice(a, 64).to_pylist()  # noqa: B023, E731
-                ids = [None if k is None else str(k) for k in cutout(keys)]
-                entries = [Entry(u, "0.0.0.0", d, "text/html", k, (p or "").encode()) for k, u, d, p in zip(ids, cutout(urls), cutout(dates), cutout(payloads), strict=True)]
-                own = [None if f is None else str(f) for f in cutout(firsts)]
-                read = (e._replace(location=k) for e, k in zip(read_arc(arc_file(entries, version)), ids, strict=True))  # version 1 has no location
-                back = [warc_record(e, None if f == e.location else f).decode() for e, f in zip(read, own, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(back, pa.string())], names=["record"])
+                keys, urls, dates, payloads, targets = (batch.column(k).slice(a, 64).to_pylist() for k in range(5))
+                ids = [None if k is None else str(k) for k in keys]
+                entries = [Entry(u, "0.0.0.0", d, "text/html", k, (p or "").encode()) for k, u, d, p in zip(ids, urls, dates, payloads, strict=True)]
+                info, *read = read_arc(arc_file(entries, version))
+                back = [warc_record(info, None)]
+                for e, key, t in zip(read, ids, targets, strict=True):
+                    to = None if t is None or t["key"] is None or str(t["key"]) == key else Target(str(t["key"]), _field(t["url"]))
+                    back.append(warc_record(e._replace(location=key), to))  # version 1 has no location
+                yield pa.RecordBatch.from_arrays([pa.array([r.decode() for r in back], pa.string())], names=["record"])
 
-    return df.select("key", "url", "date", "payload", "first").mapInArrow(run, "record string")
+    return df.select("key", "url", "date", "payload", "target").mapInArrow(run, "record string")
 
 
 def write_warc(records: DataFrame, path: str, *, compression: str = "gzip") -> None:
@@ -154,39 +186,62 @@ def write_warc(records: DataFrame, path: str, *, compression: str = "gzip") -> N
     records.select("record").write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
+_SCANNED = (
+    ("record_type", pa.string()), ("record_id", pa.string()), ("url", pa.string()), ("date", pa.string()), ("location", pa.string()), ("refers_to", pa.string()),
+    ("refers_to_id", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("content", pa.binary()),
+)
+
+
+def _scanned(head: dict, content: bytes) -> tuple:
+    """One record's row. What has its payload with it is measured again, and has to agree with what its header declares."""
+    own = lambda name: None if head.get(name, "-") == "-" else head[name]
+    digest, size = (own("warc-payload-digest") or own("warc-block-digest") or "").removeprefix("sha1:"), int(head.get("warc-payload-length", len(content)))
+    if head["warc-type"] != "revisit":
+        if (digest32(content), len(content)) != (digest, size):
+            raise ValueError(f"record {head['warc-record-id']}: digest or length isn't that of its content")
+    return head["warc-type"], head["warc-record-id"], head.get("warc-target-uri"), head["warc-date"], own("warc-source-location"), own("warc-refers-to-source-location"), own("warc-refers-to"), digest, size, content
+
+
 def scan_warc(spark, path: str) -> DataFrame:
-    """The records of all WARC files below path: type, id, location, refers_to, declared digest and length, content."""
+    """The records of all WARC files below path: type, id, location, what a revisit refers to, digest, length, content.
+
+    Digest and length are computed from the content; a revisit, which has none, gives those that it declares.
+    """
+    names = [n for n, _ in _SCANNED]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_SCANNED)], names=names)
+
     def run(batches):
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 rows = []
                 for head, content in read_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                    rows.append((head["warc-type"], head["warc-record-id"], head.get("warc-target-uri"), head["warc-date"], None if head.get("warc-source-location", "-") == "-" else head["warc-source-location"], head.get("warc-refers-to-source-location"), head["warc-payload-digest"].removeprefix("sha1:"), int(head["warc-payload-length"]), content))
+                    rows.append(_scanned(head, content))
                     if len(rows) == 200:
                         yield table(rows)
                         rows = []
                 yield table(rows)
 
-    names = ["record_type", "record_id", "url", "date", "location", "refers_to", "payload_digest", "payload_bytes", "content"]
-    kinds = [pa.string()] * 7 + [pa.int64(), pa.binary()]
-
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
-
     schema = ", ".join(f"{n} {'long' if n == 'payload_bytes' else 'binary' if n == 'content' else 'string'}" for n in names)
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, schema)
 
 
-def pages_to_warc(df: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "19700101000000", version: int = 2) -> DataFrame:
-    """Writes a WARC record for each page below path by way of ARC, and returns the archives' records as read back.
+def pages_to_warc(df: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "19700101000000", version: int = 2, broadcast_groups: int = 500_000) -> DataFrame:
+    """Writes a WARC record for each page below path by way of ARC, and returns the pages' records as read back.
 
     Of pages with equal payloads of at least least_bytes, that with the largest id is the response and the others revisit
-    it; smaller payloads are all responses. Null html is an empty payload. A null or blank URL is written as '-'. Null ids
-    come before all others, and are read back as null; rows that repeat the largest id are responses too. No pages give no
-    records. The id must have no blanks as text, and not be '-'. Equal payloads are met by digest: each task sends its largest id of a digest only.
+    it; smaller payloads are all responses. Null html is an empty payload; very long pages go whole. A null or blank URL is
+    written as '-'. Null ids come before all others, and are read back as null; rows that repeat the largest id are
+    responses too. No pages give no records. The id must have no blanks as text, and not be '-'. Other columns are ignored.
+
+    Payloads are equal if their SHA-256 and lengths are. Each task sends a digest's largest id only, and the responses of
+    repeated payloads go to the pages up to broadcast_groups of them; beyond, both are shuffled by digest.
     """
-    base = df.select(F.col(id_col).alias("key"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload")).withColumn("digest", F.sha1("payload"))
-    first = cut(base.filter(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("key").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"), "warc-first")
-    joined = base.join(first.hint("merge"), "digest", "left").withColumn("date", F.lit(date))
-    write_warc(convert(joined, version=version), path)
-    return scan_warc(df.sparkSession, path)
+    payload = F.coalesce(F.col(html_col), F.lit(""))
+    base = df.select(F.col(id_col).alias("key"), F.col(url_col).alias("url"), payload.alias("payload"), F.octet_length(payload).alias("size")).withColumn("sha", F.unhex(F.sha2("payload", 256)))
+    groups = base.filter(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.max(F.struct("key", "url")).alias("target"), F.count("*").alias("n"))
+    first = cut(groups.filter("n > 1").select("sha", "size", "target"), "warc-first")
+    first = F.broadcast(first) if first.count() <= broadcast_groups else first.hint("merge")
+    write_warc(convert(base.join(first, ["sha", "size"], "left").withColumn("date", F.lit(date)), version=version), path)
+    return scan_warc(df.sparkSession, path).filter("record_type in ('response', 'revisit')")
