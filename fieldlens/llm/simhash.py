@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -10,53 +13,65 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import cut
-from .textkit import buffers, slices
+from .textkit import buffers, carried, slices
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def _hashes(words: list[bytes], size: int) -> list[int]:
-    text, at, starts, ends = b" ".join(words), 0, [], []
-    for w in words:
-        starts.append(at)
-        at += len(w)
-        ends.append(at)
-        at += 1
+#: Shingles whose bits are summed together; memory is this many times some 100 bytes, whatever a text's length.
+SHINGLES = 1 << 14
+
+
+def _hashes(words: list[bytes], size: int) -> Iterator[list[int]]:
+    """The hashes of the words' shingles, in blocks of SHINGLES at most."""
     digest = xxhash.xxh64_intdigest
     if len(words) <= size:
-        return [digest(text, 42)]
-    return [digest(text[a:b], 42) for a, b in zip(starts, ends[size - 1 :])]  # noqa: B905  the last starts have no shingle
+        yield [digest(b" ".join(words), 42)]
+        return
+    for k in range(0, len(words) - size + 1, SHINGLES):
+        own = words[k : k + SHINGLES + size - 1]
+        text, ends = b" ".join(own), list(accumulate(map(len, own), lambda x, n: x + n + 1))
+        starts = [0, *(e + 1 for e in ends[: len(own) - size])]
+        yield [digest(text[a:b], 42) for a, b in zip(starts, ends[size - 1 :], strict=True)]
+
+
+def _bits(hashes: list[int]) -> np.ndarray:
+    return np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
 def fingerprint_texts(column: pa.Array, size: int) -> np.ndarray:
     """One unsigned 64-bit fingerprint for each text."""
-    out = np.zeros(len(column), np.uint64)
+    sums, counts = np.zeros((len(column), 64), np.int64), np.zeros(len(column), np.int64)
     for a, b in slices(column, 1 << 18):
         data, offsets = buffers(column.slice(a, b - a))
-        low, every, counts = data.tobytes().translate(_LOWER), [], []
-        for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        low, every, rows = data.tobytes().translate(_LOWER), [], []
+        for i, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True), a):
             words = low[s:e].split()
-            got = _hashes(words, size) if words else []
-            every += got
-            counts.append(len(got))
-        some = np.flatnonzero(counts)
-        if len(some):
-            bits = np.unpackbits(np.array(every, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            sums = np.add.reduceat(bits, (np.cumsum(counts) - counts)[some], axis=0, dtype=np.int32)
-            over = 2 * sums > np.array(counts)[some, None]
-            out[a + some] = np.packbits(over, axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return out
-
-
-def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """(id, fp long): the 64-bit fingerprint as a signed long. A text without words, or null, has fingerprint 0."""
+            for block in _hashes(words, size) if words else ():
+                counts[i] += len(block)
+                if len(block) == SHINGLES:  # of a long text
+                    sums[i] += _bits(block).sum(0, dtype=np.int64)
+                else:
+                    every += block
+                    rows.append((i, len(block)))
+        if rows:
+            at, n = np.array(rows).T
+            sums[at] += np.add.reduceat(_bits(every), np.cumsum(n) - n, axis=0, dtype=np.int64)
+    return np.packbits(2 * sums > counts[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def fingerprints(df: DataFrame, *, text_col: str = "text", size: int = 4, columns: list[tuple[str, str]]) -> DataFrame:
+    """The columns (name, name in the result) of each row and fp long, its 64-bit fingerprint as a signed long. A text
+    without words, or null, has fingerprint 0."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprint_texts(batch.column(1), size).view(np.int64))], names=["id", "fp"])
+            prints = fingerprint_texts(batch.column(len(columns)), size)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(prints.view(np.int64))], names=[*(n for _, n in columns), "fp"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    schema = ", ".join(f"`{n}` {df.schema[c].dataType.simpleString()}" for c, n in columns)
+    rows = df.select(*(F.col(c).alias(f"c{i}") for i, (c, _) in enumerate(columns)), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"{schema}, fp long")
 
 
 def star_forest(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -143,17 +158,25 @@ def near_classes(prints: DataFrame, *, radius: int = 4, tile_rows: int = 16384)
     return components(links).select(F.col("node").alias("fp"), "root")
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4) -> DataFrame:
-    """(id, fp, component_id): component_id is the least id that is reachable over fingerprints within radius bits.
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4, keep: tuple[str, ...] = (), salts: int = 16) -> DataFrame:
+    """(id, keep..., fp, component_id, kept): component_id is the least id that is reachable over fingerprints within radius
+    bits, and kept marks one row of each class, the first of those with the least id.
 
     Texts of fewer than size words have the fingerprint of all their words; null, empty and blank texts have 0 and are
-    linked like others. Repeated rows stay, each with its class. A null id is never a component_id unless all are null.
+    linked like others. Very long texts are read whole, in blocks of shingles. Repeated rows stay, each with its class; of
+    equal ids in different classes each class has its own kept row. A null id is never a component_id unless all are null.
+    No rows give no rows. A kept column named like a result column gets ``_in`` behind its name.
+    salts: parts that a class's fingerprints are dealt out to where they learn their class's id.
     """
-    prints = cut(fingerprints(df, id_col=id_col, text_col=text_col, size=size), "simhash-docs")
-    classes = near_classes(prints, radius=radius)
+    columns = carried([id_col, *keep], ("fp", "component_id", "kept"))
+    found = fingerprints(df, text_col=text_col, size=size, columns=columns).select(F.struct(*(F.col(f"`{n}`") for _, n in columns)).alias("row"), F.col(columns[0][1]).alias("id"), "fp", F.monotonically_increasing_id().alias("at"))
+    prints = cut(found, "simhash-docs")
     # the least id of each fingerprint first (partial sums), then of each class: no group of copies is gathered
-    least = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    merged = least.join(classes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    top = merged.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(merged.select("fp", "root").join(top, "root").select("fp", "component_id"), "simhash-named")
-    return prints.join(named.hint("merge"), "fp").select(id_col, "fp", "component_id")
+    least = cut(prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("least")), "simhash-least")
+    members = least.join(near_classes(least, radius=radius), "fp", "left").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)))
+    members = cut(members, "simhash-members")
+    top = members.filter("root is not null").groupBy("root").agg(F.min("least").alias("top")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    linked = members.filter("root is not null").join(top, ["root", "salt"]).select("fp", "top")
+    named = cut(linked.unionByName(members.filter("root is null").select("fp", F.col("least").alias("top"))), "simhash-named")
+    met = prints.join(named.hint("merge"), "fp")
+    return met.select(*(F.col(f"row.`{n}`").alias(n) for _, n in columns), "fp", F.col("top.id").alias("component_id"), (F.col("at") == F.col("top.at")).alias("kept"))
