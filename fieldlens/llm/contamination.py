@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import ahocorasick
@@ -11,9 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .storage import cut
+from .textkit import carried
+
 #: Bytes outside words, ``[\x00-\x2F\x3A-\x60\x7B-\x7F]`` once A-Z are lower case, become spaces.
 _PLAIN = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+_WORD = re.compile(rb"[^ ]+")
 _built: dict = {}
+RESULTS = ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
 
 
 def normal_words(text: str | None) -> list[str]:
@@ -53,17 +59,28 @@ def scan(text: str | None, machine: ahocorasick.Automaton) -> tuple[int, list[tu
     return len(words), [(int(k) + 1 - n, int(k) + 1) for k, (_, (n, _)) in zip(last, hits, strict=True)], {i for _, (_, own) in hits for i in own}
 
 
-def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
+def placed(text: str, ranges: list[tuple[int, int]]) -> list[dict]:
+    """The stretches of words (from a to before b), joined where they touch, with where each begins and ends in the text.
+
+    Normalising keeps every byte's place, so a word's bytes stand where they stand in the original; start and end count
+    code points of the original.
+    """
+    out: list[list[int]] = []
     for a, b in sorted(ranges):
         if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+            out[-1][1] = max(b, out[-1][1])
         else:
-            out.append((a, b))
-    return out
+            out.append([a, b])
+    if not out:
+        return []
+    raw = text.encode()
+    words = [m.span() for m in _WORD.finditer(raw.translate(_PLAIN))]
+    points = np.r_[0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)]
+    return [{"a": a, "b": b, "start": int(points[words[a][0]]), "end": int(points[words[b - 1][1]])} for a, b in out]
 
 
-_FOUND = "n_words long, ranges array<struct<a:long,b:long>>, items array<{kind}>"
+_SPAN = "struct<a:long,b:long,start:long,end:long>"
+_FOUND = "n_words long, ranges array<" + _SPAN + ">, items array<{kind}>"
 
 
 def _blocks(bench: DataFrame, item_col: str, text_col: str, block_bytes: int):
@@ -82,22 +99,26 @@ def _blocks(bench: DataFrame, item_col: str, text_col: str, block_bytes: int):
 def contamination(df: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 13, share: int = 20, block_bytes: int = 4 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, keep..., n_words, n_hit, n_items, items, spans, contaminated) for each row.
 
-    spans are the hit stretches of words (from, to). Null and empty texts have no words and are clean. Items without words
-    have no window. Repeated rows each get their result; repeated items count once for each item_id. The benchmark goes to
-    the tasks in blocks of block_bytes, one automaton each; with more than one block each text is scanned once a block and
-    a row's findings are brought together by the row's number.
+    spans are the hit stretches of words: a to before b in words, start to before end in code points of the original text.
+    Null and empty texts have no words and are clean; very long texts are scanned whole. Items without words have no window,
+    and an empty benchmark has none. Repeated rows each get their result; repeated items count once for each item_id, and of
+    windows that several items share, all items count. No rows give no rows. A kept column named like a result column gets
+    ``_in`` behind its name.
+
+    The benchmark goes to the tasks as one automaton, or beyond block_bytes of text in blocks with one each: then rows are
+    numbered in a written table, each text is scanned once a block, and findings meet by that number.
     """
     spark, kind = df.sparkSession, bench.schema[item_col].dataType.simpleString()
-    base = df.select(*dict.fromkeys([id_col, *keep]), F.col(text_col).alias("__text"))
-    blocks = list(_blocks(bench, item_col, item_text, block_bytes)) if bench.select(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0] <= 16 * block_bytes else _blocks(bench, item_col, item_text, block_bytes)
-    one = isinstance(blocks, list) and len(blocks) <= 1
+    columns = carried([id_col, *keep], RESULTS)
+    base = df.select(F.struct(*(F.col(c).alias(f"c{i}") for i, (c, _) in enumerate(columns))).alias("row"), F.col(text_col).alias("text"))
+    size = bench.select(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
+    blocks = _blocks(bench, item_col, item_text, block_bytes)
+    one = size <= block_bytes
     if not one:
-        base = base.withColumn("__row", F.monotonically_increasing_id())
-
-    item_type, columns = to_arrow_type(bench.schema[item_col].dataType), base.columns
-    own = columns.index("__text")
-    rest = [(c, k) for k, c in enumerate(columns) if k != own]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "__text"] + [_FOUND.format(kind=kind)])
+        base = cut(base.withColumn("at", F.monotonically_increasing_id()), "contamination-rows")
+    key = "row" if one else "at"
+    item_type, row_type = to_arrow_type(bench.schema[item_col].dataType), base.schema[key].dataType.simpleString()
+    span_type = pa.list_(pa.struct([(n, pa.int64()) for n in ("a", "b", "start", "end")]))
 
     def scanned(block: list) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)
@@ -107,36 +128,38 @@ def contamination(df: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", te
                 _built.update(block=sent.value, machine=automaton(sent.value, width))
             machine, ids = _built["machine"], [i for i, _ in sent.value]
             for batch in batches:
-                rows = [scan(x, machine) for x in batch.column(own).to_pylist()]
+                texts = batch.column(1).to_pylist()
+                rows = [scan(x, machine) for x in texts]
                 found = [
                     pa.array([n for n, _, _ in rows], pa.int64()),
-                    pa.array([[{"a": a, "b": b} for a, b in _merged(r)] for _, r, _ in rows], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
+                    pa.array([placed(x, r) if r else [] for x, (_, r, _) in zip(texts, rows, strict=True)], span_type),
                     pa.array([[ids[i] for i in sorted(hit)] for _, _, hit in rows], pa.list_(item_type)),
                 ]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for _, k in rest), *found], names=[*(c for c, _ in rest), "n_words", "ranges", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *found], names=[key, "n_words", "ranges", "items"])
 
-        return base.mapInArrow(run, schema)
+        return base.select(key, "text").mapInArrow(run, f"{key} {row_type}, {_FOUND.format(kind=kind)}")
 
     if one:
-        out = scanned(blocks[0] if blocks else [])
+        out = scanned(next(blocks, [])).withColumn("spans", F.col("ranges"))
     else:
         parts = reduce(DataFrame.unionByName, (scanned(b) for b in blocks))
-        keys = [c for c in base.columns if c != "__text"]
-        out = parts.groupBy(*keys).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items")).drop("__row")
-    spans = F.aggregate(
-        F.array_sort("ranges"),
-        F.array().cast("array<struct<a:long,b:long>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    out = out.withColumn("spans", F.col("ranges") if one else spans).withColumn("items", F.array_distinct("items"))
+        every = parts.groupBy("at").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"))
+        last = lambda acc: F.element_at(acc, -1)
+        longer = lambda acc, x: F.struct(
+            last(acc)["a"].alias("a"), F.greatest(last(acc)["b"], x["b"]).alias("b"), last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], x["end"]).alias("end")
+        )
+        joined = F.aggregate(
+            F.array_sort("ranges"),
+            F.array().cast(f"array<{_SPAN}>"),
+            lambda acc, x: F.when((F.size(acc) > 0) & (last(acc)["b"] >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer(acc, x)))).otherwise(F.concat(acc, F.array(x))),
+        )
+        out = base.select("row", "at").join(every.withColumn("spans", joined), "at")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["b"] - x["a"])
-    return out.withColumns({"n_hit": n_hit, "n_items": F.size("items").cast("long")}).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).select(*[c for c in base.columns if c not in ("__text", "__row")], "n_words", "n_hit", "n_items", "items", "spans", "contaminated")
+    out = out.withColumn("items", F.array_distinct("items")).withColumns({"n_hit": n_hit, "n_items": F.size("items").cast("long")})
+    dirty = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
+    return out.withColumn("contaminated", dirty).select(*(F.col(f"row.c{i}").alias(n) for i, (_, n) in enumerate(columns)), *RESULTS)
 
 
 def items_digest(items: Column) -> Column:
     """Lower-case hex SHA-256 of the item ids, sorted as strings and joined by commas."""
     return F.sha2(F.array_join(F.array_sort(F.transform(items, lambda x: x.cast("string"))), ","), 256)
-
