@@ -7,15 +7,17 @@ later, the last token of the encoding up to there and how many tokens fewer it t
 the change in the number of emitted tokens, and a pretoken's count is the sum of its transitions. States are made when
 first met; there are finitely many, for entries are of bounded length.
 
-A long text is read in chunks. A chunk's map takes the state in which it is entered to the state in which it is left and
-the tokens emitted; maps compose, so the chunks of a text are combined in a tree, in any grouping.
+A long text is read in chunks. A chunk's map takes the state in which the second machine enters it to the state in which it
+leaves it and the change in the number of tokens; a pretoken border in the chunk resets the machine, so behind the first
+border the map is constant, and before it the machine runs from whatever state it is given. Maps compose, so the chunks of
+a text are combined in a tree, in any grouping. A text is one row and so read in one task; Spark's tasks are its rows.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -157,30 +159,54 @@ class Transducer:
 
 @dataclass(frozen=True)
 class ChunkMap:
-    """What a chunk of a text does to the state in which it is entered: head is its part before the first pretoken border
-    (all of it if there is none); tokens are those of the whole pretokens after it, and tail is the open one at its end."""
-
-    head: bytes
-    inner: int | None
-    tail: bytes
-
-    def then(self, other: ChunkMap, count) -> ChunkMap:
-        """The map of this chunk and the next, as one; count gives a whole pretoken's tokens."""
-        if self.inner is None:
-            return ChunkMap(self.head + other.head, other.inner, other.tail)
-        if other.inner is None:
-            return ChunkMap(self.head, self.inner, self.tail + other.head)
-        return ChunkMap(self.head, self.inner + count(self.tail + other.head) + other.inner, other.tail)
+    """A map of states: entered in a state, the machine reads head from it; then, if there is a border, it is reset, emits
+    rest and stands in end. A map without a border has no end."""
+
+    head: tuple[bytes, ...]
+    end: int | None = None
+    rest: int = 0
+
+    def __call__(self, state: int, machine: Transducer) -> tuple[int, int]:
+        """(state in which the chunk is left, change in the number of tokens)."""
+        total = 0
+        for piece in self.head:
+            state, n = machine.run(piece, state)
+            total += n
+        return (state, total) if self.end is None else (self.end, total + self.rest)
 
-    def total(self, count) -> int:
-        return count(self.head) + (self.inner or 0) + count(self.tail)
+    def then(self, other: ChunkMap, machine: Transducer) -> ChunkMap:
+        """The map of this chunk and the next, as one."""
+        if self.end is None:
+            return ChunkMap(self.head + other.head, other.end, other.rest)
+        end, n = other(self.end, machine)
+        return ChunkMap(self.head, end, self.rest + n)
 
 
-def scan_maps(maps: list[ChunkMap], count) -> ChunkMap:
+def scan_maps(maps: list[ChunkMap], machine: Transducer) -> ChunkMap:
     """All maps composed, as a tree of neighbours."""
     while len(maps) > 1:
-        maps = [maps[i].then(maps[i + 1], count) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    return maps[0] if maps else ChunkMap(b"", None, b"")
+        maps = [maps[i].then(maps[i + 1], machine) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0] if maps else ChunkMap(())
+
+
+def _checked(spec: dict) -> dict:
+    """spec, if it is a tokenizer of the kind that is counted here; ValueError otherwise, for counts would be wrong."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers", [before])
+    wrong = [
+        what
+        for what, bad in (
+            ("model", model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("byte_fallback") or model.get("unk_token")),
+            ("affixes", model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")),
+            ("normalizer", spec.get("normalizer") is not None),
+            ("pre_tokenizer", [s.get("type") for s in steps] != ["ByteLevel"] or steps[0].get("add_prefix_space") or not steps[0].get("use_regex", True)),
+            ("added token", any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec["added_tokens"])),
+        )
+        if bad
+    ]
+    if wrong:
+        raise ValueError(f"not a plain byte-level BPE tokenizer: {', '.join(wrong)}")
+    return spec
 
 
 def _byte_letters() -> dict[str, int]:
@@ -193,14 +219,13 @@ class Counter:
     """Token counts of texts as the tokenizer file's own library gives them, without special tokens added."""
 
     def __init__(self, tokenizer_json: str, *, most_known: int = 800_000, most_states: int = 300_000) -> None:
-        spec, letters = json.loads(tokenizer_json), _byte_letters()
+        spec, letters = _checked(json.loads(tokenizer_json)), _byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        special = {t["content"] for t in spec["added_tokens"]}
+        special = [t["content"] for t in spec["added_tokens"] if t["content"]]
         vocab = {raw(k): v for k, v in spec["model"]["vocab"].items() if k not in special}
         self.machine = Transducer(vocab, [(raw(a), raw(b)) for a, b in pairs])
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.hint = min(special, key=len)[:2] if special else None
         self.known: dict[bytes, int] = {b"": 0}
         self.short: dict[int, int] = {}
         self.most_known, self.most_states = most_known, most_states
@@ -223,14 +248,10 @@ class Counter:
     def chunk_map(self, data: bytes, starts: list[int]) -> ChunkMap:
         """data's map; starts are the pretoken borders in it."""
         if not starts:
-            return ChunkMap(data, None, b"")
-        get, slow = self.known.get, self.pretoken
-        inner = 0
-        for a, b in zip(starts, starts[1:]):  # noqa: B905  the last border opens the tail
-            piece = data[a:b]
-            n = get(piece)
-            inner += slow(piece) if n is None else n
-        return ChunkMap(data[: starts[0]], inner, data[starts[-1] :])
+            return ChunkMap((data,))
+        whole = sum(self.pretoken(data[a:b]) for a, b in zip(starts, starts[1:]))  # noqa: B905  the last border opens the tail
+        end, n = self.machine.run(data[starts[-1] :])
+        return ChunkMap((data[: starts[0]],), end, whole + n)
 
     def borders(self, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The texts' bytes on end, where pretokens start in them, and at which of these starts each text begins (and ends)."""
@@ -278,9 +299,14 @@ class Counter:
     def plain(self, text: str, chunk: int = 1 << 16) -> int:
         """Tokens of a long text without special strings, from the maps of its chunks of so many bytes."""
         data, starts, _ = self.borders([text])
+        if len(self.machine.keys) > self.most_states:
+            self.machine.forget()
         cuts = np.searchsorted(starts, np.arange(0, len(data) + chunk, chunk))
+        kept, self.most_states = self.most_states, 1 << 62  # maps name states, which have to last as long as the maps
         maps = [self.chunk_map(data[k * chunk : (k + 1) * chunk], (starts[a:b] - k * chunk).tolist()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-        return scan_maps(maps, self.pretoken).total(self.pretoken)
+        _, total = scan_maps(maps, self.machine)(0, self.machine)
+        self.most_states = kept
+        return total
 
     def count(self, text: str | None) -> int:
         return self.count_all([text])[0]
@@ -290,7 +316,7 @@ class Counter:
         out, group, held = [0] * len(texts), [], 0
         for i, text in enumerate(texts):
             pieces = [text] if text else []
-            if text and self.special is not None and self.hint in text:
+            if text and self.special is not None and self.special.search(text):
                 out[i], pieces = len(self.special.findall(text)), [p for p in self.special.split(text) if p]
             for p in pieces:
                 if len(p) > long:
@@ -317,8 +343,9 @@ def token_counts(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
     """(id, n_bytes, n_tokens, over_limit) of each whole text; null counts as empty, with 0 bytes and tokens.
 
     tokenizer_path is a local byte-level BPE file in the JSON form of the tokenizers library; it is read once, by the driver,
-    and sent to the tasks (a few MB, whatever the corpus). Strings of special tokens inside a text count one token each, as
-    the library does by default. Repeated rows each get their counts; other columns are ignored.
+    and sent to the tasks (a few MB, whatever the corpus). A file of another kind raises ValueError. Strings of special
+    tokens inside a text count one token each, as the library does by default. Very long texts are read in chunks. Repeated
+    rows each get their counts, no rows give no rows, and other columns are ignored, whatever their names.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())
@@ -336,7 +363,3 @@ def token_counts(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
     out = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit).withColumnRenamed("id", id_col)
 
-
-def chunked_total(maps: list[ChunkMap], count) -> int:
-    """The tokens of a text from its chunks' maps, left to right; equals the tree's."""
-    return reduce(lambda a, b: a.then(b, count), maps).total(count) if maps else 0
