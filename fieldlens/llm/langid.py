@@ -3,21 +3,37 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_GAPS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
 
+def _of_categories(kinds: str) -> str:
+    """A character class's inside: all code points of these general categories, as ranges."""
+    fits = [unicodedata.category(chr(c))[0] in kinds for c in range(sys.maxunicode + 1)]
+    edges = [c for c in range(len(fits)) if fits[c] != (c > 0 and fits[c - 1])]
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+@lru_cache(maxsize=1)
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    """What stands between words, and a letter. Marks belong to the words that they combine in; numbers are no letters."""
+    return re.compile(f"[^{_of_categories('LM')}]+"), re.compile(f"[{_of_categories('L')}]")
+
+
 def grams(text: str | None, buckets: int) -> np.ndarray | None:
     """Counts of the hashed trigrams of the lower-case letters, words apart by one space; None without letters."""
-    plain = _GAPS.sub(" ", (text or "").lower()).strip()
-    if not plain:
+    gaps, letter = _patterns()
+    if not text or not letter.search(text):
         return None
+    plain = gaps.sub(" ", text.lower()).strip()
     x = np.frombuffer(f" {plain} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     h = (x[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (x[2:] * np.uint64(0x165667B19E3779F9))
     h ^= h >> np.uint64(29)
@@ -90,8 +106,9 @@ def mixture(counts: np.ndarray, likely: np.ndarray, *, price: float = 3.0, round
 def predict(df: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: str = "doc_id", text_col: str = "text", price: float = 3.0) -> DataFrame:
     """(id, lang_pred, score, langs, shares): the language with the greatest share, that share, and all of the set chosen.
 
-    A text that is null or has no letters is ``und`` with score 0 and an empty set; so is every text if nothing was learnt.
-    Of equal shares the language that sorts first wins. Repeated rows each get their prediction.
+    A text that is null or has no letters (general category L) is ``und`` with score 0 and an empty set; so is every text if
+    nothing was learnt. Of equal shares the language that sorts first wins. Very long texts are read whole. Repeated rows
+    each get their prediction, no rows give no rows, and other columns are ignored, whatever their names.
     """
     langs, table = model
     sent, buckets = df.sparkSession.sparkContext.broadcast(table), len(table)
