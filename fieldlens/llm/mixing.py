@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import cut
-from .textkit import WORD
+from .textkit import WORD, carried
 
+RESULTS = ("size", "source_size", "target", "copies", "taken")
 
-def draw(key: Column, seed: int) -> Column:
-    """A number in [0, 1) that depends on the key's text and the seed alone; null draws like the empty text."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+def draw(key: Column, text: Column, seed: int) -> Column:
+    """A number in [0, 1) that depends on the key, on a null key's text, and on the seed alone."""
+    named = F.coalesce(key.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), named)), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
 def targets(sizes: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
@@ -40,17 +42,21 @@ def mix_sources(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """(id, keep..., size, source_size, target, copies, taken) for each row; copies times the row makes the mix.
 
     size is the number of words; null and empty texts have none and take none. A document gets floor(rate) copies, where rate
-    is its source's target by its size, and one more if its draw is below the fraction; the draw hangs on the id, so reruns
-    agree and repeated rows go the same way. Null is a source of its own. Sizes are summed within the tasks before they are
+    is its source's target by its size, and one more if its draw is below the fraction; the draw hangs on the id, or on the text
+    of a row without one, so reruns agree and repeated rows go the same way. Null is a source of its own. Sizes are summed within the tasks before they are
     shuffled, so a source with most rows sends each task's sum only. The sources' table is broadcast up to so many sources;
-    beyond it the join is a shuffled one. Columns not named are ignored, whatever their names.
+    beyond it the join is a shuffled one. No rows give no rows. Columns not named are ignored, whatever their names; a kept
+    column named like a result column gets ``_in`` behind its name.
     """
-    base = df.select(*[F.col(c) for c in dict.fromkeys([id_col, *keep])], F.col(source_col).alias("__source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sums = cut(base.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size")), "mix-sources")
-    plan = cut(targets(sums, weights=weights, most=most).select(F.struct("source").alias("__key"), "source_size", "target"), "mix-targets")
+    columns = carried([id_col, *keep], RESULTS)
+    row = F.struct(*(F.col(c).alias(f"c{i}") for i, (c, _) in enumerate(columns))).alias("row")
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    base = df.select(row, F.col(source_col).alias("source"), size.alias("size"), draw(F.col(id_col), F.col(text_col), seed).alias("draw"))
+    sums = cut(base.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    plan = cut(targets(sums, weights=weights, most=most).select(F.struct("source").alias("key"), "source_size", "target"), "mix-targets")
     plan = F.broadcast(plan) if sums.count() <= broadcast_sources else plan
-    joined = base.join(plan, F.col("__source").eqNullSafe(F.col("__key.source")))
+    joined = base.join(plan, F.col("source").eqNullSafe(F.col("key.source")))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-    copies = F.floor("rate") + F.when(draw(F.col(id_col), seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    copies = F.floor("rate") + F.when(F.col("draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     out = joined.withColumn("rate", rate).withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*dict.fromkeys([id_col, *keep]), "size", "source_size", "target", "copies", "taken")
+    return out.select(*(F.col(f"row.c{i}").alias(n) for i, (_, n) in enumerate(columns)), *RESULTS)

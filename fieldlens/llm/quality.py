@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import SPACE, buffers, row_sums, slices, span_hashes, word_names, words_of
+from .textkit import SPACE, buffers, carried, row_sums, slices, span_hashes, word_names, words_of
 
 STATS = (
     "log_chars log_words log_lines mean_word upper digit mark pipe bang wide blank marked_ends upper_words repeated_words repeated_lines "
@@ -81,8 +82,9 @@ def _dense(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.n
     )
 
 
-def features(column: pa.Array, buckets: int) -> Features:
-    """Features of each text: words hashed to buckets, as the root of their share, and the statistics."""
+def features(column: pa.Array, buckets: int, metadata: Sequence[pa.Array] = ()) -> Features:
+    """Features of each text: words hashed to buckets, as the root of their share, and the statistics, among them two of each
+    numeric column of metadata: its logarithm (signed, null as 0) and whether it is null."""
     data, offsets = buffers(column)
     starts, ends, wo = words_of(data, offsets)
     names = word_names(data, starts, ends)
@@ -91,7 +93,10 @@ def features(column: pa.Array, buckets: int) -> Features:
     key, n = np.unique(row * buckets + (names % np.uint64(buckets)).astype(np.int64), return_counts=True)
     at = key // buckets
     values = np.sqrt(n / np.maximum(np.diff(wo), 1)[at])
-    return Features(np.searchsorted(at, np.arange(rows + 1)), key % buckets, values, _dense(data, offsets, starts, ends, wo, names))
+    known = [c.cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False) for c in metadata]
+    extra = [x for c, v in zip(metadata, known, strict=True) for x in (np.sign(v) * np.log1p(np.abs(np.nan_to_num(v))), c.is_null().to_numpy(zero_copy_only=False).astype(float))]
+    stats = np.column_stack([_dense(data, offsets, starts, ends, wo, names), *extra])
+    return Features(np.searchsorted(at, np.arange(rows + 1)), key % buckets, values, stats)
 
 
 class Machine(NamedTuple):
@@ -130,10 +135,10 @@ def _take(f: Features, rows: np.ndarray) -> Features:
 def fit_machine(f: Features, label: np.ndarray, *, buckets: int, rank: int = 4, epochs: int = 30, rate: float = 0.05, ridge: float = 1e-3, seed: int = 7) -> Machine:
     """Minimises log loss by adaptive gradients over shuffled batches. With one class, its share is the score."""
     rng = np.random.default_rng(seed)
-    spread = np.maximum(f.stats.std(0), 1e-2 * np.maximum(1, np.abs(f.stats.mean(0)))) if len(label) else np.ones(len(STATS))
-    centre = f.stats.mean(0) if len(label) else np.zeros(len(STATS))
+    spread = np.maximum(f.stats.std(0), 1e-2 * np.maximum(1, np.abs(f.stats.mean(0)))) if len(label) else np.ones(f.stats.shape[1])
+    centre = f.stats.mean(0) if len(label) else np.zeros(f.stats.shape[1])
     share = (label.sum() + 1) / (len(label) + 2)
-    params = [np.array([np.log(share / (1 - share))]), np.zeros(buckets), rng.normal(0, 0.01, (buckets, rank)), np.zeros(len(STATS)), rng.normal(0, 0.05, (len(STATS), rank))]
+    params = [np.array([np.log(share / (1 - share))]), np.zeros(buckets), rng.normal(0, 0.01, (buckets, rank)), np.zeros(f.stats.shape[1]), rng.normal(0, 0.05, (f.stats.shape[1], rank))]
     if len(set(label.tolist())) < 2:
         return Machine(float(params[0][0]), *[p * 0 for p in params[1:]], centre, spread)
     past = [np.full_like(p, 1e-6) for p in params]
@@ -163,12 +168,13 @@ def fit_machine(f: Features, label: np.ndarray, *, buckets: int, rank: int = 4,
     return Machine(float(params[0][0]), *params[1:], centre, spread)
 
 
-def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 6000, buckets: int = 1 << 14, rank: int = 4) -> Machine:
+def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = (), most_rows: int = 6000, buckets: int = 1 << 14, rank: int = 4) -> Machine:
     """A machine fitted on the rows of df (id, text) that labels (id, label 0/1) names: of at most most_rows labels, those
     whose ids hash lowest.
 
     The bound is on fitting alone, which is done by the driver on word buckets and statistics, about 10 KB a row. Labels that
-    are null are left out; a null text is empty. The chosen labels are broadcast, so no text is shuffled.
+    are null are left out; a null text is empty. The chosen labels are broadcast, so no text is shuffled. metadata names
+    numeric columns that are features too; score takes the same. Without labels, every text scores one half.
     """
     named = labels.filter(F.col("label").isNotNull()).select(F.col(id_col).alias("id"), F.col("label").cast("double").alias("label"))
     chosen = named.orderBy(F.xxhash64("id"), "id", "label").limit(most_rows)
@@ -176,7 +182,7 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
     def run(batches):
         for batch in batches:
             for a, b in slices(batch.column(0), 1 << 20):
-                f = features(batch.column(0).slice(a, b - a), buckets)
+                f = features(batch.column(0).slice(a, b - a), buckets, [c.slice(a, b - a) for c in batch.columns[3:]])
                 cut = lambda x: [x[i:j].tolist() for i, j in zip(f.offsets[:-1], f.offsets[1:], strict=True)]  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(cut(f.columns), pa.list_(pa.int32())), pa.array(cut(f.values), pa.list_(pa.float64())), pa.array(f.stats.tolist(), pa.list_(pa.float64()))],
@@ -184,30 +190,36 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
                 )
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    picked = rows.join(F.broadcast(chosen), "id").select("text", "label", "id")
+    extra = [F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(metadata)]
+    rows = df.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), *extra)
+    picked = rows.join(F.broadcast(chosen), "id").select("text", "label", "id", *(f"m{i}" for i in range(len(metadata))))
     found = picked.mapInArrow(run, f"label double, id {kind}, columns array<int>, values array<double>, stats array<double>").toArrow().to_pandas()
     found = found.assign(order=found["label"] * 0 + found["stats"].map(lambda x: x[0])).sort_values(["id", "label", "order"], kind="stable")
     sizes = found["columns"].map(len).to_numpy() if len(found) else np.zeros(0, np.int64)
     join = lambda c, t: np.concatenate(found[c].tolist()).astype(t) if len(found) else np.zeros(0, t)
-    f = Features(np.r_[0, np.cumsum(sizes)].astype(np.int64), join("columns", np.int64), join("values", float), np.array(found["stats"].tolist(), float).reshape(-1, len(STATS)))
+    f = Features(np.r_[0, np.cumsum(sizes)].astype(np.int64), join("columns", np.int64), join("values", float), np.array(found["stats"].tolist(), float).reshape(-1, len(STATS) + 2 * len(metadata)))
     return fit_machine(f, found["label"].to_numpy(float), buckets=buckets, rank=rank)
 
 
-def score(df: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, keep..., score, predicted) of each row. Null and empty texts have no words and the statistics of none; every
-    row gets a score between 0 and 1. Repeated rows get the same score."""
-    sent, columns = df.sparkSession.sparkContext.broadcast(machine), list(dict.fromkeys([id_col, *keep]))
-    buckets = len(machine.linear)
+def score(df: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = (), threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep..., score, predicted) of each row.
+
+    Null and empty texts have no words and the statistics of none; very long texts are read whole; every row gets a score
+    between 0 and 1, and predicted is 1 from the threshold on, itself included. Repeated rows get the same score. No rows
+    give no rows. A kept column named like a result column gets ``_in`` behind its name.
+    """
+    sent, columns = df.sparkSession.sparkContext.broadcast(machine), carried([id_col, *keep], ("score", "predicted"))
+    buckets, n = len(machine.linear), len(columns)
 
     def run(batches):
         for batch in batches:
-            text = batch.column(len(columns))
+            text = batch.column(n)
             out = np.zeros(len(batch))
             for a, b in slices(text, 1 << 20):
-                out[a:b] = sent.value.scores(features(text.slice(a, b - a), buckets))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(columns))), pa.array(out)], names=[*columns, "score"])
+                out[a:b] = sent.value.scores(features(text.slice(a, b - a), buckets, [c.slice(a, b - a) for c in batch.columns[n + 1 :]]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(out)], names=[*(c for _, c in columns), "score"])
 
-    rows = df.select(*columns, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+    extra = [F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(metadata)]
+    rows = df.select(*(F.col(c).alias(f"c{i}") for i, (c, _) in enumerate(columns)), F.col(text_col).alias("text"), *extra)
+    schema = ", ".join(f"`{name}` {df.schema[c].dataType.simpleString()}" for c, name in columns)
     return rows.mapInArrow(run, f"{schema}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

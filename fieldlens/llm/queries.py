@@ -49,15 +49,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+QUALITY_METADATA = ("n_chars",)
+
+
 def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.Machine:
     """Fitted on labelled rows outside the held-out fold."""
     labels = _table(spark, sf_dir, "labels").filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("label"))
-    return quality.fit(docs, labels.filter(langid.fold("doc_id", 4) != 2))
+    return quality.fit(docs, labels.filter(langid.fold("doc_id", 4) != 2), metadata=QUALITY_METADATA)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    got = quality.score(docs, quality_model(spark, sf_dir, docs), threshold=0.7)
+    got = quality.score(docs, quality_model(spark, sf_dir, docs), metadata=QUALITY_METADATA, threshold=0.7)
     return got.select("doc_id", (langid.fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
@@ -72,7 +75,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_warc_archives, op4_simhash_near_dedup, op5_main_text, op6_decontamination, op7_token_counts, op8_quality, op9_mix_sources, op10_exact_dedup)}
 
 _NINE = r"""
-with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+with sized as (select doc_id, text, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 sums as (select source, sum(size)::bigint as source_size from sized group by source),
 ranked as (select *, [5.0, 2.0, 1.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as weight from sums),
 filled as (select *, source_size * 3.0::double as cap, source_size * 3.0::double / weight as fills from ranked),
@@ -80,7 +83,7 @@ levels as (select *, ((sum(source_size) over ())::double - coalesce(sum(cap) ove
     / sum(weight) over (order by fills, source nulls last rows between current row and unbounded following) as own, row_number() over (order by fills, source nulls last) as place from filled),
 plan as (select source, source_size, least(cap, coalesce(arg_min(own, case when own <= fills then place end) over (), 0) * weight) as target from levels),
 rates as (select d.doc_id, d.size, p.source_size, p.target, case when p.source_size > 0 then least(p.target / p.source_size, 3.0::double) else 0.0 end as rate,
-    ('0x' || substr(md5('42:' || coalesce(d.doc_id::varchar, '')), 1, 12))::bigint::double / 281474976710656.0::double as draw
+    ('0x' || substr(md5('42:' || coalesce(d.doc_id::varchar, 'text:' || md5(coalesce(d.text, '')))), 1, 12))::bigint::double / 281474976710656.0::double as draw
     from sized d join plan p on d.source is not distinct from p.source)
 select doc_id, size, source_size, target, ((floor(rate) + case when draw < rate - floor(rate) then 1 else 0 end) * size)::bigint as taken from rates
 """
