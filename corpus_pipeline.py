@@ -10,42 +10,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlens.llm import contamination, exact, mixing, quality, simhash
-from fieldlens.llm.queries import quality_model
+from fieldlens.llm.queries import QUALITY_METADATA, quality_model
 from fieldlens.llm.storage import cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores 0.7 or more; it is fitted on labelled rows of the whole documents table."""
+    """Documents that the classifier scores 0.7 or more; it is fitted on labelled rows of the whole documents table.
+
+    Null and empty texts are scored like others, repeated rows get the same score, and no rows give no rows.
+    """
     machine = quality_model(spark, sf_dir, spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return quality.score(docs, machine, threshold=0.7, keep=COLUMNS).filter("predicted = 1").select(*COLUMNS)
+    return quality.score(docs, machine, metadata=QUALITY_METADATA, threshold=0.7, keep=COLUMNS).filter("predicted = 1").select(*COLUMNS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the least id of each text."""
+    """The row with the least id of each text; one of repeated rows. Null is an empty text, and null ids come last."""
     found = exact.exact_duplicates(docs, keep=COLUMNS)
     return found.filter("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each SimHash class. Blank and empty texts are one class.
+    """One document of each SimHash class, that with the least id. Blank and empty texts are one class.
 
-    Rows without an id can't be told apart: all of them stay if one is in a class that has no ids at all.
+    Rows are told apart by a number that is written with them, so repeated ids and rows without one are no matter.
     """
-    classes = simhash.near_duplicates(docs)
-    first = cut(classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct(), "near-first")
-    return docs.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi").select(*COLUMNS)
+    numbered = cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")), "near-rows")
+    first = cut(simhash.near_duplicates(numbered, keep=("__row",)).filter("kept").select("__row"), "near-first")
+    return numbered.join(first.hint("merge"), "__row", "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark. Null and empty texts are clean; repeated rows all stay or go."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contamination.contamination(docs, bench, keep=COLUMNS).filter("not contaminated").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with its copies in the mix and the words they take; documents that the mix takes no copy of stay out."""
+    """Each document with its copies in the mix and the words they take; documents that the mix takes no copy of stay out.
+
+    Texts without words take nothing but may have copies; repeated rows go the same way.
+    """
     return mixing.mix_sources(docs, keep=COLUMNS).filter("copies > 0").select(*COLUMNS, "size", "source_size", "target", "copies", "taken")
 
 
