@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions import boxes as B
+from fieldlens.sources.shared import cut
 
 
 @dataclass(frozen=True)
@@ -19,107 +20,162 @@ class EvalParams:
 
     iou: tuple[float, ...] = (0.2, 0.5, 0.8)
     most_dets: int = 350
-    area: tuple[str, float, float] = ("all", 0.0, 1e10)
+    areas: tuple[tuple[str, float, float], ...] = (("all", 0.0, 1e10),)
     recall_steps: int = 100
 
 
+# fixed values: the area ranges and overlap thresholds of the COCO summary
+COCO = EvalParams(
+    iou=(0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95),
+    most_dets=100,
+    areas=(("all", 0.0, 1e10), ("small", 0.0, 1024.0), ("medium", 1024.0, 9216.0), ("large", 9216.0, 1e10)),
+)
+KEY = ["area", "iou_thr", "category_id"]
+
+
 def top_detections(dets: DataFrame, most: int) -> DataFrame:
     """The best most detections of each image and class by score, then det_id; rk counts from 1."""
     order = Window.partitionBy("image_id", "category_id").orderBy(F.desc("score"), "det_id")
     return dets.withColumn("rk", F.row_number().over(order).cast("long")).filter(F.col("rk") <= most)
 
 
-def candidates(dets: DataFrame, gts: DataFrame, least: float) -> DataFrame:
-    """(det_id, gid, iou, crowd) for detections and ground truth of one image and class that overlap by least or more."""
-    g = gts.select("image_id", "category_id", F.col("id").alias("gid"), "iscrowd", *(F.col(c).alias(f"g{c}") for c in "xywh"), (F.col("w") * F.col("h")).alias("garea"))
-    over = B.iou([F.col(c) for c in "xywh"], [F.col(f"g{c}") for c in "xywh"], F.col("iscrowd"))
-    return dets.join(g, ["image_id", "category_id"]).withColumn("iou", over).filter(F.col("iou") >= least)
+def box_overlap() -> Column:
+    """Of a detection's box and a ground truth's (columns with a g before their names)."""
+    return B.iou([F.col(c) for c in "xywh"], [F.col(f"g{c}") for c in "xywh"], F.col("giscrowd"))
+
+
+def keypoint_similarity(spread: tuple[float, ...]) -> Column:
+    """Of a detection's key points and a ground truth's, both arrays of (x, y, v) named points."""
+    return B.oks(F.col("points"), F.col("gpoints"), F.col("garea"), spread)
+
 
+def candidates(dets: DataFrame, gts: DataFrame, least: float, similar: Column | None = None) -> DataFrame:
+    """Detections with the ground truths (g before their columns) of the same image and class that are like them by least or
+    more; iou is the likeness, by default the overlap of boxes."""
+    size = F.col("area") if "area" in gts.columns else F.col("w") * F.col("h")
+    kept = [F.col(c).alias(f"g{c}") for c in ("x", "y", "w", "h", "points") if c in gts.columns]
+    g = gts.select("image_id", "category_id", F.col("id").alias("gid"), F.col("iscrowd").alias("giscrowd"), *kept, size.alias("garea"))
+    return dets.join(g, ["image_id", "category_id"]).withColumn("iou", box_overlap() if similar is None else similar).filter(F.col("iou") >= least)
 
-def greedy_match(dets: DataFrame, gts: DataFrame, params: EvalParams) -> DataFrame:
-    """(iou_thr, image_id, category_id, det_id, score, rk, gid, ignored) for every detection that counts.
 
-    Each image and class is folded over in order of score: a detection takes the free ground truth with the highest overlap
+def greedy_match(dets: DataFrame, gts: DataFrame, params: EvalParams, similar: Column | None = None) -> DataFrame:
+    """(area, iou_thr, image_id, category_id, det_id, score, rk, gid, ignored) for every detection that counts.
+
+    Each image and class is folded over in order of score: a detection takes the free ground truth with the greatest likeness
     of at least the threshold, one that counts before one that is ignored (a crowd, or outside the area range), and of equal
-    overlaps the one with the larger id. A crowd can be taken again. gid is null if it takes none; then it is ignored if its
+    ones the one with the larger id. A crowd can be taken again. gid is null if it takes none; then it is ignored if its
     own area is outside the range. The state is as large as one image's matches.
     """
-    _, low, high = params.area
+    ranges = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")) for n, a, b in params.areas]))
+    outside = lambda a: (a < F.col("range.low")) | (a > F.col("range.high"))
     top = top_detections(dets, params.most_dets)
-    outside = lambda a: (a < low) | (a > high)
-    least = min(min(params.iou), 1 - 1e-10)
-    found = candidates(top, gts, least).select("det_id", "image_id", "category_id", F.struct((F.when((F.col("iscrowd") == 1) | outside(F.col("garea")), 0).otherwise(1)).alias("counts"), "iou", "gid", F.col("iscrowd").cast("int").alias("crowd")).alias("c"))
-    own = found.groupBy("image_id", "category_id", "det_id").agg(F.collect_list("c").alias("cands"))
-    rows = top.select("image_id", "category_id", "det_id", "score", "rk", outside(F.col("w") * F.col("h")).alias("out")).join(own, ["image_id", "category_id", "det_id"], "left")
-    groups = rows.groupBy("image_id", "category_id").agg(F.array_sort(F.collect_list(F.struct("rk", "det_id", "score", "out", F.coalesce("cands", F.array().cast(own.schema["cands"].dataType)).alias("cands")))).alias("dets"))
+    counts = F.when((F.col("giscrowd") == 1) | outside(F.col("garea")), 0).otherwise(1)
+    found = candidates(top, gts, min(*params.iou, 1 - 1e-10), similar).withColumn("range", ranges)
+    found = found.select(F.col("range.name").alias("area"), "det_id", "image_id", "category_id", F.struct(counts.alias("counts"), "iou", "gid", F.col("giscrowd").cast("int").alias("crowd")).alias("c"))
+    at = ["area", "image_id", "category_id"]
+    own = found.groupBy(*at, "det_id").agg(F.collect_list("c").alias("cands"))
+    each = top.withColumn("range", ranges).select(F.col("range.name").alias("area"), "image_id", "category_id", "det_id", "score", "rk", outside(F.col("w") * F.col("h")).alias("out"))
+    rows = each.join(own, [*at, "det_id"], "left")
+    one = F.struct("rk", "det_id", "score", "out", F.coalesce("cands", F.array().cast(own.schema["cands"].dataType)).alias("cands"))
+    groups = rows.groupBy(*at).agg(F.array_sort(F.collect_list(one)).alias("dets"))
     step = "struct<det_id:bigint,score:double,rk:bigint,gid:bigint,ignored:boolean>"
 
     def fold(acc: Column, d: Column, thr: Column) -> Column:
         free = F.filter(d["cands"], lambda c: (c["iou"] >= thr) & ((c["crowd"] == 1) | ~F.array_contains(acc["taken"], c["gid"])))
-        best = F.array_max(free)
+
+        def taken(s: Column) -> Column:
+            best = s["b"]
+            ignored = F.coalesce(best["counts"] == 0, d["out"])
+            row = F.struct(d["det_id"].alias("det_id"), d["score"].alias("score"), d["rk"].alias("rk"), best["gid"].alias("gid"), ignored.alias("ignored"))
+            return F.struct(
+                F.when(best.isNull(), acc["taken"]).otherwise(F.concat(acc["taken"], F.array(best["gid"]))).alias("taken"),
+                F.concat(acc["out"], F.array(row)).alias("out"),
+            )
+
         # the best is computed once: it is bound as the only element of an array
-        return F.get(
-            F.transform(
-                F.array(F.struct(best.alias("b"))),
-                lambda s: F.struct(
-                    F.when(s["b"].isNull(), acc["taken"]).otherwise(F.concat(acc["taken"], F.array(s["b"]["gid"]))).alias("taken"),
-                    F.concat(acc["out"], F.array(F.struct(d["det_id"].alias("det_id"), d["score"].alias("score"), d["rk"].alias("rk"), s["b"]["gid"].alias("gid"), F.coalesce(s["b"]["counts"] == 0, d["out"]).alias("ignored")))).alias("out"),
-                ),
-            ),
-            F.lit(0),
-        )
+        return F.get(F.transform(F.array(F.struct(F.array_max(free).alias("b"))), taken), F.lit(0))
 
     thrs = F.explode(F.array(*[F.lit(float(t)) for t in params.iou])).alias("iou_thr")
     start = F.struct(F.array().cast("array<bigint>").alias("taken"), F.array().cast(f"array<{step}>").alias("out"))
-    each = groups.select("image_id", "category_id", "dets", thrs).withColumn("thr", F.least(F.col("iou_thr"), F.lit(1 - 1e-10)))
-    return each.select("iou_thr", "image_id", "category_id", F.explode(F.aggregate("dets", start, lambda acc, d: fold(acc, d, F.col("thr")), lambda acc: acc["out"])).alias("m")).select("iou_thr", "image_id", "category_id", "m.*")
+    spread = groups.select(*at, "dets", thrs).withColumn("thr", F.least(F.col("iou_thr"), F.lit(1 - 1e-10)))
+    folded = F.aggregate("dets", start, lambda acc, d: fold(acc, d, F.col("thr")), lambda acc: acc["out"])
+    return spread.select("iou_thr", *at, F.explode(folded).alias("m")).select("iou_thr", *at, "m.*")
 
 
 def truth_counts(gts: DataFrame, params: EvalParams) -> DataFrame:
-    _, low, high = params.area
-    area = F.col("w") * F.col("h")
-    return gts.filter((F.col("iscrowd") == 0) & (area >= low) & (area <= high)).groupBy("category_id").agg(F.count("*").alias("n_truth"))
+    """(area, category_id, n_truth): ground truth that counts, by area range and class."""
+    ranges = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")) for n, a, b in params.areas]))
+    size = F.col("area") if "area" in gts.columns else F.col("w") * F.col("h")
+    within = gts.filter("iscrowd = 0").select("category_id", size.alias("size"), ranges.alias("range")).filter("size >= range.low and size <= range.high")
+    return within.groupBy(F.col("range.name").alias("area"), "category_id").agg(F.count("*").alias("n_truth"))
 
 
 def precision_recall(matches: DataFrame, truths: DataFrame, *, bins: int = 256) -> DataFrame:
-    """(iou_thr, category_id, score, image_id, rk, recall, precision, envelope) along falling scores.
+    """(area, iou_thr, category_id, det_id, score, image_id, rk, place, recall, precision, envelope) along falling scores.
 
     Ties go by image and rank. Running sums and the envelope (the greatest precision from here on) are made inside bins of
-    the score and carried over by the small table of bins, so that no class has to be in one task.
+    the score and carried over by the small table of bins, so that no class has to be in one task. matches and the running
+    sums are written once and read by what needs them, so that the matching isn't done again.
     """
-    live = matches.filter("not ignored").withColumn("bin", (F.lit(bins - 1) - F.floor(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)) * (bins - 1))).cast("int")).withColumn("tp", F.col("gid").isNotNull().cast("long"))
-    key = ["iou_thr", "category_id"]
+    bin_ = (F.lit(bins - 1) - F.floor(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)) * (bins - 1))).cast("int")
+    live = cut(matches.filter("not ignored").withColumn("bin", bin_).withColumn("tp", F.col("gid").isNotNull().cast("long")), "matches")
     order = [F.desc("score"), F.asc("image_id"), F.asc("rk")]
-    inside = Window.partitionBy(*key, "bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = live.groupBy(*key, "bin").agg(F.sum("tp").alias("b_tp"), F.count("*").alias("b_n"))
-    before = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*key, "bin", F.coalesce(F.sum("b_tp").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("b_n").over(before), F.lit(0)).alias("n0"))
-    placed = live.withColumn("tp_in", F.sum("tp").over(inside)).withColumn("n_in", F.count("*").over(inside)).join(offsets, [*key, "bin"]).join(F.broadcast(truths), "category_id")
+    inside = Window.partitionBy(*KEY, "bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = live.groupBy(*KEY, "bin").agg(F.sum("tp").alias("b_tp"), F.count("*").alias("b_n"))
+    before = Window.partitionBy(*KEY).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*KEY, "bin", F.coalesce(F.sum("b_tp").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("b_n").over(before), F.lit(0)).alias("n0"))
+    counted = live.withColumn("tp_in", F.sum("tp").over(inside)).withColumn("n_in", F.count("*").over(inside))
+    placed = counted.join(offsets, [*KEY, "bin"]).join(F.broadcast(truths), ["area", "category_id"])
     tp, n = F.col("tp_in") + F.col("tp0"), F.col("n_in") + F.col("n0")
-    curve = placed.withColumns({"recall": tp / F.col("n_truth"), "precision": tp / (n + F.lit(2.220446049250313e-16)), "place": n})
-    tops = curve.groupBy(*key, "bin").agg(F.max("precision").alias("b_top"))
-    after = Window.partitionBy(*key).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
-    tails = tops.select(*key, "bin", F.max("b_top").over(after).alias("tail"))
-    back = Window.partitionBy(*key, "bin").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
-    out = curve.withColumn("best_in", F.max("precision").over(back)).join(tails, [*key, "bin"])
-    return out.withColumn("envelope", F.greatest("best_in", "tail")).select(*key, "det_id", "score", "image_id", "rk", "place", "recall", "precision", "envelope")
+    curve = cut(placed.withColumns({"recall": tp / F.col("n_truth"), "precision": tp / (n + F.lit(2.220446049250313e-16)), "place": n}), "curve")
+    tops = curve.groupBy(*KEY, "bin").agg(F.max("precision").alias("b_top"))
+    after = Window.partitionBy(*KEY).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    tails = tops.select(*KEY, "bin", F.max("b_top").over(after).alias("tail"))
+    back = Window.partitionBy(*KEY, "bin").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
+    out = curve.withColumn("best_in", F.max("precision").over(back)).join(tails, [*KEY, "bin"])
+    return out.withColumn("envelope", F.greatest("best_in", "tail")).select(*KEY, "det_id", "score", "image_id", "rk", "place", "recall", "precision", "envelope")
 
 
 def sampled(curve: DataFrame, truths: DataFrame, params: EvalParams) -> DataFrame:
-    """(iou_thr, category_id, rec_thr, precision, score) at recall 0, 1/steps ... 1: of the first point that reaches it, else 0.
-
-    Classes without ground truth give no rows (their cells are undefined).
-    """
+    """(area, iou_thr, category_id, rec_thr, precision, score) at recall 0, 1/steps ... 1: of the first point that reaches it,
+    else 0. Classes without ground truth give no rows (their cells are undefined)."""
     spark, steps = curve.sparkSession, params.recall_steps
-    lead = Window.partitionBy("iou_thr", "category_id").orderBy("recall")
-    points = curve.groupBy("iou_thr", "category_id", "recall").agg(F.min_by(F.struct("envelope", "score"), "place").alias("p"))
+    lead = Window.partitionBy(*KEY).orderBy("recall")
+    points = curve.groupBy(*KEY, "recall").agg(F.min_by(F.struct("envelope", "score"), "place").alias("p"))
     gap = points.withColumn("prev", F.lag("recall").over(lead))
     low = F.when(F.col("prev").isNull(), F.lit(0)).otherwise(F.floor(F.col("prev") * steps + 1e-9) + 1).cast("int")
     high = F.floor(F.col("recall") * steps + 1e-9).cast("int")
-    hit = gap.withColumns({"low": low, "high": high}).filter("low <= high").select("iou_thr", "category_id", F.explode(F.sequence("low", "high")).alias("step"), F.col("p.envelope").alias("precision"), F.col("p.score").alias("score"))
-    grid = F.broadcast(truths.select("category_id")).crossJoin(spark.range(steps + 1).select(F.col("id").cast("int").alias("step"))).withColumn("iou_thr", F.explode(F.array(*[F.lit(float(i)) for i in params.iou])))
+    reached = gap.withColumns({"low": low, "high": high}).filter("low <= high")
+    hit = reached.select(*KEY, F.explode(F.sequence("low", "high")).alias("step"), F.col("p.envelope").alias("precision"), F.col("p.score").alias("score"))
+    every = F.broadcast(truths.select("area", "category_id")).crossJoin(spark.range(steps + 1).select(F.col("id").cast("int").alias("step")))
+    grid = every.withColumn("iou_thr", F.explode(F.array(*[F.lit(float(i)) for i in params.iou])))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-    return grid.join(hit, ["iou_thr", "category_id", "step"], "left").select("iou_thr", "category_id", (F.col("step") / steps).alias("rec_thr"), zero("precision"), zero("score"))
+    return grid.join(hit, [*KEY, "step"], "left").select(*KEY, (F.col("step") / steps).alias("rec_thr"), zero("precision"), zero("score"))
+
+
+def recalls(matches: DataFrame, truths: DataFrame, params: EvalParams, most: tuple[int, ...]) -> DataFrame:
+    """(area, iou_thr, category_id, r<n>...): the share of the ground truth found among each image's n best detections."""
+    found = lambda n: F.count_if(F.col("gid").isNotNull() & ~F.col("ignored") & (F.col("rk") <= n))
+    per = matches.groupBy(*KEY).agg(*(found(n).alias(f"n{n}") for n in most))
+    every = truths.withColumn("iou_thr", F.explode(F.array(*[F.lit(float(i)) for i in params.iou])))
+    share = lambda n: (F.coalesce(F.col(f"n{n}"), F.lit(0)) / F.col("n_truth")).alias(f"r{n}")
+    return every.join(per, KEY, "left").select(*KEY, *(share(n) for n in most))
+
+
+def coco_summary(dets: DataFrame, gts: DataFrame, params: EvalParams = COCO, similar: Column | None = None) -> DataFrame:
+    """One row of the protocol's twelve numbers: mean precision over all thresholds, at .5 and at .75, by area; mean recall
+    with 1, 10 and all detections an image, and by area. The matching is done once."""
+    matches, truths = cut(greedy_match(dets, gts, params, similar), "coco"), cut(truth_counts(gts, params), "truths")
+    samples = sampled(precision_recall(matches, truths), truths, params)
+    mean = lambda c, on: F.avg(F.when(on, F.col(c)))
+    of = lambda name: F.col("area") == name
+    thr = lambda t: of("all") & (F.abs(F.col("iou_thr") - t) < 1e-9)
+    top = params.most_dets
+    precision = {"ap": of("all"), "ap50": thr(0.5), "ap75": thr(0.75), "ap_small": of("small"), "ap_medium": of("medium"), "ap_large": of("large")}
+    recall = {"ar1": ("r1", "all"), "ar10": ("r10", "all"), "ar100": (f"r{top}", "all"), "ar_small": (f"r{top}", "small"), "ar_medium": (f"r{top}", "medium"), "ar_large": (f"r{top}", "large")}
+    one = samples.agg(*(mean("precision", on).alias(n) for n, on in precision.items()))
+    two = recalls(matches, truths, params, (1, 10, top)).agg(*(mean(c, of(name)).alias(n) for n, (c, name) in recall.items()))
+    return one.crossJoin(F.broadcast(two))
 
 
 def operating_points(samples: DataFrame, score_thrs: tuple[float, ...] = (0.2, 0.7)) -> DataFrame:
@@ -131,7 +187,7 @@ def operating_points(samples: DataFrame, score_thrs: tuple[float, ...] = (0.2, 0
 
 
 def evaluate(dets: DataFrame, gts: DataFrame, params: EvalParams) -> DataFrame:
-    truths = truth_counts(gts, params)
+    truths = cut(truth_counts(gts, params), "truths")
     return sampled(precision_recall(greedy_match(dets, gts, params), truths), truths, params)
 
 

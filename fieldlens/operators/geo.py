@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions import geometry as G
+from fieldlens.sources.shared import cut, small
+
 
+def segment_intervals(anchors: DataFrame, n_frames: int | None = None, *, bucket: int = 1 << 16) -> DataFrame:
+    """(anchor_ind, start, stop): an anchor holds from its frame to before the next; the last one to its own frame alone.
 
-def segment_intervals(anchors: DataFrame, n_frames: int | None = None) -> DataFrame:
-    """(anchor_ind, start, stop): an anchor holds from its frame to before the next; the last one to its own frame alone."""
-    ahead = F.lead("obs_ind").over(Window.orderBy("obs_ind"))
-    return anchors.select("anchor_ind", F.col("obs_ind").alias("start"), F.coalesce(ahead, F.lit(n_frames) if n_frames else F.col("obs_ind") + 1).alias("stop"))
+    The next anchor is found inside buckets of frames; past a bucket's end it is the first of the next bucket that has any,
+    from a table with a row for each bucket.
+    """
+    at = anchors.select("anchor_ind", F.col("obs_ind").alias("start"), F.floor(F.col("obs_ind") / bucket).alias("b"))
+    inside = F.lead("start").over(Window.partitionBy("b").orderBy("start"))
+    firsts = at.groupBy("b").agg(F.min("start").alias("least"))
+    beyond = firsts.select("b", F.lead("least").over(Window.orderBy("b")).alias("beyond"))
+    end = F.lit(n_frames) if n_frames else F.col("start") + 1
+    return at.withColumn("next", inside).join(beyond, "b").select("anchor_ind", "start", F.coalesce("next", "beyond", end).alias("stop"))
 
 
 def segment_of(frames: DataFrame, anchors: DataFrame, *, broadcast_rows: int = 10_000) -> DataFrame:
@@ -35,10 +47,11 @@ def segment_of(frames: DataFrame, anchors: DataFrame, *, broadcast_rows: int = 1
 IDENTITY = {"m00": 1.0, "m01": 0.0, "m02": 0.0, "m10": 0.0, "m11": 1.0, "m12": 0.0}
 
 
-def with_warp(frames: DataFrame, warps: DataFrame, last_segment: int) -> DataFrame:
+def with_warp(frames: DataFrame, warps: DataFrame, anchors: DataFrame) -> DataFrame:
     """frames (segment, step) with their warp; the last anchor, which has none, gets the identity, others null."""
-    on = frames.join(warps.select("segment", "step", *IDENTITY), ["segment", "step"], "left")
-    return on.withColumns({n: F.coalesce(F.col(n), F.when(F.col("segment") == last_segment, F.lit(v))) for n, v in IDENTITY.items()})
+    last = anchors.agg(F.max("anchor_ind").alias("__last"))
+    on = frames.join(small(warps.select("segment", "step", *IDENTITY)), ["segment", "step"], "left").join(F.broadcast(last))
+    return on.withColumns({n: F.coalesce(F.col(n), F.when(F.col("segment") == F.col("__last"), F.lit(v))) for n, v in IDENTITY.items()}).drop("__last")
 
 
 def last_warp(warps: DataFrame) -> DataFrame:
@@ -59,9 +72,13 @@ def elevation_at(points: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def resample(cells: DataFrame, width: int, height: int) -> DataFrame:
-    """(xr, yr, elev) on a grid of another size, bilinear between cell centres and clamped at the edges."""
+    """(xr, yr, elev) on a grid of another size, bilinear between cell centres and clamped at the edges.
+
+    The target's rows are dealt out to the tasks, and each task makes the cells of its own.
+    """
     size = cells.agg((F.max("xr") + 1).alias("w"), (F.max("yr") + 1).alias("h"))
-    grid = F.broadcast(size).select("w", "h", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("xr")).withColumn("yr", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+    lines = cells.sparkSession.range(height).select(F.col("id").alias("yr"))
+    grid = lines.withColumn("xr", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).join(F.broadcast(size))
     sx, sy = (F.col("xr") + 0.5) * F.col("w") / width - 0.5, (F.col("yr") + 0.5) * F.col("h") / height - 0.5
     clamp = lambda v, n: F.greatest(F.lit(0), F.least(v, F.col(n) - 1))
     base = grid.withColumns({"fx": sx - F.floor(sx), "fy": sy - F.floor(sy), "ix": F.floor(sx), "iy": F.floor(sy)})
@@ -74,66 +91,258 @@ def resample(cells: DataFrame, width: int, height: int) -> DataFrame:
     return on.groupBy("xr", "yr").agg(F.sum(F.col("weight") * F.col("elev")).alias("elev"))
 
 
-def ground_points(rays: DataFrame, cells: DataFrame, *, guess: float = 90.0, height: float = 1.0, threshold: float = 0.1, most: int = 50, limit_cells: int = 50_000_000) -> DataFrame:
-    """rays (i00..i22, p03, p13, p23, u, v, ...) with x, y, found, mu and elevation of the ground point that they show.
-
-    Along a ray the depth mu doubles from the guess while the point is above the ground, and is halved between the last two
-    sides after that, until the point's height plus height is within threshold of the ground's; indices are clamped into
-    the raster, and x and y are its cell's. At most most + 2 evaluations; found tells whether it came to an end. All rays of
-    a batch advance together. The raster is sent to the tasks whole, after a check of its size: beyond limit_cells this
-    raises, and the area has to be split into tiles.
+@dataclass(frozen=True)
+class Raster:
+    """Cells (xr, yr, elev) and where they lie: the origin and size of a cell, and the offset of the cameras' coordinates."""
+
+    cells: DataFrame
+    x_origin: float = 0.0
+    pixel_width: float = 1.0
+    y_origin: float = 0.0
+    pixel_height: float = 1.0
+    offset: tuple[float, float, float] = (0.0, 0.0, 0.0)
+
+
+@dataclass(frozen=True)
+class Search:
+    """How the ground is looked for along a ray; height is that of the object, and threshold how near is near enough."""
+
+    height: float = 1.0
+    threshold: float = 0.1
+    most: int = 50
+
+
+_INV = [f"i{r}{c}" for r in range(3) for c in range(3)]
+_STATE = "mu double, low double, high double, n int, done boolean, found boolean, gx double, gy double, elevation double"
+_NAMES = [c.split(" ")[0] for c in _STATE.split(", ")]
+
+
+def _started(rays: DataFrame) -> DataFrame:
+    """rays with the search's state before the first look, and with the matrix corrected for the warp at the depth mu0."""
+    moved = {"p03": F.col("p03") - F.col("m02") * F.col("mu0"), "p13": F.col("p13") - F.col("m12") * F.col("mu0")}
+    values = (F.col("mu0"), F.lit(0.0), F.lit(float("nan")), F.lit(0), F.lit(False), F.lit(False), *[F.lit(None).cast("double")] * 3)
+    return rays.withColumns(moved | dict(zip(_NAMES, values, strict=True)))
+
+
+class _Rays:
+    """A batch of rays as arrays, moved on together."""
+
+    def __init__(self, f: pd.DataFrame) -> None:
+        self.inv, self.p4, self.u, self.v = f[_INV].to_numpy(float), f[["p03", "p13", "p23"]].to_numpy(float), f["u"].to_numpy(float), f["v"].to_numpy(float)
+        self.state = {n: f[n].to_numpy(bool if n in ("done", "found") else int if n == "n" else float).copy() for n in _NAMES}
+
+    def cells(self, at: np.ndarray, r: dict, size: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(xr, yr, z) of the points at these rays' depths, indices truncated toward zero and clamped into the raster."""
+        mu, inv, p4 = self.state["mu"][at], self.inv[at], self.p4[at]
+        side = self.u[at] * mu - p4[:, 0], self.v[at] * mu - p4[:, 1], mu - p4[:, 2]
+        x, y, z = (inv[:, 3 * k] * side[0] + inv[:, 3 * k + 1] * side[1] + inv[:, 3 * k + 2] * side[2] + r["offset"][k] for k in range(3))
+        index = lambda v, origin, step, n: np.clip(np.trunc(np.nan_to_num((v - origin) / step)), 0, n - 1).astype(np.int64)
+        return index(x, r["x_origin"], r["pixel_width"], size[0]), index(y, r["y_origin"], r["pixel_height"], size[1]), z
+
+    def advance(self, rows: np.ndarray, grid: np.ndarray, corner: tuple[int, int], r: dict, size: tuple[int, int], how: Search) -> None:
+        """Moves these rays on while their cells lie in the grid, whose first cell is at the corner.
+
+        The depth doubles while the point is above the ground, and is halved between the last two sides after that. A search
+        ends when it is near enough, or unfound after the look that follows most moves.
+        """
+        s = self.state
+        while True:
+            rows = rows[~s["done"][rows]]
+            xr, yr, z = self.cells(rows, r, size)
+            i, j = yr - corner[1], xr - corner[0]
+            here = (i >= 0) & (i < grid.shape[0]) & (j >= 0) & (j < grid.shape[1])
+            if not here.any():
+                return
+            live, ground = rows[here], grid[i[here], j[here]]
+            gap = z[here] + how.height - ground
+            spent = s["n"][live] > how.most
+            near = ~spent & (np.abs(gap) <= how.threshold)
+            go = ~spent & ~near
+            up, down = live[go & (gap > 0)], live[go & ~(gap > 0)]
+            s["low"][up], s["high"][down] = s["mu"][up], s["mu"][down]
+            s["mu"][up] = np.where(np.isnan(s["high"][up]), s["mu"][up] * 2, (s["mu"][up] + s["high"][up]) / 2)
+            s["mu"][down] = (s["low"][down] + s["mu"][down]) / 2
+            s["n"][live] += go
+            s["done"][live], s["found"][live], s["elevation"][live] = ~go, near, ground
+            s["gx"][live], s["gy"][live] = xr[here] * r["pixel_width"] + r["x_origin"], yr[here] * r["pixel_height"] + r["y_origin"]
+
+
+def _advance(f: pd.DataFrame, grid: np.ndarray, corner: tuple[int, int], r: dict, size: tuple[int, int], how: Search) -> pd.DataFrame:
+    rays = _Rays(f)
+    rays.advance(np.arange(len(f)), grid, corner, r, size, how)
+    return f.assign(**rays.state)
+
+
+def _whole_grid(cells: DataFrame, size: tuple[int, int]) -> np.ndarray:
+    """The raster as an array; cells that aren't there have the least elevation."""
+    got = cells.select("xr", "yr", "elev").toArrow()
+    grid = np.full((size[1], size[0]), np.nan)
+    grid[got["yr"].to_numpy(), got["xr"].to_numpy()] = got["elev"].to_numpy()
+    return np.where(np.isnan(grid), np.nanmin(grid) if len(got) else 0.0, grid)
+
+
+def _sized(raster: Raster) -> tuple[tuple[int, int], int, float]:
+    size = raster.cells.agg(F.max("xr"), F.max("yr"), F.count("*"), F.min("elev")).first()
+    return ((size[0] or 0) + 1, (size[1] or 0) + 1), size[2], size[3] or 0.0
+
+
+def ground_points(rays: DataFrame, raster: Raster, how: Search = Search(), *, limit_cells: int = 4_000_000, tile: int = 256) -> DataFrame:
+    """rays (i00..i22, p03, p13, p23, m02, m12, u, v, mu0, ...) with gx, gy, found, mu and elevation of the ground they show.
+
+    The search begins at the depth mu0; gx and gy are world coordinates of the cell that it ended in. A raster of up to
+    limit_cells goes to the tasks whole. A larger one stays in tiles, and rays travel: each round brings a ray together with
+    the tile of its cell and moves it on until it is done or leaves the tile; rays that look at one tile are dealt out to
+    several tasks, and each round is written to the shared folder. A stream needs a raster within the limit.
     """
-    size = cells.agg(F.max("xr"), F.max("yr"), F.count("*")).first()
-    if (size[2] or 0) > limit_cells:
-        raise ValueError(f"a raster of {size[2]} cells: split the area into tiles of at most {limit_cells}")
-    grid = np.full(((size[1] or 0) + 1, (size[0] or 0) + 1), np.nan)
-    for part in cells.select("xr", "yr", "elev").toPandas().itertuples(index=False):
-        grid[part.yr, part.xr] = part.elev
-    grid = np.where(np.isnan(grid), np.nanmin(grid) if size[2] else 0, grid)
-    sent = rays.sparkSession.sparkContext.broadcast(grid)
-    columns = rays.columns
-
-    def run(frames):
+    size, n, least = _sized(raster)
+    r = {k: getattr(raster, k) for k in ("x_origin", "pixel_width", "y_origin", "pixel_height", "offset")}
+    state = _started(rays)
+    kinds = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in state.schema)
+    drop = ["low", "high", "n", "done"]
+    if n <= limit_cells:
+        sent = rays.sparkSession.sparkContext.broadcast(_whole_grid(raster.cells, size))
+
+        def run(frames):
+            for f in frames:
+                yield _advance(f, sent.value, (0, 0), r, size, how)
+
+        return state.mapInPandas(run, kinds).drop(*drop)
+    if rays.isStreaming:
+        raise ValueError(f"a raster of {n} cells is too large for a stream: place its rows batch by batch")
+    return _by_tiles(state, raster.cells, kinds, r, size, least, how, tile).drop(*drop)
+
+
+def _by_tiles(state: DataFrame, cells: DataFrame, kinds: str, r: dict, size: tuple[int, int], least: float, how: Search, tile: int, *, rays_a_task: int = 50_000) -> DataFrame:
+    columns = state.columns
+    packed = cells.select(F.floor(F.col("xr") / tile).alias("tx"), F.floor(F.col("yr") / tile).alias("ty"), "xr", "yr", "elev")
+
+    def look(frames):
         for f in frames:
-            g = sent.value
-            inv = f[[f"i{r}{c}" for r in range(3) for c in range(3)]].to_numpy(float).reshape(-1, 3, 3)
-            p4 = f[["p03", "p13", "p23"]].to_numpy(float)
-            uv1 = np.column_stack([f["u"], f["v"], np.ones(len(f))])
-            mu, low, high = np.full(len(f), float(guess)), np.zeros(len(f)), np.full(len(f), np.nan)
-            found, xs, ys, elev = np.zeros(len(f), bool), np.zeros(len(f)), np.zeros(len(f)), np.zeros(len(f))
-            for _ in range(most + 2):
-                live = ~found
-                if not live.any():
-                    break
-                at = np.einsum("nij,nj->ni", inv[live], uv1[live] * mu[live, None] - p4[live])
-                xr = np.clip(np.nan_to_num(at[:, 0]).astype(np.int64), 0, g.shape[1] - 1)
-                yr = np.clip(np.nan_to_num(at[:, 1]).astype(np.int64), 0, g.shape[0] - 1)
-                ground = g[yr, xr]
-                gap = at[:, 2] + height - ground
-                where = np.flatnonzero(live)
-                xs[where], ys[where], elev[where] = xr, yr, ground
-                done = np.abs(gap) <= threshold
-                found[where[done]] = True
-                above = where[(gap > 0) & ~done]
-                below = where[(gap <= 0) & ~done]
-                low[above] = mu[above]
-                high[below] = mu[below]
-                open_end = np.isnan(high[above])
-                mu[above] = np.where(open_end, mu[above] * 2, (low[above] + high[above]) / 2)
-                mu[below] = (low[below] + high[below]) / 2
-            yield pd.concat([f[columns].reset_index(drop=True), pd.DataFrame({"gx": xs, "gy": ys, "found": found, "mu": mu, "elevation": elev})], axis=1)
-
-    kinds = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in rays.schema)
-    return rays.mapInPandas(run, f"{kinds}, gx double, gy double, found boolean, mu double, elevation double")
-
-
-def camera_rays(frames: DataFrame, cameras: DataFrame, mu: float) -> DataFrame:
-    """frames (segment, warp, col_px, row_px) as rays: the camera's matrix corrected for the warp, the pixel turned by it."""
-    on = frames.join(F.broadcast(cameras.withColumnRenamed("anchor_ind", "segment")), "segment")
+            xr, yr, _ = _Rays(f).cells(np.arange(len(f)), r, size)
+            yield f.assign(tx=xr // tile, ty=yr // tile)
+
+    def move(key, mine, grid_rows):
+        if not len(mine):
+            return mine[columns]
+        grid = np.full((tile, tile), least)
+        grid[grid_rows["yr"] % tile, grid_rows["xr"] % tile] = grid_rows["elev"]
+        edge = (min(tile, size[0] - int(key[0]) * tile), min(tile, size[1] - int(key[1]) * tile))
+        return _advance(mine[columns], grid[: edge[1], : edge[0]], (int(key[0]) * tile, int(key[1]) * tile), r, size, how)[columns]
+
+    live, ended = cut(state, "rays"), []
+    while not live.isEmpty():
+        at = live.mapInPandas(look, f"{kinds}, tx long, ty long")
+        at = cut(at, "rays-at")
+        parts = cut(at.groupBy("tx", "ty").agg(F.ceil(F.count("*") / rays_a_task).alias("parts")), "rays-tiles")
+        mine = at.join(parts, ["tx", "ty"]).withColumn("part", F.expr(f"pmod(xxhash64({', '.join(f'`{c}`' for c in columns)}), parts)"))
+        theirs = packed.join(parts.select("tx", "ty", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")), ["tx", "ty"])
+        moved = cut(mine.groupBy("tx", "ty", "part").cogroup(theirs.groupBy("tx", "ty", "part")).applyInPandas(move, kinds), "rays-moved")
+        ended.append(moved.filter("done"))
+        live = moved.filter("not done")
+    return reduce(DataFrame.unionByName, ended) if ended else state
+
+
+def ground_points_carried(rays: DataFrame, raster: Raster, how: Search = Search(), *, by: str = "observation_id", order: str = "obs_ind", limit_cells: int = 50_000_000) -> DataFrame:
+    """As ground_points, but the mean depth found in a frame is where the search of the next frame's rays begins.
+
+    Frames follow one another, so an observation is gone through in one task, a frame at a time; only the frame at hand is
+    held. Observations run side by side. The raster goes to the tasks whole, which limit_cells bounds: a chain of frames
+    can't wait for tiles, and beyond the limit this raises.
+    """
+    size, n, _ = _sized(raster)
+    if n > limit_cells:
+        raise ValueError(f"a raster of {n} cells: split the area, or search from a fixed depth (ground_points)")
+    r = {k: getattr(raster, k) for k in ("x_origin", "pixel_width", "y_origin", "pixel_height", "offset")}
+    sent = rays.sparkSession.sparkContext.broadcast(_whole_grid(raster.cells, size))
+    raw = rays.withColumns({"__p03": F.col("p03"), "__p13": F.col("p13")})
+    state = _started(raw)
+    kinds = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in state.schema)
+
+    def run(batches):
+        carried: tuple = (None, 0.0)  # the observation, and the depth that its last frame gave
+
+        def frames(f: pd.DataFrame) -> pd.DataFrame:
+            """f holds whole frames."""
+            nonlocal carried
+            rays, who, when, warp = _Rays(f), f[by].to_numpy(), f[order].to_numpy(), f[["m02", "m12"]].to_numpy(float)
+            raw = f[["__p03", "__p13"]].to_numpy(float)
+            edges = np.r_[0, np.flatnonzero((who[1:] != who[:-1]) | (when[1:] != when[:-1])) + 1, len(f)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                rows, mu = np.arange(a, b), carried[1] if carried[0] == who[a] else 0.0
+                if mu:
+                    rays.state["mu"][rows] = mu
+                    rays.p4[rows, :2] = raw[rows] - warp[rows] * mu
+                rays.advance(rows, sent.value, (0, 0), r, size, how)
+                carried = who[a], float(rays.state["mu"][rows].mean()) or mu
+            return f.assign(**rays.state)
+
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = (held[by] == held[by].iloc[-1]) & (held[order] == held[order].iloc[-1]) if len(held) else None
+            if last is not None and not last.all():
+                yield frames(held[~last])
+                held = held[last].reset_index(drop=True)
+        if held is not None and len(held):
+            yield frames(held)
+
+    out = state.repartition(F.col(by)).sortWithinPartitions(by, order).mapInPandas(run, kinds)
+    return out.drop("low", "high", "n", "done", "__p03", "__p13")
+
+
+def camera_rays(frames: DataFrame, cameras: DataFrame, mu: Column | float, *, height_px: int = 480) -> DataFrame:
+    """frames (segment, warp, col_px, row_px) as rays: the camera's matrix and inverse, the pixel (v counts up from the
+    lower edge) turned by the warp, and the depth mu0 at which the search begins."""
+    on = frames.join(small(cameras.withColumnRenamed("anchor_ind", "segment")), "segment")
     inv = G.inverse3([F.col(f"p{r}{c}") for r in range(3) for c in range(3)])
-    turned = {"u": F.col("m00") * F.col("col_px") + F.col("m01") * F.col("row_px"), "v": F.col("m10") * F.col("col_px") + F.col("m11") * F.col("row_px")}
-    named = {f"i{r}{c}": inv[3 * r + c] for r in range(3) for c in range(3)}
-    return on.withColumns(turned | named | {"p03": F.col("p03") - F.col("m02") * mu, "p13": F.col("p13") - F.col("m12") * mu})
+    u, v = F.col("col_px"), F.lit(height_px) - F.col("row_px")
+    turned = {"u": F.col("m00") * u + F.col("m01") * v, "v": F.col("m10") * u + F.col("m11") * v}
+    return on.withColumns(turned | dict(zip(_INV, inv, strict=True)) | {"mu0": F.lit(mu) if isinstance(mu, float) else mu})
+
+
+def track_rays(tracks: DataFrame, anchors: DataFrame, warps: DataFrame, cameras: DataFrame, mu: float) -> DataFrame:
+    """The rays of all track points in a segment, by the segment's camera and the step's warp."""
+    return camera_rays(with_warp(segment_of(tracks, anchors), warps, anchors).filter("m00 is not null"), cameras, mu)
+
+
+def segment_errors(tracks: DataFrame, anchors: DataFrame, warps: DataFrame, cameras: DataFrame, raster: Raster, mu: float, how: Search = Search(), **options) -> DataFrame:
+    """(segment, track_id, ex, ey): how far a track's point at the next anchor's frame jumps there.
+
+    It is placed by this segment's last warp, twice (the second time from the mean depth of the first), and by the next
+    anchor's camera from the mean depth of that. Segments before the last anchor have a next one.
+    """
+    starts = anchors.select((F.col("anchor_ind") - 1).alias("segment"), "obs_ind")
+    points = tracks.select("track_id", "obs_ind", "row_px", "col_px").join(small(starts), "obs_ind")
+    old = points.join(small(last_warp(warps).drop("step")), "segment")
+    first = warps.filter("step = 0").select(F.col("segment").alias("__s"), *IDENTITY)
+    ahead = points.withColumn("__s", F.col("segment") + 1).join(small(first), "__s", "left")
+    ahead = ahead.withColumns({n: F.coalesce(F.col(n), F.lit(v)) for n, v in IDENTITY.items()})
+
+    def placed(at: DataFrame, depth: DataFrame | None, camera: Column) -> DataFrame:
+        seeded = at.withColumn("__mu", F.lit(mu)) if depth is None else at.join(small(depth), "segment").withColumnRenamed("depth", "__mu")
+        rays = camera_rays(seeded.withColumnRenamed("segment", "home").withColumn("segment", camera), cameras, F.col("__mu"))
+        got = ground_points(rays, raster, how, **options)
+        return cut(got.select(F.col("home").alias("segment"), "track_id", "gx", "gy", "mu"), "segment-error")
+
+    depth = lambda df: df.groupBy("segment").agg(F.avg("mu").alias("depth"))
+    once = placed(old, None, F.col("home"))
+    twice = placed(old, depth(once), F.col("home"))
+    after = placed(ahead, depth(twice), F.col("home") + 1).select("segment", "track_id", F.col("gx").alias("nx"), F.col("gy").alias("ny"))
+    return twice.join(after, ["segment", "track_id"]).select("segment", "track_id", (F.col("nx") - F.col("gx")).alias("ex"), (F.col("ny") - F.col("gy")).alias("ey"))
+
+
+def step_biases(errors: DataFrame, warps: DataFrame) -> DataFrame:
+    """(segment, track_id, bx, by): each step's share of the segment's error; none in the last segment that has warps."""
+    steps = warps.groupBy("segment").agg(F.count("*").alias("steps"))
+    last = warps.agg(F.max("segment").alias("last"))
+    on = errors.join(small(steps), "segment").join(F.broadcast(last)).filter("segment < last")
+    return on.select("segment", "track_id", *((F.col(e) / F.col("steps")).alias(b) for e, b in (("ex", "bx"), ("ey", "by"))))
+
+
+def with_bias(points: DataFrame, biases: DataFrame) -> DataFrame:
+    """points (segment, track_id, step, gx, gy, ...) with x and y: the ground point and the step's share of the error."""
+    on = points.join(biases, ["segment", "track_id"], "left")
+    return on.withColumns({n: F.col(g) + F.coalesce(F.col(b), F.lit(0.0)) * F.col("step") for n, g, b in (("x", "gx", "bx"), ("y", "gy", "by"))})
 
 
 def anchor_selection(inliers: DataFrame, threshold: int, most_pseudo: int) -> DataFrame:

@@ -15,32 +15,39 @@ from fieldlens.plans.registry import query
 PARAMS = V.EvalParams()
 
 
-def _match_sql(iou: tuple[float, ...], most: int, low: float = 0, high: float = 1e10) -> str:
-    shared = "greatest(0, least(d.x + d.w, g.x + g.w) - greatest(d.x, g.x)) * greatest(0, least(d.y + d.h, g.y + g.h) - greatest(d.y, g.y))"
-    return f"""RECURSIVE thrs AS (SELECT unnest([{', '.join(f'{t}::double' for t in iou)}]) AS iou_thr),
-dets AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, category_id ORDER BY score DESC, det_id) AS rk FROM fx_detections) WHERE rk <= {most}),
-pairs AS (SELECT d.det_id, g.id AS gid, g.iscrowd, CASE WHEN g.iscrowd = 1 OR g.w * g.h < {low} OR g.w * g.h > {high} THEN 0 ELSE 1 END AS counts, ({shared})::double / CASE WHEN g.iscrowd = 1 THEN d.w * d.h ELSE d.w * d.h + g.w * g.h - ({shared}) END AS iou
-  FROM dets d JOIN fx_annotations g USING (image_id, category_id)),
-lists AS (SELECT det_id, list({{'counts': counts, 'iou': iou, 'gid': gid, 'crowd': iscrowd}} ORDER BY counts DESC, iou DESC, gid DESC) AS cands FROM pairs WHERE iou >= {min(iou)} GROUP BY 1),
-rows_ AS (SELECT t.iou_thr, d.image_id, d.category_id, d.det_id, d.score, d.rk, d.w * d.h < {low} OR d.w * d.h > {high} AS outside, list_filter(coalesce(l.cands, []), lambda c: c.iou >= t.iou_thr) AS cands FROM dets d CROSS JOIN thrs t LEFT JOIN lists l USING (det_id)),
-m AS (SELECT iou_thr, image_id, category_id, det_id, score, rk, outside, cands[1] AS b, CASE WHEN len(cands) > 0 THEN [cands[1].gid] ELSE []::bigint[] END AS taken FROM rows_ WHERE rk = 1
-  UNION ALL SELECT r.iou_thr, r.image_id, r.category_id, r.det_id, r.score, r.rk, r.outside, list_filter(r.cands, lambda c: c.crowd = 1 OR NOT list_contains(m.taken, c.gid))[1],
-    CASE WHEN len(list_filter(r.cands, lambda c: c.crowd = 1 OR NOT list_contains(m.taken, c.gid))) > 0 THEN list_append(m.taken, list_filter(r.cands, lambda c: c.crowd = 1 OR NOT list_contains(m.taken, c.gid))[1].gid) ELSE m.taken END
-  FROM m JOIN rows_ r ON r.iou_thr = m.iou_thr AND r.image_id = m.image_id AND r.category_id = m.category_id AND r.rk = m.rk + 1),
-matches AS (SELECT iou_thr, image_id, category_id, det_id, score, rk, b.gid AS gid, coalesce(b.counts = 0, outside) AS ignored FROM m),
-truths AS (SELECT category_id, count(*) AS n_truth FROM fx_annotations WHERE iscrowd = 0 AND w * h >= {low} AND w * h <= {high} GROUP BY 1)"""
+_SHARED = "greatest(0, least(d.x + d.w, g.x + g.w) - greatest(d.x, g.x)) * greatest(0, least(d.y + d.h, g.y + g.h) - greatest(d.y, g.y))"
+_IOU = f"({_SHARED})::double / CASE WHEN g.iscrowd = 1 THEN d.w * d.h ELSE d.w * d.h + g.w * g.h - ({_SHARED}) END"
+
+
+def _match_sql(params: V.EvalParams, like: str = _IOU, dets: str = "fx_detections", truths: str = "fx_annotations") -> str:
+    free = "list_filter(r.cands, lambda c: c.crowd = 1 OR NOT list_contains(m.taken, c.gid))"
+    ranges = ", ".join(f"('{n}', {low}::double, {high}::double)" for n, low, high in params.areas)
+    return f"""RECURSIVE thrs AS (SELECT unnest([{', '.join(f'{t}::double' for t in params.iou)}]) AS iou_thr),
+areas AS (SELECT * FROM (VALUES {ranges}) v(area, low, high)), gts AS (SELECT * EXCLUDE (area), area AS size FROM {truths}),
+dets AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, category_id ORDER BY score DESC, det_id) AS rk FROM {dets}) WHERE rk <= {params.most_dets}),
+pairs AS (SELECT a.area, p.det_id, p.gid, p.iscrowd, CASE WHEN p.iscrowd = 1 OR p.size < a.low OR p.size > a.high THEN 0 ELSE 1 END AS counts, p.iou FROM (
+  SELECT d.det_id, g.id AS gid, g.iscrowd, g.size, {like} AS iou FROM dets d JOIN gts g USING (image_id, category_id)) p, areas a WHERE p.iou >= {min(params.iou)}),
+lists AS (SELECT area, det_id, list({{'counts': counts, 'iou': iou, 'gid': gid, 'crowd': iscrowd}} ORDER BY counts DESC, iou DESC, gid DESC) AS cands FROM pairs GROUP BY 1, 2),
+rows_ AS (SELECT a.area, t.iou_thr, d.image_id, d.category_id, d.det_id, d.score, d.rk, d.w * d.h < a.low OR d.w * d.h > a.high AS outside, list_filter(coalesce(l.cands, []), lambda c: c.iou >= t.iou_thr) AS cands
+  FROM dets d CROSS JOIN thrs t CROSS JOIN areas a LEFT JOIN lists l ON l.area = a.area AND l.det_id = d.det_id),
+m AS (SELECT area, iou_thr, image_id, category_id, det_id, score, rk, outside, cands[1] AS b, CASE WHEN len(cands) > 0 THEN [cands[1].gid] ELSE []::bigint[] END AS taken FROM rows_ WHERE rk = 1
+  UNION ALL SELECT r.area, r.iou_thr, r.image_id, r.category_id, r.det_id, r.score, r.rk, r.outside, {free}[1], CASE WHEN len({free}) > 0 THEN list_append(m.taken, {free}[1].gid) ELSE m.taken END
+  FROM m JOIN rows_ r ON r.area = m.area AND r.iou_thr = m.iou_thr AND r.image_id = m.image_id AND r.category_id = m.category_id AND r.rk = m.rk + 1),
+matches AS (SELECT area, iou_thr, image_id, category_id, det_id, score, rk, b.gid AS gid, coalesce(b.counts = 0, outside) AS ignored FROM m),
+truths AS (SELECT area, category_id, count(*) AS n_truth FROM gts, areas WHERE iscrowd = 0 AND size >= low AND size <= high GROUP BY 1, 2)"""
 
 
 _CURVE = """,
-run AS (SELECT *, sum(CASE WHEN gid IS NOT NULL THEN 1 ELSE 0 END) OVER o AS tp, count(*) OVER o AS place FROM matches JOIN truths USING (category_id) WHERE NOT ignored WINDOW o AS (PARTITION BY iou_thr, category_id ORDER BY score DESC, image_id, rk ROWS UNBOUNDED PRECEDING)),
+run AS (SELECT *, sum(CASE WHEN gid IS NOT NULL THEN 1 ELSE 0 END) OVER o AS tp, count(*) OVER o AS place FROM matches JOIN truths USING (area, category_id) WHERE NOT ignored
+  WINDOW o AS (PARTITION BY area, iou_thr, category_id ORDER BY score DESC, image_id, rk ROWS UNBOUNDED PRECEDING)),
 curve AS (SELECT *, tp::double / n_truth AS recall, tp / (place + 2.220446049250313e-16::double) AS precision FROM run),
-env AS (SELECT *, max(precision) OVER (PARTITION BY iou_thr, category_id ORDER BY place DESC ROWS UNBOUNDED PRECEDING) AS envelope FROM curve)"""
+env AS (SELECT *, max(precision) OVER (PARTITION BY area, iou_thr, category_id ORDER BY place DESC ROWS UNBOUNDED PRECEDING) AS envelope FROM curve)"""
 _SAMPLES = """,
-grid AS (SELECT iou_thr, category_id, k::double / 100 AS rec_thr FROM truths, thrs, range(0, 101) r(k)),
-hits AS (SELECT g.iou_thr, g.category_id, g.rec_thr, arg_min(e.envelope, e.place) AS precision, arg_min(e.score, e.place) AS score FROM grid g JOIN env e ON e.iou_thr = g.iou_thr AND e.category_id = g.category_id AND e.recall >= g.rec_thr - 1e-11 GROUP BY ALL),
-samples AS (SELECT g.iou_thr, g.category_id, g.rec_thr, coalesce(h.precision, 0) AS precision, coalesce(h.score, 0) AS score FROM grid g LEFT JOIN hits h USING (iou_thr, category_id, rec_thr))"""
-_THREE = f"WITH {_match_sql(PARAMS.iou, PARAMS.most_dets)}"
-_COCO = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
+grid AS (SELECT area, iou_thr, category_id, k::double / 100 AS rec_thr FROM truths, thrs, range(0, 101) r(k)),
+hits AS (SELECT g.area, g.iou_thr, g.category_id, g.rec_thr, arg_min(e.envelope, e.place) AS precision, arg_min(e.score, e.place) AS score FROM grid g
+  JOIN env e ON e.area = g.area AND e.iou_thr = g.iou_thr AND e.category_id = g.category_id AND e.recall >= g.rec_thr - 1e-11 GROUP BY ALL),
+samples AS (SELECT g.area, g.iou_thr, g.category_id, g.rec_thr, coalesce(h.precision, 0) AS precision, coalesce(h.score, 0) AS score FROM grid g LEFT JOIN hits h USING (area, iou_thr, category_id, rec_thr))"""
+_THREE = f"WITH {_match_sql(PARAMS)}"
 
 
 @query("det_prepare", "SELECT det_id, image_id, x, y, x + w - x AS w, y + h - y AS h FROM fx_detections")
@@ -89,25 +96,42 @@ def report(t):
     return V.operating_points(V.evaluate(t.detections, t.annotations, PARAMS)).withColumn("precision", F.round("precision", 6))
 
 
-_AREAS = {"all": (0.0, 1e10), "small": (0.0, 1024.0), "medium": (1024.0, 9216.0), "large": (9216.0, 1e10)}
+def _recall_sql(n: int) -> str:
+    found = f"SELECT area, iou_thr, category_id, count(*) AS n FROM matches WHERE gid IS NOT NULL AND NOT ignored AND rk <= {n} GROUP BY 1, 2, 3"
+    return f"SELECT area, coalesce(n, 0) / n_truth AS r FROM truths CROSS JOIN thrs LEFT JOIN ({found}) USING (area, iou_thr, category_id)"
 
 
-def _summary_part(name: str, low: float, high: float) -> str:
-    return f"WITH {_match_sql(_COCO, 100, low, high)}{_CURVE}{_SAMPLES} SELECT round(avg(precision), 6) AS ap, (SELECT round(avg(r), 6) FROM (SELECT iou_thr, category_id, coalesce(max(recall), 0) AS r FROM truths CROSS JOIN thrs LEFT JOIN (SELECT iou_thr, category_id, recall FROM env) USING (iou_thr, category_id) GROUP BY 1, 2)) AS ar FROM samples"
+def _summary_sql(params: V.EvalParams, **options) -> str:
+    ap = lambda name, on: f"(SELECT round(avg(precision), 6) FROM samples WHERE {on}) AS {name}"
+    ar = lambda name, n, area: f"(SELECT round(avg(r), 6) FROM ({_recall_sql(n)}) WHERE area = '{area}') AS {name}"
+    parts = [ap("ap", "area = 'all'"), ap("ap50", "area = 'all' AND iou_thr = 0.5"), ap("ap75", "area = 'all' AND iou_thr = 0.75"), *(ap(f"ap_{a}", f"area = '{a}'") for a in ("small", "medium", "large"))]
+    parts += [ar("ar1", 1, "all"), ar("ar10", 10, "all"), ar("ar100", params.most_dets, "all"), *(ar(f"ar_{a}", params.most_dets, a) for a in ("small", "medium", "large"))]
+    return f"WITH {_match_sql(params, **options)}{_CURVE}{_SAMPLES} SELECT {', '.join(parts)}"
 
 
-def _summary(t, low: float, high: float):
-    params = replace(PARAMS, iou=_COCO, most_dets=100, area=("", low, high))
-    truths = V.truth_counts(t.annotations, params)
-    curve = V.precision_recall(V.greedy_match(t.detections, t.annotations, params), truths)
-    ap = V.sampled(curve, truths, params).agg(F.round(F.avg("precision"), 6).alias("ap"))
-    every = truths.select("category_id").withColumn("iou_thr", F.explode(F.array(*[F.lit(i) for i in _COCO])))
-    most = every.join(curve.groupBy("category_id", "iou_thr").agg(F.max("recall").alias("r")), ["category_id", "iou_thr"], "left")
-    return ap.crossJoin(most.agg(F.round(F.avg(F.coalesce("r", F.lit(0.0))), 6).alias("ar")))
+def _rounded(df):
+    return df.select(*(F.round(c, 6).alias(c) for c in df.columns))
+
+
+@query("coco_summary", _summary_sql(V.COCO))
+def coco_summary(t):
+    return _rounded(V.coco_summary(t.detections, t.annotations))
+
+
+def _summary_part(params: V.EvalParams) -> str:
+    return f"WITH {_match_sql(params)}{_CURVE}{_SAMPLES} SELECT (SELECT round(avg(precision), 6) FROM samples) AS ap, (SELECT round(avg(r), 6) FROM ({_recall_sql(params.most_dets)})) AS ar"
 
 
-for _name, (_low, _high) in _AREAS.items():
-    query(f"coco_summary_{_name}", _summary_part(_name, _low, _high))(lambda t, low=_low, high=_high: _summary(t, low, high))
+def _summary(t, params: V.EvalParams):
+    matches, truths = V.cut(V.greedy_match(t.detections, t.annotations, params), "coco"), V.cut(V.truth_counts(t.annotations, params), "truths")
+    ap = V.sampled(V.precision_recall(matches, truths), truths, params).agg(F.round(F.avg("precision"), 6).alias("ap"))
+    found = V.recalls(matches, truths, params, (params.most_dets,))
+    return ap.crossJoin(F.broadcast(found.agg(F.round(F.avg(f"r{params.most_dets}"), 6).alias("ar"))))
+
+
+for _area in V.COCO.areas:
+    _own = replace(V.COCO, areas=(_area,))
+    query(f"coco_summary_{_area[0]}", _summary_part(_own))(lambda t, params=_own: _summary(t, params))
 
 
 @query("val_loss", _THREE + " SELECT round(avg(l), 6) AS loss FROM (SELECT image_id, avg(CASE WHEN gid IS NULL THEN 1 - score ELSE score END) AS l FROM matches WHERE iou_thr = 0.5 GROUP BY 1)")
@@ -117,11 +141,12 @@ def val_loss(t):
     return per.agg(F.round(F.avg("l"), 6).alias("loss"))
 
 
-@query("gt_from_targets", "SELECT image_id, CAST(row_number() OVER (ORDER BY image_id, id) AS BIGINT) AS gt_id, x, y, w, h, category_id, 11::bigint AS num_keypoints FROM fx_annotations")
+@query("gt_from_targets", "SELECT image_id, CAST(row_number() OVER (ORDER BY image_id, id) AS BIGINT) AS gt_id, x, y, w, h, category_id, (SELECT count(*) FROM range(0, 17) r(i) WHERE (i + id) % 3 > 0) AS num_keypoints FROM fx_annotations")
 def gt_from_targets(t):
     from fieldlens.operators import dataset as D
 
-    seen = F.size(F.filter(keypoints(), lambda p: p["v"] > 0)).cast("long")
+    points = F.transform(keypoints(), lambda p: F.struct("id", ((p["v"] + F.col("id")) % 3).alias("v")))
+    seen = F.size(F.filter(points, lambda p: p["v"] > 0)).cast("long")
     return D.renumber_annotations(t.annotations).select("image_id", F.col("new_id").alias("gt_id"), "x", "y", "w", "h", "category_id", seen.alias("num_keypoints"))
 
 
@@ -135,6 +160,32 @@ def oks(t):
     return t.annotations.withColumn("p", keypoints()).select("id", F.round(B.oks(moved, F.col("p"), F.col("area"), SPREAD), 6).alias("oks"))
 
 
+KEYPOINTS = replace(V.COCO, most_dets=20, areas=V.COCO.areas[:1])
+_TERM = f"exp(-(pow(d.points[i].x - g.points[i].x, 2) + pow(d.points[i].y - g.points[i].y, 2)) / (2 * g.size * pow(2 * [{', '.join(map(str, SPREAD))}][i]::double, 2)))"
+_OKS = f"list_avg(list_filter(list_transform(range(1, 18), lambda i: CASE WHEN g.points[i].v > 0 THEN {_TERM} END), lambda v: v IS NOT NULL))"
+_POINTED = {"like": _OKS, "dets": f"(SELECT *, {_POINTS} AS points FROM fx_detections)", "truths": f"(SELECT *, {_POINTS} AS points FROM fx_annotations)"}
+
+
+def _pointed(df):
+    return df.withColumn("points", keypoints())
+
+
+@query("keypoint_match", f"WITH {_match_sql(KEYPOINTS, **_POINTED)} SELECT iou_thr, det_id, gid, ignored FROM matches")
+def keypoint_match(t):
+    """The matching of boxes, with the similarity of key points for the overlap."""
+    return V.greedy_match(_pointed(t.detections), _pointed(t.annotations), KEYPOINTS, V.keypoint_similarity(SPREAD)).select("iou_thr", "det_id", "gid", "ignored")
+
+
+_KEYPOINT_SQL = f"WITH {_match_sql(KEYPOINTS, **_POINTED)}{_CURVE}{_SAMPLES} SELECT iou_thr, round(avg(precision), 6) AS ap FROM samples GROUP BY 1"
+
+
+@query("keypoint_precision", _KEYPOINT_SQL)
+def keypoint_precision(t):
+    truths = V.truth_counts(t.annotations, KEYPOINTS)
+    matches = V.greedy_match(_pointed(t.detections), _pointed(t.annotations), KEYPOINTS, V.keypoint_similarity(SPREAD))
+    return V.sampled(V.precision_recall(matches, truths), truths, KEYPOINTS).groupBy("iou_thr").agg(F.round(F.avg("precision"), 6).alias("ap"))
+
+
 @query("argmax_class", "SELECT image_id, arg_max(category_id, (score, -category_id)) AS category_id, max(score) AS score FROM (SELECT image_id, category_id, max(score) AS score FROM fx_detections WHERE category_id <> 6 GROUP BY 1, 2) GROUP BY 1")
 def argmax(t):
     per = t.detections.filter("category_id <> 6").groupBy("image_id", "category_id").agg(F.max("score").alias("score"))

@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldlens.functions import geometry as G
+from fieldlens.operators.geo import segment_of
 from fieldlens.plans.registry import query
+from fieldlens.sources.shared import small
 
 
 def matrix():
     return [F.col(f"p{r}{c}") for r in range(3) for c in range(4)]
 
 
-_POINTS = "SELECT t.obs_ind AS pid, c.*, t.col_px / 32.0::double AS wx, t.row_px / 48.0::double AS wy, (t.obs_ind % 7)::double AS wz FROM fx_tracks t JOIN fx_cameras c ON c.anchor_ind = t.obs_ind % 25"
+_POINTS = "SELECT t.obs_ind AS pid, c.*, t.col_px / 32.0::double AS wx, t.row_px / 48.0::double AS wy, (t.obs_ind % 7)::double AS wz FROM fx_tracks t JOIN fx_cameras c ON c.anchor_ind = t.obs_ind // 37"
 
 
 def points(t):
     """Track points as world points, each with one of the cameras."""
-    on = t.tracks.join(F.broadcast(t.cameras), F.col("anchor_ind") == F.col("obs_ind") % 25)
+    on = t.tracks.withColumn("camera", F.floor(F.col("obs_ind") / 37)).join(small(t.cameras), F.col("anchor_ind") == F.col("camera"))
     return on.select(F.col("obs_ind").alias("pid"), *t.cameras.columns, (F.col("col_px") / 32.0).alias("wx"), (F.col("row_px") / 48.0).alias("wy"), (F.col("obs_ind") % 7).cast("double").alias("wz"))
 
 
@@ -30,15 +32,19 @@ def world_to_pixel(t):
     return points(t).select("pid", F.round(u, 6).alias("u"), F.round(v, 6).alias("v"))
 
 
-@query("ray_point", f"SELECT pid, round(wx, 5) + 0.0 AS rx, round(wy, 5) + 0.0 AS ry, round(wz, 5) + 0.0 AS rz FROM ({_POINTS})")
+_DEPTH = "p20 * wx + p21 * wy + p22 * wz + p23"
+_BACK = "SELECT pid, u * mu - p03 AS a, v * mu - p13 AS b, mu - p23 AS c, p00, p11, p22, p02, p12 FROM (SELECT *, {} + 12.5 AS mu FROM (SELECT *, {} FROM ({})))".format(_DEPTH, _UV, _POINTS)
+
+
+@query("ray_point", f"SELECT pid, round((a - p02 * c / p22) / p00 + 3.5, 5) + 0.0 AS rx, round((b - p12 * c / p22) / p11 - 2.25, 5) + 0.0 AS ry, round(c / p22 + 0.125, 5) + 0.0 AS rz FROM ({_BACK})")
 def ray_point(t):
-    """A world point to its pixel and, at its depth, back along the ray: where it was."""
+    """A world point to its pixel and, somewhat further off, back along the ray. The SQL solves the triangular matrix of the fixture by substitution."""
     at = points(t)
     u, v = G.world_to_pixel(matrix(), [F.col("wx"), F.col("wy"), F.col("wz")])
     p = matrix()
     mu = p[8] * F.col("wx") + p[9] * F.col("wy") + p[10] * F.col("wz") + p[11]
     inv = G.inverse3([p[4 * r + c] for r in range(3) for c in range(3)])
-    back = G.ray_point(inv, [p[3], p[7], p[11]], u, v, mu)
+    back = G.ray_point(inv, [p[3], p[7], p[11]], u, v, mu + 12.5, (3.5, -2.25, 0.125))
     return at.select("pid", *((F.round(b, 5) + 0.0).alias(n) for b, n in zip(back, ("rx", "ry", "rz"), strict=True)))
 
 
@@ -54,13 +60,13 @@ def raster_to_utm(t):
 
 @query("correct_pmatrix", "SELECT anchor_ind, step, p03 - m02 * 90.0 AS c0, p13 - m12 * 90.0 AS c1 FROM fx_cameras JOIN fx_warps ON segment = anchor_ind")
 def correct(t):
-    on = t.warps.join(F.broadcast(t.cameras), F.col("segment") == F.col("anchor_ind"))
+    on = t.warps.join(small(t.cameras), F.col("segment") == F.col("anchor_ind"))
     return on.select("anchor_ind", "step", (F.col("p03") - F.col("m02") * 90.0).alias("c0"), (F.col("p13") - F.col("m12") * 90.0).alias("c1"))
 
 
-@query("rotate_uv", "SELECT obs_ind, m00 * col_px + m01 * row_px AS ru, m10 * col_px + m11 * row_px AS rv FROM fx_tracks JOIN fx_warps ON segment = obs_ind % 24 AND step = obs_ind % 37")
+@query("rotate_uv", "SELECT obs_ind, m00 * col_px + m01 * row_px AS ru, m10 * col_px + m11 * row_px AS rv FROM fx_tracks t JOIN (SELECT w.*, a.obs_ind + w.step AS frame FROM fx_warps w JOIN fx_anchors a ON a.anchor_ind = w.segment) w ON w.frame = t.obs_ind")
 def rotate(t):
-    on = t.tracks.join(F.broadcast(t.warps), (F.col("segment") == F.col("obs_ind") % 24) & (F.col("step") == F.col("obs_ind") % 37))
+    on = segment_of(t.tracks, t.anchors).join(small(t.warps), ["segment", "step"])
     return on.select("obs_ind", (F.col("m00") * F.col("col_px") + F.col("m01") * F.col("row_px")).alias("ru"), (F.col("m10") * F.col("col_px") + F.col("m11") * F.col("row_px")).alias("rv"))
 
 
@@ -80,11 +86,17 @@ def frame_index(t):
     return t.inliers.filter("frame >= 3").select("frame", F.least(F.floor((F.col("frame") - 3) / 2), F.lit(400)).alias("idx"))
 
 
-@query("polygon_bounds_area", "SELECT id, x AS px, y AS py, w AS pw, h AS ph, (w * h / 2.0)::double AS p_area FROM fx_annotations")
+_RING = "[{'x': x, 'y': y + id % 9}, {'x': x + w, 'y': y}, {'x': x + w - id % 7, 'y': y + h}, {'x': x + w // 2, 'y': y + h + id % 5}, {'x': x, 'y': y + h}]"
+_CROSS = "list_sum(list_transform(range(1, 6), lambda i: ring[i].x * ring[i % 5 + 1].y - ring[i % 5 + 1].x * ring[i].y))"
+_SIDE = "list_{}(list_transform(ring, lambda p: p.{}))"
+
+
+@query("polygon_bounds_area", f"SELECT id, {_SIDE.format('min', 'x')} AS px, {_SIDE.format('min', 'y')} AS py, {_SIDE.format('max', 'x')} - {_SIDE.format('min', 'x')} AS pw, {_SIDE.format('max', 'y')} - {_SIDE.format('min', 'y')} AS ph, abs({_CROSS})::double / 2 AS p_area FROM (SELECT id, {_RING} AS ring FROM fx_annotations)")
 def polygon(t):
-    """Of the triangle on each box's lower left, upper left and upper right corner."""
-    x, y, w, h = (F.col(c) for c in "xywh")
-    ring = F.array(F.struct(x.alias("x"), y.alias("y")), F.struct((x + w).alias("x"), y.alias("y")), F.struct(x.alias("x"), (y + h).alias("y")))
+    """Of a ring of five corners about each box."""
+    x, y, w, h, i = (F.col(c) for c in ("x", "y", "w", "h", "id"))
+    corners = [(x, y + i % 9), (x + w, y), (x + w - i % 7, y + h), (x + F.floor(w / 2), y + h + i % 5), (x, y + h)]
+    ring = F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in corners])
     return t.annotations.select("id", *(c.alias(n) for c, n in zip(G.polygon_bounds_area(ring), ("px", "py", "pw", "ph", "p_area"), strict=True)))
 
 

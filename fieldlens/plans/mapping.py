@@ -10,7 +10,9 @@ from fieldlens.plans.registry import query
 
 _SPANS = "SELECT anchor_ind, obs_ind AS start, coalesce(lead(obs_ind) OVER (ORDER BY obs_ind), obs_ind + 1) AS stop FROM fx_anchors"
 _SEG = f"SELECT t.*, s.anchor_ind AS segment, t.obs_ind - s.start AS step FROM fx_tracks t JOIN ({_SPANS}) s ON t.obs_ind >= s.start AND t.obs_ind < s.stop"
-_WARPED = f"SELECT s.*, coalesce(m00, CASE WHEN s.segment = 24 THEN 1.0::double END) AS m00, coalesce(m02, CASE WHEN s.segment = 24 THEN 0.0::double END) AS m02, coalesce(m12, CASE WHEN s.segment = 24 THEN 0.0::double END) AS m12 FROM ({_SEG}) s LEFT JOIN fx_warps w ON w.segment = s.segment AND w.step = s.step"
+_LAST = "s.segment = (SELECT max(anchor_ind) FROM fx_anchors)"
+_IDENTITY = ", ".join(f"coalesce({n}, CASE WHEN {_LAST} THEN {v}::double END) AS {n}" for n, v in O.IDENTITY.items())
+_WARPED = f"SELECT s.*, {_IDENTITY} FROM ({_SEG}) s LEFT JOIN fx_warps w ON w.segment = s.segment AND w.step = s.step"
 
 
 @query("segment_interval", _SPANS)
@@ -35,7 +37,7 @@ def step(t):
 
 @query("warp_lookup", f"SELECT obs_ind, segment, step, m00, m02, m12 FROM ({_WARPED})")
 def warp(t):
-    return O.with_warp(O.segment_of(t.tracks, t.anchors), F.broadcast(t.warps), 24).select("obs_ind", "segment", "step", "m00", "m02", "m12")
+    return O.with_warp(O.segment_of(t.tracks, t.anchors), t.warps, t.anchors).select("obs_ind", "segment", "step", "m00", "m02", "m12")
 
 
 @query("last_warp", "SELECT segment, max(step) AS step, arg_max(m02, step) AS m02, arg_max(m12, step) AS m12 FROM fx_warps GROUP BY 1")
@@ -87,7 +89,7 @@ def clean_anchors(t):
     return t.anchors.join(t.cameras.filter(F.col("anchor_ind") % 3 != 0), "image_name", "left_semi").select("anchor_ind")
 
 
-_LOG = "SELECT event_id, event_id % 2 = 0 AND (event_id < 25 AND event_id % 3 <> 0) AS used_in_map, event_id % 4 = 0 AND (event_id < 25 AND event_id % 3 <> 0) AS test_frame FROM events"
+_LOG = "SELECT event_id, event_id % 2 = 0 AND (event_id <= (SELECT max(anchor_ind) FROM fx_anchors) AND event_id % 3 <> 0) AS used_in_map, event_id % 4 = 0 AND (event_id <= (SELECT max(anchor_ind) FROM fx_anchors) AND event_id % 3 <> 0) AS test_frame FROM events"
 
 
 @query("clean_flight_log", _LOG)
@@ -139,54 +141,111 @@ def chain(t):
     return O.warp_chain(t.warps)
 
 
-@query("position_utm", f"SELECT obs_ind, segment, step, round((col_px + m02 * 90.0) / 100.0, 4) AS ux, round((row_px - m12 * 90.0) / 100.0, 4) AS uy FROM ({_WARPED}) WHERE m00 IS NOT NULL")
-def position(t):
-    on = O.with_warp(O.segment_of(t.tracks, t.anchors), F.broadcast(t.warps), 24).filter("m00 is not null")
-    return on.select("obs_ind", "segment", "step", F.round((F.col("col_px") + F.col("m02") * 90.0) / 100.0, 4).alias("ux"), F.round((F.col("row_px") - F.col("m12") * 90.0) / 100.0, 4).alias("uy"))
+GUESS = 30.0
+GEO = {"x_origin": 499990.137, "pixel_width": 1.7, "y_origin": 4100011.31, "pixel_height": -0.53, "offset": (500000.0, 4100000.0, 5.0371)}
+
+
+def raster(t) -> O.Raster:
+    return O.Raster(O.fill_nodata(t.elevation), **GEO)
+
+
+def _rays(t):
+    return O.track_rays(t.tracks, t.anchors, t.warps, t.cameras.drop("image_name"), GUESS)
+
+
+_P = [f"p{r}{c}" for r in range(3) for c in range(3)]
+_COFACTORS = ("p11*p22-p12*p21", "p02*p21-p01*p22", "p01*p12-p02*p11", "p12*p20-p10*p22", "p00*p22-p02*p20", "p02*p10-p00*p12", "p10*p21-p11*p20", "p01*p20-p00*p21", "p00*p11-p01*p10")
+_DET = "p00*(p11*p22-p12*p21) - p01*(p10*p22-p12*p20) + p02*(p10*p21-p11*p20)"
+_INVERSE = ", ".join(f"({c}) / ({_DET}) AS i{k // 3}{k % 3}" for k, c in enumerate(_COFACTORS))
+_CELLS = "filled AS (SELECT xr, yr, CASE WHEN elev = -10000 THEN (SELECT min(elev) FROM fx_elevation WHERE elev <> -10000) ELSE elev END AS elev FROM fx_elevation), ends AS (SELECT max(xr) AS mx, max(yr) AS my, min(elev) AS least FROM filled)"
 
 
-def _utm(t, guess: float = 90.0):
-    cells = O.fill_nodata(t.elevation)
-    frames = O.with_warp(O.segment_of(t.tracks, t.anchors), F.broadcast(t.warps), 24).filter("m00 is not null")
-    return O.ground_points(O.camera_rays(frames, t.cameras.drop("image_name"), guess), cells, guess=guess)
+def _ray_sql(points: str, camera: str) -> str:
+    """Rays of points (key columns, row_px, col_px, m00 .. m12, mu0) by the camera of an expression."""
+    turned = "m00*col_px + m01*(480 - row_px) AS u, m10*col_px + m11*(480 - row_px) AS v"
+    return f"SELECT p.*, {turned}, {_INVERSE}, p03 - m02*mu0 AS q0, p13 - m12*mu0 AS q1, p23 AS q2 FROM ({points}) p JOIN (SELECT * EXCLUDE (image_name) FROM fx_cameras) c ON c.anchor_ind = {camera}"
 
 
-@query("ray_ground_search")
+def _search_sql(name: str, rays: str, key: str) -> str:
+    """CTEs that end in {name}, the rays' last looks: key, mu, gx, gy, found, elev. A row of {name}_s is a look."""
+    x, y, z = (f"(i{k}0*(u*mu - q0) + i{k}1*(v*mu - q1) + i{k}2*(mu - q2) + {GEO['offset'][k]}::double)" for k in range(3))
+    at = f"greatest(0, least(trunc(({x} - {GEO['x_origin']}::double) / {GEO['pixel_width']}::double)::bigint, mx)) AS xr, greatest(0, least(trunc(({y} - {GEO['y_origin']}::double) / {GEO['pixel_height']}::double)::bigint, my)) AS yr, {z} AS z"
+    look = lambda source: f"SELECT {key}, mu, low, high, n, xr, yr, coalesce(elev, least) AS elev, z + 1.0 - coalesce(elev, least) AS gap FROM (SELECT *, {at} FROM ({source}), ends) LEFT JOIN filled USING (xr, yr)"
+    on = " AND ".join(f"r.{k} = s.{k}" for k in key.split(", "))
+    first = f"SELECT r.*, mu0 AS mu, 0.0::double AS low, NULL::double AS high, 0 AS n FROM {name}_r r"
+    moved = "CASE WHEN gap > 0 AND s.high IS NULL THEN s.mu * 2 WHEN gap > 0 THEN (s.mu + s.high) / 2 ELSE (s.low + s.mu) / 2 END AS mu, CASE WHEN gap > 0 THEN s.mu ELSE s.low END AS low, CASE WHEN gap > 0 THEN s.high ELSE s.mu END AS high, s.n + 1 AS n"
+    then = f"SELECT r.*, {moved} FROM {name}_s s JOIN {name}_r r ON {on} WHERE s.n <= 50 AND abs(gap) > 0.1"
+    place = f"xr * {GEO['pixel_width']}::double + {GEO['x_origin']}::double AS gx, yr * {GEO['pixel_height']}::double + {GEO['y_origin']}::double AS gy"
+    last = f"SELECT {key}, mu, {place}, n <= 50 AND abs(gap) <= 0.1 AS found, elev FROM {name}_s QUALIFY n = max(n) OVER (PARTITION BY {key})"
+    return f"{name}_r AS ({rays}), {name}_s AS ({look(first)} UNION ALL {look(then)}), {name} AS ({last})"
+
+
+_GROUND = f"WITH RECURSIVE {_CELLS}, {_search_sql('g', _ray_sql(f'SELECT *, {GUESS}::double AS mu0 FROM ({_WARPED}) WHERE m00 IS NOT NULL', 'p.segment'), 'obs_ind, track_id, segment, step')}"
+_FOUND = "SELECT obs_ind, track_id, segment, round(gx, 4) AS gx, round(gy, 4) AS gy, found, round(mu, 6) AS mu, elev AS elevation FROM g"
+
+
+def _places(df):
+    return df.select("obs_ind", "track_id", "segment", F.round("gx", 4).alias("gx"), F.round("gy", 4).alias("gy"), "found", F.round("mu", 6).alias("mu"), "elevation")
+
+
+@query("ray_ground_search", f"{_GROUND} {_FOUND}")
 def ground(t):
-    return _utm(t).select("obs_ind", "track_id", "segment", "gx", "gy", "found", F.round("mu", 6).alias("mu"), "elevation")
+    return _places(O.ground_points(_rays(t), raster(t)))
 
 
-@query("tracks_to_utm")
-def tracks_to_utm(t):
-    """Every track point on the map, with the step's share of the segment's jump to the next anchor added."""
-    got = _utm(t).filter("found").select("track_id", "obs_ind", "segment", "step", "gx", "gy")
-    length = O.segment_intervals(t.anchors).select(F.col("anchor_ind").alias("segment"), (F.col("stop") - F.col("start")).alias("length"))
-    error = _segment_error(t).select("segment", "ex", "ey")
-    on = got.join(F.broadcast(length), "segment").join(F.broadcast(error), "segment", "left")
-    add = lambda g, e: F.col(g) + F.coalesce(F.col(e), F.lit(0.0)) * F.col("step") / F.col("length")
-    return on.select("track_id", "obs_ind", add("gx", "ex").alias("x"), add("gy", "ey").alias("y"))
-
-
-def _segment_error(t):
-    """Mean jump of the points at a boundary frame: by the next anchor, less by this one's last warp."""
-    starts = t.anchors.select(F.col("anchor_ind").alias("next"), "obs_ind").withColumn("segment", F.col("next") - 1)
-    points = t.tracks.select("track_id", "obs_ind", "row_px", "col_px").join(F.broadcast(starts), "obs_ind")
-    cams, cells = t.cameras.drop("image_name"), O.fill_nodata(t.elevation)
-    names = list(O.IDENTITY)
-    old = points.join(F.broadcast(O.last_warp(t.warps).drop("step")), "segment")
-    new = points.withColumn("segment", F.col("next")).withColumns({n: F.lit(v) for n, v in O.IDENTITY.items()})
-    place = lambda df, x, y: O.ground_points(O.camera_rays(df.select("track_id", "next", "segment", "row_px", "col_px", *names), cams, 90.0), cells).filter("found").select("track_id", "next", F.col("gx").alias(x), F.col("gy").alias(y))
-    on = place(old, "ox", "oy").join(place(new, "nx", "ny"), ["track_id", "next"])
-    return on.groupBy((F.col("next") - 1).alias("segment")).agg(F.avg(F.col("nx") - F.col("ox")).alias("ex"), F.avg(F.col("ny") - F.col("oy")).alias("ey"), F.count("*").alias("n"))
-
-
-@query("segment_error")
+@query("ray_ground_search_tiled", f"{_GROUND} {_FOUND}")
+def ground_tiled(t):
+    """The same with a raster that stays in tiles."""
+    return _places(O.ground_points(_rays(t), raster(t), limit_cells=0, tile=16))
+
+
+@query("position_utm", f"{_GROUND} SELECT obs_ind, track_id, round(gx, 4) AS x, round(gy, 4) AS y FROM g WHERE track_id % 7 = 3 AND found")
+def position(t):
+    """The places of some tracks, without the correction of segments."""
+    tracks = t.tracks.filter(F.col("track_id") % 7 == 3)
+    got = O.ground_points(O.track_rays(tracks, t.anchors, t.warps, t.cameras.drop("image_name"), GUESS), raster(t))
+    return got.filter("found").select("obs_ind", "track_id", F.round("gx", 4).alias("x"), F.round("gy", 4).alias("y"))
+
+
+_ENDS = "SELECT segment, arg_max(m00, step) AS m00, arg_max(m01, step) AS m01, arg_max(m02, step) AS m02, arg_max(m10, step) AS m10, arg_max(m11, step) AS m11, arg_max(m12, step) AS m12 FROM fx_warps GROUP BY 1"
+_JUMP = "SELECT t.track_id, t.row_px, t.col_px, a.anchor_ind - 1 AS segment FROM fx_tracks t JOIN fx_anchors a USING (obs_ind) WHERE a.anchor_ind > 0"
+_OLD = f"SELECT j.*, e.* EXCLUDE (segment) FROM ({_JUMP}) j JOIN ({_ENDS}) e USING (segment)"
+_AHEAD = f"SELECT j.*, {', '.join(f'coalesce(w.{n}, {v}::double) AS {n}' for n, v in O.IDENTITY.items())} FROM ({_JUMP}) j LEFT JOIN fx_warps w ON w.segment = j.segment + 1 AND w.step = 0"
+_SEEDED = "SELECT p.*, d.mu0 FROM ({}) p JOIN (SELECT segment, avg(mu) AS mu0 FROM {} GROUP BY 1) d USING (segment)"
+_JUMPS = ", ".join(
+    [
+        _search_sql("e1", _ray_sql(f"SELECT *, {GUESS}::double AS mu0 FROM ({_OLD})", "p.segment"), "segment, track_id"),
+        _search_sql("e2", _ray_sql(_SEEDED.format(_OLD, "e1"), "p.segment"), "segment, track_id"),
+        _search_sql("e3", _ray_sql(_SEEDED.format(_AHEAD, "e2"), "p.segment + 1"), "segment, track_id"),
+        "errors AS (SELECT segment, track_id, e3.gx - e2.gx AS ex, e3.gy - e2.gy AS ey FROM e2 JOIN e3 USING (segment, track_id))",
+        'biases AS (SELECT segment, track_id, ex / n AS bx, ey / n AS "by" FROM errors JOIN (SELECT segment, count(*) AS n FROM fx_warps GROUP BY 1) USING (segment) WHERE segment < (SELECT max(segment) FROM fx_warps))',
+    ]
+)
+
+
+def _errors(t):
+    return O.segment_errors(t.tracks, t.anchors, t.warps, t.cameras.drop("image_name"), raster(t), GUESS)
+
+
+@query("segment_error", f"WITH RECURSIVE {_CELLS}, {_JUMPS} SELECT segment, track_id, round(ex, 4) + 0.0 AS ex, round(ey, 4) + 0.0 AS ey FROM errors")
 def segment_error(t):
-    return _segment_error(t)
+    return _errors(t).select("segment", "track_id", *((F.round(c, 4) + 0.0).alias(c) for c in ("ex", "ey")))
 
 
-@query("step_bias")
+@query("step_bias", f'WITH RECURSIVE {_CELLS}, {_JUMPS} SELECT segment, track_id, round(bx, 6) + 0.0 AS bx, round("by", 6) + 0.0 AS "by" FROM biases')
 def step_bias(t):
-    length = O.segment_intervals(t.anchors).select(F.col("anchor_ind").alias("segment"), (F.col("stop") - F.col("start")).alias("length"))
-    on = length.join(_segment_error(t), "segment", "left")
-    return on.select("segment", *(F.coalesce(F.col(e) / F.col("length"), F.lit(0.0)).alias(b) for e, b in (("ex", "bx"), ("ey", "by"))))
+    return O.step_biases(_errors(t), t.warps).select("segment", "track_id", *((F.round(c, 6) + 0.0).alias(c) for c in ("bx", "by")))
+
+
+@query("tracks_to_utm", f'{_GROUND}, {_JUMPS} SELECT track_id, obs_ind, found, round(gx + coalesce(bx, 0) * step, 4) AS x, round(gy + coalesce("by", 0) * step, 4) AS y FROM g LEFT JOIN biases USING (segment, track_id)')
+def tracks_to_utm(t):
+    """Every track point on the map, with its steps' share of the jump to the next anchor."""
+    got = O.with_bias(O.ground_points(_rays(t), raster(t)), O.step_biases(_errors(t), t.warps))
+    return got.select("track_id", "obs_ind", "found", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query("tracks_to_utm_carry")
+def tracks_to_utm_carry(t):
+    """With the depth carried from frame to frame; the frames of the fixture hold a point each."""
+    got = O.ground_points_carried(_rays(t), raster(t))
+    return got.select("track_id", "obs_ind", "found", F.round("gx", 4).alias("x"), F.round("gy", 4).alias("y"), F.round("mu", 6).alias("mu"))

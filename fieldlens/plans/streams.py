@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldlens.operators import geo as O
-from fieldlens.plans.mapping import _SEL
+from fieldlens.plans.mapping import _GROUND, _SEL, GUESS, raster
 from fieldlens.plans.registry import query
 from fieldlens.plans.tracking import frames
 from fieldlens.streaming import operators as X
@@ -54,9 +54,8 @@ def monitor(t):
     return X.drained(X.anchor_monitor(X.source(t.spark, t.inliers, "monitor", order="frame"), 100, 10), "monitor")
 
 
-@query("stream_to_utm")
+@query("stream_to_utm", f"{_GROUND} SELECT track_id, obs_ind, segment, round(gx, 4) AS gx, round(gy, 4) AS gy, found FROM g")
 def to_utm(t):
     stream = X.source(t.spark, t.tracks.select("track_id", "obs_ind", "row_px", "col_px"), "utm", files=4)
-    placed = O.with_warp(O.segment_of(stream, t.anchors), F.broadcast(t.warps), 24).filter("m00 is not null")
-    got = O.ground_points(O.camera_rays(placed, t.cameras.drop("image_name"), 90.0), O.fill_nodata(t.elevation))
-    return X.drained(got.select("track_id", "obs_ind", "segment", "gx", "gy", "found"), "utm")
+    got = O.ground_points(O.track_rays(stream, t.anchors, t.warps, t.cameras.drop("image_name"), GUESS), raster(t))
+    return X.drained(got.select("track_id", "obs_ind", "segment", F.round("gx", 4).alias("gx"), F.round("gy", 4).alias("gy"), "found"), "utm")

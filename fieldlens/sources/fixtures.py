@@ -28,8 +28,8 @@ VIEWS = {
 UNION ALL SELECT id*10+1, image_id, 1 + id % 6, (x+211) % 500, (y+97) % 400, w, h, CAST((id*10473) % 1009 AS DOUBLE)/1009.0 FROM {fx_annotations} WHERE id % 5 = 0""",
     "fx_tracks": """SELECT user_id AS track_id, user_id % 5 AS observation_id, event_id AS obs_ind, ts,
        CAST((event_id*13 + user_id*29) % 480 AS DOUBLE) AS row_px, CAST((event_id*7 + user_id*31) % 640 AS DOUBLE) AS col_px, value FROM {events}""",
-    "fx_anchors": """SELECT CAST(n_nationkey AS BIGINT) AS anchor_ind, CAST(n_nationkey*37 + n_nationkey % 3 AS BIGINT) AS obs_ind,
-       concat('frame_', CAST(n_nationkey AS VARCHAR(8)), '.jpg') AS image_name FROM {nation}""",
+    "fx_anchors": """SELECT CAST(floor(event_id / 37.0E0) AS BIGINT) AS anchor_ind, event_id + CAST(floor(event_id / 37.0E0) AS BIGINT) % 3 AS obs_ind,
+       concat('frame_', CAST(CAST(floor(event_id / 37.0E0) AS BIGINT) AS VARCHAR(12)), '.jpg') AS image_name FROM {events} WHERE event_id % 37 = 0""",
     "fx_elevation": """SELECT p_partkey % 20 AS xr, CAST(floor(p_partkey / 20) AS BIGINT) AS yr,
        CASE WHEN p_partkey % 37 = 0 THEN -10000.0E0 ELSE 10.0E0 + (p_partkey*17 % 100)/50.0E0 END AS elev FROM {part}""",
     "fx_metric_log": """SELECT event_type AS meter, user_id % 4 AS rank, event_id AS step, value FROM {events}""",
@@ -38,9 +38,11 @@ UNION ALL SELECT id*10+1, image_id, 1 + id % 6, (x+211) % 500, (y+97) % 400, w,
        1000.0E0 AS p00, 0.0E0 AS p01, -320.0E0 AS p02, -1000.0E0*(anchor_ind % 20) + 32000.0E0 AS p03,
        0.0E0 AS p10, 1000.0E0 AS p11, -240.0E0 AS p12, -1000.0E0*5 + 24000.0E0 AS p13,
        0.0E0 AS p20, 0.0E0 AS p21, -1.0E0 AS p22, 100.0E0 AS p23 FROM {fx_anchors}""",
-    "fx_warps": """SELECT a.anchor_ind AS segment, s.step, 1.0E0 AS m00, 0.0E0 AS m01, CAST(s.step AS DOUBLE)*0.25E0 AS m02,
-       0.0E0 AS m10, 1.0E0 AS m11, CAST(s.step % 7 AS DOUBLE)*0.5E0 AS m12, 60 + (a.anchor_ind*13 + s.step*5) % 200 AS n_inliers
-FROM {fx_anchors} a JOIN (SELECT event_id AS step FROM {events} WHERE event_id < 40) s ON s.step <= 36 WHERE a.anchor_ind < 24""",
+    "fx_warps": """SELECT segment, step, 1.0E0 AS m00, 0.001E0 * (step % 5) AS m01, CAST(step AS DOUBLE)*0.25E0 AS m02,
+       -0.001E0 * (step % 3) AS m10, 1.0E0 AS m11, CAST(step % 7 AS DOUBLE)*0.5E0 AS m12, 60 + (segment*13 + step*5) % 200 AS n_inliers
+FROM (SELECT segment, event_id - segment*37 - segment % 3 AS step FROM (
+  SELECT event_id, CASE WHEN event_id % 37 < a % 3 THEN a - 1 ELSE a END AS segment FROM (SELECT event_id, CAST(floor(event_id / 37.0E0) AS BIGINT) AS a FROM {events}) e) f) s
+WHERE segment >= 0 AND segment < (SELECT max(anchor_ind) FROM {fx_anchors})""",
 }
 
 
