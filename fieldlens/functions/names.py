@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 
 def code_points(name: Column, last: int = 10) -> Column:
-    """The code points of the last characters, written on end, as an integer; beyond 38 digits it is null."""
+    """The code points of the last characters, written on end: a string of digits, however many there are."""
     chars = F.filter(F.split(F.right(name, F.lit(last)), ""), lambda c: c != "")
-    return F.array_join(F.transform(chars, lambda c: F.ascii(c).cast("string")), "").try_cast("decimal(38,0)")
+    return F.array_join(F.transform(chars, lambda c: F.ascii(c).cast("string")), "")
+
+
+def code_point_number(name: Column, last: int = 10) -> Column:
+    """code_points as an integer of up to 38 digits; of more, there is only the string."""
+    return code_points(name, last).try_cast("decimal(38,0)")
 
 
 def time_number(ts: Column) -> Column:

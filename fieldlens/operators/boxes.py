@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions import boxes as B
+from fieldlens.operators.dataset import draw
 
 
 def chain(df: DataFrame, steps: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
@@ -56,10 +59,23 @@ def crop_start(v1: Column, v2: Column, size: int, crop: int, u: Column, buffer:
     return ((least + u * (most - least)) * F.lit(size - crop)).cast("long")
 
 
-def crop_plan(df: DataFrame, crop_w: int, crop_h: int, *, seed: int) -> DataFrame:
-    """A crop for each image that is large enough, at a place drawn from the id's hash."""
-    place = lambda side, crop, salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "image_id"), F.greatest(F.col(side) - crop, F.lit(1)))
-    return df.filter((F.col("width") >= crop_w) & (F.col("height") >= crop_h)).withColumns({"crop_top": place("height", crop_h, "t"), "crop_left": place("width", crop_w, "l")})
+def crop_plan(df: DataFrame, crop_w: int, crop_h: int, *, seed: int, spread: float | None = None, tries: int = 64) -> DataFrame:
+    """A crop for each image that is large enough, at a place drawn from the image's id.
+
+    Places are drawn evenly; with a spread, around the middle, as a normal deviate of so many times the room there is, drawn
+    anew until it is inside (after so many tries in vain it is the middle). An image as large as the crop gets place 0.
+    """
+
+    def place(side: str, crop: int, salt: str) -> Column:
+        room = F.greatest(F.col(side) - crop, F.lit(1))
+        if spread is None:
+            return F.floor(draw(seed, F.lit(salt), "image_id") * room)
+        one = lambda k: F.sqrt(-2 * F.log(1 - draw(seed, F.lit(f"{salt}r"), "image_id", k))) * F.cos(2 * math.pi * draw(seed, F.lit(f"{salt}a"), "image_id", k))
+        at = F.filter(F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda k: F.floor(room * (0.5 + spread * one(k)))), lambda v: (v >= 0) & (v < room))
+        return F.coalesce(F.get(at, F.lit(0)), F.floor(room / 2))
+
+    large = df.filter((F.col("width") >= crop_w) & (F.col("height") >= crop_h))
+    return large.withColumns({"crop_top": place("height", crop_h, "t"), "crop_left": place("width", crop_w, "l")})
 
 
 def iou_crop(df: DataFrame, trials: DataFrame, least: float) -> DataFrame:

@@ -8,42 +8,91 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlens.sources.shared import cut
+from fieldlens.sources.shared import cut, small
 
 
-def renumber(df: DataFrame, bucket: Column, order: list, out: str, start: int = 1) -> DataFrame:
-    """df with dense numbers from start in the given order, without gathering the rows in one place.
+def renumber(df: DataFrame, order: list, out: str, start: int = 1) -> DataFrame:
+    """df with dense numbers from start in the given order, whatever the values of its columns.
 
-    bucket must rise with the order; rows are numbered inside each bucket, and the small table of bucket sizes gives the
-    number before it.
+    Rows are dealt out by ranges of the order, sorted and numbered within each range, and written; the table of range sizes,
+    a row for each task, gives the number before each. Nothing is gathered in one place, and sparse or random ids are no
+    matter. Rows with equal orders share a range, so the order should tell rows apart.
     """
-    tagged = df.withColumn("__bucket", bucket)
-    sizes = tagged.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)).cast("long")
-    return tagged.withColumn("__rn", inside).join(offsets, "__bucket").withColumn(out, F.col("__rn") + F.col("__before") + F.lit(start - 1)).drop("__bucket", "__rn", "__before")
-
-
-def by_image(size: int = 4096) -> Column:
-    return F.floor(F.col("image_id") / size)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    written = cut(ranged.withColumn("__at", F.monotonically_increasing_id()), "numbered").withColumn("__part", F.shiftright("__at", 33))
+    sizes = written.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.col("__at").bitwiseAND((1 << 33) - 1)
+    return written.join(F.broadcast(offsets), "__part").withColumn(out, inside + F.col("__before") + F.lit(start)).drop("__at", "__part", "__before")
 
 
 def renumber_annotations(annotations: DataFrame, start: int = 1) -> DataFrame:
-    return renumber(annotations, by_image(), ["image_id", "id"], "new_id", start)
+    return renumber(annotations, ["image_id", "id"], "new_id", start)
+
 
+def valid_images(images: DataFrame, annotations: DataFrame, categories: list[int] | None = None, *, least_points: int = 10) -> DataFrame:
+    """Images with an annotation of the categories, not all of whose boxes are at most 1 wide or high.
 
-def valid_images(images: DataFrame, annotations: DataFrame, categories: list[int] | None = None) -> DataFrame:
-    """Images with an annotation of the categories, not all of whose boxes are at most 1 wide or high."""
+    Where annotations have key points (an array of (x, y, v)), at least least_points of an image's have to be visible.
+    """
     own = annotations if categories is None else annotations.filter(F.col("category_id").isin(categories))
-    good = own.groupBy("image_id").agg(F.bool_and((F.col("w") <= 1) | (F.col("h") <= 1)).alias("bad")).filter("not bad")
+    bad = F.bool_and((F.col("w") <= 1) | (F.col("h") <= 1))
+    seen = F.sum(F.size(F.filter("keypoints", lambda p: p["v"] > 0))) if "keypoints" in own.columns else F.lit(least_points)
+    good = own.groupBy("image_id").agg(bad.alias("bad"), seen.alias("seen")).filter((~F.col("bad")) & (F.col("seen") >= least_points))
     return images.join(good, "image_id", "left_semi")
 
 
+def semantic_ids(categories: DataFrame, *, most: int = 254) -> DataFrame:
+    """(category_id, semantic) from (category_id, isthing): stuff counts from 1 in the order of ids, things are 0, and the
+    id 0, which nothing has, is 255. More than most kinds of stuff are an error. Category tables are small."""
+    stuff = categories.filter("isthing = 0")
+    if stuff.count() > most:
+        raise ValueError(f"more than {most} kinds of stuff")
+    placed = stuff.select("category_id", F.row_number().over(Window.orderBy("category_id")).cast("long").alias("semantic"))
+    none = categories.sparkSession.createDataFrame([(0, 255)], "category_id long, semantic long")
+    return placed.unionByName(categories.filter("isthing <> 0").select("category_id", F.lit(0).cast("long").alias("semantic"))).unionByName(none)
+
+
+def frame_triplets(frames: DataFrame, spacing: int) -> DataFrame:
+    """frames (video_id, image_id) with the frames so many before and after, null where there are none."""
+    base = frames.select("video_id", "image_id")
+    near = lambda d, n: base.select("video_id", (F.col("image_id") - d).alias("image_id"), F.col("image_id").alias(n))
+    return base.join(near(spacing, "after_id"), ["video_id", "image_id"], "left").join(near(-spacing, "before_id"), ["video_id", "image_id"], "left")
+
+
+def draw(seed: int, *keys: Column | str) -> Column:
+    """A number in [0, 1) that hangs on the keys' text and the seed alone, the same in every engine that has MD5."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
+def sample_frames(spans: DataFrame, n: int, seed: int, spacing: int = 0) -> DataFrame:
+    """(video_id, k, frame): n frames of each video (video_id, least, most), drawn with replacement from [least, most).
+
+    With a spacing, for triplets, the range is that much shorter at both ends, each video's own. A range of none gives its
+    least frame.
+    """
+    low, high = F.col("least") + spacing, F.col("most") - spacing
+    many = spans.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    return many.select("video_id", "k", (low + F.floor(draw(seed, "video_id", "k") * F.greatest(high - low, F.lit(1)))).alias("frame"))
+
+
+def split_by_manifest(images: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(image_id, split) by a manifest (split, videos array)."""
+    videos = manifest.select("split", F.explode("videos").alias("video_id"))
+    return images.join(small(videos), "video_id").select("image_id", "split")
+
+
+def follow(split: DataFrame, annotations: DataFrame) -> DataFrame:
+    """annotations with the split of their image; for as many sets of annotations as the images have."""
+    return annotations.join(split, "image_id")
+
+
 def subset(images: DataFrame, annotations: DataFrame, wanted: DataFrame) -> DataFrame:
     """Annotations of the wanted (ord, image_id), in that order, repeated where an id is; numbered from 1."""
     on = wanted.join(images.select("image_id"), "image_id").join(annotations, "image_id")
-    return renumber(on, F.floor(F.col("ord") / 4096), ["ord", "id"], "new_id")
+    return renumber(on, ["ord", "id"], "new_id")
 
 
 def unknown_ids(images: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -73,20 +122,19 @@ def alphabetized(categories: DataFrame) -> DataFrame:
 def train_val(images: DataFrame, annotations: DataFrame, fraction: float) -> DataFrame:
     """(image_id, split) of the images with annotations: from the first on, every int(1 / fraction)-th is val."""
     some = images.join(annotations, "image_id", "left_semi").select("image_id")
-    placed = renumber(some, by_image(), ["image_id"], "place", 0)
+    placed = renumber(some, ["image_id"], "place", 0)
     return placed.select("image_id", F.when(F.pmod("place", F.lit(int(1 / fraction))) == 0, "val").otherwise("train").alias("split"))
 
 
 def random_split(images: DataFrame, fraction: float, seed: int) -> DataFrame:
-    u = F.pmod(F.xxhash64("image_id", F.lit(seed)), F.lit(1_000_000)) / 1e6
-    return images.select("image_id", F.when(u < fraction, "val").otherwise("train").alias("split"))
+    return images.select("image_id", F.when(draw(seed, "image_id") < fraction, "val").otherwise("train").alias("split"))
 
 
-def partition(images: DataFrame, shares: dict[str, float], shuffle: Column, bucket: Column) -> DataFrame:
-    """(image_id, split): images in the order of shuffle (bucket rises with it), cut at int(total * cumulated share)."""
+def partition(images: DataFrame, shares: dict[str, float], shuffle: Column) -> DataFrame:
+    """(image_id, split): images in the order of shuffle, cut at int(total * cumulated share)."""
     if abs(sum(shares.values()) - 1) > 1e-9:
         raise ValueError("shares must add up to 1")
-    placed = renumber(images.select("image_id", shuffle.alias("__key")), bucket, ["__key", "image_id"], "place", 0).drop("__key")
+    placed = renumber(images.select("image_id", shuffle.alias("__key")), ["__key", "image_id"], "place", 0).drop("__key")
     total, out, done = images.count(), F.lit(list(shares)[-1]), 0.0
     cuts = []
     for name, share in shares.items():
@@ -104,10 +152,9 @@ def combine(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFr
     annotations = tag(parts[0][1], 0)
     for k, (i, a) in enumerate(parts[1:], 1):
         images, annotations = images.unionByName(tag(i, k)), annotations.unionByName(tag(a, k))
-    bucket = F.col("file_ord") * F.lit(1 << 40) + by_image()
-    placed = cut(renumber(images, bucket, ["file_ord", "image_id"], "new_image_id"), "combine")
+    placed = renumber(images, ["file_ord", "image_id"], "new_image_id")
     moved = annotations.join(placed.select("file_ord", "image_id", "new_image_id"), ["file_ord", "image_id"])
-    return placed, renumber(moved, F.floor(F.col("new_image_id") / 4096), ["new_image_id", "id"], "new_id", 0)
+    return placed, renumber(moved, ["new_image_id", "id"], "new_id", 0)
 
 
 def remove_category(images: DataFrame, annotations: DataFrame, category: int, whole_images: bool) -> tuple[DataFrame, DataFrame]:

@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions import geometry as G
-from fieldlens.operators.dataset import renumber
+from fieldlens.functions.names import export_file
+from fieldlens.operators.dataset import alphabetized, remap, renumber
+from fieldlens.sources.shared import cut
 
 POINT = "struct<x:double,y:double>"
 OBJECT = f"struct<feature_id:string,name:string,bounding_box:struct<left:double,top:double,width:double,height:double>,line:array<{POINT}>,point:{POINT},polygon:array<{POINT}>,mask:struct<url:string>>"
 LABEL = f"struct<label_details:struct<created_at:string>,annotations:struct<objects:array<{OBJECT}>>>"
 EXPORT = f"data_row struct<id:string,external_id:string,details:struct<dataset_name:string>>, media_attributes struct<height:int,width:int>, projects map<string,struct<labels:array<{LABEL}>>>"
-OPTION = "struct<schema_id:string,label:string>"
-ONTOLOGY = f"tools array<struct<schema_id:string,tool:string,name:string,classifications:array<struct<schema_id:string,instructions:string,options:array<{OPTION}>>>>>"
+#: An ontology's trees nest options in options; a schema for the reader needs a depth.
+DEPTH = 4
+
+
+def _options(depth: int) -> str:
+    deeper = f",options:array<{_options(depth - 1)}>" if depth > 1 else ""
+    return f"struct<schema_id:string,label:string{deeper}>"
+
+
+CLASSIFICATION = f"struct<schema_id:string,instructions:string,type:string,options:array<{_options(DEPTH)}>>"
+ONTOLOGY = f"tools array<struct<schema_id:string,tool:string,name:string,classifications:array<{CLASSIFICATION}>>>, classifications array<{CLASSIFICATION}>"
 
 
 def objects_of(project: str) -> Column:
@@ -26,16 +39,39 @@ def labeled(export: DataFrame, project: str) -> DataFrame:
 
 
 def ontology_index(ontology: DataFrame) -> DataFrame:
-    """(schema_id, name, kind, path, encoded) of every node, numbered from 1 in the order of a walk, parents first.
+    """(schema_id, name, kind, type, parents, path, encoded) of every node, numbered from 1 in the order of a walk, parents
+    first: the tools with all that is below them, then the classifications that stand at the top.
 
-    An ontology is one small document: levels are opened in turn, and rows ordered by their path of positions.
+    kind is tool, classification or option; type is the tool's or classification's own, and of options branch_option or
+    leaf_option. parents are the schema ids from the top down to the node's parent. Levels are opened in turn, as deep as
+    the schema nests, and rows ordered by their path of positions. An ontology is one small document.
     """
-    tools = ontology.select(F.posexplode("tools").alias("i", "t"))
-    classes = tools.select("i", F.posexplode("t.classifications").alias("j", "c"))
-    options = classes.select("i", "j", F.posexplode("c.options").alias("k", "o"))
-    node = lambda df, n, name, kind, *at: df.select(F.col(f"{n}.schema_id").alias("schema_id"), F.col(f"{n}.{name}").alias("name"), F.lit(kind).alias("kind"), F.array(*at).alias("path"))
-    rows = node(tools, "t", "name", "tool", "i").unionByName(node(classes, "c", "instructions", "classification", "i", "j")).unionByName(node(options, "o", "label", "option", "i", "j", "k"))
-    return rows.withColumn("encoded", F.row_number().over(Window.orderBy("path")).cast("long"))
+    rows = []
+
+    def node(df: DataFrame, name: str, kind: str, type_: Column) -> None:
+        rows.append(df.select(F.col("n.schema_id").alias("schema_id"), F.col(f"n.{name}").alias("name"), F.lit(kind).alias("kind"), type_.alias("type"), "parents", "path"))
+
+    def below(df: DataFrame, field: str) -> DataFrame:
+        opened = df.select("path", F.concat("parents", F.array("n.schema_id")).alias("parents"), F.posexplode(f"n.{field}").alias("k", "n"))
+        return opened.select(F.concat("path", F.array("k")).alias("path"), "parents", "n")
+
+    def classes(df: DataFrame) -> None:
+        node(df, "instructions", "classification", F.col("n.type"))
+        level = below(df, "options")
+        while True:
+            deeper = "options" in level.schema["n"].dataType.names
+            branch = F.size(F.coalesce("n.options", F.array().cast(level.schema["n"].dataType["options"].dataType))) > 0 if deeper else F.lit(False)
+            node(level, "label", "option", F.when(branch, "branch_option").otherwise("leaf_option"))
+            if not deeper:
+                return
+            level = below(level, "options")
+
+    top = lambda field, first: ontology.select(F.posexplode(field).alias("k", "n")).select(F.array(F.lit(first), F.col("k")).alias("path"), F.array().cast("array<string>").alias("parents"), "n")
+    tools = top("tools", 0)
+    node(tools, "name", "tool", F.col("n.tool"))
+    classes(below(tools, "classifications"))
+    classes(top("classifications", 1))
+    return reduce(DataFrame.unionByName, rows).withColumn("encoded", F.row_number().over(Window.orderBy("path")).cast("long"))
 
 
 def annotations_of(export: DataFrame, project: str, index: DataFrame) -> DataFrame:
@@ -59,15 +95,46 @@ def masks_of(export: DataFrame, project: str) -> DataFrame:
     return rows.filter(F.col("o.mask").isNotNull()).select("data_row_id", F.col("o.mask.url").alias("url"))
 
 
-def images_of(export: DataFrame, project: str, order: Column, bucket: Column) -> DataFrame:
+def images_of(export: DataFrame, project: str, order: Column) -> DataFrame:
     """(data_row_id, image_id, file_name, width, height): numbered from 1 in the export's order."""
-    from fieldlens.functions.names import export_file
+    name = export_file(F.col("data_row.details.dataset_name"), F.col("data_row.external_id"))
+    rows = labeled(export, project).select(F.col("data_row.id").alias("data_row_id"), order.alias("__o"), name.alias("file_name"), F.col("media_attributes.width").alias("width"), F.col("media_attributes.height").alias("height"))
+    return renumber(rows, ["__o", "data_row_id"], "image_id").drop("__o")
+
 
-    rows = labeled(export, project).select(F.col("data_row.id").alias("data_row_id"), order.alias("__o"), export_file(F.col("data_row.details.dataset_name"), F.col("data_row.external_id")).alias("file_name"), F.col("media_attributes.width").alias("width"), F.col("media_attributes.height").alias("height"))
-    return renumber(rows, bucket, ["__o"], "image_id").drop("__o")
+def keypoint_arrays(n: Column) -> tuple[Column, Column]:
+    """(keypoints, skeleton) of a line of n points: their names, and the pairs (0, 1) ... (n - 1, n) that bones join."""
+    names = F.transform(F.sequence(F.lit(1).cast("long"), n), lambda i: F.concat(F.lit("line_"), i.cast("string")))
+    bones = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.array(i, i + 1))).otherwise(F.array().cast("array<array<bigint>>"))
+    return F.when(n > 0, names).otherwise(F.array().cast("array<string>")).alias("keypoints"), bones.alias("skeleton")
 
 
 def categories_of(annotations: DataFrame, index: DataFrame) -> DataFrame:
-    """(id, name, n_keypoints): the tools; of lines as many key points as the longest line has, of points one."""
-    most = annotations.groupBy("category_id").agg(F.max(F.when(F.col("kind") == "line", F.col("n_points")).when(F.col("kind") == "point", 1).otherwise(0)).alias("n_keypoints"))
-    return index.filter("kind = 'tool'").select(F.col("encoded").alias("category_id"), "name").join(most, "category_id").select(F.col("category_id").alias("id"), "name", "n_keypoints")
+    """(id, name, supercategory, keypoints, skeleton) of an ontology's nodes that are categories.
+
+    A line has as many key points as the longest line of all annotations, a point one, other tools none. Of what is no tool,
+    only nodes with exactly two parents are categories, under the name of the first of them.
+    """
+    most = annotations.agg(F.coalesce(F.max(F.when(F.col("kind") == "line", F.col("n_points"))), F.lit(0)).cast("long").alias("n"))
+    names = index.select(F.col("schema_id").alias("__s"), F.col("name").alias("__n"))
+    kept = index.filter((F.col("kind") == "tool") | (F.size("parents") == 2)).withColumn("__first", F.get("parents", F.lit(0)))
+    on = kept.join(F.broadcast(names), F.col("__first") == F.col("__s"), "left").join(F.broadcast(most))
+    n = F.when(F.col("kind") != "tool", 0).when(F.col("type") == "line", F.col("n")).otherwise(0).cast("long")
+    lines, bones = keypoint_arrays(n)
+    point = (F.col("kind") == "tool") & (F.col("type") == "point")
+    keypoints = F.when(point, F.array(F.lit("point"))).otherwise(lines).alias("keypoints")
+    skeleton = F.when(point, F.array(F.array(F.lit(0), F.lit(0)).cast("array<bigint>"))).otherwise(bones).alias("skeleton")
+    above = F.when(F.col("kind") == "tool", F.col("name")).otherwise(F.col("__n")).alias("supercategory")
+    return on.select(F.col("encoded").alias("id"), "name", above, keypoints, skeleton)
+
+
+def to_coco(export: DataFrame, ontology: DataFrame, project: str, order: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(images, annotations, categories) of an export: rows with labels as images numbered from 1, their objects as
+    annotations with the image's number, and the ontology's categories, whose ids are then numbered by name."""
+    index = cut(ontology_index(ontology), "ontology")
+    images = cut(images_of(export, project, order), "images")
+    found = cut(annotations_of(export, project, index), "annotations")
+    categories = cut(categories_of(found, index), "categories")
+    renamed = alphabetized(categories.withColumnRenamed("id", "category_id"))
+    moved = remap(found, renamed.select("category_id", "new_id")).drop("category_id", "unmapped").withColumnRenamed("new_id", "category_id")
+    return images, moved.join(images.select("data_row_id", "image_id"), "data_row_id"), renamed.drop("category_id").withColumnRenamed("new_id", "id")

@@ -6,12 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rolling(log: DataFrame, size: int = 20) -> DataFrame:
-    """(meter, step, mean, most, last, middle) over a meter's last size values; middle is the lower of the middle two."""
-    w = Window.partitionBy("meter").orderBy("step").rowsBetween(-(size - 1), 0)
+def rolling(log: DataFrame, size: int = 20, *, bucket: int = 1 << 14) -> DataFrame:
+    """(meter, step, mean, most, last, middle) over a meter's last size values; middle is the lower of the middle two.
+
+    A long meter is split into buckets of steps, each with the size - 1 values before it, so that no meter has to be in one
+    task. Those are looked for in the bucket before; where steps are so sparse that it holds fewer, the meter stays whole.
+    """
+    at = log.select("meter", "step", "value", F.floor(F.col("step") / bucket).alias("b"))
+    counts = at.groupBy("meter", "b").agg(F.count("*").alias("n"))
+    sparse = counts.groupBy("meter").agg((F.count_if(F.col("n") < size - 1) > 0).alias("sparse"), (F.max("b") - F.min("b") + 1 > F.count("*")).alias("holes"))
+    placed = at.join(F.broadcast(sparse), "meter").withColumn("b", F.when(F.col("sparse") | F.col("holes"), F.lit(0)).otherwise(F.col("b")))
+    back = Window.partitionBy("meter", "b").orderBy(F.desc("step"))
+    tail = placed.withColumn("k", F.row_number().over(back)).filter(F.col("k") < size).filter("not sparse and not holes")
+    guests = tail.select("meter", "step", "value", (F.col("b") + 1).alias("b"), F.lit(True).alias("guest"))
+    every = placed.select("meter", "step", "value", "b", F.lit(False).alias("guest")).unionByName(guests)
+    w = Window.partitionBy("meter", "b").orderBy("step").rowsBetween(-(size - 1), 0)
     values = F.sort_array(F.collect_list("value").over(w))
-    base = log.select("meter", "step", F.avg("value").over(w).alias("mean"), F.max("value").over(w).alias("most"), F.col("value").alias("last"), values.alias("v"))
-    return base.select("meter", "step", "mean", "most", "last", F.get("v", F.floor((F.size("v") - 1) / 2).cast("int")).alias("middle"))
+    base = every.select("meter", "step", "guest", F.avg("value").over(w).alias("mean"), F.max("value").over(w).alias("most"), F.col("value").alias("last"), values.alias("v"))
+    return base.filter("not guest").select("meter", "step", "mean", "most", "last", F.get("v", F.floor((F.size("v") - 1) / 2).cast("int")).alias("middle"))
 
 
 def meters(log: DataFrame) -> DataFrame:
@@ -24,5 +36,12 @@ def rank_means(log: DataFrame) -> DataFrame:
 
 
 def block_means(log: DataFrame, size: int = 10) -> DataFrame:
-    """Mean of each full block of size steps; the rest at the end gives none."""
-    return log.groupBy(F.floor(F.col("step") / size).alias("block")).agg(F.avg("value").alias("loss"), F.count("*").alias("n")).filter(F.col("n") == size).drop("n")
+    """(meter, epoch, block, step, loss) of a log (meter, epoch, batch, value): the mean of each full block of size batches.
+
+    Batches count from 0 in each epoch; what is left at an epoch's end gives none. step is that of the block's last batch,
+    all batches of the epochs before counted as many as this epoch has.
+    """
+    length = log.groupBy("meter", "epoch").agg((F.max("batch") + 1).alias("n"))
+    blocks = log.groupBy("meter", "epoch", F.floor(F.col("batch") / size).alias("block")).agg(F.avg("value").alias("loss"), F.count("*").alias("k"), F.max("batch").alias("last"))
+    full = blocks.filter(F.col("k") == size).join(length, ["meter", "epoch"])
+    return full.select("meter", "epoch", "block", (F.col("epoch") * F.col("n") + F.col("last")).alias("step"), "loss")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -31,11 +33,17 @@ def track_spans(points: DataFrame) -> DataFrame:
 
 
 class Tracker:
-    """Tracks of one video, frame by frame: boxes move on by their mean step, drop where they overlap a better track, take
-    the free detection with the greatest overlap, and end after patience frames unseen."""
+    """Tracks of one video, frame by frame.
+
+    Boxes move on by their mean step; those left without area end. Each takes the free detection with the greatest overlap.
+    Of tracks that then overlap by more than track_nms only the best by score goes on, the others count as unseen. Free
+    detections that a track covers by more than overlap are dropped, and so are those that overlap a better one by more than
+    new_nms; the rest begin tracks. A track ends after patience frames unseen.
+    """
 
-    def __init__(self, *, least_score: float = 0.5, overlap: float = 0.3, patience: int = 3, history: int = 3) -> None:
+    def __init__(self, *, least_score: float = 0.5, overlap: float = 0.3, patience: int = 3, history: int = 3, track_nms: float = 0.6, new_nms: float = 0.3) -> None:
         self.least_score, self.overlap, self.patience, self.history = least_score, overlap, patience, history
+        self.track_nms, self.new_nms = track_nms, new_nms
         self.tracks: dict[int, dict] = {}
         self.next_id = 0
 
@@ -52,19 +60,23 @@ class Tracker:
             del self.tracks[k]
         live, moved = [k for k, g in zip(live, good, strict=True) if g], moved[good]
         over = iou_table(moved, boxes)
-        out, used, taken = [], set(), set()
+        used, taken = {}, set()
         for a, b in sorted(zip(*np.nonzero(over >= self.overlap), strict=True), key=lambda p: (-over[p], live[p[0]], ids[p[1]])):
             if a not in used and b not in taken:
-                used.add(a)
+                used[a] = b
                 taken.add(b)
-                out.append((live[a], int(ids[b]), frame))
-                self._see(live[a], frame, boxes[b])
-        covered = (over > self.overlap).any(0) if len(live) else np.zeros(len(ids), bool)
-        for b in range(len(ids)):
-            if b not in taken and not covered[b]:
-                out.append((self.next_id, int(ids[b]), frame))
-                self._see(self.next_id, frame, boxes[b])
-                self.next_id += 1
+        # ids, boxes and scores are in order of falling scores, so the tracks are too, by the detections that they took
+        best = suppressed([(a, boxes[b]) for a, b in sorted(used.items(), key=lambda p: p[1])], self.track_nms)
+        out = []
+        for a in best:
+            out.append((live[a], int(ids[used[a]]), frame))
+            self._see(live[a], frame, boxes[used[a]])
+        held = np.array([boxes[used[a]] if a in used else moved[a] for a in range(len(live)) if a not in used or a in best]).reshape(-1, 4)
+        covered = (iou_table(held, boxes) > self.overlap).any(0) if len(held) else np.zeros(len(ids), bool)
+        for b in suppressed([(b, boxes[b]) for b in range(len(ids)) if b not in taken and not covered[b]], self.new_nms):
+            out.append((self.next_id, int(ids[b]), frame))
+            self._see(self.next_id, frame, boxes[b])
+            self.next_id += 1
         return out
 
     def _expected(self, t: dict, frame: int) -> np.ndarray:
@@ -77,6 +89,15 @@ class Tracker:
         t["seen"] = frame
 
 
+def suppressed(boxes: list[tuple[int, np.ndarray]], most: float) -> list[int]:
+    """The numbers of the boxes, best first, that overlap none kept before by more than most."""
+    kept: list[tuple[int, np.ndarray]] = []
+    for k, box in boxes:
+        if not kept or iou_table(np.array([b for _, b in kept]), box[None]).max() <= most:
+            kept.append((k, box))
+    return [k for k, _ in kept]
+
+
 def iou_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Overlaps of each xywh box in a with each in b."""
     if not len(a) or not len(b):
@@ -93,25 +114,47 @@ def track_frame(tracker: Tracker, frame: int, rows: pd.DataFrame) -> list[tuple[
 def track(dets: DataFrame, **options) -> DataFrame:
     """(video_id, track_id, det_id, frame) from dets (video_id, frame, det_id, x, y, w, h, score).
 
-    Tracks depend on the frame before, so a video is handled in one task, in order of frames, and its detections must fit
-    there; videos run side by side. Track numbers count from 0 in each video.
+    Tracks depend on the frame before, so a video is gone through in one task, in order of frames; only its live tracks and
+    the frame at hand are held. Videos run side by side. Track numbers count from 0 in each video.
     """
 
-    def run(key, rows):
-        tracker, out = Tracker(**options), []
-        for frame, own in rows.sort_values(["frame", "det_id"]).groupby("frame", sort=True):
-            out += track_frame(tracker, int(frame), own)
-        return pd.DataFrame([(key[0], *x) for x in out], columns=["video_id", "track_id", "det_id", "frame"])
+    def run(batches):
+        video, tracker, held = None, None, None
+
+        def frames(f: pd.DataFrame) -> pd.DataFrame:
+            nonlocal video, tracker
+            found = []
+            for (v, frame), own in f.groupby(["video_id", "frame"], sort=False):
+                if v != video:
+                    video, tracker = v, Tracker(**options)
+                found += [(v, *x) for x in track_frame(tracker, int(frame), own)]
+            return pd.DataFrame(found, columns=["video_id", "track_id", "det_id", "frame"])
+
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if len(held):
+                last = (held["video_id"] == held["video_id"].iloc[-1]) & (held["frame"] == held["frame"].iloc[-1])
+                yield frames(held[~last])
+                held = held[last].reset_index(drop=True)
+        if held is not None and len(held):
+            yield frames(held)
+
+    rows = dets.select("video_id", "frame", "det_id", "x", "y", "w", "h", "score")
+    return rows.repartition("video_id").sortWithinPartitions("video_id", "frame", "det_id").mapInPandas(run, "video_id long, track_id long, det_id long, frame long")
+
 
-    return dets.select("video_id", "frame", "det_id", "x", "y", "w", "h", "score").groupBy("video_id").applyInPandas(run, "video_id long, track_id long, det_id long, frame long")
+_models: dict = {}
 
 
 def apply_predictor(images: DataFrame, make_model, schema: str) -> DataFrame:
-    """Rows that a model makes of batches of images; make_model() gives a function from a frame to a frame, once a task."""
+    """Rows that a model makes of batches of images; make_model() gives a function from a frame to a frame, once a worker."""
+    name = uuid.uuid4().hex
 
     def run(frames):
-        model = make_model()
+        if name not in _models:
+            _models.clear()
+            _models[name] = make_model()
         for f in frames:
-            yield model(f)
+            yield _models[name](f)
 
     return images.mapInPandas(run, schema)

@@ -185,11 +185,26 @@ def crop_window(t):
     return one.select("image_id", "id", place("x1", "x2", 640, 300).alias("crop_left"), place("y1", "y2", 480, 480).alias("crop_top"))
 
 
-@query("crop_plan")
+def _drawn(text: str) -> str:
+    return f"(('0x' || substr(md5(concat('7:', {text})), 1, 12))::bigint::double / 281474976710656.0::double)"
+
+
+@query("crop_plan", f"SELECT image_id, floor({_drawn("'t:', image_id")} * 280)::bigint AS crop_top, floor({_drawn("'l:', image_id")} * 340)::bigint AS crop_left FROM fx_images")
 def crop_plan(t):
     return O.crop_plan(t.images, 300, 200, seed=7).select("image_id", "crop_top", "crop_left")
 
 
+def _around(salt: str, room: int) -> str:
+    deviate = f"sqrt(-2 * ln(1 - {_drawn(f"'{salt}r:', image_id, ':', k")})) * cos(2 * pi() * {_drawn(f"'{salt}a:', image_id, ':', k")})"
+    tried = f"list_transform(range(1, 65), lambda k: floor({room} * (0.5::double + 0.25::double * {deviate}))::bigint)"
+    return f"coalesce(list_filter({tried}, lambda v: v >= 0 AND v < {room})[1], {room // 2})"
+
+
+@query("crop_plan_centred", f"SELECT image_id, {_around('t', 280)} AS crop_top, {_around('l', 340)} AS crop_left FROM fx_images")
+def crop_plan_centred(t):
+    return O.crop_plan(t.images, 300, 200, seed=7, spread=0.25).select("image_id", "crop_top", "crop_left")
+
+
 @query("score_filter", "SELECT det_id, score FROM fx_detections WHERE score >= 0.7")
 def score_filter(t):
     return t.detections.filter(F.col("score") >= 0.7).select("det_id", "score")

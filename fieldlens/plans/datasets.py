@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldlens.operators import dataset as D
+from fieldlens.operators import labels as L
 from fieldlens.plans.registry import query
 
 _NUM = "CAST(row_number() OVER (ORDER BY image_id, id) AS BIGINT)"
@@ -130,7 +131,7 @@ def empty_like(t):
     return kept.crossJoin(t.images.limit(0).agg(F.count("*").alias("images")))
 
 
-@query("head_examples")
+@query("head_examples", "SELECT image_id FROM fx_images ORDER BY image_id LIMIT 11")
 def head(t):
     return t.images.orderBy("image_id").limit(11).select("image_id")
 
@@ -157,7 +158,11 @@ def train_val(t):
     return parts[0].unionByName(parts[1]).select("id", "split", "new_id")
 
 
-@query("random_split")
+def _draw(text: str) -> str:
+    return f"(('0x' || substr(md5({text}), 1, 12))::bigint::double / 281474976710656.0::double)"
+
+
+@query("random_split", f"SELECT image_id, CASE WHEN {_draw("concat('3:', image_id)")} < 0.2 THEN 'val' ELSE 'train' END AS split FROM fx_images")
 def random_split(t):
     return D.random_split(t.images, 0.2, seed=3)
 
@@ -165,7 +170,15 @@ def random_split(t):
 @query("partition_dataset", "WITH p AS (SELECT image_id, row_number() OVER (ORDER BY (image_id * 7919) % 104729, image_id) - 1 AS place, count(*) OVER () AS n FROM fx_images) SELECT image_id, CASE WHEN place < trunc(n * 0.7 + 1e-9) THEN 'train' WHEN place < trunc(n * 0.9 + 1e-9) THEN 'val' ELSE 'test' END AS split FROM p")
 def partition(t):
     key = (F.col("image_id") * 7919) % 104729
-    return D.partition(t.images, {"train": 0.7, "val": 0.2, "test": 0.1}, key, F.floor(F.col("__key") / 2048))
+    return D.partition(t.images, {"train": 0.7, "val": 0.2, "test": 0.1}, key)
+
+
+@query("partition_annotations", "WITH p AS (SELECT image_id, row_number() OVER (ORDER BY (image_id * 7919) % 104729, image_id) - 1 AS place, count(*) OVER () AS n FROM fx_images) SELECT id, id % 4 = 0 AS panoptic, CASE WHEN place < trunc(n * 0.7 + 1e-9) THEN 'train' ELSE 'val' END AS split FROM p JOIN fx_annotations USING (image_id)")
+def partition_annotations(t):
+    """Two sets of annotations that go the way of their images."""
+    split = D.cut(D.partition(t.images, {"train": 0.7, "val": 0.3}, (F.col("image_id") * 7919) % 104729), "partition")
+    sets = [D.follow(split, t.annotations.filter((F.col("id") % 4 == 0) == p)).withColumn("panoptic", F.lit(p)) for p in (True, False)]
+    return sets[0].unionByName(sets[1]).select("id", "panoptic", "split")
 
 
 @query("video_level_split", "SELECT image_id, CASE WHEN video_id < 14 THEN 'train' WHEN video_id < 17 THEN 'val' ELSE 'test' END AS split FROM fx_images")
@@ -173,7 +186,7 @@ def video_split(t):
     """By a manifest {split: [videos]}, here of the videos there are."""
     name = F.when(F.col("video_id") < 14, "train").when(F.col("video_id") < 17, "val").otherwise("test")
     manifest = t.images.select("video_id").distinct().groupBy(name.alias("split")).agg(F.collect_list("video_id").alias("videos"))
-    return t.images.join(F.broadcast(manifest.select("split", F.explode("videos").alias("video_id"))), "video_id").select("image_id", "split")
+    return D.split_by_manifest(t.images, manifest)
 
 
 def _combined(t):
@@ -209,19 +222,19 @@ def remove_left(t):
     return D.remove_category(t.images, t.annotations, 2, False)[0].select("image_id")
 
 
-@query("sample_frames")
+_SPAN = "SELECT video_id, min(image_id) AS least, max(image_id) AS most FROM fx_images GROUP BY 1"
+
+
+@query("sample_frames", f"SELECT video_id, k, least + 20 + floor({_draw("concat('11:', video_id, ':', k)")} * greatest(most - least - 40, 1))::bigint AS frame FROM ({_SPAN}), range(1, 6) r(k)")
 def sample_frames(t):
-    """Five frames of each video, drawn with replacement from its own range."""
+    """Five frames of each video, drawn with replacement from its own range, which leaves room for triplets."""
     span = t.images.groupBy("video_id").agg(F.min("image_id").alias("least"), F.max("image_id").alias("most"))
-    k = span.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5))))
-    return k.select("video_id", "k", (F.col("least") + F.pmod(F.xxhash64("video_id", "k", F.lit(11)), F.greatest(F.col("most") - F.col("least"), F.lit(1)))).alias("frame"))
+    return D.sample_frames(span, 5, 11, spacing=20).withColumn("k", F.col("k").cast("long"))
 
 
 @query("frame_triplets", "SELECT f.image_id, f.video_id, a.image_id AS after_id, b.image_id AS before_id FROM fx_images f LEFT JOIN fx_images a ON a.video_id = f.video_id AND a.image_id = f.image_id + 20 LEFT JOIN fx_images b ON b.video_id = f.video_id AND b.image_id = f.image_id - 20")
 def triplets(t):
-    base = t.images.select("video_id", "image_id")
-    near = lambda d, n: base.select("video_id", (F.col("image_id") - d).alias("image_id"), F.col("image_id").alias(n))
-    return base.join(near(20, "after_id"), ["video_id", "image_id"], "left").join(near(-20, "before_id"), ["video_id", "image_id"], "left")
+    return D.frame_triplets(t.images, 20)
 
 
 @query("gt_image_paths", "SELECT concat('frames/survey_', video_id, '/', file_name) AS path FROM fx_images WHERE image_id % 3 = 0")
@@ -229,17 +242,31 @@ def gt_paths(t):
     return t.images.filter(F.col("image_id") % 3 == 0).select(F.concat(F.lit("frames/survey_"), F.col("video_id").cast("string"), F.lit("/"), F.col("file_name")).alias("path"))
 
 
-@query("semantic_id_map", "SELECT a.id, CASE WHEN category_id IN (5, 6) THEN category_id - 4 ELSE 0 END AS semantic FROM fx_annotations a")
+@query("semantic_id_map", "SELECT id, CASE WHEN c = 0 THEN 255 WHEN c IN (5, 6) THEN c - 4 ELSE 0 END AS semantic FROM (SELECT id, CASE WHEN id % 10 = 0 THEN 0 ELSE category_id END AS c FROM fx_annotations)")
 def semantic(t):
-    stuff = t.categories.filter("category_id in (5, 6)").withColumn("semantic", F.row_number().over(Window.orderBy("category_id")).cast("long"))
-    return t.annotations.join(F.broadcast(stuff.select("category_id", "semantic")), "category_id", "left").select("id", F.coalesce("semantic", F.lit(0)).alias("semantic"))
+    """Of segments, some of which are of no category."""
+    ids = D.semantic_ids(t.categories.select("category_id", F.when(F.col("category_id").isin(5, 6), 0).otherwise(1).alias("isthing")))
+    segments = t.annotations.select("id", F.when(F.col("id") % 10 == 0, 0).otherwise(F.col("category_id")).alias("category_id"))
+    return segments.join(F.broadcast(ids), "category_id", "left").select("id", "semantic")
+
+
+_SEEN = "(SELECT count(*) FROM range(0, 17) r(i) WHERE (i + id) % 7 = 0)"
+
+
+@query("valid_images_keypoints", f"SELECT image_id FROM (SELECT image_id, w, h, {_SEEN} AS seen FROM fx_annotations) GROUP BY 1 HAVING sum(seen) >= 10 AND NOT bool_and(w <= 1 OR h <= 1)")
+def valid_keypoints(t):
+    """Key points of which every seventh is visible: images of few boxes have fewer than ten."""
+    points = F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: F.struct(F.when((i + F.col("id")) % 7 == 0, 2).otherwise(0).alias("v")))
+    return D.valid_images(t.images, t.annotations.withColumn("keypoints", points)).select("image_id")
 
 
-@query("max_keypoints", "SELECT k, concat('line_', k) AS keypoint FROM range(1, (SELECT max(1 + id % 9) + 1 FROM fx_annotations)) r(k)")
+@query("max_keypoints", "SELECT k, concat('line_', k) AS keypoint, k - 1 AS bone_from, k AS bone_to FROM (SELECT max(1 + id % 9) AS n FROM fx_annotations), range(1, 100) r(k) WHERE k <= n")
 def max_keypoints(t):
+    """The names and bones of a category's key points, one to a row."""
     points = F.transform(F.sequence(F.lit(1).cast("long"), 1 + F.col("id") % 9), lambda i: i)
-    most = t.annotations.agg(F.max(F.size(points)).cast("long").alias("n"))
-    return most.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k")).withColumn("keypoint", F.concat(F.lit("line_"), F.col("k").cast("string")))
+    most = t.annotations.agg(F.max(F.size(points)).cast("long").alias("n")).select(*L.keypoint_arrays(F.col("n")))
+    rows = most.select(F.posexplode("keypoints").alias("k", "keypoint"), "skeleton").withColumn("bone", F.get("skeleton", F.col("k")))
+    return rows.select((F.col("k") + 1).cast("long").alias("k"), "keypoint", F.col("bone")[0].alias("bone_from"), F.col("bone")[1].alias("bone_to"))
 
 
 @query("distinct_images_first", "SELECT image_id, min(id) AS id FROM fx_annotations GROUP BY 1")

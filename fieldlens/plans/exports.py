@@ -10,12 +10,22 @@ from fieldlens.sources.shared import shared_dir
 
 
 def ontology(t):
-    """A tool for each category, in the order of ids; each with one question of two answers."""
-    c = t.categories.orderBy("category_id")
-    answers = F.array(*[F.struct(F.concat(F.lit(f"o{k}-"), F.col("category_id").cast("string")).alias("schema_id"), F.lit(word).alias("label")) for k, word in enumerate(("yes", "no"))])
-    question = F.array(F.struct(F.concat(F.lit("c-"), F.col("category_id").cast("string")).alias("schema_id"), F.lit("adult?").alias("instructions"), answers.alias("options")))
-    tool = F.struct(F.concat(F.lit("t-"), F.col("category_id").cast("string")).alias("schema_id"), F.lit("rectangle").alias("tool"), "name", question.alias("classifications"))
-    return c.join(t.annotations, "category_id", "left_semi").agg(F.transform(F.array_sort(F.collect_list(F.struct("category_id", tool.alias("t")))), lambda s: s["t"]).alias("tools"))
+    """A tool for each category, in the order of ids, each with one question of two answers, the first of which branches;
+    and a question of its own at the top. Written as JSON, and read with the ontology's schema."""
+    c = t.categories.join(t.annotations, "category_id", "left_semi")
+    i = F.col("category_id").cast("string")
+    node = lambda prefix, name, *fields: F.struct(F.concat(F.lit(f"{prefix}-"), i).alias("schema_id"), *name, *fields)
+    label = lambda text: [F.lit(text).alias("label")]
+    young = node("o0", label("yes"), F.array(node("p0", label("very")), node("p1", label("rather"))).alias("options"))
+    answers = F.array(young, node("o1", label("no"), F.array().cast("array<struct<schema_id:string,label:string>>").alias("options")))
+    question = lambda prefix: node(prefix, [F.lit("adult?").alias("instructions"), F.lit("radio").alias("type")], answers.alias("options"))
+    shape = F.when(F.col("category_id") % 3 == 1, "line").when(F.col("category_id") % 3 == 2, "point").otherwise("rectangle")
+    tool = F.struct(F.concat(F.lit("t-"), i).alias("schema_id"), shape.alias("tool"), "name", F.array(question("c")).alias("classifications"))
+    ordered = lambda s: F.transform(F.array_sort(F.collect_list(F.struct("category_id", s.alias("s")))), lambda x: x["s"])
+    top = F.struct(F.lit("top").alias("schema_id"), F.lit("weather?").alias("instructions"), F.lit("radio").alias("type"), F.array(F.struct(F.lit("top-0").alias("schema_id"), F.lit("rain").alias("label"))).alias("options"))
+    path = shared_dir(t.spark, "ontology")
+    c.agg(ordered(tool).alias("tools"), F.array(F.first(top)).alias("classifications")).write.json(path)
+    return t.spark.read.schema(L.ONTOLOGY).json(path)
 
 
 def export(t):
@@ -56,18 +66,29 @@ def drop_unlabeled(t):
     return L.labeled(export(t), "p1").select(F.col("data_row.id").alias("data_row_id"))
 
 
-@query("ontology_index", "WITH c AS (SELECT category_id AS i, name FROM fx_categories WHERE category_id IN (SELECT category_id FROM fx_annotations)), n AS (SELECT 't-' || i AS schema_id, name, 'tool' AS kind, [i] AS path FROM c UNION ALL SELECT 'c-' || i, 'adult?', 'classification', [i, 0] FROM c UNION ALL SELECT 'o0-' || i, 'yes', 'option', [i, 0, 0] FROM c UNION ALL SELECT 'o1-' || i, 'no', 'option', [i, 0, 1] FROM c) SELECT schema_id, name, kind, row_number() OVER (ORDER BY path) AS encoded FROM n")
+_NODES = """WITH c AS (SELECT category_id AS i, name FROM fx_categories WHERE category_id IN (SELECT category_id FROM fx_annotations)),
+shapes AS (SELECT *, CASE i % 3 WHEN 1 THEN 'line' WHEN 2 THEN 'point' ELSE 'rectangle' END AS shape FROM c),
+nodes AS (SELECT 't-' || i AS schema_id, name, 'tool' AS kind, shape AS type, []::varchar[] AS parents, [0, i] AS path FROM shapes
+  UNION ALL SELECT 'c-' || i, 'adult?', 'classification', 'radio', ['t-' || i], [0, i, 0] FROM c
+  UNION ALL SELECT 'o0-' || i, 'yes', 'option', 'branch_option', ['t-' || i, 'c-' || i], [0, i, 0, 0] FROM c
+  UNION ALL SELECT 'p0-' || i, 'very', 'option', 'leaf_option', ['t-' || i, 'c-' || i, 'o0-' || i], [0, i, 0, 0, 0] FROM c
+  UNION ALL SELECT 'p1-' || i, 'rather', 'option', 'leaf_option', ['t-' || i, 'c-' || i, 'o0-' || i], [0, i, 0, 0, 1] FROM c
+  UNION ALL SELECT 'o1-' || i, 'no', 'option', 'leaf_option', ['t-' || i, 'c-' || i], [0, i, 0, 1] FROM c
+  UNION ALL SELECT 'top', 'weather?', 'classification', 'radio', [], [1, 0] UNION ALL SELECT 'top-0', 'rain', 'option', 'leaf_option', ['top'], [1, 0, 0]),
+idx AS (SELECT *, row_number() OVER (ORDER BY path) AS encoded FROM nodes)"""
+
+
+@query("ontology_index", f"{_NODES} SELECT schema_id, name, kind, type, array_to_string(parents, '/') AS parents, encoded FROM idx")
 def ontology_index(t):
-    return L.ontology_index(ontology(t)).drop("path")
+    return L.ontology_index(ontology(t)).drop("path").withColumn("parents", F.array_join("parents", "/"))
 
 
-_CAT = "dense_rank() OVER (ORDER BY category_id) * 4 - 3"
+_KIND = "['box', 'line', 'point', 'polygon', 'mask'][id % 5 + 1]"
+_BOXED = ", ".join(f"CASE WHEN k IN ('box', 'polygon') THEN {v}::double END AS {n}" for v, n in (("x", "x"), ("y", "y"), ("w", "w"), ("h", "h"), ("(w * h)", "area")))
+_OBJECTS = f"SELECT a.*, idx.encoded AS category, {_KIND} AS k FROM ({_OBJ}) a JOIN idx ON idx.schema_id = 't-' || a.category_id"
 
 
-@query(
-    "objects_to_annotations",
-    f"SELECT image_id::varchar AS data_row_id, position, k AS kind, category AS category_id, CASE WHEN k IN ('box', 'polygon') THEN x::double END AS x, CASE WHEN k IN ('box', 'polygon') THEN y::double END AS y, CASE WHEN k IN ('box', 'polygon') THEN w::double END AS w, CASE WHEN k IN ('box', 'polygon') THEN h::double END AS h, CASE WHEN k IN ('box', 'polygon') THEN (w * h)::double END AS area FROM (SELECT *, {_CAT} AS category, ['box', 'line', 'point', 'polygon', 'mask'][id % 5 + 1] AS k FROM ({_OBJ})) WHERE k <> 'mask'",
-)
+@query("objects_to_annotations", f"{_NODES} SELECT image_id::varchar AS data_row_id, position, k AS kind, category AS category_id, {_BOXED} FROM ({_OBJECTS}) WHERE k <> 'mask'")
 def objects(t):
     return L.annotations_of(export(t), "p1", L.ontology_index(ontology(t))).drop("n_points")
 
@@ -77,13 +98,39 @@ def masks(t):
     return L.masks_of(export(t), "p1")
 
 
-@query("categories_from_ontology", f"SELECT category AS id, name, max(CASE id % 5 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END)::bigint AS n_keypoints FROM (SELECT a.id, c.name, {_CAT} AS category FROM fx_annotations a JOIN fx_categories c USING (category_id) JOIN fx_images USING (image_id)) WHERE id % 5 <> 4 GROUP BY 1, 2")
+_POINTS = "CASE WHEN kind = 'tool' AND type = 'line' THEN list_transform(range(1, n + 1), lambda i: 'line_' || i) WHEN kind = 'tool' AND type = 'point' THEN ['point'] ELSE [] END"
+_BONES = "CASE WHEN kind = 'tool' AND type = 'line' THEN list_transform(range(0, n), lambda i: i || '-' || (i + 1)) WHEN kind = 'tool' AND type = 'point' THEN ['0-0'] ELSE [] END"
+_CATS = f"SELECT encoded AS id, name, CASE WHEN kind = 'tool' THEN name ELSE (SELECT p.name FROM idx p WHERE p.schema_id = idx.parents[1]) END AS supercategory, array_to_string({_POINTS}, ',') AS keypoints, array_to_string({_BONES}, ',') AS skeleton FROM idx, (SELECT max(CASE WHEN id % 5 = 1 THEN 2 ELSE 0 END)::bigint AS n FROM fx_annotations JOIN fx_images USING (image_id)) WHERE kind = 'tool' OR len(parents) = 2"
+
+
+def _flat(df):
+    bones = F.array_join(F.transform("skeleton", lambda b: F.array_join(F.transform(b, lambda i: i.cast("string")), "-")), ",")
+    return df.withColumns({"keypoints": F.array_join("keypoints", ","), "skeleton": bones})
+
+
+@query("categories_from_ontology", f"{_NODES} {_CATS}")
 def categories(t):
     index = L.ontology_index(ontology(t))
-    return L.categories_of(L.annotations_of(export(t), "p1", index), index).withColumn("n_keypoints", F.col("n_keypoints").cast("long"))
+    return _flat(L.categories_of(L.annotations_of(export(t), "p1", index), index))
+
+
+def _coco(t):
+    return L.to_coco(export(t), ontology(t), "p1", F.col("data_row.id").cast("long"))
 
 
 @query("export_to_coco", "SELECT CAST(row_number() OVER (ORDER BY image_id) AS BIGINT) AS image_id, concat('set-', file_name) AS file_name, width, height FROM fx_images WHERE image_id IN (SELECT image_id FROM fx_annotations)")
 def export_to_coco(t):
-    number = F.col("data_row.id").cast("long")
-    return L.images_of(export(t), "p1", number, F.floor(F.col("__o") / 4096)).drop("data_row_id")
+    return _coco(t)[0].drop("data_row_id")
+
+
+_IMAGE = "SELECT image_id, CAST(row_number() OVER (ORDER BY image_id) AS BIGINT) AS number FROM fx_images WHERE image_id IN (SELECT image_id FROM fx_annotations)"
+
+
+@query("export_to_coco_annotations", f"{_NODES}, cats AS ({_CATS}), named AS (SELECT *, row_number() OVER (ORDER BY name, id) AS new_id FROM cats) SELECT number AS image_id, position, k AS kind, new_id AS category_id, {_BOXED} FROM ({_OBJECTS}) o JOIN ({_IMAGE}) i USING (image_id) JOIN (SELECT id AS cid, new_id FROM named) n ON n.cid = o.category WHERE k <> 'mask'")
+def export_annotations(t):
+    return _coco(t)[1].drop("data_row_id", "n_points")
+
+
+@query("export_to_coco_categories", f"{_NODES}, cats AS ({_CATS}) SELECT row_number() OVER (ORDER BY name, id) AS id, name, supercategory, keypoints, skeleton FROM cats")
+def export_categories(t):
+    return _flat(_coco(t)[2])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldlens.operators import metrics as M
@@ -23,6 +24,11 @@ def rank_mean(t):
     return M.rank_means(t.metric_log).withColumn("mean", F.round("mean", 6))
 
 
-@query("block_loss", "SELECT step // 10 AS block, round(avg(value), 6) AS loss FROM fx_metric_log GROUP BY 1 HAVING count(*) = 10")
+_BATCHES = "SELECT event_type AS meter, event_id // 300 AS epoch, row_number() OVER (PARTITION BY event_type, event_id // 300 ORDER BY event_id) - 1 AS batch, value FROM events"
+
+
+@query("block_loss", f"SELECT meter, epoch, batch // 10 AS block, epoch * any_value(n) + max(batch) AS step, round(avg(value), 6) AS loss FROM (SELECT *, count(*) OVER (PARTITION BY meter, epoch) AS n FROM ({_BATCHES})) GROUP BY 1, 2, 3 HAVING count(*) = 10")
 def block(t):
-    return M.block_means(t.metric_log).withColumn("loss", F.round("loss", 6))
+    log = t.metric_log.withColumn("epoch", F.floor(F.col("step") / 300))
+    batch = F.row_number().over(Window.partitionBy("meter", "epoch").orderBy("step")) - 1
+    return M.block_means(log.withColumn("batch", batch.cast("long"))).withColumn("loss", F.round("loss", 6))

@@ -8,9 +8,15 @@ from fieldlens.functions import names as N
 from fieldlens.plans.registry import query
 
 
-@query("name_to_unicode", "SELECT c_custkey, array_to_string(list_transform(string_split(right(c_name, 10), ''), lambda c: unicode(c)::varchar), '') AS code FROM customer")
+_LONG = "CASE WHEN c_custkey % 5 = 0 THEN c_name || '日本日本日本日本日本' ELSE c_name END"
+_CODE = f"array_to_string(list_transform(string_split(right({_LONG}, 10), ''), lambda c: unicode(c)::varchar), '')"
+
+
+@query("name_to_unicode", f"SELECT c_custkey, {_CODE} AS code, CASE WHEN length({_CODE}) <= 38 THEN {_CODE} END AS number FROM customer")
 def name_to_unicode(t):
-    return t.customer.select("c_custkey", N.code_points(F.col("c_name")).cast("string").alias("code"))
+    """Some of the names have more digits than an integer of 38 holds."""
+    name = F.when(F.col("c_custkey") % 5 == 0, F.concat("c_name", F.lit("日本日本日本日本日本"))).otherwise(F.col("c_name"))
+    return t.customer.select("c_custkey", N.code_points(name).alias("code"), N.code_point_number(name).cast("string").alias("number"))
 
 
 @query("time_as_int", "SELECT event_id, strftime(ts, '%y%m%d%H%M%S%f')::bigint AS ts_int FROM events")

@@ -44,14 +44,27 @@ def sessions(t):
     return _start(X.drained(X.gap_sessions(X.source(t.spark, rows, "sessions", order="ts"), "2 hours"), "sessions"))
 
 
+def timed(rows):
+    """Frames with a time of their own, a second each. Event time has to lie after 1970, where a stream's watermark begins."""
+    return rows.withColumn("ts", F.timestamp_seconds(F.col("frame") + 1_700_000_000))
+
+
+def closing(rows):
+    """A row of no video, an hour after the last: once time allowed for late rows (less than that) is over, all others are handled."""
+    last = rows.agg((F.max("ts") + F.expr("interval 1 hour")).alias("ts"))
+    return last.select(*(F.col("ts") if c.name == "ts" else F.lit(-1 if c.name == "video_id" else None).cast(c.dataType).alias(c.name) for c in rows.schema))
+
+
 @query("stream_tracker")
 def tracker(t):
-    return X.drained(X.tracker(X.source(t.spark, frames(t), "tracker", order="frame"), patience=3, overlap=0.3), "tracker")
+    rows = timed(frames(t)).select("video_id", "frame", "det_id", "x", "y", "w", "h", "score", "ts")
+    return X.drained(X.tracker(X.source(t.spark, rows, "tracker", order="ts", closing=closing(rows)), patience=3, overlap=0.3), "tracker")
 
 
 @query("stream_anchor_monitor", f"SELECT * FROM ({_SEL}) WHERE kind <> 'plain'")
 def monitor(t):
-    return X.drained(X.anchor_monitor(X.source(t.spark, t.inliers, "monitor", order="frame"), 100, 10), "monitor")
+    rows = timed(t.inliers)
+    return X.drained(X.anchor_monitor(X.source(t.spark, rows, "monitor", order="ts", closing=closing(rows)), 100, 10), "monitor")
 
 
 @query("stream_to_utm", f"{_GROUND} SELECT track_id, obs_ind, segment, round(gx, 4) AS gx, round(gy, 4) AS gy, found FROM g")

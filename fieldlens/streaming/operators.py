@@ -1,12 +1,14 @@
 """Streaming forms of the detection and track operators.
 
-Each takes a streaming DataFrame and gives one. Late rows, those older than the watermark, are dropped; outputs are appended.
+Each takes a streaming DataFrame and gives one. Rows older than the watermark are late and dropped; Spark counts them, and
+late_rows tells how many. Outputs are appended.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -35,73 +37,101 @@ def gap_sessions(stream: DataFrame, gap: str, *, late: str = "10 minutes") -> Da
     return stream.withWatermark("ts", late).groupBy(w, "track_id").agg(F.count("*").alias("n")).select("track_id", F.col("w.start").alias("start"), "n")
 
 
-def tracker(stream: DataFrame, **options) -> DataFrame:
+def in_order(stream: DataFrame, columns: list[str], handle: Callable, schema: str, *, key: str = "video_id", late: str = "10 minutes") -> DataFrame:
+    """Rows of each key handled in order of frames, whatever the order in which they come.
+
+    stream has ts, and frames rise with it. Rows wait in the key's state until the watermark (the greatest ts so far, less
+    late) has passed them, and then go to handle(own, rows) -> list of output rows, frame by frame; own is a dictionary that
+    is kept. So the state holds the rows of the time that late allows, and an event-time timer brings up keys that get no
+    new rows. A row that comes later than that is dropped and counted by Spark.
+    """
+
+    def step(k, frames, state):
+        kept = json.loads(state.get[0]) if state.exists else {"own": {}, "rows": []}
+        passed = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            new = pd.concat(list(frames))
+            new["ts"] = new["ts"].astype("datetime64[ms]").astype("int64")
+            kept["rows"] += new.to_numpy().tolist()
+        rows = pd.DataFrame(kept["rows"], columns=[*columns, "ts"])
+        ready = rows[rows["ts"] <= passed].sort_values(columns[:2])
+        out = handle(kept["own"], ready) if len(ready) else []
+        kept["rows"] = rows[rows["ts"] > passed].to_numpy().tolist()
+        state.update((json.dumps(kept),))
+        if kept["rows"]:
+            state.setTimeoutTimestamp(max(int(rows[rows["ts"] > passed]["ts"].min()), passed + 1))
+        yield pd.DataFrame([(k[0], *x) for x in out], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return stream.withWatermark("ts", late).select(key, *columns, "ts").groupBy(key).applyInPandasWithState(_without_key(step, key), schema, "kept string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _without_key(step: Callable, key: str) -> Callable:
+    return lambda k, frames, state: step(k, (f.drop(columns=key) for f in frames), state)
+
+
+def tracker(stream: DataFrame, *, late: str = "10 minutes", **options) -> DataFrame:
     """(video_id, track_id, det_id, frame), as the batch operator gives them, with the tracks kept as each video's state.
 
-    Rows of a batch go in order of frames; frames before the last one handled are late, and dropped.
+    Rows without a detection (det_id is null) only move time on.
     """
 
-    def step(key, frames, state):
-        kept = json.loads(state.get[0]) if state.exists else {"next": 0, "frame": -1, "tracks": []}
+    def handle(own: dict, rows: pd.DataFrame) -> list[tuple]:
         machine = Tracker(**options)
-        machine.next_id = kept["next"]
-        machine.tracks = {k: {"seen": seen, "past": [(f, np.array(b)) for f, b in past]} for k, seen, past in kept["tracks"]}
-        rows = pd.concat(list(frames))
-        rows = rows[rows["frame"] > kept["frame"]].sort_values(["frame", "det_id"])
+        machine.next_id = own.get("next", 0)
+        machine.tracks = {k: {"seen": seen, "past": [(f, np.array(b)) for f, b in past]} for k, seen, past in own.get("tracks", [])}
         out = []
-        for frame, own in rows.groupby("frame", sort=True):
-            out += track_frame(machine, int(frame), own)
-            kept["frame"] = int(frame)
-        tracks = [(k, t["seen"], [(f, b.tolist()) for f, b in t["past"]]) for k, t in machine.tracks.items()]
-        state.update((json.dumps({"next": machine.next_id, "frame": kept["frame"], "tracks": tracks}),))
-        yield pd.DataFrame([(key[0], *x) for x in out], columns=["video_id", "track_id", "det_id", "frame"])
+        for frame, boxes in rows.dropna(subset=["det_id"]).groupby("frame", sort=True):
+            out += track_frame(machine, int(frame), boxes)
+        own["next"], own["tracks"] = machine.next_id, [(k, t["seen"], [(f, b.tolist()) for f, b in t["past"]]) for k, t in machine.tracks.items()]
+        return out
 
-    cut = stream.select("video_id", "frame", "det_id", "x", "y", "w", "h", "score")
-    return cut.groupBy("video_id").applyInPandasWithState(step, "video_id long, track_id long, det_id long, frame long", "kept string", "append", GroupStateTimeout.NoTimeout)
+    return in_order(stream, ["frame", "det_id", "x", "y", "w", "h", "score"], handle, "video_id long, track_id long, det_id long, frame long", late=late)
 
 
-def anchor_monitor(stream: DataFrame, threshold: int, most_pseudo: int) -> DataFrame:
+def anchor_monitor(stream: DataFrame, threshold: int, most_pseudo: int, *, late: str = "10 minutes") -> DataFrame:
     """(video_id, frame, low_no, kind) of the frames that are anchors, make the one before an anchor, or are pseudo anchors."""
 
-    def step(key, frames, state):
-        low, last = state.get if state.exists else (0, None)
+    def handle(own: dict, rows: pd.DataFrame) -> list[tuple]:
         out = []
-        for row in pd.concat(list(frames)).sort_values("frame").itertuples(index=False):
-            if last is not None and row.frame <= last:
-                continue
-            is_low = row.n_inliers < threshold
-            low += int(is_low)
-            kind = "anchor" if last is None else "promotes_previous" if is_low and low % (most_pseudo + 1) == 0 else "pseudo" if is_low else None
-            last = int(row.frame)
+        for frame, n in rows.dropna(subset=["n_inliers"])[["frame", "n_inliers"]].itertuples(index=False):
+            is_low = n < threshold
+            low = own["low"] = own.get("low", 0) + int(is_low)
+            kind = "anchor" if not own.get("begun") else "promotes_previous" if is_low and low % (most_pseudo + 1) == 0 else "pseudo" if is_low else None
+            own["begun"] = True
             if kind:
-                out.append((key[0], last, low, kind))
-        state.update((low, last))
-        yield pd.DataFrame(out, columns=["video_id", "frame", "low_no", "kind"])
+                out.append((int(frame), low, kind))
+        return out
 
-    return stream.select("video_id", "frame", "n_inliers").groupBy("video_id").applyInPandasWithState(step, "video_id long, frame long, low_no long, kind string", "low long, last long", "append", GroupStateTimeout.NoTimeout)
+    return in_order(stream, ["frame", "n_inliers"], handle, "video_id long, frame long, low_no long, kind string", late=late)
 
 
-def source(spark: SparkSession, rows: DataFrame, name: str, files: int = 1000, *, order: str | None = None, batches: int | None = None) -> DataFrame:
+def source(spark: SparkSession, rows: DataFrame, name: str, files: int = 1000, *, order: str | None = None, batches: int | None = None, closing: DataFrame | None = None) -> DataFrame:
     """rows, written to the shared folder, as a stream.
 
     With order, a column, batches follow one another in that column and equal values share a batch, so no row comes late;
-    there are about batches of them (by default one for each million rows, and three at least).
+    there are about batches of them (by default one for each million rows, and three at least). closing rows come in a batch
+    after all others.
     """
     path = shared_dir(spark, f"stream-{name}")
     if order:
         n = batches or max(3, -(-rows.count() // 1_000_000))
-        files = -(-_write_ordered(spark, rows, path, order, n) // n)
+        files = -(-_write_ordered(spark, rows, path, order, n, closing) // n)
     else:
         rows.write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def _write_ordered(spark: SparkSession, rows: DataFrame, path: str, order: str, n: int) -> int:
+def _write_ordered(spark: SparkSession, rows: DataFrame, path: str, order: str, n: int, closing: DataFrame | None = None) -> int:
     """Write rows in n ranges of order, a file each, and give the files that many times: a stream takes the oldest file first."""
     rows.repartitionByRange(n, order).write.option("maxRecordsPerFile", 0).parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = {int(m[1]): f for f in fs.listStatus(folder) if (m := re.match(r"part-(\d+)", f.getPath().getName()))}
+    listed = lambda: {f.getPath().getName(): f for f in fs.listStatus(folder)}
+    first_ones = listed()
+    found = {int(m[1]): f for n, f in first_ones.items() if (m := re.match(r"part-(\d+)", n))}
+    if closing is not None:
+        closing.coalesce(1).write.mode("append").parquet(path)
+        found |= {1 << 40: f for n, f in listed().items() if n not in first_ones and n.startswith("part-")}
     parts = [found[k] for k in sorted(found)]
     first = min((f.getModificationTime() for f in parts), default=0) // 1000 * 1000
     for k, f in enumerate(parts):
@@ -114,8 +144,14 @@ def _write_ordered(spark: SparkSession, rows: DataFrame, path: str, order: str,
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """What the stream appends until its source is used up, from the files that it writes in the shared folder."""
+    return drained_with_late(stream, name)[0]
+
+
+def drained_with_late(stream: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """drained, and how many rows came too late and were dropped."""
     spark = stream.sparkSession
     out, at = shared_dir(spark, f"stream-{name}-out"), shared_dir(spark, f"stream-{name}-log")
     query = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    return spark.read.schema(stream.schema).parquet(out), late
