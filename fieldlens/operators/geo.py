@@ -361,6 +361,93 @@ def anchor_selection(inliers: DataFrame, threshold: int, most_pseudo: int) -> Da
     return counted.withColumn("kind", kind)
 
 
+def anchor_list(selected: DataFrame) -> DataFrame:
+    """(video_id, frame) of the anchors of anchor_selection's frames: the first, each frame before one that promotes it, and
+    at the end the number of frames, one past the last."""
+    promoted = selected.filter("kind = 'promotes_previous'").select("video_id", (F.col("frame") - 1).alias("frame"))
+    ends = selected.groupBy("video_id").agg((F.max("frame") + 1).alias("frame"))
+    return selected.filter("kind = 'anchor'").select("video_id", "frame").unionByName(promoted).unionByName(ends)
+
+
+def pseudo_usage(selected: DataFrame, most_pseudo: int) -> DataFrame:
+    """(video_id, anchor_no, pseudo): the pseudo anchors used in each stretch between two promotions."""
+    return selected.groupBy("video_id", F.floor(F.col("low_no") / (most_pseudo + 1)).alias("anchor_no")).agg(F.count_if(F.col("kind") == "pseudo").alias("pseudo"))
+
+
+def anchor_frames(anchors: DataFrame, frames: DataFrame, *, key: str = "observation_id") -> DataFrame:
+    """(key, anchor_ind, obs_ind): for each anchor (key, anchor_ind, image_name) in order, the first frame (key, frame_ind,
+    path), not before that of the anchor before it, whose path contains the name. Anchors without one are left out.
+
+    Frames meet anchors by the last part of the path; only names that no frame has in that place are looked for inside
+    the paths. The frames found are folded in order of the anchors, by observation: names may repeat.
+    """
+    named = frames.withColumn("__base", F.regexp_extract("path", "[^/]+$", 0))
+    equal = anchors.join(named, (anchors[key] == named[key]) & (F.col("image_name") == F.col("__base"))).select(anchors[key], "anchor_ind", "frame_ind")
+    rest = anchors.join(named, (anchors[key] == named[key]) & (F.col("image_name") == F.col("__base")), "left_anti").withColumnRenamed(key, "__key")
+    inside = named.join(small(rest), (F.col(key) == F.col("__key")) & F.col("path").contains(F.col("image_name"))).select(key, "anchor_ind", "frame_ind")
+    each = equal.unionByName(inside).groupBy(key, "anchor_ind").agg(F.array_sort(F.collect_set("frame_ind")).alias("found"))
+    lists = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("anchor_ind", "found"))).alias("anchors"))
+    start = F.struct(F.lit(None).cast("long").alias("at"), F.array().cast("array<struct<anchor_ind:bigint,obs_ind:bigint>>").alias("out"))
+
+    def step(acc: Column, a: Column) -> Column:
+        ahead = F.get(F.filter(a["found"], lambda f: acc["at"].isNull() | (f >= acc["at"])), F.lit(0)).cast("long")
+        row = F.struct(a["anchor_ind"].cast("long").alias("anchor_ind"), ahead.alias("obs_ind"))
+        return F.struct(F.coalesce(ahead, acc["at"]).alias("at"), F.when(ahead.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(row))).alias("out"))
+
+    return lists.select(key, F.explode(F.aggregate("anchors", start, step, lambda acc: acc["out"])).alias("a")).select(key, "a.*")
+
+
+def truth_frames(log: DataFrame, frames: DataFrame, *, for_test: bool = False) -> DataFrame:
+    """(frame, obs_ind) of the log's frames (frame, used_in_map, test_frame) that are used in the map.
+
+    A used frame has its own index in frames (obs_ind), or that of the frame two before it, or, if it is the last, the last
+    frame; else it drops out. for_test leaves out the frames that are for testing.
+    """
+    used = log.filter("used_in_map and not test_frame" if for_test else "used_in_map").select("frame")
+    ends = frames.agg(F.max("obs_ind").alias("__most")).join(F.broadcast(used.agg(F.max("frame").alias("__last"))))
+    own = used.join(frames.select(F.col("obs_ind").alias("frame"), F.col("obs_ind").alias("__a")), "frame", "left")
+    near = own.join(frames.select((F.col("obs_ind") + 2).alias("frame"), F.col("obs_ind").alias("__b")), "frame", "left").join(F.broadcast(ends))
+    found = F.coalesce("__a", "__b", F.when(F.col("frame") == F.col("__last"), F.col("__most")))
+    return near.select("frame", found.alias("obs_ind")).filter("obs_ind is not null")
+
+
+def clean_anchors(anchors: DataFrame, cameras: DataFrame) -> DataFrame:
+    """Anchors whose image has a camera matrix."""
+    return anchors.join(cameras, "image_name", "left_semi")
+
+
+def clean_flight_log(log: DataFrame, cameras: DataFrame) -> DataFrame:
+    """log (frame_name, used_in_map, test_frame, ...): frames without a camera matrix are neither used nor for testing."""
+    known = cameras.select(F.col("image_name").alias("frame_name"), F.lit(True).alias("__known")).distinct()
+    on = log.join(small(known), "frame_name", "left")
+    return on.withColumns({c: F.col(c) & F.col("__known").isNotNull() for c in ("used_in_map", "test_frame")}).drop("__known")
+
+
+def frames_per_flight(frames: DataFrame, flight: str) -> DataFrame:
+    """(flight, n, before): the frames of each flight and of all flights before it. There are few flights."""
+    n = frames.groupBy(F.col(flight).alias("flight")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("flight").rowsBetween(Window.unboundedPreceding, -1)
+    return n.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+def mean_mu(points: DataFrame, frame: Column, mu: Column) -> DataFrame:
+    """(frame, mu): the mean depth of the tracks present in a frame; where none has one, 0."""
+    return points.groupBy(frame.alias("frame")).agg(F.coalesce(F.avg(mu), F.lit(0.0)).alias("mu"))
+
+
+def inliers_per_segment(warps: DataFrame, threshold: int, most_pseudo: int) -> DataFrame:
+    """(segment, least, mean, low, over_limit) of the inliers of a segment's warps."""
+    low = F.count_if(F.col("n_inliers") < threshold)
+    return warps.groupBy("segment").agg(F.min("n_inliers").alias("least"), F.avg("n_inliers").alias("mean"), low.alias("low"), (low > most_pseudo).alias("over_limit"))
+
+
+def map_bundle(cameras: DataFrame, offsets: DataFrame, raster: DataFrame, *, key: str = "observation_id") -> DataFrame:
+    """cameras (key, p03, p13, p23, ...) with their project's offset (key, ox, oy, oz) and the size of its raster (key, xr,
+    yr, elev): width, height, cells and least elevation. Projects without an offset or a raster have nulls there."""
+    shape = raster.groupBy(key).agg((F.max("xr") + 1).alias("width"), (F.max("yr") + 1).alias("height"), F.count("*").alias("n_cells"), F.min("elev").alias("least"))
+    return cameras.join(small(offsets), key, "left").join(small(shape), key, "left")
+
+
 def warp_chain(warps: DataFrame) -> DataFrame:
     """(segment, step, c00..c12): the product of the segment's warps up to each step, folded in order within the segment."""
     names = list(IDENTITY)

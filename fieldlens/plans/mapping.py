@@ -67,54 +67,83 @@ def resample(t):
 @query("anchor_obs_index", "SELECT anchor_ind, f.obs_ind FROM fx_anchors a JOIN (SELECT event_id AS obs_ind, concat('frame_', event_id, '.jpg') AS name FROM events) f ON f.name = a.image_name QUALIFY f.obs_ind >= max(f.obs_ind) OVER (ORDER BY anchor_ind ROWS UNBOUNDED PRECEDING)")
 def anchor_index(t):
     """The frame with an anchor's name, not before that of an earlier anchor; names are unique."""
-    frames = t.events.select(F.col("event_id").alias("frame_ind"), F.concat(F.lit("frame_"), F.col("event_id").cast("string"), F.lit(".jpg")).alias("image_name"))
-    on = frames.join(F.broadcast(t.anchors.select("anchor_ind", "image_name")), "image_name")
-    reached = F.max("frame_ind").over(Window.orderBy("anchor_ind").rowsBetween(Window.unboundedPreceding, 0))
-    return on.withColumn("reached", reached).filter("frame_ind >= reached").select("anchor_ind", F.col("frame_ind").alias("obs_ind"))
+    path = F.concat(F.lit("flight/frame_"), F.col("event_id").cast("string"), F.lit(".jpg"))
+    frames = t.events.select(F.lit(0).alias("observation_id"), F.col("event_id").alias("frame_ind"), path.alias("path"))
+    return O.anchor_frames(t.anchors.select(F.lit(0).alias("observation_id"), "anchor_ind", "image_name"), frames).drop("observation_id")
 
 
-@query("groundtruth_obs_index", "WITH f AS (SELECT event_id AS obs_ind FROM events WHERE event_id % 5 <> 3), n AS (SELECT max(obs_ind) AS most FROM f), g AS (SELECT image_id AS frame, image_id > (SELECT most FROM n) AS past FROM fx_images WHERE image_id % 3 = 0) SELECT g.frame, coalesce(a.obs_ind, b.obs_ind, CASE WHEN g.frame = (SELECT max(frame) FROM g) THEN (SELECT most FROM n) END) AS obs_ind FROM g LEFT JOIN f a ON a.obs_ind = g.frame LEFT JOIN f b ON b.obs_ind = g.frame - 2 WHERE coalesce(a.obs_ind, b.obs_ind, CASE WHEN g.frame = (SELECT max(frame) FROM g) THEN (SELECT most FROM n) END) IS NOT NULL")
-def groundtruth_index(t):
-    """A used frame's own index, or that of the frame two before it, or for the last one the last frame; else it drops out."""
+_NAMED = "SELECT anchor_ind % 4 AS o, anchor_ind, CASE WHEN anchor_ind % 3 = 0 THEN concat('_', (anchor_ind * 13) % 50, '.jp') ELSE concat('frame_', (anchor_ind * 13) % 50, '.jpg') END AS name FROM fx_anchors"
+_PATHS = "SELECT event_id % 4 AS o, event_id AS f, concat('flight/frame_', event_id % 50, '.jpg') AS path FROM events"
+
+
+@query(
+    "anchor_obs_index_repeated",
+    f"""WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY anchor_ind) AS k FROM ({_NAMED})), p AS ({_PATHS}),
+c AS (SELECT a.o, a.k, a.anchor_ind, list(p.f ORDER BY p.f) AS fs FROM a JOIN p ON p.o = a.o AND contains(p.path, a.name) GROUP BY 1, 2, 3),
+s AS (SELECT o, k, anchor_ind, coalesce(fs, []::bigint[]) AS fs FROM a LEFT JOIN c USING (o, k, anchor_ind)),
+r AS (SELECT o, k, anchor_ind, fs[1] AS hit, coalesce(fs[1], -1) AS reached FROM s WHERE k = 1
+  UNION ALL SELECT s.o, s.k, s.anchor_ind, list_filter(s.fs, lambda f: f >= r.reached)[1], coalesce(list_filter(s.fs, lambda f: f >= r.reached)[1], r.reached) FROM r JOIN s ON s.o = r.o AND s.k = r.k + 1)
+SELECT o AS observation_id, anchor_ind, hit AS obs_ind FROM r WHERE hit IS NOT NULL""",
+)
+def anchor_index_repeated(t):
+    """With names that many frames have, some of which are but a part of the frame's name."""
+    number = ((F.col("anchor_ind") * 13) % 50).cast("string")
+    name = F.when(F.col("anchor_ind") % 3 == 0, F.concat(F.lit("_"), number, F.lit(".jp"))).otherwise(F.concat(F.lit("frame_"), number, F.lit(".jpg")))
+    anchors = t.anchors.select((F.col("anchor_ind") % 4).alias("observation_id"), "anchor_ind", name.alias("image_name"))
+    path = F.concat(F.lit("flight/frame_"), (F.col("event_id") % 50).cast("string"), F.lit(".jpg"))
+    frames = t.events.select((F.col("event_id") % 4).alias("observation_id"), F.col("event_id").alias("frame_ind"), path.alias("path"))
+    return O.anchor_frames(anchors, frames)
+
+
+def _truth_sql(used: str) -> str:
+    found = "coalesce(a.obs_ind, b.obs_ind, CASE WHEN g.frame = (SELECT max(frame) FROM g) THEN (SELECT most FROM n) END)"
+    return f"WITH f AS (SELECT event_id AS obs_ind FROM events WHERE event_id % 5 <> 3), n AS (SELECT max(obs_ind) AS most FROM f), g AS (SELECT image_id AS frame FROM fx_images WHERE {used}) SELECT g.frame, {found} AS obs_ind FROM g LEFT JOIN f a ON a.obs_ind = g.frame LEFT JOIN f b ON b.obs_ind = g.frame - 2 WHERE {found} IS NOT NULL"
+
+
+def _truth_frames(t, for_test: bool):
     frames = t.events.filter(F.col("event_id") % 5 != 3).select(F.col("event_id").alias("obs_ind"))
-    used = t.images.filter(F.col("image_id") % 3 == 0).select(F.col("image_id").alias("frame"))
-    ends = frames.agg(F.max("obs_ind").alias("most")).join(F.broadcast(used.agg(F.max("frame").alias("last"))))
-    own = used.join(frames.select(F.col("obs_ind").alias("frame"), F.col("obs_ind").alias("a")), "frame", "left")
-    near = own.join(frames.select((F.col("obs_ind") + 2).alias("frame"), F.col("obs_ind").alias("b")), "frame", "left").join(F.broadcast(ends))
-    return near.select("frame", F.coalesce("a", "b", F.when(F.col("frame") == F.col("last"), F.col("most"))).alias("obs_ind")).filter("obs_ind is not null")
+    log = t.images.select(F.col("image_id").alias("frame"), (F.col("image_id") % 3 == 0).alias("used_in_map"), (F.col("image_id") % 6 == 0).alias("test_frame"))
+    return O.truth_frames(log, frames, for_test=for_test)
+
+
+@query("groundtruth_obs_index", _truth_sql("image_id % 3 = 0"))
+def groundtruth_index(t):
+    return _truth_frames(t, False)
+
+
+@query("groundtruth_obs_index_test", _truth_sql("image_id % 3 = 0 AND image_id % 6 <> 0"))
+def groundtruth_index_test(t):
+    return _truth_frames(t, True)
 
 
 @query("clean_anchors", "SELECT anchor_ind FROM fx_anchors WHERE image_name IN (SELECT image_name FROM fx_cameras WHERE anchor_ind % 3 <> 0)")
 def clean_anchors(t):
-    return t.anchors.join(t.cameras.filter(F.col("anchor_ind") % 3 != 0), "image_name", "left_semi").select("anchor_ind")
+    return O.clean_anchors(t.anchors, t.cameras.filter(F.col("anchor_ind") % 3 != 0)).select("anchor_ind")
 
 
-_LOG = "SELECT event_id, event_id % 2 = 0 AND (event_id <= (SELECT max(anchor_ind) FROM fx_anchors) AND event_id % 3 <> 0) AS used_in_map, event_id % 4 = 0 AND (event_id <= (SELECT max(anchor_ind) FROM fx_anchors) AND event_id % 3 <> 0) AS test_frame FROM events"
+_KNOWN = "(event_id <= (SELECT max(anchor_ind) FROM fx_anchors) AND event_id % 3 <> 0)"
 
 
-@query("clean_flight_log", _LOG)
+@query("clean_flight_log", f"SELECT event_id, event_id % 2 = 0 AND {_KNOWN} AS used_in_map, event_id % 4 = 0 AND {_KNOWN} AS test_frame FROM events")
 def clean_log(t):
-    names = t.cameras.filter(F.col("anchor_ind") % 3 != 0).select(F.col("image_name").alias("frame_name"), F.lit(True).alias("known"))
-    log = t.events.select("event_id", F.concat(F.lit("frame_"), F.col("event_id").cast("string"), F.lit(".jpg")).alias("frame_name"), (F.col("event_id") % 2 == 0).alias("used_in_map"), (F.col("event_id") % 4 == 0).alias("test_frame"))
-    on = log.join(F.broadcast(names), "frame_name", "left")
-    return on.select("event_id", *((F.col(c) & F.col("known").isNotNull()).alias(c) for c in ("used_in_map", "test_frame")))
+    name = F.concat(F.lit("frame_"), F.col("event_id").cast("string"), F.lit(".jpg"))
+    log = t.events.select("event_id", name.alias("frame_name"), (F.col("event_id") % 2 == 0).alias("used_in_map"), (F.col("event_id") % 4 == 0).alias("test_frame"))
+    return O.clean_flight_log(log, t.cameras.filter(F.col("anchor_ind") % 3 != 0)).drop("frame_name")
 
 
 @query("frames_per_flight", "SELECT flight, n, coalesce(sum(n) OVER (ORDER BY flight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS before FROM (SELECT video_id AS flight, count(*) AS n FROM fx_images GROUP BY 1)")
 def per_flight(t):
-    n = t.images.groupBy(F.col("video_id").alias("flight")).agg(F.count("*").alias("n"))
-    return n.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("flight").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return O.frames_per_flight(t.images, "video_id")
 
 
 @query("mean_mu", "SELECT obs_ind % 1000 AS frame, coalesce(round(avg(CASE WHEN value > 300 THEN value END), 6), 0) AS mu FROM fx_tracks GROUP BY 1")
 def mean_mu(t):
-    return t.tracks.groupBy((F.col("obs_ind") % 1000).alias("frame")).agg(F.coalesce(F.round(F.avg(F.when(F.col("value") > 300, F.col("value"))), 6), F.lit(0.0)).alias("mu"))
+    return O.mean_mu(t.tracks, F.col("obs_ind") % 1000, F.when(F.col("value") > 300, F.col("value"))).withColumn("mu", F.round("mu", 6))
 
 
 @query("inliers_per_segment", "SELECT segment, min(n_inliers) AS least, round(avg(n_inliers), 6) AS mean, count_if(n_inliers < 100)::bigint AS low, count_if(n_inliers < 100) > 10 AS over_limit FROM fx_warps GROUP BY 1")
 def inliers(t):
-    low = F.count_if(F.col("n_inliers") < 100)
-    return t.warps.groupBy("segment").agg(F.min("n_inliers").alias("least"), F.round(F.avg("n_inliers"), 6).alias("mean"), low.alias("low"), (low > 10).alias("over_limit"))
+    return O.inliers_per_segment(t.warps, 100, 10).withColumn("mean", F.round("mean", 6))
 
 
 @query("low_inlier_frames", "SELECT video_id, frame FROM fx_inliers WHERE n_inliers < 100")
@@ -130,10 +159,14 @@ def selection(t):
     return O.anchor_selection(t.inliers, 100, 10).select("video_id", "frame", "low_no", "kind")
 
 
+@query("anchor_list", f"WITH s AS ({_SEL}) SELECT video_id, frame FROM s WHERE kind = 'anchor' UNION ALL SELECT video_id, frame - 1 FROM s WHERE kind = 'promotes_previous' UNION ALL SELECT video_id, max(frame) + 1 FROM s GROUP BY 1")
+def anchor_list(t):
+    return O.anchor_list(O.anchor_selection(t.inliers, 100, 10))
+
+
 @query("pseudo_anchor_usage", f"SELECT video_id, low_no // 11 AS anchor_no, count_if(kind = 'pseudo')::bigint AS pseudo FROM ({_SEL}) GROUP BY 1, 2")
 def usage(t):
-    got = O.anchor_selection(t.inliers, 100, 10).groupBy("video_id", F.floor(F.col("low_no") / 11).alias("anchor_no"))
-    return got.agg(F.count_if(F.col("kind") == "pseudo").alias("pseudo"))
+    return O.pseudo_usage(O.anchor_selection(t.inliers, 100, 10), 10)
 
 
 @query("warp_chain", "WITH RECURSIVE c AS (SELECT segment, step, m00, m01, m02, m10, m11, m12 FROM fx_warps WHERE step = (SELECT min(step) FROM fx_warps) UNION ALL SELECT w.segment, w.step, c.m00 * w.m00 + c.m01 * w.m10, c.m00 * w.m01 + c.m01 * w.m11, c.m00 * w.m02 + c.m01 * w.m12 + c.m02, c.m10 * w.m00 + c.m11 * w.m10, c.m10 * w.m01 + c.m11 * w.m11, c.m10 * w.m02 + c.m11 * w.m12 + c.m12 FROM c JOIN fx_warps w ON w.segment = c.segment AND w.step = c.step + 1) SELECT segment, step, m00 AS c00, m01 AS c01, m02 AS c02, m10 AS c10, m11 AS c11, m12 AS c12 FROM c")

@@ -1,9 +1,8 @@
-"""All registered queries of the detection, tracking and dataset operators, with their SQL."""
+"""Registration of queries and their SQL; fieldlens.plans.catalog loads all of them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib import import_module
 
 from fieldlens.sources.fixtures import Tables, duckdb_sql
 
@@ -21,11 +20,3 @@ def query(name: str, sql: str | None = None) -> Callable:
         return f
 
     return add
-
-
-def load() -> None:
-    for part in ("boxes", "names", "geometry", "datasets", "evaluation", "mapping", "metrics", "tracking", "exports", "storage", "streams"):
-        import_module(f"fieldlens.plans.{part}")
-
-
-load()

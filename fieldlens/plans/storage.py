@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from fieldlens.functions import geometry as G
 from fieldlens.functions import names as N
+from fieldlens.operators import geo as O
+from fieldlens.operators.dataset import renumber
 from fieldlens.plans.registry import query
 from fieldlens.sources import files as S
 from fieldlens.sources.shared import shared_dir
@@ -47,11 +49,9 @@ def pmatrix(t):
 @query("sort_matrices", "SELECT anchor_ind, (row_number() OVER (ORDER BY anchor_ind % 5, anchor_ind))::bigint AS place FROM fx_cameras")
 def sort_matrices(t):
     """By flight part, then by frame number."""
-    from pyspark.sql import Window
-
     name = F.concat(F.lit("flight_"), (F.col("anchor_ind") % 5).cast("string"), F.lit("_"), F.col("anchor_ind").cast("string"), F.lit(".jpg"))
-    keyed = t.cameras.select("anchor_ind", name.alias("name"))
-    return keyed.select("anchor_ind", F.row_number().over(Window.orderBy(*S.sort_key(F.col("name"), "big_map"))).cast("long").alias("place"))
+    keys = dict(zip(("k0", "k1", "k2"), S.sort_key(name, "big_map"), strict=True))
+    return renumber(t.cameras.select("anchor_ind", *(k.alias(n) for n, k in keys.items())), [*keys, "anchor_ind"], "place").select("anchor_ind", "place")
 
 
 @query("offset_scan", "SELECT min(s_acctbal)::double AS ox, max(s_acctbal)::double AS oy, 0.5::double AS oz FROM supplier")
@@ -62,13 +62,15 @@ def offset(t):
     return S.read_offset(t.spark, path)
 
 
-@query("camera_location_scan", "SELECT image_id, image_id / 1000.0::double AS latitude, image_id / -500.0::double AS longitude FROM fx_images")
+@query("camera_location_scan", "SELECT image_id, image_id / 1000.0::double AS latitude, image_id / -500.0::double AS longitude, (row_number() OVER (ORDER BY regexp_extract(file_name, 'flight_([0-9]+)', 1)::int, image_id))::bigint AS place FROM fx_images")
 def locations(t):
+    """In the order of flights and frames."""
     path = shared_dir(t.spark, "locations")
     rows = t.images.select(F.col("file_name").alias("imageName"), (F.col("image_id") / 1000.0).alias("latitude"), (F.col("image_id") / -500.0).alias("longitude"))
     rows.write.option("sep", " ").option("header", True).csv(path)
-    got = S.read_locations(t.spark, path)
-    return got.select(N.frame_number(F.col("imageName")).alias("image_id"), "latitude", "longitude")
+    keys = dict(zip(("k0", "k1", "k2"), S.sort_key(F.col("imageName"), "big_map"), strict=True))
+    got = S.read_locations(t.spark, path).withColumns(keys).withColumn("image_id", N.frame_number(F.col("imageName")))
+    return renumber(got, [*keys, "imageName"], "place").select("image_id", "latitude", "longitude", "place")
 
 
 @query("flight_log_scan", "SELECT video_id AS flight, count(*) AS n, min(frame) AS first_frame FROM fx_inliers GROUP BY 1")
@@ -110,26 +112,48 @@ def manifest(t):
     return got.select(F.concat(F.lit("img-"), video, F.lit(".txt")).alias("name"), F.col("length").alias("size"))
 
 
-@query("s3_image_list", "SELECT image_id, CASE WHEN video_id < 10 THEN length(concat('video ', video_id)) + 1 END AS size FROM fx_images")
-def s3_list(t):
-    path = shared_dir(t.spark, "objects")
+@query("image_manifest_errors", "SELECT DISTINCT video_id, CASE WHEN video_id % 3 <> 0 THEN video_id * 2 END AS value, video_id % 3 = 0 AS broken FROM fx_images")
+def manifest_errors(t):
+    """Files of which every third can't be decoded."""
+    path = shared_dir(t.spark, "decoded")
+    videos = t.images.select("video_id").distinct()
+    text = F.when(F.col("video_id") % 3 == 0, F.lit("broken")).otherwise((F.col("video_id") * 2).cast("string"))
+    videos.select(text.alias("value"), "video_id").write.partitionBy("video_id").text(path)
+    got = S.decoded_files(t.spark, path, "*.txt", int, "long")
+    return got.select(_video_of("path").alias("video_id"), "value", F.col("error").startswith("ValueError").alias("broken")).fillna(False, ["broken"])
+
+
+def _video_of(path: str):
+    return F.regexp_extract(path, "video_id=([0-9]+)", 1).cast("long")
+
+
+def _objects(t, name: str) -> str:
+    """A file for each of the first ten videos."""
+    path = shared_dir(t.spark, name)
     videos = t.images.select("video_id").distinct().filter("video_id < 10")
     videos.select(F.concat(F.lit("video "), F.col("video_id").cast("string")).alias("value"), "video_id").write.partitionBy("video_id").text(path)
-    got = S.image_manifest(t.spark, path, "*.txt").select(F.regexp_extract("path", "video_id=([0-9]+)", 1).cast("long").alias("video_id"), F.col("length").alias("size"))
-    return t.images.select("image_id", "video_id").join(got, "video_id", "left").select("image_id", "size")
+    return path
 
 
-@query("missing_images", "SELECT image_id FROM fx_images WHERE image_id % 4 <> 1")
+@query("s3_image_list", "SELECT image_id, CASE WHEN video_id < 10 THEN md5(concat('video ', video_id, chr(10))) END AS digest FROM fx_images")
+def s3_list(t):
+    """The bytes that each image's object holds."""
+    got = S.with_objects(t.images.select("image_id", "video_id"), "video_id", _objects(t, "objects"), "*.txt", _video_of("path"))
+    return got.select("image_id", F.md5("content").alias("digest"))
+
+
+@query("missing_images", "SELECT image_id FROM fx_images WHERE video_id >= 10")
 def missing(t):
-    there = t.images.filter(F.col("image_id") % 4 == 1).select("file_name")
-    return t.images.join(there, "file_name", "left_anti").select("image_id")
+    """Those whose file isn't in the manifest of a folder."""
+    files = S.image_manifest(t.spark, _objects(t, "there"), "*.txt")
+    return S.missing_images(t.images, files, _video_of("path"), name="video_id").select("image_id")
 
 
 @query("pending_projects", "SELECT DISTINCT concat('survey_', video_id) AS project FROM fx_images WHERE video_id % 3 <> 0")
 def pending(t):
     projects = t.images.select(F.concat(F.lit("survey_"), F.col("video_id").cast("string")).alias("project"), "video_id").distinct()
     done = projects.filter(F.col("video_id") % 3 == 0).select(F.concat(F.lit("out/"), "project", F.lit(".json")).alias("path"))
-    return projects.join(done.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("project")), "project", "left_anti").select("project")
+    return S.pending_projects(projects, done).select("project")
 
 
 _NAMES = "SELECT concat('v', image_id // 3, '_', ['f', 'a', 'b'][image_id % 3 + 1], '.jpg') AS name FROM fx_images WHERE image_id % 7 <> 1"
@@ -145,16 +169,19 @@ def overlay(t):
 
 @query("upload_rows", "SELECT concat('frames/', video_id, '/', file_name) AS row_data, file_name AS external_id FROM fx_images")
 def upload(t):
-    paths = t.images.select(F.concat(F.lit("frames/"), F.col("video_id").cast("string"), F.lit("/"), F.col("file_name")).alias("row_data"))
-    return paths.withColumn("external_id", F.regexp_extract("row_data", "[^/]+$", 0))
+    return t.images.select(*S.upload_rows(F.concat(F.lit("frames/"), F.col("video_id").cast("string"), F.lit("/"), F.col("file_name"))))
+
 
+_CORNERS = ", ".join(f'greatest(0, trunc({c}))::bigint AS "{n}"' for n, c in (("left", "x - 3.5::double"), ("top", "y + 0.75::double"), ("right", "x - 3.5::double + w"), ("bottom", "y + 0.75::double + h")))
 
-@query("prediction_export", "SELECT det_id, name, trunc(score * 1000)::bigint AS score_i, trunc(x * 1.5::double)::bigint AS left_px FROM fx_detections JOIN fx_categories USING (category_id) WHERE score >= 0.6 AND x >= 0")
+
+@query("prediction_export", f"SELECT det_id, name, round(score, 6) AS score, {_CORNERS} FROM fx_detections JOIN fx_categories USING (category_id) WHERE score >= 0.6")
 def prediction_export(t):
+    """Written as JSON lines and read back."""
     path = shared_dir(t.spark, "predictions")
-    rows = t.detections.filter("score >= 0.6 and x >= 0").join(F.broadcast(t.categories), "category_id")
-    rows.select("det_id", "name", (F.col("score") * 1000).cast("long").alias("score_i"), (F.col("x") * F.lit(1.5)).cast("long").alias("left_px")).write.json(path)
-    return t.spark.read.schema("det_id long, name string, score_i long, left_px long").json(path)
+    moved = t.detections.withColumns({"x": F.col("x") - F.lit(3.5), "y": F.col("y") + F.lit(0.75)})
+    S.prediction_rows(moved, t.categories, 0.6).write.json(path)
+    return t.spark.read.schema("det_id long, name string, score double, left long, top long, right long, bottom long").json(path).withColumn("score", F.round("score", 6))
 
 
 @query("split_manifest_scan", "SELECT DISTINCT video_id AS video, CASE WHEN video_id < 14 THEN 'train' WHEN video_id < 17 THEN 'val' ELSE 'test' END AS split FROM fx_images")
@@ -166,8 +193,14 @@ def split_manifest(t):
     return S.read_split_manifest(t.spark, path)
 
 
-@query("map_bundle", "SELECT c.anchor_ind, c.p03, s.n AS n_cells FROM fx_cameras c CROSS JOIN (SELECT count(*) AS n FROM fx_elevation) s")
-def bundle(t):
-    return t.cameras.select("anchor_ind", "p03").join(F.broadcast(t.elevation.agg(F.count("*").alias("n_cells"))))
+_PROJECT = "SELECT s_nationkey % 6 AS observation_id, min(s_acctbal)::double AS ox, max(s_acctbal)::double AS oy, count(*)::double AS oz FROM supplier GROUP BY 1"
+_SHAPE = "SELECT (xr + yr) % 4 AS observation_id, max(xr) + 1 AS width, max(yr) + 1 AS height, count(*) AS n_cells, min(elev) AS least FROM fx_elevation GROUP BY 1"
 
 
+@query("map_bundle", f"SELECT c.anchor_ind, c.anchor_ind % 8 AS observation_id, c.p03, o.ox, o.oy, o.oz, s.width, s.height, s.n_cells, s.least FROM fx_cameras c LEFT JOIN ({_PROJECT}) o ON o.observation_id = c.anchor_ind % 8 LEFT JOIN ({_SHAPE}) s ON s.observation_id = c.anchor_ind % 8")
+def bundle(t):
+    """Cameras of eight projects, not all of which have an offset or a raster."""
+    offsets = t.supplier.groupBy((F.col("s_nationkey") % 6).alias("observation_id")).agg(F.min("s_acctbal").cast("double").alias("ox"), F.max("s_acctbal").cast("double").alias("oy"), F.count("*").cast("double").alias("oz"))
+    raster = t.elevation.withColumn("observation_id", (F.col("xr") + F.col("yr")) % 4)
+    got = O.map_bundle(t.cameras.withColumn("observation_id", F.col("anchor_ind") % 8), offsets, raster)
+    return got.select("anchor_ind", "observation_id", "p03", "ox", "oy", "oz", "width", "height", "n_cells", "least")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,8 +85,63 @@ def read_raster(spark: SparkSession, path: str, tile: int) -> DataFrame:
 
 def image_manifest(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(path, length, modificationTime) of the files below path; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", "modificationTime")
+    return _files(spark, path, pattern).select("path", "length", "modificationTime")
+
+
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+
+
+def decoded_files(spark: SparkSession, path: str, pattern: str, decode: Callable[[bytes], object], kind: str) -> DataFrame:
+    """(path, value, error) of the files below path, each decoded by a function of its bytes; kind is the value's type.
+
+    A file that the function fails on gives a row without a value, with the error's text, and doesn't end the job.
+    """
+
+    def run(frames):
+        for f in frames:
+            values, errors = [], []
+            for data in f["content"]:
+                try:
+                    values.append(decode(bytes(data)))
+                    errors.append(None)
+                except Exception as e:  # whatever a decoder raises belongs to its file
+                    values.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pd.DataFrame({"path": f["path"], "value": pd.Series(values, dtype=object), "error": pd.Series(errors, dtype=object)})
+
+    return _files(spark, path, pattern).select("path", "content").mapInPandas(run, f"path string, value {kind}, error string")
+
+
+def with_objects(manifest: DataFrame, key: str, path: str, pattern: str, key_of: Column) -> DataFrame:
+    """manifest with the bytes (content) of the object that its key names; null where there is none. key_of makes the key of
+    an object's path."""
+    objects = _files(manifest.sparkSession, path, pattern).select(key_of.alias(key), "content")
+    return manifest.join(objects, key, "left")
+
+
+def missing_images(images: DataFrame, manifest: DataFrame, name_of: Column, *, name: str = "file_name") -> DataFrame:
+    """Images that no file of the manifest (path, ...) is: those still to be fetched. name_of makes the name of a path."""
+    return images.join(manifest.select(name_of.alias(name)), name, "left_anti")
+
+
+def pending_projects(projects: DataFrame, done: DataFrame, ending: str = ".json") -> DataFrame:
+    """Projects (project) without an output (path) of their name."""
+    base = F.regexp_extract("path", rf"([^/]+){re.escape(ending)}$", 1)
+    return projects.join(done.select(base.alias("project")), "project", "left_anti")
+
+
+def upload_rows(paths: Column) -> tuple[Column, Column]:
+    """(row_data, external_id) of a path: itself, and its last part."""
+    return paths.alias("row_data"), F.regexp_extract(paths, "[^/]+$", 0).alias("external_id")
+
+
+def prediction_rows(dets: DataFrame, categories: DataFrame, least: float) -> DataFrame:
+    """Detections of at least a score with their class's name, and box corners truncated to integers of at least 0."""
+    corner = lambda c: F.greatest(F.lit(0).cast("long"), c.cast("long"))
+    on = dets.filter(F.col("score") >= least).join(F.broadcast(categories), "category_id")
+    sides = {"left": F.col("x"), "top": F.col("y"), "right": F.col("x") + F.col("w"), "bottom": F.col("y") + F.col("h")}
+    return on.select("det_id", "name", "score", *(corner(c).alias(n) for n, c in sides.items()))
 
 
 def overlays(names: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from fieldlens.operators import dataset as D
 from fieldlens.operators import evaluation as V
 from fieldlens.operators import geo as G
 from fieldlens.operators import tracking as T
-from fieldlens.plans import registry as R
+from fieldlens.plans import catalog as R
 from fieldlens.sources.fixtures import Tables
 from fieldlens.streaming import operators as X
 
