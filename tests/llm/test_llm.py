@@ -312,6 +312,18 @@ def test_op9_targets(spark):
     assert got["a"] == 30 and got[None] == 0 and abs(sum(got.values()) - 2010) < 1e-6 and abs(got["b"] / got["c"] - 2) < 1e-9
 
 
+def test_op9_many_sources(spark):
+    """The form for many sources gives the same targets, and the mix the same copies."""
+    rng = random.Random(2)
+    for n in (0, 1, 2, 300):
+        sizes = spark.createDataFrame([(None if k == 7 else f"s{rng.random()}", rng.choice([0, 3, 50, 10**6])) for k in range(n)], "source string, source_size long")
+        one, two = ({r.source: r.target for r in f(sizes).collect()} for f in (mixing.targets, mixing.many_targets))
+        assert one.keys() == two.keys() and all(abs(one[k] - two[k]) <= 1e-9 * max(1, one[k]) for k in one)
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    few, many = (sorted((r.doc_id, r.copies) for r in mixing.mix_sources(table, broadcast_sources=b).collect()) for b in (100, 0))
+    assert few == many
+
+
 def test_op10_edges(spark):
     got = exact.exact_duplicates(docs(spark, EDGE)).toPandas()
     assert len(got) == len(EDGE) and got["kept"].sum() == got["text_sha256"].nunique()
