@@ -5,6 +5,8 @@ Orders are explicit: images by image_id, annotations by id, unless said otherwis
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,3 +174,16 @@ def class_histogram(annotations: DataFrame, categories: DataFrame) -> DataFrame:
     counts = annotations.groupBy("category_id").agg(F.count("*").alias("n"), F.count_distinct("image_id").alias("n_images"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return F.broadcast(categories).join(counts, "category_id", "left").select("category_id", "name", zero("n"), zero("n_images"))
+
+
+def renumber_splits(annotations: DataFrame, split: DataFrame, names: tuple[str, ...] = ("train", "val")) -> DataFrame:
+    """annotations with their split, numbered from 1 in each."""
+    on = cut(annotations.join(split, "image_id"), "splits")
+    return reduce(DataFrame.unionByName, (renumber_annotations(on.filter(F.col("split") == s)) for s in names))
+
+
+def truth_of_targets(annotations: DataFrame) -> DataFrame:
+    """Ground truth made of targets: numbered from 1 in the order of images (new_id), with num_keypoints, the visible ones of
+    keypoints (an array of (x, y, v)) where there are any."""
+    seen = F.size(F.filter("keypoints", lambda p: p["v"] > 0)).cast("long") if "keypoints" in annotations.columns else F.lit(0).cast("long")
+    return renumber_annotations(annotations.withColumn("num_keypoints", seen))

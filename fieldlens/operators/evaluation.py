@@ -191,6 +191,24 @@ def evaluate(dets: DataFrame, gts: DataFrame, params: EvalParams) -> DataFrame:
     return sampled(precision_recall(greedy_match(dets, gts, params), truths), truths, params)
 
 
+def image_loss(matches: DataFrame) -> DataFrame:
+    """(image_id, loss): the mean over an image's detections of what their scores are off: from 1 without a truth, else from 0."""
+    off = F.when(F.col("gid").isNull(), 1 - F.col("score")).otherwise(F.col("score"))
+    return matches.groupBy("image_id").agg(F.avg(off).alias("loss"))
+
+
+def argmax_class(dets: DataFrame, background: int) -> DataFrame:
+    """(image_id, category_id, score): the class with the best score that isn't the background; of equal ones the least."""
+    per = dets.filter(F.col("category_id") != background).groupBy("image_id", "category_id").agg(F.max("score").alias("score"))
+    best = F.max(F.struct("score", F.negative("category_id").alias("c"))).alias("b")
+    return per.groupBy("image_id").agg(best).select("image_id", F.negative("b.c").alias("category_id"), "b.score")
+
+
+def with_area(boxes: DataFrame) -> DataFrame:
+    """Boxes that have a positive width and height."""
+    return boxes.filter("w > 0 and h > 0")
+
+
 def nms(df: DataFrame, thr: float, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """(keys..., det_id) of boxes kept: by falling score, those with an overlap of more than thr to no box kept before."""
     box = F.struct(F.negative("score").alias("s"), "det_id", *"xywh")

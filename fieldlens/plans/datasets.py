@@ -153,9 +153,7 @@ _SPLIT = "SELECT image_id, CASE WHEN (row_number() OVER (ORDER BY image_id) - 1)
 @query("train_val_split", f"SELECT a.id, s.split, CAST(row_number() OVER (PARTITION BY split ORDER BY image_id, id) AS BIGINT) AS new_id FROM fx_annotations a JOIN ({_SPLIT}) s USING (image_id)")
 def train_val(t):
     split = D.cut(D.train_val(t.images, t.annotations, 0.2), "split")
-    on = t.annotations.join(split, "image_id")
-    parts = [D.renumber_annotations(on.filter(F.col("split") == s)) for s in ("train", "val")]
-    return parts[0].unionByName(parts[1]).select("id", "split", "new_id")
+    return D.renumber_splits(t.annotations, split).select("id", "split", "new_id")
 
 
 def _draw(text: str) -> str:

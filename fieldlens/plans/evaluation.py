@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions import boxes as B
+from fieldlens.operators import dataset as D
 from fieldlens.operators import evaluation as V
 from fieldlens.plans.boxes import _POINTS, keypoints
 from fieldlens.plans.registry import query
@@ -137,17 +138,14 @@ for _area in V.COCO.areas:
 @query("val_loss", _THREE + " SELECT round(avg(l), 6) AS loss FROM (SELECT image_id, avg(CASE WHEN gid IS NULL THEN 1 - score ELSE score END) AS l FROM matches WHERE iou_thr = 0.5 GROUP BY 1)")
 def val_loss(t):
     m = V.greedy_match(t.detections, t.annotations, replace(PARAMS, iou=(0.5,)))
-    per = m.groupBy("image_id").agg(F.avg(F.when(F.col("gid").isNull(), 1 - F.col("score")).otherwise(F.col("score"))).alias("l"))
-    return per.agg(F.round(F.avg("l"), 6).alias("loss"))
+    return V.image_loss(m).agg(F.round(F.avg("loss"), 6).alias("loss"))
 
 
 @query("gt_from_targets", "SELECT image_id, CAST(row_number() OVER (ORDER BY image_id, id) AS BIGINT) AS gt_id, x, y, w, h, category_id, (SELECT count(*) FROM range(0, 17) r(i) WHERE (i + id) % 3 > 0) AS num_keypoints FROM fx_annotations")
 def gt_from_targets(t):
-    from fieldlens.operators import dataset as D
-
     points = F.transform(keypoints(), lambda p: F.struct("id", ((p["v"] + F.col("id")) % 3).alias("v")))
-    seen = F.size(F.filter(points, lambda p: p["v"] > 0)).cast("long")
-    return D.renumber_annotations(t.annotations).select("image_id", F.col("new_id").alias("gt_id"), "x", "y", "w", "h", "category_id", seen.alias("num_keypoints"))
+    got = D.truth_of_targets(t.annotations.withColumn("keypoints", points))
+    return got.select("image_id", F.col("new_id").alias("gt_id"), "x", "y", "w", "h", "category_id", "num_keypoints")
 
 
 #: fixed values: how exactly people place each of the 17 key points
@@ -188,8 +186,7 @@ def keypoint_precision(t):
 
 @query("argmax_class", "SELECT image_id, arg_max(category_id, (score, -category_id)) AS category_id, max(score) AS score FROM (SELECT image_id, category_id, max(score) AS score FROM fx_detections WHERE category_id <> 6 GROUP BY 1, 2) GROUP BY 1")
 def argmax(t):
-    per = t.detections.filter("category_id <> 6").groupBy("image_id", "category_id").agg(F.max("score").alias("score"))
-    return per.groupBy("image_id").agg(F.max(F.struct("score", F.negative("category_id").alias("c"))).alias("b")).select("image_id", F.negative("b.c").alias("category_id"), "b.score")
+    return V.argmax_class(t.detections, 6)
 
 
 _NMS_IOU = "(greatest(0, least(k.x + k.w, d.x + d.w) - greatest(k.x, d.x)) * greatest(0, least(k.y + k.h, d.y + d.h) - greatest(k.y, d.y)))"
@@ -214,8 +211,7 @@ def covered(t):
 
 @query("positive_area_tracks", "SELECT det_id, w - 60 AS w, h - 60 AS h FROM fx_detections WHERE w > 60 AND h > 60")
 def positive(t):
-    shrunk = t.detections.withColumns({"w": F.col("w") - 60, "h": F.col("h") - 60})
-    return shrunk.filter("w > 0 and h > 0").select("det_id", "w", "h")
+    return V.with_area(t.detections.withColumns({"w": F.col("w") - 60, "h": F.col("h") - 60})).select("det_id", "w", "h")
 
 
 @query("class_of_best_detection", "SELECT DISTINCT image_id, first_value(category_id) OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS category_id FROM fx_detections")

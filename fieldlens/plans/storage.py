@@ -33,6 +33,16 @@ def coco_write(t):
     return _documents(t)[0].select(F.col("id").alias("image_id"), "file_name", "width", "height")
 
 
+@query("coco_lines", "SELECT a.id, image_id, file_name, c.name, x::double AS x, h::double AS h FROM fx_annotations a JOIN fx_images USING (image_id) JOIN fx_categories c USING (category_id)")
+def coco_lines(t):
+    """The sink for large datasets, read back and joined."""
+    path = shared_dir(t.spark, "coco-lines")
+    S.write_coco_lines(t.images.withColumn("id", F.col("image_id")), t.annotations, t.categories, path)
+    images, boxes, categories = S.read_coco_lines(t.spark, path)
+    on = boxes.join(images.select(F.col("id").alias("image_id"), "file_name"), "image_id")
+    return on.join(F.broadcast(categories.select(F.col("id").alias("category_id"), "name")), "category_id").select("id", "image_id", "file_name", "name", "x", "h")
+
+
 _PM = "SELECT image_name, anchor_ind, p00, p11, p03, round(1 / p00, 9) AS i00, round(p02 / -p00 / p22 + 0.0, 9) AS i02 FROM fx_cameras"
 
 
