@@ -39,9 +39,15 @@ def _field(value: str | None) -> str:
 
 def arc_file(entries: list[Entry], version: int) -> bytes:
     """An ARC file: the version block, then each record's header line, payload and a line end."""
-    names = " ".join({1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"), 2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length")}[version])
+    names = " ".join({
+        1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
+        2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
+    }[version])
     block = f"{version} 0 fieldlens\n{names}\n".encode()
-    first = {1: f"filedesc://pages.arc 0.0.0.0 19700101000000 text/plain {len(block)}\n", 2: f"filedesc://pages.arc 0.0.0.0 19700101000000 text/plain 200 - - 0 pages.arc {len(block)}\n"}[version]
+    first = {
+        1: f"filedesc://pages.arc 0.0.0.0 19700101000000 text/plain {len(block)}\n",
+        2: f"filedesc://pages.arc 0.0.0.0 19700101000000 text/plain 200 - - 0 pages.arc {len(block)}\n",
+    }[version]
     out, at = [first.encode() + block + b"\n"], 0
     for e in entries:
         at += len(out[-1])
@@ -227,7 +233,10 @@ def scan_warc(spark, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, schema)
 
 
-def pages_to_warc(df: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "19700101000000", version: int = 2, broadcast_groups: int = 500_000) -> DataFrame:
+def pages_to_warc(
+    df: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0,
+    date: str = "19700101000000", version: int = 2, broadcast_groups: int = 500_000,
+) -> DataFrame:
     """Writes a WARC record for each page below path by way of ARC, and returns the pages' records as read back.
 
     Of pages with equal payloads of at least least_bytes, that with the largest id is the response and the others revisit
@@ -239,7 +248,9 @@ def pages_to_warc(df: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     repeated payloads go to the pages up to broadcast_groups of them; beyond, both are shuffled by digest.
     """
     payload = F.coalesce(F.col(html_col), F.lit(""))
-    base = df.select(F.col(id_col).alias("key"), F.col(url_col).alias("url"), payload.alias("payload"), F.octet_length(payload).alias("size")).withColumn("sha", F.unhex(F.sha2("payload", 256)))
+    base = df.select(
+        F.col(id_col).alias("key"), F.col(url_col).alias("url"), payload.alias("payload"), F.octet_length(payload).alias("size"),
+    ).withColumn("sha", F.unhex(F.sha2("payload", 256)))
     groups = base.filter(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.max(F.struct("key", "url")).alias("target"), F.count("*").alias("n"))
     first = cut(groups.filter("n > 1").select("sha", "size", "target"), "warc-first")
     first = F.broadcast(first) if first.count() <= broadcast_groups else first.hint("merge")

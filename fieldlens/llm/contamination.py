@@ -96,7 +96,10 @@ def _blocks(bench: DataFrame, item_col: str, text_col: str, block_bytes: int):
         yield block
 
 
-def contamination(df: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 13, share: int = 20, block_bytes: int = 4 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+def contamination(
+    df: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    width: int = 13, share: int = 20, block_bytes: int = 4 << 20, keep: tuple[str, ...] = (),
+) -> DataFrame:
     """(id, keep..., n_words, n_hit, n_items, items, spans, contaminated) for each row.
 
     spans are the hit stretches of words: a to before b in words, start to before end in code points of the original text.
@@ -151,7 +154,9 @@ def contamination(df: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", te
         joined = F.aggregate(
             F.array_sort("ranges"),
             F.array().cast(f"array<{_SPAN}>"),
-            lambda acc, x: F.when((F.size(acc) > 0) & (last(acc)["b"] >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer(acc, x)))).otherwise(F.concat(acc, F.array(x))),
+            lambda acc, x: F.when(
+                (F.size(acc) > 0) & (last(acc)["b"] >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer(acc, x))),
+            ).otherwise(F.concat(acc, F.array(x))),
         )
         out = base.select("row", "at").join(every.withColumn("spans", joined), "at")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["b"] - x["a"])

@@ -52,7 +52,9 @@ def digest_state(stream: DataFrame) -> DataFrame:
     of rows so far. Rows are combined within each task first, so a text that makes up a third of a batch sends a row a task.
     """
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "locator"))
-    return stream.groupBy("digest").agg(first.alias("first"), F.count("*").alias("seen")).select("digest", F.col("first.id").alias("keep_id"), F.col("first.locator").alias("keep_at"), "seen")
+    return stream.groupBy("digest").agg(first.alias("first"), F.count("*").alias("seen")).select(
+        "digest", F.col("first.id").alias("keep_id"), F.col("first.locator").alias("keep_at"), "seen",
+    )
 
 
 def run_stream(spark: SparkSession, store: Store, schema, *, files_a_batch: int = 256, partitions: int | None = None) -> DataFrame:

@@ -129,7 +129,9 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", "lang_pred", "score", "langs", "shares"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, langs array<string>, shares array<double>")
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        run, f"id {kind}, lang_pred string, score double, langs array<string>, shares array<double>",
+    )
     return out.withColumnRenamed("id", id_col)
 
 

@@ -64,7 +64,10 @@ def many_targets(sizes: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), mo
         level = (total - rest.cap) / rest.weight
 
 
-def mix_sources(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 42, broadcast_sources: int = 100_000, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix_sources(
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1),
+    most: int = 3, seed: int = 42, broadcast_sources: int = 100_000, keep: tuple[str, ...] = (),
+) -> DataFrame:
     """(id, keep..., size, source_size, target, copies, taken) for each row; copies times the row makes the mix.
 
     size is the number of words; null and empty texts have none and take none. A document gets floor(rate) copies, where rate

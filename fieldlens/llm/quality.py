@@ -138,7 +138,10 @@ def fit_machine(f: Features, label: np.ndarray, *, buckets: int, rank: int = 4,
     spread = np.maximum(f.stats.std(0), 1e-2 * np.maximum(1, np.abs(f.stats.mean(0)))) if len(label) else np.ones(f.stats.shape[1])
     centre = f.stats.mean(0) if len(label) else np.zeros(f.stats.shape[1])
     share = (label.sum() + 1) / (len(label) + 2)
-    params = [np.array([np.log(share / (1 - share))]), np.zeros(buckets), rng.normal(0, 0.01, (buckets, rank)), np.zeros(f.stats.shape[1]), rng.normal(0, 0.05, (f.stats.shape[1], rank))]
+    params = [
+        np.array([np.log(share / (1 - share))]), np.zeros(buckets), rng.normal(0, 0.01, (buckets, rank)), np.zeros(f.stats.shape[1]),
+        rng.normal(0, 0.05, (f.stats.shape[1], rank)),
+    ]
     if len(set(label.tolist())) < 2:
         return Machine(float(params[0][0]), *[p * 0 for p in params[1:]], centre, spread)
     past = [np.full_like(p, 1e-6) for p in params]
@@ -168,7 +171,10 @@ def fit_machine(f: Features, label: np.ndarray, *, buckets: int, rank: int = 4,
     return Machine(float(params[0][0]), *params[1:], centre, spread)
 
 
-def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = (), most_rows: int = 6000, buckets: int = 1 << 14, rank: int = 4) -> Machine:
+def fit(
+    df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = (), most_rows: int = 6000,
+    buckets: int = 1 << 14, rank: int = 4,
+) -> Machine:
     """A machine fitted on the rows of df (id, text) that labels (id, label 0/1) names: of at most most_rows labels, those
     whose ids hash lowest.
 
@@ -185,7 +191,10 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
                 f = features(batch.column(0).slice(a, b - a), buckets, [c.slice(a, b - a) for c in batch.columns[3:]])
                 cut = lambda x: [x[i:j].tolist() for i, j in zip(f.offsets[:-1], f.offsets[1:], strict=True)]  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(cut(f.columns), pa.list_(pa.int32())), pa.array(cut(f.values), pa.list_(pa.float64())), pa.array(f.stats.tolist(), pa.list_(pa.float64()))],
+                    [
+                        batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(cut(f.columns), pa.list_(pa.int32())),
+                        pa.array(cut(f.values), pa.list_(pa.float64())), pa.array(f.stats.tolist(), pa.list_(pa.float64())),
+                    ],
                     names=["label", "id", "columns", "values", "stats"],
                 )
 
@@ -197,11 +206,17 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
     found = found.assign(order=found["label"] * 0 + found["stats"].map(lambda x: x[0])).sort_values(["id", "label", "order"], kind="stable")
     sizes = found["columns"].map(len).to_numpy() if len(found) else np.zeros(0, np.int64)
     join = lambda c, t: np.concatenate(found[c].tolist()).astype(t) if len(found) else np.zeros(0, t)
-    f = Features(np.r_[0, np.cumsum(sizes)].astype(np.int64), join("columns", np.int64), join("values", float), np.array(found["stats"].tolist(), float).reshape(-1, len(STATS) + 2 * len(metadata)))
+    f = Features(
+        np.r_[0, np.cumsum(sizes)].astype(np.int64), join("columns", np.int64), join("values", float),
+        np.array(found["stats"].tolist(), float).reshape(-1, len(STATS) + 2 * len(metadata)),
+    )
     return fit_machine(f, found["label"].to_numpy(float), buckets=buckets, rank=rank)
 
 
-def score(df: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = (), threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
+def score(
+    df: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = (), threshold: float = 0.7,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
     """(id, keep..., score, predicted) of each row.
 
     Null and empty texts have no words and the statistics of none; very long texts are read whole; every row gets a score

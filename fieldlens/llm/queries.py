@@ -72,7 +72,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_warc_archives, op4_simhash_near_dedup, op5_main_text, op6_decontamination, op7_token_counts, op8_quality, op9_mix_sources, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_substring_dedup, op3_warc_archives, op4_simhash_near_dedup, op5_main_text, op6_decontamination, op7_token_counts,
+    op8_quality, op9_mix_sources, op10_exact_dedup,
+)}
 
 _NINE = r"""
 with sized as (select doc_id, text, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),

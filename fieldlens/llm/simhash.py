@@ -145,9 +145,15 @@ def near_classes(prints: DataFrame, *, radius: int = 4, tile_rows: int = 16384)
     # A tile meets each tile of 0 .. radius more ones; among tiles of its own count, those of its own or a higher number.
     reach = F.sequence(F.lit(0), F.lit(radius))
     over = packed.select("ones", "tile", "fps", F.explode(reach).alias("d")).withColumn("m", span[F.col("ones") + F.col("d")]).filter("m is not null")
-    first = over.select(F.col("ones").alias("c1"), F.col("tile").alias("t1"), (F.col("ones") + F.col("d")).alias("c2"), F.explode(F.sequence(F.when(F.col("d") == 0, F.col("tile")).otherwise(0), F.col("m") - 1)).alias("t2"), F.lit(1).alias("side"), "fps")
+    first = over.select(
+        F.col("ones").alias("c1"), F.col("tile").alias("t1"), (F.col("ones") + F.col("d")).alias("c2"),
+        F.explode(F.sequence(F.when(F.col("d") == 0, F.col("tile")).otherwise(0), F.col("m") - 1)).alias("t2"), F.lit(1).alias("side"), "fps",
+    )
     under = packed.select("ones", "tile", "fps", F.explode(reach).alias("d")).withColumn("m", F.when(F.col("d") == 0, F.col("tile")).otherwise(span[F.col("ones") - F.col("d")])).filter("m > 0")
-    second = under.select((F.col("ones") - F.col("d")).alias("c1"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("t1"), F.col("ones").alias("c2"), F.col("tile").alias("t2"), F.lit(2).alias("side"), "fps")
+    second = under.select(
+        (F.col("ones") - F.col("d")).alias("c1"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("t1"), F.col("ones").alias("c2"),
+        F.col("tile").alias("t2"), F.lit(2).alias("side"), "fps",
+    )
 
     def compare(key, table):
         sides = {s: np.frombuffer(x, np.uint64) for s, x in zip(table["side"].to_pylist(), table["fps"].to_pylist(), strict=True)}
@@ -169,7 +175,10 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     salts: parts that a class's fingerprints are dealt out to where they learn their class's id.
     """
     columns = carried([id_col, *keep], ("fp", "component_id", "kept"))
-    found = fingerprints(df, text_col=text_col, size=size, columns=columns).select(F.struct(*(F.col(f"`{n}`") for _, n in columns)).alias("row"), F.col(columns[0][1]).alias("id"), "fp", F.monotonically_increasing_id().alias("at"))
+    found = fingerprints(df, text_col=text_col, size=size, columns=columns).select(
+        F.struct(*(F.col(f"`{n}`") for _, n in columns)).alias("row"), F.col(columns[0][1]).alias("id"), "fp",
+        F.monotonically_increasing_id().alias("at"),
+    )
     prints = cut(found, "simhash-docs")
     # the least id of each fingerprint first (partial sums), then of each class: no group of copies is gathered
     least = cut(prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("least")), "simhash-least")

@@ -244,7 +244,10 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             drop = gone[off[i] : off[i + 1]]
             lost.append((len(words), int(drop.sum())))
             kept.append(b" ".join(compress(words, (~drop).tolist()) if lost[-1][1] else words).decode())
-        return pa.table([bucket.table["doc_id"], pa.array([a for a, _ in lost], pa.int64()), pa.array([b for _, b in lost], pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+        return pa.table(
+            [bucket.table["doc_id"], pa.array([a for a, _ in lost], pa.int64()), pa.array([b for _, b in lost], pa.int64()), pa.array(kept, pa.string())],
+            names=["doc_id", "n_words", "n_removed", "kept_text"],
+        )
 
     by = dealt.groupBy("bucket")
     names = _again(by.applyInArrow(ask_names, _ASKED))

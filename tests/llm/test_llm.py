@@ -102,7 +102,10 @@ def test_op3_brute_force(spark):
     import base64
 
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
-    rows += [(10**6 + k, u, h) for k, (u, h) in enumerate([("http://a/x y", "<p>\r\n\r\nWARC/1.0"), (None, None), ("u", ""), ("dns:x", "<p>\r\n\r\nWARC/1.0"), ("filedesc://u", "é日本🙂\x0b"), ("u", rows[3][2])])]
+    rows += [(10**6 + k, u, h) for k, (u, h) in enumerate([
+        ("http://a/x y", "<p>\r\n\r\nWARC/1.0"), (None, None), ("u", ""), ("dns:x", "<p>\r\n\r\nWARC/1.0"), ("filedesc://u", "é日本🙂\x0b"),
+        ("u", rows[3][2]),
+    ])]
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
     first = {}
     for i, _, html in rows:
@@ -110,7 +113,10 @@ def test_op3_brute_force(spark):
     want = {}
     for i, _, html in rows:
         raw, own = (html or "").encode(), first[html or ""] == i
-        want[str(i)] = (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if own else "revisit", None if own else str(first[html or ""]), raw if own else b"")
+        want[str(i)] = (
+            len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if own else "revisit",
+            None if own else str(first[html or ""]), raw if own else b"",
+        )
     for broadcast in (500_000, 0):
         at = storage.shared_dir(spark, "w")
         got = archives.pages_to_warc(table, at, broadcast_groups=broadcast).collect()
@@ -122,7 +128,10 @@ def test_op3_brute_force(spark):
 
 def test_op3_record_types():
     """A version block becomes a warcinfo, a DNS answer a resource; what is read back is measured, not believed."""
-    entries = [archives.Entry("dns:a.example", "1.2.3.4", "20010203040506", "text/dns", "d", b"20010203040506\na.example. 300 IN A 1.2.3.4\n"), archives.Entry("http://a/", "1.2.3.4", "2001", "text/html", "k", b"<p>")]
+    entries = [
+        archives.Entry("dns:a.example", "1.2.3.4", "20010203040506", "text/dns", "d", b"20010203040506\na.example. 300 IN A 1.2.3.4\n"),
+        archives.Entry("http://a/", "1.2.3.4", "2001", "text/html", "k", b"<p>"),
+    ]
     data = b"".join(archives.warc_record(e, None) + b"\r\n\r\n" for e in archives.read_arc(archives.arc_file(entries, 2)))
     back = list(archives.read_warc(data))
     assert [h["warc-type"] for h, _ in back] == ["warcinfo", "resource", "response"] and back[0][0]["warc-filename"] == "pages.arc" and back[1][1] == entries[0].payload
@@ -196,6 +205,35 @@ def test_op5_main_text(spark):
     assert got[2].text == "" and got[5].text == "" and got[3].text == "own one" and got[4].text == "own two"
 
 
+def test_op5_plain_version(spark):
+    """All pages of the table, of which each marks an article, by regular expressions; in any number of tasks."""
+    import html
+    import re
+
+    def plain(page):
+        body = re.sub(r"(?s)<!--.*?-->|<(script|style|form|aside)\b.*?</\1>", "", re.search(r"(?s)<article>(.*?)</article>", page)[1])
+        blocks = [re.sub(r"<[^>]*>", "", re.sub(r"<br\b[^>]*>", " ", b)) for b in re.split(r"</?(?:p|h[1-6]|div|ul|ol|li|blockquote|table|tr|td|pre|section)\b[^>]*>", body)]
+        return "\n".join(t for t in (" ".join(html.unescape(b).split()) for b in blocks) if t)
+
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: plain(r.html) for r in table.collect()}
+    for parts in (1, 8, 40):
+        got = {r.page_id: (r.text, r.n_chars) for r in pages.main_text(table.repartition(parts), partitions=parts).collect()}
+        assert got == {k: (t, len(t)) for k, t in want.items()}
+
+
+def test_op5_unmarked_pages(spark):
+    """Without marks the method alone decides: lines shared with the pages of the nearest URLs go, whatever the tasks."""
+    rng = random.Random(4)
+    own = {k: [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(8)) for _ in range(rng.randint(1, 6))] for k in range(120)}
+    host = {k: f"h{k % 5}" for k in own}
+    page = lambda k: "<body>" + "".join(f"<div>{x}</div>" for x in [f"menu {host[k]}", "search", *own[k], f"about {host[k]}", "imprint"]) + "</body>"
+    rows = [(k, f"http://{host[k]}/{k:03d}/{'index' if k % 2 else ''}?ref={k}", page(k)) for k in own]
+    for parts in (1, 8, 40):
+        got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts), partitions=parts).collect()}
+        assert got == {k: "\n".join(v) for k, v in own.items()}
+
+
 def test_op5_copies_and_partitions(spark):
     """Copies under one URL or several get one text without boilerplate, whatever the number of tasks."""
     bare = lambda x: f"<html><body><div>Shared line</div><div>{x}</div><div>Other shared</div></body></html>"
@@ -209,7 +247,10 @@ def test_op5_copies_and_partitions(spark):
 
 def test_op5_malformed(spark):
     """Broken markup doesn't end the job, and names inside an article drop a part only if all of a name says so."""
-    inside = "<article><h1 class='entry-header'>T</h1><p class='side-effect'>a</p><div id='search-results'>b</div><div class='comments'>c</div><ul class=comment-list><li>x</ul><div class='ad-box'>y</div></article>"
+    inside = (
+        "<article><h1 class='entry-header'>T</h1><p class='side-effect'>a</p><div id='search-results'>b</div><div class='comments'>c</div><ul "
+        "class=comment-list><li>x</ul><div class='ad-box'>y</div></article>"
+    )
     rows = [(1, "http://h/1", "<![foo]>x"), (2, "http://h/2", "<p>a<![>b</p>"), (3, "http://h/3", inside), (5, "http://h/5", "<p>c<![CDATA[d]]>e")]
     got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: "x", 2: "ab", 3: "T\na\nb", 5: "ce"}
