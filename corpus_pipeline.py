@@ -55,7 +55,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, keep=COLUMNS).filter("copies > 0").select(*COLUMNS, "size", "source_size", "target", "copies", "taken")
 
 
-STAGES = [("quality_classifier", quality_filter), ("exact_dedup", exact_dedup), ("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontaminate), ("mixing_sources", mix)]
+STAGES = [
+    ("quality_classifier", quality_filter), ("exact_dedup", exact_dedup), ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminate), ("mixing_sources", mix),
+]
 
 #: The classifier's and the fingerprints' results have no SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None

@@ -40,7 +40,10 @@ def resize_boxes(df: DataFrame, ratio: Column) -> DataFrame:
 
 
 def scale_images(df: DataFrame, s: float) -> DataFrame:
-    return df.withColumns({"width": F.ceil(F.col("width") * F.lit(s)).cast("long"), "height": F.ceil(F.col("height") * F.lit(s)).cast("long"), "file_name": F.concat(F.lit(f"scaled-{s}-"), F.col("file_name"))})
+    return df.withColumns({
+        "width": F.ceil(F.col("width") * F.lit(s)).cast("long"), "height": F.ceil(F.col("height") * F.lit(s)).cast("long"),
+        "file_name": F.concat(F.lit(f"scaled-{s}-"), F.col("file_name")),
+    })
 
 
 def confidence_band(df: DataFrame, low: float = 0.05, high: float = 0.5) -> DataFrame:

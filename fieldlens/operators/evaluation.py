@@ -71,10 +71,15 @@ def greedy_match(dets: DataFrame, gts: DataFrame, params: EvalParams, similar: C
     top = top_detections(dets, params.most_dets)
     counts = F.when((F.col("giscrowd") == 1) | outside(F.col("garea")), 0).otherwise(1)
     found = candidates(top, gts, min(*params.iou, 1 - 1e-10), similar).withColumn("range", ranges)
-    found = found.select(F.col("range.name").alias("area"), "det_id", "image_id", "category_id", F.struct(counts.alias("counts"), "iou", "gid", F.col("giscrowd").cast("int").alias("crowd")).alias("c"))
+    found = found.select(
+        F.col("range.name").alias("area"), "det_id", "image_id", "category_id",
+        F.struct(counts.alias("counts"), "iou", "gid", F.col("giscrowd").cast("int").alias("crowd")).alias("c"),
+    )
     at = ["area", "image_id", "category_id"]
     own = found.groupBy(*at, "det_id").agg(F.collect_list("c").alias("cands"))
-    each = top.withColumn("range", ranges).select(F.col("range.name").alias("area"), "image_id", "category_id", "det_id", "score", "rk", outside(F.col("w") * F.col("h")).alias("out"))
+    each = top.withColumn("range", ranges).select(
+        F.col("range.name").alias("area"), "image_id", "category_id", "det_id", "score", "rk", outside(F.col("w") * F.col("h")).alias("out"),
+    )
     rows = each.join(own, [*at, "det_id"], "left")
     one = F.struct("rk", "det_id", "score", "out", F.coalesce("cands", F.array().cast(own.schema["cands"].dataType)).alias("cands"))
     groups = rows.groupBy(*at).agg(F.array_sort(F.collect_list(one)).alias("dets"))
@@ -110,16 +115,17 @@ def truth_counts(gts: DataFrame, params: EvalParams) -> DataFrame:
     return within.groupBy(F.col("range.name").alias("area"), "category_id").agg(F.count("*").alias("n_truth"))
 
 
-def precision_recall(matches: DataFrame, truths: DataFrame, *, bins: int = 256) -> DataFrame:
+def precision_recall(matches: DataFrame, truths: DataFrame) -> DataFrame:
     """(area, iou_thr, category_id, det_id, score, image_id, rk, place, recall, precision, envelope) along falling scores.
 
-    Ties go by image and rank. Running sums and the envelope (the greatest precision from here on) are made inside bins of
-    the score and carried over by the small table of bins, so that no class has to be in one task. matches and the running
-    sums are written once and read by what needs them, so that the matching isn't done again.
+    Ties go by image and rank. Rows are dealt out by ranges of that order; running sums and the envelope (the greatest
+    precision from here on) are made inside a range and carried over by the table of ranges, a row for each task and class,
+    so that no class has to be in one task, whatever its scores. matches and the running sums are written once and read by
+    what needs them, so that the matching isn't done again.
     """
-    bin_ = (F.lit(bins - 1) - F.floor(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)) * (bins - 1))).cast("int")
-    live = cut(matches.filter("not ignored").withColumn("bin", bin_).withColumn("tp", F.col("gid").isNotNull().cast("long")), "matches")
     order = [F.desc("score"), F.asc("image_id"), F.asc("rk")]
+    counting = cut(matches.filter("not ignored").withColumn("tp", F.col("gid").isNotNull().cast("long")), "matches")
+    live = cut(counting.repartitionByRange(*KEY, *order).withColumn("bin", F.spark_partition_id()), "matches-ranged")
     inside = Window.partitionBy(*KEY, "bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sums = live.groupBy(*KEY, "bin").agg(F.sum("tp").alias("b_tp"), F.count("*").alias("b_n"))
     before = Window.partitionBy(*KEY).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -172,7 +178,10 @@ def coco_summary(dets: DataFrame, gts: DataFrame, params: EvalParams = COCO, sim
     thr = lambda t: of("all") & (F.abs(F.col("iou_thr") - t) < 1e-9)
     top = params.most_dets
     precision = {"ap": of("all"), "ap50": thr(0.5), "ap75": thr(0.75), "ap_small": of("small"), "ap_medium": of("medium"), "ap_large": of("large")}
-    recall = {"ar1": ("r1", "all"), "ar10": ("r10", "all"), "ar100": (f"r{top}", "all"), "ar_small": (f"r{top}", "small"), "ar_medium": (f"r{top}", "medium"), "ar_large": (f"r{top}", "large")}
+    recall = {
+        "ar1": ("r1", "all"), "ar10": ("r10", "all"), "ar100": (f"r{top}", "all"), "ar_small": (f"r{top}", "small"),
+        "ar_medium": (f"r{top}", "medium"), "ar_large": (f"r{top}", "large"),
+    }
     one = samples.agg(*(mean("precision", on).alias(n) for n, on in precision.items()))
     two = recalls(matches, truths, params, (1, 10, top)).agg(*(mean(c, of(name)).alias(n) for n, (c, name) in recall.items()))
     return one.crossJoin(F.broadcast(two))

@@ -242,7 +242,9 @@ def _by_tiles(state: DataFrame, cells: DataFrame, kinds: str, r: dict, size: tup
     return reduce(DataFrame.unionByName, ended) if ended else state
 
 
-def ground_points_carried(rays: DataFrame, raster: Raster, how: Search = Search(), *, by: str = "observation_id", order: str = "obs_ind", limit_cells: int = 50_000_000) -> DataFrame:
+def ground_points_carried(
+    rays: DataFrame, raster: Raster, how: Search = Search(), *, by: str = "observation_id", order: str = "obs_ind", limit_cells: int = 50_000_000,
+) -> DataFrame:
     """As ground_points, but the mean depth found in a frame is where the search of the next frame's rays begins.
 
     Frames follow one another, so an observation is gone through in one task, a frame at a time; only the frame at hand is

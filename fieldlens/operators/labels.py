@@ -15,7 +15,10 @@ from fieldlens.sources.shared import cut
 POINT = "struct<x:double,y:double>"
 OBJECT = f"struct<feature_id:string,name:string,bounding_box:struct<left:double,top:double,width:double,height:double>,line:array<{POINT}>,point:{POINT},polygon:array<{POINT}>,mask:struct<url:string>>"
 LABEL = f"struct<label_details:struct<created_at:string>,annotations:struct<objects:array<{OBJECT}>>>"
-EXPORT = f"data_row struct<id:string,external_id:string,details:struct<dataset_name:string>>, media_attributes struct<height:int,width:int>, projects map<string,struct<labels:array<{LABEL}>>>"
+EXPORT = (
+    "data_row struct<id:string,external_id:string,details:struct<dataset_name:string>>, media_attributes struct<height:int,width:int>, "
+    f"projects map<string,struct<labels:array<{LABEL}>>>"
+)
 #: An ontology's trees nest options in options; a schema for the reader needs a depth.
 DEPTH = 4
 
@@ -86,8 +89,14 @@ def annotations_of(export: DataFrame, project: str, index: DataFrame) -> DataFra
     box = [F.col(f"o.bounding_box.{c}") for c in ("left", "top", "width", "height")]
     pick = lambda k: F.when(F.col("kind") == "box", box[k]).when(F.col("kind") == "polygon", bounds[k])
     area = F.when(F.col("kind") == "box", box[2] * box[3]).when(F.col("kind") == "polygon", bounds[4])
-    named = rows.withColumn("kind", kind).filter("kind <> 'mask'").join(F.broadcast(index.filter("kind = 'tool'").select(F.col("name").alias("__name"), F.col("encoded").alias("category_id"))), F.col("o.name") == F.col("__name"), "left")
-    return named.select("data_row_id", F.col("position").cast("long").alias("position"), "kind", "category_id", *(pick(k).alias(c) for k, c in enumerate("xywh")), area.alias("area"), F.size(F.coalesce("o.line", F.array().cast(f"array<{POINT}>"))).cast("long").alias("n_points"))
+    named = rows.withColumn("kind", kind).filter("kind <> 'mask'").join(
+        F.broadcast(index.filter("kind = 'tool'").select(F.col("name").alias("__name"), F.col("encoded").alias("category_id"))),
+        F.col("o.name") == F.col("__name"), "left",
+    )
+    return named.select(
+        "data_row_id", F.col("position").cast("long").alias("position"), "kind", "category_id", *(pick(k).alias(c) for k, c in enumerate("xywh")),
+        area.alias("area"), F.size(F.coalesce("o.line", F.array().cast(f"array<{POINT}>"))).cast("long").alias("n_points"),
+    )
 
 
 def masks_of(export: DataFrame, project: str) -> DataFrame:
@@ -98,7 +107,10 @@ def masks_of(export: DataFrame, project: str) -> DataFrame:
 def images_of(export: DataFrame, project: str, order: Column) -> DataFrame:
     """(data_row_id, image_id, file_name, width, height): numbered from 1 in the export's order."""
     name = export_file(F.col("data_row.details.dataset_name"), F.col("data_row.external_id"))
-    rows = labeled(export, project).select(F.col("data_row.id").alias("data_row_id"), order.alias("__o"), name.alias("file_name"), F.col("media_attributes.width").alias("width"), F.col("media_attributes.height").alias("height"))
+    rows = labeled(export, project).select(
+        F.col("data_row.id").alias("data_row_id"), order.alias("__o"), name.alias("file_name"), F.col("media_attributes.width").alias("width"),
+        F.col("media_attributes.height").alias("height"),
+    )
     return renumber(rows, ["__o", "data_row_id"], "image_id").drop("__o")
 
 

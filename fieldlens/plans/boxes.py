@@ -54,13 +54,21 @@ def degenerate(t):
     return O.drop_degenerate(O.clip_boxes(_box(t), 320, 240)).select("id", "iscrowd", *CORNERS)
 
 
-@query("box_to_polygon", "SELECT id, p[1] AS p0, p[2] AS p1, p[3] AS p2, p[4] AS p3, p[5] AS p4, p[6] AS p5, p[7] AS p6, p[8] AS p7 FROM (SELECT id, [x, y, x + w, y, x + w, y + h, x, y + h] AS p FROM fx_annotations)")
+@query("box_to_polygon",
+    "SELECT id, p[1] AS p0, p[2] AS p1, p[3] AS p2, p[4] AS p3, p[5] AS p4, p[6] AS p5, p[7] AS p6, p[8] AS p7 FROM (SELECT id, [x, y, "
+    "x + w, y, x + w, y + h, x, y + h] AS p FROM fx_annotations)")
 def to_polygon(t):
     return t.annotations.withColumn("p", B.polygon(*_xywh())).select("id", *(F.get("p", F.lit(k)).alias(f"p{k}") for k in range(8)))
 
 
-_IOU = "CASE WHEN least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) AND least(a.y + a.h, b.y + b.h) > greatest(a.y, b.y) THEN (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) ELSE 0 END"
-_PAIRS = f"SELECT a.image_id, a.id AS id_a, b.id AS id_b, {_IOU} AS i, a.w * a.h + b.w * b.h AS s FROM fx_annotations a JOIN fx_annotations b ON a.image_id = b.image_id AND a.id < b.id"
+_IOU = (
+    "CASE WHEN least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) AND least(a.y + a.h, b.y + b.h) > greatest(a.y, b.y) THEN (least(a.x + "
+    "a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) ELSE 0 END"
+)
+_PAIRS = (
+    f"SELECT a.image_id, a.id AS id_a, b.id AS id_b, {_IOU} AS i, a.w * a.h + b.w * b.h AS s FROM fx_annotations a JOIN fx_annotations b "
+    "ON a.image_id = b.image_id AND a.id < b.id"
+)
 
 
 @query("box_iou", f"SELECT id_a, id_b, round(i::double / (s - i), 6) AS iou FROM ({_PAIRS} AND b.id = a.id + 1)")
@@ -86,17 +94,24 @@ def iou_distribution(t):
     return O.self_pairs(t.annotations).groupBy(F.least(F.floor(10 * F.col("iou")), F.lit(9)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("scale_boxes", "SELECT id, trunc(x * 0.37::double)::bigint AS x, trunc(y * 0.37::double)::bigint AS y, trunc(w * 0.37::double)::bigint AS w, trunc(h * 0.37::double)::bigint AS h, area FROM fx_annotations")
+@query("scale_boxes",
+    "SELECT id, trunc(x * 0.37::double)::bigint AS x, trunc(y * 0.37::double)::bigint AS y, trunc(w * 0.37::double)::bigint AS w, trunc(h "
+    "* 0.37::double)::bigint AS h, area FROM fx_annotations")
 def scale_boxes(t):
     return t.annotations.select("id", *(B.scaled(F.col(c), 0.37).alias(c) for c in "xywh"), "area")
 
 
-@query("scale_images", "SELECT image_id, ceil(width * 0.37::double)::bigint AS width, ceil(height * 0.37::double)::bigint AS height, concat('scaled-0.37-', file_name) AS file_name FROM fx_images")
+@query("scale_images",
+    "SELECT image_id, ceil(width * 0.37::double)::bigint AS width, ceil(height * 0.37::double)::bigint AS height, concat('scaled-0.37-', "
+    "file_name) AS file_name FROM fx_images")
 def scale_images(t):
     return O.scale_images(t.images, 0.37).select("image_id", "width", "height", "file_name")
 
 
-_SIZED = "SELECT a.id, a.x, a.y, a.w, a.h, i.width, i.height, least(300.0::double / least(i.height, i.width), 500.0::double / greatest(i.height, i.width)) AS r FROM fx_annotations a JOIN fx_images i USING (image_id)"
+_SIZED = (
+    "SELECT a.id, a.x, a.y, a.w, a.h, i.width, i.height, least(300.0::double / least(i.height, i.width), 500.0::double / greatest(i.height, "
+    "i.width)) AS r FROM fx_annotations a JOIN fx_images i USING (image_id)"
+)
 
 
 def _resized(r: str) -> str:
@@ -109,7 +124,9 @@ def resize(t):
     return O.resize_boxes(on, B.resize_ratio(F.col("width"), F.col("height"), 300, 500)).select("id", *(F.round(c, 9).alias(c) for c in CORNERS))
 
 
-@query("scale_jitter_boxes", f"SELECT id, {_resized('j')} FROM (SELECT *, least(400.0::double / height, 600.0::double / width) * (0.5 + (id % 16) / 10.0)::double AS j FROM ({_SIZED}))")
+@query("scale_jitter_boxes",
+    f"SELECT id, {_resized('j')} FROM (SELECT *, least(400.0::double / height, 600.0::double / width) * (0.5 + (id % 16) / 10.0)::double "
+    f"AS j FROM ({_SIZED}))")
 def jitter(t):
     on = _box(t).join(t.images.select("image_id", "width", "height"), "image_id")
     ratio = F.least(F.lit(400.0) / F.col("height"), F.lit(600.0) / F.col("width")) * (F.lit(0.5) + (F.col("id") % 16) / 10.0)
@@ -146,13 +163,21 @@ def crop(t):
     return O.crop_boxes(_box(t), F.lit(100), F.lit(80), 300, 200).select("id", *CORNERS)
 
 
-@query("zoom_out_boxes", "SELECT a.id, trunc(i.width * 1.5::double)::bigint AS canvas_w, trunc(i.height * 1.5::double)::bigint AS canvas_h, x + 30 AS x1, y + 20 AS y1, x + w + 30 AS x2, y + h + 20 AS y2 FROM fx_annotations a JOIN fx_images i USING (image_id)")
+@query("zoom_out_boxes",
+    "SELECT a.id, trunc(i.width * 1.5::double)::bigint AS canvas_w, trunc(i.height * 1.5::double)::bigint AS canvas_h, x + 30 AS x1, y "
+    "+ 20 AS y1, x + w + 30 AS x2, y + h + 20 AS y2 FROM fx_annotations a JOIN fx_images i USING (image_id)")
 def zoom_out(t):
     on = _box(t).join(t.images.select("image_id", "width", "height"), "image_id")
-    return on.select("id", (F.col("width") * F.lit(1.5)).cast("long").alias("canvas_w"), (F.col("height") * F.lit(1.5)).cast("long").alias("canvas_h"), *((F.col(c) + d).alias(c) for c, d in zip(CORNERS, (30, 20, 30, 20), strict=True)))
+    return on.select(
+        "id", (F.col("width") * F.lit(1.5)).cast("long").alias("canvas_w"), (F.col("height") * F.lit(1.5)).cast("long").alias("canvas_h"),
+        *((F.col(c) + d).alias(c) for c, d in zip(CORNERS, (30, 20, 30, 20), strict=True)),
+    )
 
 
-_TRIALS = "SELECT image_id, k, (image_id * 13 + k * 97) % 200 AS cl, (image_id * 7 + k * 53) % 150 AS ct, (image_id * 13 + k * 97) % 200 + 300 AS cr, (image_id * 7 + k * 53) % 150 + 220 AS cb FROM fx_images, range(0, 4) r(k)"
+_TRIALS = (
+    "SELECT image_id, k, (image_id * 13 + k * 97) % 200 AS cl, (image_id * 7 + k * 53) % 150 AS ct, (image_id * 13 + k * 97) % 200 + 300 "
+    "AS cr, (image_id * 7 + k * 53) % 150 + 220 AS cb FROM fx_images, range(0, 4) r(k)"
+)
 
 
 @query(
@@ -167,11 +192,17 @@ SELECT id, k, greatest(0, least(x - cl, cr - cl)) AS x1, greatest(0, least(y - c
 def iou_crop(t):
     k = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")
     base = t.images.select("image_id", k).withColumn("k", F.col("k").cast("long"))
-    trials = base.withColumns({"cl": (F.col("image_id") * 13 + F.col("k") * 97) % 200, "ct": (F.col("image_id") * 7 + F.col("k") * 53) % 150}).withColumns({"cr": F.col("cl") + 300, "cb": F.col("ct") + 220})
+    trials = base.withColumns({
+        "cl": (F.col("image_id") * 13 + F.col("k") * 97) % 200, "ct": (F.col("image_id") * 7 + F.col("k") * 53) % 150,
+    }).withColumns({"cr": F.col("cl") + 300, "cb": F.col("ct") + 220})
     return O.iou_crop(_box(t), trials, 0.15).select("id", "k", *CORNERS)
 
 
-_WINDOW = "CASE WHEN {size} = {crop} THEN 0 ELSE trunc((greatest(0, least(0.999, (({v2}) - {crop} + 200)::double / ({size} - {crop}))) + 0.25 * (greatest(0, least(0.999, (({v1}) - 200)::double / ({size} - {crop}))) - greatest(0, least(0.999, (({v2}) - {crop} + 200)::double / ({size} - {crop}))))) * ({size} - {crop})) END"
+_WINDOW = (
+    "CASE WHEN {size} = {crop} THEN 0 ELSE trunc((greatest(0, least(0.999, (({v2}) - {crop} + 200)::double / ({size} - {crop}))) + 0.25 "
+    "* (greatest(0, least(0.999, (({v1}) - 200)::double / ({size} - {crop}))) - greatest(0, least(0.999, (({v2}) - {crop} + 200)::double "
+    "/ ({size} - {crop}))))) * ({size} - {crop})) END"
+)
 
 
 @query(

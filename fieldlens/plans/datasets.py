@@ -17,19 +17,26 @@ def class_histogram(t):
     return D.class_histogram(t.annotations, t.categories).drop("n_images")
 
 
-@query("class_image_histogram", "SELECT c.category_id, c.name, count(DISTINCT a.image_id) AS n_images FROM fx_categories c LEFT JOIN fx_annotations a USING (category_id) GROUP BY 1, 2")
+@query("class_image_histogram",
+    "SELECT c.category_id, c.name, count(DISTINCT a.image_id) AS n_images FROM fx_categories c LEFT JOIN fx_annotations a USING (category_id) "
+    "GROUP BY 1, 2")
 def class_images(t):
     return D.class_histogram(t.annotations, t.categories).drop("n")
 
 
-@query("dataset_summary", "SELECT src, count(DISTINCT image_id) AS n_images, count(*) AS n_annotations FROM (SELECT image_id, image_id % 2 AS src FROM fx_annotations) GROUP BY ROLLUP (src)")
+@query("dataset_summary",
+    "SELECT src, count(DISTINCT image_id) AS n_images, count(*) AS n_annotations FROM (SELECT image_id, image_id % 2 AS src FROM fx_annotations) "
+    "GROUP BY ROLLUP (src)")
 def summary(t):
     return t.annotations.withColumn("src", F.col("image_id") % 2).rollup("src").agg(F.count_distinct("image_id").alias("n_images"), F.count("*").alias("n_annotations"))
 
 
 @query("area_distribution", "SELECT category_id, count(*) AS n, min(area) AS least, max(area) AS most, quantile_disc(area, 0.5) AS middle FROM fx_annotations GROUP BY 1")
 def areas(t):
-    return t.annotations.groupBy("category_id").agg(F.count("*").alias("n"), F.min("area").alias("least"), F.max("area").alias("most"), F.expr("percentile_disc(0.5) within group (order by area)").alias("middle"))
+    return t.annotations.groupBy("category_id").agg(
+        F.count("*").alias("n"), F.min("area").alias("least"), F.max("area").alias("most"),
+        F.expr("percentile_disc(0.5) within group (order by area)").alias("middle"),
+    )
 
 
 @query("class_set", "SELECT DISTINCT category_id FROM fx_annotations")
@@ -69,7 +76,9 @@ def _wanted(t):
     return t.orders.filter("o_custkey % 7 = 0").select(((F.col("o_orderkey") * 31) % 1009 * 100000 + F.col("o_orderkey")).alias("ord"), (F.col("o_orderkey") * 2).alias("image_id"))
 
 
-@query("subset_by_image_ids", f"SELECT ord, image_id, id, CAST(row_number() OVER (ORDER BY ord, id) AS BIGINT) AS new_id FROM ({_WANTED}) s JOIN fx_images USING (image_id) JOIN fx_annotations USING (image_id)")
+@query("subset_by_image_ids",
+    f"SELECT ord, image_id, id, CAST(row_number() OVER (ORDER BY ord, id) AS BIGINT) AS new_id FROM ({_WANTED}) s JOIN fx_images USING (image_id) "
+    "JOIN fx_annotations USING (image_id)")
 def subset(t):
     return D.subset(t.images, t.annotations, _wanted(t)).select("ord", "image_id", "id", "new_id")
 
@@ -80,8 +89,14 @@ def unknown(t):
 
 
 _MAP = {"salmon": "fish", "bear": "animal", "gull": "animal", "adult male zebra": "animal", "kelp": "plant", "boat": "boat"}
-_MAPPED = "SELECT category_id, name, CASE name WHEN 'salmon' THEN 'fish' WHEN 'bear' THEN 'animal' WHEN 'gull' THEN 'animal' WHEN 'adult male zebra' THEN 'animal' WHEN 'kelp' THEN 'plant' WHEN 'boat' THEN 'boat' END AS new_name FROM fx_categories"
-_NEW = f"SELECT category_id, new_name, dense_rank() OVER (ORDER BY f) AS new_id FROM (SELECT *, min(category_id) OVER (PARTITION BY new_name) AS f FROM ({_MAPPED}) WHERE new_name IS NOT NULL)"
+_MAPPED = (
+    "SELECT category_id, name, CASE name WHEN 'salmon' THEN 'fish' WHEN 'bear' THEN 'animal' WHEN 'gull' THEN 'animal' WHEN 'adult male "
+    "zebra' THEN 'animal' WHEN 'kelp' THEN 'plant' WHEN 'boat' THEN 'boat' END AS new_name FROM fx_categories"
+)
+_NEW = (
+    "SELECT category_id, new_name, dense_rank() OVER (ORDER BY f) AS new_id FROM (SELECT *, min(category_id) OVER (PARTITION BY new_name) "
+    f"AS f FROM ({_MAPPED}) WHERE new_name IS NOT NULL)"
+)
 
 
 def _mapping(t):
@@ -93,13 +108,17 @@ def rename_merge(t):
     return D.remap(t.annotations, D.merged_categories(t.categories, _mapping(t))).select("id", "new_id", "new_name")
 
 
-@query("merged_categories", f"SELECT DISTINCT new_id AS id, new_name AS name, 'all' AS supercategory, 1 AS isthing FROM ({_NEW}) JOIN (SELECT DISTINCT category_id FROM fx_annotations) USING (category_id)")
+@query("merged_categories",
+    f"SELECT DISTINCT new_id AS id, new_name AS name, 'all' AS supercategory, 1 AS isthing FROM ({_NEW}) JOIN (SELECT DISTINCT category_id "
+    "FROM fx_annotations) USING (category_id)")
 def merged(t):
     new = D.merged_categories(t.categories, _mapping(t)).join(t.annotations, "category_id", "left_semi")
     return new.select(F.col("new_id").alias("id"), F.col("new_name").alias("name"), F.lit("all").alias("supercategory"), F.lit(1).alias("isthing")).distinct()
 
 
-@query("remap_categories", f"SELECT category_id, count(*) AS n, count(new_id) AS mapped FROM fx_annotations LEFT JOIN (SELECT * FROM ({_NEW}) WHERE new_name <> 'plant') USING (category_id) GROUP BY 1")
+@query("remap_categories",
+    f"SELECT category_id, count(*) AS n, count(new_id) AS mapped FROM fx_annotations LEFT JOIN (SELECT * FROM ({_NEW}) WHERE new_name <> "
+    "'plant') USING (category_id) GROUP BY 1")
 def remap(t):
     mapping = D.merged_categories(t.categories, _mapping(t)).filter("new_name <> 'plant'")
     return D.remap(t.annotations, mapping).groupBy("category_id").agg(F.count("*").alias("n"), F.count_if(~F.col("unmapped")).alias("mapped"))
@@ -110,7 +129,9 @@ def lookup(t):
     return t.annotations.join(F.broadcast(t.categories.filter("category_id <> 5")), "category_id", "left").select("id", "name")
 
 
-@query("alphabetize_categories", "SELECT a.id, n.new_id FROM fx_annotations a JOIN (SELECT category_id, row_number() OVER (ORDER BY name) AS new_id FROM fx_categories) n USING (category_id)")
+@query("alphabetize_categories",
+    "SELECT a.id, n.new_id FROM fx_annotations a JOIN (SELECT category_id, row_number() OVER (ORDER BY name) AS new_id FROM fx_categories) "
+    "n USING (category_id)")
 def alphabetize(t):
     return D.remap(t.annotations, D.alphabetized(t.categories).select("category_id", "new_id")).select("id", "new_id")
 
@@ -141,16 +162,23 @@ def renumber(t):
     return D.renumber_annotations(t.annotations).select("id", "new_id")
 
 
-@query("image_ordinal", "SELECT image_id, min(rn) AS ordinal FROM (SELECT l_orderkey AS image_id, CAST(row_number() OVER (ORDER BY l_orderkey, id) AS BIGINT) AS rn FROM (SELECT image_id AS l_orderkey, id FROM fx_annotations)) GROUP BY 1")
+@query("image_ordinal",
+    "SELECT image_id, min(rn) AS ordinal FROM (SELECT l_orderkey AS image_id, CAST(row_number() OVER (ORDER BY l_orderkey, id) AS BIGINT) "
+    "AS rn FROM (SELECT image_id AS l_orderkey, id FROM fx_annotations)) GROUP BY 1")
 def image_ordinal(t):
     """An image's first position in the list of labels; labels of the same image take up positions."""
     return D.renumber_annotations(t.annotations).groupBy("image_id").agg(F.min("new_id").alias("ordinal"))
 
 
-_SPLIT = "SELECT image_id, CASE WHEN (row_number() OVER (ORDER BY image_id) - 1) % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM (SELECT DISTINCT image_id FROM fx_annotations JOIN fx_images USING (image_id))"
+_SPLIT = (
+    "SELECT image_id, CASE WHEN (row_number() OVER (ORDER BY image_id) - 1) % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM (SELECT DISTINCT "
+    "image_id FROM fx_annotations JOIN fx_images USING (image_id))"
+)
 
 
-@query("train_val_split", f"SELECT a.id, s.split, CAST(row_number() OVER (PARTITION BY split ORDER BY image_id, id) AS BIGINT) AS new_id FROM fx_annotations a JOIN ({_SPLIT}) s USING (image_id)")
+@query("train_val_split",
+    "SELECT a.id, s.split, CAST(row_number() OVER (PARTITION BY split ORDER BY image_id, id) AS BIGINT) AS new_id FROM fx_annotations a "
+    f"JOIN ({_SPLIT}) s USING (image_id)")
 def train_val(t):
     split = D.cut(D.train_val(t.images, t.annotations, 0.2), "split")
     return D.renumber_splits(t.annotations, split).select("id", "split", "new_id")
@@ -165,13 +193,19 @@ def random_split(t):
     return D.random_split(t.images, 0.2, seed=3)
 
 
-@query("partition_dataset", "WITH p AS (SELECT image_id, row_number() OVER (ORDER BY (image_id * 7919) % 104729, image_id) - 1 AS place, count(*) OVER () AS n FROM fx_images) SELECT image_id, CASE WHEN place < trunc(n * 0.7 + 1e-9) THEN 'train' WHEN place < trunc(n * 0.9 + 1e-9) THEN 'val' ELSE 'test' END AS split FROM p")
+@query("partition_dataset",
+    "WITH p AS (SELECT image_id, row_number() OVER (ORDER BY (image_id * 7919) % 104729, image_id) - 1 AS place, count(*) OVER () AS n "
+    "FROM fx_images) SELECT image_id, CASE WHEN place < trunc(n * 0.7 + 1e-9) THEN 'train' WHEN place < trunc(n * 0.9 + 1e-9) THEN 'val' "
+    "ELSE 'test' END AS split FROM p")
 def partition(t):
     key = (F.col("image_id") * 7919) % 104729
     return D.partition(t.images, {"train": 0.7, "val": 0.2, "test": 0.1}, key)
 
 
-@query("partition_annotations", "WITH p AS (SELECT image_id, row_number() OVER (ORDER BY (image_id * 7919) % 104729, image_id) - 1 AS place, count(*) OVER () AS n FROM fx_images) SELECT id, id % 4 = 0 AS panoptic, CASE WHEN place < trunc(n * 0.7 + 1e-9) THEN 'train' ELSE 'val' END AS split FROM p JOIN fx_annotations USING (image_id)")
+@query("partition_annotations",
+    "WITH p AS (SELECT image_id, row_number() OVER (ORDER BY (image_id * 7919) % 104729, image_id) - 1 AS place, count(*) OVER () AS n "
+    "FROM fx_images) SELECT id, id % 4 = 0 AS panoptic, CASE WHEN place < trunc(n * 0.7 + 1e-9) THEN 'train' ELSE 'val' END AS split FROM "
+    "p JOIN fx_annotations USING (image_id)")
 def partition_annotations(t):
     """Two sets of annotations that go the way of their images."""
     split = D.cut(D.partition(t.images, {"train": 0.7, "val": 0.3}, (F.col("image_id") * 7919) % 104729), "partition")
@@ -195,7 +229,9 @@ def _combined(t):
 _CI = "SELECT image_id, image_id % 2 AS f, CAST(row_number() OVER (ORDER BY image_id % 2, image_id) AS BIGINT) AS new_image_id FROM fx_images"
 
 
-@query("combine_datasets", f"SELECT a.id, new_image_id, CAST(row_number() OVER (ORDER BY new_image_id, a.id) - 1 AS BIGINT) AS new_id FROM fx_annotations a JOIN ({_CI}) USING (image_id)")
+@query("combine_datasets",
+    "SELECT a.id, new_image_id, CAST(row_number() OVER (ORDER BY new_image_id, a.id) - 1 AS BIGINT) AS new_id FROM fx_annotations a JOIN "
+    f"({_CI}) USING (image_id)")
 def combine(t):
     return _combined(t)[1].select("id", "new_image_id", "new_id")
 
@@ -223,14 +259,18 @@ def remove_left(t):
 _SPAN = "SELECT video_id, min(image_id) AS least, max(image_id) AS most FROM fx_images GROUP BY 1"
 
 
-@query("sample_frames", f"SELECT video_id, k, least + 20 + floor({_draw("concat('11:', video_id, ':', k)")} * greatest(most - least - 40, 1))::bigint AS frame FROM ({_SPAN}), range(1, 6) r(k)")
+@query("sample_frames",
+    f"SELECT video_id, k, least + 20 + floor({_draw("concat('11:', video_id, ':', k)")} * greatest(most - least - 40, 1))::bigint AS frame "
+    f"FROM ({_SPAN}), range(1, 6) r(k)")
 def sample_frames(t):
     """Five frames of each video, drawn with replacement from its own range, which leaves room for triplets."""
     span = t.images.groupBy("video_id").agg(F.min("image_id").alias("least"), F.max("image_id").alias("most"))
     return D.sample_frames(span, 5, 11, spacing=20).withColumn("k", F.col("k").cast("long"))
 
 
-@query("frame_triplets", "SELECT f.image_id, f.video_id, a.image_id AS after_id, b.image_id AS before_id FROM fx_images f LEFT JOIN fx_images a ON a.video_id = f.video_id AND a.image_id = f.image_id + 20 LEFT JOIN fx_images b ON b.video_id = f.video_id AND b.image_id = f.image_id - 20")
+@query("frame_triplets",
+    "SELECT f.image_id, f.video_id, a.image_id AS after_id, b.image_id AS before_id FROM fx_images f LEFT JOIN fx_images a ON a.video_id "
+    "= f.video_id AND a.image_id = f.image_id + 20 LEFT JOIN fx_images b ON b.video_id = f.video_id AND b.image_id = f.image_id - 20")
 def triplets(t):
     return D.frame_triplets(t.images, 20)
 
@@ -240,7 +280,9 @@ def gt_paths(t):
     return t.images.filter(F.col("image_id") % 3 == 0).select(F.concat(F.lit("frames/survey_"), F.col("video_id").cast("string"), F.lit("/"), F.col("file_name")).alias("path"))
 
 
-@query("semantic_id_map", "SELECT id, CASE WHEN c = 0 THEN 255 WHEN c IN (5, 6) THEN c - 4 ELSE 0 END AS semantic FROM (SELECT id, CASE WHEN id % 10 = 0 THEN 0 ELSE category_id END AS c FROM fx_annotations)")
+@query("semantic_id_map",
+    "SELECT id, CASE WHEN c = 0 THEN 255 WHEN c IN (5, 6) THEN c - 4 ELSE 0 END AS semantic FROM (SELECT id, CASE WHEN id % 10 = 0 THEN "
+    "0 ELSE category_id END AS c FROM fx_annotations)")
 def semantic(t):
     """Of segments, some of which are of no category."""
     ids = D.semantic_ids(t.categories.select("category_id", F.when(F.col("category_id").isin(5, 6), 0).otherwise(1).alias("isthing")))
@@ -251,14 +293,18 @@ def semantic(t):
 _SEEN = "(SELECT count(*) FROM range(0, 17) r(i) WHERE (i + id) % 7 = 0)"
 
 
-@query("valid_images_keypoints", f"SELECT image_id FROM (SELECT image_id, w, h, {_SEEN} AS seen FROM fx_annotations) GROUP BY 1 HAVING sum(seen) >= 10 AND NOT bool_and(w <= 1 OR h <= 1)")
+@query("valid_images_keypoints",
+    f"SELECT image_id FROM (SELECT image_id, w, h, {_SEEN} AS seen FROM fx_annotations) GROUP BY 1 HAVING sum(seen) >= 10 AND NOT bool_and(w "
+    "<= 1 OR h <= 1)")
 def valid_keypoints(t):
     """Key points of which every seventh is visible: images of few boxes have fewer than ten."""
     points = F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: F.struct(F.when((i + F.col("id")) % 7 == 0, 2).otherwise(0).alias("v")))
     return D.valid_images(t.images, t.annotations.withColumn("keypoints", points)).select("image_id")
 
 
-@query("max_keypoints", "SELECT k, concat('line_', k) AS keypoint, k - 1 AS bone_from, k AS bone_to FROM (SELECT max(1 + id % 9) AS n FROM fx_annotations), range(1, 100) r(k) WHERE k <= n")
+@query("max_keypoints",
+    "SELECT k, concat('line_', k) AS keypoint, k - 1 AS bone_from, k AS bone_to FROM (SELECT max(1 + id % 9) AS n FROM fx_annotations), "
+    "range(1, 100) r(k) WHERE k <= n")
 def max_keypoints(t):
     """The names and bones of a category's key points, one to a row."""
     points = F.transform(F.sequence(F.lit(1).cast("long"), 1 + F.col("id") % 9), lambda i: i)

@@ -57,7 +57,9 @@ def det_prepare(t):
     return t.detections.select("det_id", "image_id", *(v.alias(n) for v, n in zip(B.sized(*c), "xywh", strict=True)))
 
 
-@query("maxdets_topk", "SELECT image_id, category_id, det_id, rk FROM (SELECT *, row_number() OVER (PARTITION BY image_id, category_id ORDER BY score DESC, det_id) AS rk FROM fx_detections) WHERE rk <= 2")
+@query("maxdets_topk",
+    "SELECT image_id, category_id, det_id, rk FROM (SELECT *, row_number() OVER (PARTITION BY image_id, category_id ORDER BY score DESC, "
+    "det_id) AS rk FROM fx_detections) WHERE rk <= 2")
 def topk(t):
     return V.top_detections(t.detections, 2).select("image_id", "category_id", "det_id", "rk")
 
@@ -77,14 +79,19 @@ def _curve(t, params):
     return V.precision_recall(V.greedy_match(t.detections, t.annotations, params), truths)
 
 
-@query("cumulative_pr", _THREE + _CURVE + " SELECT iou_thr, category_id, det_id, round(recall, 6) AS recall, round(precision, 6) AS precision, round(envelope, 6) AS envelope FROM env")
+@query(
+    "cumulative_pr",
+    _THREE + _CURVE + " SELECT iou_thr, category_id, det_id, round(recall, 6) AS recall, round(precision, 6) AS precision, round(envelope, 6) AS envelope FROM env",
+)
 def cumulative(t):
     return _curve(t, PARAMS).select("iou_thr", "category_id", "det_id", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "envelope")))
 
 
 @query("pr_accumulate", _THREE + _CURVE + _SAMPLES + " SELECT iou_thr, category_id, rec_thr, round(precision, 6) AS precision, round(score, 6) AS score FROM samples")
 def accumulate(t):
-    return V.evaluate(t.detections, t.annotations, PARAMS).select("iou_thr", "category_id", "rec_thr", F.round("precision", 6).alias("precision"), F.round("score", 6).alias("score"))
+    return V.evaluate(t.detections, t.annotations, PARAMS).select(
+        "iou_thr", "category_id", "rec_thr", F.round("precision", 6).alias("precision"), F.round("score", 6).alias("score"),
+    )
 
 
 @query("pr_curve", _THREE + _CURVE + _SAMPLES + " SELECT iou_thr, category_id, round(avg(precision), 6) AS ap FROM samples GROUP BY ALL")
@@ -92,7 +99,10 @@ def pr_curve(t):
     return V.evaluate(t.detections, t.annotations, PARAMS).groupBy("iou_thr", "category_id").agg(F.round(F.avg("precision"), 6).alias("ap"))
 
 
-@query("operating_point_report", _THREE + _CURVE + _SAMPLES + " SELECT category_id, iou_thr, score_thr, max(CASE WHEN score >= score_thr THEN rec_thr END) AS recall, round(arg_max(precision, CASE WHEN score >= score_thr THEN rec_thr END), 6) AS precision FROM samples, (SELECT unnest([0.2::double, 0.7::double]) AS score_thr) GROUP BY 1, 2, 3")
+@query("operating_point_report", _THREE + _CURVE + _SAMPLES +
+    " SELECT category_id, iou_thr, score_thr, max(CASE WHEN score >= score_thr THEN rec_thr END) AS recall, round(arg_max(precision, CASE "
+    "WHEN score >= score_thr THEN rec_thr END), 6) AS precision FROM samples, (SELECT unnest([0.2::double, 0.7::double]) AS score_thr) "
+    "GROUP BY 1, 2, 3")
 def report(t):
     return V.operating_points(V.evaluate(t.detections, t.annotations, PARAMS)).withColumn("precision", F.round("precision", 6))
 
@@ -105,7 +115,10 @@ def _recall_sql(n: int) -> str:
 def _summary_sql(params: V.EvalParams, **options) -> str:
     ap = lambda name, on: f"(SELECT round(avg(precision), 6) FROM samples WHERE {on}) AS {name}"
     ar = lambda name, n, area: f"(SELECT round(avg(r), 6) FROM ({_recall_sql(n)}) WHERE area = '{area}') AS {name}"
-    parts = [ap("ap", "area = 'all'"), ap("ap50", "area = 'all' AND iou_thr = 0.5"), ap("ap75", "area = 'all' AND iou_thr = 0.75"), *(ap(f"ap_{a}", f"area = '{a}'") for a in ("small", "medium", "large"))]
+    parts = [
+        ap("ap", "area = 'all'"), ap("ap50", "area = 'all' AND iou_thr = 0.5"), ap("ap75", "area = 'all' AND iou_thr = 0.75"),
+        *(ap(f"ap_{a}", f"area = '{a}'") for a in ("small", "medium", "large")),
+    ]
     parts += [ar("ar1", 1, "all"), ar("ar10", 10, "all"), ar("ar100", params.most_dets, "all"), *(ar(f"ar_{a}", params.most_dets, a) for a in ("small", "medium", "large"))]
     return f"WITH {_match_sql(params, **options)}{_CURVE}{_SAMPLES} SELECT {', '.join(parts)}"
 
@@ -120,7 +133,10 @@ def coco_summary(t):
 
 
 def _summary_part(params: V.EvalParams) -> str:
-    return f"WITH {_match_sql(params)}{_CURVE}{_SAMPLES} SELECT (SELECT round(avg(precision), 6) FROM samples) AS ap, (SELECT round(avg(r), 6) FROM ({_recall_sql(params.most_dets)})) AS ar"
+    return (
+        f"WITH {_match_sql(params)}{_CURVE}{_SAMPLES} SELECT (SELECT round(avg(precision), 6) FROM samples) AS ap, (SELECT round(avg(r), 6) "
+        f"FROM ({_recall_sql(params.most_dets)})) AS ar"
+    )
 
 
 def _summary(t, params: V.EvalParams):
@@ -135,13 +151,17 @@ for _area in V.COCO.areas:
     query(f"coco_summary_{_area[0]}", _summary_part(_own))(lambda t, params=_own: _summary(t, params))
 
 
-@query("val_loss", _THREE + " SELECT round(avg(l), 6) AS loss FROM (SELECT image_id, avg(CASE WHEN gid IS NULL THEN 1 - score ELSE score END) AS l FROM matches WHERE iou_thr = 0.5 GROUP BY 1)")
+@query("val_loss", _THREE +
+    " SELECT round(avg(l), 6) AS loss FROM (SELECT image_id, avg(CASE WHEN gid IS NULL THEN 1 - score ELSE score END) AS l FROM matches "
+    "WHERE iou_thr = 0.5 GROUP BY 1)")
 def val_loss(t):
     m = V.greedy_match(t.detections, t.annotations, replace(PARAMS, iou=(0.5,)))
     return V.image_loss(m).agg(F.round(F.avg("loss"), 6).alias("loss"))
 
 
-@query("gt_from_targets", "SELECT image_id, CAST(row_number() OVER (ORDER BY image_id, id) AS BIGINT) AS gt_id, x, y, w, h, category_id, (SELECT count(*) FROM range(0, 17) r(i) WHERE (i + id) % 3 > 0) AS num_keypoints FROM fx_annotations")
+@query("gt_from_targets",
+    "SELECT image_id, CAST(row_number() OVER (ORDER BY image_id, id) AS BIGINT) AS gt_id, x, y, w, h, category_id, (SELECT count(*) FROM "
+    "range(0, 17) r(i) WHERE (i + id) % 3 > 0) AS num_keypoints FROM fx_annotations")
 def gt_from_targets(t):
     points = F.transform(keypoints(), lambda p: F.struct("id", ((p["v"] + F.col("id")) % 3).alias("v")))
     got = D.truth_of_targets(t.annotations.withColumn("keypoints", points))
@@ -152,7 +172,10 @@ def gt_from_targets(t):
 SPREAD = (0.026, 0.025, 0.025, 0.035, 0.035, 0.079, 0.079, 0.072, 0.072, 0.062, 0.062, 0.107, 0.107, 0.087, 0.087, 0.089, 0.089)
 
 
-@query("oks_keypoints", f"SELECT id, round(list_avg(list_filter(list_transform(range(1, 18), lambda i: CASE WHEN p[i].v > 0 THEN exp(-(9.0::double + 16.0) / (2 * area * pow(2 * [{', '.join(map(str, SPREAD))}][i]::double, 2))) END), lambda v: v IS NOT NULL)), 6) AS oks FROM (SELECT id, area, {_POINTS} AS p FROM fx_annotations)")
+@query("oks_keypoints",
+    "SELECT id, round(list_avg(list_filter(list_transform(range(1, 18), lambda i: CASE WHEN p[i].v > 0 THEN exp(-(9.0::double + 16.0) / "
+    f"(2 * area * pow(2 * [{', '.join(map(str, SPREAD))}][i]::double, 2))) END), lambda v: v IS NOT NULL)), 6) AS oks FROM (SELECT id, area, "
+    f"{_POINTS} AS p FROM fx_annotations)")
 def oks(t):
     moved = F.transform(F.col("p"), lambda q: F.struct((q["x"] + 3).alias("x"), (q["y"] + 4).alias("y"), q["v"].alias("v")))
     return t.annotations.withColumn("p", keypoints()).select("id", F.round(B.oks(moved, F.col("p"), F.col("area"), SPREAD), 6).alias("oks"))
@@ -184,7 +207,9 @@ def keypoint_precision(t):
     return V.sampled(V.precision_recall(matches, truths), truths, KEYPOINTS).groupBy("iou_thr").agg(F.round(F.avg("precision"), 6).alias("ap"))
 
 
-@query("argmax_class", "SELECT image_id, arg_max(category_id, (score, -category_id)) AS category_id, max(score) AS score FROM (SELECT image_id, category_id, max(score) AS score FROM fx_detections WHERE category_id <> 6 GROUP BY 1, 2) GROUP BY 1")
+@query("argmax_class",
+    "SELECT image_id, arg_max(category_id, (score, -category_id)) AS category_id, max(score) AS score FROM (SELECT image_id, category_id, "
+    "max(score) AS score FROM fx_detections WHERE category_id <> 6 GROUP BY 1, 2) GROUP BY 1")
 def argmax(t):
     return V.argmax_class(t.detections, 6)
 
@@ -204,7 +229,9 @@ def nms(t):
     return V.nms(t.detections, 0.3)
 
 
-@query("suppress_covered", f"SELECT det_id FROM fx_detections d WHERE NOT EXISTS (SELECT 1 FROM fx_annotations k WHERE k.image_id = d.image_id AND k.id % 3 = 0 AND {_NMS_IOU}::double / (k.w * k.h + d.w * d.h - {_NMS_IOU}) > 0.5)")
+@query("suppress_covered",
+    "SELECT det_id FROM fx_detections d WHERE NOT EXISTS (SELECT 1 FROM fx_annotations k WHERE k.image_id = d.image_id AND k.id % 3 = 0 "
+    f"AND {_NMS_IOU}::double / (k.w * k.h + d.w * d.h - {_NMS_IOU}) > 0.5)")
 def covered(t):
     return V.suppress_covered(t.detections, t.annotations.filter(F.col("id") % 3 == 0), 0.5).select("det_id")
 

@@ -22,7 +22,10 @@ def ontology(t):
     shape = F.when(F.col("category_id") % 3 == 1, "line").when(F.col("category_id") % 3 == 2, "point").otherwise("rectangle")
     tool = F.struct(F.concat(F.lit("t-"), i).alias("schema_id"), shape.alias("tool"), "name", F.array(question("c")).alias("classifications"))
     ordered = lambda s: F.transform(F.array_sort(F.collect_list(F.struct("category_id", s.alias("s")))), lambda x: x["s"])
-    top = F.struct(F.lit("top").alias("schema_id"), F.lit("weather?").alias("instructions"), F.lit("radio").alias("type"), F.array(F.struct(F.lit("top-0").alias("schema_id"), F.lit("rain").alias("label"))).alias("options"))
+    top = F.struct(
+        F.lit("top").alias("schema_id"), F.lit("weather?").alias("instructions"), F.lit("radio").alias("type"),
+        F.array(F.struct(F.lit("top-0").alias("schema_id"), F.lit("rain").alias("label"))).alias("options"),
+    )
     path = shared_dir(t.spark, "ontology")
     c.agg(ordered(tool).alias("tools"), F.array(F.first(top)).alias("classifications")).write.json(path)
     return t.spark.read.schema(L.ONTOLOGY).json(path)
@@ -45,8 +48,13 @@ def export(t):
     label = F.array(F.struct(F.struct(F.lit("2024-01-01T00:00:00Z").alias("created_at")).alias("label_details"), F.struct("objects").alias("annotations")))
     none = F.array().cast(f"array<{L.LABEL}>")
     rows = t.images.join(per, "image_id", "left").select(
-        F.struct(F.col("image_id").cast("string").alias("id"), F.col("file_name").alias("external_id"), F.struct(F.lit("set").alias("dataset_name")).alias("details")).alias("data_row"),
-        F.struct("height", "width").alias("media_attributes"), F.create_map(F.lit("p1"), F.struct(F.when(F.col("objects").isNotNull(), label).otherwise(none).alias("labels"))).alias("projects"),
+        F.struct(
+            F.col("image_id").cast("string").alias("id"), F.col("file_name").alias("external_id"),
+            F.struct(F.lit("set").alias("dataset_name")).alias("details"),
+        ).alias("data_row"),
+        F.struct("height", "width").alias("media_attributes"), F.create_map(
+            F.lit("p1"), F.struct(F.when(F.col("objects").isNotNull(), label).otherwise(none).alias("labels")),
+        ).alias("projects"),
     )
     path = shared_dir(t.spark, "export")
     rows.write.json(path)
@@ -100,7 +108,12 @@ def masks(t):
 
 _POINTS = "CASE WHEN kind = 'tool' AND type = 'line' THEN list_transform(range(1, n + 1), lambda i: 'line_' || i) WHEN kind = 'tool' AND type = 'point' THEN ['point'] ELSE [] END"
 _BONES = "CASE WHEN kind = 'tool' AND type = 'line' THEN list_transform(range(0, n), lambda i: i || '-' || (i + 1)) WHEN kind = 'tool' AND type = 'point' THEN ['0-0'] ELSE [] END"
-_CATS = f"SELECT encoded AS id, name, CASE WHEN kind = 'tool' THEN name ELSE (SELECT p.name FROM idx p WHERE p.schema_id = idx.parents[1]) END AS supercategory, array_to_string({_POINTS}, ',') AS keypoints, array_to_string({_BONES}, ',') AS skeleton FROM idx, (SELECT max(CASE WHEN id % 5 = 1 THEN 2 ELSE 0 END)::bigint AS n FROM fx_annotations JOIN fx_images USING (image_id)) WHERE kind = 'tool' OR len(parents) = 2"
+_CATS = (
+    "SELECT encoded AS id, name, CASE WHEN kind = 'tool' THEN name ELSE (SELECT p.name FROM idx p WHERE p.schema_id = idx.parents[1]) END "
+    f"AS supercategory, array_to_string({_POINTS}, ',') AS keypoints, array_to_string({_BONES}, ',') AS skeleton FROM idx, (SELECT max(CASE "
+    "WHEN id % 5 = 1 THEN 2 ELSE 0 END)::bigint AS n FROM fx_annotations JOIN fx_images USING (image_id)) WHERE kind = 'tool' OR len(parents) "
+    "= 2"
+)
 
 
 def _flat(df):
@@ -118,7 +131,9 @@ def _coco(t):
     return L.to_coco(export(t), ontology(t), "p1", F.col("data_row.id").cast("long"))
 
 
-@query("export_to_coco", "SELECT CAST(row_number() OVER (ORDER BY image_id) AS BIGINT) AS image_id, concat('set-', file_name) AS file_name, width, height FROM fx_images WHERE image_id IN (SELECT image_id FROM fx_annotations)")
+@query("export_to_coco",
+    "SELECT CAST(row_number() OVER (ORDER BY image_id) AS BIGINT) AS image_id, concat('set-', file_name) AS file_name, width, height FROM "
+    "fx_images WHERE image_id IN (SELECT image_id FROM fx_annotations)")
 def export_to_coco(t):
     return _coco(t)[0].drop("data_row_id")
 
@@ -126,7 +141,10 @@ def export_to_coco(t):
 _IMAGE = "SELECT image_id, CAST(row_number() OVER (ORDER BY image_id) AS BIGINT) AS number FROM fx_images WHERE image_id IN (SELECT image_id FROM fx_annotations)"
 
 
-@query("export_to_coco_annotations", f"{_NODES}, cats AS ({_CATS}), named AS (SELECT *, row_number() OVER (ORDER BY name, id) AS new_id FROM cats) SELECT number AS image_id, position, k AS kind, new_id AS category_id, {_BOXED} FROM ({_OBJECTS}) o JOIN ({_IMAGE}) i USING (image_id) JOIN (SELECT id AS cid, new_id FROM named) n ON n.cid = o.category WHERE k <> 'mask'")
+@query("export_to_coco_annotations",
+    f"{_NODES}, cats AS ({_CATS}), named AS (SELECT *, row_number() OVER (ORDER BY name, id) AS new_id FROM cats) SELECT number AS image_id, "
+    f"position, k AS kind, new_id AS category_id, {_BOXED} FROM ({_OBJECTS}) o JOIN ({_IMAGE}) i USING (image_id) JOIN (SELECT id AS cid, "
+    "new_id FROM named) n ON n.cid = o.category WHERE k <> 'mask'")
 def export_annotations(t):
     return _coco(t)[1].drop("data_row_id", "n_points")
 

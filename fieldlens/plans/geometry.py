@@ -14,16 +14,25 @@ def matrix():
     return [F.col(f"p{r}{c}") for r in range(3) for c in range(4)]
 
 
-_POINTS = "SELECT t.obs_ind AS pid, c.*, t.col_px / 32.0::double AS wx, t.row_px / 48.0::double AS wy, (t.obs_ind % 7)::double AS wz FROM fx_tracks t JOIN fx_cameras c ON c.anchor_ind = t.obs_ind // 37"
+_POINTS = (
+    "SELECT t.obs_ind AS pid, c.*, t.col_px / 32.0::double AS wx, t.row_px / 48.0::double AS wy, (t.obs_ind % 7)::double AS wz FROM fx_tracks "
+    "t JOIN fx_cameras c ON c.anchor_ind = t.obs_ind // 37"
+)
 
 
 def points(t):
     """Track points as world points, each with one of the cameras."""
     on = t.tracks.withColumn("camera", F.floor(F.col("obs_ind") / 37)).join(small(t.cameras), F.col("anchor_ind") == F.col("camera"))
-    return on.select(F.col("obs_ind").alias("pid"), *t.cameras.columns, (F.col("col_px") / 32.0).alias("wx"), (F.col("row_px") / 48.0).alias("wy"), (F.col("obs_ind") % 7).cast("double").alias("wz"))
+    return on.select(
+        F.col("obs_ind").alias("pid"), *t.cameras.columns, (F.col("col_px") / 32.0).alias("wx"), (F.col("row_px") / 48.0).alias("wy"),
+        (F.col("obs_ind") % 7).cast("double").alias("wz"),
+    )
 
 
-_UV = "(p00 * wx + p01 * wy + p02 * wz + p03) / nullif(p20 * wx + p21 * wy + p22 * wz + p23, 0) AS u, (p10 * wx + p11 * wy + p12 * wz + p13) / nullif(p20 * wx + p21 * wy + p22 * wz + p23, 0) AS v"
+_UV = (
+    "(p00 * wx + p01 * wy + p02 * wz + p03) / nullif(p20 * wx + p21 * wy + p22 * wz + p23, 0) AS u, (p10 * wx + p11 * wy + p12 * wz + p13) "
+    "/ nullif(p20 * wx + p21 * wy + p22 * wz + p23, 0) AS v"
+)
 
 
 @query("world_to_pixel", f"SELECT pid, round(u, 6) AS u, round(v, 6) AS v FROM (SELECT pid, {_UV} FROM ({_POINTS}))")
@@ -36,7 +45,9 @@ _DEPTH = "p20 * wx + p21 * wy + p22 * wz + p23"
 _BACK = "SELECT pid, u * mu - p03 AS a, v * mu - p13 AS b, mu - p23 AS c, p00, p11, p22, p02, p12 FROM (SELECT *, {} + 12.5 AS mu FROM (SELECT *, {} FROM ({})))".format(_DEPTH, _UV, _POINTS)
 
 
-@query("ray_point", f"SELECT pid, round((a - p02 * c / p22) / p00 + 3.5, 5) + 0.0 AS rx, round((b - p12 * c / p22) / p11 - 2.25, 5) + 0.0 AS ry, round(c / p22 + 0.125, 5) + 0.0 AS rz FROM ({_BACK})")
+@query("ray_point",
+    "SELECT pid, round((a - p02 * c / p22) / p00 + 3.5, 5) + 0.0 AS rx, round((b - p12 * c / p22) / p11 - 2.25, 5) + 0.0 AS ry, round(c "
+    f"/ p22 + 0.125, 5) + 0.0 AS rz FROM ({_BACK})")
 def ray_point(t):
     """A world point to its pixel and, somewhat further off, back along the ray. The SQL solves the triangular matrix of the fixture by substitution."""
     at = points(t)
@@ -64,13 +75,20 @@ def correct(t):
     return on.select("anchor_ind", "step", (F.col("p03") - F.col("m02") * 90.0).alias("c0"), (F.col("p13") - F.col("m12") * 90.0).alias("c1"))
 
 
-@query("rotate_uv", "SELECT obs_ind, m00 * col_px + m01 * row_px AS ru, m10 * col_px + m11 * row_px AS rv FROM fx_tracks t JOIN (SELECT w.*, a.obs_ind + w.step AS frame FROM fx_warps w JOIN fx_anchors a ON a.anchor_ind = w.segment) w ON w.frame = t.obs_ind")
+@query("rotate_uv",
+    "SELECT obs_ind, m00 * col_px + m01 * row_px AS ru, m10 * col_px + m11 * row_px AS rv FROM fx_tracks t JOIN (SELECT w.*, a.obs_ind "
+    "+ w.step AS frame FROM fx_warps w JOIN fx_anchors a ON a.anchor_ind = w.segment) w ON w.frame = t.obs_ind")
 def rotate(t):
     on = segment_of(t.tracks, t.anchors).join(small(t.warps), ["segment", "step"])
-    return on.select("obs_ind", (F.col("m00") * F.col("col_px") + F.col("m01") * F.col("row_px")).alias("ru"), (F.col("m10") * F.col("col_px") + F.col("m11") * F.col("row_px")).alias("rv"))
+    return on.select(
+        "obs_ind", (F.col("m00") * F.col("col_px") + F.col("m01") * F.col("row_px")).alias("ru"),
+        (F.col("m10") * F.col("col_px") + F.col("m11") * F.col("row_px")).alias("rv"),
+    )
 
 
-@query("track_uv", "SELECT track_id, obs_ind, CASE WHEN obs_ind BETWEEN 10 AND 900 THEN col_px END AS u, CASE WHEN obs_ind BETWEEN 10 AND 900 THEN 480 - row_px END AS v FROM fx_tracks")
+@query("track_uv",
+    "SELECT track_id, obs_ind, CASE WHEN obs_ind BETWEEN 10 AND 900 THEN col_px END AS u, CASE WHEN obs_ind BETWEEN 10 AND 900 THEN 480 "
+    "- row_px END AS v FROM fx_tracks")
 def track_uv(t):
     active = F.col("obs_ind").between(10, 900) & ~F.isnan("row_px") & ~F.isnan("col_px")
     return t.tracks.select("track_id", "obs_ind", F.when(active, F.col("col_px")).alias("u"), F.when(active, 480 - F.col("row_px")).alias("v"))
@@ -91,7 +109,10 @@ _CROSS = "list_sum(list_transform(range(1, 6), lambda i: ring[i].x * ring[i % 5
 _SIDE = "list_{}(list_transform(ring, lambda p: p.{}))"
 
 
-@query("polygon_bounds_area", f"SELECT id, {_SIDE.format('min', 'x')} AS px, {_SIDE.format('min', 'y')} AS py, {_SIDE.format('max', 'x')} - {_SIDE.format('min', 'x')} AS pw, {_SIDE.format('max', 'y')} - {_SIDE.format('min', 'y')} AS ph, abs({_CROSS})::double / 2 AS p_area FROM (SELECT id, {_RING} AS ring FROM fx_annotations)")
+@query("polygon_bounds_area",
+    f"SELECT id, {_SIDE.format('min', 'x')} AS px, {_SIDE.format('min', 'y')} AS py, {_SIDE.format('max', 'x')} - {_SIDE.format('min', 'x')} "
+    f"AS pw, {_SIDE.format('max', 'y')} - {_SIDE.format('min', 'y')} AS ph, abs({_CROSS})::double / 2 AS p_area FROM (SELECT id, {_RING} "
+    "AS ring FROM fx_annotations)")
 def polygon(t):
     """Of a ring of five corners about each box."""
     x, y, w, h, i = (F.col(c) for c in ("x", "y", "w", "h", "id"))
@@ -100,13 +121,18 @@ def polygon(t):
     return t.annotations.select("id", *(c.alias(n) for c, n in zip(G.polygon_bounds_area(ring), ("px", "py", "pw", "ph", "p_area"), strict=True)))
 
 
-@query("pseudo_anchor_inds", "SELECT image_id, i, (i * n // m)::bigint AS ind FROM (SELECT image_id, n, CASE WHEN n < 20 THEN n // 2 ELSE 10 END AS m FROM (SELECT image_id, 1 + image_id % 57 AS n FROM fx_images)), range(0, 10) r(i) WHERE i < m")
+@query("pseudo_anchor_inds",
+    "SELECT image_id, i, (i * n // m)::bigint AS ind FROM (SELECT image_id, n, CASE WHEN n < 20 THEN n // 2 ELSE 10 END AS m FROM (SELECT "
+    "image_id, 1 + image_id % 57 AS n FROM fx_images)), range(0, 10) r(i) WHERE i < m")
 def pseudo_anchors(t):
     n = 1 + F.col("image_id") % 57
     return t.images.select("image_id", F.posexplode(G.spaced(n, F.lit(10))).alias("i", "ind")).withColumn("i", F.col("i").cast("long"))
 
 
-@query("compose_warp", "SELECT a.segment, a.step, a.m00 * b.m00 + a.m01 * b.m10 AS c00, a.m00 * b.m01 + a.m01 * b.m11 AS c01, a.m00 * b.m02 + a.m01 * b.m12 + a.m02 AS c02, a.m10 * b.m00 + a.m11 * b.m10 AS c10, a.m10 * b.m01 + a.m11 * b.m11 AS c11, a.m10 * b.m02 + a.m11 * b.m12 + a.m12 AS c12 FROM fx_warps a JOIN fx_warps b ON a.segment = b.segment AND b.step = a.step + 1")
+@query("compose_warp",
+    "SELECT a.segment, a.step, a.m00 * b.m00 + a.m01 * b.m10 AS c00, a.m00 * b.m01 + a.m01 * b.m11 AS c01, a.m00 * b.m02 + a.m01 * b.m12 "
+    "+ a.m02 AS c02, a.m10 * b.m00 + a.m11 * b.m10 AS c10, a.m10 * b.m01 + a.m11 * b.m11 AS c11, a.m10 * b.m02 + a.m11 * b.m12 + a.m12 "
+    "AS c12 FROM fx_warps a JOIN fx_warps b ON a.segment = b.segment AND b.step = a.step + 1")
 def compose(t):
     names = ["m00", "m01", "m02", "m10", "m11", "m12"]
     a = t.warps.select("segment", "step", *(F.col(n).alias(f"a{n}") for n in names))

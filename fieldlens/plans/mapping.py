@@ -50,21 +50,33 @@ def fill(t):
     return O.fill_nodata(t.elevation)
 
 
-@query("elevation_lookup", "SELECT p.obs_ind, e.elev FROM (SELECT obs_ind, greatest(0, least(col_px::bigint // 20 - 2, (SELECT max(xr) FROM fx_elevation))) AS xr, greatest(0, least(row_px::bigint // 4, (SELECT max(yr) FROM fx_elevation))) AS yr FROM fx_tracks) p LEFT JOIN fx_elevation e USING (xr, yr)")
+@query("elevation_lookup",
+    "SELECT p.obs_ind, e.elev FROM (SELECT obs_ind, greatest(0, least(col_px::bigint // 20 - 2, (SELECT max(xr) FROM fx_elevation))) AS "
+    "xr, greatest(0, least(row_px::bigint // 4, (SELECT max(yr) FROM fx_elevation))) AS yr FROM fx_tracks) p LEFT JOIN fx_elevation e USING "
+    "(xr, yr)")
 def elevation(t):
     points = t.tracks.select("obs_ind", (F.floor(F.col("col_px") / 20) - 2).alias("xr"), F.floor(F.col("row_px") / 4).alias("yr"))
     return O.elevation_at(points, t.elevation).select("obs_ind", "elev")
 
 
-_GRID = "SELECT x.k AS xr, y.k AS yr, (x.k + 0.5) * s.w / 31 - 0.5 AS sx, (y.k + 0.5) * s.h / 45 - 0.5 AS sy, s.* FROM range(0, 31) x(k), range(0, 45) y(k), (SELECT (max(xr) + 1)::double AS w, (max(yr) + 1)::double AS h FROM fx_elevation) s"
+_GRID = (
+    "SELECT x.k AS xr, y.k AS yr, (x.k + 0.5) * s.w / 31 - 0.5 AS sx, (y.k + 0.5) * s.h / 45 - 0.5 AS sy, s.* FROM range(0, 31) x(k), range(0, "
+    "45) y(k), (SELECT (max(xr) + 1)::double AS w, (max(yr) + 1)::double AS h FROM fx_elevation) s"
+)
 
 
-@query("raster_resample", f"SELECT xr, yr, round(sum(wt * e.elev), 5) AS elev FROM (SELECT xr, yr, greatest(0, least(floor(sx) + i.k, w - 1)) AS cx, greatest(0, least(floor(sy) + j.k, h - 1)) AS cy, (CASE WHEN i.k = 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) * (CASE WHEN j.k = 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) AS wt FROM ({_GRID}), range(0, 2) i(k), range(0, 2) j(k)) g JOIN (SELECT xr AS cx, yr AS cy, elev FROM fx_elevation) e USING (cx, cy) GROUP BY 1, 2")
+@query("raster_resample",
+    "SELECT xr, yr, round(sum(wt * e.elev), 5) AS elev FROM (SELECT xr, yr, greatest(0, least(floor(sx) + i.k, w - 1)) AS cx, greatest(0, "
+    "least(floor(sy) + j.k, h - 1)) AS cy, (CASE WHEN i.k = 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) * (CASE WHEN j.k = 1 THEN "
+    f"sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) AS wt FROM ({_GRID}), range(0, 2) i(k), range(0, 2) j(k)) g JOIN (SELECT xr AS cx, yr "
+    "AS cy, elev FROM fx_elevation) e USING (cx, cy) GROUP BY 1, 2")
 def resample(t):
     return O.resample(t.elevation, 31, 45).select(F.col("xr").cast("long").alias("xr"), F.col("yr").cast("long").alias("yr"), F.round("elev", 5).alias("elev"))
 
 
-@query("anchor_obs_index", "SELECT anchor_ind, f.obs_ind FROM fx_anchors a JOIN (SELECT event_id AS obs_ind, concat('frame_', event_id, '.jpg') AS name FROM events) f ON f.name = a.image_name QUALIFY f.obs_ind >= max(f.obs_ind) OVER (ORDER BY anchor_ind ROWS UNBOUNDED PRECEDING)")
+@query("anchor_obs_index",
+    "SELECT anchor_ind, f.obs_ind FROM fx_anchors a JOIN (SELECT event_id AS obs_ind, concat('frame_', event_id, '.jpg') AS name FROM events) "
+    "f ON f.name = a.image_name QUALIFY f.obs_ind >= max(f.obs_ind) OVER (ORDER BY anchor_ind ROWS UNBOUNDED PRECEDING)")
 def anchor_index(t):
     """The frame with an anchor's name, not before that of an earlier anchor; names are unique."""
     path = F.concat(F.lit("flight/frame_"), F.col("event_id").cast("string"), F.lit(".jpg"))
@@ -72,7 +84,10 @@ def anchor_index(t):
     return O.anchor_frames(t.anchors.select(F.lit(0).alias("observation_id"), "anchor_ind", "image_name"), frames).drop("observation_id")
 
 
-_NAMED = "SELECT anchor_ind % 4 AS o, anchor_ind, CASE WHEN anchor_ind % 3 = 0 THEN concat('_', (anchor_ind * 13) % 50, '.jp') ELSE concat('frame_', (anchor_ind * 13) % 50, '.jpg') END AS name FROM fx_anchors"
+_NAMED = (
+    "SELECT anchor_ind % 4 AS o, anchor_ind, CASE WHEN anchor_ind % 3 = 0 THEN concat('_', (anchor_ind * 13) % 50, '.jp') ELSE concat('frame_', "
+    "(anchor_ind * 13) % 50, '.jpg') END AS name FROM fx_anchors"
+)
 _PATHS = "SELECT event_id % 4 AS o, event_id AS f, concat('flight/frame_', event_id % 50, '.jpg') AS path FROM events"
 
 
@@ -97,7 +112,11 @@ def anchor_index_repeated(t):
 
 def _truth_sql(used: str) -> str:
     found = "coalesce(a.obs_ind, b.obs_ind, CASE WHEN g.frame = (SELECT max(frame) FROM g) THEN (SELECT most FROM n) END)"
-    return f"WITH f AS (SELECT event_id AS obs_ind FROM events WHERE event_id % 5 <> 3), n AS (SELECT max(obs_ind) AS most FROM f), g AS (SELECT image_id AS frame FROM fx_images WHERE {used}) SELECT g.frame, {found} AS obs_ind FROM g LEFT JOIN f a ON a.obs_ind = g.frame LEFT JOIN f b ON b.obs_ind = g.frame - 2 WHERE {found} IS NOT NULL"
+    return (
+        "WITH f AS (SELECT event_id AS obs_ind FROM events WHERE event_id % 5 <> 3), n AS (SELECT max(obs_ind) AS most FROM f), g AS (SELECT "
+        f"image_id AS frame FROM fx_images WHERE {used}) SELECT g.frame, {found} AS obs_ind FROM g LEFT JOIN f a ON a.obs_ind = g.frame LEFT "
+        f"JOIN f b ON b.obs_ind = g.frame - 2 WHERE {found} IS NOT NULL"
+    )
 
 
 def _truth_frames(t, for_test: bool):
@@ -131,7 +150,9 @@ def clean_log(t):
     return O.clean_flight_log(log, t.cameras.filter(F.col("anchor_ind") % 3 != 0)).drop("frame_name")
 
 
-@query("frames_per_flight", "SELECT flight, n, coalesce(sum(n) OVER (ORDER BY flight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS before FROM (SELECT video_id AS flight, count(*) AS n FROM fx_images GROUP BY 1)")
+@query("frames_per_flight",
+    "SELECT flight, n, coalesce(sum(n) OVER (ORDER BY flight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS before FROM "
+    "(SELECT video_id AS flight, count(*) AS n FROM fx_images GROUP BY 1)")
 def per_flight(t):
     return O.frames_per_flight(t.images, "video_id")
 
@@ -141,7 +162,9 @@ def mean_mu(t):
     return O.mean_mu(t.tracks, F.col("obs_ind") % 1000, F.when(F.col("value") > 300, F.col("value"))).withColumn("mu", F.round("mu", 6))
 
 
-@query("inliers_per_segment", "SELECT segment, min(n_inliers) AS least, round(avg(n_inliers), 6) AS mean, count_if(n_inliers < 100)::bigint AS low, count_if(n_inliers < 100) > 10 AS over_limit FROM fx_warps GROUP BY 1")
+@query("inliers_per_segment",
+    "SELECT segment, min(n_inliers) AS least, round(avg(n_inliers), 6) AS mean, count_if(n_inliers < 100)::bigint AS low, count_if(n_inliers "
+    "< 100) > 10 AS over_limit FROM fx_warps GROUP BY 1")
 def inliers(t):
     return O.inliers_per_segment(t.warps, 100, 10).withColumn("mean", F.round("mean", 6))
 
@@ -151,7 +174,12 @@ def low_inliers(t):
     return t.inliers.filter("n_inliers < 100").select("video_id", "frame")
 
 
-_SEL = "SELECT video_id, frame, low_no, CASE WHEN rn = 1 THEN 'anchor' WHEN n_inliers < 100 AND low_no % 11 = 0 THEN 'promotes_previous' WHEN n_inliers < 100 THEN 'pseudo' ELSE 'plain' END AS kind FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame) AS rn, (sum(CASE WHEN n_inliers < 100 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY frame ROWS UNBOUNDED PRECEDING))::bigint AS low_no FROM fx_inliers)"
+_SEL = (
+    "SELECT video_id, frame, low_no, CASE WHEN rn = 1 THEN 'anchor' WHEN n_inliers < 100 AND low_no % 11 = 0 THEN 'promotes_previous' WHEN "
+    "n_inliers < 100 THEN 'pseudo' ELSE 'plain' END AS kind FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame) AS "
+    "rn, (sum(CASE WHEN n_inliers < 100 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY frame ROWS UNBOUNDED PRECEDING))::bigint "
+    "AS low_no FROM fx_inliers)"
+)
 
 
 @query("anchor_selection", _SEL)
@@ -159,7 +187,9 @@ def selection(t):
     return O.anchor_selection(t.inliers, 100, 10).select("video_id", "frame", "low_no", "kind")
 
 
-@query("anchor_list", f"WITH s AS ({_SEL}) SELECT video_id, frame FROM s WHERE kind = 'anchor' UNION ALL SELECT video_id, frame - 1 FROM s WHERE kind = 'promotes_previous' UNION ALL SELECT video_id, max(frame) + 1 FROM s GROUP BY 1")
+@query("anchor_list",
+    f"WITH s AS ({_SEL}) SELECT video_id, frame FROM s WHERE kind = 'anchor' UNION ALL SELECT video_id, frame - 1 FROM s WHERE kind = 'promotes_previous' "
+    "UNION ALL SELECT video_id, max(frame) + 1 FROM s GROUP BY 1")
 def anchor_list(t):
     return O.anchor_list(O.anchor_selection(t.inliers, 100, 10))
 
@@ -169,7 +199,12 @@ def usage(t):
     return O.pseudo_usage(O.anchor_selection(t.inliers, 100, 10), 10)
 
 
-@query("warp_chain", "WITH RECURSIVE c AS (SELECT segment, step, m00, m01, m02, m10, m11, m12 FROM fx_warps WHERE step = (SELECT min(step) FROM fx_warps) UNION ALL SELECT w.segment, w.step, c.m00 * w.m00 + c.m01 * w.m10, c.m00 * w.m01 + c.m01 * w.m11, c.m00 * w.m02 + c.m01 * w.m12 + c.m02, c.m10 * w.m00 + c.m11 * w.m10, c.m10 * w.m01 + c.m11 * w.m11, c.m10 * w.m02 + c.m11 * w.m12 + c.m12 FROM c JOIN fx_warps w ON w.segment = c.segment AND w.step = c.step + 1) SELECT segment, step, m00 AS c00, m01 AS c01, m02 AS c02, m10 AS c10, m11 AS c11, m12 AS c12 FROM c")
+@query("warp_chain",
+    "WITH RECURSIVE c AS (SELECT segment, step, m00, m01, m02, m10, m11, m12 FROM fx_warps WHERE step = (SELECT min(step) FROM fx_warps) "
+    "UNION ALL SELECT w.segment, w.step, c.m00 * w.m00 + c.m01 * w.m10, c.m00 * w.m01 + c.m01 * w.m11, c.m00 * w.m02 + c.m01 * w.m12 + "
+    "c.m02, c.m10 * w.m00 + c.m11 * w.m10, c.m10 * w.m01 + c.m11 * w.m11, c.m10 * w.m02 + c.m11 * w.m12 + c.m12 FROM c JOIN fx_warps w "
+    "ON w.segment = c.segment AND w.step = c.step + 1) SELECT segment, step, m00 AS c00, m01 AS c01, m02 AS c02, m10 AS c10, m11 AS c11, "
+    "m12 AS c12 FROM c")
 def chain(t):
     return O.warp_chain(t.warps)
 
@@ -187,26 +222,41 @@ def _rays(t):
 
 
 _P = [f"p{r}{c}" for r in range(3) for c in range(3)]
-_COFACTORS = ("p11*p22-p12*p21", "p02*p21-p01*p22", "p01*p12-p02*p11", "p12*p20-p10*p22", "p00*p22-p02*p20", "p02*p10-p00*p12", "p10*p21-p11*p20", "p01*p20-p00*p21", "p00*p11-p01*p10")
+_COFACTORS = (
+    "p11*p22-p12*p21", "p02*p21-p01*p22", "p01*p12-p02*p11", "p12*p20-p10*p22", "p00*p22-p02*p20", "p02*p10-p00*p12", "p10*p21-p11*p20",
+    "p01*p20-p00*p21", "p00*p11-p01*p10",
+)
 _DET = "p00*(p11*p22-p12*p21) - p01*(p10*p22-p12*p20) + p02*(p10*p21-p11*p20)"
 _INVERSE = ", ".join(f"({c}) / ({_DET}) AS i{k // 3}{k % 3}" for k, c in enumerate(_COFACTORS))
-_CELLS = "filled AS (SELECT xr, yr, CASE WHEN elev = -10000 THEN (SELECT min(elev) FROM fx_elevation WHERE elev <> -10000) ELSE elev END AS elev FROM fx_elevation), ends AS (SELECT max(xr) AS mx, max(yr) AS my, min(elev) AS least FROM filled)"
+_CELLS = (
+    "filled AS (SELECT xr, yr, CASE WHEN elev = -10000 THEN (SELECT min(elev) FROM fx_elevation WHERE elev <> -10000) ELSE elev END AS "
+    "elev FROM fx_elevation), ends AS (SELECT max(xr) AS mx, max(yr) AS my, min(elev) AS least FROM filled)"
+)
 
 
 def _ray_sql(points: str, camera: str) -> str:
     """Rays of points (key columns, row_px, col_px, m00 .. m12, mu0) by the camera of an expression."""
     turned = "m00*col_px + m01*(480 - row_px) AS u, m10*col_px + m11*(480 - row_px) AS v"
-    return f"SELECT p.*, {turned}, {_INVERSE}, p03 - m02*mu0 AS q0, p13 - m12*mu0 AS q1, p23 AS q2 FROM ({points}) p JOIN (SELECT * EXCLUDE (image_name) FROM fx_cameras) c ON c.anchor_ind = {camera}"
+    return (
+        f"SELECT p.*, {turned}, {_INVERSE}, p03 - m02*mu0 AS q0, p13 - m12*mu0 AS q1, p23 AS q2 FROM ({points}) p JOIN (SELECT * EXCLUDE (image_name) "
+        f"FROM fx_cameras) c ON c.anchor_ind = {camera}"
+    )
 
 
 def _search_sql(name: str, rays: str, key: str) -> str:
     """CTEs that end in {name}, the rays' last looks: key, mu, gx, gy, found, elev. A row of {name}_s is a look."""
     x, y, z = (f"(i{k}0*(u*mu - q0) + i{k}1*(v*mu - q1) + i{k}2*(mu - q2) + {GEO['offset'][k]}::double)" for k in range(3))
-    at = f"greatest(0, least(trunc(({x} - {GEO['x_origin']}::double) / {GEO['pixel_width']}::double)::bigint, mx)) AS xr, greatest(0, least(trunc(({y} - {GEO['y_origin']}::double) / {GEO['pixel_height']}::double)::bigint, my)) AS yr, {z} AS z"
+    at = (
+        f"greatest(0, least(trunc(({x} - {GEO['x_origin']}::double) / {GEO['pixel_width']}::double)::bigint, mx)) AS xr, greatest(0, least(trunc(({y} "
+        f"- {GEO['y_origin']}::double) / {GEO['pixel_height']}::double)::bigint, my)) AS yr, {z} AS z"
+    )
     look = lambda source: f"SELECT {key}, mu, low, high, n, xr, yr, coalesce(elev, least) AS elev, z + 1.0 - coalesce(elev, least) AS gap FROM (SELECT *, {at} FROM ({source}), ends) LEFT JOIN filled USING (xr, yr)"
     on = " AND ".join(f"r.{k} = s.{k}" for k in key.split(", "))
     first = f"SELECT r.*, mu0 AS mu, 0.0::double AS low, NULL::double AS high, 0 AS n FROM {name}_r r"
-    moved = "CASE WHEN gap > 0 AND s.high IS NULL THEN s.mu * 2 WHEN gap > 0 THEN (s.mu + s.high) / 2 ELSE (s.low + s.mu) / 2 END AS mu, CASE WHEN gap > 0 THEN s.mu ELSE s.low END AS low, CASE WHEN gap > 0 THEN s.high ELSE s.mu END AS high, s.n + 1 AS n"
+    moved = (
+        "CASE WHEN gap > 0 AND s.high IS NULL THEN s.mu * 2 WHEN gap > 0 THEN (s.mu + s.high) / 2 ELSE (s.low + s.mu) / 2 END AS mu, CASE WHEN "
+        "gap > 0 THEN s.mu ELSE s.low END AS low, CASE WHEN gap > 0 THEN s.high ELSE s.mu END AS high, s.n + 1 AS n"
+    )
     then = f"SELECT r.*, {moved} FROM {name}_s s JOIN {name}_r r ON {on} WHERE s.n <= 50 AND abs(gap) > 0.1"
     place = f"xr * {GEO['pixel_width']}::double + {GEO['x_origin']}::double AS gx, yr * {GEO['pixel_height']}::double + {GEO['y_origin']}::double AS gy"
     last = f"SELECT {key}, mu, {place}, n <= 50 AND abs(gap) <= 0.1 AS found, elev FROM {name}_s QUALIFY n = max(n) OVER (PARTITION BY {key})"
@@ -240,10 +290,16 @@ def position(t):
     return got.filter("found").select("obs_ind", "track_id", F.round("gx", 4).alias("x"), F.round("gy", 4).alias("y"))
 
 
-_ENDS = "SELECT segment, arg_max(m00, step) AS m00, arg_max(m01, step) AS m01, arg_max(m02, step) AS m02, arg_max(m10, step) AS m10, arg_max(m11, step) AS m11, arg_max(m12, step) AS m12 FROM fx_warps GROUP BY 1"
+_ENDS = (
+    "SELECT segment, arg_max(m00, step) AS m00, arg_max(m01, step) AS m01, arg_max(m02, step) AS m02, arg_max(m10, step) AS m10, arg_max(m11, "
+    "step) AS m11, arg_max(m12, step) AS m12 FROM fx_warps GROUP BY 1"
+)
 _JUMP = "SELECT t.track_id, t.row_px, t.col_px, a.anchor_ind - 1 AS segment FROM fx_tracks t JOIN fx_anchors a USING (obs_ind) WHERE a.anchor_ind > 0"
 _OLD = f"SELECT j.*, e.* EXCLUDE (segment) FROM ({_JUMP}) j JOIN ({_ENDS}) e USING (segment)"
-_AHEAD = f"SELECT j.*, {', '.join(f'coalesce(w.{n}, {v}::double) AS {n}' for n, v in O.IDENTITY.items())} FROM ({_JUMP}) j LEFT JOIN fx_warps w ON w.segment = j.segment + 1 AND w.step = 0"
+_AHEAD = (
+    f"SELECT j.*, {', '.join(f'coalesce(w.{n}, {v}::double) AS {n}' for n, v in O.IDENTITY.items())} FROM ({_JUMP}) j LEFT JOIN fx_warps "
+    "w ON w.segment = j.segment + 1 AND w.step = 0"
+)
 _SEEDED = "SELECT p.*, d.mu0 FROM ({}) p JOIN (SELECT segment, avg(mu) AS mu0 FROM {} GROUP BY 1) d USING (segment)"
 _JUMPS = ", ".join(
     [
@@ -270,7 +326,9 @@ def step_bias(t):
     return O.step_biases(_errors(t), t.warps).select("segment", "track_id", *((F.round(c, 6) + 0.0).alias(c) for c in ("bx", "by")))
 
 
-@query("tracks_to_utm", f'{_GROUND}, {_JUMPS} SELECT track_id, obs_ind, found, round(gx + coalesce(bx, 0) * step, 4) AS x, round(gy + coalesce("by", 0) * step, 4) AS y FROM g LEFT JOIN biases USING (segment, track_id)')
+@query("tracks_to_utm",
+    f'{_GROUND}, {_JUMPS} SELECT track_id, obs_ind, found, round(gx + coalesce(bx, 0) * step, 4) AS x, round(gy + coalesce("by", 0) * step, '
+    '4) AS y FROM g LEFT JOIN biases USING (segment, track_id)')
 def tracks_to_utm(t):
     """Every track point on the map, with its steps' share of the jump to the next anchor."""
     got = O.with_bias(O.ground_points(_rays(t), raster(t)), O.step_biases(_errors(t), t.warps))

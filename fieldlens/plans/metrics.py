@@ -9,7 +9,9 @@ from fieldlens.operators import metrics as M
 from fieldlens.plans.registry import query
 
 
-@query("rolling_meter", "SELECT meter, step, round(avg(value) OVER w, 6) AS mean, max(value) OVER w AS most, value AS last, quantile_disc(value, 0.5) OVER w AS middle FROM fx_metric_log WINDOW w AS (PARTITION BY meter ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
+@query("rolling_meter",
+    "SELECT meter, step, round(avg(value) OVER w, 6) AS mean, max(value) OVER w AS most, value AS last, quantile_disc(value, 0.5) OVER "
+    "w AS middle FROM fx_metric_log WINDOW w AS (PARTITION BY meter ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
 def rolling(t):
     return M.rolling(t.metric_log).withColumn("mean", F.round("mean", 6))
 
@@ -27,7 +29,9 @@ def rank_mean(t):
 _BATCHES = "SELECT event_type AS meter, event_id // 300 AS epoch, row_number() OVER (PARTITION BY event_type, event_id // 300 ORDER BY event_id) - 1 AS batch, value FROM events"
 
 
-@query("block_loss", f"SELECT meter, epoch, batch // 10 AS block, epoch * any_value(n) + max(batch) AS step, round(avg(value), 6) AS loss FROM (SELECT *, count(*) OVER (PARTITION BY meter, epoch) AS n FROM ({_BATCHES})) GROUP BY 1, 2, 3 HAVING count(*) = 10")
+@query("block_loss",
+    "SELECT meter, epoch, batch // 10 AS block, epoch * any_value(n) + max(batch) AS step, round(avg(value), 6) AS loss FROM (SELECT *, "
+    f"count(*) OVER (PARTITION BY meter, epoch) AS n FROM ({_BATCHES})) GROUP BY 1, 2, 3 HAVING count(*) = 10")
 def block(t):
     log = t.metric_log.withColumn("epoch", F.floor(F.col("step") / 300))
     batch = F.row_number().over(Window.partitionBy("meter", "epoch").orderBy("step")) - 1

@@ -24,7 +24,9 @@ def time_as_int(t):
     return t.events.select("event_id", N.time_number(F.col("ts")).alias("ts_int"))
 
 
-@query("export_file_name", "SELECT image_id, CASE WHEN contains(n, '.JPG') THEN n ELSE n || '.JPG' END AS name FROM (SELECT image_id, concat('set-', CASE WHEN image_id % 2 = 0 THEN lower(file_name) ELSE file_name END) AS n FROM fx_images)")
+@query("export_file_name",
+    "SELECT image_id, CASE WHEN contains(n, '.JPG') THEN n ELSE n || '.JPG' END AS name FROM (SELECT image_id, concat('set-', CASE WHEN "
+    "image_id % 2 = 0 THEN lower(file_name) ELSE file_name END) AS n FROM fx_images)")
 def export_file(t):
     external = F.when(F.col("image_id") % 2 == 0, F.lower("file_name")).otherwise(F.col("file_name"))
     return t.images.select("image_id", N.export_file(F.lit("set"), external).alias("name"))
@@ -45,7 +47,10 @@ def crop_build(t):
     return t.images.select("image_id", _crop_name().alias("name"))
 
 
-@query("crop_name_parse", f"SELECT image_id, regexp_extract(n, '^(.*)_frame_[0-9]+', 1) AS video, regexp_extract(n, '_frame_([0-9]+)', 1)::bigint AS frame, regexp_extract(n, '_top_([0-9]+)', 1)::bigint AS top, regexp_extract(n, '_left_([0-9]+)', 1)::bigint AS left_px, regexp_extract(n, '_([fab])\\.jpg$', 1) AS part FROM (SELECT image_id, {_CROP} AS n FROM fx_images)")
+@query("crop_name_parse",
+    "SELECT image_id, regexp_extract(n, '^(.*)_frame_[0-9]+', 1) AS video, regexp_extract(n, '_frame_([0-9]+)', 1)::bigint AS frame, regexp_extract(n, "
+    "'_top_([0-9]+)', 1)::bigint AS top, regexp_extract(n, '_left_([0-9]+)', 1)::bigint AS left_px, regexp_extract(n, '_([fab])\\.jpg$', "
+    f"1) AS part FROM (SELECT image_id, {_CROP} AS n FROM fx_images)")
 def crop_parse(t):
     named = t.images.select("image_id", _crop_name().alias("n"))
     return named.select("image_id", *(N.crop_field(F.col("n"), f).alias("left_px" if f == "left" else f) for f in ("video", "frame", "top", "left", "part")))
@@ -61,6 +66,8 @@ def frame(t):
     return t.images.select("image_id", N.frame_number(F.col("file_name")).alias("frame"), F.lpad((N.frame_number(F.col("file_name")) - 2).cast("string"), 9, "0").alias("padded"))
 
 
-@query("short_class_name", "SELECT a.id, CASE WHEN length(name) > 13 THEN substr(name, 1, 11) || '..' ELSE name END AS short FROM fx_annotations a JOIN fx_categories USING (category_id)")
+@query("short_class_name",
+    "SELECT a.id, CASE WHEN length(name) > 13 THEN substr(name, 1, 11) || '..' ELSE name END AS short FROM fx_annotations a JOIN fx_categories "
+    "USING (category_id)")
 def short(t):
     return t.annotations.join(F.broadcast(t.categories), "category_id").select("id", N.short_class(F.col("name")).alias("short"))

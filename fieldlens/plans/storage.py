@@ -23,7 +23,9 @@ def _documents(t):
     return S.read_coco(t.spark, path)
 
 
-@query("coco_scan", "SELECT id, image_id, category_id, x::double AS x, y::double AS y, w::double AS w, h::double AS h, area, iscrowd FROM fx_annotations JOIN fx_images USING (image_id)")
+@query("coco_scan",
+    "SELECT id, image_id, category_id, x::double AS x, y::double AS y, w::double AS w, h::double AS h, area, iscrowd FROM fx_annotations "
+    "JOIN fx_images USING (image_id)")
 def coco_scan(t):
     return _documents(t)[1].select("id", "image_id", "category_id", *"xywh", "area", "iscrowd")
 
@@ -33,7 +35,9 @@ def coco_write(t):
     return _documents(t)[0].select(F.col("id").alias("image_id"), "file_name", "width", "height")
 
 
-@query("coco_lines", "SELECT a.id, image_id, file_name, c.name, x::double AS x, h::double AS h FROM fx_annotations a JOIN fx_images USING (image_id) JOIN fx_categories c USING (category_id)")
+@query("coco_lines",
+    "SELECT a.id, image_id, file_name, c.name, x::double AS x, h::double AS h FROM fx_annotations a JOIN fx_images USING (image_id) JOIN "
+    "fx_categories c USING (category_id)")
 def coco_lines(t):
     """The sink for large datasets, read back and joined."""
     path = shared_dir(t.spark, "coco-lines")
@@ -72,7 +76,9 @@ def offset(t):
     return S.read_offset(t.spark, path)
 
 
-@query("camera_location_scan", "SELECT image_id, image_id / 1000.0::double AS latitude, image_id / -500.0::double AS longitude, (row_number() OVER (ORDER BY regexp_extract(file_name, 'flight_([0-9]+)', 1)::int, image_id))::bigint AS place FROM fx_images")
+@query("camera_location_scan",
+    "SELECT image_id, image_id / 1000.0::double AS latitude, image_id / -500.0::double AS longitude, (row_number() OVER (ORDER BY regexp_extract(file_name, "
+    "'flight_([0-9]+)', 1)::int, image_id))::bigint AS place FROM fx_images")
 def locations(t):
     """In the order of flights and frames."""
     path = shared_dir(t.spark, "locations")
@@ -169,7 +175,10 @@ def pending(t):
 _NAMES = "SELECT concat('v', image_id // 3, '_', ['f', 'a', 'b'][image_id % 3 + 1], '.jpg') AS name FROM fx_images WHERE image_id % 7 <> 1"
 
 
-@query("overlay_manifest", f"WITH n AS ({_NAMES}), f AS (SELECT name, regexp_replace(name, '_f\\.jpg.*', '') AS stem FROM n WHERE name LIKE '%\\_f.jpg' ESCAPE '\\') SELECT f.name, a.name AS after_name, b.name AS before_name, a.name IS NULL OR b.name IS NULL AS incomplete FROM f LEFT JOIN n a ON a.name = f.stem || '_a.jpg' LEFT JOIN n b ON b.name = f.stem || '_b.jpg'")
+@query("overlay_manifest",
+    f"WITH n AS ({_NAMES}), f AS (SELECT name, regexp_replace(name, '_f\\.jpg.*', '') AS stem FROM n WHERE name LIKE '%\\_f.jpg' ESCAPE "
+    "'\\') SELECT f.name, a.name AS after_name, b.name AS before_name, a.name IS NULL OR b.name IS NULL AS incomplete FROM f LEFT JOIN "
+    "n a ON a.name = f.stem || '_a.jpg' LEFT JOIN n b ON b.name = f.stem || '_b.jpg'")
 def overlay(t):
     c = F.col("image_id")
     part = F.when(c % 3 == 0, "f").when(c % 3 == 1, "a").otherwise("b")
@@ -182,7 +191,9 @@ def upload(t):
     return t.images.select(*S.upload_rows(F.concat(F.lit("frames/"), F.col("video_id").cast("string"), F.lit("/"), F.col("file_name"))))
 
 
-_CORNERS = ", ".join(f'greatest(0, trunc({c}))::bigint AS "{n}"' for n, c in (("left", "x - 3.5::double"), ("top", "y + 0.75::double"), ("right", "x - 3.5::double + w"), ("bottom", "y + 0.75::double + h")))
+_CORNERS = ", ".join(f'greatest(0, trunc({c}))::bigint AS "{n}"' for n, c in (
+    ("left", "x - 3.5::double"), ("top", "y + 0.75::double"), ("right", "x - 3.5::double + w"), ("bottom", "y + 0.75::double + h"),
+))
 
 
 @query("prediction_export", f"SELECT det_id, name, round(score, 6) AS score, {_CORNERS} FROM fx_detections JOIN fx_categories USING (category_id) WHERE score >= 0.6")
@@ -207,10 +218,14 @@ _PROJECT = "SELECT s_nationkey % 6 AS observation_id, min(s_acctbal)::double AS
 _SHAPE = "SELECT (xr + yr) % 4 AS observation_id, max(xr) + 1 AS width, max(yr) + 1 AS height, count(*) AS n_cells, min(elev) AS least FROM fx_elevation GROUP BY 1"
 
 
-@query("map_bundle", f"SELECT c.anchor_ind, c.anchor_ind % 8 AS observation_id, c.p03, o.ox, o.oy, o.oz, s.width, s.height, s.n_cells, s.least FROM fx_cameras c LEFT JOIN ({_PROJECT}) o ON o.observation_id = c.anchor_ind % 8 LEFT JOIN ({_SHAPE}) s ON s.observation_id = c.anchor_ind % 8")
+@query("map_bundle",
+    "SELECT c.anchor_ind, c.anchor_ind % 8 AS observation_id, c.p03, o.ox, o.oy, o.oz, s.width, s.height, s.n_cells, s.least FROM fx_cameras "
+    f"c LEFT JOIN ({_PROJECT}) o ON o.observation_id = c.anchor_ind % 8 LEFT JOIN ({_SHAPE}) s ON s.observation_id = c.anchor_ind % 8")
 def bundle(t):
     """Cameras of eight projects, not all of which have an offset or a raster."""
-    offsets = t.supplier.groupBy((F.col("s_nationkey") % 6).alias("observation_id")).agg(F.min("s_acctbal").cast("double").alias("ox"), F.max("s_acctbal").cast("double").alias("oy"), F.count("*").cast("double").alias("oz"))
+    offsets = t.supplier.groupBy((F.col("s_nationkey") % 6).alias("observation_id")).agg(
+        F.min("s_acctbal").cast("double").alias("ox"), F.max("s_acctbal").cast("double").alias("oy"), F.count("*").cast("double").alias("oz"),
+    )
     raster = t.elevation.withColumn("observation_id", (F.col("xr") + F.col("yr")) % 4)
     got = O.map_bundle(t.cameras.withColumn("observation_id", F.col("anchor_ind") % 8), offsets, raster)
     return got.select("anchor_ind", "observation_id", "p03", "ox", "oy", "oz", "width", "height", "n_cells", "least")

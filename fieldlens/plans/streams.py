@@ -25,7 +25,10 @@ def _start(df):
     return df.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-_RATE = "SELECT s AS start, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL '10 minutes', ts) AS s, event_type FROM events) GROUP BY s, event_type HAVING s + INTERVAL '10 minutes' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)"
+_RATE = (
+    "SELECT s AS start, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL '10 minutes', ts) AS s, event_type FROM events) GROUP "
+    "BY s, event_type HAVING s + INTERVAL '10 minutes' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)"
+)
 
 
 @query("stream_frame_rate", _RATE)
@@ -33,12 +36,19 @@ def rate(t):
     return _start(X.drained(X.frame_rate(X.source(t.spark, _timed(t), "rate", order="ts"), "event_type"), "rate"))
 
 
-@query("stream_frame_rate_sliding", "SELECT s AS start, event_type, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL '5 minutes', ts), time_bucket(INTERVAL '5 minutes', ts) - INTERVAL '5 minutes']) AS s, event_type FROM events) GROUP BY ALL HAVING s + INTERVAL '10 minutes' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)")
+@query("stream_frame_rate_sliding",
+    "SELECT s AS start, event_type, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL '5 minutes', ts), time_bucket(INTERVAL '5 minutes', "
+    "ts) - INTERVAL '5 minutes']) AS s, event_type FROM events) GROUP BY ALL HAVING s + INTERVAL '10 minutes' <= (SELECT max(ts) - INTERVAL "
+    "'10 minutes' FROM events)")
 def sliding(t):
     return _start(X.drained(X.frame_rate(X.source(t.spark, _timed(t), "sliding", order="ts"), "event_type", slide="5 minutes"), "sliding"))
 
 
-@query("stream_gap_sessions", "WITH e AS (SELECT user_id AS track_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events), s AS (SELECT track_id, ts, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL '2 hours' THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT track_id, min(ts) AS start, count(*) AS n FROM s GROUP BY track_id, k HAVING max(ts) + INTERVAL '2 hours' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)")
+@query("stream_gap_sessions",
+    "WITH e AS (SELECT user_id AS track_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events), s AS (SELECT track_id, "
+    "ts, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL '2 hours' THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY ts ROWS "
+    "UNBOUNDED PRECEDING) AS k FROM e) SELECT track_id, min(ts) AS start, count(*) AS n FROM s GROUP BY track_id, k HAVING max(ts) + INTERVAL "
+    "'2 hours' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)")
 def sessions(t):
     rows = _timed(t).select(F.col("user_id").alias("track_id"), "ts")
     return _start(X.drained(X.gap_sessions(X.source(t.spark, rows, "sessions", order="ts"), "2 hours"), "sessions"))

@@ -10,12 +10,18 @@ from fieldlens.plans.registry import query
 _W = "WINDOW w AS (PARTITION BY track_id ORDER BY obs_ind ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
 
 
-@query("track_velocity", f"SELECT track_id, obs_ind, round(v_row_px, 6) AS v_row_px, round(v_col_px, 6) AS v_col_px, round(row_px + v_row_px, 6) AS next_row_px FROM (SELECT *, CASE WHEN count(*) OVER w > 1 THEN (row_px - first_value(row_px) OVER w) / (count(*) OVER w - 1) ELSE 0 END AS v_row_px, CASE WHEN count(*) OVER w > 1 THEN (col_px - first_value(col_px) OVER w) / (count(*) OVER w - 1) ELSE 0 END AS v_col_px FROM fx_tracks {_W})")
+@query("track_velocity",
+    "SELECT track_id, obs_ind, round(v_row_px, 6) AS v_row_px, round(v_col_px, 6) AS v_col_px, round(row_px + v_row_px, 6) AS next_row_px "
+    "FROM (SELECT *, CASE WHEN count(*) OVER w > 1 THEN (row_px - first_value(row_px) OVER w) / (count(*) OVER w - 1) ELSE 0 END AS v_row_px, "
+    "CASE WHEN count(*) OVER w > 1 THEN (col_px - first_value(col_px) OVER w) / (count(*) OVER w - 1) ELSE 0 END AS v_col_px FROM fx_tracks "
+    f"{_W})")
 def velocity(t):
     return T.velocity(t.tracks, 5, ("row_px", "col_px")).select("track_id", "obs_ind", *(F.round(c, 6).alias(c) for c in ("v_row_px", "v_col_px", "next_row_px")))
 
 
-@query("track_gaps", "SELECT track_id, obs_ind, gap, (sum(CASE WHEN gap > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY obs_ind ROWS UNBOUNDED PRECEDING))::bigint AS session FROM (SELECT *, obs_ind - lag(obs_ind) OVER (PARTITION BY track_id ORDER BY obs_ind) AS gap FROM fx_tracks)")
+@query("track_gaps",
+    "SELECT track_id, obs_ind, gap, (sum(CASE WHEN gap > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY obs_ind ROWS UNBOUNDED "
+    "PRECEDING))::bigint AS session FROM (SELECT *, obs_ind - lag(obs_ind) OVER (PARTITION BY track_id ORDER BY obs_ind) AS gap FROM fx_tracks)")
 def gaps(t):
     return T.gaps(t.tracks, 400).select("track_id", "obs_ind", "gap", "session")
 

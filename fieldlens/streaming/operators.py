@@ -62,7 +62,9 @@ def in_order(stream: DataFrame, columns: list[str], handle: Callable, schema: st
             state.setTimeoutTimestamp(max(int(rows[rows["ts"] > passed]["ts"].min()), passed + 1))
         yield pd.DataFrame([(k[0], *x) for x in out], columns=[c.split()[0] for c in schema.split(", ")])
 
-    return stream.withWatermark("ts", late).select(key, *columns, "ts").groupBy(key).applyInPandasWithState(_without_key(step, key), schema, "kept string", "append", GroupStateTimeout.EventTimeTimeout)
+    return stream.withWatermark("ts", late).select(key, *columns, "ts").groupBy(key).applyInPandasWithState(
+        _without_key(step, key), schema, "kept string", "append", GroupStateTimeout.EventTimeTimeout,
+    )
 
 
 def _without_key(step: Callable, key: str) -> Callable:
@@ -105,7 +107,10 @@ def anchor_monitor(stream: DataFrame, threshold: int, most_pseudo: int, *, late:
     return in_order(stream, ["frame", "n_inliers"], handle, "video_id long, frame long, low_no long, kind string", late=late)
 
 
-def source(spark: SparkSession, rows: DataFrame, name: str, files: int = 1000, *, order: str | None = None, batches: int | None = None, closing: DataFrame | None = None) -> DataFrame:
+def source(
+    spark: SparkSession, rows: DataFrame, name: str, files: int = 1000, *, order: str | None = None, batches: int | None = None,
+    closing: DataFrame | None = None,
+) -> DataFrame:
     """rows, written to the shared folder, as a stream.
 
     With order, a column, batches follow one another in that column and equal values share a batch, so no row comes late;

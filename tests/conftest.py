@@ -13,7 +13,11 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     at = tmp_path_factory.mktemp("spark")
-    conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.checkpoint.dir": f"{at}/shared", "spark.local.dir": f"{at}/local", "spark.sql.warehouse.dir": f"{at}/warehouse", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"}
+    conf = {
+        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.checkpoint.dir": f"{at}/shared",
+        "spark.local.dir": f"{at}/local", "spark.sql.warehouse.dir": f"{at}/warehouse", "spark.driver.memory": "4g",
+        "spark.ui.showConsoleProgress": "false",
+    }
     s = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s

@@ -102,7 +102,10 @@ def test_rolling_in_buckets(spark):
     """Buckets of a long meter give what the whole meter gives, and sparse ones as well."""
     from fieldlens.operators import metrics as M
 
-    log = spark.range(500).select(F.when(F.col("id") % 5 == 0, "few").otherwise("many").alias("meter"), (F.col("id") * F.when(F.col("id") % 5 == 0, 40).otherwise(1)).alias("step"), ((F.col("id") * 37) % 101).cast("double").alias("value"))
+    log = spark.range(500).select(
+        F.when(F.col("id") % 5 == 0, "few").otherwise("many").alias("meter"),
+        (F.col("id") * F.when(F.col("id") % 5 == 0, 40).otherwise(1)).alias("step"), ((F.col("id") * 37) % 101).cast("double").alias("value"),
+    )
     pd.testing.assert_frame_equal(plain(M.rolling(log, 20, bucket=64).toPandas()), plain(M.rolling(log, 20, bucket=1 << 40).toPandas()))
 
 
@@ -140,7 +143,10 @@ def test_carried_depth(spark):
                 for n in range(52):
                     side = r.u * mu - (r.p03 - r.m02 * depth), r.v * mu - (r.p13 - r.m12 * depth), mu - r.p23
                     x, y, z = (sum(r[f"i{k}{c}"] * side[c] for c in range(3)) + P.GEO["offset"][k] for k in range(3))
-                    at = (min(max(int((x - P.GEO["x_origin"]) / P.GEO["pixel_width"]), 0), size[0] - 1), min(max(int((y - P.GEO["y_origin"]) / P.GEO["pixel_height"]), 0), size[1] - 1))
+                    at = (
+                        min(max(int((x - P.GEO["x_origin"]) / P.GEO["pixel_width"]), 0), size[0] - 1),
+                        min(max(int((y - P.GEO["y_origin"]) / P.GEO["pixel_height"]), 0), size[1] - 1),
+                    )
                     gap = z + 1 - grid.get(at, least)
                     if n > 50 or abs(gap) <= 0.1:
                         break
