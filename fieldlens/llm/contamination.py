@@ -1,9 +1,10 @@
-"""Benchmark decontamination with one Aho-Corasick automaton over the items' word windows."""
+"""Benchmark decontamination with one Aho-Corasick automaton over the items' words."""
 
 from __future__ import annotations
 
 import re
 from functools import reduce
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -23,40 +24,68 @@ RESULTS = ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
 
 
 def normal_words(text: str | None) -> list[str]:
-    return (text or "").encode().translate(_PLAIN).decode().split(" ") if text else []
+    return [w for w in text.encode().translate(_PLAIN).decode().split(" ") if w] if text else []
 
 
-def item_windows(text: str | None, width: int) -> set[str]:
-    """The item's windows, each between two spaces; an item of fewer words is one window."""
-    words = [w for w in normal_words(text) if w]
-    return {f" {' '.join(words[i : i + width])} " for i in range(max(1, len(words) - width + 1))} if words else set()
+class Machine(NamedTuple):
+    """An automaton over blocks of the items' words, each between two spaces, and the items' words.
+
+    A block's value is its number of words, and the (item, first word) at which it stands. Blocks don't overlap and are just
+    so long that a window of width words holds a whole one wherever it begins, so the automaton is about as large as the
+    items' text. An item of fewer words than a window is a block itself.
+    """
+
+    blocks: ahocorasick.Automaton
+    items: list[list[str]]
+    width: int
 
 
-def automaton(items: list[tuple], width: int) -> ahocorasick.Automaton:
-    """Accepts each window; its value is (window's words, positions of its items in the list)."""
-    owners: dict[str, set[int]] = {}
-    for i, (_, text) in enumerate(items):
-        for w in item_windows(text, width):
-            owners.setdefault(w, set()).add(i)
+def automaton(items: list[tuple], width: int) -> Machine:
+    size, words = (width + 1) // 2, [normal_words(text) for _, text in items]
+    places: dict[str, list[tuple[int, int]]] = {}
+    for i, own in enumerate(words):
+        step = size if len(own) >= width else max(1, len(own))
+        for k in range(0, len(own) - step + 1, step):
+            places.setdefault(f" {' '.join(own[k : k + step])} ", []).append((i, k))
     found = ahocorasick.Automaton()
-    for w, own in owners.items():
-        found.add_word(w, (w.count(" ") - 1, tuple(own)))
-    if owners:
+    for block, at in places.items():
+        found.add_word(block, (block.count(" ") - 1, at))
+    if places:
         found.make_automaton()
-    return found
+    return Machine(found, words, width)
 
 
-def scan(text: str | None, machine: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], set[int]]:
-    """(words, hit ranges of word positions, positions of the items that occur)."""
-    words = [w for w in normal_words(text) if w]
-    if not words or not len(machine):
+def scan(text: str | None, machine: Machine) -> tuple[int, list[tuple[int, int]], set[int]]:
+    """(words, hit ranges of word positions, positions of the items that occur).
+
+    The text is scanned once. Where a block stands, the item's words on both sides of it are followed as far as they agree;
+    a stretch of a window's length or more is one of windows that occur.
+    """
+    words = normal_words(text)
+    if not words or not len(machine.blocks):
         return len(words), [], set()
-    hits = list(machine.iter(f" {' '.join(words)} "))
+    hits = list(machine.blocks.iter(f" {' '.join(words)} "))
     if not hits:
         return len(words), [], set()
     ends = np.cumsum([len(w) + 1 for w in words])  # where the space after each word stands
-    last = np.searchsorted(ends, [e for e, _ in hits])
-    return len(words), [(int(k) + 1 - n, int(k) + 1) for k, (_, (n, _)) in zip(last, hits, strict=True)], {i for _, (_, own) in hits for i in own}
+    last = np.searchsorted(ends, [e for e, _ in hits]).tolist()
+    reached: dict[tuple[int, int], int] = {}
+    ranges, owners = [], set()
+    for end, (_, (n, at)) in zip(last, hits, strict=True):
+        for i, k in at:
+            item, begin = machine.items[i], end + 1 - n
+            if reached.get((i, begin - k), 0) > end:  # this stretch has been followed from an earlier block
+                continue
+            a, b = begin, end + 1
+            while a > 0 and a > begin - k and words[a - 1] == item[k + a - 1 - begin]:
+                a -= 1
+            while b < len(words) and k + b - begin < len(item) and words[b] == item[k + b - begin]:
+                b += 1
+            reached[i, begin - k] = b
+            if b - a >= min(machine.width, len(item)):
+                ranges.append((a, b))
+                owners.add(i)
+    return len(words), ranges, owners
 
 
 def placed(text: str, ranges: list[tuple[int, int]]) -> list[dict]:
@@ -108,8 +137,9 @@ def contamination(
     windows that several items share, all items count. No rows give no rows. A kept column named like a result column gets
     ``_in`` behind its name.
 
-    The benchmark goes to the tasks as one automaton, or beyond block_bytes of text in blocks with one each: then rows are
-    numbered in a written table, each text is scanned once a block, and findings meet by that number.
+    The benchmark goes to the tasks as one automaton; beyond block_bytes of its text, which bounds a task's memory (about 60
+    times as much), it goes in blocks with one each: then rows are numbered in a written table, each text is scanned once a
+    block, and findings meet by that number.
     """
     spark, kind = df.sparkSession, bench.schema[item_col].dataType.simpleString()
     columns = carried([id_col, *keep], RESULTS)

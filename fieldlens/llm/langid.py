@@ -70,7 +70,7 @@ def fit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", bucket
     return langs, table / table.sum(0)
 
 
-def mixture(counts: np.ndarray, likely: np.ndarray, *, price: float = 3.0, rounds: int = 60) -> np.ndarray:
+def mixture(counts: np.ndarray, likely: np.ndarray, *, price: float = 3.0, rounds: int = 200) -> np.ndarray:
     """Proportions of the languages in a document with these counts (of n-grams with these likelihoods by language).
 
     Expectation-maximisation over a set of languages, and a set chosen by likelihood less price * log(n) / 2 for each
@@ -93,7 +93,7 @@ def mixture(counts: np.ndarray, likely: np.ndarray, *, price: float = 3.0, round
             value = float(counts @ np.log(mix))
             slope_in = (counts / mix) @ sub / n
             new = new * slope_in
-            if value - best > cost and np.abs(slope_in - 1).max() < 0.05 or value + n * max(slope_in.max() - 1, 0) - best <= cost:
+            if value - best > cost and np.abs(slope_in - 1).max() < 0.01 or value + n * max(slope_in.max() - 1, 0) - best <= cost:
                 break
         if value - best <= cost:
             break

@@ -286,6 +286,29 @@ def test_op6_blocks_agree(spark):
     assert len(one) == len(many) == len(EDGE) + 3
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 6, 13])
+def test_op6_brute_force(width):
+    """Items and texts of few words, so that blocks repeat, overlap and touch, against all windows."""
+    rng = random.Random(width)
+    for _ in range(400):
+        items = [(k, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 3 * width)))) for k in range(rng.randint(1, 5))]
+        text = [rng.choice("abc") for _ in range(rng.randint(0, 60))]
+        for k in range(rng.randint(0, 3)):
+            own, at = items[rng.randrange(len(items))][1].split(), rng.randint(0, len(text))
+            text[at:at] = own[rng.randint(0, len(own)) :]
+        hit, owners = set(), set()
+        for i, (_, item) in enumerate(items):
+            w = item.split()
+            n = min(width, len(w))
+            grams = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
+            for k in range(len(text) - n + 1):
+                if tuple(text[k : k + n]) in grams:
+                    hit |= set(range(k, k + n))
+                    owners.add(i)
+        n, ranges, found = contamination.scan(" ".join(text), contamination.automaton(items, width))
+        assert (n, {x for a, b in ranges for x in range(a, b)}, found) == (len(text), hit, owners)
+
+
 def test_op7_equals_library(spark, table):
     import public_tokenizers
     from tokenizers import Tokenizer
