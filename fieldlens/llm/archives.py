@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import cut
+from .warcsink import WarcSink
 
 # fixed values: the fields of an ARC record's header line, by version of the file
 ARC_FIELDS = {1: ("url", "ip", "date", "type", "length"), 2: ("url", "ip", "date", "type", "status", "checksum", "location", "offset", "filename", "length")}
@@ -165,7 +166,7 @@ def read_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
 
 
 def convert(df: DataFrame, *, version: int = 2) -> DataFrame:
-    """(record string): WARC records of the rows (key, url, date, payload string, target struct<key, url>).
+    """(record binary): WARC records of the rows (key, url, date, payload string, target struct<key, url>).
 
     Each task writes its rows as ARC files in memory, of 64 rows each, and converts them record by record: a warcinfo of each
     file, and a record for each row. A row without a target, or that is its own, is a response.
@@ -182,14 +183,16 @@ def convert(df: DataFrame, *, version: int = 2) -> DataFrame:
                 for e, key, t in zip(read, ids, targets, strict=True):
                     to = None if t is None or t["key"] is None or str(t["key"]) == key else Target(str(t["key"]), _field(t["url"]))
                     back.append(warc_record(e._replace(location=key), to))  # version 1 has no location
-                yield pa.RecordBatch.from_arrays([pa.array([r.decode() for r in back], pa.string())], names=["record"])
+                yield pa.RecordBatch.from_arrays([pa.array(back, pa.binary())], names=["record"])
 
-    return df.select("key", "url", "date", "payload", "target").mapInArrow(run, "record string")
+    return df.select("key", "url", "date", "payload", "target").mapInArrow(run, "record binary")
 
 
-def write_warc(records: DataFrame, path: str, *, compression: str = "gzip") -> None:
-    """The records as WARC files below path: Spark's text writer, with a WARC record's end as its line end."""
-    records.select("record").write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+def write_warc(records: DataFrame, path: str) -> None:
+    """The records (record binary) as WARC files below path, each record a gzip member of its own."""
+    spark = records.sparkSession
+    spark.dataSource.register(WarcSink)
+    records.select("record").write.format(WarcSink.name()).mode("append").option("path", path).save()
 
 
 _SCANNED = (

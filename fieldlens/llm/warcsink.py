@@ -1,0 +1,78 @@
+"""A Spark data source that writes records to gzip files of a member for each, as web archives are kept."""
+
+from __future__ import annotations
+
+import gzip
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+
+
+def _open(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system that a path is on, and the path there; a path without a scheme is a shared folder's."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[str]
+
+
+class WarcSink(DataSource):
+    """``df.write.format("warc").option("path", ...)``, df having a binary column record.
+
+    Each task writes files of about ``filebytes`` below path/_temporary; when all tasks are through, their files are moved to
+    path. Files of a task that was lost or ran twice stay behind in _temporary, which no reader looks at, and are removed.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc"
+
+    def schema(self) -> str:
+        return "record binary"
+
+    def writer(self, schema, overwrite: bool) -> WarcWriter:
+        return WarcWriter(self.options["path"].rstrip("/"), int(self.options.get("filebytes", 256 << 20)))
+
+
+class WarcWriter(DataSourceArrowWriter):
+    def __init__(self, path: str, file_bytes: int) -> None:
+        self.path, self.file_bytes = path, file_bytes
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        store, top = _open(self.path)
+        store.create_dir(f"{top}/_temporary", recursive=True)
+        files, out, held = [], None, 0
+        for batch in iterator:
+            for record in batch.column(0):
+                if out is None:
+                    files.append(f"{uuid.uuid4().hex}.warc.gz")
+                    out, held = store.open_output_stream(f"{top}/_temporary/{files[-1]}", compression=None), 0
+                member = gzip.compress(record.as_py() + b"\r\n\r\n", 6, mtime=0)
+                out.write(member)
+                held += len(member)
+                if held >= self.file_bytes:
+                    out.close()
+                    out = None
+        if out is not None:
+            out.close()
+        return Written(files)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        store, top = _open(self.path)
+        store.create_dir(top, recursive=True)
+        for m in messages:
+            for name in m.files if m else ():
+                store.move(f"{top}/_temporary/{name}", f"{top}/{name}")
+        if store.get_file_info(f"{top}/_temporary").type != fs.FileType.NotFound:
+            store.delete_dir(f"{top}/_temporary")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        store, top = _open(self.path)
+        if store.get_file_info(f"{top}/_temporary").type != fs.FileType.NotFound:
+            store.delete_dir(f"{top}/_temporary")

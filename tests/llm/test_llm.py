@@ -97,6 +97,19 @@ def test_op2_periodic_words(seed):
     assert {k for k, w in every if count[w] > 1} <= cand
 
 
+def members(data):
+    """The gzip members of a file, each of which has to be one record."""
+    import zlib
+
+    n = 0
+    while data:
+        d = zlib.decompressobj(31)
+        text = d.decompress(data) + d.flush()
+        assert text.startswith(b"WARC/1.0\r\n") and text.endswith(b"\r\n\r\n")
+        n, data = n + 1, d.unused_data
+    return n
+
+
 def test_op3_brute_force(spark):
     """All pages of the table and some unusual ones, with digests and revisits by hashlib and dictionaries."""
     import base64
@@ -124,6 +137,8 @@ def test_op3_brute_force(spark):
         ids = {r.location: r.record_id for r in got}
         assert len(set(ids.values())) == len(rows) and all(r.refers_to_id == ids.get(r.refers_to) for r in got)
         assert archives.scan_warc(spark, at).filter("record_type = 'warcinfo'").count() >= len(rows) / 64
+        files = [r.content for r in spark.read.format("binaryFile").load(f"{at}/*.warc.gz").select("content").collect()]
+        assert sum(members(f) for f in files) == archives.scan_warc(spark, at).count()
 
 
 def test_op3_record_types():
