@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -211,6 +212,20 @@ def _scanned(head: dict, content: bytes) -> tuple:
     return head["warc-type"], head["warc-record-id"], head.get("warc-target-uri"), head["warc-date"], own("warc-source-location"), own("warc-refers-to-source-location"), own("warc-refers-to"), digest, size, content
 
 
+def gzip_members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """What each member of a gzip file holds, one at a time; a member cut short raises ValueError."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            fed = view[at : at + step]
+            if not fed:
+                raise ValueError("a gzip member is cut short")
+            parts.append(member.decompress(fed))
+            at += len(fed) - len(member.unused_data)
+        yield b"".join(parts)
+
+
 def scan_warc(spark, path: str) -> DataFrame:
     """The records of all WARC files below path: type, id, location, what a revisit refers to, digest, length, content.
 
@@ -225,7 +240,8 @@ def scan_warc(spark, path: str) -> DataFrame:
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 rows = []
-                for head, content in read_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                records = chain.from_iterable(map(read_warc, gzip_members(data))) if data[:2] == b"\x1f\x8b" else read_warc(data)
+                for head, content in records:
                     rows.append(_scanned(head, content))
                     if len(rows) == 200:
                         yield table(rows)
