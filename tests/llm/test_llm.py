@@ -244,8 +244,9 @@ def test_op5_unmarked_pages(spark):
     host = {k: f"h{k % 5}" for k in own}
     page = lambda k: "<body>" + "".join(f"<div>{x}</div>" for x in [f"menu {host[k]}", "search", *own[k], f"about {host[k]}", "imprint"]) + "</body>"
     rows = [(k, f"http://{host[k]}/{k:03d}/{'index' if k % 2 else ''}?ref={k}", page(k)) for k in own]
-    for parts in (1, 8, 40):
-        got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts), partitions=parts).collect()}
+    for parts, limit in ((1, 10), (8, 1000), (40, 10)):
+        table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        got = {r.page_id: r.text for r in pages.main_text(table, partitions=parts, broadcast_contents=limit).collect()}
         assert got == {k: "\n".join(v) for k, v in own.items()}
 
 
