@@ -46,8 +46,8 @@ _BACK = "SELECT pid, u * mu - p03 AS a, v * mu - p13 AS b, mu - p23 AS c, p00, p
 
 
 @query("ray_point",
-    "SELECT pid, round((a - p02 * c / p22) / p00 + 3.5137, 5) + 0.0 AS rx, round((b - p12 * c / p22) / p11 - 2.2519, 5) + 0.0 AS ry, round(c "
-    f"/ p22 + 0.1253, 5) + 0.0 AS rz FROM ({_BACK})")
+    "SELECT pid, round((a - p02 * c / p22) / p00 + 3.5137, 3) + 0.0 AS rx, round((b - p12 * c / p22) / p11 - 2.2519, 3) + 0.0 AS ry, round(c "
+    f"/ p22 + 0.1253, 3) + 0.0 AS rz FROM ({_BACK})")
 def ray_point(t):
     """A world point to its pixel and, somewhat further off, back along the ray. The SQL solves the triangular matrix of the fixture by substitution."""
     at = points(t)
@@ -56,7 +56,7 @@ def ray_point(t):
     mu = p[8] * F.col("wx") + p[9] * F.col("wy") + p[10] * F.col("wz") + p[11]
     inv = G.inverse3([p[4 * r + c] for r in range(3) for c in range(3)])
     back = G.ray_point(inv, [p[3], p[7], p[11]], u, v, mu + 12.5, (3.5137, -2.2519, 0.1253))
-    return at.select("pid", *((F.round(b, 5) + 0.0).alias(n) for b, n in zip(back, ("rx", "ry", "rz"), strict=True)))
+    return at.select("pid", *((F.round(b, 3) + 0.0).alias(n) for b, n in zip(back, ("rx", "ry", "rz"), strict=True)))
 
 
 @query("utm_to_raster", "SELECT obs_ind, trunc((col_px - 100.0) / 2.5 * 2.0)::bigint AS xr, trunc((row_px - 50.0) / -2.5 * 2.0)::bigint AS yr FROM fx_tracks")
