@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -15,26 +14,25 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 
 
-def _of_categories(kinds: str) -> str:
-    """A character class's inside: all code points of these general categories, as ranges."""
-    fits = [unicodedata.category(chr(c))[0] in kinds for c in range(sys.maxunicode + 1)]
-    edges = [c for c in range(len(fits)) if fits[c] != (c > 0 and fits[c - 1])]
-    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
-
-
 @lru_cache(maxsize=1)
-def _patterns() -> tuple[re.Pattern, re.Pattern]:
-    """What stands between words, and a letter. Marks belong to the words that they combine in; numbers are no letters."""
-    return re.compile(f"[^{_of_categories('LM')}]+"), re.compile(f"[{_of_categories('L')}]")
+def _letters() -> np.ndarray:
+    """Of every code point: 2 if it is a letter, 1 if it is a mark, which belongs to the word that it combines in, 0 if it is
+    neither. Numbers are no letters."""
+    kinds = {"L": 2, "M": 1}
+    return np.array([kinds.get(unicodedata.category(chr(c))[0], 0) for c in range(sys.maxunicode + 1)], np.uint8)
 
 
 def grams(text: str | None, buckets: int) -> np.ndarray | None:
     """Counts of the hashed trigrams of the lower-case letters, words apart by one space; None without letters."""
-    gaps, letter = _patterns()
-    if not text or not letter.search(text):
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _letters()[points]
+    if not (kind == 2).any():
         return None
-    plain = gaps.sub(" ", text.lower()).strip()
-    x = np.frombuffer(f" {plain} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    inside = kind > 0
+    kept = inside.copy()
+    kept[1:] |= inside[:-1]  # of what is between two words, its first character stays, as a space
+    plain = np.where(inside, points, np.uint32(32))[kept]
+    x = np.concatenate([[32], plain, [32] if inside[-1] else []]).astype(np.uint64)
     h = (x[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (x[2:] * np.uint64(0x165667B19E3779F9))
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
