@@ -115,31 +115,39 @@ def truth_counts(gts: DataFrame, params: EvalParams) -> DataFrame:
     return within.groupBy(F.col("range.name").alias("area"), "category_id").agg(F.count("*").alias("n_truth"))
 
 
-def precision_recall(matches: DataFrame, truths: DataFrame) -> DataFrame:
+def precision_recall(matches: DataFrame, truths: DataFrame, *, rows_a_task: int = 1_000_000) -> DataFrame:
     """(area, iou_thr, category_id, det_id, score, image_id, rk, place, recall, precision, envelope) along falling scores.
 
-    Ties go by image and rank. Rows are dealt out by ranges of that order; running sums and the envelope (the greatest
-    precision from here on) are made inside a range and carried over by the table of ranges, a row for each task and class,
-    so that no class has to be in one task, whatever its scores. matches and the running sums are written once and read by
-    what needs them, so that the matching isn't done again.
+    Ties go by image and rank. A class of up to rows_a_task rows is gone through in one task. Where there are larger ones,
+    rows are dealt out by ranges of the order; running sums and the envelope (the greatest precision from here on) are made
+    inside a range and carried over by the table of ranges, a row for each task and class, whatever the scores. matches is
+    written once and read by what needs it, so that the matching isn't done again.
     """
     order = [F.desc("score"), F.asc("image_id"), F.asc("rk")]
-    counting = cut(matches.filter("not ignored").withColumn("tp", F.col("gid").isNotNull().cast("long")), "matches")
-    live = cut(counting.repartitionByRange(*KEY, *order).withColumn("bin", F.spark_partition_id()), "matches-ranged")
+    live = cut(matches.filter("not ignored").withColumn("tp", F.col("gid").isNotNull().cast("long")), "matches")
+    most = live.groupBy(*KEY).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    results = [*KEY, "det_id", "score", "image_id", "rk", "place", "recall", "precision", "envelope"]
+    so_far = lambda n: {"recall": F.col("tp_n") / F.col("n_truth"), "precision": F.col("tp_n") / (F.col(n) + F.lit(2.220446049250313e-16)), "place": F.col(n)}
+    if most <= rows_a_task:
+        forth = Window.partitionBy(*KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        counted = live.withColumns({"tp_n": F.sum("tp").over(forth), "n": F.count("*").over(forth)}).join(F.broadcast(truths), ["area", "category_id"])
+        back = Window.partitionBy(*KEY).orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
+        return counted.withColumns(so_far("n")).withColumn("envelope", F.max("precision").over(back)).select(*results)
+    live = cut(live.repartitionByRange(*KEY, *order).withColumn("bin", F.spark_partition_id()), "matches-ranged")
     inside = Window.partitionBy(*KEY, "bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sums = live.groupBy(*KEY, "bin").agg(F.sum("tp").alias("b_tp"), F.count("*").alias("b_n"))
     before = Window.partitionBy(*KEY).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*KEY, "bin", F.coalesce(F.sum("b_tp").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("b_n").over(before), F.lit(0)).alias("n0"))
     counted = live.withColumn("tp_in", F.sum("tp").over(inside)).withColumn("n_in", F.count("*").over(inside))
     placed = counted.join(offsets, [*KEY, "bin"]).join(F.broadcast(truths), ["area", "category_id"])
-    tp, n = F.col("tp_in") + F.col("tp0"), F.col("n_in") + F.col("n0")
-    curve = cut(placed.withColumns({"recall": tp / F.col("n_truth"), "precision": tp / (n + F.lit(2.220446049250313e-16)), "place": n}), "curve")
+    summed = placed.withColumns({"tp_n": F.col("tp_in") + F.col("tp0"), "n": F.col("n_in") + F.col("n0")})
+    curve = cut(summed.withColumns(so_far("n")), "curve")
     tops = curve.groupBy(*KEY, "bin").agg(F.max("precision").alias("b_top"))
     after = Window.partitionBy(*KEY).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     tails = tops.select(*KEY, "bin", F.max("b_top").over(after).alias("tail"))
     back = Window.partitionBy(*KEY, "bin").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
     out = curve.withColumn("best_in", F.max("precision").over(back)).join(tails, [*KEY, "bin"])
-    return out.withColumn("envelope", F.greatest("best_in", "tail")).select(*KEY, "det_id", "score", "image_id", "rk", "place", "recall", "precision", "envelope")
+    return out.withColumn("envelope", F.greatest("best_in", "tail")).select(*results)
 
 
 def sampled(curve: DataFrame, truths: DataFrame, params: EvalParams) -> DataFrame:

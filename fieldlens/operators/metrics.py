@@ -6,20 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rolling(log: DataFrame, size: int = 20, *, bucket: int = 1 << 14) -> DataFrame:
+def rolling(log: DataFrame, size: int = 20, *, bucket: int = 1 << 14, rows_a_task: int = 1_000_000) -> DataFrame:
     """(meter, step, mean, most, last, middle) over a meter's last size values; middle is the lower of the middle two.
 
-    A long meter is split into buckets of steps, each with the size - 1 values before it, so that no meter has to be in one
-    task. Those are looked for in the bucket before; where steps are so sparse that it holds fewer, the meter stays whole.
+    A meter of up to rows_a_task rows is gone through in one task. Where there are longer ones, meters are split into buckets
+    of steps, each with the size - 1 values before it, which are looked for in the bucket before; where steps are so sparse
+    that it holds fewer, the meter stays whole.
     """
-    at = log.select("meter", "step", "value", F.floor(F.col("step") / bucket).alias("b"))
-    counts = at.groupBy("meter", "b").agg(F.count("*").alias("n"))
-    sparse = counts.groupBy("meter").agg((F.count_if(F.col("n") < size - 1) > 0).alias("sparse"), (F.max("b") - F.min("b") + 1 > F.count("*")).alias("holes"))
-    placed = at.join(F.broadcast(sparse), "meter").withColumn("b", F.when(F.col("sparse") | F.col("holes"), F.lit(0)).otherwise(F.col("b")))
-    back = Window.partitionBy("meter", "b").orderBy(F.desc("step"))
-    tail = placed.withColumn("k", F.row_number().over(back)).filter(F.col("k") < size).filter("not sparse and not holes")
-    guests = tail.select("meter", "step", "value", (F.col("b") + 1).alias("b"), F.lit(True).alias("guest"))
-    every = placed.select("meter", "step", "value", "b", F.lit(False).alias("guest")).unionByName(guests)
+    at = log.select("meter", "step", "value", F.floor(F.col("step") / bucket).alias("b"), F.lit(False).alias("guest"))
+    longest = log.groupBy("meter").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest <= rows_a_task:
+        every = at.withColumn("b", F.lit(0))
+    else:
+        counts = at.groupBy("meter", "b").agg(F.count("*").alias("n"))
+        whole = (F.count_if(F.col("n") < size - 1) > 0) | (F.max("b") - F.min("b") + 1 > F.count("*"))
+        placed = at.join(F.broadcast(counts.groupBy("meter").agg(whole.alias("whole"))), "meter")
+        placed = placed.withColumn("b", F.when(F.col("whole"), F.lit(0)).otherwise(F.col("b")))
+        back = Window.partitionBy("meter", "b").orderBy(F.desc("step"))
+        tail = placed.filter("not whole").withColumn("k", F.row_number().over(back)).filter(F.col("k") < size)
+        guests = tail.select("meter", "step", "value", (F.col("b") + 1).alias("b"), F.lit(True).alias("guest"))
+        every = placed.select("meter", "step", "value", "b", "guest").unionByName(guests)
     w = Window.partitionBy("meter", "b").orderBy("step").rowsBetween(-(size - 1), 0)
     values = F.sort_array(F.collect_list("value").over(w))
     base = every.select("meter", "step", "guest", F.avg("value").over(w).alias("mean"), F.max("value").over(w).alias("most"), F.col("value").alias("last"), values.alias("v"))
