@@ -28,20 +28,18 @@ def segment_intervals(anchors: DataFrame, n_frames: int | None = None, *, bucket
     return at.withColumn("next", inside).join(beyond, "b").select("anchor_ind", "start", F.coalesce("next", "beyond", end).alias("stop"))
 
 
-def segment_of(frames: DataFrame, anchors: DataFrame, *, broadcast_rows: int = 10_000) -> DataFrame:
+def segment_of(frames: DataFrame, anchors: DataFrame, *, broadcast_rows: int = 100_000, bucket: int = 256) -> DataFrame:
     """frames (obs_ind, ...) with the segment, the last anchor at or before the frame, and the step in it.
 
-    Frames before the first or after the last anchor drop out. A table of anchors up to broadcast_rows is broadcast as
-    intervals; a larger one is merged in by frame with a window over buckets of frames.
+    Frames before the first or after the last anchor drop out. An anchor's interval has a row for each bucket of frames that
+    it reaches into, and frames meet intervals by bucket; up to broadcast_rows of those rows are broadcast.
     """
-    if anchors.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        spans = F.broadcast(segment_intervals(anchors))
-        on = frames.join(spans, (F.col("obs_ind") >= F.col("start")) & (F.col("obs_ind") < F.col("stop")))
-    else:
-        size = 4096
-        spans = segment_intervals(anchors).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("stop") - 1) / size))))
-        on = frames.withColumn("bucket", F.floor(F.col("obs_ind") / size)).join(spans, "bucket").filter((F.col("obs_ind") >= F.col("start")) & (F.col("obs_ind") < F.col("stop"))).drop("bucket")
-    return on.withColumnRenamed("anchor_ind", "segment").withColumn("step", F.col("obs_ind") - F.col("start")).drop("start", "stop")
+    spans = segment_intervals(anchors)
+    reach = F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("stop") - 1) / bucket))
+    spans = small(spans.withColumn("__b", F.explode(reach)), broadcast_rows)
+    on = frames.withColumn("__b", F.floor(F.col("obs_ind") / bucket)).join(spans, "__b")
+    inside = on.filter((F.col("obs_ind") >= F.col("start")) & (F.col("obs_ind") < F.col("stop")))
+    return inside.withColumnRenamed("anchor_ind", "segment").withColumn("step", F.col("obs_ind") - F.col("start")).drop("start", "stop", "__b")
 
 
 IDENTITY = {"m00": 1.0, "m01": 0.0, "m02": 0.0, "m10": 0.0, "m11": 1.0, "m12": 0.0}
