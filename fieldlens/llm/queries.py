@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, contamination, exact, langid, mixing, pages, quality, simhash, substrings, tokens
+from . import archives, contamination, conversation_queries, exact, langid, mixing, pages, quality, simhash, substrings, tokens
 from .storage import shared_dir
 
 
@@ -75,7 +75,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_substring_dedup, op3_warc_archives, op4_simhash_near_dedup, op5_main_text, op6_decontamination, op7_token_counts,
     op8_quality, op9_mix_sources, op10_exact_dedup,
-)}
+)} | conversation_queries.QUERIES
 
 _NINE = r"""
 with sized as (select doc_id, text, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
@@ -111,4 +111,4 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(c.n_hit, 0)::bigint as n_
 from docs d left join covered c using (doc_id) left join found f using (doc_id)
 """
 
-ORACLES = {"op6_decontamination": _SIX, "op9_mix_sources": _NINE, "op10_exact_dedup": _TEN}
+ORACLES = {"op6_decontamination": _SIX, "op9_mix_sources": _NINE, "op10_exact_dedup": _TEN} | conversation_queries.ORACLES
