@@ -79,6 +79,11 @@ class Tracker:
             self.next_id += 1
         return out
 
+    def drop_ended(self, frame: int | None) -> None:
+        """Forget the tracks that can't go on after a frame."""
+        if frame is not None:
+            self.tracks = {k: t for k, t in self.tracks.items() if frame + 1 - t["seen"] <= self.patience}
+
     def _expected(self, t: dict, frame: int) -> np.ndarray:
         (f0, b0), (f1, b1) = t["past"][0], t["past"][-1]
         return b1 if f1 == f0 else b1 + (b1 - b0) / (f1 - f0) * (frame - f1)

@@ -33,7 +33,7 @@ _RATE = (
 
 @query("stream_frame_rate", _RATE)
 def rate(t):
-    return _start(X.drained(X.frame_rate(X.source(t.spark, _timed(t), "rate", order="ts"), "event_type"), "rate"))
+    return _start(X.drained(X.frame_rate(X.source(t.spark, _timed(t), "rate"), "event_type"), "rate"))
 
 
 @query("stream_frame_rate_sliding",
@@ -41,7 +41,7 @@ def rate(t):
     "ts) - INTERVAL '5 minutes']) AS s, event_type FROM events) GROUP BY ALL HAVING s + INTERVAL '10 minutes' <= (SELECT max(ts) - INTERVAL "
     "'10 minutes' FROM events)")
 def sliding(t):
-    return _start(X.drained(X.frame_rate(X.source(t.spark, _timed(t), "sliding", order="ts"), "event_type", slide="5 minutes"), "sliding"))
+    return _start(X.drained(X.frame_rate(X.source(t.spark, _timed(t), "sliding"), "event_type", slide="5 minutes"), "sliding"))
 
 
 @query("stream_gap_sessions",
@@ -51,7 +51,7 @@ def sliding(t):
     "'2 hours' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)")
 def sessions(t):
     rows = _timed(t).select(F.col("user_id").alias("track_id"), "ts")
-    return _start(X.drained(X.gap_sessions(X.source(t.spark, rows, "sessions", order="ts"), "2 hours"), "sessions"))
+    return _start(X.drained(X.gap_sessions(X.source(t.spark, rows, "sessions"), "2 hours"), "sessions"))
 
 
 def timed(rows):
@@ -60,7 +60,7 @@ def timed(rows):
 
 
 def closing(rows):
-    """A row of no video, an hour after the last: once time allowed for late rows (less than that) is over, all others are handled."""
+    """A row of video -1, an hour after the last: once time allowed for late rows (less than that) is over, all others are handled."""
     last = rows.agg((F.max("ts") + F.expr("interval 1 hour")).alias("ts"))
     return last.select(*(F.col("ts") if c.name == "ts" else F.lit(-1 if c.name == "video_id" else None).cast(c.dataType).alias(c.name) for c in rows.schema))
 
@@ -68,13 +68,13 @@ def closing(rows):
 @query("stream_tracker")
 def tracker(t):
     rows = timed(frames(t)).select("video_id", "frame", "det_id", "x", "y", "w", "h", "score", "ts")
-    return X.drained(X.tracker(X.source(t.spark, rows, "tracker", order="ts", closing=closing(rows)), patience=3, overlap=0.3), "tracker")
+    return X.drained(X.tracker(X.source(t.spark, rows, "tracker", closing=closing(rows)), patience=3, overlap=0.3), "tracker")
 
 
 @query("stream_anchor_monitor", f"SELECT * FROM ({_SEL}) WHERE kind <> 'plain'")
 def monitor(t):
     rows = timed(t.inliers)
-    return X.drained(X.anchor_monitor(X.source(t.spark, rows, "monitor", order="ts", closing=closing(rows)), 100, 10), "monitor")
+    return X.drained(X.anchor_monitor(X.source(t.spark, rows, "monitor", closing=closing(rows)), 100, 10), "monitor")
 
 
 @query("stream_to_utm", f"{_GROUND} SELECT track_id, obs_ind, segment, round(gx, 4) AS gx, round(gy, 4) AS gy, found FROM g")

@@ -6,17 +6,17 @@ late_rows tells how many. Outputs are appended.
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Callable
+from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from fieldlens.operators.tracking import Tracker, track_frame
+from fieldlens.operators.tracking import Tracker
 from fieldlens.sources.shared import shared_dir
 
 
@@ -37,114 +37,224 @@ def gap_sessions(stream: DataFrame, gap: str, *, late: str = "10 minutes") -> Da
     return stream.withWatermark("ts", late).groupBy(w, "track_id").agg(F.count("*").alias("n")).select("track_id", F.col("w.start").alias("start"), "n")
 
 
-def in_order(stream: DataFrame, columns: list[str], handle: Callable, schema: str, *, key: str = "video_id", late: str = "10 minutes") -> DataFrame:
-    """Rows of each key handled in order of frames, whatever the order in which they come.
+class InOrder(StatefulProcessor):
+    """Rows of a key handled in order, whatever the order in which they come; for a watermark on ts, which rises with frames.
 
-    stream has ts, and frames rise with it. Rows wait in the key's state until the watermark (the greatest ts so far, less
-    late) has passed them, and then go to handle(own, rows) -> list of output rows, frame by frame; own is a dictionary that
-    is kept. So the state holds the rows of the time that late allows, and an event-time timer brings up keys that get no
-    new rows. A row that comes later than that is dropped and counted by Spark.
-    """
+    Rows wait in list state until the watermark has passed them, so the state holds those of the time that late rows are
+    allowed. An event-time timer stands at the first of them; when it fires, those passed go to handle in order of time. When
+    none is left, a timer stands at the last row's time plus idle: if no row has come until then, all of the key's state is
+    removed. Rows after a longer time than idle begin anew, whatever the batches. What comes too late is dropped and counted
+    by Spark.
 
-    def step(k, frames, state):
-        kept = json.loads(state.get[0]) if state.exists else {"own": {}, "rows": []}
-        passed = state.getCurrentWatermarkMs()
-        if not state.hasTimedOut:
-            new = pd.concat(list(frames))
-            new["ts"] = new["ts"].astype("datetime64[ms]").astype("int64")
-            kept["rows"] += new.to_numpy().tolist()
-        rows = pd.DataFrame(kept["rows"], columns=[*columns, "ts"])
-        ready = rows[rows["ts"] <= passed].sort_values(columns[:2])
-        out = handle(kept["own"], ready) if len(ready) else []
-        kept["rows"] = rows[rows["ts"] > passed].to_numpy().tolist()
-        state.update((json.dumps(kept),))
-        if kept["rows"]:
-            state.setTimeoutTimestamp(max(int(rows[rows["ts"] > passed]["ts"].min()), passed + 1))
-        yield pd.DataFrame([(k[0], *x) for x in out], columns=[c.split()[0] for c in schema.split(", ")])
+    Columns are typed as given; each travels by itself, so 64-bit ids stay exact. Subclasses give columns, handle and the
+    state that is their own.
+    """
 
-    return stream.withWatermark("ts", late).select(key, *columns, "ts").groupBy(key).applyInPandasWithState(
-        _without_key(step, key), schema, "kept string", "append", GroupStateTimeout.EventTimeTimeout,
-    )
+    columns: tuple[tuple[str, str], ...]
+    output: str
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle_ = handle
+        self.waiting = handle.getListState("waiting", ", ".join(f"{n} {kind}" for n, kind in (*self.columns, ("at", "long"))))
+        self.clock = handle.getValueState("clock", "wake long, last long, done long")
+        self.own_states(handle)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        wake, last, done = self.clock.get() or (None, None, None)
+        for f in rows:
+            f = f[f["whole"]]
+            if not len(f):
+                continue
+            at = f["ts"].astype("datetime64[ms]").astype("int64").tolist()
+            values = [[None if x != x else x for x in f[n].tolist()] for n, _ in self.columns]
+            self.waiting.appendList(list(zip(*values, at, strict=True)))
+            first = min(at)
+            if wake is None or wake == last + self.idle_ms + 1 or first < wake:
+                if wake is not None:
+                    self.handle_.deleteTimer(wake)
+                self.handle_.registerTimer(first)
+                wake = first
+            last = max(at) if last is None else max(last, *at)
+        if wake is not None:
+            self.clock.update((wake, last, done))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        passed, (_, last, done) = timerValues.getCurrentWatermarkInMs(), self.clock.get()
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[-1], r[:2]))
+        ready, rest = [r for r in rows if r[-1] <= passed], [r for r in rows if r[-1] > passed]
+        if not rows and last + self.idle_ms < passed:
+            self.forget()
+            self.waiting.clear()
+            self.clock.clear()
+            return
+        found, begin = [], 0
+        for k, r in enumerate(ready):  # what is idle ends, whether or not a batch ended meanwhile
+            before = ready[k - 1][-1] if k else done
+            if before is not None and r[-1] - before > self.idle_ms:
+                found += self.handle([x[:-1] for x in ready[begin:k]]) if k > begin else []
+                self.forget()
+                begin = k
+        found += self.handle([x[:-1] for x in ready[begin:]]) if len(ready) > begin else []
+        done = ready[-1][-1] if ready else done
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        wake = rest[0][-1] if rest else last + self.idle_ms + 1
+        self.handle_.registerTimer(wake)
+        self.clock.update((wake, last, done))
+        if found:
+            yield pd.DataFrame([(key[0], *x) for x in found], columns=[c.split(" ")[0] for c in self.output.split(", ")])
+
+    def own_states(self, handle: StatefulProcessorHandle) -> None:
+        """Get the states that are the subclass's own."""
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        """Clear them."""
+        raise NotImplementedError
+
+    def handle(self, rows: list[tuple]) -> list[tuple]:
+        """Output rows, without the key, of rows in order."""
+        raise NotImplementedError
+
+
+def in_order(stream: DataFrame, processor: InOrder, *, key: str, late: str) -> DataFrame:
+    """A processor over the rows of each key. Rows without a frame or id (columns of longs) only move time on.
+
+    Longs are sent without nulls, for pandas would make floats of a column with some.
+    """
+    longs = [n for n, kind in processor.columns if kind == "long"]
+    whole = F.lit(True)
+    for n in longs:
+        whole &= F.col(n).isNotNull()
+    typed = [F.coalesce(F.col(n).cast(kind), F.lit(0)).alias(n) if n in longs else F.col(n).cast(kind) for n, kind in processor.columns]
+    rows = stream.withWatermark("ts", late).select(key, *typed, whole.alias("whole"), "ts")
+    return rows.groupBy(key).transformWithStateInPandas(processor, processor.output, "append", "EventTime")
+
+
+class TrackProcessor(InOrder):
+    """Tracks of a video: the next number as a value, live tracks in a map by their number."""
+
+    columns = (("frame", "long"), ("det_id", "long"), *((c, "double") for c in ("x", "y", "w", "h", "score")))
+    output = "video_id long, track_id long, det_id long, frame long"
+
+    def __init__(self, idle_ms: int, options: dict) -> None:
+        super().__init__(idle_ms)
+        self.options = options
+
+    def own_states(self, handle: StatefulProcessorHandle) -> None:
+        self.next = handle.getValueState("next", "track_id long")
+        self.tracks = handle.getMapState("tracks", "track_id long", "seen long, past array<struct<frame:long,x:double,y:double,w:double,h:double>>")
+
+    def forget(self) -> None:
+        self.next.clear()
+        self.tracks.clear()
+
+    def handle(self, rows: list[tuple]) -> list[tuple]:
+        machine = Tracker(**self.options)
+        machine.next_id = (self.next.get() or (0,))[0]
+        before = {k[0]: {"seen": v[0], "past": [(p[0], np.array(p[1:])) for p in v[1]]} for k, v in self.tracks.iterator()}
+        machine.tracks = {k: dict(t) for k, t in before.items()}
+        out, frame = [], None
+        for frame, own in groupby(rows, key=lambda r: r[0]):
+            own = list(own)
+            ids, boxes = np.array([r[1] for r in own], np.int64), np.array([r[2:6] for r in own], float)
+            out += machine.step(frame, ids, boxes, np.array([r[6] for r in own], float))
+        machine.drop_ended(frame)
+        for k in before.keys() - machine.tracks.keys():
+            self.tracks.removeKey((k,))
+        for k, t in machine.tracks.items():
+            if k not in before or t["seen"] != before[k]["seen"]:
+                self.tracks.updateValue((k,), (t["seen"], [(f, *map(float, b)) for f, b in t["past"]]))
+        self.next.update((machine.next_id,))
+        return out
 
 
-def _without_key(step: Callable, key: str) -> Callable:
-    return lambda k, frames, state: step(k, (f.drop(columns=key) for f in frames), state)
+def _ms(time: str) -> int:
+    return int(pd.Timedelta(time).total_seconds() * 1000)
 
 
-def tracker(stream: DataFrame, *, late: str = "10 minutes", **options) -> DataFrame:
-    """(video_id, track_id, det_id, frame), as the batch operator gives them, with the tracks kept as each video's state.
+def tracker(stream: DataFrame, *, late: str = "10 minutes", idle: str = "1 day", **options) -> DataFrame:
+    """(video_id, track_id, det_id, frame), as the batch operator gives them, from rows with a time ts that rises with frames.
 
-    Rows without a detection (det_id is null) only move time on.
+    Rows without a detection (det_id is null) only move time on. A video without rows for the time idle is over and its state
+    goes; a video id that comes up later counts as another video, with tracks from 0.
     """
+    return in_order(stream, TrackProcessor(_ms(idle), options), key="video_id", late=late)
 
-    def handle(own: dict, rows: pd.DataFrame) -> list[tuple]:
-        machine = Tracker(**options)
-        machine.next_id = own.get("next", 0)
-        machine.tracks = {k: {"seen": seen, "past": [(f, np.array(b)) for f, b in past]} for k, seen, past in own.get("tracks", [])}
-        out = []
-        for frame, boxes in rows.dropna(subset=["det_id"]).groupby("frame", sort=True):
-            out += track_frame(machine, int(frame), boxes)
-        own["next"], own["tracks"] = machine.next_id, [(k, t["seen"], [(f, b.tolist()) for f, b in t["past"]]) for k, t in machine.tracks.items()]
-        return out
 
-    return in_order(stream, ["frame", "det_id", "x", "y", "w", "h", "score"], handle, "video_id long, track_id long, det_id long, frame long", late=late)
+class MonitorProcessor(InOrder):
+    """Kinds of a video's frames: the number of low ones so far is a value."""
+
+    columns = (("frame", "long"), ("n_inliers", "long"))
+    output = "video_id long, frame long, low_no long, kind string"
+
+    def __init__(self, idle_ms: int, threshold: int, most_pseudo: int) -> None:
+        super().__init__(idle_ms)
+        self.threshold, self.most_pseudo = threshold, most_pseudo
 
+    def own_states(self, handle: StatefulProcessorHandle) -> None:
+        self.low = handle.getValueState("low", "low_no long")
 
-def anchor_monitor(stream: DataFrame, threshold: int, most_pseudo: int, *, late: str = "10 minutes") -> DataFrame:
-    """(video_id, frame, low_no, kind) of the frames that are anchors, make the one before an anchor, or are pseudo anchors."""
+    def forget(self) -> None:
+        self.low.clear()
 
-    def handle(own: dict, rows: pd.DataFrame) -> list[tuple]:
-        out = []
-        for frame, n in rows.dropna(subset=["n_inliers"])[["frame", "n_inliers"]].itertuples(index=False):
-            is_low = n < threshold
-            low = own["low"] = own.get("low", 0) + int(is_low)
-            kind = "anchor" if not own.get("begun") else "promotes_previous" if is_low and low % (most_pseudo + 1) == 0 else "pseudo" if is_low else None
-            own["begun"] = True
+    def handle(self, rows: list[tuple]) -> list[tuple]:
+        begun, low, out = self.low.exists(), (self.low.get() or (0,))[0], []
+        for frame, n in rows:
+            is_low = n < self.threshold
+            low += int(is_low)
+            kind = "anchor" if not begun else "promotes_previous" if is_low and low % (self.most_pseudo + 1) == 0 else "pseudo" if is_low else None
+            begun = True
             if kind:
-                out.append((int(frame), low, kind))
+                out.append((frame, low, kind))
+        if begun:
+            self.low.update((low,))
         return out
 
-    return in_order(stream, ["frame", "n_inliers"], handle, "video_id long, frame long, low_no long, kind string", late=late)
 
+def anchor_monitor(stream: DataFrame, threshold: int, most_pseudo: int, *, late: str = "10 minutes", idle: str = "1 day") -> DataFrame:
+    """(video_id, frame, low_no, kind) of the frames that are anchors, make the one before an anchor, or are pseudo anchors.
+    A video without rows for the time idle is over, as in tracker."""
+    return in_order(stream, MonitorProcessor(_ms(idle), threshold, most_pseudo), key="video_id", late=late)
 
-def source(
-    spark: SparkSession, rows: DataFrame, name: str, files: int = 1000, *, order: str | None = None, batches: int | None = None,
-    closing: DataFrame | None = None,
-) -> DataFrame:
-    """rows, written to the shared folder, as a stream.
 
-    With order, a column, batches follow one another in that column and equal values share a batch, so no row comes late;
-    there are about batches of them (by default one for each million rows, and three at least). closing rows come in a batch
-    after all others.
+def source(spark: SparkSession, rows: DataFrame, name: str, files: int | None = None, *, closing: DataFrame | None = None) -> DataFrame:
+    """rows, and closing rows if there are any, written to the shared folder, as a stream of so many files a batch.
+
+    By default all go in one batch, so that no row comes late whatever order the files have.
     """
     path = shared_dir(spark, f"stream-{name}")
-    if order:
-        n = batches or max(3, -(-rows.count() // 1_000_000))
-        files = -(-_write_ordered(spark, rows, path, order, n, closing) // n)
-    else:
-        rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
-
-
-def _write_ordered(spark: SparkSession, rows: DataFrame, path: str, order: str, n: int, closing: DataFrame | None = None) -> int:
-    """Write rows in n ranges of order, a file each, and give the files that many times: a stream takes the oldest file first."""
-    rows.repartitionByRange(n, order).write.option("maxRecordsPerFile", 0).parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    listed = lambda: {f.getPath().getName(): f for f in fs.listStatus(folder)}
-    first_ones = listed()
-    found = {int(m[1]): f for n, f in first_ones.items() if (m := re.match(r"part-(\d+)", n))}
+    rows.write.parquet(path)
     if closing is not None:
         closing.coalesce(1).write.mode("append").parquet(path)
-        found |= {1 << 40: f for n, f in listed().items() if n not in first_ones and n.startswith("part-")}
-    parts = [found[k] for k in sorted(found)]
-    first = min((f.getModificationTime() for f in parts), default=0) // 1000 * 1000
-    for k, f in enumerate(parts):
-        fs.setTimes(f.getPath(), first + 1000 * k, -1)
-    times = [fs.getFileStatus(f.getPath()).getModificationTime() for f in parts]
-    if any(a >= b for a, b in zip(times, times[1:], strict=False)):
-        raise OSError(f"{path}: the store doesn't keep the times given to files, so their order would be lost")
-    return len(parts)
+    reader = spark.readStream.schema(rows.schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
+
+
+#: Typed state needs a store that is an embedded database on the executors' disks, copied to the checkpoint.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in STATE_STORE; settings are as before afterwards."""
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    try:
+        for k, v in STATE_STORE.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
@@ -154,9 +264,15 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
 
 def drained_with_late(stream: DataFrame, name: str) -> tuple[DataFrame, int]:
     """drained, and how many rows came too late and were dropped."""
+    out, progress = drained_with_progress(stream, name)
+    return out, sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+
+
+def drained_with_progress(stream: DataFrame, name: str) -> tuple[DataFrame, list]:
+    """drained, and the progress of each batch."""
     spark = stream.sparkSession
     out, at = shared_dir(spark, f"stream-{name}-out"), shared_dir(spark, f"stream-{name}-log")
-    query = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start()
-    query.awaitTermination()
-    late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
-    return spark.read.schema(stream.schema).parquet(out), late
+    with state_store(spark):
+        query = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out), query.recentProgress

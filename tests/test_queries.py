@@ -1,5 +1,6 @@
 """Every registered query against its SQL at sf0.001, plans, and properties of what SQL can't express."""
 
+import datetime as dt
 import os
 
 import duckdb
@@ -224,6 +225,28 @@ def test_track_step_brute_force(spark):
     assert {(r.video_id, r.track_id, r.det_id, r.frame) for r in stream} == want and len(stream) == len(want)
 
 
+def in_files(spark, rows, name, order=None, files=6, closing=None):
+    """rows in files, at random or in ranges of a column, each with a later time than the one before, so that a stream takes them in turn."""
+    path = X.shared_dir(spark, name)
+    parts = rows.randomSplit([1.0] * files, seed=3) if order is None else None
+    if parts is None:
+        (rows.repartitionByRange(files, order)).write.parquet(path)
+    else:
+        for part in parts:
+            part.coalesce(1).write.mode("append").parquet(path)
+    found = sorted((f for f in os.listdir(path) if f.startswith("part-")), key=lambda f: f if order else os.stat(f"{path}/{f}").st_mtime_ns)
+    if closing is not None:
+        closing.coalesce(1).write.mode("append").parquet(path)
+        found += [f for f in os.listdir(path) if f.startswith("part-") and f not in found]
+    for k, f in enumerate(found):
+        os.utime(f"{path}/{f}", (1_700_000_000 + k, 1_700_000_000 + k))
+    return path
+
+
+def stream_of(spark, rows, path, files):
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 @pytest.mark.parametrize("files", [1, 3])
 def test_streams_of_shuffled_files(spark, files):
     """Rows dealt at random over six files, one or three a batch: within the time allowed none is lost; beyond it, all that
@@ -237,20 +260,16 @@ def test_streams_of_shuffled_files(spark, files):
         "monitor": (timed(t.inliers), lambda s, late: X.anchor_monitor(s, 100, 10, late=late), G.anchor_selection(t.inliers, 100, 10).filter("kind <> 'plain'").select("video_id", "frame", "low_no", "kind")),
     }
     for name, (rows, run, want) in cases.items():
-        path = X.shared_dir(spark, name)
-        for part in rows.randomSplit([1.0] * 6, seed=3):
-            part.coalesce(1).write.mode("append").parquet(path)
-        closing(rows).coalesce(1).write.mode("append").parquet(path)
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
-        got, late = X.drained_with_late(run(stream, "30 minutes"), name)
+        path = in_files(spark, rows, name, closing=closing(rows))
+        got, late = X.drained_with_late(run(stream_of(spark, rows, path, files), "30 minutes"), name)
         pd.testing.assert_frame_equal(plain(got.toPandas()), plain(want.toPandas()))
         assert late == 0
-        _, late = X.drained_with_late(run(stream, "1 second"), name)
+        _, late = X.drained_with_late(run(stream_of(spark, rows, path, files), "1 second"), name)
         assert late > 0 or files > 1  # with three files a batch, no row comes after its time has been handled
 
 
 def test_source_in_order_of_events(spark):
-    """Over several batches of a scattered table, each stateful query gives what one batch gives."""
+    """Over several batches in order of time, each stateful query gives what one batch gives."""
     t = Tables(spark, SF)
     events = t.table("events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("track_id", F.col("user_id"))
     cases = {
@@ -260,10 +279,29 @@ def test_source_in_order_of_events(spark):
     }
     for name, (rows, order, run) in cases.items():
         want = plain(X.drained(run(X.source(spark, rows.coalesce(1), name)), name).toPandas())
-        stream = X.source(spark, rows.repartition(20), name, order=order, batches=5)
+        stream = stream_of(spark, rows, in_files(spark, rows.repartition(20), name, order=order, files=5), 1)
         pd.testing.assert_frame_equal(plain(X.drained(run(stream), name).toPandas()), want)
 
 
+def test_stream_tracker_exact_ids_and_state_that_ends(spark):
+    """64-bit ids beside null ones come back as they were; tracks leave the state with their patience, and a video's state goes
+    once it has been idle; a video that comes up again begins anew. A file a batch."""
+    big = 2**53 + 1
+    ts = lambda s: dt.datetime.fromtimestamp(1_700_000_000 + s)
+    box = lambda x: (float(x), 0.0, 50.0, 50.0, 0.9)
+    rows = [(7, f, big + 2 * f, *box(f), ts(f)) for f in range(6)] + [(8, 0, 2**62 + 1, *box(0), ts(0))]
+    rows += [(7, 1, None, *[None] * 5, ts(1)), (9, None, big, *box(0), ts(2))]
+    rows += [(7, 5000 + f, big + 100 + f, *box(f), ts(5000 + f)) for f in range(2)]
+    rows += [(-1, None, None, *[None] * 5, ts(s)) for s in (30, 2000, 4000, 9000, 20000, 20001)]
+    df = spark.createDataFrame(rows, "video_id long, frame long, det_id long, x double, y double, w double, h double, score double, ts timestamp")
+    path = in_files(spark, df, "ids", order="ts", files=8)
+    got, progress = X.drained_with_progress(X.tracker(stream_of(spark, df, path, 1), late="10 seconds", idle="20 minutes", patience=3), "ids")
+    found = {(r.video_id, r.track_id, r.det_id, r.frame) for r in got.collect()}
+    assert found == {(7, 0, big + 2 * f, f) for f in range(6)} | {(8, 0, 2**62 + 1, 0)} | {(7, 0, big + 100 + f, 5000 + f) for f in range(2)}
+    states = [sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in progress]
+    assert max(states) > 0 and states[-1] == 0, states
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
