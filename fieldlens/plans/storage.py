@@ -9,42 +9,85 @@ from fieldlens.functions import names as N
 from fieldlens.operators import geo as O
 from fieldlens.operators.dataset import renumber
 from fieldlens.plans.registry import query
+from fieldlens.sources import coco as C
 from fieldlens.sources import files as S
-from fieldlens.sources.shared import shared_dir
+from fieldlens.sources.shared import shared_dir, small
+
+
+def _dataset(t):
+    """All fields that documents have: nested, flat and run-length segmentations by turns, keypoints, and skeletons of categories."""
+    corners = lambda *p: F.array(*(F.col(c) for c in p))
+    flat = corners("x", "y", "x", "h")
+    shape = F.when(F.col("id") % 3 == 0, F.to_json(F.struct(F.array(flat, corners("y", "x", "w", "h", "x", "y")).alias("s"))))
+    shape = shape.when(F.col("id") % 3 == 1, F.to_json(F.struct(flat.alias("s")))).otherwise(F.to_json(F.struct(F.struct(F.concat(F.lit("a}"), F.col("id").cast("string")).alias("counts"), corners("h", "w").alias("size")).alias("s"))))
+    points = F.when(F.col("id") % 2 == 0, F.array("x", "y", F.lit(2).cast("long")))
+    annotations = t.annotations.withColumn("s", F.parse_json(shape)).withColumns({
+        "segmentation": F.variant_get("s", "$.s", "variant"), "keypoints": points, "num_keypoints": F.when(points.isNotNull(), 1),
+    }).drop("s")
+    images = t.images.select(
+        F.col("image_id").alias("id"), "file_name", "width", "height", F.lit(1).alias("license"), F.col("date_captured").cast("string").alias("date_captured"),
+        F.concat(F.lit('"{['), F.col("file_name")).alias("coco_url"),
+    )
+    i = F.col("category_id")
+    bones = F.when(i % 2 == 0, F.array(F.array(F.lit(0).cast("long"), i.cast("long"))))
+    categories = t.categories.select(i.alias("id"), "name", F.lit("all").alias("supercategory"), F.when(i % 2 == 0, F.array(F.lit("nose"), F.lit("tail"))).alias("keypoints"), bones.alias("skeleton"))
+    info = t.spark.createDataFrame([("a set", "1.0", 2024)], "description string, version string, year int")
+    licenses = t.spark.createDataFrame([(1, "N/A", "N/A")], "id int, name string, url string")
+    return C.Coco(images, annotations, categories, info, licenses)
 
 
-def _documents(t):
-    """COCO documents, one for each video."""
+def _documents(t, n):
     path = shared_dir(t.spark, "coco")
-    videos = t.images.select("image_id", "video_id")
-    images = t.images.select("video_id", F.col("image_id").alias("id"), "file_name", "width", "height")
-    annotations = t.annotations.join(videos, "image_id")
-    S.write_coco(images, annotations, t.categories, path, "video_id")
-    return S.read_coco(t.spark, path)
+    C.write_coco(_dataset(t), path, n)
+    return C.read_coco(t.spark, path)
+
+
+def _text(numbers):
+    return F.array_join(F.transform(numbers, lambda x: x.cast("long").cast("string")), " ")
+
+
+def _read_annotations(df):
+    polygons = F.array_join(F.transform(C.rings(F.col("segmentation")), _text), "/")
+    counts = F.try_variant_get("segmentation", "$.counts", "string").alias("counts")
+    return df.select("id", "image_id", "category_id", *"xywh", "area", "iscrowd", polygons.alias("rings"), counts, _text(F.col("keypoints")).alias("points"), "num_keypoints")
+
+
+_RING = "concat_ws(' ', x, y, x, h)"
+_ANNOTATIONS = (
+    "SELECT id, image_id, category_id, x::double AS x, y::double AS y, w::double AS w, h::double AS h, area, iscrowd, CASE id % 3 WHEN 0 THEN "
+    f"{_RING} || '/' || concat_ws(' ', y, x, w, h, x, y) WHEN 1 THEN {_RING} END AS rings, CASE WHEN id % 3 = 2 THEN 'a}}' || id END AS counts, "
+    "CASE WHEN id % 2 = 0 THEN concat_ws(' ', x, y, 2) END AS points, CASE WHEN id % 2 = 0 THEN 1 END AS num_keypoints FROM fx_annotations"
+)
 
 
-@query("coco_scan",
-    "SELECT id, image_id, category_id, x::double AS x, y::double AS y, w::double AS w, h::double AS h, area, iscrowd FROM fx_annotations "
-    "JOIN fx_images USING (image_id)")
+@query("coco_scan", _ANNOTATIONS)
 def coco_scan(t):
-    return _documents(t)[1].select("id", "image_id", "category_id", *"xywh", "area", "iscrowd")
+    """One document, read by as many tasks as it has ranges."""
+    return _read_annotations(_documents(t, 1).annotations)
 
 
-@query("coco_write", "SELECT image_id, file_name, width, height FROM fx_images")
+@query("coco_write",
+    "SELECT image_id, file_name, width, height, date_captured::date::varchar AS date_captured, '\"{[' || file_name AS coco_url, 'N/A' AS license, "
+    "'a set' AS description, 7 AS categories, 3 AS bones FROM fx_images")
 def coco_write(t):
-    return _documents(t)[0].select(F.col("id").alias("image_id"), "file_name", "width", "height")
+    """Several documents, each with the images of a range of ids, and the info, licences and categories."""
+    got = _documents(t, 4)
+    own = {n: F.broadcast(df.groupBy("src").agg(*a)) for n, df, a in (
+        ("info", got.info, [F.first("description").alias("description")]), ("licenses", got.licenses, [F.first("name").alias("license")]),
+        ("categories", got.categories, [F.count("*").alias("categories"), F.count("skeleton").alias("bones")]),
+    )}
+    rows = got.images.drop("license").select("src", F.col("id").alias("image_id"), "file_name", "width", "height", F.col("date_captured").cast("timestamp").cast("date").cast("string").alias("date_captured"), "coco_url")
+    return rows.join(own["info"], "src").join(own["licenses"], "src").join(own["categories"], "src").drop("src")
 
 
-@query("coco_lines",
-    "SELECT a.id, image_id, file_name, c.name, x::double AS x, h::double AS h FROM fx_annotations a JOIN fx_images USING (image_id) JOIN "
-    "fx_categories c USING (category_id)")
+@query("coco_lines", f"SELECT a.*, file_name, c.name FROM ({_ANNOTATIONS}) a JOIN fx_images USING (image_id) JOIN fx_categories c USING (category_id)")
 def coco_lines(t):
     """The sink for large datasets, read back and joined."""
     path = shared_dir(t.spark, "coco-lines")
-    S.write_coco_lines(t.images.withColumn("id", F.col("image_id")), t.annotations, t.categories, path)
-    images, boxes, categories = S.read_coco_lines(t.spark, path)
-    on = boxes.join(images.select(F.col("id").alias("image_id"), "file_name"), "image_id")
-    return on.join(F.broadcast(categories.select(F.col("id").alias("category_id"), "name")), "category_id").select("id", "image_id", "file_name", "name", "x", "h")
+    C.write_coco_lines(_dataset(t), path)
+    got = C.read_coco_lines(t.spark, path)
+    on = _read_annotations(got.annotations).join(got.images.select(F.col("id").alias("image_id"), "file_name"), "image_id")
+    return on.join(small(got.categories.select(F.col("id").alias("category_id"), "name")), "category_id")
 
 
 _PM = "SELECT image_name, anchor_ind, p00, p11, p03, round(1 / p00, 9) AS i00, round(p02 / -p00 / p22 + 0.0, 9) AS i02 FROM fx_cameras"

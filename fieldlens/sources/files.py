@@ -9,47 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COCO = (
-    "images array<struct<id:bigint,file_name:string,width:int,height:int>>, "
-    "annotations array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,area:double,iscrowd:int,segmentation:array<double>>>, "
-    "categories array<struct<id:int,name:string,supercategory:string>>"
-)
-
-
-def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str, part: str) -> None:
-    """A COCO document for each value of part, one to a line. A part's images and boxes must fit into one row."""
-    i = images.groupBy(part).agg(F.collect_list(F.struct("id", "file_name", "width", "height")).alias("images"))
-    box = F.struct("id", "image_id", "category_id", F.array(*[F.col(c).cast("double") for c in "xywh"]).alias("bbox"), "area", "iscrowd")
-    a = annotations.groupBy(part).agg(F.collect_list(box).alias("annotations"))
-    c = categories.agg(F.collect_list(F.struct(F.col("category_id").alias("id"), "name", F.lit("all").alias("supercategory"))).alias("categories"))
-    i.join(a, part, "left").join(F.broadcast(c)).select("images", "annotations", "categories").write.json(path)
-
-
-def read_coco(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(images, annotations, categories) of all documents below path; multi_line for documents over many lines."""
-    docs = spark.read.schema(COCO).option("multiLine", multi_line).json(path).withColumn("src", F.input_file_name())
-    images = docs.select("src", F.explode("images").alias("i")).select("src", "i.*")
-    rows = docs.select("src", F.explode("annotations").alias("a")).select("src", "a.*")
-    boxes = rows.select("*", *(F.get("bbox", F.lit(k)).alias(c) for k, c in enumerate("xywh"))).drop("bbox")
-    return images, boxes, docs.select("src", F.explode("categories").alias("c")).select("src", "c.*")
-
-
-def write_coco_lines(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str) -> None:
-    """For datasets of any size: JSON lines of images, annotations and categories in three folders below path."""
-    box = F.array(*[F.col(c).cast("double") for c in "xywh"]).alias("bbox")
-    images.select("id", "file_name", "width", "height").write.json(f"{path}/images")
-    annotations.select("id", "image_id", "category_id", box, "area", "iscrowd").write.json(f"{path}/annotations")
-    categories.select(F.col("category_id").alias("id"), "name", F.lit("all").alias("supercategory")).write.json(f"{path}/categories")
-
-
-def read_coco_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(images, annotations, categories) of what write_coco_lines wrote; files are split among the tasks."""
-    images = spark.read.schema("id bigint, file_name string, width int, height int").json(f"{path}/images")
-    rows = spark.read.schema("id bigint, image_id bigint, category_id int, bbox array<double>, area double, iscrowd int").json(f"{path}/annotations")
-    boxes = rows.select("*", *(F.get("bbox", F.lit(k)).alias(c) for k, c in enumerate("xywh"))).drop("bbox")
-    return images, boxes, spark.read.schema("id int, name string, supercategory string").json(f"{path}/categories")
-
-
 def read_pmatrices(spark: SparkSession, path: str) -> DataFrame:
     """(image_name, p00 .. p23) from lines of a name and twelve numbers; a broken number is null."""
     parts = spark.read.text(path).select(F.split("value", " ").alias("v"))
