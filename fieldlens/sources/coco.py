@@ -299,7 +299,8 @@ def write_coco(coco: Coco, path: str, documents: int = 1, *, most_categories: in
     all categories, licences and the info.
 
     A document is written by one task, row by row; for datasets of any size there should be as many as tasks. Null fields are
-    left out. An annotation whose image isn't there goes with the document of its image_id's range.
+    left out. An annotation whose image isn't there goes with the document of its image_id's range. No images and no
+    annotations give no document.
     """
     drop = lambda df: None if df is None else df.drop("src")
     head = {
