@@ -103,7 +103,7 @@ def unknown_ids(images: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def remap(annotations: DataFrame, mapping: DataFrame) -> DataFrame:
     """Annotations with new_id by (category_id, new_id); null, and unmapped true, where the mapping has none."""
-    return annotations.join(F.broadcast(mapping), "category_id", "left").withColumn("unmapped", F.col("new_id").isNull())
+    return annotations.join(small(mapping), "category_id", "left").withColumn("unmapped", F.col("new_id").isNull())
 
 
 def merged_categories(categories: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def merged_categories(categories: DataFrame, mapping: DataFrame) -> DataFrame:
     mapping is (name, new_name). Names that repeat count at their first id. Category tables are small.
     """
     first = categories.groupBy("name").agg(F.min("category_id").alias("category_id"))
-    named = first.join(F.broadcast(mapping), "name")
+    named = first.join(small(mapping), "name")
     placed = named.withColumn("first", F.min("category_id").over(Window.partitionBy("new_name")))
     return placed.withColumn("new_id", F.dense_rank().over(Window.orderBy("first")).cast("long")).select("category_id", "new_name", "new_id")
 
