@@ -9,6 +9,7 @@ from typing import NamedTuple
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -28,40 +29,73 @@ def normal_words(text: str | None) -> list[str]:
 
 
 class Machine(NamedTuple):
-    """An automaton over blocks of the items' words, each between two spaces, and the items' words.
+    """An automaton over blocks of the items' words, each between two spaces, and a table of the items' windows.
 
-    A block's value is its number of words, and the (item, first word) at which it stands. Blocks don't overlap and are just
-    so long that a window of width words holds a whole one wherever it begins, so the automaton is about as large as the
-    items' text. An item of fewer words than a window is a block itself.
+    A block's value is its number of words, whether it is part of a longer item, and the short items that it is. Blocks don't
+    overlap and are just so long that a window of width words holds a whole one wherever it begins, so the automaton is about
+    as large as the items' text. An item of fewer words than a window is a block itself. windows has the first place (item,
+    word) of each window by its hash, clashes those of other windows with a hash that is taken, owners the items of windows
+    that more than one has.
     """
 
     blocks: ahocorasick.Automaton
     items: list[list[str]]
     width: int
+    windows: dict[int, tuple[int, int]]
+    clashes: dict[int, list[tuple[int, int]]]
+    owners: dict[tuple[int, int], list[int]]
+
+    def window(self, words: list[str]) -> tuple[int, int] | None:
+        """The first place of a window of these words in the items."""
+        key = _hash(words)
+        place = self.windows.get(key)
+        for i, k in () if place is None else (place, *self.clashes.get(key, ())):
+            if self.items[i][k : k + self.width] == words:
+                return i, k
+        return None
+
+
+def _hash(words: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(words))
 
 
 def automaton(items: list[tuple], width: int) -> Machine:
     size, words = (width + 1) // 2, [normal_words(text) for _, text in items]
-    places: dict[str, list[tuple[int, int]]] = {}
+    places: dict[str, tuple[bool, list[int]]] = {}
+    machine = Machine(ahocorasick.Automaton(), words, width, {}, {}, {})
     for i, own in enumerate(words):
-        step = size if len(own) >= width else max(1, len(own))
-        for k in range(0, len(own) - step + 1, step):
-            places.setdefault(f" {' '.join(own[k : k + step])} ", []).append((i, k))
-    found = ahocorasick.Automaton()
-    for block, at in places.items():
-        found.add_word(block, (block.count(" ") - 1, at))
+        if len(own) < width:
+            if own:
+                places.setdefault(f" {' '.join(own)} ", (False, []))[1].append(i)
+            continue
+        for k in range(0, len(own) - size + 1, size):
+            block = f" {' '.join(own[k : k + size])} "
+            places[block] = (True, places[block][1] if block in places else [])
+        for k in range(len(own) - width + 1):
+            window = own[k : k + width]
+            place = machine.window(window)
+            if place is None:
+                key = _hash(window)
+                if key in machine.windows:
+                    machine.clashes.setdefault(key, []).append((i, k))
+                else:
+                    machine.windows[key] = (i, k)
+            elif (found := machine.owners.setdefault(place, [place[0]]))[-1] != i:
+                found.append(i)
+    for block, value in places.items():
+        machine.blocks.add_word(block, (block.count(" ") - 1, *value))
     if places:
-        found.make_automaton()
-    return Machine(found, words, width)
+        machine.blocks.make_automaton()
+    return machine
 
 
 def scan(text: str | None, machine: Machine) -> tuple[int, list[tuple[int, int]], set[int]]:
     """(words, hit ranges of word positions, positions of the items that occur).
 
-    The text is scanned once. Where a block stands, the item's words on both sides of it are followed as far as they agree;
-    a stretch of a window's length or more is one of windows that occur.
+    The text is scanned once. Where a block stands, the windows of the text that hold it are looked up, each once; the items
+    of a window are taken once a text. So the time doesn't grow with the number of items that share a block.
     """
-    words = normal_words(text)
+    words, width = normal_words(text), machine.width
     if not words or not len(machine.blocks):
         return len(words), [], set()
     hits = list(machine.blocks.iter(f" {' '.join(words)} "))
@@ -69,22 +103,21 @@ def scan(text: str | None, machine: Machine) -> tuple[int, list[tuple[int, int]]
         return len(words), [], set()
     ends = np.cumsum([len(w) + 1 for w in words])  # where the space after each word stands
     last = np.searchsorted(ends, [e for e, _ in hits]).tolist()
-    reached: dict[tuple[int, int], int] = {}
-    ranges, owners = [], set()
-    for end, (_, (n, at)) in zip(last, hits, strict=True):
-        for i, k in at:
-            item, begin = machine.items[i], end + 1 - n
-            if reached.get((i, begin - k), 0) > end:  # this stretch has been followed from an earlier block
-                continue
-            a, b = begin, end + 1
-            while a > 0 and a > begin - k and words[a - 1] == item[k + a - 1 - begin]:
-                a -= 1
-            while b < len(words) and k + b - begin < len(item) and words[b] == item[k + b - begin]:
-                b += 1
-            reached[i, begin - k] = b
-            if b - a >= min(machine.width, len(item)):
-                ranges.append((a, b))
-                owners.add(i)
+    ranges, owners, seen, tried = [], set(), set(), 0
+    for end, (_, (n, part, whole)) in zip(last, hits, strict=True):
+        if whole:
+            ranges.append((end + 1 - n, end + 1))
+            if (name := ("item", whole[0])) not in seen:
+                seen.add(name)
+                owners.update(whole)
+        if part:
+            for a in range(max(tried, end + 1 - width), min(end + 1 - n, len(words) - width) + 1):
+                tried = a + 1
+                if (place := machine.window(words[a : a + width])) is not None:
+                    ranges.append((a, a + width))
+                    if place not in seen:
+                        seen.add(place)
+                        owners.update(machine.owners.get(place, place[:1]))
     return len(words), ranges, owners
 
 
