@@ -115,8 +115,9 @@ class Machine(NamedTuple):
         """(margins, sums of factors, scaled statistics). Pairwise terms by the sum-of-squares identity, in linear time."""
         s = np.clip((f.stats - self.centre) / self.spread, -5, 5)
         v = self.factors[f.columns] * f.values[:, None]
-        total, square = s @ self.stat_factors, (s**2) @ (self.stat_factors**2)
-        margin = self.bias + s @ self.stat_linear + row_sums(self.linear[f.columns] * f.values, f.offsets)
+        by_row = lambda x, y: np.einsum("ij,jk->ik", x, y)  # noqa: E731  each row by itself, unlike a product of blocks
+        total, square = by_row(s, self.stat_factors), by_row(s**2, self.stat_factors**2)
+        margin = self.bias + by_row(s, self.stat_linear[:, None])[:, 0] + row_sums(self.linear[f.columns] * f.values, f.offsets)
         for k in range(v.shape[1]):
             total[:, k] += row_sums(v[:, k], f.offsets)
             square[:, k] += row_sums(v[:, k] ** 2, f.offsets)
@@ -176,10 +177,10 @@ def fit(
     buckets: int = 1 << 14, rank: int = 4,
 ) -> Machine:
     """A machine fitted on the rows of df (id, text) that labels (id, label 0/1) names: of at most most_rows labels, those
-    whose ids hash lowest.
+    whose ids hash lowest. Of rows that repeat an id, the one whose text hashes lowest is taken.
 
     The bound is on fitting alone, which is done by the driver on word buckets and statistics, about 10 KB a row. Labels that
-    are null are left out; a null text is empty. The chosen labels are broadcast, so no text is shuffled. metadata names
+    are null are left out; a null text is empty. The chosen labels are broadcast, so only their texts are shuffled. metadata names
     numeric columns that are features too; score takes the same. Without labels, every text scores one half.
     """
     named = labels.filter(F.col("label").isNotNull()).select(F.col(id_col).alias("id"), F.col("label").cast("double").alias("label"))
@@ -201,7 +202,9 @@ def fit(
     kind = df.schema[id_col].dataType.simpleString()
     extra = [F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(metadata)]
     rows = df.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), *extra)
-    picked = rows.join(F.broadcast(chosen), "id").select("text", "label", "id", *(f"m{i}" for i in range(len(metadata))))
+    more = [f"m{i}" for i in range(len(metadata))]
+    one = rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("digest"), "text", *more)).alias("r"))
+    picked = one.select("r.text", "label", "id", *(f"r.{m}" for m in more))
     found = picked.mapInArrow(run, f"label double, id {kind}, columns array<int>, values array<double>, stats array<double>").toArrow().to_pandas()
     found = found.assign(order=found["label"] * 0 + found["stats"].map(lambda x: x[0])).sort_values(["id", "label", "order"], kind="stable")
     sizes = found["columns"].map(len).to_numpy() if len(found) else np.zeros(0, np.int64)

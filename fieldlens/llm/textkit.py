@@ -124,10 +124,12 @@ def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
 
 
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of values between the offsets; empty rows give 0."""
-    total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
-    np.cumsum(values, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    """Sums of values between the offsets; empty rows give 0. A row's sum depends on its own values alone."""
+    out = np.zeros(len(offsets) - 1, np.float64 if values.dtype.kind == "f" else np.int64)
+    some = np.flatnonzero(offsets[1:] > offsets[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(values[: offsets[some[-1] + 1]], offsets[some], dtype=out.dtype)
+    return out
 
 
 def carried(columns: list[str] | tuple[str, ...], results: tuple[str, ...]) -> list[tuple[str, str]]:
