@@ -563,3 +563,100 @@ def test_pipeline_brute_force(spark):
     rate = {s: min(target[s] / total[s], 3.0) if total[s] else 0.0 for s in target}
     copies = {i: int(rate[source[i]]) + (draws(i) < rate[source[i]] % 1) for i in sizes if source[i] in rate}
     assert {r.doc_id: (r.size, r.source_size, r.copies, r.taken) for r in done} == {i: (sizes[i], total[source[i]], c, c * sizes[i]) for i, c in copies.items() if c}
+
+
+@pytest.mark.parametrize("bad", ["<!--", "<!-- >", "<a ", "<b></i>", "<b><hr>", "<div><b></i></p>", "<![CDATA[", '<a href="', "</", "<script>x</b>", "<td>"])
+def test_op5_bad_pages_take_linear_time(bad):
+    """A page of a megabyte of one piece, twice the piece, at most a few times its time."""
+    import time
+
+    n, took = (1 << 19) // len(bad), []
+    for k in (n, 2 * n):
+        begin = time.process_time()
+        pages.lines_of(bad * k)
+        took.append(time.process_time() - begin)
+    assert took[1] < 4 * took[0] + 0.5 and took[1] < 30
+
+
+def test_op5_comments_and_parts_inside_articles():
+    """An unclosed comment goes on to the end; names of parts of other kinds inside an article go, others stay."""
+    texts = {"a<!--b<p>c": ["a"], "a<!-->b": ["ab"], "a<!--->b": ["ab"], "a<!---->b": ["ab"], "a<!--x--!>b": ["ab"], "a<!-- x -- > y -->b": ["ab"], "x < y": ["x < y"], "a<b": ["a"]}
+    assert {x: [t for t, _, _ in pages.lines_of(x)] for x in texts} == texts
+    gone = "share-buttons ad-slot-1 advert-300x250 newsletter-signup-form comment-thread related-posts promo-card sponsored-content reader-responses".split()
+    kept = "article-body header-content post-card content post-content comment-on-the-news related-work-section".split()
+    assert all(pages._cruft("div", [("class", n)], True) for n in gone) and not any(pages._cruft("div", [("class", n)], True) for n in kept)
+
+
+def test_op6_shared_openings_and_repeats_take_linear_time():
+    """Items that share an opening, and texts and items of one repeated word."""
+    import time
+
+    opening = " ".join(f"o{k}" for k in range(7))
+    machine = contamination.automaton([(i, f"{opening} " + " ".join(f"i{i}w{k}" for k in range(8))) for i in range(20_000)], 13)
+    begin = time.process_time()
+    assert contamination.scan(f"{opening} x " * 200, machine)[1:] == ([], set())
+    assert contamination.scan(f"{opening} " + " ".join(f"i7w{k}" for k in range(8)), machine)[1:] == ([(0, 13), (1, 14), (2, 15)], {7})
+    one = contamination.automaton([(0, "a " * 8000), (1, "a " * 13), (2, "a " * 12), (3, "b a")], 13)
+    n, ranges, owners = contamination.scan("a " * 8000, one)
+    assert n == 8000 and owners == {0, 1, 2} and {k for a, b in ranges for k in range(a, b)} == set(range(8000))
+    assert time.process_time() - begin < 5
+
+
+def test_op8_scores_by_brute_force(spark):
+    """Each score is that of the sum over all pairs; copies score the same wherever they stand; one row a label is fitted on."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"], rng.integers(0, 40))) for _ in range(60)]
+    df = spark.createDataFrame([(k % 30, t, None if k % 7 == 0 else k) for k, t in enumerate(texts * 3)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(10)], "doc_id long, label long")
+    machine = quality.fit(df, labels, metadata=("n_chars",), buckets=64)
+    got = quality.score(df.repartition(7), machine, metadata=("n_chars",), keep=("text", "n_chars")).collect()
+    import pyarrow as pa
+
+    for r in got:
+        f = quality.features(pa.array([r.text]), 64, [pa.array([r.n_chars], pa.float64())])
+        s = np.clip((f.stats[0] - machine.centre) / machine.spread, -5, 5)
+        x = [(v, machine.linear[c], machine.factors[c]) for c, v in zip(f.columns, f.values, strict=True)] + list(zip(s, machine.stat_linear, machine.stat_factors, strict=True))
+        margin = machine.bias + sum(v * w for v, w, _ in x) + sum(x[a][0] * x[b][0] * float(x[a][2] @ x[b][2]) for a in range(len(x)) for b in range(a))
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(margin, -30, 30)))) < 1e-9
+    by = {}
+    for r in got:
+        by.setdefault((r.text, r.n_chars), set()).add(r.score)
+    assert all(len(v) == 1 for v in by.values())
+    repeated = df.unionByName(df.filter("doc_id < 10").withColumn("text", F.concat("text", F.lit(" more"))).repartition(3))
+    assert quality.fit(repeated.repartition(5), labels, metadata=("n_chars",), buckets=64).bias == quality.fit(repeated, labels, metadata=("n_chars",), buckets=64).bias
+
+
+def test_op8_score_does_not_depend_on_the_batch():
+    import pyarrow as pa
+
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(300)]
+    label = np.array([k % 2 for k in range(300)], float)
+    machine = quality.fit_machine(quality.features(pa.array(texts), 256, []), label, buckets=256)
+    whole = machine.scores(quality.features(pa.array(texts), 256, []))
+    assert all(machine.scores(quality.features(pa.array(texts[k : k + n]), 256, []))[0] == whole[k] for k, n in [(0, 1), (5, 1), (17, 40), (200, 3), (299, 1)])
+
+
+def test_op1_against_a_plain_expectation_maximisation(spark):
+    """On short mixtures the languages found are the best set by penalised likelihood of all sets that a plain EM is run on."""
+    import itertools
+
+    train = spark.createDataFrame([("the cat and the dog were there with them " * 9, "en"), ("der hund und die katze waren dort mit ihnen " * 9, "de"), ("le chat et le chien sont avec nous ici " * 9, "fr")], "text string, lang string")
+    model = langid.fit(train)
+    mixes = [(1, "the dog and the cat " * 20), (2, "der hund und die katze " * 20 + "le chat et le chien " * 20), (3, "le chien " * 15)]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(mixes, "doc_id long, text string"), model).collect()}
+    langs, table = model
+    for k, text in mixes:
+        n = langid.grams(text, len(table)).astype(float)
+        like, counts, best = table[n > 0], n[n > 0], (-np.inf, ())
+        for size in range(1, len(langs) + 1):
+            for chosen in itertools.combinations(range(len(langs)), size):
+                share = np.full(size, 1 / size)
+                for _ in range(300):
+                    part = like[:, chosen] * share
+                    share = (counts[:, None] * part / part.sum(1, keepdims=True)).sum(0) / counts.sum()
+                value = (counts * np.log((like[:, chosen] * share).sum(1))).sum() - 3.0 * np.log(counts.sum()) / 2 * (size - 1)
+                best = max(best, (value, tuple(zip([langs[c] for c in chosen], share.tolist(), strict=True))))
+        assert set(got[k].langs) == {name for name, _ in best[1]}
+        assert all(abs(dict(best[1])[name] - share) < 0.02 for name, share in zip(got[k].langs, got[k].shares, strict=True))
