@@ -152,15 +152,16 @@ def precision_recall(matches: DataFrame, truths: DataFrame, *, rows_a_task: int
 
 def sampled(curve: DataFrame, truths: DataFrame, params: EvalParams) -> DataFrame:
     """(area, iou_thr, category_id, rec_thr, precision, score) at recall 0, 1/steps ... 1: of the first point that reaches it,
-    else 0. Classes without ground truth give no rows (their cells are undefined)."""
+    else 0. Classes without ground truth give no rows (their cells are undefined).
+
+    The first point of each step that is reached is found by an aggregation, in each task first; the first that reaches a
+    step or a higher one is the least of these, of which a class has steps + 1 at most.
+    """
     spark, steps = curve.sparkSession, params.recall_steps
-    lead = Window.partitionBy(*KEY).orderBy("recall")
-    points = curve.groupBy(*KEY, "recall").agg(F.min_by(F.struct("envelope", "score"), "place").alias("p"))
-    gap = points.withColumn("prev", F.lag("recall").over(lead))
-    low = F.when(F.col("prev").isNull(), F.lit(0)).otherwise(F.floor(F.col("prev") * steps + 1e-9) + 1).cast("int")
-    high = F.floor(F.col("recall") * steps + 1e-9).cast("int")
-    reached = gap.withColumns({"low": low, "high": high}).filter("low <= high")
-    hit = reached.select(*KEY, F.explode(F.sequence("low", "high")).alias("step"), F.col("p.envelope").alias("precision"), F.col("p.score").alias("score"))
+    reached = F.floor(F.col("recall") * steps + 1e-9).cast("int").alias("step")
+    point = F.struct("place", F.col("envelope").alias("precision"), "score").alias("p")
+    first = curve.select(*KEY, reached, point).groupBy(*KEY, "step").agg(F.min("p").alias("p"))  # steps + 1 rows a class
+    hit = first.select(*KEY, F.explode(F.sequence(F.lit(0), "step")).alias("step"), "p").groupBy(*KEY, "step").agg(F.min("p").alias("p")).select(*KEY, "step", "p.precision", "p.score")
     every = F.broadcast(truths.select("area", "category_id")).crossJoin(spark.range(steps + 1).select(F.col("id").cast("int").alias("step")))
     grid = every.withColumn("iou_thr", F.explode(F.array(*[F.lit(float(i)) for i in params.iou])))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
