@@ -7,10 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions import geometry as G
+from fieldlens.operators.scan import Fold, range_scan
 from fieldlens.sources.shared import cut, small
 
 
@@ -156,15 +158,33 @@ class _Rays:
             spent = s["n"][live] > how.most
             near = ~spent & (np.abs(gap) <= how.threshold)
             go = ~spent & ~near
-            up, down = live[go & (gap > 0)], live[go & ~(gap > 0)]
-            s["low"][up], s["high"][down] = s["mu"][up], s["mu"][down]
-            s["mu"][up] = np.where(np.isnan(s["high"][up]), s["mu"][up] * 2, (s["mu"][up] + s["high"][up]) / 2)
-            s["mu"][down] = (s["low"][down] + s["mu"][down]) / 2
+            self._turn(live[go & (gap > 0)], live[go & ~(gap > 0)])
             s["n"][live] += go
             s["done"][live], s["found"][live], s["elevation"][live] = ~go, near, ground
             s["gx"][live], s["gy"][live] = xr[here] * r["pixel_width"] + r["x_origin"], yr[here] * r["pixel_height"] + r["y_origin"]
 
 
+    def skip(self, low: np.ndarray, high: np.ndarray, tile: int, r: dict, size: tuple[int, int], how: Search) -> None:
+        """Moves all rays on while the least and greatest elevation of the tile that they look at tell which way."""
+        s, rows = self.state, np.arange(len(self.u))
+        while True:
+            rows = rows[~s["done"][rows] & (s["n"][rows] <= how.most)]
+            xr, yr, z = self.cells(rows, r, size)
+            above, below = z + how.height - high[yr // tile, xr // tile] > how.threshold, z + how.height - low[yr // tile, xr // tile] < -how.threshold
+            rows = rows[above | below]
+            if not len(rows):
+                return
+            self._turn(rows[above[above | below]], rows[below[above | below]])
+            s["n"][rows] += 1
+
+    def _turn(self, up: np.ndarray, down: np.ndarray) -> None:
+        """The next depth of rays above the ground, and of those in it."""
+        s = self.state
+        s["low"][up], s["high"][down] = s["mu"][up], s["mu"][down]
+        s["mu"][up] = np.where(np.isnan(s["high"][up]), s["mu"][up] * 2, (s["mu"][up] + s["high"][up]) / 2)
+        s["mu"][down] = (s["low"][down] + s["mu"][down]) / 2
+
+
 def _advance(f: pd.DataFrame, grid: np.ndarray, corner: tuple[int, int], r: dict, size: tuple[int, int], how: Search) -> pd.DataFrame:
     rays = _Rays(f)
     rays.advance(np.arange(len(f)), grid, corner, r, size, how)
@@ -184,21 +204,74 @@ def _sized(raster: Raster) -> tuple[tuple[int, int], int, float]:
     return ((size[0] or 0) + 1, (size[1] or 0) + 1), size[2], size[3] or 0.0
 
 
-def ground_points(rays: DataFrame, raster: Raster, how: Search = Search(), *, limit_cells: int = 4_000_000, tile: int = 256) -> DataFrame:
+#: A pyramid has so many tiles at most: its tiles grow with the raster.
+MOST_TILES = 1 << 20
+
+
+@dataclass(frozen=True)
+class Pyramid:
+    """A raster made ready for searches: either small enough to go to the tasks whole (grid), or packed in tiles.
+
+    tiles is a written table (tx, ty, cells: a tile's elevations as doubles by rows); low and high have the least and greatest
+    elevation of each tile. There are MOST_TILES of these at most.
+    """
+
+    raster: Raster
+    size: tuple[int, int]
+    grid: np.ndarray | None
+    tile: int = 0
+    tiles: DataFrame | None = None
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
+
+    @property
+    def place(self) -> dict:
+        return {k: getattr(self.raster, k) for k in ("x_origin", "pixel_width", "y_origin", "pixel_height", "offset")}
+
+
+def pyramid(raster: Raster | Pyramid, *, limit_cells: int = 4_000_000, tile: int = 256) -> Pyramid:
+    """The raster made ready; one of more than limit_cells is packed in tiles, by the tasks. Cells that aren't there have the
+    least elevation."""
+    if isinstance(raster, Pyramid):
+        return raster
+    size, n, least = _sized(raster)
+    if n <= limit_cells:
+        return Pyramid(raster, size, _whole_grid(raster.cells, size))
+    while -(-size[0] // tile) * -(-size[1] // tile) > MOST_TILES:
+        tile *= 2
+
+    def pack(table: pa.Table) -> pa.Table:
+        tx, ty = table["tx"][0].as_py(), table["ty"][0].as_py()
+        grid = np.full((min(tile, size[1] - ty * tile), min(tile, size[0] - tx * tile)), least)
+        grid[table["yr"].to_numpy() - ty * tile, table["xr"].to_numpy() - tx * tile] = table["elev"].to_numpy()
+        return pa.table({"tx": [tx], "ty": [ty], "low": [grid.min()], "high": [grid.max()], "cells": pa.array([grid.tobytes()], pa.binary())})
+
+    at = raster.cells.select(*(F.floor(F.col(c) / tile).cast("long").alias(t) for c, t in (("xr", "tx"), ("yr", "ty"))), *(F.col(c).cast("long").alias(c) for c in ("xr", "yr")), F.col("elev").cast("double"))
+    tiles = cut(at.groupBy("tx", "ty").applyInArrow(pack, "tx long, ty long, low double, high double, cells binary"), "pyramid")
+    ends = tiles.select("tx", "ty", "low", "high").toArrow()
+    shape = -(-size[1] // tile), -(-size[0] // tile)
+    low, high = np.full(shape, least), np.full(shape, least)
+    low[ends["ty"].to_numpy(), ends["tx"].to_numpy()], high[ends["ty"].to_numpy(), ends["tx"].to_numpy()] = ends["low"].to_numpy(), ends["high"].to_numpy()
+    return Pyramid(raster, size, None, tile, tiles, low, high)
+
+
+def ground_points(rays: DataFrame, raster: Raster | Pyramid, how: Search = Search(), *, limit_cells: int = 4_000_000, tile: int = 256) -> DataFrame:
     """rays (i00..i22, p03, p13, p23, m02, m12, u, v, mu0, ...) with gx, gy, found, mu and elevation of the ground they show.
 
     The search begins at the depth mu0; gx and gy are world coordinates of the cell that it ended in. A raster of up to
-    limit_cells goes to the tasks whole. A larger one stays in tiles, and rays travel: each round brings a ray together with
-    the tile of its cell and moves it on until it is done or leaves the tile; rays that look at one tile are dealt out to
-    several tasks, and each round is written to the shared folder. A stream needs a raster within the limit.
+    limit_cells goes to the tasks whole. Of a larger one tiles' least and greatest elevations do; they tell which way most
+    looks go (above a tile's greatest elevation a ray is in the air, below its least in the ground), and only where they
+    don't is a ray brought together with its tile. So a ray meets a handful of tiles, and no cell is shuffled but in a tile
+    that is needed. Rays that need one tile are dealt out to several tasks; each round is written to the shared folder. A
+    stream needs a raster within the limit. To search one raster several times, make it ready first (pyramid).
     """
-    size, n, least = _sized(raster)
-    r = {k: getattr(raster, k) for k in ("x_origin", "pixel_width", "y_origin", "pixel_height", "offset")}
+    ready = pyramid(raster, limit_cells=limit_cells, tile=tile)
+    r, size = ready.place, ready.size
     state = _started(rays)
     kinds = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in state.schema)
     drop = ["low", "high", "n", "done"]
-    if n <= limit_cells:
-        sent = rays.sparkSession.sparkContext.broadcast(_whole_grid(raster.cells, size))
+    if ready.grid is not None:
+        sent = rays.sparkSession.sparkContext.broadcast(ready.grid)
 
         def run(frames):
             for f in frames:
@@ -206,37 +279,44 @@ def ground_points(rays: DataFrame, raster: Raster, how: Search = Search(), *, li
 
         return state.mapInPandas(run, kinds).drop(*drop)
     if rays.isStreaming:
-        raise ValueError(f"a raster of {n} cells is too large for a stream: place its rows batch by batch")
-    return _by_tiles(state, raster.cells, kinds, r, size, least, how, tile).drop(*drop)
+        raise ValueError(f"a raster of {size[0]} x {size[1]} cells is too large for a stream: place its rows batch by batch")
+    return _by_tiles(state, ready, kinds, how).drop(*drop)
+
 
+def _by_tiles(state: DataFrame, ready: Pyramid, kinds: str, how: Search, *, rays_a_task: int = 50_000) -> DataFrame:
+    columns, r, size, tile = state.columns, ready.place, ready.size, ready.tile
+    ends = state.sparkSession.sparkContext.broadcast((ready.low, ready.high))
 
-def _by_tiles(state: DataFrame, cells: DataFrame, kinds: str, r: dict, size: tuple[int, int], least: float, how: Search, tile: int, *, rays_a_task: int = 50_000) -> DataFrame:
-    columns = state.columns
-    packed = cells.select(F.floor(F.col("xr") / tile).alias("tx"), F.floor(F.col("yr") / tile).alias("ty"), "xr", "yr", "elev")
+    def placed(f: pd.DataFrame, rays: _Rays) -> pd.DataFrame:
+        """Rays moved on as far as the tiles' ends tell, with the tile that each needs next."""
+        rays.skip(*ends.value, tile, r, size, how)
+        xr, yr, _ = rays.cells(np.arange(len(f)), r, size)
+        return f.assign(**rays.state, tx=xr // tile, ty=yr // tile)
 
     def look(frames):
         for f in frames:
-            xr, yr, _ = _Rays(f).cells(np.arange(len(f)), r, size)
-            yield f.assign(tx=xr // tile, ty=yr // tile)
-
-    def move(key, mine, grid_rows):
-        if not len(mine):
-            return mine[columns]
-        grid = np.full((tile, tile), least)
-        grid[grid_rows["yr"] % tile, grid_rows["xr"] % tile] = grid_rows["elev"]
-        edge = (min(tile, size[0] - int(key[0]) * tile), min(tile, size[1] - int(key[1]) * tile))
-        return _advance(mine[columns], grid[: edge[1], : edge[0]], (int(key[0]) * tile, int(key[1]) * tile), r, size, how)[columns]
-
-    live, ended = cut(state, "rays"), []
-    while not live.isEmpty():
-        at = live.mapInPandas(look, f"{kinds}, tx long, ty long")
-        at = cut(at, "rays-at")
+            yield placed(f, _Rays(f))
+
+    def move(key, mine, tiles):
+        rays, (tx, ty) = _Rays(mine), (int(key[0]), int(key[1]))
+        shape = min(tile, size[1] - ty * tile), min(tile, size[0] - tx * tile)
+        grid = np.frombuffer(tiles["cells"].iloc[0]).reshape(shape) if len(tiles) else np.full(shape, ends.value[0][ty, tx])
+        before = -1
+        while (left := int(rays.state["n"].sum() + rays.state["done"].sum())) != before:  # tiles' ends may lead a ray back
+            before = left
+            rays.advance(np.arange(len(mine)), grid, (tx * tile, ty * tile), r, size, how)
+            rays.skip(*ends.value, tile, r, size, how)
+        return placed(mine[columns], rays)[[*columns, "tx", "ty"]]
+
+    at, ended = cut(state.mapInPandas(look, f"{kinds}, tx long, ty long"), "rays"), []
+    while not at.isEmpty():
         parts = cut(at.groupBy("tx", "ty").agg(F.ceil(F.count("*") / rays_a_task).alias("parts")), "rays-tiles")
         mine = at.join(parts, ["tx", "ty"]).withColumn("part", F.expr(f"pmod(xxhash64({', '.join(f'`{c}`' for c in columns)}), parts)"))
-        theirs = packed.join(parts.select("tx", "ty", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")), ["tx", "ty"])
-        moved = cut(mine.groupBy("tx", "ty", "part").cogroup(theirs.groupBy("tx", "ty", "part")).applyInPandas(move, kinds), "rays-moved")
-        ended.append(moved.filter("done"))
-        live = moved.filter("not done")
+        needed = parts.select("tx", "ty", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        theirs = ready.tiles.select("tx", "ty", "cells").join(small(needed), ["tx", "ty"])
+        moved = cut(mine.groupBy("tx", "ty", "part").cogroup(theirs.groupBy("tx", "ty", "part")).applyInPandas(move, f"{kinds}, tx long, ty long"), "rays-moved")
+        ended.append(moved.filter("done").drop("tx", "ty"))
+        at = moved.filter("not done")
     return reduce(DataFrame.unionByName, ended) if ended else state
 
 
@@ -318,10 +398,12 @@ def segment_errors(tracks: DataFrame, anchors: DataFrame, warps: DataFrame, came
     ahead = points.withColumn("__s", F.col("segment") + 1).join(small(first), "__s", "left")
     ahead = ahead.withColumns({n: F.coalesce(F.col(n), F.lit(v)) for n, v in IDENTITY.items()})
 
+    raster = pyramid(raster, **options)
+
     def placed(at: DataFrame, depth: DataFrame | None, camera: Column) -> DataFrame:
         seeded = at.withColumn("__mu", F.lit(mu)) if depth is None else at.join(small(depth), "segment").withColumnRenamed("depth", "__mu")
         rays = camera_rays(seeded.withColumnRenamed("segment", "home").withColumn("segment", camera), cameras, F.col("__mu"))
-        got = ground_points(rays, raster, how, **options)
+        got = ground_points(rays, raster, how)
         return cut(got.select(F.col("home").alias("segment"), "track_id", "gx", "gy", "mu"), "segment-error")
 
     depth = lambda df: df.groupBy("segment").agg(F.avg("mu").alias("depth"))
@@ -379,22 +461,42 @@ def anchor_frames(anchors: DataFrame, frames: DataFrame, *, key: str = "observat
     path), not before that of the anchor before it, whose path contains the name. Anchors without one are left out.
 
     Frames meet anchors by the last part of the path; only names that no frame has in that place are looked for inside
-    the paths. The frames found are folded in order of the anchors, by observation: names may repeat.
+    the paths. Names may repeat. Anchors are gone through in order by ranges: what a range does to the frame reached is a
+    rising step function, so an observation's anchors needn't lie in one row or task.
     """
     named = frames.withColumn("__base", F.regexp_extract("path", "[^/]+$", 0))
     equal = anchors.join(named, (anchors[key] == named[key]) & (F.col("image_name") == F.col("__base"))).select(anchors[key], "anchor_ind", "frame_ind")
     rest = anchors.join(named, (anchors[key] == named[key]) & (F.col("image_name") == F.col("__base")), "left_anti").withColumnRenamed(key, "__key")
     inside = named.join(small(rest), (F.col(key) == F.col("__key")) & F.col("path").contains(F.col("image_name"))).select(key, "anchor_ind", "frame_ind")
     each = equal.unionByName(inside).groupBy(key, "anchor_ind").agg(F.array_sort(F.collect_set("frame_ind")).alias("found"))
-    lists = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("anchor_ind", "found"))).alias("anchors"))
-    start = F.struct(F.lit(None).cast("long").alias("at"), F.array().cast("array<struct<anchor_ind:bigint,obs_ind:bigint>>").alias("out"))
+    schema = f"{key} {anchors.schema[key].dataType.simpleString()}, anchor_ind long, obs_ind long"
+    rows = each.select(key, F.col("anchor_ind").cast("long").alias("anchor_ind"), F.col("found").cast("array<bigint>").alias("found"))
+    return range_scan(rows, key, "anchor_ind", ["found"], Fold(None, _ahead, (np.zeros(0, np.int64),) * 2, _ahead_of_all, _ahead_by), schema)
+
 
-    def step(acc: Column, a: Column) -> Column:
-        ahead = F.get(F.filter(a["found"], lambda f: acc["at"].isNull() | (f >= acc["at"])), F.lit(0)).cast("long")
-        row = F.struct(a["anchor_ind"].cast("long").alias("anchor_ind"), ahead.alias("obs_ind"))
-        return F.struct(F.coalesce(ahead, acc["at"]).alias("at"), F.when(ahead.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(row))).alias("out"))
+def _ahead(at: int | None, row: tuple) -> tuple[int | None, tuple | None]:
+    """The first of an anchor's frames not before at; without one, at stays and the anchor gives nothing."""
+    found = row[1]
+    k = 0 if at is None else int(np.searchsorted(found, at))
+    return (int(found[k]), (int(found[k]),)) if k < len(found) else (at, None)
 
-    return lists.select(key, F.explode(F.aggregate("anchors", start, step, lambda acc: acc["out"])).alias("a")).select(key, "a.*")
+
+def _ahead_of_all(steps: tuple[np.ndarray, np.ndarray], row: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """What anchors in a row do to the frame reached, as a rising step function (ends, values): up to each end, the value;
+    beyond the last end, nothing changes. A further anchor moves the values on, and takes ends of its own behind the last."""
+    (ends, values), found = steps, np.asarray(row[1], np.int64)
+    k = np.searchsorted(found, values)
+    values = np.where(k < len(found), found[np.minimum(k, len(found) - 1)], values)
+    own = found[np.searchsorted(found, ends[-1], "right") :] if len(ends) else found
+    ends, values = np.r_[ends, own], np.r_[values, own]
+    last = np.r_[values[1:] != values[:-1], True] if len(values) else np.zeros(0, bool)
+    return ends[last], values[last]
+
+
+def _ahead_by(steps: tuple[np.ndarray, np.ndarray], at: int | None) -> int | None:
+    ends, values = steps
+    k = 0 if at is None else int(np.searchsorted(ends, at))
+    return int(values[k]) if k < len(ends) else at
 
 
 def truth_frames(log: DataFrame, frames: DataFrame, *, for_test: bool = False) -> DataFrame:
@@ -448,17 +550,19 @@ def map_bundle(cameras: DataFrame, offsets: DataFrame, raster: DataFrame, *, key
     return cameras.join(small(offsets), key, "left").join(small(shape), key, "left")
 
 
-def warp_chain(warps: DataFrame) -> DataFrame:
-    """(segment, step, c00..c12): the product of the segment's warps up to each step, folded in order within the segment."""
-    names = list(IDENTITY)
-    rows = warps.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("step", *names))).alias("steps"))
-    kind = "array<struct<step:bigint," + ",".join(f"{n}:double" for n in names) + ">>"
+def _product(a: tuple, b: tuple) -> tuple:
+    """Of two affine warps as six numbers by rows, b first."""
+    return (
+        a[0] * b[0] + a[1] * b[3], a[0] * b[1] + a[1] * b[4], a[0] * b[2] + a[1] * b[5] + a[2],
+        a[3] * b[0] + a[4] * b[3], a[3] * b[1] + a[4] * b[4], a[3] * b[2] + a[4] * b[5] + a[5],
+    )
 
-    def add(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        new = G.compose([last[n] for n in names], [s[n] for n in names])
-        made = [F.when(F.size(acc) == 0, s[n]).otherwise(v).alias(n) for n, v in zip(names, new, strict=True)]
-        return F.concat(acc, F.array(F.struct(s["step"].cast("long").alias("step"), *made)))
 
-    folded = rows.select("segment", F.explode(F.aggregate("steps", F.array().cast(kind), add)).alias("w"))
-    return folded.select("segment", "w.step", *(F.col(f"w.{n}").alias(n.replace("m", "c")) for n in names))
+def warp_chain(warps: DataFrame) -> DataFrame:
+    """(segment, step, c00..c12): the product of the segment's warps up to each step. Segments may have any length: products
+    of the ranges before give what a range begins with."""
+    names = list(IDENTITY)
+    chain = lambda state, row: (state and _product(state, row[1:])) or row[1:]
+    fold = Fold(None, lambda state, row: (chain(state, row),) * 2, None, chain, lambda total, state: _product(state, total) if state else total)
+    schema = f"segment {warps.schema['segment'].dataType.simpleString()}, step long, " + ", ".join(f"{n.replace('m', 'c')} double" for n in names)
+    return range_scan(warps.withColumn("step", F.col("step").cast("long")), "segment", "step", names, fold, schema)

@@ -306,3 +306,47 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_range_scan_of_long_keys(spark):
+    """A chain and anchors that lie over many ranges give what going through them one by one does."""
+    rng = np.random.default_rng(1)
+    names = list(G.IDENTITY)
+    rows = [(0 if k < 400 else k % 3, k, *(rng.normal(size=6) * 0.1 + [1, 0, 0, 0, 1, 0]).tolist()) for k in range(700)]
+    schema = "segment long, step long, " + ", ".join(f"{n} double" for n in names)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.segment, r.step): np.array(r[2:]).reshape(2, 3) for r in G.warp_chain(spark.createDataFrame(rows, schema).repartition(9)).collect()}
+        last = {}
+        for s, k, *m in rows:
+            now = np.vstack([np.array(m).reshape(2, 3), [0, 0, 1]])
+            last[s] = last[s] @ now if s in last else now
+            assert np.allclose(got[s, k], last[s][:2])
+        assert len(got) == 700
+        frames = spark.createDataFrame([(0, f, f"a/f{f % 90}.jpg") for f in range(900)], "observation_id long, frame_ind long, path string")
+        anchors = [(0, k, f"f{int(x)}.jpg") for k, x in enumerate(rng.integers(0, 95, 300))]
+        found = {r.anchor_ind: r.obs_ind for r in G.anchor_frames(spark.createDataFrame(anchors, "observation_id long, anchor_ind long, image_name string"), frames).collect()}
+        at, want = 0, {}
+        for _, k, name in anchors:
+            ahead = [f for f in range(at, 900) if f"f{f % 90}.jpg" == name]
+            if ahead:
+                at = want[k] = ahead[0]
+        assert found == want and len(want) > 10
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("tile", [4, 16])
+def test_pyramid_equals_whole_grid(spark, tile):
+    """Over rough ground, with holes, searches by tiles end where searches of the whole raster do."""
+    from fieldlens.plans import mapping as P
+
+    t = Tables(spark, SF)
+    rays = P._rays(t).filter("obs_ind < 300").select(*(c for c in P._rays(t).columns))
+    raster = P.raster(t)
+    holes = G.Raster(raster.cells.filter("xr % 7 <> 3 or yr % 5 <> 2").withColumn("elev", F.col("elev") + F.col("xr") * 2), **{k: getattr(raster, k) for k in ("x_origin", "pixel_width", "y_origin", "pixel_height", "offset")})
+    ready = G.pyramid(holes, limit_cells=0, tile=tile)
+    assert ready.grid is None and ready.low.shape == ready.high.shape
+    columns = ["track_id", "obs_ind", "gx", "gy", "found", "mu", "elevation"]
+    one, two = (plain(G.ground_points(rays, r).select(*columns).toPandas()) for r in (holes, ready))
+    pd.testing.assert_frame_equal(one, two)
