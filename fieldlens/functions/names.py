@@ -54,3 +54,9 @@ def frame_number(name: Column) -> Column:
 
 def short_class(name: Column) -> Column:
     return F.when(F.length(name) > 13, F.concat(F.substring(name, 1, 11), F.lit(".."))).otherwise(name)
+
+
+def frame_name(name: Column, number: Column, digits: int = 5, ending: str = ".jpg") -> Column:
+    """The name of another frame of the same video: its last part, so many digits and an ending, replaced."""
+    stem = F.substring(name, F.lit(1), F.length(name) - (digits + len(ending)))
+    return F.concat(stem, F.format_string(f"%0{digits}d", number), F.lit(ending))

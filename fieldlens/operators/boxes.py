@@ -50,16 +50,35 @@ def confidence_band(df: DataFrame, low: float = 0.05, high: float = 0.5) -> Data
     return df.filter(F.col("score") >= low).withColumn("band", F.when(F.col("score") < high, "low").otherwise("high"))
 
 
-def crop_start(v1: Column, v2: Column, size: int, crop: int, u: Column, buffer: int = 200) -> Column:
+def hflip_boxes(df: DataFrame, width: Column, flip: Column | bool = True) -> DataFrame:
+    """Boxes mirrored in images of a width, where flip is true."""
+    flipped = F.lit(flip) if isinstance(flip, bool) else flip
+    return df.withColumns({"x1": F.when(flipped, width - F.col("x2")).otherwise(F.col("x1")), "x2": F.when(flipped, width - F.col("x1")).otherwise(F.col("x2"))})
+
+
+def jitter_boxes(df: DataFrame, jitter: Column, width: int, height: int) -> DataFrame:
+    """Boxes resized as their image (width, height) is that is made to fit a size, times jitter."""
+    return resize_boxes(df, F.least(F.lit(float(height)) / F.col("height"), F.lit(float(width)) / F.col("width")) * jitter)
+
+
+def crop_start(v1: Column, v2: Column, size: Column, crop: int, u: Column, buffer: int = 200) -> Column:
     """Where a crop starts that holds the stretch v1..v2 with a buffer, at the share u between the least and the most.
 
     0 where the crop is as large as the image; null where it is larger.
     """
-    if crop >= size:
-        return F.lit(0 if crop == size else None).cast("long")
-    inside = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(0.999), v.cast("double") / F.lit(size - crop)))
+    room = size - crop
+    inside = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(0.999), v.cast("double") / room))
     least, most = inside(v2 - crop + buffer), inside(v1 - buffer)
-    return ((least + u * (most - least)) * F.lit(size - crop)).cast("long")
+    return F.when(room == 0, F.lit(0).cast("long")).when(room > 0, ((least + u * (most - least)) * room).cast("long"))
+
+
+def box_crops(df: DataFrame, crop_w: int, crop_h: int, u: Column, *, buffer: int = 200) -> DataFrame:
+    """df (x1, y1, x2, y2, and its image's width and height) with crop_left and crop_top of a crop that holds the box, and
+    too_large where the crop is larger than the image; then both are null."""
+    side = lambda a, b, size, crop: crop_start(F.col(a), F.col(b), F.col(size), crop, u, buffer)
+    out = df.withColumns({"crop_left": side("x1", "x2", "width", crop_w), "crop_top": side("y1", "y2", "height", crop_h)})
+    large = F.col("crop_left").isNull() | F.col("crop_top").isNull()
+    return out.withColumn("too_large", large).withColumns({c: F.when(~F.col("too_large"), F.col(c)) for c in ("crop_left", "crop_top")})
 
 
 def crop_plan(df: DataFrame, crop_w: int, crop_h: int, *, seed: int, spread: float | None = None, tries: int = 64) -> DataFrame:

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fieldlens.sources.shared import cut, small
@@ -101,9 +103,11 @@ def unknown_ids(images: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(images, "image_id", "left_anti")
 
 
-def remap(annotations: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Annotations with new_id by (category_id, new_id); null, and unmapped true, where the mapping has none."""
-    return annotations.join(small(mapping), "category_id", "left").withColumn("unmapped", F.col("new_id").isNull())
+def remap(annotations: DataFrame, mapping: DataFrame, *, seen: Observation | None = None) -> DataFrame:
+    """Annotations with new_id by (category_id, new_id); null, and unmapped true, where the mapping has none. seen gets the
+    number of these rows, once an action has run."""
+    out = annotations.join(small(mapping), "category_id", "left").withColumn("unmapped", F.col("new_id").isNull())
+    return out.observe(seen, F.count_if("unmapped").alias("unmapped")) if seen else out
 
 
 def merged_categories(categories: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -147,33 +151,75 @@ def partition(images: DataFrame, shares: dict[str, float], shuffle: Column) -> D
     return placed.select("image_id", out.alias("split"))
 
 
-def combine(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """(images, annotations) of several datasets, in their order: images numbered from 1, annotations from 0."""
+class Dataset(NamedTuple):
+    images: DataFrame
+    annotations: DataFrame
+    categories: DataFrame
+
+
+def combine(parts: list[Dataset], *, keep_ids: bool = False) -> Dataset:
+    """Several datasets in their order, with the first one's categories: images with new_image_id, numbered from 1 (or as they
+    were, with keep_ids, which takes ids that are distinct over all parts), annotations with it and new_id, numbered from 0."""
     tag = lambda df, k: df.withColumn("file_ord", F.lit(k))
-    images = tag(parts[0][0], 0)
-    annotations = tag(parts[0][1], 0)
-    for k, (i, a) in enumerate(parts[1:], 1):
-        images, annotations = images.unionByName(tag(i, k)), annotations.unionByName(tag(a, k))
-    placed = renumber(images, ["file_ord", "image_id"], "new_image_id")
+    images = reduce(DataFrame.unionByName, (tag(p.images, k) for k, p in enumerate(parts)))
+    annotations = reduce(DataFrame.unionByName, (tag(p.annotations, k) for k, p in enumerate(parts)))
+    placed = images.withColumn("new_image_id", F.col("image_id")) if keep_ids else renumber(images, ["file_ord", "image_id"], "new_image_id")
     moved = annotations.join(placed.select("file_ord", "image_id", "new_image_id"), ["file_ord", "image_id"])
-    return placed, renumber(moved, ["new_image_id", "id"], "new_id", 0)
+    return Dataset(placed, renumber(moved, ["file_ord", "image_id", "id"], "new_id", 0), parts[0].categories)
 
 
-def remove_category(images: DataFrame, annotations: DataFrame, category: int, whole_images: bool) -> tuple[DataFrame, DataFrame]:
-    """Without a category's annotations, or without the images that have any; images left without annotations go too."""
+def remove_category(data: Dataset, name: str, whole_images: bool = False) -> Dataset:
+    """Without a category (by name) and its annotations, or without the images that have any; images left without annotations
+    go too, and annotations get new_id, numbered from 1. A name that no category has changes nothing. Of several categories
+    of the name all rows go, but only the annotations of the last."""
+    category = data.categories.filter(F.col("name") == name).agg(F.max("category_id")).first()[0]
+    if category is None:
+        return data._replace(annotations=data.annotations.withColumn("new_id", F.col("id")))
     if whole_images:
-        bad = annotations.filter(F.col("category_id") == category).select("image_id").distinct()
-        left = annotations.join(bad, "image_id", "left_anti")
+        bad = data.annotations.filter(F.col("category_id") == category).select("image_id").distinct()
+        left = data.annotations.join(bad, "image_id", "left_anti")
     else:
-        left = annotations.filter(F.col("category_id") != category)
-    return images.join(left, "image_id", "left_semi"), renumber_annotations(left)
+        left = data.annotations.filter(F.col("category_id") != category)
+    return Dataset(data.images.join(left, "image_id", "left_semi"), renumber_annotations(left), data.categories.filter(F.col("name") != name))
+
+
+def empty_like(data: Dataset) -> Dataset:
+    """The categories, and no images or annotations."""
+    return data._replace(images=data.images.filter(F.lit(False)), annotations=data.annotations.filter(F.lit(False)))
+
+
+def category_ids(df: DataFrame, categories: DataFrame, *, name: str = "name", seen: Observation | None = None) -> DataFrame:
+    """df with the category_id of its name: the least that a category of the name has; null for an unknown one. seen gets
+    the number of rows with unknown names, once an action has run."""
+    known = categories.groupBy(F.col("name").alias(name)).agg(F.min("category_id").alias("category_id"))
+    out = df.join(small(known), name, "left")
+    return out.observe(seen, F.count_if(F.col("category_id").isNull()).alias("unknown")) if seen else out
 
 
-def class_histogram(annotations: DataFrame, categories: DataFrame) -> DataFrame:
-    """Instances and images by category, those without any as well."""
-    counts = annotations.groupBy("category_id").agg(F.count("*").alias("n"), F.count_distinct("image_id").alias("n_images"))
+def area_distribution(annotations: DataFrame, *, accuracy: int | None = None) -> DataFrame:
+    """(category_id, n, least, most, middle) of the boxes' areas. With an accuracy the median comes from a mergeable sketch,
+    whose rank is off by 1 / accuracy of the rows at most; without, every area of a class is kept until the end."""
+    middle = F.expr("percentile_disc(0.5) within group (order by area)") if accuracy is None else F.percentile_approx("area", 0.5, accuracy)
+    return annotations.groupBy("category_id").agg(F.count("*").alias("n"), F.min("area").alias("least"), F.max("area").alias("most"), middle.alias("middle"))
+
+
+def area_histogram(annotations: DataFrame, width: float) -> DataFrame:
+    """(category_id, bin, n): boxes by area, in bins of a width, those that have any."""
+    return annotations.groupBy("category_id", F.floor(F.col("area") / width).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def class_histogram(annotations: DataFrame, categories: DataFrame, *, error: float | None = None, seen: Observation | None = None) -> DataFrame:
+    """Instances and images by category, those without any as well.
+
+    With an error images are counted by a mergeable sketch of that relative standard deviation. seen gets the number of
+    annotations whose category isn't one of 1 to the number of categories (out_of_range), once an action has run.
+    """
+    if seen:
+        annotations = annotations.observe(seen, F.count_if(~F.coalesce(F.col("category_id").between(1, categories.count()), F.lit(False))).alias("out_of_range"))
+    images = F.count_distinct("image_id") if error is None else F.approx_count_distinct("image_id", error)
+    counts = annotations.groupBy("category_id").agg(F.count("*").alias("n"), images.alias("n_images"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return F.broadcast(categories).join(counts, "category_id", "left").select("category_id", "name", zero("n"), zero("n_images"))
+    return small(categories).join(counts, "category_id", "left").select("category_id", "name", zero("n"), zero("n_images"))
 
 
 def renumber_splits(annotations: DataFrame, split: DataFrame, names: tuple[str, ...] = ("train", "val")) -> DataFrame:

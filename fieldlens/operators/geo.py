@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions import geometry as G
@@ -518,10 +518,13 @@ def clean_anchors(anchors: DataFrame, cameras: DataFrame) -> DataFrame:
     return anchors.join(cameras, "image_name", "left_semi")
 
 
-def clean_flight_log(log: DataFrame, cameras: DataFrame) -> DataFrame:
-    """log (frame_name, used_in_map, test_frame, ...): frames without a camera matrix are neither used nor for testing."""
+def clean_flight_log(log: DataFrame, cameras: DataFrame, *, seen: Observation | None = None) -> DataFrame:
+    """log (frame_name, used_in_map, test_frame, ...): frames without a camera matrix are neither used nor for testing. seen
+    gets the number of frames that were used or for testing (cleared), once an action has run."""
     known = cameras.select(F.col("image_name").alias("frame_name"), F.lit(True).alias("__known")).distinct()
     on = log.join(small(known), "frame_name", "left")
+    if seen:
+        on = on.observe(seen, F.count_if(F.col("__known").isNull() & (F.col("used_in_map") | F.col("test_frame"))).alias("cleared"))
     return on.withColumns({c: F.col(c) & F.col("__known").isNotNull() for c in ("used_in_map", "test_frame")}).drop("__known")
 
 

@@ -37,8 +37,8 @@ def meters(log: DataFrame) -> DataFrame:
 
 
 def rank_means(log: DataFrame) -> DataFrame:
-    """Mean over the ranks of each rank's mean, by meter."""
-    return log.groupBy("meter", "rank").agg(F.avg("value").alias("m")).groupBy("meter").agg(F.avg("m").alias("mean"))
+    """(meter, step, mean): the mean over the ranks at each step."""
+    return log.groupBy("meter", "step").agg(F.avg("value").alias("mean"))
 
 
 def block_means(log: DataFrame, size: int = 10) -> DataFrame:

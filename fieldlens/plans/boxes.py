@@ -129,13 +129,17 @@ def resize(t):
     f"AS j FROM ({_SIZED}))")
 def jitter(t):
     on = _box(t).join(t.images.select("image_id", "width", "height"), "image_id")
-    ratio = F.least(F.lit(400.0) / F.col("height"), F.lit(600.0) / F.col("width")) * (F.lit(0.5) + (F.col("id") % 16) / 10.0)
-    return O.resize_boxes(on, ratio).select("id", *(F.round(c, 9).alias(c) for c in CORNERS))
+    return O.jitter_boxes(on, F.lit(0.5) + (F.col("id") % 16) / 10.0, 600, 400).select("id", *(F.round(c, 9).alias(c) for c in CORNERS))
 
 
-@query("hflip_boxes", "SELECT id, 640 - (x + w) AS x1, y AS y1, 640 - x AS x2, y + h AS y2 FROM fx_annotations")
+_WIDE = "640 + image_id % 3 * 100"
+
+
+@query("hflip_boxes",
+    f"SELECT id, CASE WHEN image_id % 2 = 0 THEN {_WIDE} - (x + w) ELSE x END AS x1, y AS y1, CASE WHEN image_id % 2 = 0 THEN {_WIDE} - x ELSE x + w END AS x2, y + h AS y2 FROM fx_annotations")
 def hflip(t):
-    return _box(t).select("id", (F.lit(640) - F.col("x2")).alias("x1"), "y1", (F.lit(640) - F.col("x1")).alias("x2"), "y2")
+    """Images of three widths, each second one flipped."""
+    return O.hflip_boxes(_box(t), F.lit(640) + F.col("image_id") % 3 * 100, F.col("image_id") % 2 == 0).select("id", *CORNERS)
 
 
 _POINTS = "list_transform(range(0, 17), lambda i: {'x': x + i * w / 16.0::double, 'y': y + i * h / 16.0::double, 'v': (i % 3)::bigint})"
@@ -207,13 +211,15 @@ _WINDOW = (
 
 @query(
     "bbox_crop_window",
-    f"WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY (id * 7919) % 1009, id) AS rn FROM fx_annotations) WHERE rn = 1) SELECT image_id, id, {_WINDOW.format(size=640, crop=300, v1='x', v2='x + w')}::bigint AS crop_left, {_WINDOW.format(size=480, crop=480, v1='y', v2='y + h')}::bigint AS crop_top FROM b",
+    "WITH b AS (SELECT *, 640 - image_id % 3 * 200 AS width FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY (id * 7919) % 1009, id) AS rn FROM fx_annotations) WHERE rn = 1) "
+    f"SELECT image_id, id, CASE WHEN width >= 300 THEN {_WINDOW.format(size='width', crop=300, v1='x', v2='x + w')}::bigint END AS crop_left, "
+    f"CASE WHEN width >= 300 THEN {_WINDOW.format(size=480, crop=480, v1='y', v2='y + h')}::bigint END AS crop_top, width < 300 AS too_large FROM b",
 )
 def crop_window(t):
+    """Images of three widths, one of which is less than the crop's."""
     first = Window.partitionBy("image_id").orderBy((F.col("id") * 7919) % 1009, "id")
-    one = _box(t).withColumn("rn", F.row_number().over(first)).filter("rn = 1")
-    place = lambda v1, v2, size, crop: O.crop_start(F.col(v1), F.col(v2), size, crop, F.lit(0.25))
-    return one.select("image_id", "id", place("x1", "x2", 640, 300).alias("crop_left"), place("y1", "y2", 480, 480).alias("crop_top"))
+    one = _box(t).withColumn("rn", F.row_number().over(first)).filter("rn = 1").withColumns({"width": F.lit(640) - F.col("image_id") % 3 * 200, "height": F.lit(480)})
+    return O.box_crops(one, 300, 480, F.lit(0.25)).select("image_id", "id", "crop_left", "crop_top", "too_large")
 
 
 def _drawn(text: str) -> str:

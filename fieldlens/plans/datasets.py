@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
 from fieldlens.operators import dataset as D
 from fieldlens.operators import labels as L
 from fieldlens.plans.registry import query
+from fieldlens.sources.shared import cut, small
 
 _NUM = "CAST(row_number() OVER (ORDER BY image_id, id) AS BIGINT)"
 
@@ -33,10 +34,27 @@ def summary(t):
 
 @query("area_distribution", "SELECT category_id, count(*) AS n, min(area) AS least, max(area) AS most, quantile_disc(area, 0.5) AS middle FROM fx_annotations GROUP BY 1")
 def areas(t):
-    return t.annotations.groupBy("category_id").agg(
-        F.count("*").alias("n"), F.min("area").alias("least"), F.max("area").alias("most"),
-        F.expr("percentile_disc(0.5) within group (order by area)").alias("middle"),
-    )
+    return D.area_distribution(t.annotations)
+
+
+@query("area_histogram", "SELECT category_id, floor(area / 1000)::bigint AS bin, count(*) AS n FROM fx_annotations GROUP BY ALL")
+def area_histogram(t):
+    return D.area_histogram(t.annotations, 1000.0)
+
+
+@query("dataset_violations",
+    "SELECT (SELECT count(*) FROM fx_annotations WHERE category_id > 5) AS out_of_range, (SELECT count(*) FROM fx_annotations WHERE category_id IN (3, 4)) AS unmapped, "
+    "(SELECT count(*) FROM fx_annotations WHERE category_id = 5) AS unknown")
+def violations(t):
+    """Ids that five categories don't have, ids that a mapping of two doesn't, and names that four categories don't: each is
+    counted by the operator's own pass."""
+    some = lambda *ids: t.categories.filter(F.col("category_id").isin(*ids))
+    bad, lost, names = Observation(), Observation(), Observation()
+    cut(D.class_histogram(t.annotations, some(1, 2, 3, 4, 5), seen=bad), "histogram")
+    cut(D.remap(t.annotations, some(1, 2, 5, 6).select("category_id", F.col("category_id").alias("new_id")), seen=lost), "remapped")
+    named = t.annotations.join(small(t.categories), "category_id").drop("category_id")
+    cut(D.category_ids(named, some(1, 2, 3, 4, 6), seen=names), "named")
+    return t.spark.createDataFrame([(bad.get["out_of_range"], lost.get["unmapped"], names.get["unknown"])], "out_of_range long, unmapped long, unknown long")
 
 
 @query("class_set", "SELECT DISTINCT category_id FROM fx_annotations")
@@ -126,7 +144,14 @@ def remap(t):
 
 @query("category_name_lookup", "SELECT a.id, c.name FROM fx_annotations a LEFT JOIN (SELECT * FROM fx_categories WHERE category_id <> 5) c USING (category_id)")
 def lookup(t):
-    return t.annotations.join(F.broadcast(t.categories.filter("category_id <> 5")), "category_id", "left").select("id", "name")
+    return t.annotations.join(small(t.categories.filter("category_id <> 5")), "category_id", "left").select("id", "name")
+
+
+@query("category_id_lookup", "SELECT a.id, CASE WHEN category_id <> 5 THEN category_id END AS category_id FROM fx_annotations a")
+def id_lookup(t):
+    """Names to ids; one name is unknown."""
+    named = t.annotations.join(small(t.categories), "category_id").select("id", "name")
+    return D.category_ids(named, t.categories.filter("category_id <> 5")).select("id", "category_id")
 
 
 @query("alphabetize_categories",
@@ -148,8 +173,8 @@ def sort_images(t):
 
 @query("empty_like", "SELECT count(*) AS n, 0::bigint AS images FROM fx_categories JOIN (SELECT DISTINCT category_id FROM fx_annotations) USING (category_id)")
 def empty_like(t):
-    kept = t.categories.join(t.annotations, "category_id", "left_semi").agg(F.count("*").alias("n"))
-    return kept.crossJoin(t.images.limit(0).agg(F.count("*").alias("images")))
+    none = D.empty_like(D.Dataset(t.images, t.annotations, t.categories.join(t.annotations, "category_id", "left_semi")))
+    return none.categories.agg(F.count("*").alias("n")).crossJoin(none.images.agg(F.count("*").alias("images")))
 
 
 @query("head_examples", "SELECT image_id FROM fx_images ORDER BY image_id LIMIT 11")
@@ -221,9 +246,9 @@ def video_split(t):
     return D.split_by_manifest(t.images, manifest)
 
 
-def _combined(t):
-    halves = [(t.images.filter(F.col("image_id") % 2 == k), t.annotations.filter(F.col("image_id") % 2 == k)) for k in (0, 1)]
-    return D.combine(halves)
+def _combined(t, **options):
+    halves = [D.Dataset(t.images.filter(F.col("image_id") % 2 == k), t.annotations.filter(F.col("image_id") % 2 == k), t.categories) for k in (0, 1)]
+    return D.combine(halves, **options)
 
 
 _CI = "SELECT image_id, image_id % 2 AS f, CAST(row_number() OVER (ORDER BY image_id % 2, image_id) AS BIGINT) AS new_image_id FROM fx_images"
@@ -233,27 +258,45 @@ _CI = "SELECT image_id, image_id % 2 AS f, CAST(row_number() OVER (ORDER BY imag
     "SELECT a.id, new_image_id, CAST(row_number() OVER (ORDER BY new_image_id, a.id) - 1 AS BIGINT) AS new_id FROM fx_annotations a JOIN "
     f"({_CI}) USING (image_id)")
 def combine(t):
-    return _combined(t)[1].select("id", "new_image_id", "new_id")
+    return _combined(t).annotations.select("id", "new_image_id", "new_id")
+
+
+@query("combine_datasets_kept_ids", "SELECT a.id, image_id AS new_image_id, CAST(row_number() OVER (ORDER BY image_id % 2, image_id, a.id) - 1 AS BIGINT) AS new_id FROM fx_annotations a JOIN fx_images USING (image_id)")
+def combine_kept(t):
+    return _combined(t, keep_ids=True).annotations.select("id", "new_image_id", "new_id")
 
 
 @query("combine_images", f"SELECT image_id, new_image_id FROM ({_CI})")
 def combine_images(t):
-    return _combined(t)[0].select("image_id", "new_image_id")
+    return _combined(t).images.select("image_id", "new_image_id")
+
+
+def _without(t, name, **options):
+    return D.remove_category(D.Dataset(t.images, t.annotations, t.categories), name, **options)
 
 
 @query("remove_category", f"SELECT id, {_NUM} AS new_id FROM fx_annotations WHERE category_id <> 2")
 def remove(t):
-    return D.remove_category(t.images, t.annotations, 2, False)[1].select("id", "new_id")
+    return _without(t, "bear").annotations.select("id", "new_id")
 
 
 @query("remove_category_images", f"SELECT id, {_NUM} AS new_id FROM fx_annotations WHERE image_id NOT IN (SELECT image_id FROM fx_annotations WHERE category_id = 2)")
 def remove_images(t):
-    return D.remove_category(t.images, t.annotations, 2, True)[1].select("id", "new_id")
+    return _without(t, "bear", whole_images=True).annotations.select("id", "new_id")
 
 
-@query("remove_category_left_images", "SELECT DISTINCT image_id FROM fx_annotations JOIN fx_images USING (image_id) WHERE category_id <> 2")
+@query("remove_category_left_images", "SELECT image_id, 6 AS categories FROM fx_images WHERE image_id IN (SELECT image_id FROM fx_annotations WHERE category_id <> 2)")
 def remove_left(t):
-    return D.remove_category(t.images, t.annotations, 2, False)[0].select("image_id")
+    left = _without(t, "bear")
+    return left.images.select("image_id").crossJoin(left.categories.agg(F.count("*").alias("categories")))
+
+
+@query("remove_category_unknown", "SELECT image_id, coalesce(n, 0) AS n FROM fx_images LEFT JOIN (SELECT image_id, count(*) AS n FROM fx_annotations GROUP BY 1) USING (image_id)")
+def remove_unknown(t):
+    """A class that isn't there: images without annotations stay, and numbers are as they were."""
+    same = _without(t, "no such class")
+    n = same.annotations.filter("new_id = id").groupBy("image_id").agg(F.count("*").alias("n"))
+    return same.images.select("image_id").join(n, "image_id", "left").select("image_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 _SPAN = "SELECT video_id, min(image_id) AS least, max(image_id) AS most FROM fx_images GROUP BY 1"

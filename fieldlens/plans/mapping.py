@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Window
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from fieldlens.operators import geo as O
 from fieldlens.plans.registry import query
+from fieldlens.sources.shared import cut
 
 _SPANS = "SELECT anchor_ind, obs_ind AS start, coalesce(lead(obs_ind) OVER (ORDER BY obs_ind), obs_ind + 1) AS stop FROM fx_anchors"
 _SEG = f"SELECT t.*, s.anchor_ind AS segment, t.obs_ind - s.start AS step FROM fx_tracks t JOIN ({_SPANS}) s ON t.obs_ind >= s.start AND t.obs_ind < s.stop"
@@ -145,9 +147,21 @@ _KNOWN = "(event_id <= (SELECT max(anchor_ind) FROM fx_anchors) AND event_id % 3
 
 @query("clean_flight_log", f"SELECT event_id, event_id % 2 = 0 AND {_KNOWN} AS used_in_map, event_id % 4 = 0 AND {_KNOWN} AS test_frame FROM events")
 def clean_log(t):
+    return _clean_log(t).drop("frame_name")
+
+
+@query("flight_log_cleared", f"SELECT count(*) AS cleared FROM events WHERE (event_id % 2 = 0 OR event_id % 4 = 0) AND NOT {_KNOWN}")
+def cleared(t):
+    """How many frames the cleaning cleared, counted in its own pass."""
+    seen = Observation()
+    cut(_clean_log(t, seen=seen), "flight-log")
+    return t.spark.createDataFrame([(seen.get["cleared"],)], "cleared long")
+
+
+def _clean_log(t, **options):
     name = F.concat(F.lit("frame_"), F.col("event_id").cast("string"), F.lit(".jpg"))
     log = t.events.select("event_id", name.alias("frame_name"), (F.col("event_id") % 2 == 0).alias("used_in_map"), (F.col("event_id") % 4 == 0).alias("test_frame"))
-    return O.clean_flight_log(log, t.cameras.filter(F.col("anchor_ind") % 3 != 0)).drop("frame_name")
+    return O.clean_flight_log(log, t.cameras.filter(F.col("anchor_ind") % 3 != 0), **options)
 
 
 @query("frames_per_flight",

@@ -21,9 +21,10 @@ def meter(t):
     return M.meters(t.metric_log).withColumns({"total": F.round("total", 4), "mean": F.round("mean", 6)})
 
 
-@query("metric_rank_mean", "SELECT meter, round(avg(m), 6) AS mean FROM (SELECT meter, rank, avg(value) AS m FROM fx_metric_log GROUP BY 1, 2) GROUP BY 1")
+@query("metric_rank_mean", "SELECT meter, step // 8 AS step, round(avg(value), 6) AS mean FROM fx_metric_log GROUP BY ALL")
 def rank_mean(t):
-    return M.rank_means(t.metric_log).withColumn("mean", F.round("mean", 6))
+    """The ranks' values of eight events are those of a step."""
+    return M.rank_means(t.metric_log.withColumn("step", F.floor(F.col("step") / 8))).withColumn("mean", F.round("mean", 6))
 
 
 _BATCHES = "SELECT event_type AS meter, event_id // 300 AS epoch, row_number() OVER (PARTITION BY event_type, event_id // 300 ORDER BY event_id) - 1 AS batch, value FROM events"

@@ -61,9 +61,13 @@ def flight(t):
     return t.images.select("image_id", N.flight(F.col("file_name")).alias("flight"), N.first_parts(F.col("file_name"), 3).alias("head"))
 
 
-@query("frame_number", "SELECT image_id, regexp_extract(file_name, '([0-9]+)\\.[^.]*$', 1)::bigint AS frame, lpad((image_id - 2)::varchar, 9, '0') AS padded FROM fx_images")
+_FRAME = "regexp_extract(file_name, '([0-9]+)\\.[^.]*$', 1)::bigint"
+
+
+@query("frame_number", f"SELECT image_id, {_FRAME} AS frame, substr(file_name, 1, length(file_name) - 9) || printf('%05d', {_FRAME} - 2) || '.jpg' AS before FROM fx_images")
 def frame(t):
-    return t.images.select("image_id", N.frame_number(F.col("file_name")).alias("frame"), F.lpad((N.frame_number(F.col("file_name")) - 2).cast("string"), 9, "0").alias("padded"))
+    n = N.frame_number(F.col("file_name"))
+    return t.images.select("image_id", n.alias("frame"), N.frame_name(F.col("file_name"), n - 2).alias("before"))
 
 
 @query("short_class_name",

@@ -147,11 +147,12 @@ def anchor_scan(t):
     return S.read_anchors(t.spark, path)
 
 
-@query("warp_scan", "SELECT segment, step, m02, m12 FROM fx_warps")
+@query("warp_scan", "SELECT segment, step, m00, m01, m02, m10, m11, m12, n_inliers FROM fx_warps")
 def warp_scan(t):
+    """Written by ranges of segments, so that a reader of some segments skips the other files."""
     path = shared_dir(t.spark, "warps")
-    t.warps.write.partitionBy("segment").parquet(path)
-    return t.spark.read.schema(t.warps.schema).parquet(path).select("segment", "step", "m02", "m12")
+    S.write_warps(t.warps, path)
+    return S.read_warps(t.spark, path)
 
 
 @query("raster_cell_scan", "SELECT xr, yr, elev FROM fx_elevation")

@@ -45,6 +45,20 @@ def read_anchors(spark: SparkSession, path: str) -> DataFrame:
     return got.withColumn("parsed", F.regexp_extract("filename", r"-([0-9]+)\.[^.]*$", 1).cast("long"))
 
 
+WARPS = "segment bigint, step bigint, m00 double, m01 double, m02 double, m10 double, m11 double, m12 double, n_inliers bigint"
+
+
+def write_warps(warps: DataFrame, path: str) -> None:
+    """Warps in order of segments and steps, by ranges: as many files as the data need, however many segments there are."""
+    warps.repartitionByRange("segment", "step").sortWithinPartitions("segment", "step").write.parquet(path)
+
+
+def read_warps(spark: SparkSession, path: str, segments: tuple[int, int] | None = None) -> DataFrame:
+    """All warps, or those of the segments from one to another, both included; other files are skipped by their statistics."""
+    got = spark.read.schema(WARPS).parquet(path)
+    return got if segments is None else got.filter(F.col("segment").between(*segments))
+
+
 def write_raster(cells: DataFrame, path: str, tile: int) -> None:
     """Cells as tiles of tile x tile, each a row with its cells in order."""
     at = cells.withColumns({"tx": F.floor(F.col("xr") / tile), "ty": F.floor(F.col("yr") / tile)})
