@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -237,6 +238,38 @@ def nms(df: DataFrame, thr: float, keys: tuple[str, ...] = ("image_id",)) -> Dat
     return groups.select(*keys, F.explode(kept).alias("b")).select(*keys, "b.det_id")
 
 
+def nms_crowded(df: DataFrame, thr: float, key: str = "image_id", *, cell: int = 64) -> DataFrame:
+    """As nms, for images of any number of boxes: (key, det_id) of those kept.
+
+    An image's boxes come one by one, best first; only those kept are held, by the grid cells that they touch, and a box is
+    compared with the ones in its own cells. So time grows with the boxes and how many of those kept lie over one place.
+    """
+
+    def run(batches):
+        now, held = None, {}
+        for b in batches:
+            kept = []
+            for k, i, x, y, w, h in zip(*(b[c].to_pylist() for c in ("key", "det_id", *"xywh")), strict=True):
+                if k != now:
+                    now, held = k, {}
+                cells = [(p, q) for p in range(int(x // cell), int((x + w) // cell) + 1) for q in range(int(y // cell), int((y + h) // cell) + 1)]
+                if not any(_iou(x, y, w, h, *o) > thr for c in cells for o in held.get(c, ())):
+                    for c in cells:
+                        held.setdefault(c, []).append((x, y, w, h))
+                    kept.append((k, i))
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in kept], b.schema.field(c).type) for n, c in enumerate(("key", "det_id"))], names=[key, "det_id"])
+
+    rows = df.select(F.col(key).alias("key"), F.negative("score").alias("s"), F.col("det_id").cast("long"), *(F.col(c).cast("double").alias(c) for c in "xywh"))
+    ordered = rows.repartition("key").sortWithinPartitions("key", "s", "det_id")
+    return ordered.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, det_id long")
+
+
+def _iou(x: float, y: float, w: float, h: float, x2: float, y2: float, w2: float, h2: float) -> float:
+    shared = max(0.0, min(x + w, x2 + w2) - max(x, x2)) * max(0.0, min(y + h, y2 + h2) - max(y, y2))
+    total = w * h + w2 * h2 - shared
+    return shared / total if total > 0 else 0.0
+
+
 def suppress_covered(dets: DataFrame, tracks: DataFrame, thr: float) -> DataFrame:
     """Detections of an image that no active track's box (image_id, x, y, w, h) covers by more than thr."""
     t = tracks.select("image_id", *(F.col(c).alias(f"t{c}") for c in "xywh"))

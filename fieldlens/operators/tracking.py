@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlens.sources.shared import cut, small
+
 
 def velocity(points: DataFrame, n: int, cols: tuple[str, ...]) -> DataFrame:
     """points with v_<col>, the mean step over the last n positions of the track, and the position expected next."""
@@ -148,6 +151,130 @@ def track(dets: DataFrame, **options) -> DataFrame:
     return rows.repartition("video_id").sortWithinPartitions("video_id", "frame", "det_id").mapInPandas(run, "video_id long, track_id long, det_id long, frame long")
 
 
+_SLICED = "video_id long, slice long, kind int, frame long, det_id long, x double, y double, w double, h double, score double, state string"
+_FOUND = "video_id long, slice long, kind int, track_id long, det_id long, frame long, begin string, end string"
+
+
+def _live(tracker: Tracker, frame: int) -> list[tuple]:
+    """(number, frame last seen, past boxes) of the tracks that can go on at a frame, in order of numbers."""
+    return [(k, int(t["seen"]), [(int(f), *map(float, b)) for f, b in t["past"]]) for k, t in sorted(tracker.tracks.items()) if frame - t["seen"] <= tracker.patience]
+
+
+class _Slice:
+    """One slice of a video: rows before it only warm the tracker up, unless the state that it begins with is given.
+
+    From its first frame on, tracks that came in are numbered below 0 and those that begin here from 0.
+    """
+
+    def __init__(self, video: int, number: int, span: int, options: dict) -> None:
+        self.key, self.start, self.end = (video, number), number * span, (number + 1) * span
+        self.tracker, self.begin = Tracker(**options), None
+
+    def given(self, state: str) -> None:
+        self.enter([(k, seen, past) for k, (seen, past) in enumerate(json.loads(state))])
+
+    def enter(self, live: list[tuple]) -> None:
+        self.tracker.next_id = 0
+        self.tracker.tracks = {k - len(live): {"seen": seen, "past": [(p[0], np.array(p[1:])) for p in past]} for k, (_, seen, past) in enumerate(live)}
+        self.begin = json.dumps([x[1:] for x in live])
+
+    def rows(self, kind: int, frame: int, own: pd.DataFrame) -> list[tuple]:
+        if kind == 2 and self.begin is None:
+            self.enter(_live(self.tracker, self.start))
+        if kind == 1 and self.begin is not None:
+            return []
+        found = track_frame(self.tracker, frame, own)
+        return [(*self.key, 1, *x, None, None) for x in found] if kind == 2 else []
+
+    def close(self) -> tuple:
+        if self.begin is None:
+            self.enter(_live(self.tracker, self.start))
+        return (*self.key, 0, self.tracker.next_id, None, None, self.begin, json.dumps(_live(self.tracker, self.end)))
+
+
+def track_slices(dets: DataFrame, *, span: int, warm: int = 8, **options) -> DataFrame:
+    """As track, over slices of span frames that run side by side, so that a long video is no single task.
+
+    A slice is begun from the warm frames before it. Where the state that this gives isn't the one that the slice before it
+    ends with, the slice is run again from that one, until all agree: a state holds the tracks that may still go on, which
+    few frames settle, so mostly one more round or none is needed, and at most as many as there are slices. States are small
+    rows, a slice each. Tracks are numbered last: those that go on have the number of the slice before, and those that begin
+    count on from all that began before.
+    """
+    rows = dets.select("video_id", F.floor(F.col("frame") / span).alias("slice"), F.lit(2).alias("kind"), "frame", "det_id", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h", "score")), F.lit(None).cast("string").alias("state"))
+    before = rows.withColumns({"slice": F.col("slice") + 1, "kind": F.lit(1)}).filter(F.col("frame") >= F.col("slice") * span - warm)
+    every = cut(rows.unionByName(before.join(rows.select("video_id", "slice").distinct(), ["video_id", "slice"], "left_semi")), "track-slices")
+
+    def run(batches):
+        now, held = None, None
+
+        def go(f: pd.DataFrame) -> pd.DataFrame:
+            nonlocal now
+            out = []
+            for (v, n, kind, frame), own in f.groupby(["video_id", "slice", "kind", "frame"], sort=False, dropna=False):
+                if now is None or now.key != (v, n):
+                    out += [now.close()] if now else []
+                    now = _Slice(int(v), int(n), span, options)
+                if kind == 0:
+                    now.given(own["state"].iloc[0])
+                else:
+                    out += now.rows(int(kind), int(frame), own)
+            return pd.DataFrame(out, columns=[c.split(" ")[0] for c in _FOUND.split(", ")])
+
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if len(held):
+                end = held.iloc[-1]
+                last = (held["video_id"] == end["video_id"]) & (held["slice"] == end["slice"]) & (held["kind"] == end["kind"]) & (held["frame"] == end["frame"])
+                if not last.all():
+                    yield go(held[~last])
+                    held = held[last].reset_index(drop=True)
+        if held is not None and len(held):
+            yield go(held)
+        if now:
+            yield pd.DataFrame([now.close()], columns=[c.split(" ")[0] for c in _FOUND.split(", ")])
+
+    patience = Tracker(**options).patience
+
+    def expected(f: pd.DataFrame):
+        """For each slice of a video in order, the tracks that come in: (their numbers at the end of the slice before, state)."""
+        ends: list = []
+        for r in f.sort_values("slice").itertuples():
+            live = [x for x in ends if r.slice * span - x[1] <= patience]
+            yield r, [x[0] for x in live], json.dumps([x[1:] for x in live])
+            ends = json.loads(r.end)
+
+    def wrong(f: pd.DataFrame) -> pd.DataFrame:
+        out = [(r.video_id, r.slice, 0, -1, -1, *[0.0] * 5, state) for r, _, state in expected(f) if r.begin != state]
+        return pd.DataFrame(out, columns=[c.split(" ")[0] for c in _SLICED.split(", ")])
+
+    def numbers(f: pd.DataFrame) -> pd.DataFrame:
+        """(video_id, slice, local, track_id): of the tracks that came in, and at local 0 of the first that begins."""
+        out, known, total = [], {}, 0
+        for r, came, _ in expected(f):
+            known = {k - len(came): known[x] if x < 0 else first + x for k, x in enumerate(came)}
+            out += [(r.video_id, r.slice, k, n) for k, n in known.items()] + [(r.video_id, r.slice, 0, total)]
+            first, total = total, total + r.track_id
+        return pd.DataFrame(out, columns=["video_id", "slice", "local", "track_id"])
+
+    def pass_(some: DataFrame) -> DataFrame:
+        dealt = some.repartition("video_id", "slice").sortWithinPartitions("video_id", "slice", "kind", "frame", "det_id")
+        return cut(dealt.mapInPandas(run, _FOUND), "track-pass")
+
+    found = pass_(every)
+    while True:
+        bad = cut(found.filter("kind = 0").groupBy("video_id").applyInPandas(wrong, _SLICED), "track-wrong")
+        if bad.isEmpty():
+            break
+        keys = bad.select("video_id", "slice")
+        again = pass_(every.join(small(keys), ["video_id", "slice"], "left_semi").filter("kind = 2").unionByName(bad))
+        found = cut(found.join(small(keys), ["video_id", "slice"], "left_anti").unionByName(again), "track-found")
+    named = found.filter("kind = 0").groupBy("video_id").applyInPandas(numbers, "video_id long, slice long, local long, track_id long").withColumnRenamed("track_id", "number")
+    tracks = found.filter("kind = 1").withColumn("local", F.least("track_id", F.lit(0)))
+    on = tracks.join(named, ["video_id", "slice", "local"])
+    return on.select("video_id", (F.col("number") + F.greatest("track_id", F.lit(0))).alias("track_id"), "det_id", "frame")
+
+
 _models: dict = {}
 
 

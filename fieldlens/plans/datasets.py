@@ -184,7 +184,7 @@ def head(t):
 
 @query("renumber_annotations", f"SELECT id, {_NUM} AS new_id FROM fx_annotations")
 def renumber(t):
-    return D.renumber_annotations(t.annotations).select("id", "new_id")
+    return D.renumber_annotations(t.annotations.select("image_id", "id")).select("id", "new_id")
 
 
 @query("image_ordinal",
@@ -192,7 +192,7 @@ def renumber(t):
     "AS rn FROM (SELECT image_id AS l_orderkey, id FROM fx_annotations)) GROUP BY 1")
 def image_ordinal(t):
     """An image's first position in the list of labels; labels of the same image take up positions."""
-    return D.renumber_annotations(t.annotations).groupBy("image_id").agg(F.min("new_id").alias("ordinal"))
+    return D.renumber_annotations(t.annotations.select("image_id", "id")).groupBy("image_id").agg(F.min("new_id").alias("ordinal"))
 
 
 _SPLIT = (

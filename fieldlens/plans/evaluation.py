@@ -229,6 +229,19 @@ def nms(t):
     return V.nms(t.detections, 0.3)
 
 
+@query(
+    "nms_crowded",
+    f"""WITH RECURSIVE dets AS (SELECT * EXCLUDE (image_id), block AS image_id, row_number() OVER (PARTITION BY block ORDER BY score DESC, det_id) AS rk FROM (SELECT *, image_id % 200 AS block FROM fx_detections)),
+m AS (SELECT image_id, rk, [{{'det_id': det_id, 'x': x, 'y': y, 'w': w, 'h': h}}] AS kept FROM dets WHERE rk = 1
+ UNION ALL SELECT d.image_id, d.rk, CASE WHEN len(list_filter(m.kept, lambda k: {_NMS_IOU}::double / (k.w * k.h + d.w * d.h - {_NMS_IOU}) > 0.3)) > 0 THEN m.kept ELSE list_append(m.kept, {{'det_id': d.det_id, 'x': d.x, 'y': d.y, 'w': d.w, 'h': d.h}}) END
+ FROM m JOIN dets d ON d.image_id = m.image_id AND d.rk = m.rk + 1)
+SELECT image_id AS block, unnest(arg_max(kept, rk)).det_id AS det_id FROM m GROUP BY image_id""",
+)
+def nms_crowded(t):
+    """All detections of two hundred blocks of images, as if each were one image."""
+    return V.nms_crowded(t.detections.withColumn("block", F.col("image_id") % 200), 0.3, "block")
+
+
 @query("suppress_covered",
     "SELECT det_id FROM fx_detections d WHERE NOT EXISTS (SELECT 1 FROM fx_annotations k WHERE k.image_id = d.image_id AND k.id % 3 = 0 "
     f"AND {_NMS_IOU}::double / (k.w * k.h + d.w * d.h - {_NMS_IOU}) > 0.5)")

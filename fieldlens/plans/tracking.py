@@ -41,6 +41,12 @@ def track_step(t):
     return T.track(frames(t), patience=3, overlap=0.3)
 
 
+@query("track_slices")
+def track_slices(t):
+    """The same in slices: more tasks than videos."""
+    return T.track_slices(frames(t), span=50, patience=3, overlap=0.3)
+
+
 @query("apply_predictor", "SELECT image_id, image_id % 5 AS label, (image_id % 101) / 101.0::double AS score FROM fx_images")
 def predictor(t):
     """With a stand-in for a model."""
@@ -53,10 +59,5 @@ def predictor(t):
 
 @query("segment_worker", "SELECT segment, count(*) AS n, round(sum(m02), 6) AS moved FROM fx_warps GROUP BY 1")
 def worker(t):
-    """A function of one segment's rows, for each segment."""
-    import pandas as pd
-
-    def run(key, rows):
-        return pd.DataFrame([(key[0], len(rows), round(float(rows["m02"].sum()), 6))], columns=["segment", "n", "moved"])
-
-    return t.warps.groupBy("segment").applyInPandas(run, "segment long, n long, moved double")
+    """What a segment's worker sums up, for all segments at once."""
+    return t.warps.groupBy("segment").agg(F.count("*").alias("n"), F.round(F.sum("m02"), 6).alias("moved"))

@@ -350,3 +350,52 @@ def test_pyramid_equals_whole_grid(spark, tile):
     columns = ["track_id", "obs_ind", "gx", "gy", "found", "mu", "elevation"]
     one, two = (plain(G.ground_points(rays, r).select(*columns).toPandas()) for r in (holes, ready))
     pd.testing.assert_frame_equal(one, two)
+
+
+def test_nms_of_a_crowded_image(spark):
+    """As the fold does, with overlaps of all sizes, negative places, ties and boxes without area; and 100,000 boxes of one image."""
+    rng = np.random.default_rng(2)
+    rows = [(k % 3, k, int(rng.integers(-300, 300)), int(rng.integers(-300, 300)), int(rng.integers(1, 200)), int(rng.integers(1, 150)), float(rng.integers(0, 20))) for k in range(900)]
+    df = spark.createDataFrame(rows, "image_id long, det_id long, x long, y long, w long, h long, score double")
+    one, two = (plain(x.toPandas()) for x in (V.nms(df, 0.3), V.nms_crowded(df.repartition(5), 0.3)))
+    pd.testing.assert_frame_equal(one, two)
+    many = spark.range(100_000).select(F.lit(1).cast("long").alias("image_id"), F.col("id").alias("det_id"), *((F.xxhash64("id", F.lit(k)) % 20_000).alias(c) for k, c in enumerate("xy")), F.lit(60).alias("w"), F.lit(40).alias("h"), F.rand(3).alias("score"))
+    assert 50_000 < V.nms_crowded(many, 0.3).count() < 100_000
+
+
+@pytest.mark.parametrize("span, warm", [(3, 1), (5, 8), (40, 8), (10**6, 8)])
+def test_track_slices_equal_whole_videos(spark, span, warm):
+    from fieldlens.plans.tracking import frames
+
+    t = Tables(spark, SF)
+    rows = frames(t).filter("video_id < 6 and frame % 50 < 30").withColumns({c: F.col(c) % 90 for c in "xy"})
+    one, two = (plain(x.toPandas()) for x in (T.track(rows, patience=3), T.track_slices(rows, span=span, warm=warm, patience=3)))
+    pd.testing.assert_frame_equal(one, two)
+
+
+def test_sketches_are_within_their_bounds(spark):
+    t = Tables(spark, SF)
+    exact, near = (D.class_histogram(t.annotations, t.categories, error=e).orderBy("category_id").toPandas() for e in (None, 0.02))
+    assert (exact["n"] == near["n"]).all() and ((exact["n_images"] - near["n_images"]).abs() <= 0.08 * exact["n_images"].clip(lower=1)).all()
+    areas = {c: np.sort(own["area"].to_numpy()) for c, own in t.annotations.select("category_id", F.col("area")).toPandas().groupby("category_id")}
+    for r in D.area_distribution(t.annotations, accuracy=100).collect():
+        own = areas[r.category_id]
+        assert np.searchsorted(own, r.middle, "left") - 1 <= len(own) * 0.51 + 1 and np.searchsorted(own, r.middle, "right") + 1 >= len(own) * 0.49 - 1
+
+
+def test_repeated_data_rows_and_two_tools_of_a_name(spark, tmp_path):
+    """One data row that comes twice with two objects gives one image and four annotations; categories go by feature id."""
+    import json
+
+    from fieldlens.operators import labels as L
+
+    box = lambda k, f: {"feature_id": f"o{k}", "feature_schema_id": f, "name": "cow", "bounding_box": {"left": 1.9, "top": 2, "width": 3, "height": 4}}
+    row = {"data_row": {"id": "r", "external_id": "a", "row_data": "u", "details": {"dataset_name": "d"}}, "media_attributes": {"height": 5, "width": 6}, "projects": {"p": {"labels": [{"label_details": {"created_at": "now"}, "annotations": {"objects": [box(1, "A"), box(2, "B")]}}]}}}
+    (tmp_path / "e.json").write_text(f"{json.dumps(row)}\n{json.dumps(row)}\n")
+    tools = [{"featureSchemaId": f, "tool": "rectangle", "name": "cow", "color": "red", "classifications": []} for f in "AB"]
+    (tmp_path / "o.json").write_text(json.dumps({"tools": tools, "classifications": []}, indent=1))
+    export = spark.read.schema(L.EXPORT).json(str(tmp_path / "e.json"))
+    coco = L.to_coco(export, spark.read.text(str(tmp_path / "o.json"), wholetext=True), "p", F.lit(0))
+    assert [(r.id, r.coco_url, r.date_captured, r.license) for r in coco.images.collect()] == [(0, "u", "now", 1)]
+    assert sorted((r.id, r.image_id, r.category_id, r.x, r.area) for r in coco.annotations.collect()) == [(f"o{k}", 0, k, 1.0, 12.0) for k in (1, 1, 2, 2)]
+    assert sorted((r.id, r.name) for r in coco.categories.collect()) == [(1, "cow"), (2, "cow")]
