@@ -164,9 +164,9 @@ class _Rays:
             s["gx"][live], s["gy"][live] = xr[here] * r["pixel_width"] + r["x_origin"], yr[here] * r["pixel_height"] + r["y_origin"]
 
 
-    def skip(self, low: np.ndarray, high: np.ndarray, tile: int, r: dict, size: tuple[int, int], how: Search) -> None:
-        """Moves all rays on while the least and greatest elevation of the tile that they look at tell which way."""
-        s, rows = self.state, np.arange(len(self.u))
+    def skip(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, tile: int, r: dict, size: tuple[int, int], how: Search) -> None:
+        """Moves these rays on while the least and greatest elevation of the tile that they look at tell which way."""
+        s = self.state
         while True:
             rows = rows[~s["done"][rows] & (s["n"][rows] <= how.most)]
             xr, yr, z = self.cells(rows, r, size)
@@ -289,7 +289,7 @@ def _by_tiles(state: DataFrame, ready: Pyramid, kinds: str, how: Search, *, rays
 
     def placed(f: pd.DataFrame, rays: _Rays) -> pd.DataFrame:
         """Rays moved on as far as the tiles' ends tell, with the tile that each needs next."""
-        rays.skip(*ends.value, tile, r, size, how)
+        rays.skip(np.arange(len(rays.u)), *ends.value, tile, r, size, how)
         xr, yr, _ = rays.cells(np.arange(len(f)), r, size)
         return f.assign(**rays.state, tx=xr // tile, ty=yr // tile)
 
@@ -305,7 +305,7 @@ def _by_tiles(state: DataFrame, ready: Pyramid, kinds: str, how: Search, *, rays
         while (left := int(rays.state["n"].sum() + rays.state["done"].sum())) != before:  # tiles' ends may lead a ray back
             before = left
             rays.advance(np.arange(len(mine)), grid, (tx * tile, ty * tile), r, size, how)
-            rays.skip(*ends.value, tile, r, size, how)
+            rays.skip(np.arange(len(rays.u)), *ends.value, tile, r, size, how)
         return placed(mine[columns], rays)[[*columns, "tx", "ty"]]
 
     at, ended = cut(state.mapInPandas(look, f"{kinds}, tx long, ty long"), "rays"), []
@@ -321,17 +321,22 @@ def _by_tiles(state: DataFrame, ready: Pyramid, kinds: str, how: Search, *, rays
 
 
 def ground_points_carried(
-    rays: DataFrame, raster: Raster, how: Search = Search(), *, by: str = "observation_id", order: str = "obs_ind", limit_cells: int = 50_000_000,
+    rays: DataFrame, raster: Raster | Pyramid, how: Search = Search(), *, by: str = "observation_id", order: str = "obs_ind", limit_cells: int = 50_000_000,
+    tile: int = 256,
 ) -> DataFrame:
     """As ground_points, but the mean depth found in a frame is where the search of the next frame's rays begins.
 
     Frames follow one another, so an observation is gone through in one task, a frame at a time; only the frame at hand is
-    held. Observations run side by side. The raster goes to the tasks whole, which limit_cells bounds: a chain of frames
-    can't wait for tiles, and beyond the limit this raises.
+    held. Observations run side by side. A raster of up to limit_cells goes to the tasks whole. Beyond it, a task has the
+    tiles' least and greatest elevations and those tiles that its observation has come upon: where a frame needs another one,
+    the observation waits, and goes on from there in the next round with that tile and its neighbours. So there are about as
+    many rounds as times that the longest flight comes to new ground, and no limit to the raster.
     """
+    if isinstance(raster, Pyramid):
+        raster = raster.raster
     size, n, _ = _sized(raster)
     if n > limit_cells:
-        raise ValueError(f"a raster of {n} cells: split the area, or search from a fixed depth (ground_points)")
+        return _carried_by_tiles(rays, pyramid(raster, limit_cells=0, tile=tile), how, by, order)
     r = {k: getattr(raster, k) for k in ("x_origin", "pixel_width", "y_origin", "pixel_height", "offset")}
     sent = rays.sparkSession.sparkContext.broadcast(_whole_grid(raster.cells, size))
     raw = rays.withColumns({"__p03": F.col("p03"), "__p13": F.col("p13")})
@@ -370,6 +375,103 @@ def ground_points_carried(
     return out.drop("low", "high", "n", "done", "__p03", "__p13")
 
 
+def _carried_by_tiles(rays: DataFrame, ready: Pyramid, how: Search, by: str, order: str) -> DataFrame:
+    spark, r, size, tile = rays.sparkSession, ready.place, ready.size, ready.tile
+    ends = spark.sparkContext.broadcast((ready.low, ready.high))
+    begun = {"__begun": F.lit(False), "__start": F.lit(0.0)}  # the frame that an observation waits in has been begun at a depth
+    state = _started(rays.withColumns({"__p03": F.col("p03"), "__p13": F.col("p13")})).withColumns(begun)
+    kinds = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in state.schema)
+    columns, extra = state.columns, "__tx long, __ty long, __cells binary"
+    names = [c.split(" ")[0] for c in extra.split(", ")]
+
+    def walk(mine: _Rays, rows: np.ndarray, tiles: dict) -> set[tuple[int, int]]:
+        """Moves rays on; the tiles that they still need, none if all are done."""
+        while True:
+            mine.skip(rows, *ends.value, tile, r, size, how)
+            left = rows[~mine.state["done"][rows]]
+            xr, yr, _ = mine.cells(left, r, size)
+            needed = np.stack([xr // tile, yr // tile], 1)
+            some = {tuple(k) for k in np.unique(needed, axis=0).tolist()} if len(left) else set()
+            if not some & tiles.keys():
+                return some
+            for tx, ty in some & tiles.keys():
+                mine.advance(left[(needed == (tx, ty)).all(1)], tiles[tx, ty], (tx * tile, ty * tile), r, size, how)
+
+    def around(keys: set[tuple[int, int]]) -> list[tuple[int, int]]:
+        return sorted({(x + i, y + j) for x, y in keys for i in (-1, 0, 1) for j in (-1, 0, 1) if 0 <= x + i < ready_shape[1] and 0 <= y + j < ready_shape[0]})
+
+    ready_shape = ready.low.shape
+
+    def run(batches):
+        who, tiles, depth, waits, held = None, {}, 0.0, False, None
+
+        def frames(f: pd.DataFrame) -> list[pd.DataFrame]:
+            """f holds whole frames of one observation."""
+            nonlocal depth, waits
+            if waits:
+                return [f]
+            mine, when, warp, raw = _Rays(f), f[order].to_numpy(), f[["m02", "m12"]].to_numpy(float), f[["__p03", "__p13"]].to_numpy(float)
+            start, go_on = f["__start"].to_numpy(float).copy(), f["__begun"].to_numpy(bool).copy()
+            edges, missing = np.r_[0, np.flatnonzero(when[1:] != when[:-1]) + 1, len(f)], set()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                rows = np.arange(a, b)
+                if go_on[a]:
+                    depth = start[a]
+                elif depth:
+                    mine.state["mu"][rows] = depth
+                    mine.p4[rows, :2] = raw[rows] - warp[rows] * depth
+                if missing := walk(mine, rows, tiles):
+                    start[rows], go_on[rows], waits = depth, True, True
+                    break
+                go_on[rows], depth = False, float(mine.state["mu"][rows].mean()) or depth
+            out = [f.assign(**mine.state, p03=mine.p4[:, 0], p13=mine.p4[:, 1], __start=start, __begun=go_on)]
+            keys = around(missing)
+            asks = f.iloc[np.zeros(len(keys), int)].reset_index(drop=True)
+            return [*out, asks.assign(__tx=[x for x, _ in keys], __ty=[y for _, y in keys])] if keys else out
+
+        def part(f: pd.DataFrame) -> list[pd.DataFrame]:
+            nonlocal who, tiles, depth, waits
+            out = []
+            for k, own in f.groupby(by, sort=False):
+                if k != who:
+                    who, tiles, depth, waits = k, {}, 0.0, False
+                grids = own["__cells"].notna()
+                for tx, ty, cells in own.loc[grids, names].itertuples(index=False):
+                    tx, ty = int(tx), int(ty)
+                    tiles[tx, ty] = np.frombuffer(cells).reshape(min(tile, size[1] - ty * tile), min(tile, size[0] - tx * tile))
+                if not grids.all():
+                    out += frames(own[~grids].reset_index(drop=True))
+            return out
+
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if len(held):
+                last = (held[by] == held[by].iloc[-1]) & ((held[order] == held[order].iloc[-1]) | held["__cells"].notna().iloc[-1])
+                if not last.all():
+                    yield from part(held[~last])
+                    held = held[last].reset_index(drop=True)
+        if held is not None and len(held):
+            yield from part(held)
+
+    none = {n: F.lit(None).cast(kind) for n, kind in (c.split(" ") for c in extra.split(", "))}
+    live, wanted, ended = state.withColumns(none), None, []
+    while True:
+        rows = live
+        if wanted is not None:
+            grids = ready.tiles.select(F.col("tx").alias("__tx"), F.col("ty").alias("__ty"), F.col("cells").alias("__cells")).join(small(wanted), ["__tx", "__ty"])
+            rows = live.unionByName(grids, allowMissingColumns=True).withColumns({c: F.coalesce(c, F.lit(False if c != "n" else 0)) for c in ("done", "found", "__begun", "n")})
+        dealt = rows.select(*columns, *names).repartition(F.col(by)).sortWithinPartitions(by, F.col("__cells").isNull(), order)
+        found = cut(dealt.mapInPandas(run, f"{kinds}, {extra}"), "carried")
+        asks = found.filter("__tx is not null").select(by, "__tx", "__ty")
+        wanted = cut(asks.unionByName(wanted).distinct() if wanted is not None else asks.distinct(), "carried-tiles")
+        rest = found.filter("__tx is null")
+        ended.append(rest.filter("done and not __begun"))
+        live = rest.filter("not (done and not __begun)")
+        if live.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, ended).drop("low", "high", "n", "done", "__p03", "__p13", *begun, *names)
+
+
 def camera_rays(frames: DataFrame, cameras: DataFrame, mu: Column | float, *, height_px: int = 480) -> DataFrame:
     """frames (segment, warp, col_px, row_px) as rays: the camera's matrix and inverse, the pixel (v counts up from the
     lower edge) turned by the warp, and the depth mu0 at which the search begins."""

@@ -326,8 +326,8 @@ _JUMPS = ", ".join(
 )
 
 
-def _errors(t):
-    return O.segment_errors(t.tracks, t.anchors, t.warps, t.cameras.drop("image_name"), raster(t), GUESS)
+def _errors(t, ready=None):
+    return O.segment_errors(t.tracks, t.anchors, t.warps, t.cameras.drop("image_name"), ready or raster(t), GUESS)
 
 
 @query("segment_error", f"WITH RECURSIVE {_CELLS}, {_JUMPS} SELECT segment, track_id, round(ex, 4) + 0.0 AS ex, round(ey, 4) + 0.0 AS ey FROM errors")
@@ -345,7 +345,8 @@ def step_bias(t):
     '4) AS y FROM g LEFT JOIN biases USING (segment, track_id)')
 def tracks_to_utm(t):
     """Every track point on the map, with its steps' share of the jump to the next anchor."""
-    got = O.with_bias(O.ground_points(_rays(t), raster(t)), O.step_biases(_errors(t), t.warps))
+    ready = O.pyramid(raster(t))  # made ready once for four searches
+    got = O.with_bias(O.ground_points(_rays(t), ready), O.step_biases(_errors(t, ready), t.warps))
     return got.select("track_id", "obs_ind", "found", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 

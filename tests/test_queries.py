@@ -399,3 +399,17 @@ def test_repeated_data_rows_and_two_tools_of_a_name(spark, tmp_path):
     assert [(r.id, r.coco_url, r.date_captured, r.license) for r in coco.images.collect()] == [(0, "u", "now", 1)]
     assert sorted((r.id, r.image_id, r.category_id, r.x, r.area) for r in coco.annotations.collect()) == [(f"o{k}", 0, k, 1.0, 12.0) for k in (1, 1, 2, 2)]
     assert sorted((r.id, r.name) for r in coco.categories.collect()) == [(1, "cow"), (2, "cow")]
+
+
+@pytest.mark.parametrize("tile", [8, 64])
+def test_carried_depth_over_a_large_raster(spark, tile):
+    """With tiles that come as flights reach them, the carried search gives what the whole raster gives; frames hold several points."""
+    from fieldlens.plans import mapping as P
+
+    t = Tables(spark, SF)
+    rays = P._rays(t).withColumn("obs_ind", F.floor(F.col("obs_ind") / 4)).filter("obs_ind < 120")
+    raster = P.raster(t)
+    rough = G.Raster(raster.cells.withColumn("elev", F.col("elev") + F.col("xr") * 1.5), **{k: getattr(raster, k) for k in ("x_origin", "pixel_width", "y_origin", "pixel_height", "offset")})
+    columns = ["track_id", "obs_ind", "col_px", "row_px", "gx", "gy", "found", "mu", "elevation"]
+    one, two = (plain(G.ground_points_carried(rays, rough, limit_cells=n, tile=tile).select(*columns).toPandas()) for n in (10**6, 0))
+    pd.testing.assert_frame_equal(one, two)
