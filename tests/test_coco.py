@@ -30,7 +30,7 @@ def splits(spark):
         spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("indent, size", [(None, "128m"), (None, "3001b"), (4, "5003b"), (None, "397b")])
+@pytest.mark.parametrize("indent, size", [(None, "128m"), (None, "3001b"), (4, "5003b"), (None, "1499b")])
 def test_objects_whatever_the_ranges(spark, splits, tmp_path, indent, size):
     (tmp_path / "a.json").write_text(json.dumps(DOCUMENT, indent=indent))
     (tmp_path / "b.json").write_text(json.dumps({"images": [{"id": -1}], "info": {}}))
