@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 import zlib
@@ -15,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import cut
-from .warcsink import WarcSink
 
 # fixed values: the fields of an ARC record's header line, by version of the file
 ARC_FIELDS = {1: ("url", "ip", "date", "type", "length"), 2: ("url", "ip", "date", "type", "status", "checksum", "location", "offset", "filename", "length")}
+# fixed value: an empty gzip member, which ends each file that write_warc writes
+_TAIL = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for URLs
 
 
@@ -97,9 +99,15 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def http_parts(content: bytes) -> tuple[bytes, bytes]:
+    """(HTTP head with the blank line that ends it, payload) of a captured document; without a head, all of it is payload."""
+    end = content.find(b"\r\n\r\n") + 4 if content.startswith(b"HTTP/") else 0
+    return (content[:end], content[end:]) if end > 3 else (b"", content)
+
+
 def record_id(entry: Entry) -> str:
     """The same entry has the same identifier in every conversion."""
-    return _named(entry.url, entry.date, entry.location, digest32(entry.payload))
+    return _named(entry.url, entry.date, entry.location, digest32(http_parts(entry.payload)[1]))
 
 
 def _named(url: str, date: str, location: str | None, digest: str) -> str:
@@ -113,8 +121,8 @@ def warc_date(date: str) -> str:
 
 
 def warc_type(entry: Entry) -> str:
-    """What an ARC record is in WARC: the version block is warcinfo, a DNS answer a resource, anything else a response."""
-    return "warcinfo" if entry.version is not None else "resource" if entry.kind == "text/dns" else "response"
+    """What an ARC record is in WARC: the version block is warcinfo, what has an HTTP head a response, anything else a resource."""
+    return "warcinfo" if entry.version is not None else "response" if http_parts(entry.payload)[0] else "resource"
 
 
 class Target(NamedTuple):
@@ -127,23 +135,23 @@ class Target(NamedTuple):
 def warc_record(entry: Entry, target: Target | None) -> bytes:
     """The equivalent WARC record, without the two line ends after it.
 
-    With a target the record is a revisit of it, which keeps its payload's length and digest only. A version block keeps its
-    text as the warcinfo's content and its file's name as WARC-Filename.
+    With a target the record is a revisit of it, which keeps its HTTP head, and of its payload the length and digest only. A
+    version block keeps its text as the warcinfo's content and its file's name as WARC-Filename.
     """
-    kind, body, digest = warc_type(entry), entry.payload if target is None else b"", digest32(entry.payload)
-    head = ["WARC/1.0", f"WARC-Type: {kind if target is None else 'revisit'}", f"WARC-Record-ID: {record_id(entry)}", f"WARC-Date: {warc_date(entry.date)}"]
+    kind, (head, payload) = warc_type(entry), http_parts(entry.payload)
+    body, digest = entry.payload if target is None else head, digest32(payload)
+    lines = ["WARC/1.0", f"WARC-Type: {kind if target is None else 'revisit'}", f"WARC-Record-ID: {record_id(entry)}", f"WARC-Date: {warc_date(entry.date)}"]
     if kind == "warcinfo":
-        head.append(f"WARC-Filename: {entry.url.removeprefix('filedesc:').lstrip('/')}")
+        lines.append(f"WARC-Filename: {entry.url.removeprefix('filedesc:').lstrip('/')}")
     else:
-        head += [f"WARC-Target-URI: {entry.url}", f"WARC-IP-Address: {entry.ip}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(entry.payload)}"]
-        head.append(f"WARC-Source-Location: {entry.location or '-'}")
+        lines += [f"WARC-Target-URI: {entry.url}", f"WARC-IP-Address: {entry.ip}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}"]
+        lines.append(f"WARC-Source-Location: {entry.location or '-'}")
     if target is not None:
         named = _named(target.url, entry.date, target.location, digest)
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {named}"]
-        head += [f"WARC-Refers-To-Target-URI: {target.url}", f"WARC-Refers-To-Date: {warc_date(entry.date)}", f"WARC-Refers-To-Source-Location: {target.location or '-'}"]
-    else:
-        head.append(f"WARC-Block-Digest: sha1:{digest}")
-    return "\r\n".join([*head, f"Content-Type: {entry.kind}", f"Content-Length: {len(body)}", "", ""]).encode() + body
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {named}"]
+        lines += [f"WARC-Refers-To-Target-URI: {target.url}", f"WARC-Refers-To-Date: {warc_date(entry.date)}", f"WARC-Refers-To-Source-Location: {target.location or '-'}"]
+    lines += [f"WARC-Block-Digest: sha1:{digest32(body)}", f"Content-Type: {'application/http; msgtype=response' if head else entry.kind}"]
+    return "\r\n".join([*lines, f"Content-Length: {len(body)}", "", ""]).encode() + body
 
 
 def read_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
@@ -166,11 +174,16 @@ def read_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
         yield head, content
 
 
+def _captured(html: bytes) -> bytes:
+    return b"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(html) + html
+
+
 def convert(df: DataFrame, *, version: int = 2) -> DataFrame:
     """(record binary): WARC records of the rows (key, url, date, payload string, target struct<key, url>).
 
-    Each task writes its rows as ARC files in memory, of 64 rows each, and converts them record by record: a warcinfo of each
-    file, and a record for each row. A row without a target, or that is its own, is a response.
+    Each task writes its rows as ARC files in memory, of 64 rows each, every page behind an HTTP head as crawlers keep it, and
+    converts them record by record: a warcinfo of each file, and a record for each row. A row without a target, or that is
+    its own, is a response.
     """
 
     def run(batches):
@@ -178,7 +191,7 @@ def convert(df: DataFrame, *, version: int = 2) -> DataFrame:
             for a in range(0, len(batch), 64):
                 keys, urls, dates, payloads, targets = (batch.column(k).slice(a, 64).to_pylist() for k in range(5))
                 ids = [None if k is None else str(k) for k in keys]
-                entries = [Entry(u, "0.0.0.0", d, "text/html", k, (p or "").encode()) for k, u, d, p in zip(ids, urls, dates, payloads, strict=True)]
+                entries = [Entry(u, "0.0.0.0", d, "text/html", k, _captured((p or "").encode())) for k, u, d, p in zip(ids, urls, dates, payloads, strict=True)]
                 info, *read = read_arc(arc_file(entries, version))
                 back = [warc_record(info, None)]
                 for e, key, t in zip(read, ids, targets, strict=True):
@@ -189,11 +202,33 @@ def convert(df: DataFrame, *, version: int = 2) -> DataFrame:
     return df.select("key", "url", "date", "payload", "target").mapInArrow(run, "record binary")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """The records (record binary) as WARC files below path, each record a gzip member of its own."""
-    spark = records.sparkSession
-    spark.dataSource.register(WarcSink)
-    records.select("record").write.format(WarcSink.name()).mode("append").option("path", path).save()
+def write_warc(records: DataFrame, path: str, *, file_bytes: int = 16 << 20) -> None:
+    """The records (record binary) as WARC files below path, each record a gzip member of its own.
+
+    Files have about file_bytes, which a task holds at once. Spark's text sink writes and commits them, a row a file, so path
+    may be on any file system that Spark can write to, and a lost task leaves nothing; its names end in .txt all the same.
+    It ends a row by a fixed separator, here an empty gzip member, in which no record is.
+    """
+
+    def pack(batches):
+        held: list[bytes] = []
+        size = 0
+        for batch in batches:
+            for record in batch.column(0):
+                held.append(gzip.compress(record.as_py() + b"\r\n\r\n", 6, mtime=0))
+                size += len(held[-1])
+                if size >= file_bytes:
+                    yield _file(held)
+                    held, size = [], 0
+        if held:
+            yield _file(held)
+
+    files = records.select("record").mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value"))
+    files.write.mode("append").option("maxRecordsPerFile", 1).options(lineSep=_TAIL.decode("latin-1"), encoding="ISO-8859-1").text(path)
+
+
+def _file(members: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["value"])
 
 
 _SCANNED = (
@@ -203,13 +238,20 @@ _SCANNED = (
 
 
 def _scanned(head: dict, content: bytes) -> tuple:
-    """One record's row. What has its payload with it is measured again, and has to agree with what its header declares."""
+    """One record's row. What a record has with it is measured again, and has to agree with what its header declares."""
     own = lambda name: None if head.get(name, "-") == "-" else head[name]
-    digest, size = (own("warc-payload-digest") or own("warc-block-digest") or "").removeprefix("sha1:"), int(head.get("warc-payload-length", len(content)))
-    if head["warc-type"] != "revisit":
-        if (digest32(content), len(content)) != (digest, size):
-            raise ValueError(f"record {head['warc-record-id']}: digest or length isn't that of its content")
-    return head["warc-type"], head["warc-record-id"], head.get("warc-target-uri"), head["warc-date"], own("warc-source-location"), own("warc-refers-to-source-location"), own("warc-refers-to"), digest, size, content
+    kind, block, declared = head["warc-type"], own("warc-block-digest"), own("warc-payload-digest")
+    payload = http_parts(content)[1] if head.get("content-type", "").startswith("application/http") else content
+    size = int(head.get("warc-payload-length", len(payload)))
+    if kind == "revisit":
+        digest = (declared or "").removeprefix("sha1:")
+    else:
+        digest = digest32(payload)
+        if (declared or "sha1:" + digest, size) != ("sha1:" + digest, len(payload)):
+            raise ValueError(f"record {head['warc-record-id']}: digest or length isn't that of its payload")
+    if block and block != "sha1:" + (digest32(content) if kind == "revisit" or len(payload) < len(content) else digest):
+        raise ValueError(f"record {head['warc-record-id']}: digest isn't that of its content")
+    return kind, head["warc-record-id"], head.get("warc-target-uri"), head["warc-date"], own("warc-source-location"), own("warc-refers-to-source-location"), own("warc-refers-to"), digest, size, payload
 
 
 def gzip_members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
@@ -229,7 +271,8 @@ def gzip_members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
 def scan_warc(spark, path: str) -> DataFrame:
     """The records of all WARC files below path: type, id, location, what a revisit refers to, digest, length, content.
 
-    Digest and length are computed from the content; a revisit, which has none, gives those that it declares.
+    The content is the payload, without an HTTP head. Digest and length are computed from it; a revisit, which has none,
+    gives those that it declares. A file is one row of a task; those of write_warc are of a bounded size.
     """
     names = [n for n, _ in _SCANNED]
 
