@@ -350,7 +350,31 @@ def tracks_to_utm(t):
     return got.select("track_id", "obs_ind", "found", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query("tracks_to_utm_carry")
+def _carry_sql() -> str:
+    """Looks of each observation's rays, one ray after the other: where a ray is done, the next begins from its depth."""
+    rays = _ray_sql(f"SELECT *, {GUESS}::double AS mu0 FROM ({_WARPED}) WHERE m00 IS NOT NULL", "p.segment").replace("p.*", "track_id, obs_ind, observation_id, p03, p13, m02, m12")
+    x, y, z = (f"(i{k}0*(u*mu - (p03 - m02*mu0)) + i{k}1*(v*mu - (p13 - m12*mu0)) + i{k}2*(mu - q2) + {GEO['offset'][k]}::double)" for k in range(3))
+    at = (
+        f"greatest(0, least(trunc(({x} - {GEO['x_origin']}::double) / {GEO['pixel_width']}::double)::bigint, mx)) AS xr, greatest(0, least(trunc(({y} "
+        f"- {GEO['y_origin']}::double) / {GEO['pixel_height']}::double)::bigint, my)) AS yr, {z} AS z"
+    )
+    look = lambda source: f"SELECT observation_id, k, mu0, mu, low, high, n, xr, yr, z + 1.0 - coalesce(elev, least) AS gap FROM (SELECT *, {at} FROM ({source}), ends) LEFT JOIN filled USING (xr, yr)"
+    first = f"SELECT r.*, {GUESS}::double AS mu0, {GUESS}::double AS mu, 0.0::double AS low, NULL::double AS high, 0 AS n FROM r WHERE k = 1"
+    over = "n > 50 OR abs(gap) <= 0.1"
+    moved = (
+        f"observation_id, CASE WHEN {over} THEN k + 1 ELSE k END AS k, CASE WHEN {over} THEN mu ELSE mu0 END AS mu0, CASE WHEN {over} THEN mu WHEN gap > 0 AND high IS NULL "
+        f"THEN mu * 2 WHEN gap > 0 THEN (mu + high) / 2 ELSE (low + mu) / 2 END AS mu, CASE WHEN {over} THEN 0.0 WHEN gap > 0 THEN mu ELSE low END AS low, CASE WHEN {over} "
+        f"THEN NULL WHEN gap > 0 THEN high ELSE mu END AS high, CASE WHEN {over} THEN 0 ELSE n + 1 END AS n"
+    )
+    then = f"SELECT r.*, m.mu0, m.mu, m.low, m.high, m.n FROM (SELECT {moved} FROM looks) m JOIN r USING (observation_id, k)"
+    return (
+        f"WITH RECURSIVE {_CELLS}, r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY observation_id ORDER BY obs_ind) AS k FROM ({rays})), looks AS ({look(first)} "
+        f"UNION ALL {look(then)}) SELECT track_id, obs_ind, n <= 50 AS found, round(xr * {GEO['pixel_width']}::double + {GEO['x_origin']}::double, 4) AS x, round(yr * "
+        f"{GEO['pixel_height']}::double + {GEO['y_origin']}::double, 4) AS y, round(mu, 6) AS mu FROM looks JOIN r USING (observation_id, k) WHERE {over}"
+    )
+
+
+@query("tracks_to_utm_carry", _carry_sql())
 def tracks_to_utm_carry(t):
     """With the depth carried from frame to frame; the frames of the fixture hold a point each."""
     got = O.ground_points_carried(_rays(t), raster(t))
