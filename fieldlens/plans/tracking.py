@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldlens.operators import inference as I
 from fieldlens.operators import tracking as T
 from fieldlens.plans.registry import query
 
@@ -57,6 +58,46 @@ def predictor(t):
     return T.apply_predictor(t.images.select("image_id"), make, "image_id long, label long, score double")
 
 
+def _predicted(t):
+    """By a stand-in for a model, on bytes that stand for images: those of one video are damaged, and one in eleven names is too long for it."""
+
+    def decode(content):
+        name = bytes(content).decode("ascii")
+        if name.startswith("survey_7_"):
+            raise ValueError("damaged")
+        return int(name.rsplit("_", 1)[1].removesuffix(".JPG"))
+
+    def make():
+        def model(numbers):
+            if any(n % 11 == 3 for n in numbers):
+                raise MemoryError("too large")
+            return [
+                {"boxes": [[n % 97 + k, k, n % 97 + k + 10.0, 20.0 + k] for k in range(n % 4)], "labels": [1 + (n + k) % 6 for k in range(n % 4)], "scores": [(n * 7 + k * 31) % 101 / 101 for k in range(n % 4)]}
+                for n in numbers
+            ]
+
+        return model
+
+    return I.predict(t.images.select("image_id", "video_id", F.col("file_name").cast("binary").alias("content")), make, decode=decode, batch=8, keys=("image_id", "video_id"))
+
+
+_N = "SELECT image_id, video_id, image_id AS n FROM fx_images WHERE video_id <> 7 AND image_id % 11 <> 3"
+
+
+@query("predict_boxes",
+    f"SELECT image_id, video_id, k AS place, (n % 97 + k)::double AS x1, k::double AS y1, (n % 97 + k + 10)::double AS x2, (20 + k)::double AS y2, 1 + (n + k) % 6 AS label, "
+    f"round(((n * 7 + k * 31) % 101) / 101.0::double, 6) AS score FROM ({_N}) CROSS JOIN (SELECT unnest([0, 1, 2]::bigint[]) AS k) WHERE k < n % 4 AND (n * 7 + k * 31) % 101 >= 31")
+def predicted_boxes(t):
+    """Boxes of a score that is high enough."""
+    return I.detections(_predicted(t), least_score=31 / 101).withColumn("score", F.round("score", 6))
+
+
+@query("predict_failures",
+    "SELECT CASE WHEN video_id = 7 THEN 'ValueError: damaged' ELSE 'MemoryError: too large' END AS error, count(*) AS n FROM fx_images WHERE video_id = 7 OR image_id % 11 = 3 GROUP BY 1")
+def failures(t):
+    return I.failed(_predicted(t)).groupBy("error").agg(F.count("*").alias("n"))
+
+
 @query("segment_worker", "SELECT segment, count(*) AS n, round(sum(m02), 6) AS moved FROM fx_warps GROUP BY 1")
 def worker(t):
     """What a segment's worker sums up, for all segments at once."""
