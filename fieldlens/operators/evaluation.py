@@ -17,12 +17,27 @@ from fieldlens.sources.shared import cut
 
 @dataclass(frozen=True)
 class EvalParams:
-    """Thresholds of an evaluation; areas are (name, least, most)."""
+    """What an evaluation goes by; areas are (name, least, most). Unknown names and values that make no sense are errors.
+
+    classes: those to evaluate, all if None. use_classes: whether a detection has to have the class of its ground truth;
+    otherwise all classes are one, -1.
+    """
 
     iou: tuple[float, ...] = (0.2, 0.5, 0.8)
     most_dets: int = 350
     areas: tuple[tuple[str, float, float], ...] = (("all", 0.0, 1e10),)
     recall_steps: int = 100
+    classes: tuple[int, ...] | None = None
+    use_classes: bool = True
+
+    def __post_init__(self) -> None:
+        names = [n for n, _, _ in self.areas]
+        if not self.iou or not all(0 < t <= 1 for t in self.iou) or len(set(self.iou)) < len(self.iou):
+            raise ValueError(f"overlap thresholds {self.iou}")
+        if not names or len(set(names)) < len(names) or not all(a <= b for _, a, b in self.areas):
+            raise ValueError(f"area ranges {self.areas}")
+        if self.most_dets < 1 or self.recall_steps < 1:
+            raise ValueError(f"{self.most_dets} detections, {self.recall_steps} steps of recall")
 
 
 # fixed values: the area ranges and overlap thresholds of the COCO summary
@@ -205,7 +220,17 @@ def operating_points(samples: DataFrame, score_thrs: tuple[float, ...] = (0.2, 0
     return best.select("category_id", "iou_thr", "score_thr", F.col("b.rec_thr").alias("recall"), F.col("b.precision").alias("precision"))
 
 
-def evaluate(dets: DataFrame, gts: DataFrame, params: EvalParams) -> DataFrame:
+def chosen(boxes: DataFrame, params: EvalParams, images: DataFrame | None = None) -> DataFrame:
+    """The detections or ground truths that params evaluate, of the images given (a column image_id; all if None)."""
+    if images is not None:
+        boxes = boxes.join(images.select("image_id"), "image_id", "left_semi")
+    if params.classes is not None:
+        boxes = boxes.filter(F.col("category_id").isin(*params.classes)) if params.classes else boxes.limit(0)
+    return boxes if params.use_classes else boxes.withColumn("category_id", F.lit(-1).cast(boxes.schema["category_id"].dataType))
+
+
+def evaluate(dets: DataFrame, gts: DataFrame, params: EvalParams, images: DataFrame | None = None) -> DataFrame:
+    dets, gts = chosen(dets, params, images), chosen(gts, params, images)
     truths = cut(truth_counts(gts, params), "truths")
     return sampled(precision_recall(greedy_match(dets, gts, params), truths), truths, params)
 

@@ -151,6 +151,19 @@ for _area in V.COCO.areas:
     query(f"coco_summary_{_area[0]}", _summary_part(_own))(lambda t, params=_own: _summary(t, params))
 
 
+_OWN = V.EvalParams(iou=(0.3, 0.6), most_dets=50, areas=(("little", 0.0, 6000.0), ("much", 6000.0, 1e10)), classes=(2, 3, 5), use_classes=False)
+_ONE_CLASS = "(SELECT * REPLACE (-1::bigint AS category_id) FROM {} WHERE category_id IN (2, 3, 5))"
+
+
+@query("eval_params",
+    f"WITH {_match_sql(_OWN, dets=_ONE_CLASS.format('fx_detections'), truths=_ONE_CLASS.format('fx_annotations'))}{_CURVE}{_SAMPLES} "
+    "SELECT area, iou_thr, category_id, round(avg(precision), 6) AS ap FROM samples GROUP BY 1, 2, 3")
+def eval_params(t):
+    """Some classes by thresholds and areas of one's own, whatever class a detection says."""
+    got = V.evaluate(t.detections, t.annotations, _OWN)
+    return got.groupBy("area", "iou_thr", F.col("category_id").cast("long").alias("category_id")).agg(F.round(F.avg("precision"), 6).alias("ap"))
+
+
 @query("val_loss", _THREE +
     " SELECT round(avg(l), 6) AS loss FROM (SELECT image_id, avg(CASE WHEN gid IS NULL THEN 1 - score ELSE score END) AS l FROM matches "
     "WHERE iou_thr = 0.5 GROUP BY 1)")
