@@ -216,14 +216,17 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Null, empty and blank texts and those of fewer than width words lose nothing (without words, kept_text is empty). Rows
     with the same text or id, and rows without an id, count as separate documents; all occurrences of a window are removed,
-    so there are no ties. No rows give no rows. Other columns are ignored, whatever their names.
+    so there are no ties. No rows give no rows. Other columns are ignored, whatever their names. The order of the rows of a
+    partition may change when df is read again, but not which rows it holds.
     bucket_bytes: text in one task's bucket. A longer text is a bucket of its own and has to fit in a task, which takes
     about 40 times its bytes.
     """
     base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(96, total // bucket_bytes)
-    dealt = base.withColumn("at", F.monotonically_increasing_id()).withColumn("bucket", F.pmod(F.xxhash64("at"), F.lit(buckets)).cast("int"))
+    # the rows are read three times, or again where an executor is lost: sorted, a partition's rows get the same numbers each time
+    firm = base.sortWithinPartitions(F.xxhash64("doc_id", "text"), "doc_id", "text")
+    dealt = firm.withColumn("at", F.monotonically_increasing_id()).withColumn("bucket", F.pmod(F.xxhash64("at"), F.lit(buckets)).cast("int"))
 
     def ask_names(key, table):
         bucket, number = Bucket(table, width), key[0].as_py()

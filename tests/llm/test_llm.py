@@ -97,6 +97,38 @@ def test_op2_periodic_words(seed):
     assert {k for k, w in every if count[w] > 1} <= cand
 
 
+def test_op2_order_that_changes(spark):
+    """Rows that come in another order each time they are read, repeated rows among them: each keeps its own words."""
+    rng = random.Random(5)
+    shared = [rng.choice("abcdefgh") + str(k) for k in range(60)]
+    texts = [" ".join([f"w{i}-{k}" for k in range(rng.randint(1, 30))] + (shared[i % 9 : i % 9 + 45] if i % 3 else []) + [f"z{i}-{k}" for k in range(i % 40)]) for i in range(200)]
+    rows = [(i if i % 50 else None, t) for i, t in enumerate(texts)] + [(1, texts[1]), (1, texts[1]), (None, ""), (None, None), (None, None)]
+
+    def shuffled(frames):
+        import os
+
+        import pandas as pd
+
+        whole = pd.concat(frames)
+        yield whole.sample(frac=1, random_state=int.from_bytes(os.urandom(4)))
+
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "text").mapInPandas(shuffled, "doc_id long, text string")
+    at = Counter(tuple(w[k : k + 35]) for w in ((t or "").split() for _, t in rows) for k in range(len(w) - 34))
+    want = Counter()
+    for i, t in rows:
+        w = (t or "").split()
+        gone = {j for k in range(len(w) - 34) if at[tuple(w[k : k + 35])] > 1 for j in range(k, k + 35)}
+        want[i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)] += 1
+    assert sum(k[2] > 0 for k in want) > 50
+    reuse = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")  # so that every reader has an order of its own
+    try:
+        got = Counter(tuple(r) for r in substrings.remove_repeats(table, bucket_bytes=2000).collect())
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+    assert got == want
+
+
 def members(data):
     """The gzip members of a file, each of which has to be one record, but for the last, which is empty."""
     import zlib
