@@ -296,11 +296,10 @@ def ground_tiled(t):
     return _places(O.ground_points(_rays(t), raster(t), limit_cells=0, tile=16))
 
 
-@query("position_utm", f"{_GROUND} SELECT obs_ind, track_id, round(gx, 4) AS x, round(gy, 4) AS y FROM g WHERE track_id % 7 = 3 AND found")
+@query("position_utm", f"{_GROUND} SELECT obs_ind, track_id, round(gx, 4) AS x, round(gy, 4) AS y FROM g WHERE found")
 def position(t):
-    """The places of some tracks, without the correction of segments."""
-    tracks = t.tracks.filter(F.col("track_id") % 7 == 3)
-    got = O.ground_points(O.track_rays(tracks, t.anchors, t.warps, t.cameras.drop("image_name"), GUESS), raster(t))
+    """The places of all tracks, without the correction of segments."""
+    got = O.ground_points(_rays(t), raster(t))
     return got.filter("found").select("obs_ind", "track_id", F.round("gx", 4).alias("x"), F.round("gy", 4).alias("y"))
 
 
