@@ -66,8 +66,18 @@ def flip_keypoints(points: Column, width: Column) -> Column:
     return F.get(F.transform(F.array(points), lambda all_of: F.transform(order, lambda i: one(F.get(all_of, i)))), F.lit(0))
 
 
-def oks(a: Column, b: Column, area: Column, spread: Sequence[float]) -> Column:
-    """Object key-point similarity: mean over the visible points of b of exp(-d^2 / (2 area (2 spread)^2))."""
+def oks(a: Column | list, b: Column | list, area: Column, spread: Sequence[float]) -> Column:
+    """Object key-point similarity: mean over the visible points of b of exp(-d^2 / (2 area (2 spread)^2)).
+
+    a and b are arrays of (x, y, v), or lists of such columns by name, of which no array is made.
+    """
+    if isinstance(a, list):
+        far = lambda p, q: F.pow(p["x"] - q["x"], 2) + F.pow(p["y"] - q["y"], 2)
+        terms = [F.when(q["v"] > 0, F.exp(-far(p, q) / (2 * area * F.pow(F.lit(2.0 * s), 2)))) for p, q, s in zip(a, b, spread, strict=True)]
+        total, n = F.lit(0.0), F.lit(0)
+        for t in terms:
+            total, n = total + F.coalesce(t, F.lit(0.0)), n + t.isNotNull().cast("int")
+        return F.when(n > 0, total / n)
     k = F.array(*[F.lit(float(s)) for s in spread])
 
     def similar(p: Column, q: Column) -> Column:

@@ -5,9 +5,14 @@ Ground truth: id, image_id, category_id, x, y, w, h, iscrowd. Detections: det_id
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
+from itertools import pairwise
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,67 +65,131 @@ def box_overlap() -> Column:
     return B.iou([F.col(c) for c in "xywh"], [F.col(f"g{c}") for c in "xywh"], F.col("giscrowd"))
 
 
-def keypoint_similarity(spread: tuple[float, ...]) -> Column:
-    """Of a detection's key points and a ground truth's, both arrays of (x, y, v) named points."""
-    return B.oks(F.col("points"), F.col("gpoints"), F.col("garea"), spread)
+def keypoint_similarity(spread: tuple[float, ...], points: Column | list | None = None, gpoints: Column | list | None = None) -> Column:
+    """Of a detection's key points and a ground truth's, both arrays of (x, y, v), by default named points.
+
+    Points that are made of other columns are best given as lists (as in oks): then they aren't shuffled.
+    """
+    return B.oks(F.col("points") if points is None else points, F.col("gpoints") if gpoints is None else gpoints, F.col("garea"), spread)
 
 
-def candidates(dets: DataFrame, gts: DataFrame, least: float, similar: Column | None = None) -> DataFrame:
+def candidates(dets: DataFrame, gts: DataFrame, least: float, similar: Column | None = None, how: str = "inner") -> DataFrame:
     """Detections with the ground truths (g before their columns) of the same image and class that are like them by least or
-    more; iou is the likeness, by default the overlap of boxes."""
+    more; iou is the likeness, by default the overlap of boxes. how "left" keeps detections without any as well."""
     size = F.col("area") if "area" in gts.columns else F.col("w") * F.col("h")
     kept = [F.col(c).alias(f"g{c}") for c in ("x", "y", "w", "h", "points") if c in gts.columns]
     g = gts.select("image_id", "category_id", F.col("id").alias("gid"), F.col("iscrowd").alias("giscrowd"), *kept, size.alias("garea"))
-    return dets.join(g, ["image_id", "category_id"]).withColumn("iou", box_overlap() if similar is None else similar).filter(F.col("iou") >= least)
+    like = box_overlap() if similar is None else similar
+    if how == "inner":
+        return dets.join(g, ["image_id", "category_id"]).withColumn("iou", like).filter(F.col("iou") >= least)
+    g = g.withColumnsRenamed({"image_id": "gimage_id", "category_id": "gcategory_id"})
+    near = (F.col("image_id") == F.col("gimage_id")) & (F.col("category_id") == F.col("gcategory_id")) & (like >= least)
+    return dets.join(g, near, "left").withColumn("iou", F.when(F.col("gid").isNotNull(), like))
 
 
-def greedy_match(dets: DataFrame, gts: DataFrame, params: EvalParams, similar: Column | None = None) -> DataFrame:
-    """(area, iou_thr, image_id, category_id, det_id, score, rk, gid, ignored) for every detection that counts.
+def _words(params: EvalParams, bits: int = 60) -> list[EvalParams]:
+    """params in parts of which each has so many slots at most: pairs of an area and a threshold, one bit of a long each."""
+    ious = [params.iou[i : i + bits] for i in range(0, len(params.iou), bits)]
+    each = max(1, bits // len(ious[0]))
+    return [replace(params, iou=t, areas=params.areas[i : i + each]) for t in ious for i in range(0, len(params.areas), each)]
+
+
+def slots(params: EvalParams) -> list[tuple[str, float]]:
+    return [(n, float(t)) for n, _, _ in params.areas for t in params.iou]
+
 
-    Each image and class is folded over in order of score: a detection takes the free ground truth with the greatest likeness
+def match_bits(dets: DataFrame, gts: DataFrame, params: EvalParams, similar: Column | None = None) -> DataFrame:
+    """(image_id, category_id, det_id, score, rk, found, ignored, gids, slots): one row for every detection, whatever the
+    number of areas and thresholds; these are bits (area by area, in each by threshold), 60 at most.
+
+    Each image and class is gone through in order of score: a detection takes the free ground truth with the greatest likeness
     of at least the threshold, one that counts before one that is ignored (a crowd, or outside the area range), and of equal
-    ones the one with the larger id. A crowd can be taken again. gid is null if it takes none; then it is ignored if its
-    own area is outside the range. The state is as large as one image's matches.
+    ones the one with the larger id. A crowd can be taken again. found: where it takes one; gids and slots: which one where.
+    ignored: where what it takes is, or where it takes none and its own area is outside the range. All areas and thresholds
+    are matched at once; only what one image's truths are taken for is held.
     """
-    ranges = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")) for n, a, b in params.areas]))
-    outside = lambda a: (a < F.col("range.low")) | (a > F.col("range.high"))
+    if len(slots(params)) > 60:
+        raise ValueError("more than 60 areas and thresholds")
+    thrs = sorted(min(float(t), 1 - 1e-10) for t in params.iou)
+    outside = lambda v: sum((F.when((v < float(low)) | (v > float(high)), 1 << k).otherwise(0) for k, (_, low, high) in enumerate(params.areas)), F.lit(0))
+    reached = sum((F.when(F.col("iou") >= t, 1).otherwise(0) for t in thrs), F.lit(0))
     top = top_detections(dets, params.most_dets)
-    counts = F.when((F.col("giscrowd") == 1) | outside(F.col("garea")), 0).otherwise(1)
-    found = candidates(top, gts, min(*params.iou, 1 - 1e-10), similar).withColumn("range", ranges)
-    found = found.select(
-        F.col("range.name").alias("area"), "det_id", "image_id", "category_id",
-        F.struct(counts.alias("counts"), "iou", "gid", F.col("giscrowd").cast("int").alias("crowd")).alias("c"),
-    )
-    at = ["area", "image_id", "category_id"]
-    own = found.groupBy(*at, "det_id").agg(F.collect_list("c").alias("cands"))
-    each = top.withColumn("range", ranges).select(
-        F.col("range.name").alias("area"), "image_id", "category_id", "det_id", "score", "rk", outside(F.col("w") * F.col("h")).alias("out"),
+    near = candidates(top, gts, thrs[0], similar, how="left")
+    rows = near.select(
+        "image_id", "category_id", "det_id", "score", "rk", outside(F.col("w") * F.col("h")).alias("out"), "gid",
+        (F.col("giscrowd") == 1).alias("crowd"), reached.alias("reached"), outside(F.col("garea")).alias("gout"), F.coalesce("iou", F.lit(0.0)).alias("iou"),
     )
-    rows = each.join(own, [*at, "det_id"], "left")
-    one = F.struct("rk", "det_id", "score", "out", F.coalesce("cands", F.array().cast(own.schema["cands"].dataType)).alias("cands"))
-    groups = rows.groupBy(*at).agg(F.array_sort(F.collect_list(one)).alias("dets"))
-    step = "struct<det_id:bigint,score:double,rk:bigint,gid:bigint,ignored:boolean>"
+    n = len(params.iou)
+    areas, everything = [((1 << n) - 1) << (k * n) for k in range(len(params.areas))], (1 << n * len(params.areas)) - 1
+    in_areas = [sum(m for k, m in enumerate(areas) if bits >> k & 1) for bits in range(1 << len(areas))] if len(areas) <= 12 else None
+    of_areas = in_areas.__getitem__ if in_areas else lambda bits: sum(m for k, m in enumerate(areas) if bits >> k & 1)
+    passed = [sum(1 << (k * n + j) for k in range(len(areas)) for j, t in enumerate(params.iou) if min(float(t), 1 - 1e-10) in thrs[:r]) for r in range(n + 1)]
+    kept = ["image_id", "category_id", "det_id", "score", "rk"]
+    schema = ", ".join([*(f"{c} {near.schema[c].dataType.simpleString()}" for c in kept), "found long, ignored long, gids array<long>, slots array<long>"])
 
-    def fold(acc: Column, d: Column, thr: Column) -> Column:
-        free = F.filter(d["cands"], lambda c: (c["iou"] >= thr) & ((c["crowd"] == 1) | ~F.array_contains(acc["taken"], c["gid"])))
+    def run(batches):
+        now, at, open_, taken = None, None, everything, {}  # image and class; the detection at hand; its free bits; what is taken
+        gids, slots, later = [], [], []
+
+        def end() -> tuple:
+            """The detection at hand is settled: what is ignored comes after all that counts."""
+            nonlocal open_
+            ignored = 0
+            for g, crowd, may in later:
+                m = may & open_ if crowd else may & open_ & ~taken.get(g, 0)
+                if m:
+                    taken[g] = taken.get(g, 0) | m
+                    open_ &= ~m
+                    ignored |= m
+                    gids.append(g)
+                    slots.append(m)
+            return (*at[:5], everything & ~open_, ignored | open_ & of_areas(at[5]), gids, slots)
 
-        def taken(s: Column) -> Column:
-            best = s["b"]
-            ignored = F.coalesce(best["counts"] == 0, d["out"])
-            row = F.struct(d["det_id"].alias("det_id"), d["score"].alias("score"), d["rk"].alias("rk"), best["gid"].alias("gid"), ignored.alias("ignored"))
-            return F.struct(
-                F.when(best.isNull(), acc["taken"]).otherwise(F.concat(acc["taken"], F.array(best["gid"]))).alias("taken"),
-                F.concat(acc["out"], F.array(row)).alias("out"),
-            )
+        for b in batches:
+            done = []
+            for image, cls, i, score, rk, out, g, crowd, r, gout in zip(*(b.column(c).to_pylist() for c in (*kept, "out", "gid", "crowd", "reached", "gout")), strict=True):
+                if now != (image, cls) or at[4] != rk:
+                    if at is not None:
+                        done.append(end())
+                    if now != (image, cls):
+                        now, taken = (image, cls), {}
+                    at, open_, gids, slots, later = (image, cls, i, score, rk, out), everything, [], [], []
+                if g is not None:
+                    off = everything if crowd else of_areas(gout)
+                    m = passed[r] & open_ & ~off & ~taken.get(g, 0)
+                    if m:
+                        taken[g] = taken.get(g, 0) | m
+                        open_ &= ~m
+                        gids.append(g)
+                        slots.append(m)
+                    if off:
+                        later.append((g, crowd, passed[r] & off))
+            yield table(done, b)
+        if at is not None:
+            yield table([end()], b)
+
+    def table(done: list[tuple], b: pa.RecordBatch) -> pa.RecordBatch:
+        kinds = [*(b.schema.field(c).type for c in kept), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        columns = zip(*done, strict=True) if done else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*kept, "found", "ignored", "gids", "slots"])
+
+    ordered = rows.sortWithinPartitions("image_id", "category_id", "rk", F.desc("iou"), F.desc("gid"))
+    return ordered.select(*kept, "out", F.col("gid").cast("long"), "crowd", "reached", "gout").mapInArrow(run, schema)
 
-        # the best is computed once: it is bound as the only element of an array
-        return F.get(F.transform(F.array(F.struct(F.array_max(free).alias("b"))), taken), F.lit(0))
 
-    thrs = F.explode(F.array(*[F.lit(float(t)) for t in params.iou])).alias("iou_thr")
-    start = F.struct(F.array().cast("array<bigint>").alias("taken"), F.array().cast(f"array<{step}>").alias("out"))
-    spread = groups.select(*at, "dets", thrs).withColumn("thr", F.least(F.col("iou_thr"), F.lit(1 - 1e-10)))
-    folded = F.aggregate("dets", start, lambda acc, d: fold(acc, d, F.col("thr")), lambda acc: acc["out"])
-    return spread.select("iou_thr", *at, F.explode(folded).alias("m")).select("iou_thr", *at, "m.*")
+def greedy_match(dets: DataFrame, gts: DataFrame, params: EvalParams, similar: Column | None = None) -> DataFrame:
+    """(iou_thr, area, image_id, category_id, det_id, score, rk, gid, ignored) for every detection that counts, area and
+    threshold, by match_bits; gid is null where it takes none."""
+
+    def rows(some: EvalParams) -> DataFrame:
+        every = F.explode(F.array(*[F.struct(F.lit(n).alias("area"), F.lit(t).alias("iou_thr"), F.lit(1 << k).cast("long").alias("bit")) for k, (n, t) in enumerate(slots(some))])).alias("s")
+        each = match_bits(dets, gts, some, similar).select("*", every)
+        of = lambda c: F.col(c).bitwiseAND(F.col("s.bit")) != 0
+        which = F.get("gids", F.array_position(F.transform("slots", lambda m: m.bitwiseAND(F.col("s.bit")) != 0), True).cast("int") - 1)
+        gid = F.when(of("found"), which)
+        return each.select("s.iou_thr", "s.area", "image_id", "category_id", "det_id", "score", "rk", gid.alias("gid"), of("ignored").alias("ignored"))
+
+    return reduce(DataFrame.unionByName, map(rows, _words(params)))
 
 
 def truth_counts(gts: DataFrame, params: EvalParams) -> DataFrame:
@@ -131,84 +200,234 @@ def truth_counts(gts: DataFrame, params: EvalParams) -> DataFrame:
     return within.groupBy(F.col("range.name").alias("area"), "category_id").agg(F.count("*").alias("n_truth"))
 
 
+class _Ranges(NamedTuple):
+    """What is known of detections (category_id, det_id, score, image_id, rk, found, live: bits) dealt out by ranges of score.
+
+    before[bin, class]: what found truths and what is live, by slot, in the rows of the class in the ranges before; total
+    [class]: in all; truths[class]: ground truth by slot. Tables of a row for each range and class, or each class.
+    """
+
+    slots: list[tuple[str, float]]
+    before: dict
+    total: dict
+    truths: dict
+
+    def runs(self, b: pa.RecordBatch, state: dict):
+        """For each range and class in a batch: (key, rows from, to, live, tp_n and n at each row by slot); state goes on."""
+        found, live = (b.column(c).to_numpy() for c in ("found", "live"))
+        shift = np.arange(len(self.slots))
+        for key, i, j in _stretches(b):
+            if key[1] not in self.truths:
+                continue
+            if state.get("key") != key:
+                state.update(key=key, seen=self.before[key])
+            on = (live[i:j, None] >> shift & 1).astype(bool) & (self.truths[key[1]] > 0)
+            hit = on & (found[i:j, None] >> shift & 1).astype(bool)
+            tp, n = np.cumsum(hit, 0), np.cumsum(on, 0)
+            (tp0, n0), (tp_all, n_all) = state["seen"], self.total[key[1]]
+            state["seen"] = tp0 + tp[-1], n0 + n[-1]
+            yield key, i, j, on, tp_all - tp0 - tp + hit, n_all - n0 - n + on
+
+
+def _stretches(b: pa.RecordBatch):
+    """((bin, class), from, to) of the stretches of rows of a batch that have the same."""
+    if b.num_rows:
+        bins, classes = b.column("bin").to_numpy(), b.column("category_id").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero((bins[1:] != bins[:-1]) | (classes[1:] != classes[:-1])) + 1).tolist(), b.num_rows]
+        for i, j in pairwise(cuts):
+            yield (bins[i].item(), b.column("category_id")[i].as_py()), i, j
+
+
+def _ranges(bits: DataFrame, slots: list[tuple[str, float]], truths: DataFrame, *, rows_a_task: int = 1_000_000) -> tuple[DataFrame, _Ranges]:
+    """bits (category_id, det_id, score, image_id, rk, found, live) in an order that serves all slots; ties go by image and rank.
+
+    A table of up to rows_a_task rows is one range. Ranges are kept on the executors' disks, for some passes read them.
+    """
+    order = ["category_id", F.asc("score"), F.desc("image_id"), F.desc("rk")]
+    bits = bits.filter("category_id is not null")
+    dealt = bits.repartition(1) if bits.limit(rows_a_task + 1).count() <= rows_a_task else bits.repartitionByRange(*order)
+    rows = dealt.sortWithinPartitions(*order).withColumn("bin", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    n_truth: dict = {}
+    for r in truths.collect():  # a row for each area and class
+        n_truth.setdefault(r.category_id, np.zeros(len(slots)))[[k for k, (a, _) in enumerate(slots) if a == r.area]] = r.n_truth
+    shift = np.arange(len(slots))
+
+    def sums(batches):
+        total: dict = {}
+        for b in batches:
+            found, live = (b.column(c).to_numpy() for c in ("found", "live"))
+            for key, i, j in _stretches(b):
+                on = live[i:j, None] >> shift & 1
+                got = np.stack([(on & found[i:j, None] >> shift & 1).sum(0), on.sum(0)])
+                total[key] = total[key] + got if key in total else got
+        if total:
+            kinds = [pa.int32(), b.schema.field("category_id").type, pa.list_(pa.int64()), pa.list_(pa.int64())]
+            columns = zip(*((*k, *v.tolist()) for k, v in total.items()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bin", "category_id", "tp", "n"])
+
+    before, total = {}, {}
+    found = rows.select("bin", "category_id", "found", "live").mapInArrow(sums, f"bin int, category_id {rows.schema['category_id'].dataType.simpleString()}, tp array<long>, n array<long>")
+    for r in sorted(found.collect(), key=lambda r: r.bin):
+        before[r.bin, r.category_id] = total.get(r.category_id, (np.zeros(len(slots), "int64"),) * 2)
+        tp, n = before[r.bin, r.category_id]
+        total[r.category_id] = tp + r.tp, n + r.n
+    return rows, _Ranges(slots, before, total, n_truth)
+
+
+_EPS = 2.220446049250313e-16
+
+
 def precision_recall(matches: DataFrame, truths: DataFrame, *, rows_a_task: int = 1_000_000) -> DataFrame:
-    """(area, iou_thr, category_id, det_id, score, image_id, rk, place, recall, precision, envelope) along falling scores.
+    """(area, iou_thr, category_id, det_id, score, image_id, rk, place, recall, precision, envelope) along falling scores, of
+    the rows of greedy_match. Ties go by image and rank."""
+    slots = sorted((r.area, r.iou_thr) for r in matches.select("area", "iou_thr").distinct().collect())
+    parts = [slots[i : i + 60] for i in range(0, len(slots), 60)] or [[]]
+
+    def of(some: list) -> DataFrame:
+        bit = F.coalesce(*(F.when((F.col("area") == a) & (F.col("iou_thr") == t), F.lit(1 << k).cast("long")) for k, (a, t) in enumerate(some)), F.lit(0).cast("long"))
+        bits = matches.filter("not ignored").withColumn("live", bit).filter("live <> 0").withColumn("found", F.when(F.col("gid").isNotNull(), F.col("live")).otherwise(F.lit(0).cast("long")))
+        return curve(cut(bits.select("category_id", "det_id", "score", "image_id", "rk", "found", "live"), "matches"), some, truths, rows_a_task=rows_a_task)
+
+    return reduce(DataFrame.unionByName, map(of, parts))
+
 
-    Ties go by image and rank. A class of up to rows_a_task rows is gone through in one task. Where there are larger ones,
-    rows are dealt out by ranges of the order; running sums and the envelope (the greatest precision from here on) are made
-    inside a range and carried over by the table of ranges, a row for each task and class, whatever the scores. matches is
-    written once and read by what needs it, so that the matching isn't done again.
+def curve(bits: DataFrame, slots: list[tuple[str, float]], truths: DataFrame, **options) -> DataFrame:
+    """As precision_recall, of a row for each detection with its slots as bits.
+
+    Rows come by falling recall, so the envelope (the greatest precision from here on) is a running one; what a range's
+    rows begin with is the greatest of the ranges before, a row for each range and class. The ranges stay kept for the
+    session, for the curve is read when it is used.
     """
-    order = [F.desc("score"), F.asc("image_id"), F.asc("rk")]
-    live = cut(matches.filter("not ignored").withColumn("tp", F.col("gid").isNotNull().cast("long")), "matches")
-    most = live.groupBy(*KEY).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    results = [*KEY, "det_id", "score", "image_id", "rk", "place", "recall", "precision", "envelope"]
-    so_far = lambda n: {"recall": F.col("tp_n") / F.col("n_truth"), "precision": F.col("tp_n") / (F.col(n) + F.lit(2.220446049250313e-16)), "place": F.col(n)}
-    if most <= rows_a_task:
-        forth = Window.partitionBy(*KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        counted = live.withColumns({"tp_n": F.sum("tp").over(forth), "n": F.count("*").over(forth)}).join(F.broadcast(truths), ["area", "category_id"])
-        back = Window.partitionBy(*KEY).orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
-        return counted.withColumns(so_far("n")).withColumn("envelope", F.max("precision").over(back)).select(*results)
-    live = cut(live.repartitionByRange(*KEY, *order).withColumn("bin", F.spark_partition_id()), "matches-ranged")
-    inside = Window.partitionBy(*KEY, "bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = live.groupBy(*KEY, "bin").agg(F.sum("tp").alias("b_tp"), F.count("*").alias("b_n"))
-    before = Window.partitionBy(*KEY).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*KEY, "bin", F.coalesce(F.sum("b_tp").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("b_n").over(before), F.lit(0)).alias("n0"))
-    counted = live.withColumn("tp_in", F.sum("tp").over(inside)).withColumn("n_in", F.count("*").over(inside))
-    placed = counted.join(offsets, [*KEY, "bin"]).join(F.broadcast(truths), ["area", "category_id"])
-    summed = placed.withColumns({"tp_n": F.col("tp_in") + F.col("tp0"), "n": F.col("n_in") + F.col("n0")})
-    curve = cut(summed.withColumns(so_far("n")), "curve")
-    tops = curve.groupBy(*KEY, "bin").agg(F.max("precision").alias("b_top"))
-    after = Window.partitionBy(*KEY).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
-    tails = tops.select(*KEY, "bin", F.max("b_top").over(after).alias("tail"))
-    back = Window.partitionBy(*KEY, "bin").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
-    out = curve.withColumn("best_in", F.max("precision").over(back)).join(tails, [*KEY, "bin"])
-    return out.withColumn("envelope", F.greatest("best_in", "tail")).select(*results)
-
-
-def sampled(curve: DataFrame, truths: DataFrame, params: EvalParams) -> DataFrame:
-    """(area, iou_thr, category_id, rec_thr, precision, score) at recall 0, 1/steps ... 1: of the first point that reaches it,
-    else 0. Classes without ground truth give no rows (their cells are undefined).
-
-    The first point of each step that is reached is found by an aggregation, in each task first; the first that reaches a
-    step or a higher one is the least of these, of which a class has steps + 1 at most.
+    rows, ranges = _ranges(bits, slots, truths, **options)
+    kind = rows.schema["category_id"].dataType.simpleString()
+
+    def tops(batches):
+        best, state = {}, {}
+        for b in batches:
+            for key, _, _, _, tp, n in ranges.runs(b, state):
+                best[key] = np.maximum(best.get(key, 0.0), (tp / (n + _EPS)).max(0))
+        if best:
+            columns = [pa.array([k for k, _ in best], pa.int32()), pa.array([k for _, k in best], b.schema.field("category_id").type), pa.array([v.tolist() for v in best.values()], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["bin", "category_id", "top"])
+
+    top, begin = {}, {}
+    for r in sorted(rows.select("bin", "category_id", "found", "live").mapInArrow(tops, f"bin int, category_id {kind}, top array<double>").collect(), key=lambda r: r.bin):
+        begin[r.bin, r.category_id] = top.get(r.category_id, np.zeros(len(slots)))
+        top[r.category_id] = np.maximum(begin[r.bin, r.category_id], r.top)
+    own = ["category_id", "det_id", "score", "image_id", "rk"]
+    areas, thrs = pa.array([a for a, _ in slots], pa.string()), np.array([t for _, t in slots])
+
+    def run(batches):
+        state, now, best = {}, None, None
+        for b in batches:
+            for key, i, j, on, tp, n in ranges.runs(b, state):
+                if key != now:
+                    now, best = key, begin[key]
+                precision = tp / (n + _EPS)
+                envelope = np.maximum(np.maximum.accumulate(precision, 0), best)
+                best = envelope[-1]
+                r, s = np.nonzero(on)
+                at = pa.array(r + i)
+                yield pa.RecordBatch.from_arrays(
+                    [areas.take(pa.array(s)), pa.array(thrs[s]), *(b.column(c).take(at) for c in own), pa.array(n[r, s]), pa.array(tp[r, s] / ranges.truths[key[1]][s]), pa.array(precision[r, s]), pa.array(envelope[r, s])],
+                    names=["area", "iou_thr", *own, "place", "recall", "precision", "envelope"],
+                )
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in own)
+    return rows.mapInArrow(run, f"area string, iou_thr double, {kinds}, place long, recall double, precision double, envelope double")
+
+
+def sampled(bits: DataFrame, truths: DataFrame, params: EvalParams, **options) -> DataFrame:
+    """(area, iou_thr, category_id, rec_thr, precision, score) at recall 0, 1/steps ... 1: of the first point of the curve that
+    reaches it, else 0. Classes without ground truth give no rows (their cells are undefined). bits are rows as curve's.
+
+    Precision there is the greatest from that point on, and points of a step follow one another; so each task sums its
+    points up by step (the first one's score, the greatest precision), steps + 1 rows a class and slot, and no curve is made.
     """
-    spark, steps = curve.sparkSession, params.recall_steps
-    reached = F.floor(F.col("recall") * steps + 1e-9).cast("int").alias("step")
-    point = F.struct("place", F.col("envelope").alias("precision"), "score").alias("p")
-    first = curve.select(*KEY, reached, point).groupBy(*KEY, "step").agg(F.min("p").alias("p"))  # steps + 1 rows a class
-    hit = first.select(*KEY, F.explode(F.sequence(F.lit(0), "step")).alias("step"), "p").groupBy(*KEY, "step").agg(F.min("p").alias("p")).select(*KEY, "step", "p.precision", "p.score")
+    spark, steps, own = bits.sparkSession, params.recall_steps, slots(params)
+    rows, ranges = _ranges(bits, own, truths, **options)
+    kind = rows.schema["category_id"].dataType.simpleString()
+    names = ["area", "iou_thr", "category_id", "step", "place", "score", "precision"]
+
+    def run(batches):
+        state, held, last = {}, {}, None
+        for b in batches:
+            scores, last = b.column("score").to_numpy(), b.schema.field("category_id").type
+            for key, i, j, on, tp, n in ranges.runs(b, state):
+                first, precision = held.setdefault(key[1], ({}, {}))
+                s, r = np.nonzero(on.T)
+                if not len(s):
+                    continue
+                step = np.floor(tp[r, s] / ranges.truths[key[1]][s] * steps + 1e-9).astype("int64")
+                code = s * (steps + 1) + step
+                starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+                ends = np.r_[starts[1:], len(code)] - 1
+                best = np.maximum.reduceat(tp[r, s] / (n[r, s] + _EPS), starts)
+                for c, p, place, score in zip(code[starts].tolist(), best.tolist(), n[r[ends], s[ends]].tolist(), scores[i + r[ends]].tolist(), strict=True):
+                    precision[c] = max(p, precision.get(c, 0.0))
+                    first[c] = place, score  # places fall
+        out = [(*own[c // (steps + 1)], k, c % (steps + 1), *first[c], precision[c]) for k, (first, precision) in held.items() for c in first]
+        if out:
+            kinds = [pa.string(), pa.float64(), last, pa.int32(), pa.int64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    points = cut(rows.select("bin", "category_id", F.col("score").cast("double"), "found", "live").mapInArrow(run, f"area string, iou_thr double, category_id {kind}, step int, place long, score double, precision double"), "points")
+    rows.unpersist()
+    hit = points.select(*KEY, F.explode(F.sequence(F.lit(0), "step")).alias("step"), "place", "score", "precision")
+    hit = hit.groupBy(*KEY, "step").agg(F.max("precision").alias("precision"), F.min_by("score", "place").alias("score"))
     every = F.broadcast(truths.select("area", "category_id")).crossJoin(spark.range(steps + 1).select(F.col("id").cast("int").alias("step")))
     grid = every.withColumn("iou_thr", F.explode(F.array(*[F.lit(float(i)) for i in params.iou])))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     return grid.join(hit, [*KEY, "step"], "left").select(*KEY, (F.col("step") / steps).alias("rec_thr"), zero("precision"), zero("score"))
 
 
+def live_bits(matches: DataFrame, params: EvalParams) -> DataFrame:
+    """What curve and sampled read, of match_bits: detections that are ignored in all slots are left out."""
+    every = F.lit((1 << len(slots(params))) - 1).cast("long")
+    live = every.bitwiseAND(F.bitwise_not("ignored"))
+    return matches.select("category_id", "det_id", "score", "image_id", "rk", "found", live.alias("live")).filter("live <> 0")
+
+
 def recalls(matches: DataFrame, truths: DataFrame, params: EvalParams, most: tuple[int, ...]) -> DataFrame:
-    """(area, iou_thr, category_id, r<n>...): the share of the ground truth found among each image's n best detections."""
-    found = lambda n: F.count_if(F.col("gid").isNotNull() & ~F.col("ignored") & (F.col("rk") <= n))
-    per = matches.groupBy(*KEY).agg(*(found(n).alias(f"n{n}") for n in most))
+    """(area, iou_thr, category_id, r<n>...): the share of the ground truth found among each image's n best detections, of
+    match_bits."""
+    good = F.col("found").bitwiseAND(F.bitwise_not("ignored"))
+    counts = [F.count_if((good.bitwiseAND(F.lit(1 << k).cast("long")) != 0) & (F.col("rk") <= n)).alias(f"c{k}_{n}") for k in range(len(slots(params))) for n in most]
+    per = matches.groupBy("category_id").agg(*counts)
+    rows = [F.struct(F.lit(a).alias("area"), F.lit(t).alias("iou_thr"), *(F.col(f"c{k}_{n}").alias(f"n{n}") for n in most)) for k, (a, t) in enumerate(slots(params))]
+    per = per.select("category_id", F.inline(F.array(*rows)))
     every = truths.withColumn("iou_thr", F.explode(F.array(*[F.lit(float(i)) for i in params.iou])))
     share = lambda n: (F.coalesce(F.col(f"n{n}"), F.lit(0)) / F.col("n_truth")).alias(f"r{n}")
     return every.join(per, KEY, "left").select(*KEY, *(share(n) for n in most))
 
 
+def evaluated(dets: DataFrame, gts: DataFrame, params: EvalParams, similar: Column | None = None, most: tuple[int, ...] = ()) -> tuple[DataFrame, DataFrame | None]:
+    """(sampled, recalls with each of most detections an image). The matching is done once, and written as a row a detection."""
+    samples, found = [], []
+    for some in _words(params):
+        truths = cut(truth_counts(gts, some), "truths")
+        matches = cut(match_bits(dets, gts, some, similar).drop("gids", "slots"), "matches")
+        samples.append(sampled(live_bits(matches, some), truths, some))
+        found += [recalls(matches, truths, some, most)] if most else []
+    union = lambda some: reduce(DataFrame.unionByName, some)
+    return union(samples), union(found) if found else None
+
+
 def coco_summary(dets: DataFrame, gts: DataFrame, params: EvalParams = COCO, similar: Column | None = None) -> DataFrame:
     """One row of the protocol's twelve numbers: mean precision over all thresholds, at .5 and at .75, by area; mean recall
     with 1, 10 and all detections an image, and by area. The matching is done once."""
-    matches, truths = cut(greedy_match(dets, gts, params, similar), "coco"), cut(truth_counts(gts, params), "truths")
-    samples = sampled(precision_recall(matches, truths), truths, params)
+    top = params.most_dets
+    samples, found = evaluated(dets, gts, params, similar, tuple(sorted({1, 10, top})))
     mean = lambda c, on: F.avg(F.when(on, F.col(c)))
     of = lambda name: F.col("area") == name
     thr = lambda t: of("all") & (F.abs(F.col("iou_thr") - t) < 1e-9)
-    top = params.most_dets
     precision = {"ap": of("all"), "ap50": thr(0.5), "ap75": thr(0.75), "ap_small": of("small"), "ap_medium": of("medium"), "ap_large": of("large")}
     recall = {
         "ar1": ("r1", "all"), "ar10": ("r10", "all"), "ar100": (f"r{top}", "all"), "ar_small": (f"r{top}", "small"),
         "ar_medium": (f"r{top}", "medium"), "ar_large": (f"r{top}", "large"),
     }
     one = samples.agg(*(mean("precision", on).alias(n) for n, on in precision.items()))
-    two = recalls(matches, truths, params, (1, 10, top)).agg(*(mean(c, of(name)).alias(n) for n, (c, name) in recall.items()))
+    two = found.agg(*(mean(c, of(name)).alias(n) for n, (c, name) in recall.items()))
     return one.crossJoin(F.broadcast(two))
 
 
@@ -230,9 +449,7 @@ def chosen(boxes: DataFrame, params: EvalParams, images: DataFrame | None = None
 
 
 def evaluate(dets: DataFrame, gts: DataFrame, params: EvalParams, images: DataFrame | None = None) -> DataFrame:
-    dets, gts = chosen(dets, params, images), chosen(gts, params, images)
-    truths = cut(truth_counts(gts, params), "truths")
-    return sampled(precision_recall(greedy_match(dets, gts, params), truths), truths, params)
+    return evaluated(chosen(dets, params, images), chosen(gts, params, images), params)[0]
 
 
 def image_loss(matches: DataFrame) -> DataFrame:

@@ -150,6 +150,12 @@ def keypoints():
     return F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: F.struct((x + i * w / 16.0).alias("x"), (y + i * h / 16.0).alias("y"), (i % 3).cast("long").alias("v")))
 
 
+def each_keypoint(before: str = "") -> list:
+    """The same as columns."""
+    x, y, w, h = (F.col(before + c) for c in "xywh")
+    return [{"x": x + i * w / 16.0, "y": y + i * h / 16.0, "v": F.lit(i % 3)} for i in range(17)]
+
+
 @query(
     "hflip_keypoints",
     f"SELECT id, j - 1 AS k, round(CASE WHEN q.v = 0 THEN 0 ELSE 640 - q.x END, 6) AS px, round(CASE WHEN q.v = 0 THEN 0 ELSE q.y END, 6) AS py, q.v AS v FROM (SELECT id, j, p[[0,2,1,4,3,6,5,8,7,10,9,12,11,14,13,16,15][j] + 1] AS q FROM (SELECT id, {_POINTS} AS p FROM fx_annotations), range(1, 18) r(j))",

@@ -10,6 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldlens.sources.shared import cut
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 VIEWS = {
@@ -61,6 +63,11 @@ class Tables:
                 self.known[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.known[name]
 
+    def write_once(self, view: str) -> Tables:
+        """Writes a view, so that whatever is made of it from here on reads it and doesn't make it again."""
+        self.known[view] = cut(self.table(view), view)
+        return self
+
     def __getattr__(self, name: str) -> DataFrame:
         if f"fx_{name}" in VIEWS:
             return self.table(f"fx_{name}")

@@ -86,6 +86,51 @@ def test_curve_by_ranges(spark):
     pd.testing.assert_frame_equal(one, many)
 
 
+def test_matching_of_all_areas_at_once(spark):
+    """A row for each detection holds what each area and threshold gives, as a plain matching of each does."""
+    import random
+
+    rng = random.Random(3)
+    box = lambda: (rng.randrange(30), rng.randrange(30), rng.randrange(5, 30), rng.randrange(5, 30))
+    gts = [(k, k % 4, 1 + k % 2, *box(), int(rng.random() < 0.2)) for k in range(60)]
+    dets = [(1000 + k, k % 5, 1 + k % 2, *box(), rng.randrange(6) / 5) for k in range(150)]
+    params = V.EvalParams(iou=(0.5, 0.2, 0.35), most_dets=10, areas=(("all", 0.0, 1e10), ("small", 0.0, 200.0), ("large", 200.0, 1e10)))
+    d = spark.createDataFrame(dets, "det_id long, image_id long, category_id long, x long, y long, w long, h long, score double")
+    g = spark.createDataFrame(gts, "id long, image_id long, category_id long, x long, y long, w long, h long, iscrowd int")
+    want = set()
+    for area, low, high in params.areas:
+        for thr in params.iou:
+            taken = set()
+            for group in {r[1:3] for r in dets}:
+                for i, *_, x, y, w, h, _ in sorted((r for r in dets if r[1:3] == group), key=lambda r: (-r[7], r[0]))[:10]:
+                    best = None
+                    for k, *_, gx, gy, gw, gh, crowd in (r for r in gts if r[1:3] == group):
+                        shared = max(0, min(x + w, gx + gw) - max(x, gx)) * max(0, min(y + h, gy + gh) - max(y, gy))
+                        over = shared / (w * h if crowd else w * h + gw * gh - shared)
+                        if over >= thr and (crowd or k not in taken):
+                            best = max(best or (-1,), (int(not crowd and low <= gw * gh <= high), over, k))
+                    if best:
+                        taken.add(best[2])
+                    want.add((area, thr, i, best[2] if best else None, best[0] == 0 if best else not low <= w * h <= high))
+    got = V.greedy_match(d, g, params)
+    assert {(r.area, r.iou_thr, r.det_id, r.gid, r.ignored) for r in got.collect()} == want
+    bits = V.match_bits(d, g, params)
+    assert bits.count() == len({w[2] for w in want}) == got.count() / 9
+    truths = V.truth_counts(g, params)
+    live = V.cut(V.live_bits(bits, params), "live")
+    one, many = (plain(V.sampled(live, truths, params, rows_a_task=n).toPandas()) for n in (10**6, 0))
+    pd.testing.assert_frame_equal(one, many)
+    long = V.EvalParams(iou=tuple(k / 100 for k in range(30, 95)), areas=params.areas[:2])  # more than a long has bits
+    assert V.greedy_match(d, g, long).filter("iou_thr = 0.5 and area = 'all'").count() == len(dets)
+    assert V.evaluate(d, g, long).count() == 65 * 101 * truths.filter("area in ('all', 'small')").count()
+
+
+def test_boxes_are_made_once(spark):
+    """An evaluation of the fixture shuffles the table once, and no key points."""
+    plan = plan_of(R.QUERIES["keypoint_match"](spark, SF))
+    assert "lineitem" not in plan and "points" not in plan
+
+
 def test_split_is_complete(spark):
     t = Tables(spark, SF)
     got = D.partition(t.images, {"a": 0.5, "b": 0.5}, F.col("image_id"))
