@@ -13,6 +13,11 @@ from fieldlens.sources.shared import cut, small
 _NUM = "CAST(row_number() OVER (ORDER BY image_id, id) AS BIGINT)"
 
 
+def used_categories(t):
+    """The few classes that annotations have, found in each task first, so that no task gets the rows of a whole class."""
+    return t.annotations.select("category_id").distinct()
+
+
 @query("class_histogram", "SELECT c.category_id, c.name, count(a.id) AS n FROM fx_categories c LEFT JOIN fx_annotations a USING (category_id) GROUP BY 1, 2")
 def class_histogram(t):
     return D.class_histogram(t.annotations, t.categories).drop("n_images")
@@ -130,7 +135,7 @@ def rename_merge(t):
     f"SELECT DISTINCT new_id AS id, new_name AS name, 'all' AS supercategory, 1 AS isthing FROM ({_NEW}) JOIN (SELECT DISTINCT category_id "
     "FROM fx_annotations) USING (category_id)")
 def merged(t):
-    new = D.merged_categories(t.categories, _mapping(t)).join(t.annotations, "category_id", "left_semi")
+    new = D.merged_categories(t.categories, _mapping(t)).join(used_categories(t), "category_id", "left_semi")
     return new.select(F.col("new_id").alias("id"), F.col("new_name").alias("name"), F.lit("all").alias("supercategory"), F.lit(1).alias("isthing")).distinct()
 
 
@@ -163,7 +168,7 @@ def alphabetize(t):
 
 @query("sort_by_category_id", "SELECT category_id, name FROM fx_categories WHERE category_id IN (SELECT category_id FROM fx_annotations)")
 def sort_categories(t):
-    return t.categories.join(t.annotations, "category_id", "left_semi").orderBy("category_id")
+    return t.categories.join(used_categories(t), "category_id", "left_semi").orderBy("category_id")
 
 
 @query("sort_images", "SELECT image_id, file_name FROM fx_images")
@@ -173,7 +178,7 @@ def sort_images(t):
 
 @query("empty_like", "SELECT count(*) AS n, 0::bigint AS images FROM fx_categories JOIN (SELECT DISTINCT category_id FROM fx_annotations) USING (category_id)")
 def empty_like(t):
-    none = D.empty_like(D.Dataset(t.images, t.annotations, t.categories.join(t.annotations, "category_id", "left_semi")))
+    none = D.empty_like(D.Dataset(t.images, t.annotations, t.categories.join(used_categories(t), "category_id", "left_semi")))
     return none.categories.agg(F.count("*").alias("n")).crossJoin(none.images.agg(F.count("*").alias("images")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldlens.operators import labels as L
+from fieldlens.plans.datasets import used_categories
 from fieldlens.plans.registry import query
 from fieldlens.sources.shared import shared_dir
 
@@ -16,7 +17,7 @@ DEPTH = 10
 def ontology(t):
     """A tool for each category, in the order of ids, with a question whose first answer opens another, ten levels down; and a
     question of its own at the top. Classes 5 and 6 have tools of one name. Written as JSON and read as text."""
-    c = t.categories.join(t.annotations, "category_id", "left_semi")
+    c = t.categories.join(used_categories(t), "category_id", "left_semi")
     i = F.col("category_id").cast("string")
     node = lambda prefix, *fields: F.struct(F.concat(F.lit(f"{prefix}-"), i).alias("featureSchemaId"), *fields)
     text = lambda name, value: F.lit(value).alias(name)

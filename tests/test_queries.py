@@ -140,6 +140,13 @@ def test_anchors_of_six_digits(spark, tmp_path):
     pd.testing.assert_frame_equal(plain(R.QUERIES["anchor_scan"](spark, str(tmp_path)).toPandas()), plain(c.sql(R.ORACLES["anchor_scan"]).df()))
 
 
+@pytest.mark.parametrize("name", ["sort_by_category_id", "empty_like"])
+def test_classes_in_use_are_found_in_each_task(spark, name):
+    """The table is aggregated before it is dealt out by class: no row of it is shuffled or numbered for that."""
+    plan = plan_of(R.QUERIES[name](spark, SF))
+    assert "HashAggregate(keys=[category_id" in plan and "row_number" not in plan and "hashpartitioning(l_orderkey" not in plan
+
+
 def test_split_is_complete(spark):
     t = Tables(spark, SF)
     got = D.partition(t.images, {"a": 0.5, "b": 0.5}, F.col("image_id"))
