@@ -93,8 +93,12 @@ def crop_plan(df: DataFrame, crop_w: int, crop_h: int, *, seed: int, spread: flo
         if spread is None:
             return F.floor(draw(seed, F.lit(salt), "image_id") * room)
         one = lambda k: F.sqrt(-2 * F.log(1 - draw(seed, F.lit(f"{salt}r"), "image_id", k))) * F.cos(2 * math.pi * draw(seed, F.lit(f"{salt}a"), "image_id", k))
-        at = F.filter(F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda k: F.floor(room * (0.5 + spread * one(k)))), lambda v: (v >= 0) & (v < room))
-        return F.coalesce(F.get(at, F.lit(0)), F.floor(room / 2))
+        drawn = lambda k: F.floor(room * (0.5 + spread * one(k)))
+        inside = lambda v: (v >= 0) & (v < room)
+        # most need no more than the first few tries, and what follows in a coalesce is made only where all before is null
+        first = [F.when(inside(drawn(F.lit(k))), drawn(F.lit(k))) for k in range(1, min(tries, 3) + 1)]
+        rest = [F.get(F.filter(F.transform(F.sequence(F.lit(4), F.lit(tries)), drawn), inside), F.lit(0))] if tries > 3 else []
+        return F.coalesce(*first, *rest, F.floor(room / 2))
 
     large = df.filter((F.col("width") >= crop_w) & (F.col("height") >= crop_h))
     return large.withColumns({"crop_top": place("height", crop_h, "t"), "crop_left": place("width", crop_w, "l")})

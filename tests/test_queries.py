@@ -147,6 +147,12 @@ def test_classes_in_use_are_found_in_each_task(spark, name):
     assert "HashAggregate(keys=[category_id" in plan and "row_number" not in plan and "hashpartitioning(l_orderkey" not in plan
 
 
+def test_few_tries_of_a_crop_are_drawn(spark):
+    """The list of all tries is made only where the first few are outside."""
+    plan = plan_of(R.QUERIES["crop_plan_centred"](spark, SF))
+    assert "coalesce(CASE WHEN" in plan and "sequence(1, 64" not in plan
+
+
 def test_split_is_complete(spark):
     t = Tables(spark, SF)
     got = D.partition(t.images, {"a": 0.5, "b": 0.5}, F.col("image_id"))
