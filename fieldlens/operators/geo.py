@@ -558,47 +558,78 @@ def pseudo_usage(selected: DataFrame, most_pseudo: int) -> DataFrame:
     return selected.groupBy("video_id", F.floor(F.col("low_no") / (most_pseudo + 1)).alias("anchor_no")).agg(F.count_if(F.col("kind") == "pseudo").alias("pseudo"))
 
 
-def anchor_frames(anchors: DataFrame, frames: DataFrame, *, key: str = "observation_id") -> DataFrame:
+def anchor_frames(anchors: DataFrame, frames: DataFrame, *, key: str = "observation_id", most_anchors: int = 500_000, most_frames: int = 4_000_000) -> DataFrame:
     """(key, anchor_ind, obs_ind): for each anchor (key, anchor_ind, image_name) in order, the first frame (key, frame_ind,
     path), not before that of the anchor before it, whose path contains the name. Anchors without one are left out.
 
     Frames meet anchors by the last part of the path; only names that no frame has in that place are looked for inside
-    the paths. Names may repeat. Anchors are gone through in order by ranges: what a range does to the frame reached is a
-    rising step function, so an observation's anchors needn't lie in one row or task.
+    the paths. Names may repeat: each is looked for once, and its frames are rows, so what is written doesn't grow with the
+    anchors that share a name. An observation goes through its anchors and its frames in order, a block of each at a time
+    (about most_anchors and most_frames rows), in rounds; in a round the observations run side by side. So there are about
+    as many rounds as the longest one has blocks, and a task holds two blocks.
     """
-    named = frames.withColumn("__base", F.regexp_extract("path", "[^/]+$", 0))
-    equal = anchors.join(named, (anchors[key] == named[key]) & (F.col("image_name") == F.col("__base"))).select(anchors[key], "anchor_ind", "frame_ind")
-    rest = anchors.join(named, (anchors[key] == named[key]) & (F.col("image_name") == F.col("__base")), "left_anti").withColumnRenamed(key, "__key")
-    inside = named.join(small(rest), (F.col(key) == F.col("__key")) & F.col("path").contains(F.col("image_name"))).select(key, "anchor_ind", "frame_ind")
-    each = equal.unionByName(inside).groupBy(key, "anchor_ind").agg(F.array_sort(F.collect_set("frame_ind")).alias("found"))
-    schema = f"{key} {anchors.schema[key].dataType.simpleString()}, anchor_ind long, obs_ind long"
-    rows = each.select(key, F.col("anchor_ind").cast("long").alias("anchor_ind"), F.col("found").cast("array<bigint>").alias("found"))
-    return range_scan(rows, key, "anchor_ind", ["found"], Fold(None, _ahead, (np.zeros(0, np.int64),) * 2, _ahead_of_all, _ahead_by), schema)
-
-
-def _ahead(at: int | None, row: tuple) -> tuple[int | None, tuple | None]:
-    """The first of an anchor's frames not before at; without one, at stays and the anchor gives nothing."""
-    found = row[1]
-    k = 0 if at is None else int(np.searchsorted(found, at))
-    return (int(found[k]), (int(found[k]),)) if k < len(found) else (at, None)
-
-
-def _ahead_of_all(steps: tuple[np.ndarray, np.ndarray], row: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """What anchors in a row do to the frame reached, as a rising step function (ends, values): up to each end, the value;
-    beyond the last end, nothing changes. A further anchor moves the values on, and takes ends of its own behind the last."""
-    (ends, values), found = steps, np.asarray(row[1], np.int64)
-    k = np.searchsorted(found, values)
-    values = np.where(k < len(found), found[np.minimum(k, len(found) - 1)], values)
-    own = found[np.searchsorted(found, ends[-1], "right") :] if len(ends) else found
-    ends, values = np.r_[ends, own], np.r_[values, own]
-    last = np.r_[values[1:] != values[:-1], True] if len(values) else np.zeros(0, bool)
-    return ends[last], values[last]
-
-
-def _ahead_by(steps: tuple[np.ndarray, np.ndarray], at: int | None) -> int | None:
-    ends, values = steps
-    k = 0 if at is None else int(np.searchsorted(ends, at))
-    return int(values[k]) if k < len(ends) else at
+    kind = anchors.schema[key].dataType.simpleString()
+    ordered = anchors.select(key, F.col("anchor_ind").cast("long").alias("anchor_ind"), "image_name")
+    paths = frames.select(key, F.col("frame_ind").cast("long").alias("frame_ind"), "path")
+    names = ordered.select(key, "image_name").distinct()
+    equal = cut(paths.withColumn("image_name", F.regexp_extract("path", "[^/]+$", 0)).join(small(names), [key, "image_name"]).select(key, "image_name", "frame_ind"), "anchors-equal")
+    rest = cut(names.join(equal.select(key, "image_name").distinct(), [key, "image_name"], "left_anti"), "anchors-rest")
+    found = equal
+    if not rest.isEmpty():
+        inside = paths.select(key, "path").distinct().join(small(rest.withColumnRenamed(key, "__key")), (F.col(key) == F.col("__key")) & F.col("path").contains(F.col("image_name")))
+        found = equal.unionByName(paths.join(small(cut(inside.select(key, "path", "image_name"), "anchors-inside")), [key, "path"]).select(key, "image_name", "frame_ind"))
+    last = found.groupBy(key, "image_name").agg(F.max("frame_ind").alias("last"))
+    each = ordered.join(small(last), [key, "image_name"]).groupBy(key, "anchor_ind").agg(F.collect_set("image_name").alias("names"), F.max("last").alias("last"))
+    steps, places = cut(_in_blocks(each, key, "anchor_ind", most_anchors), "anchors-steps"), cut(_in_blocks(found, key, "frame_ind", most_frames), "anchors-frames")
+
+    at = f"{key} {kind}, a long, f long, begin long, reached long, blocks long"
+    fields = [c.split(" ")[0] for c in at.split(", ")] + ["anchor_ind", "obs_ind"]
+
+    def walk(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        """The anchors of a block on the frames of a block, and at the end where to go on."""
+        own, first = _frames_of_names(theirs), {c: mine[c][0].as_py() for c in fields[:6]}
+        reached, out, waits = first["reached"], [], None
+        for k, called, end in sorted(zip(*(mine[c].to_pylist() for c in ("anchor_ind", "names", "last")), strict=True)):
+            if k < first["begin"] or (reached is not None and end < reached):
+                continue
+            ahead = [int(f[i]) for f in (own[n] for n in called if n in own) if (i := 0 if reached is None else f.searchsorted(reached)) < len(f)]
+            if not ahead:
+                waits = k
+                break
+            reached = min(ahead)
+            out.append((k, reached))
+        go_on = {"a": first["a"] + (waits is None), "f": first["f"] + (waits is not None), "begin": first["begin"] if waits is None else waits, "reached": reached}
+        n = len(out)
+        columns = [pa.array([first[key]] * (n + 1), mine.schema.field(key).type)] + [pa.array([None] * n + [(first | go_on)[c]], pa.int64()) for c in fields[1:6]]
+        return pa.table([*columns, *(pa.array([*(r[c] for r in out), None], pa.int64()) for c in (0, 1))], names=fields)
+
+    start = (F.lit(v).cast("long").alias(n) for n, v in (("a", 1), ("f", 1), ("begin", -(1 << 63)), ("reached", None)))
+    live, rounds = cut(steps.groupBy(key).agg(F.max("block").alias("blocks")).select(key, *start, "blocks"), "anchors-live"), []
+    while not live.isEmpty():
+        mine = steps.withColumnRenamed("block", "a").join(small(live), [key, "a"]).select(*fields[:6], "anchor_ind", "names", "last")
+        theirs = places.withColumnRenamed("block", "f").join(small(live.select(key, "f")), [key, "f"]).select(key, "image_name", "frame_ind")
+        got = cut(mine.groupBy(key).cogroup(theirs.groupBy(key)).applyInArrow(walk, f"{at}, anchor_ind long, obs_ind long"), "anchors-round")
+        rounds.append(got.filter("a is null").select(key, "anchor_ind", "obs_ind"))
+        live = got.filter("a <= blocks").select(*fields[:6])
+    return reduce(DataFrame.unionByName, rounds) if rounds else steps.select(key, "anchor_ind", F.col("last").alias("obs_ind"))
+
+
+def _in_blocks(rows: DataFrame, key: str, order: str, most: int, *, wide: int = 1 << 16) -> DataFrame:
+    """rows with the block of the key's order that each lies in, from 1: stretches of about most rows, cut between numbers of the order."""
+    wide = min(wide, most)
+    at = rows.withColumn("__b", F.floor(F.col(order) / wide))
+    before = F.sum("n").over(Window.partitionBy(key).orderBy("__b")) - F.col("n")
+    block = F.dense_rank().over(Window.partitionBy(key).orderBy(F.floor(F.col("before") / most))).cast("long")
+    blocks = at.groupBy(key, "__b").agg(F.count("*").alias("n")).withColumn("before", before).select(key, "__b", block.alias("block"))
+    return at.join(small(blocks), [key, "__b"]).drop("__b")
+
+
+def _frames_of_names(frames: pa.Table) -> dict[str, np.ndarray]:
+    """Each name's frames in order."""
+    named = frames["image_name"].combine_chunks().dictionary_encode()
+    code, at = named.indices.to_numpy(), frames["frame_ind"].to_numpy()
+    order = np.lexsort((at, code))
+    return dict(zip(named.dictionary.to_pylist(), np.split(at[order], np.flatnonzero(np.diff(code[order])) + 1), strict=True)) if len(at) else {}
 
 
 def truth_frames(log: DataFrame, frames: DataFrame, *, for_test: bool = False) -> DataFrame:

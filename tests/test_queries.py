@@ -468,6 +468,27 @@ def test_repeated_data_rows_and_two_tools_of_a_name(spark, tmp_path):
     assert sorted((r.id, r.name) for r in coco.categories.collect()) == [(1, "cow"), (2, "cow")]
 
 
+def test_anchors_that_share_names(spark):
+    """In blocks of a few rows, and the frames of a name aren't written again for each anchor that has it."""
+    from pathlib import Path
+
+    rng = np.random.default_rng(3)
+    names = [f"f{k}.jpg" for k in range(9)] + ["/f1", "none.jpg"]
+    anchors = [(o, k, names[int(x)]) for o in range(2) for k, x in enumerate(rng.integers(0, len(names), 300))]
+    frames = [(o, f, f"a/f{(f * f + o) % 13}.jpg") for o in range(2) for f in range(3000)]
+    tables = spark.createDataFrame(anchors, "observation_id long, anchor_ind long, image_name string"), spark.createDataFrame(frames, "observation_id long, frame_ind long, path string")
+    at, want = {}, set()
+    for o, k, name in anchors:
+        ahead = next((f for p, f, path in frames if p == o and f >= at.get(o, 0) and name in path), None)
+        if ahead is not None:
+            at[o] = ahead
+            want.add((o, k, ahead))
+    written = lambda: sum(f.stat().st_size for f in Path(spark.conf.get("spark.checkpoint.dir")).rglob("*.parquet"))
+    before = written()
+    assert {tuple(r) for r in G.anchor_frames(*tables).collect()} == want and written() - before < 200_000
+    assert {tuple(r) for r in G.anchor_frames(*tables, most_anchors=40, most_frames=500).collect()} == want and len(want) > 200
+
+
 @pytest.mark.parametrize("tile", [8, 64])
 def test_carried_depth_over_a_large_raster(spark, tile):
     """With tiles that come as flights reach them, the carried search gives what the whole raster gives; frames hold several points."""
