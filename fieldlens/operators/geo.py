@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -124,6 +126,10 @@ def _started(rays: DataFrame) -> DataFrame:
     return rays.withColumns(moved | dict(zip(_NAMES, values, strict=True)))
 
 
+#: So many rays of a frame, or fewer, are moved on one by one.
+FEW = 7
+
+
 class _Rays:
     """A batch of rays as arrays, moved on together."""
 
@@ -163,6 +169,48 @@ class _Rays:
             s["done"][live], s["found"][live], s["elevation"][live] = ~go, near, ground
             s["gx"][live], s["gy"][live] = xr[here] * r["pixel_width"] + r["x_origin"], yr[here] * r["pixel_height"] + r["y_origin"]
 
+    def follow(self, k: int, cell: Callable, ends: Callable | None, r: dict, size: tuple[int, int], how: Search) -> tuple[int, int] | None:
+        """As advance and skip, for one ray and in plain numbers, which is quicker than arrays of a few.
+
+        cell(yr, xr) is an elevation, or None where it isn't at hand; there ends(yr, xr), a least and a greatest one, may tell
+        the way. The result is the cell (xr, yr) that the ray waits for, None if it is done.
+        """
+        s, inv, (p0, p1, p2), u, v = self.state, self.inv[k].tolist(), self.p4[k].tolist(), self.u.item(k), self.v.item(k)
+        mu, low, high, n = (s[c].item(k) for c in ("mu", "low", "high", "n"))
+        (ox, oy, oz), (i0, i1, i2, i3, i4, i5, i6, i7, i8), (mx, my) = r["offset"], inv, (size[0] - 1, size[1] - 1)
+        x0, dx, y0, dy, height, threshold, most = r["x_origin"], r["pixel_width"], r["y_origin"], r["pixel_height"], how.height, how.threshold, how.most
+        waits = None
+        while True:
+            a, b, c = u * mu - p0, v * mu - p1, mu - p2
+            x, y, z = (i0 * a + i1 * b + i2 * c + ox - x0) / dx, (i3 * a + i4 * b + i5 * c + oy - y0) / dy, i6 * a + i7 * b + i8 * c + oz
+            xr = int(x) if 0 < x < mx else mx if x >= mx else 0  # nan: 0
+            yr = int(y) if 0 < y < my else my if y >= my else 0
+            ground = cell(yr, xr)
+            if ground is None:
+                least, greatest = ends(yr, xr)
+                up, down = z + height - greatest > threshold, z + height - least < -threshold
+                if n > most or not (up or down):
+                    waits = xr, yr
+                    break
+            else:
+                gap = z + height - ground
+                if n > most or abs(gap) <= threshold:
+                    s["done"][k], s["found"][k], s["elevation"][k] = True, n <= most, ground
+                    s["gx"][k], s["gy"][k] = xr * dx + x0, yr * dy + y0
+                    break
+                up = gap > 0
+            if up:
+                low, mu = mu, mu * 2 if high != high else (mu + high) / 2
+            else:
+                high, mu = mu, (low + mu) / 2
+            n += 1
+        s["mu"][k], s["low"][k], s["high"][k], s["n"][k] = mu, low, high, n
+        return waits
+
+    def mean(self, a: int, b: int) -> float:
+        """The mean depth of a stretch of rays."""
+        mu = self.state["mu"]
+        return sum(mu[a:b].tolist()) / (b - a) if b - a <= FEW else float(mu[a:b].mean())
 
     def skip(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, tile: int, r: dict, size: tuple[int, int], how: Search) -> None:
         """Moves these rays on while the least and greatest elevation of the tile that they look at tell which way."""
@@ -352,13 +400,18 @@ def ground_points_carried(
             rays, who, when, warp = _Rays(f), f[by].to_numpy(), f[order].to_numpy(), f[["m02", "m12"]].to_numpy(float)
             raw = f[["__p03", "__p13"]].to_numpy(float)
             edges = np.r_[0, np.flatnonzero((who[1:] != who[:-1]) | (when[1:] != when[:-1])) + 1, len(f)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                rows, mu = np.arange(a, b), carried[1] if carried[0] == who[a] else 0.0
+            grid = sent.value
+            for a, b in pairwise(edges.tolist()):
+                mu = carried[1] if carried[0] == who[a] else 0.0
                 if mu:
-                    rays.state["mu"][rows] = mu
-                    rays.p4[rows, :2] = raw[rows] - warp[rows] * mu
-                rays.advance(rows, sent.value, (0, 0), r, size, how)
-                carried = who[a], float(rays.state["mu"][rows].mean()) or mu
+                    rays.state["mu"][a:b] = mu
+                    rays.p4[a:b, :2] = raw[a:b] - warp[a:b] * mu
+                if b - a <= FEW:
+                    for k in range(a, b):
+                        rays.follow(k, grid.item, None, r, size, how)
+                else:
+                    rays.advance(np.arange(a, b), grid, (0, 0), r, size, how)
+                carried = who[a], rays.mean(a, b) or mu
             return f.assign(**rays.state)
 
         held = None
@@ -386,6 +439,19 @@ def _carried_by_tiles(rays: DataFrame, ready: Pyramid, how: Search, by: str, ord
 
     def walk(mine: _Rays, rows: np.ndarray, tiles: dict) -> set[tuple[int, int]]:
         """Moves rays on; the tiles that they still need, none if all are done."""
+        if len(rows) <= FEW:
+            low, high = ends.value
+
+            def cell(yr: int, xr: int) -> float | None:
+                grid = tiles.get((xr // tile, yr // tile))
+                return None if grid is None else grid.item(yr % tile, xr % tile)
+
+            def least_and_greatest(yr: int, xr: int) -> tuple[float, float]:
+                return low.item(yr // tile, xr // tile), high.item(yr // tile, xr // tile)
+
+            left = [k for k in rows.tolist() if not mine.state["done"][k]]
+            waits = [mine.follow(k, cell, least_and_greatest, r, size, how) for k in left]
+            return {(at[0] // tile, at[1] // tile) for at in waits if at}
         while True:
             mine.skip(rows, *ends.value, tile, r, size, how)
             left = rows[~mine.state["done"][rows]]
@@ -413,7 +479,7 @@ def _carried_by_tiles(rays: DataFrame, ready: Pyramid, how: Search, by: str, ord
             mine, when, warp, raw = _Rays(f), f[order].to_numpy(), f[["m02", "m12"]].to_numpy(float), f[["__p03", "__p13"]].to_numpy(float)
             start, go_on = f["__start"].to_numpy(float).copy(), f["__begun"].to_numpy(bool).copy()
             edges, missing = np.r_[0, np.flatnonzero(when[1:] != when[:-1]) + 1, len(f)], set()
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
+            for a, b in pairwise(edges.tolist()):
                 rows = np.arange(a, b)
                 if go_on[a]:
                     depth = start[a]
@@ -423,7 +489,7 @@ def _carried_by_tiles(rays: DataFrame, ready: Pyramid, how: Search, by: str, ord
                 if missing := walk(mine, rows, tiles):
                     start[rows], go_on[rows], waits = depth, True, True
                     break
-                go_on[rows], depth = False, float(mine.state["mu"][rows].mean()) or depth
+                go_on[rows], depth = False, mine.mean(a, b) or depth
             out = [f.assign(**mine.state, p03=mine.p4[:, 0], p13=mine.p4[:, 1], __start=start, __begun=go_on)]
             keys = around(missing)
             asks = f.iloc[np.zeros(len(keys), int)].reset_index(drop=True)

@@ -489,6 +489,37 @@ def test_anchors_that_share_names(spark):
     assert {tuple(r) for r in G.anchor_frames(*tables, most_anchors=40, most_frames=500).collect()} == want and len(want) > 200
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_few_rays_go_as_many_do(spark, monkeypatch, limit):
+    """One by one, a frame's rays end where they end as arrays, to the last digit, some of them unfound."""
+    from fieldlens.plans import mapping as P
+
+    t = Tables(spark, SF)
+    rays = P._rays(t).withColumn("obs_ind", F.floor(F.col("obs_ind") / 3)).filter("obs_ind < 200")
+    columns = ["track_id", "obs_ind", "col_px", "row_px", "gx", "gy", "found", "mu", "elevation"]
+    got = []
+    for few in (7, 0):
+        monkeypatch.setattr(G, "FEW", few)
+        got.append(plain(G.ground_points_carried(rays, P.raster(t), G.Search(most=9), limit_cells=limit, tile=16).select(*columns).toPandas()))
+    pd.testing.assert_frame_equal(*got, check_exact=True)
+    assert got[0]["found"].astype(str).nunique() == 2
+
+
+def test_one_ray_goes_on_in_plain_numbers():
+    """A hundred thousand looks of single rays take seconds."""
+    import time
+
+    n = 10_000
+    f = pd.DataFrame({c: np.zeros(n) for c in (*G._INV, "p03", "p13", "p23", "u", "v")} | {c: np.zeros(n) for c in G._NAMES})
+    f["i22"], f["mu"], f["high"] = -1.0, 60.0, np.nan
+    rays, grid = G._Rays(f), np.full((4, 4), -99.05)
+    r = {"x_origin": 0.0, "pixel_width": 1.0, "y_origin": 0.0, "pixel_height": 1.0, "offset": (0.0, 0.0, 0.0)}
+    began = time.time()
+    for k in range(n):
+        rays.follow(k, grid.item, None, r, (4, 4), G.Search())
+    assert time.time() - began < 2 and rays.state["found"].all() and abs(rays.state["mu"] - 100.05).max() <= 0.1
+
+
 @pytest.mark.parametrize("tile", [8, 64])
 def test_carried_depth_over_a_large_raster(spark, tile):
     """With tiles that come as flights reach them, the carried search gives what the whole raster gives; frames hold several points."""
