@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -62,23 +64,26 @@ class Tracker:
         for k in [k for k, g in zip(live, good, strict=True) if not g]:
             del self.tracks[k]
         live, moved = [k for k, g in zip(live, good, strict=True) if g], moved[good]
-        over = iou_table(moved, boxes)
-        used, taken = {}, set()
-        for a, b in sorted(zip(*np.nonzero(over >= self.overlap), strict=True), key=lambda p: (-over[p], live[p[0]], ids[p[1]])):
-            if a not in used and b not in taken:
-                used[a] = b
-                taken.add(b)
+        over, names, plain = iou_table(moved, boxes), ids.tolist(), boxes.tolist()
+        used, taker = {}, {}
+        at = np.nonzero(over >= self.overlap)
+        for _, _, _, a, b in sorted((-v, live[a], names[b], a, b) for v, a, b in zip(over[at].tolist(), at[0].tolist(), at[1].tolist(), strict=True)):
+            if a not in used and b not in taker:
+                used[a], taker[b] = b, a
+        between = iou_table(boxes, boxes) if len(boxes) <= MOST_TOGETHER else None
+        row = lambda b: iou_table(boxes[b : b + 1], boxes)[0] if between is None else between[b]
         # ids, boxes and scores are in order of falling scores, so the tracks are too, by the detections that they took
-        best = suppressed([(a, boxes[b]) for a, b in sorted(used.items(), key=lambda p: p[1])], self.track_nms)
+        best = suppressed(sorted(taker), row, len(boxes), self.track_nms)
         out = []
-        for a in best:
-            out.append((live[a], int(ids[used[a]]), frame))
-            self._see(live[a], frame, boxes[used[a]])
-        held = np.array([boxes[used[a]] if a in used else moved[a] for a in range(len(live)) if a not in used or a in best]).reshape(-1, 4)
-        covered = (iou_table(held, boxes) > self.overlap).any(0) if len(held) else np.zeros(len(ids), bool)
-        for b in suppressed([(b, boxes[b]) for b in range(len(ids)) if b not in taken and not covered[b]], self.new_nms):
-            out.append((self.next_id, int(ids[b]), frame))
-            self._see(self.next_id, frame, boxes[b])
+        for b in best:
+            out.append((live[taker[b]], names[b], frame))
+            self._see(live[taker[b]], frame, plain[b])
+        covered = (over[[a for a in range(len(live)) if a not in used]] > self.overlap).any(0)
+        for b in best:
+            covered |= row(b) > self.overlap
+        for b in suppressed([b for b, c in enumerate(covered.tolist()) if b not in taker and not c], row, len(boxes), self.new_nms):
+            out.append((self.next_id, names[b], frame))
+            self._see(self.next_id, frame, plain[b])
             self.next_id += 1
         return out
 
@@ -87,23 +92,28 @@ class Tracker:
         if frame is not None:
             self.tracks = {k: t for k, t in self.tracks.items() if frame + 1 - t["seen"] <= self.patience}
 
-    def _expected(self, t: dict, frame: int) -> np.ndarray:
+    def _expected(self, t: dict, frame: int) -> list[float]:
         (f0, b0), (f1, b1) = t["past"][0], t["past"][-1]
-        return b1 if f1 == f0 else b1 + (b1 - b0) / (f1 - f0) * (frame - f1)
+        return b1 if f1 == f0 else [q + (q - p) / (f1 - f0) * (frame - f1) for p, q in zip(b0, b1, strict=True)]
 
-    def _see(self, k: int, frame: int, box: np.ndarray) -> None:
+    def _see(self, k: int, frame: int, box: list[float]) -> None:
         t = self.tracks.setdefault(k, {"past": [], "seen": frame})
-        t["past"] = [*t["past"], (frame, box.astype(float))][-self.history :]
+        t["past"] = [*t["past"], (frame, box)][-self.history :]
         t["seen"] = frame
 
 
-def suppressed(boxes: list[tuple[int, np.ndarray]], most: float) -> list[int]:
-    """The numbers of the boxes, best first, that overlap none kept before by more than most."""
-    kept: list[tuple[int, np.ndarray]] = []
-    for k, box in boxes:
-        if not kept or iou_table(np.array([b for _, b in kept]), box[None]).max() <= most:
-            kept.append((k, box))
-    return [k for k, _ in kept]
+#: Of so many boxes of a frame the overlaps with one another are made at once; of more, a box at a time.
+MOST_TOGETHER = 1000
+
+
+def suppressed(order: list[int], row: Callable[[int], np.ndarray], n: int, most: float) -> list[int]:
+    """Of n boxes those of the order, best first, that overlap none kept before by more than most; row(b) has b's overlaps."""
+    kept, blocked = [], np.zeros(n, bool)
+    for b in order:
+        if not blocked[b]:
+            kept.append(b)
+            blocked |= ~(row(b) <= most)
+    return kept
 
 
 def iou_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -115,8 +125,13 @@ def iou_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return shared / (a[:, 2:].prod(1)[:, None] + b[:, 2:].prod(1)[None, :] - shared)
 
 
-def track_frame(tracker: Tracker, frame: int, rows: pd.DataFrame) -> list[tuple[int, int, int]]:
-    return tracker.step(frame, rows["det_id"].to_numpy(), rows[["x", "y", "w", "h"]].to_numpy(float), rows["score"].to_numpy(float))
+def by_frame(f: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, ids, boxes, scores) of stretches of rows of equal keys."""
+    at = [f[k].to_numpy() for k in keys]
+    ids, boxes, scores = f["det_id"].to_numpy(), f[["x", "y", "w", "h"]].to_numpy(float), f["score"].to_numpy(float)
+    edges = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in at])) + 1
+    for a, b in pairwise([0, *edges.tolist(), len(f)] if len(f) else []):
+        yield tuple(k[a].item() for k in at), ids[a:b], boxes[a:b], scores[a:b]
 
 
 def track(dets: DataFrame, **options) -> DataFrame:
@@ -132,10 +147,10 @@ def track(dets: DataFrame, **options) -> DataFrame:
         def frames(f: pd.DataFrame) -> pd.DataFrame:
             nonlocal video, tracker
             found = []
-            for (v, frame), own in f.groupby(["video_id", "frame"], sort=False):
+            for (v, frame), *own in by_frame(f, ["video_id", "frame"]):
                 if v != video:
                     video, tracker = v, Tracker(**options)
-                found += [(v, *x) for x in track_frame(tracker, int(frame), own)]
+                found += [(v, *x) for x in tracker.step(frame, *own)]
             return pd.DataFrame(found, columns=["video_id", "track_id", "det_id", "frame"])
 
         for batch in batches:
@@ -175,15 +190,15 @@ class _Slice:
 
     def enter(self, live: list[tuple]) -> None:
         self.tracker.next_id = 0
-        self.tracker.tracks = {k - len(live): {"seen": seen, "past": [(p[0], np.array(p[1:])) for p in past]} for k, (_, seen, past) in enumerate(live)}
+        self.tracker.tracks = {k - len(live): {"seen": seen, "past": [(p[0], p[1:]) for p in past]} for k, (_, seen, past) in enumerate(live)}
         self.begin = json.dumps([x[1:] for x in live])
 
-    def rows(self, kind: int, frame: int, own: pd.DataFrame) -> list[tuple]:
+    def rows(self, kind: int, frame: int, own: list[np.ndarray]) -> list[tuple]:
         if kind == 2 and self.begin is None:
             self.enter(_live(self.tracker, self.start))
         if kind == 1 and self.begin is not None:
             return []
-        found = track_frame(self.tracker, frame, own)
+        found = self.tracker.step(frame, *own)
         return [(*self.key, 1, *x, None, None) for x in found] if kind == 2 else []
 
     def close(self) -> tuple:
@@ -211,14 +226,15 @@ def track_slices(dets: DataFrame, *, span: int, warm: int = 8, **options) -> Dat
         def go(f: pd.DataFrame) -> pd.DataFrame:
             nonlocal now
             out = []
-            for (v, n, kind, frame), own in f.groupby(["video_id", "slice", "kind", "frame"], sort=False, dropna=False):
+            states = iter(f["state"][f["kind"].to_numpy() == 0].tolist())
+            for (v, n, kind, frame), *own in by_frame(f, ["video_id", "slice", "kind", "frame"]):
                 if now is None or now.key != (v, n):
                     out += [now.close()] if now else []
-                    now = _Slice(int(v), int(n), span, options)
+                    now = _Slice(v, n, span, options)
                 if kind == 0:
-                    now.given(own["state"].iloc[0])
+                    now.given(next(states))
                 else:
-                    out += now.rows(int(kind), int(frame), own)
+                    out += now.rows(kind, frame, own)
             return pd.DataFrame(out, columns=[c.split(" ")[0] for c in _FOUND.split(", ")])
 
         for batch in batches:

@@ -158,7 +158,7 @@ class TrackProcessor(InOrder):
     def handle(self, rows: list[tuple]) -> list[tuple]:
         machine = Tracker(**self.options)
         machine.next_id = (self.next.get() or (0,))[0]
-        before = {k[0]: {"seen": v[0], "past": [(p[0], np.array(p[1:])) for p in v[1]]} for k, v in self.tracks.iterator()}
+        before = {k[0]: {"seen": v[0], "past": [(p[0], list(p[1:])) for p in v[1]]} for k, v in self.tracks.iterator()}
         machine.tracks = {k: dict(t) for k, t in before.items()}
         out, frame = [], None
         for frame, own in groupby(rows, key=lambda r: r[0]):

@@ -520,6 +520,20 @@ def test_one_ray_goes_on_in_plain_numbers():
     assert time.time() - began < 2 and rays.state["found"].all() and abs(rays.state["mu"] - 100.05).max() <= 0.1
 
 
+def test_a_frame_makes_two_tables_of_overlaps(monkeypatch):
+    """Whatever number of boxes and tracks a frame has; with its boxes' overlaps made one by one the tracks are the same."""
+    rng, calls, found = np.random.default_rng(5), [], []
+    frames = [(rng.uniform(0, 300, (40, 4)) + [0, 0, 30, 30], rng.uniform(size=40)) for _ in range(12)]
+    plain = T.iou_table
+    monkeypatch.setattr(T, "iou_table", lambda a, b: calls.append(1) or plain(a, b))
+    for most in (1000, 5):
+        monkeypatch.setattr(T, "MOST_TOGETHER", most, raising=False)
+        tracker = T.Tracker()
+        found.append([tracker.step(f, np.arange(40) + 100 * f, *own) for f, own in enumerate(frames)])
+        assert most < 1000 or len(calls) <= 2 * len(frames)
+    assert found[0] == found[1] and any(len(x) > 2 for x in found[0])
+
+
 @pytest.mark.parametrize("tile", [8, 64])
 def test_carried_depth_over_a_large_raster(spark, tile):
     """With tiles that come as flights reach them, the carried search gives what the whole raster gives; frames hold several points."""
