@@ -40,37 +40,63 @@ def gap_sessions(stream: DataFrame, gap: str, *, late: str = "10 minutes") -> Da
 class InOrder(StatefulProcessor):
     """Rows of a key handled in order, whatever the order in which they come; for a watermark on ts, which rises with frames.
 
-    Rows wait in list state until the watermark has passed them, so the state holds those of the time that late rows are
-    allowed. An event-time timer stands at the first of them; when it fires, those passed go to handle in order of time. When
-    none is left, a timer stands at the last row's time plus idle: if no row has come until then, all of the key's state is
-    removed. Rows after a longer time than idle begin anew, whatever the batches. What comes too late is dropped and counted
+    Rows wait in map state until the watermark has passed them, so the state holds those of the time that late rows are
+    allowed. They lie in parts of a stretch of time (stretch_ms); at most rows_held rows are gathered before parts are
+    written, and what has passed goes to handle a stretch after the other, so a task holds no more than that, however many rows
+    a batch has. An event-time timer stands at the first of them; when it fires, those passed go to handle in order of time.
+    When none is left, a timer stands at the last row's time plus idle: if no row has come until then, all of the key's state
+    is removed. Rows after a longer time than idle begin anew, whatever the batches. What comes too late is dropped and counted
     by Spark.
 
-    Columns are typed as given; each travels by itself, so 64-bit ids stay exact. Subclasses give columns, handle and the
-    state that is their own.
+    Columns are typed as given; each travels by itself, so 64-bit ids stay exact. The first is the frame; a frame's rows that
+    have passed are handled together. Subclasses give columns, handle and the state that is their own.
     """
 
     columns: tuple[tuple[str, str], ...]
     output: str
+    stretch_ms, rows_held = 60_000, 100_000
 
     def __init__(self, idle_ms: int) -> None:
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle_ = handle
-        self.waiting = handle.getListState("waiting", ", ".join(f"{n} {kind}" for n, kind in (*self.columns, ("at", "long"))))
+        self.parts = handle.getMapState("parts", "stretch long, part long", ", ".join(f"{n} array<{kind}>" for n, kind in (*self.columns, ("at", "long"))))
+        self.counts = handle.getMapState("counts", "stretch long", "parts long")
         self.clock = handle.getValueState("clock", "wake long, last long, done long")
         self.own_states(handle)
 
+    def _put(self, rows: list[tuple], counts: dict[int, int]) -> None:
+        """Adds rows, each with its time last, as a part of each stretch that they lie in."""
+        stretch = lambda r: r[-1] // self.stretch_ms
+        for k, own in groupby(sorted(rows, key=stretch), key=stretch):
+            self.parts.updateValue((k, counts.get(k, 0)), tuple(list(c) for c in zip(*own, strict=True)))
+            counts[k] = counts.get(k, 0) + 1
+            self.counts.updateValue((k,), (counts[k],))
+
+    def _rows(self, stretch: int, parts: int) -> list[tuple]:
+        """A stretch's rows in order."""
+        found = [r for k in range(parts) for r in zip(*self.parts.getValue((stretch, k)), strict=True)]
+        return sorted(found, key=lambda r: (r[-1], r[:2]))
+
+    def _remove(self, stretch: int, parts: int) -> None:
+        for k in range(parts):
+            self.parts.removeKey((stretch, k))
+        self.counts.removeKey((stretch,))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         wake, last, done = self.clock.get() or (None, None, None)
+        counts, held = {k[0]: v[0] for k, v in self.counts.iterator()}, []
         for f in rows:
             f = f[f["whole"]]
             if not len(f):
                 continue
             at = f["ts"].astype("datetime64[ms]").astype("int64").tolist()
             values = [[None if x != x else x for x in f[n].tolist()] for n, _ in self.columns]
-            self.waiting.appendList(list(zip(*values, at, strict=True)))
+            held += zip(*values, at, strict=True)
+            if len(held) >= self.rows_held:
+                self._put(held, counts)
+                held = []
             first = min(at)
             if wake is None or wake == last + self.idle_ms + 1 or first < wake:
                 if wake is not None:
@@ -78,37 +104,43 @@ class InOrder(StatefulProcessor):
                 self.handle_.registerTimer(first)
                 wake = first
             last = max(at) if last is None else max(last, *at)
+        self._put(held, counts)
         if wake is not None:
             self.clock.update((wake, last, done))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         passed, (_, last, done) = timerValues.getCurrentWatermarkInMs(), self.clock.get()
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[-1], r[:2]))
-        ready, rest = [r for r in rows if r[-1] <= passed], [r for r in rows if r[-1] > passed]
-        if not rows and last + self.idle_ms < passed:
+        counts = {k[0]: v[0] for k, v in self.counts.iterator()}
+        if not counts and last + self.idle_ms < passed:
             self.forget()
-            self.waiting.clear()
             self.clock.clear()
             return
-        found, begin = [], 0
-        for k, r in enumerate(ready):  # what is idle ends, whether or not a batch ended meanwhile
-            before = ready[k - 1][-1] if k else done
-            if before is not None and r[-1] - before > self.idle_ms:
-                found += self.handle([x[:-1] for x in ready[begin:k]]) if k > begin else []
-                self.forget()
-                begin = k
-        found += self.handle([x[:-1] for x in ready[begin:]]) if len(ready) > begin else []
-        done = ready[-1][-1] if ready else done
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        wake = rest[0][-1] if rest else last + self.idle_ms + 1
+        stretches, held, rest = sorted(k for k in counts if k * self.stretch_ms <= passed), [], []
+        for i, stretch in enumerate(stretches):
+            rows = held + self._rows(stretch, counts[stretch])
+            self._remove(stretch, counts.pop(stretch))
+            ready, rest = [r for r in rows if r[-1] <= passed], [r for r in rows if r[-1] > passed]
+            end = len(ready)
+            while i + 1 < len(stretches) and end and ready[end - 1][0] == ready[-1][0]:  # its frame may go on in the next one
+                end -= 1
+            ready, held = ready[:end], ready[end:]
+            found, begin = [], 0
+            for k, r in enumerate(ready):  # what is idle ends, whether or not a batch ended meanwhile
+                before = ready[k - 1][-1] if k else done
+                if before is not None and r[-1] - before > self.idle_ms:
+                    found += self.handle([x[:-1] for x in ready[begin:k]]) if k > begin else []
+                    self.forget()
+                    begin = k
+            found += self.handle([x[:-1] for x in ready[begin:]]) if len(ready) > begin else []
+            done = ready[-1][-1] if ready else done
+            if found:
+                yield pd.DataFrame([(key[0], *x) for x in found], columns=[c.split(" ")[0] for c in self.output.split(", ")])
+        self._put(rest, {})
+        coming = rest or (self._rows(min(counts), counts[min(counts)]) if counts else [])
+        wake = coming[0][-1] if coming else last + self.idle_ms + 1
         self.handle_.registerTimer(wake)
         self.clock.update((wake, last, done))
-        if found:
-            yield pd.DataFrame([(key[0], *x) for x in found], columns=[c.split(" ")[0] for c in self.output.split(", ")])
 
     def own_states(self, handle: StatefulProcessorHandle) -> None:
         """Get the states that are the subclass's own."""

@@ -520,6 +520,28 @@ def test_one_ray_goes_on_in_plain_numbers():
     assert time.time() - began < 2 and rays.state["found"].all() and abs(rays.state["mu"] - 100.05).max() <= 0.1
 
 
+def test_a_stream_hands_on_stretches_of_time(spark):
+    """Of a batch of an hour no more than a stretch is handled at once; a frame over the border of two is handled once."""
+
+    class Sizes(X.InOrder):
+        columns, output, rows_held = (("frame", "long"), ("n", "long")), "video_id long, rows long, first long, last long", 1000
+
+        def own_states(self, handle):
+            pass
+
+        def forget(self):
+            pass
+
+        def handle(self, rows):
+            return [(len(rows), rows[0][0], rows[-1][0])]
+
+    rows = spark.range(3600).select(F.lit(1).cast("long").alias("video_id"), F.floor(F.col("id") / 7).alias("frame"), F.col("id").alias("n"), F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"))
+    end = rows.limit(1).select(F.lit(-1).cast("long").alias("video_id"), *(F.lit(None).cast("long").alias(c) for c in ("frame", "n")), F.timestamp_seconds(F.lit(1_700_100_000)).alias("ts"))
+    got = X.drained(X.in_order(X.source(spark, rows, "sizes", closing=end), Sizes(10**8), key="video_id", late="10 minutes"), "sizes").orderBy("first").collect()
+    assert sum(r.rows for r in got) == 3600 and max(r.rows for r in got) < 130
+    assert all(a.last + 1 == b.first for a, b in zip(got, got[1:]))
+
+
 def test_a_frame_makes_two_tables_of_overlaps(monkeypatch):
     """Whatever number of boxes and tracks a frame has; with its boxes' overlaps made one by one the tracks are the same."""
     rng, calls, found = np.random.default_rng(5), [], []
