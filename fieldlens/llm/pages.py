@@ -59,6 +59,14 @@ def _cruft(tag: str, attrs: list, main: bool) -> bool:
     return False
 
 
+def _doubtful(tag: str, attrs: list) -> bool:
+    """Whether a block inside an article has a name with a word of another part, but not only such: its lines are in doubt."""
+    if tag not in BLOCKS or tag in _HEADINGS or tag in ("body", "html", "article", "main"):
+        return False
+    named = (frozenset(_WORDS.split(_CAMEL.sub(r"\1-\2", n).lower())) for name, value in attrs if name in ("class", "id") and value for n in value.split())
+    return any(words & CRUFT for words in named)
+
+
 def _only_cruft(words: frozenset) -> bool:
     """Whether all words of a name are those of other parts, or plain; numbers and sizes say nothing."""
     rest = {w for w in words - CRUFT - _PLAIN if not _SIZE.fullmatch(w)}
@@ -67,21 +75,23 @@ def _only_cruft(words: frozenset) -> bool:
 
 _NO_COMMENT, _COMMENT_END = re.compile("<!---?>"), re.compile("--!?>")
 _TAG = re.compile(r"<[a-zA-Z/!?]")
+DOUBT = 2
 
 
 class Lines(HTMLParser):
-    """The page's blocks in order: (text, within the article, within a part that is not the article)."""
+    """The page's blocks in order: (text, within the article, within a part that is not the article). Within the article is 0
+    or 1, or DOUBT in a part of it that may be another one by its name."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # tag, main, cruft, as they hold inside
+        self.open: list[tuple[str, int, bool]] = []  # tag, main, cruft, as they hold inside
         self.places: dict[str, list[int]] = {}  # of the open elements, by tag
         self.walls: list[int] = []  # places of the open blocks
         self.text: list[str] = []
-        self.blocks: list[tuple[str, bool, bool]] = []
+        self.blocks: list[tuple[str, int, bool]] = []
 
-    def at(self) -> tuple[bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False)
+    def at(self) -> tuple[int, bool]:
+        return self.open[-1][1:] if self.open else (0, False)
 
     def end_block(self) -> None:
         if self.text:
@@ -89,7 +99,7 @@ class Lines(HTMLParser):
                 self.blocks.append((" ".join(words), *self.at()))
             self.text = []
 
-    def push(self, tag: str, main: bool, cruft: bool) -> None:
+    def push(self, tag: str, main: int, cruft: bool) -> None:
         self.places.setdefault(tag, []).append(len(self.open))
         if tag in BLOCKS:
             self.walls.append(len(self.open))
@@ -120,7 +130,7 @@ class Lines(HTMLParser):
         if tag in BLOCKS or away != cruft and away:
             self.end_block()
         if tag not in VOID:
-            self.push(tag, main or into and not cruft, cruft or away)
+            self.push(tag, DOUBT if main and _doubtful(tag, attrs) else main or int(into and not cruft), cruft or away)
 
     def handle_endtag(self, tag: str) -> None:
         """Closes the last open element of the tag; what is no block isn't closed from within a later block."""
@@ -151,7 +161,7 @@ class Lines(HTMLParser):
             self.text.append(data)
 
 
-def lines_of(html: str | None) -> list[tuple[str, bool, bool]]:
+def lines_of(html: str | None) -> list[tuple[str, int, bool]]:
     """What is begun behind the last >, but not ended, is no element."""
     html, parser = html or "", Lines()
     begun = _TAG.search(html, html.rfind(">") + 1)
@@ -334,10 +344,11 @@ def main_text(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", h
     URLs, aren't compared with one another, and all get the same result; nor are different contents of one URL compared.
     The result doesn't depend on the tasks, and neither many copies nor a large host meet in one task. Pages are parsed
     twice, for the hashes of their lines and for their text; what the lines share goes to the texts for up to
-    broadcast_contents contents, and beyond that both are shuffled. n_shared counts the lines deleted as shared. Inside an
-    article or main element a shared line is the article's own, so shared lines are deleted only outside of it, and a page
-    that marks an article is its neighbours' neighbour, but needs no alignment itself: on a page that marks no article, what
-    is neither shared with its neighbours nor in a part of another kind is the text. Pages at different URLs that are almost copies do share their article's lines.
+    broadcast_contents contents, and beyond that both are shuffled. n_shared counts the lines deleted as shared. On a page
+    that marks no article, what is neither shared with its neighbours nor in a part of another kind is the text. Inside an
+    article or main element a shared line is the article's own, but for parts whose name has a word of another kind beside
+    its own (DOUBT): there what the neighbours share goes, unless they share half of the article's other lines too, as almost copies
+    do. Pages at different URLs that are almost copies and mark no article do share their article's lines.
     Null html is empty and gives an empty text; null and malformed URLs count as one host without a name. Malformed markup is
     read as browsers do, and very long pages whole. Repeated rows stay. No rows give no rows. Other columns are ignored,
     whatever their names.
@@ -357,18 +368,18 @@ def main_text(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", h
 
     def parse_lines(batches):
         for batch in batches:
-            blocks = [lines_of(x) for x in batch.column(3).to_pylist()]
-            got = [hashed(b) for b in blocks]
-            found = [pa.array([s for s, _ in got], pa.binary()), pa.array([h for _, h in got], pa.list_(pa.int64())), pa.array([marked(b) for b in blocks], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *found], names=["host", "path", "key", "sig", "hashes", "marked"])
+            got = [hashed(lines_of(x)) for x in batch.column(3).to_pylist()]
+            found = [pa.array([s for s, _ in got], pa.binary()), pa.array([h for _, h in got], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *found], names=["host", "path", "key", "sig", "hashes"])
 
     def parse_text(batches):
+        """places are those of the lines; those of lines that stay even if they are shared are negative (-1 - place)."""
         for batch in batches:
             got = [lines_of(x) for x in batch.column(3).to_pylist()]
             marks = [marked(blocks) for blocks in got]
             kept = [[i for i, (_, main, cruft) in enumerate(blocks) if not cruft and (main or not mark)] for blocks, mark in zip(got, marks, strict=True)]
             texts = [[blocks[i][0] for i in own] for blocks, own in zip(got, kept, strict=True)]
-            places = [[] if mark else own for own, mark in zip(kept, marks, strict=True)]  # those of a marked page all stay
+            places = [[-1 - i if mark and blocks[i][1] != DOUBT else i for i in own] for blocks, own, mark in zip(got, kept, marks, strict=True)]
             sigs = [hashed(blocks)[0] for blocks in got]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in range(3)), pa.array(sigs, pa.binary()), pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32()))],
@@ -385,8 +396,10 @@ def main_text(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", h
         for batch in batches:
             texts, counts = [], []
             for lines, places, shared in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                gone = set(shared or ()).intersection(places)
-                texts.append("\n".join([x for x, i in zip(lines, places, strict=True) if i not in gone] if places else lines))
+                shared = set(shared or ())
+                sure = [-1 - i for i in places if i < 0]
+                gone = set() if sure and 2 * len(shared.intersection(sure)) >= len(sure) else shared.intersection(places)
+                texts.append("\n".join([x for x, i in zip(lines, places, strict=True) if i not in gone]))
                 counts.append(len(gone))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(counts, pa.int64())],
@@ -394,12 +407,10 @@ def main_text(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", h
             )
 
     addressed = base.select("host", "path", F.coalesce("url", F.lit("")).alias("key"), "html")
-    kinds = "host string, path string, key string, sig binary, hashes array<long>, marked boolean"
-    seen = addressed.mapInArrow(parse_lines, kinds).filter(F.size("hashes") > 0)
-    least, mark = F.min(F.struct("path", "key", "hashes")).alias("r"), F.bool_and("marked").alias("marked")
-    reps = cut(seen.groupBy("host", "sig").agg(least, mark).select("host", "sig", "marked", "r.*"), "op5-contents")
-    open_ = reps.filter("not marked").select("host", "key", "sig", "hashes")
-    near = open_.join(_compared(reps.drop("marked"), n).drop("path"), ["host", "key"]).select("host", "sig", "hashes", "before", "after")
+    seen = addressed.mapInArrow(parse_lines, "host string, path string, key string, sig binary, hashes array<long>").filter(F.size("hashes") > 0)
+    least = F.min(F.struct("path", "key", "hashes")).alias("r")
+    reps = cut(seen.groupBy("host", "sig").agg(least).select("host", "sig", "r.*"), "op5-contents")
+    near = reps.drop("path").join(_compared(reps, n).drop("path"), ["host", "key"]).select("host", "sig", "hashes", "before", "after")
     shared = cut(near.mapInArrow(align, "host string, sig binary, shared array<int>").filter(F.size("shared") > 0), "op5-shared")
     shared = F.broadcast(shared) if shared.count() <= broadcast_contents else shared.hint("merge")
     parsed = base.select("id", "url", "host", "html").mapInArrow(parse_text, f"id {key_type}, url string, host string, sig binary, lines array<string>, places array<int>")

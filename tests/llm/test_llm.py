@@ -324,6 +324,17 @@ def test_op5_malformed(spark):
     assert got == {1: "x", 2: "ab", 3: "T\na\nb", 5: "ce"}
 
 
+def test_op5_marked_pages_are_aligned(spark):
+    """Inside an article what neighbours share goes from parts with a doubtful name, but not from others or between almost copies."""
+    page = lambda k, own, note: f"<nav>menu</nav><article><h1>T</h1><p>{own}</p><p>{own} on</p><div class='related-to-this'>{note}</div><p class='note-text'>{k} last</p></article><p>end"
+    rows = [(1, "http://h/1", page(1, "one", "More to read")), (2, "http://h/2", page(2, "two", "More to read")), (3, "http://h/3", page(3, "three", "Its own"))]
+    rows += [(4, "http://g/1", page(4, "same", "Kept")), (5, "http://g/2", page(5, "same", "Kept"))]
+    want = {1: "T\none\none on\n1 last", 2: "T\ntwo\ntwo on\n2 last", 3: "T\nthree\nthree on\nIts own\n3 last", **{k: f"T\nsame\nsame on\nKept\n{k} last" for k in (4, 5)}}
+    for parts, limit in ((1, 10), (7, 0)):
+        got = pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), partitions=parts, broadcast_contents=limit).collect()
+        assert {r.page_id: r.text for r in got} == want and {r.page_id: r.n_shared for r in got} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
+
+
 @pytest.mark.parametrize("limits", [(1 << 20, 1 << 29), (0, 1 << 29), (0, 30), (0, 1)])
 def test_op5_common_lines(limits, monkeypatch):
     """All three ways of aligning find a longest common subsequence."""
