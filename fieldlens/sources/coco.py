@@ -3,7 +3,8 @@
 A document is read as text cut at each closing brace, which Spark splits by byte ranges. What a brace means depends on all
 text before it, so a first pass tells for each range what it does to the state (inside a string or not, brackets left open),
 the ranges' states are put together in order, and a second pass reads each range from its own state. Only objects that lie
-over the border of two ranges are put together from pieces.
+over the border of two ranges are put together from pieces. A large document is a folder of files that make it up one after
+another, so that many tasks write it; reading takes their ranges as those of one file.
 """
 
 from __future__ import annotations
@@ -11,13 +12,15 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlens.sources.shared import cut
+from fieldlens.sources.shared import cut, shared_dir
 
 IMAGE = "id bigint, file_name string, width int, height int, license int, date_captured string, coco_url string, flickr_url string"
 ANNOTATION = (
@@ -28,11 +31,16 @@ CATEGORY = "id bigint, name string, supercategory string, keypoints array<string
 LICENSE = "id int, name string, url string"
 INFO = "description string, url string, version string, year int, contributor string, date_created string"
 
+_ESCAPED = re.compile(rb"\\.", re.S)
 _ESCAPE, _STRING, _BRACKET = re.compile(r"\\."), re.compile(r'"[^"]*"'), re.compile(r"[\[\]{}]")
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"\s*:?|$)|[\[\]{}]', re.S)
+#: Folders of documents in files: this, "=" and a number.
+_FOLDER = "document_in_files"
+_IN_FOLDER = re.compile(f"(.*/{_FOLDER}=[0-9]+)/([^/]*)", re.S)
+_OTHERS = bytes(sorted({*range(256)} - {*b"[]{}"}))
 _REST = re.compile(r'(?:[^"\\]|\\.)*"', re.S)
-_RANGES = "file string, start long, inside boolean, flips boolean, closes int, opens string"
-_PIECES = "file string, start long, kind string, name string, part long, begins boolean, ends boolean, value string"
+_RANGES = "file string, start string, inside boolean, flips boolean, closes int, opens string"
+_PIECES = "file string, start string, kind string, name string, part long, begins boolean, ends boolean, value string"
 
 
 class Coco(NamedTuple):
@@ -67,6 +75,22 @@ def _brackets(text: str, inside: bool) -> tuple[str, bool]:
     return "".join(_BRACKET.findall(text)), False
 
 
+def _both(texts: list[str]) -> tuple[tuple[str, str], bool]:
+    """As _brackets of texts that end in braces, begun outside a string and inside, without those that close one another;
+    and whether the texts end in the other state than they begin with."""
+    joined = "}".join([*texts, ""]).encode()
+    if b"\\" in joined:
+        joined = _ESCAPED.sub(b"", joined)
+    parts = joined.split(b'"')
+    found = []
+    for k in (0, 1):
+        left, now = None, b"".join(parts[k::2]).translate(None, _OTHERS)
+        while left != now:
+            left, now = now, now.replace(b"[]", b"").replace(b"{}", b"")
+        found.append(now.decode())
+    return (found[0], found[1]), len(parts) % 2 == 0
+
+
 def _follow(stack: list[str], brackets: str) -> int:
     """Brackets opened and closed on the stack; how many from before it are closed."""
     closes = 0
@@ -81,20 +105,28 @@ def _follow(stack: list[str], brackets: str) -> int:
 
 
 def _chunks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, start, value): the texts between closing braces of each range of each document, in order within a task."""
+    """(path, at, value): the texts between closing braces of each range of each file, in order within a task."""
     rows = spark.read.option("lineSep", "}").text(paths)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+
+
+def _range(path: str, at: int) -> tuple[str, str]:
+    """(file, start) of a range: the document that it belongs to, by the folder of one in files, and what sorts its ranges."""
+    if folder := _IN_FOLDER.fullmatch(path):
+        return folder[1], f"{folder[2]}:{at:020d}"
+    return path, f"{at:020d}"
 
 
 def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[str]]]:
     """((file, start), texts) of stretches of a task's rows that belong to one range."""
     for b in batches:
-        files, starts, values = b["file"].to_pylist(), b["start"].to_pylist(), b["value"].to_pylist()
-        begin = 0
-        for k in range(1, len(files) + 1):
-            if k == len(files) or (files[k], starts[k]) != (files[begin], starts[begin]):
-                yield (files[begin], starts[begin]), values[begin:k]
-                begin = k
+        if not b.num_rows:
+            continue
+        paths, starts, values = b["path"].dictionary_encode(), b["at"].to_numpy(), b["value"].to_pylist()
+        which = paths.indices.to_numpy()
+        cuts = [0, *(np.flatnonzero((which[1:] != which[:-1]) | (starts[1:] != starts[:-1])) + 1).tolist(), len(values)]
+        for begin, end in pairwise(cuts):
+            yield _range(paths[begin].as_py(), int(starts[begin])), values[begin:end]
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +135,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done() -> pa.RecordBatch:
         rows = [(*key, begin, now != begin, closes, "".join(stack)) for begin, now, closes, stack in states]
-        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.string())
+        kinds = (pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _RANGES.split(", ")])
 
     for found, texts in _by_range(batches):
@@ -111,10 +143,8 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if key:
                 yield done()
             key, states = found, [(False, False, 0, []), (True, True, 0, [])]
-        for text in texts:
-            for k, (begin, now, closes, stack) in enumerate(states):
-                brackets, now = _brackets(text + "}", now)
-                states[k] = (begin, now, closes + _follow(stack, brackets), stack)
+        both, flips = _both(texts)
+        states = [(begin, now ^ flips, closes + _follow(stack, both[now]), stack) for begin, now, closes, stack in states]
     if key:
         yield done()
 
@@ -128,14 +158,14 @@ def _starts(table: pa.Table) -> pa.Table:
         out.append({"file": r["file"], "start": r["start"], "inside": inside, "opens": opens})
         opens = (opens[: len(opens) - r["closes"]] if r["closes"] else opens) + r["opens"]
         inside ^= r["flips"]
-    return pa.Table.from_pylist(out, schema=pa.schema([("file", pa.string()), ("start", pa.int64()), ("inside", pa.bool_()), ("opens", pa.string())]))
+    return pa.Table.from_pylist(out, schema=pa.schema([("file", pa.string()), ("start", pa.string()), ("inside", pa.bool_()), ("opens", pa.string())]))
 
 
 class _Reader:
     """Reads a range's chunks from a state: the objects that a member of the document's object is or lists come out whole or,
     at the range's ends, in pieces; and last the name of the member that the range ends in."""
 
-    def __init__(self, file: str, start: int, inside: bool, opens: str) -> None:
+    def __init__(self, file: str, start: str, inside: bool, opens: str) -> None:
         self.key, self.inside, self.opens = (file, start), inside, list(opens)
         self.base = self._base()
         self.name: str | None = None
@@ -147,6 +177,12 @@ class _Reader:
 
     def chunk(self, text: str) -> None:
         if not self.base:
+            if not self.inside and self.opens == ["{", "["]:  # mostly it is the next object of a list, whole and without braces of its own
+                rest = text.lstrip(" \t\r\n,")
+                if rest[:1] == "{" and rest.rfind("{") == 0 and "\\" not in rest and not rest.count('"') % 2 and rest.count("[") == rest.count("]"):
+                    self.held.append(rest + "}")
+                    self._give(True)
+                    return
             text = self._begin(text)
             if text is None:
                 return
@@ -190,8 +226,8 @@ class _Reader:
         self.out.append((*self.key, "name", self.name, None, None, None, None))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], states: dict[tuple[str, int], tuple[bool, str]]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.string())
+def _pieces(batches: Iterator[pa.RecordBatch], states: dict[tuple[str, str], tuple[bool, str]]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.string())
     schema = pa.schema(list(zip([c.split()[0] for c in _PIECES.split(", ")], kinds, strict=True)))
     reader = None
 
@@ -221,7 +257,7 @@ def document_objects(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """
     chunks = _chunks(spark, paths)
     ranges = cut(chunks.mapInArrow(_summaries, _RANGES), "coco-ranges")
-    starts = ranges.groupBy("file").applyInArrow(_starts, "file string, start long, inside boolean, opens string")
+    starts = ranges.groupBy("file").applyInArrow(_starts, "file string, start string, inside boolean, opens string")
     states = {(r.file, r.start): (r.inside, r.opens) for r in starts.collect()}  # a row for each range, as Spark's own list of splits has
     got = cut(chunks.mapInArrow(lambda b: _pieces(b, states), _PIECES), "coco-pieces")
     ended = {(r.file, r.start): r.name for r in got.filter("kind = 'name'").collect()}  # again a row for each range
@@ -229,7 +265,7 @@ def document_objects(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     for file, start in sorted(states):
         named.append((file, start, last.get(file)))
         last[file] = ended[file, start] or last.get(file)
-    known = spark.createDataFrame(named, "file string, start long, before string")
+    known = spark.createDataFrame(named, "file string, start string, before string")
     objects = got.filter("kind = 'object'").join(F.broadcast(known), ["file", "start"]).withColumn("name", F.coalesce("name", "before"))
     whole = objects.filter("begins and ends").select("file", "name", "value")
     return whole.unionByName(_joined(objects.filter("not (begins and ends)")))
@@ -294,40 +330,92 @@ def annotation_fields(annotations: DataFrame) -> DataFrame:
     return annotations.select(*(c for c in annotations.columns if c not in "xywh"), box.alias("bbox"))
 
 
-def write_coco(coco: Coco, path: str, documents: int = 1, *, most_categories: int = 100_000) -> None:
+def write_coco(coco: Coco, path: str, documents: int = 1, *, most_categories: int = 100_000, rows_a_file: int = 500_000) -> None:
     """COCO documents below path, so many of them, each with the images and annotations of a range of image ids, in order, and
     all categories, licences and the info.
 
-    A document is written by one task, row by row; for datasets of any size there should be as many as tasks. Null fields are
-    left out. An annotation whose image isn't there goes with the document of its image_id's range. No images and no
-    annotations give no document.
+    A document of up to rows_a_file images and annotations is a file, written by one task, row by row. If one has more, each is
+    a folder of files of about as many rows, each written by a task; one after another by name they are the document (as cat
+    joins them), and read_coco reads them so. Null fields are left out. An annotation whose image isn't there goes with the
+    document of its image_id's range. No images and no annotations give no document.
     """
     drop = lambda df: None if df is None else df.drop("src")
     head = {
         "info": next(iter(_listed(drop(coco.info), 1)), "{}"), "licenses": "[" + ", ".join(_listed(drop(coco.licenses), most_categories)) + "]",
         "categories": "[" + ", ".join(_listed(drop(coco.categories), most_categories)) + "]",
     }
+    opening = "{" + "".join(f'"{k}": {v},\n' for k, v in head.items()) + '"images": ['
     images, annotations = drop(coco.images), annotation_fields(drop(coco.annotations))
     row = lambda df, of, kind: df.select(F.col(of).alias("image"), F.lit(kind).alias("kind"), F.col("id").alias("id"), F.to_json(F.struct(*df.columns)).alias("value"))
-    rows = row(images, "id", 0).unionByName(row(annotations, "image_id", 1))
+    every = row(images, "id", 0).unionByName(row(annotations, "image_id", 1))
+    spark, at = every.sparkSession, shared_dir(every.sparkSession, "coco-rows")
+    if documents == 1:
+        every.write.parquet(f"{at}/document=0")
+    else:
+        bounds = sorted({*(every.agg(F.percentile_approx("image", [k / documents for k in range(1, documents)]).alias("b")).first().b or [])})
+        document = F.when(F.col("image").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("image")))) if bounds else F.lit(0)
+        every.withColumn("document", document).write.partitionBy("document").parquet(at)
+    rows = lambda *d: spark.read.schema(every.schema).parquet(*(f"{at}/document={k}" for k in d))
+    sizes = {r.document: r["count"] for r in spark.read.schema(f"{_ddl(every)}, document int").parquet(at).groupBy("document").count().collect()}  # a row for each document
+    if not sizes:
+        spark.createDataFrame([], "value string").write.text(path)
+    elif max(sizes.values()) > rows_a_file:
+        for k, size in sorted(sizes.items()):
+            _write_files(rows(k), opening, f"{path}/{_FOLDER}={k}", -(-size // rows_a_file))
+    else:
+        ordered = spark.read.schema(f"{_ddl(every)}, document int").parquet(at).repartitionById(documents, "document").sortWithinPartitions("kind", "image", "id")
+        ordered.select("kind", "value").mapInArrow(lambda b: _document(b, opening), "value string").write.text(path)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _document(batches: Iterator[pa.RecordBatch], opening: str) -> Iterator[pa.RecordBatch]:
+    """The lines of a document of a task's rows (kind, value)."""
+    line = lambda lines: pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+    names, now, first = ("images", "annotations"), 0, True
+    yield line([opening])
+    for b in batches:
+        lines = []
+        for kind, value in zip(b["kind"].to_pylist(), b["value"].to_pylist(), strict=True):
+            if kind != now:
+                lines.append(f'],\n"{names[kind]}": [')
+                now, first = kind, True
+            lines.append(value if first else f",{value}")
+            first = False
+        yield line(lines)
+    yield line(["]}" if now else '],\n"annotations": []}'])
+
+
+def _write_files(rows: DataFrame, opening: str, path: str, files: int) -> None:
+    """One document of rows (image, kind, id, value), in so many files.
+
+    What stands before the first image and the first annotation are rows of their own with the same place, so they are in one
+    file with it; and the end is one. Each line ends in a brace, which the sink writes: a file's end is no other text.
+    """
+    first = {r.kind: r.first for r in rows.groupBy("kind").agg(F.min(F.struct("image", "id")).alias("first")).collect()}
+    between = '],\n"annotations": ['
+    marks = [(first[0].image, 0, first[0].id, opening)] if 0 in first else []
+    marks += [(first[1].image, 1, first[1].id, between if 0 in first else opening + between)] if 1 in first else []
+    marks.append((None, 2, None, "]}" if 1 in first else between + "]}"))
+    every = rows.withColumn("mark", F.lit(False)).unionByName(rows.sparkSession.createDataFrame(marks, rows.schema).withColumn("mark", F.lit(True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        line = lambda lines: pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
-        names, now, first = ("images", "annotations"), 0, True
-        yield line(["{" + "".join(f'"{k}": {v},\n' for k, v in head.items()) + '"images": ['])
+        before = ",\n"
         for b in batches:
             lines = []
-            for kind, value in zip(b["kind"].to_pylist(), b["value"].to_pylist(), strict=True):
-                if kind != now:
-                    lines.append(f'],\n"{names[kind]}": [')
-                    now, first = kind, True
-                lines.append(value if first else f",{value}")
-                first = False
-            yield line(lines)
-        yield line(["]}" if now else '],\n"annotations": []}'])
-
-    ordered = rows.repartitionByRange(documents, "image").sortWithinPartitions("kind", "image", "id")
-    ordered.select("kind", "value").mapInArrow(run, "value string").write.text(path)
+            for mark, kind, value in zip(b["mark"].to_pylist(), b["kind"].to_pylist(), b["value"].to_pylist(), strict=True):
+                if mark and kind < 2:
+                    before = value + "\n"
+                else:
+                    lines.append((value if mark else before + value)[:-1])
+                    before = ",\n"
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+
+    place = ("kind", "image", "id")
+    ordered = every.repartitionByRange(files, *place).sortWithinPartitions(*place, F.desc("mark"))
+    ordered.select("mark", "kind", "value").mapInArrow(run, "value string").write.option("lineSep", "}").text(path)
 
 
 def write_coco_lines(coco: Coco, path: str) -> None:

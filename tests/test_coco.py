@@ -60,6 +60,28 @@ def test_round_trip(spark, splits, tmp_path, documents):
     assert (boxes[1].category_id, boxes[1].w, boxes[1].keypoints) == (1, 3.0, [1.0, 2.0, 2.0])
 
 
+@pytest.mark.parametrize("documents, tables", [(1, "both"), (3, "both"), (1, "images"), (1, "annotations")])
+def test_documents_in_files(spark, splits, tmp_path, documents, tables):
+    """Beyond rows_a_file a document is written by several tasks, one file after another, and comes back."""
+    (tmp_path / "a.json").write_text(json.dumps(DOCUMENT))
+    splits("20000b")
+    first = C.read_coco(spark, str(tmp_path / "a.json"))
+    first = first._replace(**{n: getattr(first, n).limit(0) for n in ("images", "annotations") if tables not in ("both", n)})
+    C.write_coco(first, str(tmp_path / "out"), documents, rows_a_file=70)
+    folders = [f for f in os.listdir(tmp_path / "out") if "=" in f]
+    files = [sorted(f for f in os.listdir(tmp_path / "out" / d) if f.startswith("part-")) for d in folders]
+    written = [json.loads("".join((tmp_path / "out" / d / f).read_text() for f in own)) for d, own in zip(folders, files, strict=True)]
+    assert len(written) == documents and all(len(f) > 2 for f in files)
+    assert sum(len(d["annotations"]) for d in written) == (1000 if tables != "images" else 0) and all([a["image_id"] for a in d["annotations"]] == sorted(a["image_id"] for a in d["annotations"]) for d in written)
+    rows = lambda df: {r[0] for r in df.drop("src").selectExpr("to_json(struct(*))").collect()}
+    for size in ("128m", "997b"):
+        splits(size)
+        got = C.read_coco(spark, str(tmp_path / "out"))
+        assert got.info.select("src").distinct().count() == documents
+        for a, b in zip(first, got, strict=True):
+            assert rows(a) == rows(b)
+
+
 def test_empty_tables(spark, tmp_path):
     none = {n: spark.createDataFrame([], s) for n, s in (("images", "id long"), ("annotations", "id long, image_id long"), ("categories", "id long, name string"))}
     C.write_coco(C.Coco(**none), str(tmp_path / "out"))
