@@ -305,7 +305,8 @@ def _fields(rows: DataFrame, schema: str) -> DataFrame:
     """(src, the schema's fields) of JSON objects (src, value)."""
     fields = rows.sparkSession.createDataFrame([], schema).schema
     parsed = rows.select("src", F.try_parse_json("value").alias("v"))
-    return parsed.select("src", *(F.try_variant_get("v", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in fields))
+    # inline, for a join's filters on fields would otherwise go below the parsing and parse each row again
+    return parsed.select("src", F.inline(F.array(F.struct(*(F.try_variant_get("v", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in fields)))))
 
 
 def with_sides(annotations: DataFrame) -> DataFrame:

@@ -82,6 +82,19 @@ def test_documents_in_files(spark, splits, tmp_path, documents, tables):
             assert rows(a) == rows(b)
 
 
+def test_rows_are_parsed_once(spark, tmp_path):
+    """A join on fields of a document's rows doesn't parse them again."""
+    (tmp_path / "annotations").mkdir()
+    (tmp_path / "annotations" / "a.json").write_text('{"id": 1, "image_id": 2, "category_id": "3"}\n{"id": 2}\nnone\n')
+    for n in ("images", "categories"):
+        (tmp_path / n).mkdir()
+        (tmp_path / n / "a.json").write_text('{"id": 2}\n')
+    got = C.read_coco_lines(spark, str(tmp_path)).annotations
+    joined = got.join(spark.createDataFrame([(2, 3)], "image_id long, category_id long"), ["image_id", "category_id"]).select("id", "image_id")
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    assert [tuple(r) for r in joined.collect()] == [(1, 2)] and sorted(r.id or 0 for r in got.collect()) == [0, 1, 2]
+
+
 def test_empty_tables(spark, tmp_path):
     none = {n: spark.createDataFrame([], s) for n, s in (("images", "id long"), ("annotations", "id long, image_id long"), ("categories", "id long, name string"))}
     C.write_coco(C.Coco(**none), str(tmp_path / "out"))
