@@ -117,7 +117,7 @@ def images_of(export: DataFrame, project: str, order: Column, extra: dict[str, C
         "coco_url": F.col("data_row.row_data"), **(extra or {}),
     }
     rows = labeled(export, project).select(F.col("data_row.id").alias("data_row_id"), order.alias("__o"), F.struct(*(c.alias(n) for n, c in fields.items())).alias("image"))
-    placed = renumber(rows, ["__o", "data_row_id"], "id", 0)
+    placed = renumber(cut(rows, "labeled"), ["__o", "data_row_id"], "id", 0)  # bounds are sampled from it first
     return placed.groupBy("data_row_id").agg(F.min("id").alias("id"), F.min_by("image", "id").alias("image")).select("data_row_id", "id", "image.*")
 
 

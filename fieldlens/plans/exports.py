@@ -42,7 +42,7 @@ def ontology(t):
 
 
 def export(t):
-    """Written as JSON lines, and read with the export's schema. Boxes, lines, points, polygons and masks take turns by id.
+    """Written as compressed JSON lines, and read with the export's schema. Boxes, lines, points, polygons and masks take turns by id.
     Each fiftieth data row comes twice."""
     x, y, w, h = (F.col(c).cast("double") for c in "xywh")
     at = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
@@ -69,7 +69,7 @@ def export(t):
     )
     path = shared_dir(t.spark, "export")
     twice = F.array_repeat(F.lit(1), F.when(F.col("data_row.id").cast("long") % 50 == 0, 2).otherwise(1))
-    rows.select("*", F.explode(twice)).drop("col").write.json(path)
+    rows.select("*", F.explode(twice)).drop("col").write.json(path, compression="gzip")
     return t.spark.read.schema(L.EXPORT).json(path)
 
 
