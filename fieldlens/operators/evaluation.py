@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,19 +107,20 @@ def match_bits(dets: DataFrame, gts: DataFrame, params: EvalParams, similar: Col
     of at least the threshold, one that counts before one that is ignored (a crowd, or outside the area range), and of equal
     ones the one with the larger id. A crowd can be taken again. found: where it takes one; gids and slots: which one where.
     ignored: where what it takes is, or where it takes none and its own area is outside the range. All areas and thresholds
-    are matched at once; only what one image's truths are taken for is held.
+    are matched at once; only what one image's truths are taken for is held. Detections that share no truth with another, and
+    are like one at most, are settled together as arrays.
     """
     if len(slots(params)) > 60:
         raise ValueError("more than 60 areas and thresholds")
     thrs = sorted(min(float(t), 1 - 1e-10) for t in params.iou)
     outside = lambda v: sum((F.when((v < float(low)) | (v > float(high)), 1 << k).otherwise(0) for k, (_, low, high) in enumerate(params.areas)), F.lit(0))
-    reached = sum((F.when(F.col("iou") >= t, 1).otherwise(0) for t in thrs), F.lit(0))
     top = top_detections(dets, params.most_dets)
     near = candidates(top, gts, thrs[0], similar, how="left")
     rows = near.select(
         "image_id", "category_id", "det_id", "score", "rk", outside(F.col("w") * F.col("h")).alias("out"), "gid",
-        (F.col("giscrowd") == 1).alias("crowd"), reached.alias("reached"), outside(F.col("garea")).alias("gout"), F.coalesce("iou", F.lit(0.0)).alias("iou"),
+        (F.col("giscrowd") == 1).alias("crowd"), outside(F.col("garea")).alias("gout"), F.coalesce(F.col("iou").cast("double"), F.lit(0.0)).alias("iou"),
     )
+    reached = lambda b: np.searchsorted(thrs, b.column("iou").to_numpy(), "right")
     n = len(params.iou)
     areas, everything = [((1 << n) - 1) << (k * n) for k in range(len(params.areas))], (1 << n * len(params.areas)) - 1
     in_areas = [sum(m for k, m in enumerate(areas) if bits >> k & 1) for bits in range(1 << len(areas))] if len(areas) <= 12 else None
@@ -145,9 +147,12 @@ def match_bits(dets: DataFrame, gts: DataFrame, params: EvalParams, similar: Col
                     slots.append(m)
             return (*at[:5], everything & ~open_, ignored | open_ & of_areas(at[5]), gids, slots)
 
-        for b in batches:
-            done = []
-            for image, cls, i, score, rk, out, g, crowd, r, gout in zip(*(b.column(c).to_pylist() for c in (*kept, "out", "gid", "crowd", "reached", "gout")), strict=True):
+        for batch in batches:
+            free = lone(batch)
+            if free.any():
+                yield alone(batch.filter(pa.array(free)))
+            b, done = batch.filter(pa.array(~free)), []
+            for image, cls, i, score, rk, out, g, crowd, gout, r in zip(*(b.column(c).to_pylist() for c in (*kept, "out", "gid", "crowd", "gout")), reached(b).tolist(), strict=True):
                 if now != (image, cls) or at[4] != rk:
                     if at is not None:
                         done.append(end())
@@ -168,13 +173,43 @@ def match_bits(dets: DataFrame, gts: DataFrame, params: EvalParams, similar: Col
         if at is not None:
             yield table([end()], b)
 
+    def alone(b: pa.RecordBatch) -> pa.RecordBatch:
+        """As the loop does it, of detections whose only truth, if any, nothing else can take."""
+        of = lambda c: pc.fill_null(b.column(c), False if c == "crowd" else 0).to_numpy(zero_copy_only=False).astype("int64")
+        each = lambda bits: (lambda v, at: np.array([of_areas(x) for x in v.tolist()], "int64")[at])(*np.unique(bits, return_inverse=True))
+        found, off = np.array(passed, "int64")[reached(b)], np.where(of("crowd") != 0, everything, each(of("gout")))
+        ignored = found & off | everything & ~found & each(of("out"))
+        masks = np.stack([found & ~off, found & off], 1)
+        used = masks != 0
+        lists = lambda v: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(used.sum(1))], pa.int32()), pa.array(v[used]))
+        columns = [*(b.column(c) for c in kept), pa.array(found), pa.array(ignored), lists(np.stack([of("gid")] * 2, 1)), lists(masks)]
+        return pa.RecordBatch.from_arrays(columns, names=[*kept, "found", "ignored", "gids", "slots"])
+
     def table(done: list[tuple], b: pa.RecordBatch) -> pa.RecordBatch:
         kinds = [*(b.schema.field(c).type for c in kept), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         columns = zip(*done, strict=True) if done else [[]] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*kept, "found", "ignored", "gids", "slots"])
 
     ordered = rows.sortWithinPartitions("image_id", "category_id", "rk", F.desc("iou"), F.desc("gid"))
-    return ordered.select(*kept, "out", F.col("gid").cast("long"), "crowd", "reached", "gout").mapInArrow(run, schema)
+    return ordered.select(*kept, "out", F.col("gid").cast("long"), "crowd", "gout", "iou").mapInArrow(run, schema)
+
+
+def lone(b: pa.RecordBatch) -> np.ndarray:
+    """Of rows (image_id, category_id, rk, gid) in order, a row for each pair, which are of a detection that is like no truth,
+    or like one only that no other detection of the image and class is like. The rest of the groups at the ends of a batch may
+    be in another one, so there only the former count."""
+    none = b.column("gid").is_null().to_numpy(zero_copy_only=False)
+    if not b.num_rows or any(pa.types.is_floating(b.schema.field(c).type) for c in ("image_id", "category_id")):
+        return none
+    differs = lambda c: pc.fill_null(pc.not_equal(b.column(c)[1:], b.column(c)[:-1]), True).to_numpy(zero_copy_only=False)
+    groups = differs("image_id") | differs("category_id")
+    group, one = np.r_[0, np.cumsum(groups)], np.r_[True, groups | differs("rk"), True]
+    gid = pc.fill_null(b.column("gid"), 0).to_numpy()
+    order = np.lexsort((gid, none, group))
+    same = np.r_[False, ~groups & (gid[order][1:] == gid[order][:-1]) & ~none[order][1:] & ~none[order][:-1], False]
+    single = np.empty(b.num_rows, bool)
+    single[order] = ~(same[1:] | same[:-1])
+    return none | single & one[1:] & one[:-1] & (group > 0) & (group < group[-1])
 
 
 def greedy_match(dets: DataFrame, gts: DataFrame, params: EvalParams, similar: Column | None = None) -> DataFrame:
