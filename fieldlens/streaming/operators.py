@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import groupby
+from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -41,104 +42,147 @@ class InOrder(StatefulProcessor):
     """Rows of a key handled in order, whatever the order in which they come; for a watermark on ts, which rises with frames.
 
     Rows wait in map state until the watermark has passed them, so the state holds those of the time that late rows are
-    allowed. They lie in parts of a stretch of time (stretch_ms); at most rows_held rows are gathered before parts are
-    written, and what has passed goes to handle a stretch after the other, so a task holds no more than that, however many rows
-    a batch has. An event-time timer stands at the first of them; when it fires, those passed go to handle in order of time.
-    When none is left, a timer stands at the last row's time plus idle: if no row has come until then, all of the key's state
-    is removed. Rows after a longer time than idle begin anew, whatever the batches. What comes too late is dropped and counted
-    by Spark.
-
-    Columns are typed as given; each travels by itself, so 64-bit ids stay exact. The first is the frame; a frame's rows that
+    allowed. They lie in parts of a stretch of time, each of some rows' bytes. A stretch is stretch_ms long; rows that lie far
+    apart go into longer ones (each step finer times as long), so that no more than most_stretches parts are written for
+    rows_held rows, and long ones are dealt into shorter ones once their time has come, if they hold more than rows_held rows.
+    So each row is written a few times, however long the time that a batch spans, and a task holds about rows_held rows, or
+    those of stretch_ms, however many rows a batch has. An event-time timer stands at the first of them; when it fires, those
+    passed go to handle in order of time. When none is left, a timer stands at the last row's time plus idle: if no row has
+    come until then, all of the key's state is removed. Rows after a longer time than idle begin anew, whatever the batches.
+    What comes too late is dropped and counted by Spark.
+
+    Columns are longs and doubles; each travels by itself, so 64-bit ids stay exact. The first is the frame; a frame's rows that
     have passed are handled together. Subclasses give columns, handle and the state that is their own.
     """
 
     columns: tuple[tuple[str, str], ...]
     output: str
-    stretch_ms, rows_held = 60_000, 100_000
+    stretch_ms, finer, most_stretches, rows_held = 60_000, 8, 64, 100_000
 
     def __init__(self, idle_ms: int) -> None:
         self.idle_ms = idle_ms
+        self.kinds = np.dtype([(n, {"long": "<i8", "double": "<f8"}[kind]) for n, kind in (*self.columns, ("at", "long"))])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle_ = handle
-        self.parts = handle.getMapState("parts", "stretch long, part long", ", ".join(f"{n} array<{kind}>" for n, kind in (*self.columns, ("at", "long"))))
-        self.counts = handle.getMapState("counts", "stretch long", "parts long")
+        self.parts = handle.getMapState("parts", "width long, stretch long, part long", "rows binary")
+        self.counts = handle.getMapState("counts", "width long, stretch long", "parts long, rows long, first long")
         self.clock = handle.getValueState("clock", "wake long, last long, done long")
         self.own_states(handle)
 
-    def _put(self, rows: list[tuple], counts: dict[int, int]) -> None:
-        """Adds rows, each with its time last, as a part of each stretch that they lie in."""
-        stretch = lambda r: r[-1] // self.stretch_ms
-        for k, own in groupby(sorted(rows, key=stretch), key=stretch):
-            self.parts.updateValue((k, counts.get(k, 0)), tuple(list(c) for c in zip(*own, strict=True)))
-            counts[k] = counts.get(k, 0) + 1
-            self.counts.updateValue((k,), (counts[k],))
+    def _put(self, rows: np.ndarray, counts: dict, width: int | None = None) -> None:
+        """Adds rows as a part of each stretch that they lie in."""
+        rows = rows[np.argsort(rows["at"], kind="stable")]
+        width, at = width or self.stretch_ms, rows["at"]
+        while np.count_nonzero(np.diff(at // width)) >= self.most_stretches:
+            width *= self.finer
+        edges = np.flatnonzero(np.diff(at // width)) + 1
+        for a, b in pairwise([0, *edges.tolist(), len(rows)] if len(rows) else []):
+            stretch, first = (width, int(at[a]) // width), int(at[a])
+            parts, n, before = counts.get(stretch, (0, 0, first))
+            self.parts.updateValue((*stretch, parts), (rows[a:b].tobytes(),))
+            counts[stretch] = (parts + 1, n + b - a, min(first, before))
+
+    def _take(self, stretch: tuple[int, int], counts: dict) -> Iterator[np.ndarray]:
+        """The parts of a stretch, which are removed."""
+        for k in range(counts.pop(stretch)[0]):
+            (rows,) = self.parts.getValue((*stretch, k))
+            self.parts.removeKey((*stretch, k))
+            yield np.frombuffer(bytes(rows), self.kinds)
+
+    def _deal(self, stretch: tuple[int, int], counts: dict) -> set[tuple[int, int]]:
+        """The shorter stretches, of those that weren't there, that a stretch's rows go into."""
+        known, held = set(counts), []
+        for rows in self._take(stretch, counts):
+            held.append(rows)
+            if sum(map(len, held)) >= self.rows_held:
+                self._put(np.concatenate(held), counts, stretch[0] // self.finer)
+                held = []
+        if held:
+            self._put(np.concatenate(held), counts, stretch[0] // self.finer)
+        return set(counts) - known
 
-    def _rows(self, stretch: int, parts: int) -> list[tuple]:
-        """A stretch's rows in order."""
-        found = [r for k in range(parts) for r in zip(*self.parts.getValue((stretch, k)), strict=True)]
-        return sorted(found, key=lambda r: (r[-1], r[:2]))
+    def _counts(self) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """Of each stretch the number of parts and of rows, and the first row's time."""
+        return {tuple(k): tuple(v) for k, v in self.counts.iterator()}
 
-    def _remove(self, stretch: int, parts: int) -> None:
-        for k in range(parts):
-            self.parts.removeKey((stretch, k))
-        self.counts.removeKey((stretch,))
+    def _save(self, counts: dict, before: dict) -> None:
+        for k in before.keys() - counts.keys():
+            self.counts.removeKey(k)
+        for k, v in counts.items():
+            if before.get(k) != v:
+                self.counts.updateValue(k, v)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         wake, last, done = self.clock.get() or (None, None, None)
-        counts, held = {k[0]: v[0] for k, v in self.counts.iterator()}, []
+        before, held = self._counts(), []
+        counts = dict(before)
         for f in rows:
             f = f[f["whole"]]
             if not len(f):
                 continue
-            at = f["ts"].astype("datetime64[ms]").astype("int64").tolist()
-            values = [[None if x != x else x for x in f[n].tolist()] for n, _ in self.columns]
-            held += zip(*values, at, strict=True)
-            if len(held) >= self.rows_held:
-                self._put(held, counts)
+            own = np.empty(len(f), self.kinds)
+            for n in self.kinds.names[:-1]:
+                own[n] = f[n].astype(self.kinds[n]).to_numpy()
+            own["at"] = f["ts"].astype("datetime64[ms]").astype("int64").to_numpy()
+            held.append(own)
+            if sum(map(len, held)) >= self.rows_held:
+                self._put(np.concatenate(held), counts)
                 held = []
-            first = min(at)
+            first, latest = int(own["at"].min()), int(own["at"].max())
             if wake is None or wake == last + self.idle_ms + 1 or first < wake:
                 if wake is not None:
                     self.handle_.deleteTimer(wake)
                 self.handle_.registerTimer(first)
                 wake = first
-            last = max(at) if last is None else max(last, *at)
-        self._put(held, counts)
+            last = latest if last is None else max(last, latest)
+        if held:
+            self._put(np.concatenate(held), counts)
+        self._save(counts, before)
         if wake is not None:
             self.clock.update((wake, last, done))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         passed, (_, last, done) = timerValues.getCurrentWatermarkInMs(), self.clock.get()
-        counts = {k[0]: v[0] for k, v in self.counts.iterator()}
-        if not counts and last + self.idle_ms < passed:
+        before = self._counts()
+        if not before and last + self.idle_ms < passed:
             self.forget()
             self.clock.clear()
             return
-        stretches, held, rest = sorted(k for k in counts if k * self.stretch_ms <= passed), [], []
-        for i, stretch in enumerate(stretches):
-            rows = held + self._rows(stretch, counts[stretch])
-            self._remove(stretch, counts.pop(stretch))
-            ready, rest = [r for r in rows if r[-1] <= passed], [r for r in rows if r[-1] > passed]
-            end = len(ready)
-            while i + 1 < len(stretches) and end and ready[end - 1][0] == ready[-1][0]:  # its frame may go on in the next one
-                end -= 1
-            ready, held = ready[:end], ready[end:]
-            found, begin = [], 0
-            for k, r in enumerate(ready):  # what is idle ends, whether or not a batch ended meanwhile
-                before = ready[k - 1][-1] if k else done
-                if before is not None and r[-1] - before > self.idle_ms:
-                    found += self.handle([x[:-1] for x in ready[begin:k]]) if k > begin else []
-                    self.forget()
-                    begin = k
-            found += self.handle([x[:-1] for x in ready[begin:]]) if len(ready) > begin else []
-            done = ready[-1][-1] if ready else done
+        counts, held = dict(before), np.empty(0, self.kinds)
+        place = lambda stretch: (stretch[0] * stretch[1], -stretch[0])
+        coming = [place(k) for k in counts if place(k)[0] <= passed]
+        heapify(coming)
+        while coming:
+            begin, width = heappop(coming)
+            stretch = (-width, begin // -width)
+            if stretch[0] > self.stretch_ms and counts[stretch][1] > self.rows_held:
+                for k in self._deal(stretch, counts):
+                    if place(k)[0] <= passed:
+                        heappush(coming, place(k))
+                continue
+            held = np.concatenate([held, *self._take(stretch, counts)])
+            held = held[np.lexsort([held[n] for n in (*self.kinds.names[1::-1], "at")])]
+            end = int(np.searchsorted(held["at"], min(coming[0][0], passed + 1) if coming else passed + 1))
+            if coming and end:  # the last frame may go on in the next stretch
+                frame = held[self.kinds.names[0]][:end]
+                end = int(np.append(np.flatnonzero(frame != frame[-1]) + 1, 0).max())
+            if not end:
+                continue
+            ready, held = held[:end], held[end:]
+            found, start, at = [], 0, ready["at"]
+            for k in np.flatnonzero(np.diff(at, prepend=at[0] if done is None else done) > self.idle_ms).tolist():  # what is idle ends, whether or not a batch ended meanwhile
+                found += self.handle(ready[start:k]) if k > start else []
+                self.forget()
+                start = k
+            found += self.handle(ready[start:])
+            done = int(at[-1])
             if found:
                 yield pd.DataFrame([(key[0], *x) for x in found], columns=[c.split(" ")[0] for c in self.output.split(", ")])
-        self._put(rest, {})
-        coming = rest or (self._rows(min(counts), counts[min(counts)]) if counts else [])
-        wake = coming[0][-1] if coming else last + self.idle_ms + 1
+        self._put(held, counts)
+        self._save(counts, before)
+        wake = min((first for _, _, first in counts.values()), default=last + self.idle_ms + 1)
         self.handle_.registerTimer(wake)
         self.clock.update((wake, last, done))
 
@@ -150,8 +194,8 @@ class InOrder(StatefulProcessor):
         """Clear them."""
         raise NotImplementedError
 
-    def handle(self, rows: list[tuple]) -> list[tuple]:
-        """Output rows, without the key, of rows in order."""
+    def handle(self, rows: np.ndarray) -> list[tuple]:
+        """Output rows, without the key, of rows in order (an array with the columns as fields)."""
         raise NotImplementedError
 
 
@@ -187,16 +231,17 @@ class TrackProcessor(InOrder):
         self.next.clear()
         self.tracks.clear()
 
-    def handle(self, rows: list[tuple]) -> list[tuple]:
+    def handle(self, rows: np.ndarray) -> list[tuple]:
         machine = Tracker(**self.options)
         machine.next_id = (self.next.get() or (0,))[0]
         before = {k[0]: {"seen": v[0], "past": [(p[0], list(p[1:])) for p in v[1]]} for k, v in self.tracks.iterator()}
         machine.tracks = {k: dict(t) for k, t in before.items()}
         out, frame = [], None
-        for frame, own in groupby(rows, key=lambda r: r[0]):
-            own = list(own)
-            ids, boxes = np.array([r[1] for r in own], np.int64), np.array([r[2:6] for r in own], float)
-            out += machine.step(frame, ids, boxes, np.array([r[6] for r in own], float))
+        frames, ids, scores = (np.ascontiguousarray(rows[n]) for n in ("frame", "det_id", "score"))
+        boxes = np.column_stack([rows[n] for n in "xywh"])
+        for a, b in pairwise([0, *(np.flatnonzero(np.diff(frames)) + 1).tolist(), len(rows)]):
+            frame = int(frames[a])
+            out += machine.step(frame, ids[a:b], boxes[a:b], scores[a:b])
         machine.drop_ended(frame)
         for k in before.keys() - machine.tracks.keys():
             self.tracks.removeKey((k,))
@@ -236,9 +281,9 @@ class MonitorProcessor(InOrder):
     def forget(self) -> None:
         self.low.clear()
 
-    def handle(self, rows: list[tuple]) -> list[tuple]:
+    def handle(self, rows: np.ndarray) -> list[tuple]:
         begun, low, out = self.low.exists(), (self.low.get() or (0,))[0], []
-        for frame, n in rows:
+        for frame, n in zip(rows["frame"].tolist(), rows["n_inliers"].tolist(), strict=True):
             is_low = n < self.threshold
             low += int(is_low)
             kind = "anchor" if not begun else "promotes_previous" if is_low and low % (self.most_pseudo + 1) == 0 else "pseudo" if is_low else None
