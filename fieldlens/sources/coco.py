@@ -11,16 +11,19 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import pairwise
+from math import isqrt
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlens.sources.shared import cut, shared_dir
+from fieldlens.sources.shared import cut
 
 IMAGE = "id bigint, file_name string, width int, height int, license int, date_captured string, coco_url string, flickr_url string"
 ANNOTATION = (
@@ -37,7 +40,7 @@ _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"\s*:?|$)|[\[\]{}]', re.S)
 #: Folders of documents in files: this, "=" and a number.
 _FOLDER = "document_in_files"
 _IN_FOLDER = re.compile(f"(.*/{_FOLDER}=[0-9]+)/([^/]*)", re.S)
-_OTHERS = bytes(sorted({*range(256)} - {*b"[]{}"}))
+_MARKS = np.isin(np.arange(256), list(b'"[]{}'))
 _REST = re.compile(r'(?:[^"\\]|\\.)*"', re.S)
 _RANGES = "file string, start string, inside boolean, flips boolean, closes int, opens string"
 _PIECES = "file string, start string, kind string, name string, part long, begins boolean, ends boolean, value string"
@@ -75,20 +78,34 @@ def _brackets(text: str, inside: bool) -> tuple[str, bool]:
     return "".join(_BRACKET.findall(text)), False
 
 
-def _both(texts: list[str]) -> tuple[tuple[str, str], bool]:
+def _text(values: pa.Array) -> bytes:
+    """Texts that end in braces, one after another."""
+    one = pa.LargeListArray.from_arrays(pa.array([0, len(values)], pa.int64()), values.cast(pa.large_string()))
+    return pc.binary_join(one, pa.scalar("}", pa.large_string()))[0].as_buffer().to_pybytes() + b"}"
+
+
+def _marks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """The places of brackets, what they are, and whether an odd number of quotes stands before; and whether there is an odd
+    number in all."""
+    plain = np.frombuffer(_ESCAPED.sub(b"  ", data) if b"\\" in data else data, np.uint8)
+    at = np.flatnonzero(_MARKS[plain])
+    kinds = plain[at]
+    quotes = kinds == ord('"')
+    odd = (np.cumsum(quotes) & 1).astype(bool)
+    return at[~quotes], kinds[~quotes], odd[~quotes], bool(len(odd) and odd[-1])
+
+
+def _both(texts: pa.Array) -> tuple[tuple[str, str], bool]:
     """As _brackets of texts that end in braces, begun outside a string and inside, without those that close one another;
     and whether the texts end in the other state than they begin with."""
-    joined = "}".join([*texts, ""]).encode()
-    if b"\\" in joined:
-        joined = _ESCAPED.sub(b"", joined)
-    parts = joined.split(b'"')
+    _, kinds, odd, flips = _marks(_text(texts))
     found = []
-    for k in (0, 1):
-        left, now = None, b"".join(parts[k::2]).translate(None, _OTHERS)
+    for own in (~odd, odd):
+        left, now = None, kinds[own].tobytes()
         while left != now:
             left, now = now, now.replace(b"[]", b"").replace(b"{}", b"")
         found.append(now.decode())
-    return (found[0], found[1]), len(parts) % 2 == 0
+    return (found[0], found[1]), flips
 
 
 def _follow(stack: list[str], brackets: str) -> int:
@@ -117,16 +134,16 @@ def _range(path: str, at: int) -> tuple[str, str]:
     return path, f"{at:020d}"
 
 
-def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[str]]]:
+def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Array]]:
     """((file, start), texts) of stretches of a task's rows that belong to one range."""
     for b in batches:
         if not b.num_rows:
             continue
-        paths, starts, values = b["path"].dictionary_encode(), b["at"].to_numpy(), b["value"].to_pylist()
+        paths, starts, values = b["path"].dictionary_encode(), b["at"].to_numpy(), b["value"]
         which = paths.indices.to_numpy()
         cuts = [0, *(np.flatnonzero((which[1:] != which[:-1]) | (starts[1:] != starts[:-1])) + 1).tolist(), len(values)]
         for begin, end in pairwise(cuts):
-            yield _range(paths[begin].as_py(), int(starts[begin])), values[begin:end]
+            yield _range(paths[begin].as_py(), int(starts[begin])), values.slice(begin, end - begin)
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +187,43 @@ class _Reader:
         self.base = self._base()
         self.name: str | None = None
         self.part, self.begins, self.held, self.out = 0, not self.base, [], []
+        self.whole: list[tuple[str | None, int, list[bytes]]] = []
 
     def _base(self) -> int:
         """The number of brackets around the object that is being read; 0 if there is none."""
         return 1 if self.opens[:2] == ["{", "{"] else 2 if self.opens[:3] == ["{", "[", "{"] else 0
 
+    def chunks(self, values: pa.Array) -> None:
+        at, ahead = 0, 64
+        while at < len(values):
+            taken = 0
+            if not self.base and not self.inside and self.opens == ["{", "["]:
+                taken = self._list(values.slice(at, ahead))
+                ahead = ahead * 2 if taken == ahead else 64
+            if not taken:
+                self.chunk(values[at].as_py())
+            at += taken or 1
+
+    def _list(self, values: pa.Array) -> int:
+        """The objects of a list that end in chunks between two of which the reader stands: how many chunks they take, of those
+        before the list's end. The reader is as before, then."""
+        data = _text(values)
+        at, kinds, odd, _ = _marks(data)
+        at, kinds = at[~odd], kinds[~odd]
+        up = (kinds == ord("{")) | (kinds == ord("["))
+        depth = np.cumsum(np.where(up, 1, -1))
+        within = int(np.append(np.flatnonzero(depth < 0), len(depth))[0])
+        ends = np.flatnonzero((depth[:within] == 0) & (kinds[:within] == ord("}")))
+        if not len(ends):
+            return 0
+        last = int(ends[-1]) + 1
+        opened, closed = np.flatnonzero(up[:last] & (depth[:last] == 1)), np.flatnonzero(~up[:last] & (depth[:last] == 0))
+        objects = kinds[opened] == ord("{")  # others are lists in the list
+        texts = [data[a:b] for a, b in zip(at[opened[objects]].tolist(), (at[closed[objects]] + 1).tolist(), strict=True)]
+        self.whole.append((self.name, self.part, texts))
+        self.part += len(texts)
+        return int(np.searchsorted(np.cumsum(pc.binary_length(values).to_numpy().astype(np.int64) + 1), at[last - 1] + 1)) + 1
+
     def chunk(self, text: str) -> None:
         if not self.base:
             if not self.inside and self.opens == ["{", "["]:  # mostly it is the next object of a list, whole and without braces of its own
@@ -231,22 +280,26 @@ def _pieces(batches: Iterator[pa.RecordBatch], states: dict[tuple[str, str], tup
     schema = pa.schema(list(zip([c.split()[0] for c in _PIECES.split(", ")], kinds, strict=True)))
     reader = None
 
-    def rows() -> pa.RecordBatch:
+    def rows() -> Iterator[pa.RecordBatch]:
         out, reader.out = reader.out, []
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], schema=schema)
+        whole, reader.whole = reader.whole, []
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], schema=schema)
+        for name, part, texts in whole:
+            same = [pa.repeat(pa.scalar(v, k), len(texts)) for v, k in zip((*reader.key, "object", name, True), (*kinds[:4], pa.bool_()), strict=True)]
+            parts = pa.array(np.arange(part, part + len(texts)))
+            yield pa.RecordBatch.from_arrays([*same[:4], parts, same[4], same[4], pa.array(texts, pa.binary()).cast(pa.string())], schema=schema)
 
     for key, texts in _by_range(batches):
         if reader is None or key != reader.key:
             if reader:
                 reader.close()
-                yield rows()
+                yield from rows()
             reader = _Reader(*key, *states[key])
-        for text in texts:
-            reader.chunk(text)
-        yield rows()
+        reader.chunks(texts)
+        yield from rows()
     if reader:
         reader.close()
-        yield rows()
+        yield from rows()
 
 
 def document_objects(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -259,7 +312,7 @@ def document_objects(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     ranges = cut(chunks.mapInArrow(_summaries, _RANGES), "coco-ranges")
     starts = ranges.groupBy("file").applyInArrow(_starts, "file string, start string, inside boolean, opens string")
     states = {(r.file, r.start): (r.inside, r.opens) for r in starts.collect()}  # a row for each range, as Spark's own list of splits has
-    got = cut(chunks.mapInArrow(lambda b: _pieces(b, states), _PIECES), "coco-pieces")
+    got = cut(chunks.mapInArrow(lambda b: _pieces(b, states), _PIECES), "coco-pieces", compression="zstd")
     ended = {(r.file, r.start): r.name for r in got.filter("kind = 'name'").collect()}  # again a row for each range
     named, last = [], {}
     for file, start in sorted(states):
@@ -268,7 +321,7 @@ def document_objects(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     known = spark.createDataFrame(named, "file string, start string, before string")
     objects = got.filter("kind = 'object'").join(F.broadcast(known), ["file", "start"]).withColumn("name", F.coalesce("name", "before"))
     whole = objects.filter("begins and ends").select("file", "name", "value")
-    return whole.unionByName(_joined(objects.filter("not (begins and ends)")))
+    return whole.unionByName(cut(_joined(objects.filter("not (begins and ends)")), "coco-joined"))
 
 
 def _joined(pieces: DataFrame) -> DataFrame:
@@ -296,17 +349,28 @@ def read_coco(
     Numbers may be written as strings. What isn't of a field's type is null; segmentation stays as it is (see rings). Other
     fields than the schemas' are left out: give a schema with them to keep them.
     """
-    objects = cut(document_objects(spark, paths), "coco-objects")
+    objects = document_objects(spark, paths)
     table = lambda name, schema: _fields(objects.filter(F.col("name") == name).withColumnRenamed("file", "src"), schema)
     return Coco(table("images", image), with_sides(table("annotations", annotation)), table("categories", category), table("info", info), table("licenses", license_))
 
 
 def _fields(rows: DataFrame, schema: str) -> DataFrame:
-    """(src, the schema's fields) of JSON objects (src, value)."""
+    """(src, the schema's fields) of JSON objects (src, value).
+
+    Objects whose fields are all of their types are parsed as such, the others as variants, whose parts are cast one by one.
+    What is text in part is a variant in both, for it may be written as a number.
+    """
     fields = rows.sparkSession.createDataFrame([], schema).schema
-    parsed = rows.select("src", F.try_parse_json("value").alias("v"))
+    kinds = {f.name: f.dataType.simpleString() for f in fields}
+    typed = {n: "variant" if "string" in k else k for n, k in kinds.items()}
+    strict = ", ".join([*(f"`{n}` {k}" for n, k in typed.items()), "`__other` string"])
+    parsed = rows.select("src", "value", F.from_json("value", strict, {"columnNameOfCorruptRecord": "__other"}).alias("p"))
+    other = F.col("p.__other").isNotNull()
+    parsed = parsed.select("src", "p", F.when(other, F.try_parse_json("value")).alias("v"))
+    plain = lambda n: F.try_variant_get(F.col(f"p.`{n}`"), "$", kinds[n]) if typed[n] != kinds[n] else F.col(f"p.`{n}`")
+    found = (F.when(other, F.try_variant_get("v", f"$.{n}", k)).otherwise(plain(n)).alias(n) for n, k in kinds.items())
     # inline, for a join's filters on fields would otherwise go below the parsing and parse each row again
-    return parsed.select("src", F.inline(F.array(F.struct(*(F.try_variant_get("v", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in fields)))))
+    return parsed.select("src", F.inline(F.array(F.struct(*found))))
 
 
 def with_sides(annotations: DataFrame) -> DataFrame:
@@ -331,14 +395,16 @@ def annotation_fields(annotations: DataFrame) -> DataFrame:
     return annotations.select(*(c for c in annotations.columns if c not in "xywh"), box.alias("bbox"))
 
 
-def write_coco(coco: Coco, path: str, documents: int = 1, *, most_categories: int = 100_000, rows_a_file: int = 500_000) -> None:
+def write_coco(coco: Coco, path: str, documents: int = 1, *, most_categories: int = 100_000, rows_a_file: int = 500_000, compression: str | None = None) -> None:
     """COCO documents below path, so many of them, each with the images and annotations of a range of image ids, in order, and
     all categories, licences and the info.
 
     A document of up to rows_a_file images and annotations is a file, written by one task, row by row. If one has more, each is
     a folder of files of about as many rows, each written by a task; one after another by name they are the document (as cat
-    joins them), and read_coco reads them so. Null fields are left out. An annotation whose image isn't there goes with the
-    document of its image_id's range. No images and no annotations give no document.
+    joins them, or zcat if compression is gzip), and read_coco reads them so. A compressed file is read by one task. Null fields
+    are left out. An annotation whose image isn't there goes with the document of its image_id's range. No images and no
+    annotations give no document. The tables' ids are counted before, so tables that aren't the same whenever they are made have
+    to be written first.
     """
     drop = lambda df: None if df is None else df.drop("src")
     head = {
@@ -347,29 +413,23 @@ def write_coco(coco: Coco, path: str, documents: int = 1, *, most_categories: in
     }
     opening = "{" + "".join(f'"{k}": {v},\n' for k, v in head.items()) + '"images": ['
     images, annotations = drop(coco.images), annotation_fields(drop(coco.annotations))
+    keys = images.select(F.lit(0).alias("kind"), F.col("id").alias("image")).unionByName(annotations.select(F.lit(1).alias("kind"), F.col("image_id").alias("image")))
     row = lambda df, of, kind: df.select(F.col(of).alias("image"), F.lit(kind).alias("kind"), F.col("id").alias("id"), F.to_json(F.struct(*df.columns)).alias("value"))
-    every = row(images, "id", 0).unionByName(row(annotations, "image_id", 1))
-    spark, at = every.sparkSession, shared_dir(every.sparkSession, "coco-rows")
-    if documents == 1:
-        every.write.parquet(f"{at}/document=0")
-    else:
-        bounds = sorted({*(every.agg(F.percentile_approx("image", [k / documents for k in range(1, documents)]).alias("b")).first().b or [])})
-        document = F.when(F.col("image").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("image")))) if bounds else F.lit(0)
-        every.withColumn("document", document).write.partitionBy("document").parquet(at)
-    rows = lambda *d: spark.read.schema(every.schema).parquet(*(f"{at}/document={k}" for k in d))
-    sizes = {r.document: r["count"] for r in spark.read.schema(f"{_ddl(every)}, document int").parquet(at).groupBy("document").count().collect()}  # a row for each document
+    bounds = [] if documents == 1 else sorted({*(keys.agg(F.percentile_approx("image", [k / documents for k in range(1, documents)]).alias("b")).first().b or [])})
+    document = F.when(F.col("image").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("image")))) if bounds else F.lit(0)
+    every = row(images, "id", 0).unionByName(row(annotations, "image_id", 1)).withColumn("document", document)
+    keys = keys.withColumn("document", document)
+    sizes = {(r.document, r.kind): r["count"] for r in keys.groupBy("document", "kind").count().collect()}  # two rows for each document
+    totals: dict[int, int] = {}
+    for (d, _), n in sizes.items():
+        totals[d] = totals.get(d, 0) + n
     if not sizes:
-        spark.createDataFrame([], "value string").write.text(path)
-    elif max(sizes.values()) > rows_a_file:
-        for k, size in sorted(sizes.items()):
-            _write_files(rows(k), opening, f"{path}/{_FOLDER}={k}", -(-size // rows_a_file))
+        every.sparkSession.createDataFrame([], "value string").write.text(path, compression=compression)
+    elif max(totals.values()) > rows_a_file:
+        _write_files(every, _ends(keys, annotations, sizes, rows_a_file), opening, path, compression)
     else:
-        ordered = spark.read.schema(f"{_ddl(every)}, document int").parquet(at).repartitionById(documents, "document").sortWithinPartitions("kind", "image", "id")
-        ordered.select("kind", "value").mapInArrow(lambda b: _document(b, opening), "value string").write.text(path)
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+        ordered = every.repartitionById(documents, "document").sortWithinPartitions("kind", "image", "id")
+        ordered.select("kind", "value").mapInArrow(lambda b: _document(b, opening), "value string").write.text(path, compression=compression)
 
 
 def _document(batches: Iterator[pa.RecordBatch], opening: str) -> Iterator[pa.RecordBatch]:
@@ -389,34 +449,62 @@ def _document(batches: Iterator[pa.RecordBatch], opening: str) -> Iterator[pa.Re
     yield line(["]}" if now else '],\n"annotations": []}'])
 
 
-def _write_files(rows: DataFrame, opening: str, path: str, files: int) -> None:
-    """One document of rows (image, kind, id, value), in so many files.
+def _ends(keys: DataFrame, annotations: DataFrame, sizes: dict[tuple[int, int], int], rows_a_file: int) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """For each (document, kind) the (image, id) that files of about so many rows end with, but for the last file. An image with
+    more annotations than a file has ends by their ids."""
+    files = [max((-(-n // rows_a_file) for (_, k), n in sizes.items() if k == kind), default=1) for kind in (0, 1)]
+    cuts = lambda column, n: F.percentile_approx(column, [j / n for j in range(1, n)], max(10_000, 100 * n))
+    found = [keys.filter(F.col("kind") == k).groupBy("document", "kind").agg(cuts("image", n).alias("ends")) for k, n in enumerate(files) if n > 1]
+    ends = {(r.document, r.kind): Counter(r.ends or []) for df in found for r in df.collect()}
+    crowded = {i: n for (_, kind), c in ends.items() for i, n in c.items() if kind and n > 1}
+    ids = {}
+    if crowded:
+        own = annotations.filter(F.col("image_id").isin(*crowded)).groupBy("image_id").agg(cuts("id", max(crowded.values())).alias("ends"))
+        ids = {r.image_id: sorted({*r.ends}) for r in own.collect()}
+    return {(d, kind): [(i, e) for i in sorted(ends.get((d, kind), [])) for e in (*(ids.get(i, []) if kind else []), 2**63 - 1)] for d, kind in sizes}
+
+
+def _write_files(rows: DataFrame, ends: dict[tuple[int, int], list[tuple[int, int]]], opening: str, path: str, compression: str | None) -> None:
+    """Documents of rows (document, image, kind, id, value), each as a folder of files with the ends given.
 
-    What stands before the first image and the first annotation are rows of their own with the same place, so they are in one
-    file with it; and the end is one. Each line ends in a brace, which the sink writes: a file's end is no other text.
+    A file is a partition of its own. What stands before the first image and the first annotation is written with the first row
+    of their first files, which have the least rows and so aren't empty. Each line ends in a brace, which the sink writes: a
+    file's end is no other text.
     """
-    first = {r.kind: r.first for r in rows.groupBy("kind").agg(F.min(F.struct("image", "id")).alias("first")).collect()}
-    between = '],\n"annotations": ['
-    marks = [(first[0].image, 0, first[0].id, opening)] if 0 in first else []
-    marks += [(first[1].image, 1, first[1].id, between if 0 in first else opening + between)] if 1 in first else []
-    marks.append((None, 2, None, "]}" if 1 in first else between + "]}"))
-    every = rows.withColumn("mark", F.lit(False)).unionByName(rows.sparkSession.createDataFrame(marks, rows.schema).withColumn("mark", F.lit(True)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = ",\n"
-        for b in batches:
-            lines = []
-            for mark, kind, value in zip(b["mark"].to_pylist(), b["kind"].to_pylist(), b["value"].to_pylist(), strict=True):
-                if mark and kind < 2:
-                    before = value + "\n"
-                else:
-                    lines.append((value if mark else before + value)[:-1])
-                    before = ",\n"
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
-
-    place = ("kind", "image", "id")
-    ordered = every.repartitionByRange(files, *place).sortWithinPartitions(*place, F.desc("mark"))
-    ordered.select("mark", "kind", "value").mapInArrow(run, "value string").write.option("lineSep", "}").text(path)
+    between, groups = '],\n"annotations": [', sorted(ends)
+    # which ends lie below a row is looked up in two steps, among the ends of stretches of them and in one of these
+    firsts, stretches, coarse, at, n = [], [], [], [], 0
+    for g in groups:
+        step = max(1, isqrt(len(ends[g])))
+        own = [ends[g][k : k + step] for k in range(0, len(ends[g]), step)] + [[]]
+        firsts.append((n, step, len(stretches)))
+        stretches += own
+        coarse.append([x[-1] for x in own if len(x) == step])
+        at.append(n)
+        n += len(ends[g]) + 1
+    struct = "array<array<struct<image:bigint,id:bigint>>>"
+    known = lambda lists: F.array(*(F.array(*(F.struct(F.lit(i).cast("long").alias("image"), F.lit(e).cast("long").alias("id")) for i, e in x)) for x in lists)).cast(struct)
+    numbers = lambda k: F.array(*(F.lit(x[k]) for x in firsts))
+    below = lambda some: F.size(F.filter(some, lambda b: (b["image"] < F.col("image")) | ((b["image"] == F.col("image")) & (b["id"] < F.col("id")))))
+    group = F.array_position(F.array(*(F.lit(2 * d + kind).cast("int") for d, kind in groups)), (2 * F.col("document") + F.col("kind")).cast("int")).cast("int") - 1
+    some = rows.withColumn("group", group).withColumn("stretch", below(F.get(known(coarse), F.col("group"))))
+    part = F.get(numbers(0), F.col("group")) + F.col("stretch") * F.get(numbers(1), F.col("group")) + below(F.get(known(stretches), F.get(numbers(2), F.col("group")) + F.col("stretch")))
+    some = some.withColumn("part", part).select("document", "part", "kind", "image", "id", "value")
+
+    before, marks = {}, []
+    for k, (d, kind) in enumerate(groups):
+        begun = kind and (d, 0) in ends
+        before[at[k]] = (between if begun else opening + between if kind else opening) + "\n"
+        if kind or (d, 1) not in ends:
+            marks.append((d, (at[k + 1] if k + 1 < len(at) else n) - 1, 2, None, None, "]}" if kind else between + "]}"))
+    every = some.unionByName(rows.sparkSession.createDataFrame(marks, some.schema))
+    ordered = every.repartitionById(n, "part").sortWithinPartitions("document", "kind", "image", "id")
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)) == 0
+    openings = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))
+    start = F.when(F.col("kind") == 2, "").when(first, F.coalesce(F.try_element_at(openings, F.col("part")), F.lit(",\n"))).otherwise(",\n")
+    line = F.concat(start, F.col("value"))
+    lines = ordered.select(F.col("document").alias(_FOLDER), F.substr(line, F.lit(1), F.length(line) - 1).alias("value"))
+    lines.write.partitionBy(_FOLDER).text(path, compression=compression, lineSep="}")
 
 
 def write_coco_lines(coco: Coco, path: str) -> None:

@@ -1,9 +1,11 @@
 """COCO documents: any layout and split gives the same objects, and what is written comes back."""
 
+import gzip
 import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldlens.sources import coco as C
 
@@ -100,3 +102,43 @@ def test_empty_tables(spark, tmp_path):
     C.write_coco(C.Coco(**none), str(tmp_path / "out"))
     got = C.read_coco(spark, str(tmp_path / "out"))
     assert got.images.count() == got.annotations.count() == got.categories.count() == got.info.count() == 0
+
+
+def test_written_once_and_small(spark, tmp_path):
+    """Compressed documents in files come back, one image's many annotations go over files too, and rows are written once as
+    text and once as what was read."""
+    (tmp_path / "a.json").write_text(json.dumps(DOCUMENT))
+    first = C.read_coco(spark, str(tmp_path / "a.json"))
+    many = first.annotations.withColumn("image_id", F.when(F.col("id") < 700, F.lit(5)).otherwise(F.col("image_id")))
+    first = first._replace(annotations=many.select(*first.annotations.columns))
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    C.write_coco(first, str(tmp_path / "out"), 2, rows_a_file=100, compression="gzip")
+    assert not {f for f in set(os.listdir(shared)) - before if f.startswith("coco-")}
+    folders = sorted(f for f in os.listdir(tmp_path / "out") if "=" in f)
+    assert len(folders) == 2
+    found = []
+    for d in folders:
+        files = sorted(f for f in os.listdir(tmp_path / "out" / d) if f.startswith("part-"))
+        texts = [gzip.decompress((tmp_path / "out" / d / f).read_bytes()).decode() for f in files]
+        assert max(t.count('"iscrowd"') for t in texts) < 200
+        found += json.loads("".join(texts))["annotations"]
+    assert sorted(a["id"] for a in found) == list(range(1000)) and sum(a["image_id"] == 5 for a in found) >= 700
+    got = C.read_coco(spark, str(tmp_path / "out"))
+    rows = lambda df: {r[0] for r in df.drop("src").selectExpr("to_json(struct(*))").collect()}
+    for a, b in zip(first, got, strict=True):
+        assert rows(a) == rows(b)
+    new = [f for f in set(os.listdir(shared)) - before if f.startswith("coco-") and "parquet" in "".join(os.listdir(f"{shared}/{f}"))]
+    whole = [f for f in new if spark.read.parquet(f"{shared}/{f}").count() >= 1000]
+    assert len(whole) == 1 and whole[0].startswith("coco-pieces"), whole
+
+
+def test_fields_of_other_types(spark):
+    """Fields that aren't written as their types are cast, and those of the other fields in the same row are as they were."""
+    values = [
+        '{"id": "7", "file_name": 12, "width": 3.9, "height": true, "license": null}', '{"id": 8, "file_name": "a", "width": 3000000000, "height": 5}',
+        '{"id": 9, "file_name": 1.50, "width": 4, "height": 5, "coco_url": {"a": 1}}', '{"id": 10, "width": "x"}', '{"id": [1], "height": 2}',
+    ]
+    rows = C._fields(spark.createDataFrame([("s", v) for v in values], "src string, value string"), C.IMAGE)
+    got = [(r.id, r.file_name, r.width, r.height, r.coco_url) for r in rows.collect()]
+    assert got == [(7, "12", 3, 1, None), (8, "a", None, 5, None), (9, "1.5", 4, 5, '{"a":1}'), (10, None, None, None, None), (None, None, None, 2, None)]
