@@ -358,13 +358,14 @@ def _fields(rows: DataFrame, schema: str) -> DataFrame:
     """(src, the schema's fields) of JSON objects (src, value).
 
     Objects whose fields are all of their types are parsed as such, the others as variants, whose parts are cast one by one.
-    What is text in part is a variant in both, for it may be written as a number.
+    What is text in part is a variant in both, for it may be written as a number. What isn't JSON gives nulls. Of a name that
+    stands twice the last one counts; an object that is cast gives nulls then.
     """
     fields = rows.sparkSession.createDataFrame([], schema).schema
     kinds = {f.name: f.dataType.simpleString() for f in fields}
     typed = {n: "variant" if "string" in k else k for n, k in kinds.items()}
     strict = ", ".join([*(f"`{n}` {k}" for n, k in typed.items()), "`__other` string"])
-    parsed = rows.select("src", "value", F.from_json("value", strict, {"columnNameOfCorruptRecord": "__other"}).alias("p"))
+    parsed = rows.select("src", "value", F.from_json("value", strict, {"columnNameOfCorruptRecord": "__other", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}).alias("p"))
     other = F.col("p.__other").isNotNull()
     parsed = parsed.select("src", "p", F.when(other, F.try_parse_json("value")).alias("v"))
     plain = lambda n: F.try_variant_get(F.col(f"p.`{n}`"), "$", kinds[n]) if typed[n] != kinds[n] else F.col(f"p.`{n}`")

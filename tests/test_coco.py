@@ -138,7 +138,8 @@ def test_fields_of_other_types(spark):
     values = [
         '{"id": "7", "file_name": 12, "width": 3.9, "height": true, "license": null}', '{"id": 8, "file_name": "a", "width": 3000000000, "height": 5}',
         '{"id": 9, "file_name": 1.50, "width": 4, "height": 5, "coco_url": {"a": 1}}', '{"id": 10, "width": "x"}', '{"id": [1], "height": 2}',
+        "{'id': 11}", '{"id": 12, "width": NaN}',
     ]
     rows = C._fields(spark.createDataFrame([("s", v) for v in values], "src string, value string"), C.IMAGE)
     got = [(r.id, r.file_name, r.width, r.height, r.coco_url) for r in rows.collect()]
-    assert got == [(7, "12", 3, 1, None), (8, "a", None, 5, None), (9, "1.5", 4, 5, '{"a":1}'), (10, None, None, None, None), (None, None, None, 2, None)]
+    assert got == [(7, "12", 3, 1, None), (8, "a", None, 5, None), (9, "1.5", 4, 5, '{"a":1}'), (10, None, None, None, None), (None, None, None, 2, None), *[(None,) * 5] * 2]
